@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tendril.llm.decontaminate import contaminated
+from tendril.llm.language import languages
+from tendril.llm.quality import judged
 from tendril.llm.tokens import tokens_written
 
 
@@ -18,6 +20,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The public tokenizer that the queries use; the operator takes any path."""
     import public_tokenizers
@@ -31,5 +41,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
+    "op7_quality": op7_quality,
+    "op8_language": op8_language,
     "op10_token_files": op10_token_files,
 }
