@@ -20,6 +20,31 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
+_ESCAPED = "replace(replace(replace(replace(replace({}, '~', '~0'), '</s>', '~1'), '<s>', '~2'), '[INST]', '~3'), '[/INST]', '~4')"
+
+OP5 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS k FROM c),
+n AS (SELECT *, k = 0 AND role = 'system' AS leads, (length(text) + 3) // 4 + 4 AS own FROM k),
+t AS (SELECT *, CASE WHEN leads THEN 0 ELSE own END AS tokens, max(CASE WHEN leads THEN own END) OVER (PARTITION BY conv_id) AS sys_tokens,
+      max(CASE WHEN leads THEN text END) OVER (PARTITION BY conv_id) AS sys FROM n),
+b AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY k) - tokens AS before, greatest(32, (384 - coalesce(sys_tokens, 0)) // 2) AS share FROM t),
+w AS (SELECT *, before // share AS win FROM b),
+x AS (SELECT *, min(win) OVER l AS nxt, min(before) OVER l AS nxt_start FROM w WINDOW l AS (PARTITION BY conv_id ORDER BY win RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+f AS (SELECT conv_id, sum(length(role_e) + length(text_e) + 8) AS chars FROM (
+      SELECT conv_id, replace({_ESCAPED.format("role")}, chr(10), '~n') AS role_e, {_ESCAPED.format("text")} AS text_e FROM (
+        SELECT conv_id, role, text FROM x
+        UNION ALL SELECT conv_id, role, text FROM x WHERE nxt IS NOT NULL AND before >= nxt_start - least(128, share) AND NOT leads
+        UNION ALL SELECT conv_id, 'system', sys FROM (SELECT DISTINCT conv_id, win, sys FROM x WHERE win > 0 AND sys IS NOT NULL))) GROUP BY 1)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '')) AS loss_sha256,
+       CAST(any_value(chars) AS BIGINT) AS formatted_chars
+FROM x JOIN f USING (conv_id) GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op3_decontaminate": OP3,
+    "op5_chat": OP5,
 }

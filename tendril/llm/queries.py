@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tendril.llm.chat import read_back, windows
 from tendril.llm.decontaminate import contaminated
 from tendril.llm.language import languages
 from tendril.llm.quality import judged
@@ -20,6 +21,15 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+#: A conversation whose texts look like the template's marks.
+MARKED = "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(windows(rows.unionByName(spark.sql(MARKED))))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -41,6 +51,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
+    "op5_chat": op5_chat,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op10_token_files": op10_token_files,
