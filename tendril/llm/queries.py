@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tendril.llm.chat import read_back, windows
 from tendril.llm.decontaminate import contaminated
 from tendril.llm.language import languages
+from tendril.llm.mixing import mixed
 from tendril.llm.quality import judged
 from tendril.llm.tokens import tokens_written
 
@@ -30,6 +32,11 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(windows(rows.unionByName(spark.sql(MARKED))))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixed(docs).select("doc_id", F.col("_source").alias("source"), F.col("_slot").alias("slot"), F.col("_place").alias("place"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,6 +59,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_chat": op5_chat,
+    "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op10_token_files": op10_token_files,
