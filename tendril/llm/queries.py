@@ -13,6 +13,7 @@ from tendril.llm.language import languages
 from tendril.llm.mixing import mixed
 from tendril.llm.quality import judged
 from tendril.llm.tokens import tokens_written
+from tendril.llm.warc import drill
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages are written and audited; the copy has a bit turned in one of 97 records."""
+    return drill(_table(spark, sf_dir, "pages"), F.col("page_id") % 97 == 13)
+
+
 def tokenizer_path() -> str:
     """The public tokenizer that the queries use; the operator takes any path."""
     import public_tokenizers
@@ -62,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
+    "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
 }
