@@ -20,6 +20,18 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
+OP4 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, k, array_to_string(w[k : k + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS n FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS pos FROM r WHERE n > 1),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+j AS (SELECT p.doc_id, p.word, p.pos, c.pos IS NOT NULL AS gone FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.pos = c.pos),
+a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM j GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
 _ESCAPED = "replace(replace(replace(replace(replace({}, '~', '~0'), '</s>', '~1'), '<s>', '~2'), '[INST]', '~3'), '[/INST]', '~4')"
 
 OP5 = f"""
@@ -82,6 +94,7 @@ FROM r WINDOW w AS (PARTITION BY shard ORDER BY page_id NULLS FIRST, url NULLS F
 
 ORACLES: dict[str, str] = {
     "op3_decontaminate": OP3,
+    "op4_substrings": OP4,
     "op5_chat": OP5,
     "op6_mixing": OP6,
     "op9_warc": OP9,

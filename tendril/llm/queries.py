@@ -12,6 +12,7 @@ from tendril.llm.decontaminate import contaminated
 from tendril.llm.language import languages
 from tendril.llm.mixing import mixed
 from tendril.llm.quality import judged
+from tendril.llm.substrings import digested
 from tendril.llm.tokens import tokens_written
 from tendril.llm.warc import drill
 
@@ -24,6 +25,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digested(_table(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts look like the template's marks.
 MARKED = "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
 
@@ -64,6 +69,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_substrings": op4_substrings,
     "op5_chat": op5_chat,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
