@@ -4,6 +4,16 @@ from __future__ import annotations
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP2 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding AS e FROM embeddings),
+u AS (SELECT vec_id, CAST(e AS DOUBLE[]) AS e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND (list_cosine_similarity(a.e, b.e) >= 0.9 OR a.e = b.e)),
+r AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT l.a, r.c FROM r JOIN l ON l.b = r.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1),
+c AS (SELECT a, min(c) AS c FROM r GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, vec_id = c AS kept FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
 OP3 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -93,6 +103,7 @@ FROM r WINDOW w AS (PARTITION BY shard ORDER BY page_id NULLS FIRST, url NULLS F
 """
 
 ORACLES: dict[str, str] = {
+    "op2_embeddings": OP2,
     "op3_decontaminate": OP3,
     "op4_substrings": OP4,
     "op5_chat": OP5,

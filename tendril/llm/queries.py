@@ -11,6 +11,7 @@ from tendril.llm.chat import read_back, windows
 from tendril.llm.decontaminate import contaminated
 from tendril.llm.language import languages
 from tendril.llm.mixing import mixed
+from tendril.llm.neardup import near_duplicates
 from tendril.llm.quality import judged
 from tendril.llm.substrings import digested
 from tendril.llm.tokens import tokens_written
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -68,6 +73,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_embeddings": op2_embeddings,
     "op3_decontaminate": op3_decontaminate,
     "op4_substrings": op4_substrings,
     "op5_chat": op5_chat,
