@@ -4,6 +4,18 @@ from __future__ import annotations
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + least(5, len(w)) - 1], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS c FROM d UNION SELECT l.a, r.c FROM r JOIN l ON l.b = r.a),
+c AS (SELECT a, min(c) AS c FROM r GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id
+"""
+
 OP2 = """
 WITH RECURSIVE v AS (SELECT vec_id, embedding AS e FROM embeddings),
 u AS (SELECT vec_id, CAST(e AS DOUBLE[]) AS e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
@@ -103,6 +115,7 @@ FROM r WINDOW w AS (PARTITION BY shard ORDER BY page_id NULLS FIRST, url NULLS F
 """
 
 ORACLES: dict[str, str] = {
+    "op1_jaccard": OP1,
     "op2_embeddings": OP2,
     "op3_decontaminate": OP3,
     "op4_substrings": OP4,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tendril.llm.chat import read_back, windows
 from tendril.llm.decontaminate import contaminated
+from tendril.llm.jaccard import similar_documents
 from tendril.llm.language import languages
 from tendril.llm.mixing import mixed
 from tendril.llm.neardup import near_duplicates
@@ -22,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -73,6 +78,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard": op1_jaccard,
     "op2_embeddings": op2_embeddings,
     "op3_decontaminate": op3_decontaminate,
     "op4_substrings": op4_substrings,
