@@ -168,7 +168,7 @@ def _unpack(some: pa.Array, packed: pa.Array, k: int) -> np.ndarray:
 def _window_rows(window: int, size: int) -> Callable:
     def rows(batches):
         for batch in batches:
-            batch = _ordered(batch)
+            batch = _ordered(batch.filter(batch.column(3).is_valid()))  # those with anchors to look up
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, at = K.strings(batch.column(1))
             keys, docs, places = [], [], []
@@ -209,9 +209,10 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     both look-ups meet it there.
     """
     size = min(anchor, window)
-    text = _docs(docs).where(F.col("doc_id").isNotNull())
-    live = _by_document(_repeats(text.mapInArrow(_anchor_rows(window, size), FOUND), True))
-    with_live = text.join(live.hint("shuffle_hash"), "doc_id")
+    text = _docs(docs)
+    live = _by_document(_repeats(text.where(F.col("doc_id").isNotNull()).mapInArrow(_anchor_rows(window, size), FOUND), True))
+    # both joins keep every row of the same side, so Spark shuffles the texts once for the two of them
+    with_live = text.join(live.hint("shuffle_hash"), "doc_id", "left")
     again = _by_document(_repeats(with_live.mapInArrow(_window_rows(window, size), FOUND), False))
     return text.join(again.hint("shuffle_hash"), "doc_id", "left")
 
@@ -255,8 +256,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
             )
 
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<first: int, last: int>>, text string"
-    nameless = _docs(docs).where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<int>").alias("some"), F.lit(None).cast("array<binary>").alias("packed"))
-    return duplicate_spans(docs, window, anchor).unionByName(nameless).mapInArrow(rows, schema)
+    return duplicate_spans(docs, window, anchor).mapInArrow(rows, schema)
 
 
 def digested(docs: DataFrame, window: int = WINDOW) -> DataFrame:
