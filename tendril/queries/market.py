@@ -97,11 +97,11 @@ def price_memory(spark, d):
 
 @query("price_stats", f"""{_PRICES} SELECT phase, unit, count(*) AS n, round(CAST(sum(CAST(price AS DECIMAL(18,4))) AS DOUBLE) / count(*), 2) AS mean, min(price) AS low, max(price) AS high,
  round(quantile_cont(price, 0.1), 4) AS p10, round(quantile_cont(price, 0.25), 4) AS p25, round(quantile_cont(price, 0.5), 4) AS p50, round(quantile_cont(price, 0.75), 4) AS p75, round(quantile_cont(price, 0.9), 4) AS p90
- FROM prices JOIN part ON p_partkey = l_partkey WHERE p_name LIKE '%1%' GROUP BY 1, 2 HAVING count(*) >= 3""")
+ FROM prices JOIN part ON p_partkey = l_partkey WHERE p_name LIKE '%red%' GROUP BY 1, 2 HAVING count(*) >= 3""")
 def price_stats(spark, d):
     from tendril.functions.text import text_matches
 
-    part = table(spark, d, "part").where(text_matches(F.col("p_name"), F.array(F.lit("%1%")))).select(F.col("p_partkey").alias("l_partkey"))
+    part = table(spark, d, "part").where(text_matches(F.col("p_name"), F.array(F.lit("RÉD")))).select(F.col("p_partkey").alias("l_partkey"))
     return M.price_stats(_prices(spark, d).join(part, "l_partkey", "left_semi"), ["phase", "unit"])
 
 

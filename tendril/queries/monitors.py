@@ -1 +1,214 @@
-"""Bound queries."""
+"""Search and monitors: orders with the names of their parts as tenders, lineitem as items and awards."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from tendril.catalog import query, table
+from tendril.functions.text import effective_terms, fold_accents, text_matches, text_matches_phrase
+from tendril.operators import monitors as M
+from tendril.queries.market import TENDERS, _d, tenders
+
+AS_OF = datetime(2000, 6, 1)
+
+_FOLD = "strip_accents(lower(coalesce({}, '')))"
+
+
+def _rule(i, include=(), exclude=(), approved=(), states=(), cities=(), a_in=(), a_out=(), modalities=(), statuses=(), vmin=None, vmax=None, days=None, pmin=None, pmax=None, codes=(), suppliers=()):
+    return (i, *map(list, (include, exclude, approved, states, cities, a_in, a_out, modalities, statuses)), vmin, vmax, days, pmin, pmax, list(codes), list(suppliers))
+
+
+#: The rules of the queries: every condition is used by some.
+RULES = [
+    _rule(1, include=["Ring SMALL"], exclude=["gizmo"]),
+    _rule(2, include=["red widget", "hot gear"], vmin=100000.0, vmax=400000.0),
+    _rule(3, include=["x", "blue bolt"], approved=["cold"], modalities=["1-URGENT", "2-HIGH"], statuses=["O", "P"]),
+    _rule(4, include=["b_lt"], a_out=["Customer#000000001"], days=400),
+    _rule(5, include=["gear"], pmin=1000.0, pmax=1010.0, suppliers=["7", "9"]),
+    _rule(6, include=["WIDGÉT"], codes=["3", "5", "11"]),
+    _rule(7, include=["a"], suppliers=["1"]),
+]
+
+
+def rules(spark):
+    return spark.createDataFrame(RULES, M.RULE)
+
+
+def _records(spark, d):
+    names = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("p_name")), " ").alias("text"))
+    t = tenders(spark, d).join(names, F.col("o_orderkey") == F.col("l_orderkey"))
+    return t.select(F.col("o_orderkey").alias("key"), "text", F.col("n_name").alias("state"), F.col("c_name").alias("city"), F.col("c_name").alias("agency"), F.col("o_orderpriority").alias("modality"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("value"), F.col("o_orderdate").alias("closes"), F.col("o_orderdate").alias("published"))
+
+
+def _items(spark, d):
+    return table(spark, d, "lineitem").where(F.col("l_quantity") > 0).select(F.col("l_orderkey").alias("key"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"), F.col("l_partkey").alias("code"))
+
+
+def matches(spark, d):
+    return M.match_records(_records(spark, d), _items(spark, d), rules(spark), AS_OF)
+
+
+def _words_sql(terms, column):
+    out = []
+    for t in terms:
+        ws = [w for w in t.lower().replace("é", "e").split() if len(w) > 1]
+        if ws:
+            out.append("(" + " AND ".join(f"{column} LIKE '%{w}%'" for w in ws) + ")")
+    return "(" + (" OR ".join(out) or "false") + ")"
+
+
+def _rule_sql(r):
+    i, include, exclude, approved, states, cities, a_in, a_out, modalities, statuses, vmin, vmax, days, pmin, pmax, codes, _ = r
+    listed = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+    c = [_words_sql([*include, *approved], "folded")]
+    if exclude:
+        c.append("NOT " + _words_sql(exclude, "folded"))
+    for xs, col in ((modalities, "modality"), (statuses, "status"), (states, "state")):
+        if xs:
+            c.append(f"{col} IN {listed(xs)}")
+    if a_out:
+        c.append(f"(agency IS NULL OR agency NOT IN {listed(a_out)})")
+    if vmin is not None:
+        c.append(f"value >= {vmin}")
+    if vmax is not None:
+        c.append(f"value <= {vmax}")
+    if days is not None:
+        c.append(f"closes BETWEEN TIMESTAMP '2000-06-01' AND TIMESTAMP '2000-06-01' + INTERVAL {days} DAY")
+    if pmin is not None:
+        c.append(f"key IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 0 AND l_extendedprice / l_quantity BETWEEN {pmin} AND {pmax})")
+    if codes:
+        c.append(f"key IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 0 AND CAST(l_partkey AS VARCHAR) IN {listed(codes)})")
+    return f"SELECT CAST({i} AS BIGINT) AS monitor_id, * FROM records WHERE {' AND '.join(c)}"
+
+
+_RECORDS = f"""texts AS (SELECT l_orderkey, string_agg(DISTINCT p_name, ' ' ORDER BY p_name) AS text FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+ records AS (SELECT o_orderkey AS key, text, {_FOLD.format('text')} AS folded, n_name AS state, c_name AS agency, o_orderpriority AS modality, o_orderstatus AS status, o_totalprice AS value, o_orderdate AS closes FROM {TENDERS} JOIN texts ON o_orderkey = l_orderkey),
+ matches AS ({' UNION ALL '.join(map(_rule_sql, RULES))})"""
+
+
+@query("monitor_matches", f"WITH {_RECORDS} SELECT monitor_id, key, status, value FROM matches")
+def monitor_matches(spark, d):
+    return matches(spark, d).select("monitor_id", "key", "status", "value")
+
+
+def _awards(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("item"), F.col("l_suppkey").alias("supplier"), F.col("l_extendedprice").alias("award_value"))
+
+
+@query("monitor_baseline", f"""WITH {_RECORDS}, per AS (SELECT monitor_id, round(avg(n), 4) AS competition FROM (SELECT monitor_id, key, count(DISTINCT l_suppkey) AS n FROM matches JOIN lineitem ON l_orderkey = key GROUP BY 1, 2) GROUP BY 1)
+ SELECT m.monitor_id, count(*) AS sample, strftime(min(closes), '%Y-%m-%d') AS first, strftime(max(closes), '%Y-%m-%d') AS last, {_d('value')} AS total_value, round(quantile_cont(value, 0.5) FILTER (value > 0), 4) AS median_value,
+ count(*) FILTER (lower(status) LIKE '%desert%') AS deserted, count(*) FILTER (lower(status) LIKE '%fracass%') AS failed, any_value(competition) AS competition FROM matches m LEFT JOIN per USING (monitor_id) GROUP BY 1""")
+def monitor_baseline(spark, d):
+    return M.baseline(matches(spark, d), _awards(spark, d)).withColumn("median_value", F.round("median_value", 4))
+
+
+@query("monitor_competitors", f"""WITH {_RECORDS}, s AS (SELECT monitor_id, l_suppkey AS supplier, count(*) AS awards, {_d('l_extendedprice')} AS total_value FROM matches JOIN lineitem ON l_orderkey = key GROUP BY 1, 2)
+ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY monitor_id ORDER BY total_value DESC NULLS LAST, supplier) AS INT) AS place FROM s) WHERE place <= 10""")
+def monitor_competitors(spark, d):
+    return M.competitors(matches(spark, d), _awards(spark, d))
+
+
+def _changed(df):
+    """The same tenders some days later: prices, closing days, states and awards of some have changed."""
+    k = F.col("key")
+    return df.withColumns({
+        "value": F.when(k % 5 == 0, F.col("value") * 1.25).otherwise(F.col("value")),
+        "closes": F.when(k % 7 == 0, F.col("closes") + F.expr("interval 10 days")).otherwise(F.col("closes")),
+        "status": F.when(k % 11 == 0, "FRACASSADA").when(k % 13 == 0, "deserta").otherwise(F.col("status")),
+        "awarded": F.when(k % 17 == 0, F.col("value")),
+    })
+
+
+def _alerts(spark, d):
+    m = matches(spark, d).select("monitor_id", "key", "status", "value", "closes", F.lit(None).cast("double").alias("awarded"))
+    nothing = m.limit(0).select("monitor_id", "key", F.lit(AS_OF).alias("first_seen"), F.lit(AS_OF).alias("last_seen"), F.lit(AS_OF).alias("last_checked"), *M.SNAPSHOT)
+    state, _ = M.remember(nothing, m.where(F.col("key") % 3 != 0), AS_OF, first_run=True)
+    return M.remember(state, _changed(m), AS_OF)
+
+
+_ALERTS = f"""{_RECORDS}, later AS (SELECT monitor_id, key, status AS s0, value AS v0, closes AS c0, CASE WHEN key % 5 = 0 THEN value * 1.25 ELSE value END AS v1, CASE WHEN key % 7 = 0 THEN closes + INTERVAL 10 DAY ELSE closes END AS c1,
+ CASE WHEN key % 11 = 0 THEN 'FRACASSADA' WHEN key % 13 = 0 THEN 'deserta' ELSE status END AS s1, key % 17 = 0 AND value IS NOT NULL AS aw, key % 3 = 0 AS is_new FROM matches),
+ alerts AS (SELECT monitor_id, key, 'NEW_PROCUREMENT' AS type, CASE WHEN c1 < TIMESTAMP '2000-06-03' THEN 'critica' WHEN v1 >= 1000000 THEN 'alta' ELSE 'media' END AS importance FROM later WHERE is_new
+ UNION ALL SELECT monitor_id, key, 'DESERTED', 'media' FROM later WHERE is_new AND lower(s1) LIKE '%desert%' UNION ALL SELECT monitor_id, key, 'FAILED', 'media' FROM later WHERE is_new AND lower(s1) NOT LIKE '%desert%' AND lower(s1) LIKE '%fracass%'
+ UNION ALL SELECT monitor_id, key, 'PRICE_CHANGE', CASE WHEN v0 > 0 AND abs(round((v1 - v0) / v0 * 100, 1)) >= 20 THEN 'alta' ELSE 'media' END FROM later WHERE NOT is_new AND v1 IS DISTINCT FROM v0
+ UNION ALL SELECT monitor_id, key, 'DEADLINE_CHANGED', CASE WHEN c1 < TIMESTAMP '2000-06-03' THEN 'critica' ELSE 'alta' END FROM later WHERE NOT is_new AND c1 IS DISTINCT FROM c0
+ UNION ALL SELECT monitor_id, key, 'PROCUREMENT_UPDATED', 'media' FROM later WHERE NOT is_new AND (s1 IS DISTINCT FROM s0 OR aw))"""
+
+
+@query("monitor_alerts", f"WITH {_ALERTS} SELECT monitor_id, key, type, importance FROM alerts")
+def monitor_alerts(spark, d):
+    return _alerts(spark, d)[1].select("monitor_id", "key", "type", "importance")
+
+
+@query("monitor_cards", f"""WITH {_ALERTS}, a AS (SELECT monitor_id, count(*) AS alerts, count(*) FILTER (importance IN ('alta', 'critica')) AS high FROM alerts GROUP BY 1)
+ SELECT monitor_id, count(*) AS matches, count(*) FILTER (c1 > TIMESTAMP '2000-06-01') AS open, coalesce(any_value(alerts), 0) AS alerts, coalesce(any_value(high), 0) AS high FROM later LEFT JOIN a USING (monitor_id) GROUP BY 1""")
+def monitor_cards(spark, d):
+    state, alerts = _alerts(spark, d)
+    return M.cards(state, alerts, AS_OF)
+
+
+@query("award_alerts", f"""WITH {_RECORDS} SELECT DISTINCT monitor_id, key || ':' || l_linenumber || ':' || l_suppkey AS award_key, 'NEW_WINNER' AS type, CASE WHEN monitor_id = 5 AND l_suppkey IN (7, 9) OR monitor_id = 7 AND l_suppkey = 1 THEN 'alta' ELSE 'media' END AS importance
+ FROM matches JOIN lineitem ON l_orderkey = key WHERE l_linenumber <> 1""")
+def award_alerts(spark, d):
+    m, a = matches(spark, d), _awards(spark, d)
+    known = m.select("monitor_id", "key").join(a.where(F.col("item") == 1), "key").select("monitor_id", F.concat_ws(":", "key", "item", "supplier").alias("award_key"))
+    return M.award_alerts(m, a, known, rules(spark))
+
+
+@query("expiring_contracts", f"""WITH c AS (SELECT l_orderkey || '/' || l_linenumber AS key, {_FOLD.format('p_name')} AS folded, CAST(l_suppkey AS VARCHAR) AS supplier, CAST(date_diff('day', DATE '2000-06-01', CAST(l_shipdate AS DATE)) AS INT) AS days_left FROM lineitem JOIN part ON p_partkey = l_partkey
+ WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '2000-06-01' AND DATE '2000-11-28'),
+ m AS ({' UNION ALL '.join(f"SELECT CAST({r[0]} AS BIGINT) AS monitor_id, * FROM c WHERE ({_words_sql([*r[1], *r[3]], 'folded')} OR supplier IN ({', '.join(repr(x) for x in r[-1]) or 'NULL'})) AND NOT {_words_sql(r[2], 'folded')}" for r in RULES)})
+ SELECT monitor_id, key, 'CONTRACT_EXPIRING' AS type, days_left, CASE WHEN days_left <= 30 THEN 'alta' ELSE 'media' END AS importance FROM m WHERE monitor_id IS NOT NULL""")
+def expiring_contracts(spark, d):
+    c = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("key"), F.col("p_name").alias("text"), F.col("l_suppkey").alias("supplier"), F.col("l_shipdate").alias("ends"))
+    return M.expiring_contract_alerts(c, rules(spark), AS_OF)
+
+
+@query("suggest_expansions", """SELECT lower(left(trim(p_name), 80)) AS label, count(*) AS n, min(p_partkey) AS code FROM part WHERE strip_accents(lower(p_name)) LIKE '%red%' OR strip_accents(lower(p_name)) LIKE '%gear%' GROUP BY 1 ORDER BY n DESC, label LIMIT 20""")
+def suggest_expansions(spark, d):
+    return M.suggest_expansions(table(spark, d, "part"), ["red", "gear"], "p_name", "p_partkey")
+
+
+_Q = "TION êr"
+_HIT = "{0} IS NOT NULL AND strip_accents(lower({0})) LIKE '%tion%' AND strip_accents(lower({0})) LIKE '%er%'"
+
+
+@query("text_match", f"SELECT doc_id, {_HIT.format('text')} AS all_words, coalesce(lower(text) LIKE '%tion êr%', false) AS phrase FROM documents")
+def text_match(spark, d):
+    terms = F.array(F.lit(_Q), F.lit("q"))
+    return table(spark, d, "documents").select("doc_id", text_matches(F.col("text"), terms).alias("all_words"), text_matches_phrase(F.col("text"), F.array(F.lit(_Q))).alias("phrase"))
+
+
+@query("search_ranked", f"""SELECT * FROM (SELECT 'documents' AS origin, doc_id AS key, n_chars AS rank FROM documents WHERE {_HIT.format('text')} ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 20)
+ UNION ALL SELECT * FROM (SELECT 'pages', page_id, length(html) FROM pages WHERE {_HIT.format('html')} ORDER BY length(html) DESC NULLS LAST, page_id LIMIT 20)""")
+def search_ranked(spark, d):
+    return M.search({"documents": (table(spark, d, "documents"), "doc_id", "text", F.col("n_chars")), "pages": (table(spark, d, "pages"), "page_id", "html", F.length("html").cast("long"))}, _Q)
+
+
+@query("search_by_year", f"WITH {_RECORDS} SELECT CAST(year(closes) AS INT) AS year, count(*) AS n FROM records WHERE folded LIKE '%red%' AND folded LIKE '%widget%' GROUP BY 1")
+def search_by_year(spark, d):
+    return _records(spark, d).where(text_matches(F.col("text"), F.array(F.lit("widget RED")))).groupBy(F.year("closes").alias("year")).agg(F.count("*").alias("n"))
+
+
+@query("unit_price_semi", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 0 AND l_extendedprice / l_quantity BETWEEN 1000 AND 1010)")
+def unit_price_semi(spark, d):
+    return table(spark, d, "orders").join(_items(spark, d), (F.col("o_orderkey") == F.col("key")) & F.col("unit_price").between(1000, 1010), "left_semi").select("o_orderkey")
+
+
+@query("unmatched_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def unmatched_anti(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders").where(F.col("o_orderstatus") == "P"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("effective_terms", f"SELECT {_FOLD.format('p_name')} AS folded, len(list_filter(list_distinct([p_name, p_type, 'x']), lambda t: length(trim(t)) > 1)) AS terms, count(*) AS n FROM part GROUP BY 1, 2")
+def effective(spark, d):
+    p = table(spark, d, "part")
+    return p.groupBy(fold_accents(F.col("p_name")).alias("folded"), F.size(effective_terms(F.array("p_name"), F.array(F.col("p_type"), F.lit("x")))).cast("long").alias("terms")).agg(F.count("*").alias("n"))
+
+
+@query("due_monitors", "SELECT user_id AS monitor_id, strftime(next_run, '%Y-%m-%d %H:%M:%S') AS next_run FROM (SELECT user_id, max(ts) AS next_run, count(*) FILTER (event_type = 'error') < 20 AS active FROM events GROUP BY 1) WHERE active AND next_run <= TIMESTAMP '2024-01-30' ORDER BY next_run, user_id LIMIT 25")
+def due_monitors(spark, d):
+    m = table(spark, d, "events").groupBy(F.col("user_id").alias("monitor_id")).agg(F.max("ts").alias("next_run"), (F.count_if(F.col("event_type") == "error") < 20).alias("active"))
+    return M.due(m, datetime(2024, 1, 30)).select("monitor_id", F.date_format("next_run", "yyyy-MM-dd HH:mm:ss").alias("next_run"))
