@@ -21,6 +21,7 @@ hashes of shingles in the whole sets.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -293,7 +294,8 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             packed = [s.astype("<u8").tobytes() for _, s in shingle_sets(batch.column(1), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "s"])
 
-    return _text(docs).join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(rows, "doc_id long, s binary")
+    # ids come from a written table: Spark knows their size and broadcasts them below its threshold, else shuffles
+    return _text(docs).join(ids, "doc_id", "left_semi").mapInArrow(rows, "doc_id long, s binary")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -330,10 +332,11 @@ def similar_documents(docs: DataFrame, size: int = SIZE) -> DataFrame:
     members = index.where(F.col("pos") < 0).select("doc_id", "n", "pos", "sig")
     classes = members.where(F.col("n") > 0).groupBy("n", "pos", "sig").agg(F.min("doc_id").alias("rep"))
     lists = index.where(F.col("pos") >= 0).select("tok", "doc_id", "n", "pos")
-    sets = stored(_sets(docs, lists.select("doc_id").distinct(), size), "sets")
+    shared = stored(lists.groupBy("doc_id").agg(F.collect_list("tok").alias("toks")), "shared")
 
     links: list[DataFrame] = []
     checked: list[DataFrame] = []
+    sets: list[DataFrame] = []
     found: DataFrame | None = None
 
     def open_lists(after: DataFrame | None) -> DataFrame:
@@ -345,27 +348,31 @@ def similar_documents(docs: DataFrame, size: int = SIZE) -> DataFrame:
         return known.join(several, "tok", "left_semi")
 
     def judged(pairs: DataFrame) -> DataFrame:
+        """The components of the links so far, after the pairs' whole sets are compared; a set is built once."""
         for old in checked:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
-        got = stored(_compared(pairs, sets), "compared")
+        pairs = stored(pairs.select("a", "b"), "candidates")
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        for have in sets:
+            ids = ids.join(have.select("doc_id"), "doc_id", "left_anti")
+        sets.append(stored(_sets(docs, stored(ids, "ids"), size), "sets"))
+        got = stored(_compared(pairs, reduce(DataFrame.unionByName, sets)), "compared")
         checked.append(got.select("a", "b"))
         links.append(got.where("linked").select("a", "b"))
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        return components(every)
+        return components(reduce(DataFrame.unionByName, links))
 
-    # neighbours by size, then by hash: they share several elements if they are copies
+    # elements of a prefix that the other prefix lacks, and the rest of the larger set, bound what two sets share
+    beyond = F.greatest(*(F.ceil(F.col(c) * PART / WHOLE) - 1 for c in ("na", "nb")))
+    need = F.ceil((F.col("na") + F.col("nb")) * PART / (PART + WHOLE))
+    # neighbours by size, then by hash: where there are copies, some of them are
     for by in (["n", "pos", "doc_id"], ["_h"]):
-        near = open_lists(found).withColumn("_h", F.xxhash64("tok", "doc_id")).repartition("tok").sortWithinPartitions("tok", *by).select("tok", "doc_id", "n", "pos", "c").mapInArrow(_neighbours, PAIR)
-        often = near.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-        found = judged(often.where((F.col("k") > 1) | (F.least("na", "nb") < 16)))
+        near = open_lists(found).withColumn("_h", F.xxhash64("tok", "doc_id")).repartition("tok").sortWithinPartitions("tok", *by).select("tok", "doc_id", "n", "pos", "c").mapInArrow(_neighbours, PAIR).distinct()
+        near = near.join(shared.select(F.col("doc_id").alias("a"), F.col("toks").alias("ta")), "a").join(shared.select(F.col("doc_id").alias("b"), F.col("toks").alias("tb")), "b")
+        found = judged(near.where(F.size(F.array_intersect("ta", "tb")) + beyond >= need))
     # every pair that is left: prefixes must share enough, and one list must hold the pair's first common element
     rest = open_lists(found)
     cells = celled(rest, ["tok"], "doc_id", LIST).repartition("tok", "cell").sortWithinPartitions("tok", "cell", "half", "n", "pos").select("tok", "cell", "half", "n", "pos", "doc_id", "c")
     pairs = cells.mapInArrow(_cell_pairs, PAIR + ", first boolean").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.max("first").alias("first"))
-    beyond = F.greatest(*(F.ceil(F.col(c) * PART / WHOLE) - 1 for c in ("na", "nb")))
-    need = F.ceil((F.col("na") + F.col("nb")) * PART / (PART + WHOLE))
     found = judged(pairs.where(F.col("first") & (F.col("k") + beyond >= need)))
 
     by_class = members.join(classes, ["n", "pos", "sig"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
