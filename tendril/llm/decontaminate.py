@@ -15,7 +15,6 @@ no shuffle while the benchmark fits one part.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tendril.llm import kernels as K
+from tendril.llm.shared import small_batches
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast part.
@@ -153,6 +153,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     columns of either table are ignored.  Over several parts of a benchmark,
     rows of equal ``doc_id`` and ``n_words`` are merged.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     found = None
     for part in _parts(benchmark, most_bytes):
@@ -166,10 +167,20 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         found = one if found is None else found.unionByName(one)
         several = found is not one
     if several:
-        found = found.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        spans = F.array_sort(F.flatten(F.collect_list("hits")))
+        found = found.groupBy("doc_id", "n_words").agg(_union(spans).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return found
 
 
+def _union(spans):
+    """Ascending spans, merged where they touch or overlap."""
+    grow = lambda done, s: F.when(
+        (F.size(done) > 0) & (F.element_at(done, -1)["last"] >= s["first"]),
+        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], s["last"]).alias("last")))),
+    ).otherwise(F.concat(done, F.array(s)))
+    return F.aggregate(spans, F.array().cast("array<struct<first: int, last: int>>"), grow)
+
+
 def _scan(batch: pa.RecordBatch, tables: list[Matcher], names: list[str]) -> Iterator[pa.RecordBatch]:
     data, at = K.strings(batch.column(1))
     ids = batch.column(0)
@@ -209,17 +220,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row per document: words, words hit, items found and their digest."""
 
-    def digest(batches):
-        for batch in batches:
-            ids, n, hits, items = batch.columns
-            count = [sum(b - a for a, b in merged([(h["first"], h["last"]) for h in x])) for x in hits.to_pylist()]
-            names = items.to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [ids, n, pa.array(count, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array([c > 0 for c in count])],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    return find_benchmark(docs, benchmark, window).mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    spans = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["last"] - h["first"])
+    found = find_benchmark(docs, benchmark, window).withColumn("n_hit", spans)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

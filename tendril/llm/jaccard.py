@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tendril.llm import kernels as K
 from tendril.llm.components import components
 from tendril.llm.neardup import celled
-from tendril.llm.shared import stored
+from tendril.llm.shared import small_batches, stored
 
 SIZE = 5
 #: The threshold as a fraction: 100 * intersection >= 75 * union.
@@ -39,7 +39,7 @@ PART, WHOLE = 75, 100
 #: Frequent shingles that the order knows by count; the others go by hash.
 FREQUENT = 1 << 16
 #: Shingles that a task gathers before it counts them.
-BUFFER = 4_000_000
+BUFFER = 1_000_000
 LEAST_COUNT = 3
 LIST = 512
 _BLOCK = 64
@@ -325,6 +325,7 @@ def similar_documents(docs: DataFrame, size: int = SIZE) -> DataFrame:
     Ids are taken to be unique.  Rows with a null id come out with their set's size
     left out (null) and a null component.
     """
+    small_batches(docs.sparkSession)
     frequent, rank = frequent_shingles(docs, size)
     order = ["tok", "n", "pos", "sig", "doc_id"]
     dealt = _text(docs).mapInArrow(_posting_rows(frequent, rank, size), POSTING).repartition("tok").sortWithinPartitions(*order)

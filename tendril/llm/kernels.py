@@ -8,6 +8,7 @@ rows and moves the results, nothing here holds more than one slice.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that a kernel expands at a time; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -25,6 +26,19 @@ _P_INV = pow(_P, -1, 2**64)
 _STEP = 1 << 16
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker process lives on and serves other operators."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     out = np.full(n, base, dtype=U64)
@@ -122,6 +136,7 @@ def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
+    give_back()
 
 
 def words(bytes_: np.ndarray, at: np.ndarray, table: np.ndarray, lower: bool) -> Words:

@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from tendril.llm import kernels as K
 from tendril.llm.quality import held_out
+from tendril.llm.shared import small_batches
 
 #: Symbols of training text for one language, and for all of them, at most.
 SYMBOLS, ALL_SYMBOLS = 24_000, 240_000
@@ -168,6 +169,7 @@ def identify(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
     if no language was learnt.  The score is 1 - phrases(best) / phrases(second),
     1 if only one language is known; ties go to the language that sorts first.
     """
+    small_batches(docs.sparkSession)
     names, texts = list(model), list(model.values())
 
     def rows(batches):

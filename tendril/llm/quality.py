@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tendril.llm import kernels as K
+from tendril.llm.shared import small_batches
 
 #: Labelled rows of each class from which the model is learnt, at most.
 SAMPLE = 4000
@@ -149,6 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sam
     ids without a document; a document with contradicting labels stands in both
     classes.  Without one of the classes all texts score alike.
     """
+    small_batches(docs.sparkSession)
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"), folds, fold)).distinct()
     counts = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
     chosen = None
@@ -191,6 +193,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, whose score reaches the threshold: one pass, no join."""
+    small_batches(docs.sparkSession)
     model = learn(docs, labels)
     schema = docs.schema
     names = docs.columns

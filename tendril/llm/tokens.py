@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tendril.llm import kernels as K
-from tendril.llm.shared import shared_path, stored
+from tendril.llm.shared import shared_path, small_batches, stored
 
 LENGTH = 2048
 BATCH_ROWS = 64
 #: Distinct pieces whose ids a task remembers; it starts afresh when they are more.
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 1_000_000
 _SPACE = 0x20
 _CUT_NEXT = np.ones(256, dtype=bool)  # bytes that surely start a character other than white space
 _CUT_NEXT[0:0x21] = False
@@ -205,6 +205,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str | None = None,
     are ``part, path, n_docs, n_tokens`` by ``part``; they come from a written
     table, so the files are written once.  An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "sequences")
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
