@@ -121,7 +121,7 @@ def money_label(v: Column) -> Column:
 
 
 def pct_change(old: Column, new: Column, places: int = 1) -> Column:
-    return F.when(old > 0, F.round((new - old) / old * 100, places))
+    return F.when(old > 0, F.round((new - old) / old * 100, places) + F.lit(0.0))  # no negative zero
 
 
 def last_unique(values: Column, n: int = 500) -> Column:

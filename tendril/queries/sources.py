@@ -1 +1,175 @@
-"""Bound queries."""
+"""Parsing and landing on the driver's tables: pages as HTML, orders and events as payloads and files."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from tendril.catalog import query, table
+from tendril.functions import parse as P
+from tendril.functions.text import decode_entities, label80, slug
+from tendril.operators.market import last_n
+from tendril.sources import content as C
+from tendril.sources import html as W
+from tendril.sources import payloads as N
+
+
+@query("parse_numbers", """SELECT o_orderkey, round(o_totalprice, 2) AS amount, CAST(o_custkey * 1000 + 125 AS DOUBLE) AS dotted, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_custkey AS DOUBLE) + 0.5 END AS plain FROM orders""")
+def parse_numbers(spark, d):
+    o = table(spark, d, "orders")
+    label = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")
+    plain = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.col("o_custkey"), F.lit(".5")))
+    return o.select("o_orderkey", F.round(P.br_number(F.concat(F.lit("R$ "), label)), 2).alias("amount"), P.br_number(F.concat(F.col("o_custkey"), F.lit(".125"))).alias("dotted"), P.number_or_null(plain).alias("plain"))
+
+
+@query("parse_dates", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS strict, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS impossible, strftime(o_orderdate, '%Y-%m-%d') AS lenient, strftime(o_orderdate, '%Y-%m-%d 10:30') AS at_time,
+ strftime(o_orderdate, '%d/%m/%Y') AS epoch, strftime(date_trunc('month', o_orderdate), '%Y%m%d') AS first_day, strftime(last_day(o_orderdate), '%Y%m%d') AS last_day FROM orders""")
+def parse_dates(spark, d):
+    br = F.date_format("o_orderdate", "dd/MM/yyyy")
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd")
+    ms = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    first, last = P.month_window(F.year("o_orderdate"), F.month("o_orderdate"))
+    return table(spark, d, "orders").select(
+        "o_orderkey", iso(P.br_date(br)).alias("strict"), iso(P.br_date(F.when(F.col("o_orderkey") % 2 == 0, br).otherwise(F.concat(F.lit("31/02/"), F.year("o_orderdate"))))).alias("impossible"), iso(P.br_date_lenient(F.concat(br, F.lit(" 09:00")))).alias("lenient"),
+        F.date_format(P.br_datetime_at(F.concat(br, F.lit(" às 10:30"))), "yyyy-MM-dd HH:mm").alias("at_time"), P.epoch_ms_label(ms).alias("epoch"), first.alias("first_day"), last.alias("last_day"),
+    )
+
+
+def _cnpj_sql(n: int, weights: list[int]) -> str:
+    return " + ".join(f"CAST(substr(b, {k + 1}, 1) AS INT) * {w}" for k, w in enumerate(weights))
+
+
+@query("valid_cnpj", f"""WITH a AS (SELECT c_custkey, lpad(CAST(c_custkey * 7919 AS VARCHAR), 8, '0') || '0001' AS b FROM customer), x AS (SELECT *, ({_cnpj_sql(12, [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2])}) % 11 AS r FROM a),
+ y AS (SELECT c_custkey, b || CASE WHEN r < 2 THEN 0 ELSE 11 - r END AS b FROM x), z AS (SELECT *, ({_cnpj_sql(13, [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2])}) % 11 AS r FROM y)
+ SELECT c_custkey, CAST(CASE WHEN r < 2 THEN 0 ELSE 11 - r END AS INT) = c_custkey % 10 AS valid FROM z""")
+def valid_cnpj(spark, d):
+    base = F.concat(F.lpad((F.col("c_custkey") * 7919).cast("string"), 8, "0"), F.lit("0001"))
+    first = P._check_digit(base, [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2])
+    c = table(spark, d, "customer").select("c_custkey", F.concat(base, first.cast("string"), (F.col("c_custkey") % 10).cast("string")).alias("n"))
+    formatted = F.regexp_replace("n", r"^(\d{2})(\d{3})(\d{3})(\d{4})(\d{2})$", r"$1.$2.$3/$4-$5")
+    return c.select("c_custkey", P.valid_cnpj(formatted).alias("valid"))
+
+
+@query("normalize_ids", r"""SELECT o_orderkey, 'doc-' || lower(replace(o_orderpriority, ' ', '-')) AS slug, CAST(o_orderkey AS VARCHAR) AS digits, CASE o_orderstatus WHEN 'O' THEN 'EMPENHO' WHEN 'F' THEN 'LIQUIDACAO' ELSE NULL END AS phase, CASE WHEN o_orderkey % 2 = 0 THEN 'items' ELSE 'tenders' END AS context, CASE WHEN o_orderkey % 3 = 0 THEN 'zip' ELSE 'pdf' END AS ext FROM orders""")
+def normalize_ids(spark, d):
+    k = F.col("o_orderkey")
+    url = F.concat(F.lit("https://x.example/v1/contratacoes"), F.when(k % 2 == 0, F.lit("/itens")).otherwise(F.lit("")), F.when(k % 3 == 0, F.lit("/a.ZIP?x=1")).otherwise(F.lit("/a")))
+    phase = P.expense_phase(F.when(F.col("o_orderstatus") == "O", "Nota de Empenho").when(F.col("o_orderstatus") == "F", "Liquidação").otherwise("outra"))
+    return table(spark, d, "orders").select("o_orderkey", slug(F.concat(F.lit(" Döc "), F.col("o_orderpriority"), F.lit("!"))).alias("slug"), P.digits(F.concat(F.lit("n. "), k)).alias("digits"), phase.alias("phase"), P.url_context(url).alias("context"), P.url_extension(url, F.lit("application/pdf")).alias("ext"))
+
+
+@query("labels80", "SELECT doc_id, lower(left(trim(text), 80)) AS label FROM documents")
+def labels80(spark, d):
+    return table(spark, d, "documents").select("doc_id", label80(F.col("text")).alias("label"))
+
+
+_TENDER_JSON = F.to_json(F.struct(
+    F.concat(F.lpad(F.col("o_custkey").cast("string"), 14, "0"), F.lit("-1-"), F.col("o_orderkey"), F.lit("/"), F.year("o_orderdate")).alias("numeroControlePNCP"), F.year("o_orderdate").alias("anoCompra"), F.col("o_orderkey").alias("sequencialCompra"),
+    F.col("o_orderpriority").alias("modalidadeNome"), F.col("o_orderstatus").alias("situacaoCompraNome"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("valorTotalEstimado"), (F.col("o_orderkey") % 3 == 0).alias("srp"),
+    F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("dataPublicacaoPncp"), F.struct(F.lpad(F.col("o_custkey").cast("string"), 14, "0").alias("cnpj")).alias("orgaoEntidade"), F.struct(F.when(F.col("o_orderkey") % 4 == 0, "ZZ").otherwise("CE").alias("ufSigla")).alias("unidadeOrgao"),
+))
+
+
+def _raw(spark, d):
+    return table(spark, d, "orders").select(F.concat(F.lit("https://source.example/"), F.col("o_orderkey")).alias("url"), "o_orderkey", _TENDER_JSON.alias("payload"))
+
+
+@query("normalize_tenders", """SELECT lpad(CAST(o_custkey AS VARCHAR), 14, '0') || '-1-' || o_orderkey || '/' || year(o_orderdate) AS key, CAST(year(o_orderdate) AS BIGINT) AS year, o_orderpriority AS modality, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS estimated_value, o_orderkey % 3 = 0 AS price_register,
+ CASE WHEN o_orderkey % 4 = 0 THEN 'ZZ' ELSE 'CE' END AS state, strftime(o_orderdate, '%Y-%m-%d') AS published, CAST(NULL AS VARCHAR) AS notes FROM orders""")
+def normalize_tenders(spark, d):
+    return N.normalize_tenders(_raw(spark, d)).select("key", "year", "modality", F.col("estimated_value").cast("double").alias("estimated_value"), "price_register", "state", F.date_format("published_at", "yyyy-MM-dd").alias("published"), "notes")
+
+
+@query("tender_issues", "SELECT 'state' AS field, 'invalid state' AS problem, 'ZZ' AS value, count(*) AS n FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1")
+def tender_issues(spark, d):
+    i = N.tender_issues(N.normalize_tenders(_raw(spark, d)))
+    return i.where(F.col("problem") == "invalid state").groupBy("field", "problem", "value").agg(F.count("*").alias("n"))
+
+
+@query("explode_items", "SELECT l_orderkey, l_linenumber AS item, l_quantity AS quantity, l_extendedprice AS total FROM lineitem")
+def explode_items(spark, d):
+    """Items nested in their tender's payload, taken apart again; a payload of one item need not be a list."""
+    one = F.to_json(F.struct(F.col("l_linenumber").alias("numeroItem"), F.col("l_quantity").alias("quantidade"), F.col("l_extendedprice").alias("valorTotal")))
+    many = table(spark, d, "lineitem").select("l_orderkey", one.alias("j")).groupBy("l_orderkey").agg(F.collect_list("j").alias("js"))
+    payload = F.when(F.size("js") == 1, F.col("js")[0]).otherwise(F.concat(F.lit("["), F.array_join("js", ","), F.lit("]")))
+    items = N.normalize_items(many.select("l_orderkey", payload.alias("payload")), "l_orderkey")
+    return items.select("l_orderkey", F.col("item").cast("int").alias("item"), F.col("quantity").cast("double").alias("quantity"), F.col("total").cast("double").alias("total"))
+
+
+@query("catalog_resolution", """SELECT k AS code, CASE WHEN k % 3 = 0 THEN 'MATERIAL' WHEN k % 3 = 1 THEN 'SERVICO' ELSE 'NAO_ENCONTRADO_NA_FONTE' END AS kind, CASE WHEN k % 3 < 2 THEN p_name END AS description FROM (SELECT DISTINCT l_partkey AS k FROM lineitem) LEFT JOIN part ON p_partkey = k""")
+def catalog_resolution(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("description"))
+    return N.resolve_catalog(table(spark, d, "lineitem").select(F.col("l_partkey").alias("code")), p.where(F.col("code") % 3 == 0), p.where(F.col("code") % 3 <= 1))
+
+
+@query("land_raw", "SELECT url, html AS payload, sha256(coalesce(html, '')) AS sha256 FROM (SELECT DISTINCT url, html FROM pages) WHERE (url, html) NOT IN (SELECT (url, html) FROM pages WHERE page_id % 2 = 0)")
+def land_raw(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url", F.col("html").alias("payload"))
+    at = datetime(2024, 1, 1)
+    current = C.land_raw(p.limit(0).select("url", F.lit("").alias("sha256")), p.where(F.col("page_id") % 2 == 0).drop("page_id"), at)
+    return C.land_raw(current, p.drop("page_id"), at).drop("collected_at")
+
+
+@query("content_dedup", "SELECT sha256(text) AS sha256, min(doc_id) AS first_key, count(*) AS refs FROM documents GROUP BY 1")
+def content_dedup(spark, d):
+    return C.content_dedup(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("dataset_manifest", "SELECT event_type, strftime(ts, '%Y-%m') AS month, count(*) AS records, CAST(sum(strlen(props)) AS BIGINT) AS bytes, strftime(min(ts), '%Y-%m-%d') AS first_date, strftime(max(ts), '%Y-%m-%d') AS last_date FROM events GROUP BY 1, 2")
+def dataset_manifest(spark, d):
+    return C.dataset_manifest(table(spark, d, "events").withColumn("month", F.date_format("ts", "yyyy-MM")), ["event_type", "month"], "ts", "props").drop("digest")
+
+
+@query("extract_links", r"""SELECT page_id, string_agg(DISTINCT h, '|' ORDER BY h) AS hrefs, count(DISTINCT h) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS h FROM pages) GROUP BY 1""")
+def extract_links(spark, d):
+    p = table(spark, d, "pages").select("page_id", W.links(F.col("html")).alias("l"))
+    return p.select("page_id", F.array_join(F.array_sort("l.hrefs"), "|").alias("hrefs"), F.size("l.hrefs").cast("long").alias("n")).where(F.col("n") > 0)
+
+
+@query("extract_rows", r"""SELECT page_id, CAST(k - 1 AS INT) AS row, regexp_extract(li, '<a href="([^"]*)"', 1) AS href FROM (SELECT page_id, unnest(l) AS li, unnest(range(1, len(l) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '<li[^>]*>(.*?)</li>', 1, 's') AS l FROM pages))""")
+def extract_rows(spark, d):
+    """Navigation entries, as rows of one cell once list items are written as table rows."""
+    p = table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace("html", r"<li[^>]*>", "<tr><td>"), "</li>", "</td></tr>").alias("html"))
+    rows = p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<tr><td>(.*?)</td></tr>"), F.lit(1))).alias("row", "cell"))
+    return rows.select("page_id", "row", F.regexp_extract("cell", r'<a href="([^"]*)"', 1).alias("href"))
+
+
+@query("fingerprint_pages", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+ len(regexp_extract_all(html, '<form[^>]+action="([^"]*)"', 1, 'i')) AS forms, regexp_matches(lower(html), 'captcha') AS captcha, regexp_matches(lower(html), '/api/') AS api FROM pages""")
+def fingerprint_pages(spark, d):
+    f = table(spark, d, "pages").select("page_id", W.fingerprint(F.col("html")).alias("f"))
+    return f.select("page_id", "f.title", F.size("f.forms").cast("long").alias("forms"), F.array_contains("f.walls", "captcha").alias("captcha"), F.array_contains("f.hints", "rest").alias("api"))
+
+
+@query("keyword_context", r"""WITH s AS (SELECT doc_id, regexp_split_to_array(text, '(?i)thanin') AS p FROM documents WHERE lower(text) LIKE '%thanin%')
+ SELECT doc_id, CAST(k AS INT) AS occurrence, right(p[k], 200) AS before, left(p[k + 1], 600) AS after FROM (SELECT doc_id, p, unnest(range(1, least(len(p) - 1, 15) + 1)) AS k FROM s)""")
+def keyword_context(spark, d):
+    return W.keyword_context(table(spark, d, "documents"), "text", "thanin", ["doc_id"])
+
+
+@query("decode_entities", "SELECT page_id, replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS html FROM pages")
+def decoded(spark, d):
+    return table(spark, d, "pages").select("page_id", decode_entities(F.col("html")).alias("html"))
+
+
+@query("json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS merged FROM events")
+def json_fields(spark, d):
+    doc = P.json_object(F.to_json(F.struct("props")))
+    e = table(spark, d, "events").select("event_id", "event_type", P.json_object(F.concat(F.lit('"'), F.replace("props", F.lit('"'), F.lit('\\"')), F.lit('"'))).alias("m"), doc.alias("outer"))
+    merged = P.map_merge(F.col("m"), F.create_map(F.lit("type"), F.col("event_type")))
+    return e.select("event_id", F.col("m")["k"].alias("k"), merged["type"].alias("merged"))
+
+
+@query("last_unique", "SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS kinds FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
+def last_unique(spark, d):
+    e = last_n(table(spark, d, "events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")], 1)
+    return e.groupBy("user_id").agg(F.array_join(P.last_unique(F.array_sort(F.collect_list("event_type"))), ",").alias("kinds"))
+
+
+@query("change_pct", "SELECT event_id, CASE WHEN v0 > 0 THEN round((value - v0) / v0 * 100, 1) + 0.0 END AS pct FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v0 FROM events)")
+def change_pct(spark, d):
+    from pyspark.sql.window import Window
+
+    v0 = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, d, "events").withColumn("v0", v0).select("event_id", P.pct_change(F.col("v0"), F.col("value")).alias("pct"))
