@@ -1 +1,93 @@
-"""Bound queries."""
+"""Streams over the events table, each run over all that is there; SQL states the batch result."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from tendril.catalog import query, table
+from tendril.streaming import core as S
+
+
+def _folder(spark, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or "file://" + tempfile.mkdtemp(prefix="tendril-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _events(spark, d):
+    schema = table(spark, d, "events").schema
+    # a pattern, as a stream refuses the path of a single file
+    return S.file_stream(spark, f"{d}/events.parque[t]", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _last_version(spark, folder: str, run) -> object:
+    seen = []
+
+    def counted(batch, n):
+        run(batch, n)
+        seen.append(n)
+
+    return counted, seen
+
+
+def _kept(spark, d, name: str, stream, step):
+    folder = _folder(spark, name)
+    run, seen = _last_version(spark, folder, S.versioned(folder, step))
+    S.run_available(stream.writeStream.foreachBatch(run), f"{folder}-progress")
+    return S.latest(spark, folder, max(seen) + 1)
+
+
+@query("usage_counters", "SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2, 3")
+def usage_counters(spark, d):
+    e = _events(spark, d).select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return _kept(spark, d, "usage", e, S.add_counts(["user_id", "event_type", "day"]))
+
+
+@query("late_merge", "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2")
+def late_merge(spark, d):
+    e = _events(spark, d).select("user_id", "event_type", "event_id")
+    return _kept(spark, d, "latest", e, S.merge_latest(["user_id", "event_type"], ["event_id"])).select("user_id", "event_type", "event_id")
+
+
+@query("late_dedup", "SELECT event_id, user_id, event_type FROM events")
+def late_dedup(spark, d):
+    """Each event arrives twice, as by an overlapping re-read, and stays once."""
+    twice = _events(spark, d).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    folder = _folder(spark, "dedup")
+    S.run_available(S.once_within(twice, ["event_id"], "ts", "60 days").select("event_id", "user_id", "event_type").writeStream.format("parquet").outputMode("append").option("path", folder), f"{folder}-progress")
+    return spark.read.schema("event_id long, user_id long, event_type string").parquet(folder)
+
+
+@query("stream_monthly", "SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+def stream_monthly(spark, d):
+    folder = _folder(spark, "monthly")
+
+    def put(batch, n):
+        batch.write.mode("overwrite").parquet(folder)
+
+    S.run_available(S.monthly(_events(spark, d), "ts", ["event_type"], "value").writeStream.outputMode("complete").foreachBatch(put), f"{folder}-progress")
+    return spark.read.parquet(folder)
+
+
+@query("stateful_alerts", """WITH l AS (SELECT event_id, user_id, CASE WHEN value >= 90 THEN 90 WHEN value >= 80 THEN 80 WHEN value >= 70 THEN 70 ELSE 0 END AS level FROM events),
+ a AS (SELECT *, lag(level) OVER (PARTITION BY user_id ORDER BY event_id) AS last_level FROM l WHERE level > 0) SELECT event_id, user_id AS key, level, last_level FROM a WHERE level IS DISTINCT FROM last_level""")
+def stateful_alerts(spark, d):
+    folder = _folder(spark, "alerts")
+    out = S.threshold_stream(_events(spark, d), "user_id", ["event_id"], "value")
+    S.run_available(out.writeStream.format("parquet").outputMode("append").option("path", folder), f"{folder}-progress")
+    return spark.read.schema("event_id long, key long, level int, last_level int").parquet(folder)
+
+
+@query("events_last_day", "SELECT event_type, count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-19' AND ts <= TIMESTAMP '2024-01-20' GROUP BY 1")
+def events_last_day(spark, d):
+    return S.since(table(spark, d, "events"), "ts", F.lit(datetime(2024, 1, 20)).cast("timestamp_ntz"), 24).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("latest_available", "SELECT max(strftime(ts, '%Y-%m-%d')) AS day FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-28' AND DATE '2024-02-01'")
+def latest_available(spark, d):
+    parts = table(spark, d, "events").select(F.to_date("ts").alias("day")).distinct()
+    return S.newest_partition(parts, "day", "2024-02-01").select(F.date_format("day", "yyyy-MM-dd").alias("day"))
