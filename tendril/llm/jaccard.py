@@ -237,53 +237,122 @@ def _pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> pa.R
 PAIR = "a long, b long, na long, nb long"
 
 
+#: Bits of the bitmap of a prefix's shared elements, in 64-bit words.
+BITMAP = 8
+#: Lists up to this length are compared row by row at each distance, all of a batch at once.
+_SHORT = 16
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc_id, toks`` with the number of elements ``m`` and their bitmap."""
+    for batch in batches:
+        toks = batch.column(1)
+        m = np.asarray(toks.value_lengths()).astype(np.int64)
+        bit = (K.mix(toks.flatten().to_numpy().view(np.uint64)) % np.uint64(64 * BITMAP)).astype(np.int64)
+        row = np.repeat(np.arange(len(m)), m)
+        bits = np.zeros((len(m), BITMAP), dtype=np.uint64)
+        np.bitwise_or.at(bits, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        packed = pa.array([x.tobytes() for x in bits], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), toks, pa.array(m), packed], names=["doc_id", "toks", "m", "bits"])
+
+
+class Cells:
+    """Rows of cells, as columns: tok, cell, half, n, pos, doc_id, c, m; and their bitmaps."""
+
+    def __init__(self, cols: np.ndarray, bits: np.ndarray):
+        self.cols, self.bits = cols, bits
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Cells:
+        cols = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(8)])
+        data, at = K.strings(batch.column(8))
+        return cls(cols, np.frombuffer(data[at[0] : at[-1]].tobytes(), dtype=np.uint64).reshape(-1, BITMAP))
+
+    def take(self, k) -> Cells:
+        return Cells(self.cols[:, k], self.bits[k])
+
+    def after(self, held: Cells | None) -> Cells:
+        return self if held is None else Cells(np.concatenate([held.cols, self.cols], axis=1), np.concatenate([held.bits, self.bits]))
+
+
+def _could_link(p: Cells, q: Cells) -> tuple[np.ndarray, np.ndarray]:
+    """For rows side by side: whether the pair may link, and whether this may be its first common element."""
+    n, other = p.cols[3], q.cols[3]
+    need = least_common(n, other)
+    room = np.minimum(n - p.cols[4], other - q.cols[4])
+    # what stands before this element in both, and what stands from it on: true at every common element of a pair that links
+    fit = (WHOLE * np.minimum(n, other) >= PART * np.maximum(n, other)) & (p.cols[6] != q.cols[6]) & (np.minimum(p.cols[4], q.cols[4]) + room >= need)
+    k = np.flatnonzero(fit)
+    # a bit that one prefix lacks is an element that it lacks, so this is no less than what the prefixes share
+    a, b = p.bits[k], q.bits[k]
+    common = np.minimum(p.cols[7, k] - np.bitwise_count(a & ~b).sum(axis=1), q.cols[7, k] - np.bitwise_count(b & ~a).sum(axis=1))
+    beyond = -(-PART * np.maximum(n[k], other[k]) // WHOLE) - 1
+    fit[k] = common + beyond >= need[k]
+    return fit, room >= need
+
+
 def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of the cells' sets that sizes and components leave, block against block."""
-    held: np.ndarray | None = None
+    """The pairs of the cells' sets that sizes, positions, prefixes and components leave."""
+    held: Cells | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(7)])  # tok, cell, half, n, pos, doc_id, c
-        if held is not None:
-            cols = np.concatenate([held, cols], axis=1)
-        cut = np.flatnonzero((cols[:2, 1:] != cols[:2, :-1]).any(axis=0)) + 1
-        edges = [0, *cut.tolist(), cols.shape[1]]
-        for x, y in zip(edges[:-2], edges[1:-1]):
-            if y - x > 1:
-                yield from _one_cell(cols[:, x:y])
-        held = cols[:, edges[-2] :]
-    if held is not None and held.shape[1] > 1:
-        yield from _one_cell(held)
-
-
-def _one_cell(cell: np.ndarray) -> Iterator[pa.RecordBatch]:
-    halves = cell[2]
+        rows = Cells.of(batch).after(held)
+        cut = np.flatnonzero((rows.cols[:2, 1:] != rows.cols[:2, :-1]).any(axis=0)) + 1
+        edges = np.concatenate([[0], cut])
+        held = rows.take(slice(int(edges[-1]), None))
+        yield from _paired(rows, edges)
+    if held is not None:
+        yield from _paired(held, np.array([0, held.cols.shape[1]]))
+
+
+def _paired(rows: Cells, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    sizes = np.diff(edges)
+    if not len(sizes):
+        return
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    short = np.flatnonzero((sizes[group] <= _SHORT) & (sizes[group] > 1))
+    few, group = rows.take(short), group[short]
+    for distance in range(1, _SHORT):
+        k = np.flatnonzero(group[distance:] == group[:-distance])
+        if not len(k):
+            break
+        p, q = few.take(k), few.take(k + distance)
+        fit, first = _could_link(p, q)
+        parts.append((p.cols[:, fit], q.cols[:, fit], first[fit]))
+    for g in np.flatnonzero(sizes > _SHORT):
+        parts.extend(_one_cell(rows.take(slice(int(edges[g]), int(edges[g + 1])))))
+    parts = [x for x in parts if len(x[2])]
+    if parts:
+        p, q, first = (np.concatenate(x, axis=-1) for x in zip(*parts))
+        yield _pairs(p[5], q[5], p[3], q[3]).append_column("first", pa.array(first))
+
+
+def _one_cell(cell: Cells) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    halves = cell.cols[2]
     several = halves[0] != halves[-1]
-    left = cell[:, halves == 0] if several else cell
-    right = cell[:, halves == 1] if several else cell
-    for x in range(0, left.shape[1], _BLOCK):
-        p = left[:, x : x + _BLOCK]
-        for y in range(0 if several else x, right.shape[1], _BLOCK):
-            q = right[:, y : y + _BLOCK]
+    left = cell.take(halves == 0) if several else cell
+    right = cell.take(halves == 1) if several else cell
+    for x in range(0, left.cols.shape[1], _BLOCK):
+        p = left.take(slice(x, x + _BLOCK))
+        n, pos = p.cols[3], p.cols[4]
+        for y in range(0 if several else x, right.cols.shape[1], _BLOCK):
+            q = right.take(slice(y, y + _BLOCK))
+            m, at = q.cols[3], q.cols[4]
             # blocks ascend by size: what they could share at most against what they need at least
-            if WHOLE * p[3, -1] < PART * q[3, 0] or WHOLE * q[3, -1] < PART * p[3, 0]:
-                if not several:
-                    break
-                continue
-            if min(p[4].max(), q[4].max()) + min((p[3] - p[4]).max(), (q[3] - q[4]).max()) < least_common(p[3, 0], q[3, 0]):
+            if WHOLE * n[-1] < PART * m[0]:
+                break
+            if WHOLE * m[-1] < PART * n[0] or min(pos.max(), at.max()) + min((n - pos).max(), (m - at).max()) < least_common(n[0], m[0]):
                 continue
-            low, high = np.minimum(p[3][:, None], q[3]), np.maximum(p[3][:, None], q[3])
-            room = np.minimum((p[3] - p[4])[:, None], q[3] - q[4])
-            need = least_common(p[3][:, None], q[3])
-            # what stands before this element in both, and what stands from it on: true at every common element of a pair that links
-            fit = (WHOLE * low >= PART * high) & (p[6][:, None] != q[6]) & (np.minimum(p[4][:, None], q[4]) + room >= need)
-            fit_first = room >= need
+            fit = (WHOLE * np.minimum(n[:, None], m) >= PART * np.maximum(n[:, None], m)) & (p.cols[6][:, None] != q.cols[6])
             if not several and x == y:
-                fit &= np.arange(p.shape[1])[:, None] < np.arange(q.shape[1])
+                fit &= np.arange(len(n))[:, None] < np.arange(len(m))
             i, j = np.nonzero(fit)
             if len(i):
-                batch = _pairs(p[5, i], q[5, j], p[3, i], q[3, j])
-                yield batch.append_column("first", pa.array(fit_first[i, j]))
+                a, b = p.take(i), q.take(j)
+                ok, first = _could_link(a, b)
+                yield a.cols[:, ok], b.cols[:, ok], first[ok]
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -333,7 +402,7 @@ def similar_documents(docs: DataFrame, size: int = SIZE) -> DataFrame:
     members = index.where(F.col("pos") < 0).select("doc_id", "n", "pos", "sig")
     classes = members.where(F.col("n") > 0).groupBy("n", "pos", "sig").agg(F.min("doc_id").alias("rep"))
     lists = index.where(F.col("pos") >= 0).select("tok", "doc_id", "n", "pos")
-    shared = stored(lists.groupBy("doc_id").agg(F.collect_list("tok").alias("toks")), "shared")
+    shared = stored(lists.groupBy("doc_id").agg(F.collect_list("tok").alias("toks")).mapInArrow(_bitmaps, "doc_id long, toks array<long>, m long, bits binary"), "shared")
 
     links: list[DataFrame] = []
     checked: list[DataFrame] = []
@@ -371,8 +440,8 @@ def similar_documents(docs: DataFrame, size: int = SIZE) -> DataFrame:
         near = near.join(shared.select(F.col("doc_id").alias("a"), F.col("toks").alias("ta")), "a").join(shared.select(F.col("doc_id").alias("b"), F.col("toks").alias("tb")), "b")
         found = judged(near.where(F.size(F.array_intersect("ta", "tb")) + beyond >= need))
     # every pair that is left: prefixes must share enough, and one list must hold the pair's first common element
-    rest = open_lists(found)
-    cells = celled(rest, ["tok"], "doc_id", LIST).repartition("tok", "cell").sortWithinPartitions("tok", "cell", "half", "n", "pos").select("tok", "cell", "half", "n", "pos", "doc_id", "c")
+    rest = open_lists(found).join(shared.select("doc_id", "m", "bits"), "doc_id")
+    cells = celled(rest, ["tok"], "doc_id", LIST).repartition("tok", "cell").sortWithinPartitions("tok", "cell", "half", "n", "pos").select("tok", "cell", "half", "n", "pos", "doc_id", "c", "m", "bits")
     pairs = cells.mapInArrow(_cell_pairs, PAIR + ", first boolean").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.max("first").alias("first"))
     found = judged(pairs.where(F.col("first") & (F.col("k") + beyond >= need)))
 
