@@ -22,8 +22,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tendril.llm.components import components
 from tendril.llm.shared import stored
@@ -59,14 +60,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def _plain(column: str) -> Column:
+    """The components as they are, floats or doubles, without negative zeros."""
+    return F.transform(F.col(column), lambda x: x + F.lit(0).cast("float"))
+
+
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """Usable vectors, one for each value: ``rep, copies, v`` (big-endian doubles); and nothing of the others.
+    """Usable vectors, one for each value: ``rep, copies, v``; and nothing of the others.
 
     Vectors that are null, empty, zero or hold null or non-finite components are left out.
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    v = F.col("embedding").cast("array<double>")
-    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", finite) & F.exists("v", lambda x: x != 0))
+    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _plain("embedding").alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", finite) & F.exists("v", lambda x: x != 0))
     return usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
 
 
@@ -80,12 +85,12 @@ def _band_rows(bits: int, bands: int):
             for width in np.unique(sizes):
                 k = np.flatnonzero(sizes == width)
                 part = batch.take(pa.array(k))
-                x = _unit(np.asarray(part.column(0).flatten(), dtype=np.float64).reshape(len(k), width))
-                turned = x @ rotations(int(width), bits * bands).T
+                own = np.asarray(part.column(0).flatten()).reshape(len(k), width)
+                turned = _unit(own.astype(np.float64)) @ rotations(int(width), bits * bands).T
                 signs = (turned[:, : bits * bands] >= 0).astype(np.int64).reshape(len(k), bands, bits)
                 keys = (signs << np.arange(bits)).sum(axis=2)  # of each band
-                packed = [row.astype("<i8").tobytes() for row in keys]
-                raw = [row.astype("<f8").tobytes() for row in x]
+                packed = [row.tobytes() for row in np.packbits(signs.reshape(len(k), -1).astype(np.uint8), axis=1)]
+                raw = [row.tobytes() for row in own]
                 for band in range(bands):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(k), int(width) << 16 | band)), pa.array(keys[:, band]), part.column(1), part.column(2), pa.array(raw, pa.binary()), pa.array(packed, pa.binary())],
@@ -98,10 +103,12 @@ def _band_rows(bits: int, bands: int):
 class Side:
     """The vectors of one part of a group."""
 
-    def __init__(self, rep: np.ndarray, copies: np.ndarray, v: list[bytes], keys: list[bytes]):
+    def __init__(self, rep: np.ndarray, copies: np.ndarray, v: list[bytes], keys: list[bytes], kind: str, bits: int):
         self.rep, self.copies = rep, copies
-        self.x = np.frombuffer(b"".join(v), dtype="<f8").reshape(len(v), -1)
-        self.keys = np.frombuffer(b"".join(keys), dtype="<i8").reshape(len(keys), -1)
+        self.x = _unit(np.frombuffer(b"".join(v), dtype=kind).reshape(len(v), -1).astype(np.float64))
+        signs = np.unpackbits(np.frombuffer(b"".join(keys), dtype=np.uint8).reshape(len(keys), -1), axis=1)
+        bands = signs.shape[1] // bits
+        self.keys = (signs[:, : bands * bits].reshape(len(keys), bands, bits).astype(np.int64) << np.arange(bits)).sum(axis=2)
         turned = self.x @ rotations(self.x.shape[1], 0).T
         width = self.x.shape[1]
         self.turned = turned
@@ -144,7 +151,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str, bits: int):
     """Cells of (band, bits, cell): links counted by vector, and a spanning forest of the links."""
 
     def rows(batches):
@@ -155,7 +162,7 @@ def _compare(threshold: float):
             for h in (0, 1):
                 k = np.flatnonzero(halves == h)
                 if len(k):
-                    sides.append(Side(group["rep"][k], group["copies"][k], [group["v"][x] for x in k], [group["keys"][x] for x in k]))
+                    sides.append(Side(group["rep"][k], group["copies"][k], [group["v"][x] for x in k], [group["keys"][x] for x in k], kind, bits))
             if len(sides) == 1:
                 a = b = sides[0]
             else:
@@ -223,9 +230,10 @@ def celled(rows: DataFrame, keys: list[str], ident: str, size: int) -> DataFrame
 def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """Links by distinct vector and their components: ``rep, links`` and ``node, component``; all by ``rep``."""
     bits, bands = bands_for(vectors.count(), threshold, recall)
+    kind = "<f4" if vectors.schema["v"].dataType.elementType == T.FloatType() else "<f8"
     rows = vectors.select("v", "rep", "copies").mapInArrow(_band_rows(bits, bands), "band long, bits long, rep long, copies long, v binary, keys binary")
     cells = celled(rows, ["band", "bits"], "rep", GROUP).repartition("band", "bits", "cell").sortWithinPartitions("band", "bits", "cell", "half")
-    found = stored(cells.mapInArrow(_compare(threshold), "rep long, root long, links long"), "vector-links")
+    found = stored(cells.mapInArrow(_compare(threshold, kind, bits), "rep long, root long, links long"), "vector-links")
     return found.groupBy("rep").agg(F.sum("links").alias("links")), components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
 
 
@@ -242,7 +250,6 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
     by_vector = distinct.select("v", "rep", "copies").join(links, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
-    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("_v"))
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), _plain("embedding").alias("_v"))
     out = rows.join(by_vector, "_v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -60,6 +60,12 @@ def test_large_groups_in_parts(spark, monkeypatch):
     assert got(spark, rows) == expected(rows)
 
 
+def test_doubles(spark):
+    rows = vectors(60, 3)
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in N.near_duplicates(df).collect()} == expected(rows)
+
+
 def test_empty(spark):
     assert got(spark, []) == {}
 
@@ -75,7 +81,7 @@ def test_estimate_is_unbiased_and_bounded():
     g = np.random.default_rng(0)
     x = g.standard_normal((400, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    s = N.Side(np.arange(400), np.ones(400), [r.astype("<f8").tobytes() for r in x], [np.zeros(1, "<i8").tobytes()] * 400)
+    s = N.Side(np.arange(400), np.ones(400), [r.astype("<f8").tobytes() for r in x], [bytes(2)] * 400, "<f8", 16)
     error = s.code @ s.turned.T / s.factor[:, None] - x @ x.T
     off = ~np.eye(400, dtype=bool)
     assert abs(error[off].mean()) < 0.01
