@@ -194,3 +194,53 @@ def search(tables: dict[str, tuple[DataFrame, str, str, Column]], q: str, limit:
 def due(monitors: DataFrame, as_of, most: int = 25) -> DataFrame:
     """Active monitors whose turn has come, the longest waiting first."""
     return monitors.where(F.col("active") & (F.col("next_run") <= F.lit(as_of))).orderBy("next_run", "monitor_id").limit(most)
+
+
+def listed_alerts(records: DataFrame, rules: DataFrame, kind: str, states: bool = True, agencies: bool = True) -> DataFrame:
+    """Alerts of new price registers (``NEW_ATA``) or plan items (``NEW_PCA``): terms, and the rule's states and agencies where they apply.
+
+    ``records``: ``key, text, state, agency, cancelled``; cancelled ones are passed
+    over.  A null state meets no list of states.
+    """
+    if rules.count() > RULES_AT_ONCE:
+        raise ValueError("take the rules in parts")
+    ready = rules.select("monitor_id", "states", "agencies_in", _patterns(effective_terms(F.col("include"), F.col("approved"))).alias("_want"), _patterns(F.col("exclude")).alias("_not"))
+    live = records.where(~F.coalesce("cancelled", F.lit(False))).withColumn("_folded", fold_accents(F.col("text")))
+    on = _matches(F.col("_folded"), F.col("_want")) & ~_matches(F.col("_folded"), F.col("_not"))
+    if states:
+        on = on & _off_or("states", F.array_contains("states", F.col("state")))
+    if agencies:
+        on = on & _off_or("agencies_in", F.array_contains("agencies_in", F.col("agency")))
+    return live.join(F.broadcast(ready), on).select("monitor_id", "key", F.lit(kind).alias("type"), F.lit("media").alias("importance"))
+
+
+def match_by_token(records: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
+    """``monitor_id, key`` for rules of whole words, by way of the rarest word: an equi-join instead of rules times records.
+
+    For very many rules.  A term matches if all its words are words of the text;
+    that is narrower than the substring rule, so this is a choice of the caller.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(fold_accents(c), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1))
+    tokens = records.select(F.col(key).alias("key"), words(F.col(text)).alias("_words"))
+    terms = rules.select("monitor_id", F.explode(effective_terms(F.col("include"), F.col("approved"))).alias("_t")).select("monitor_id", words(F.col("_t")).alias("_need")).where(F.size("_need") > 0)
+    by_word = tokens.select("key", "_words", F.explode("_words").alias("_w"))
+    wanted = terms.select(F.explode("_need").alias("_w")).distinct()
+    counts = by_word.select("_w").join(wanted, "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_n"))
+    spread = terms.withColumn("_w", F.explode("_need")).join(counts, "_w", "left").fillna(0, ["_n"])
+    rarest = spread.groupBy("monitor_id", "_need").agg(F.min_by("_w", F.struct("_n", "_w")).alias("_w"))
+    return by_word.join(rarest, "_w").where(F.size(F.array_except("_need", "_words")) == 0).select("monitor_id", "key").distinct()
+
+
+def dashboard(matches: DataFrame, awards: DataFrame, as_of, n: int = 10) -> dict[str, DataFrame]:
+    """Sections of the monitors' dashboards, each a flat table keyed by monitor."""
+    top = lambda df, by, k: df.withColumn("place", F.row_number().over(Window.partitionBy("monitor_id").orderBy(*by))).where(F.col("place") <= k)
+    open_ = matches.where(F.col("closes") > F.lit(as_of))
+    agencies = matches.groupBy("monitor_id", "agency").agg(F.count("*").alias("processes"), money("value").alias("total_value"))
+    return {
+        "now": open_.groupBy("monitor_id").agg(F.count("*").alias("open"), money("value").alias("open_value")),
+        "open": top(open_, [F.col("closes"), F.col("key")], 3 * n),
+        "competitors": competitors(matches, awards, n),
+        "agencies": top(agencies, [F.col("total_value").desc_nulls_last(), F.col("agency")], n),
+        "map": matches.groupBy("monitor_id", "state").agg(F.count("*").alias("processes")),
+        "series": matches.groupBy("monitor_id", F.date_format("published", "yyyy-MM").alias("month")).agg(F.count("*").alias("processes"), money("value").alias("total_value")),
+    }
