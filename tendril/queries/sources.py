@@ -64,15 +64,16 @@ def labels80(spark, d):
     return table(spark, d, "documents").select("doc_id", label80(F.col("text")).alias("label"))
 
 
-_TENDER_JSON = F.to_json(F.struct(
-    F.concat(F.lpad(F.col("o_custkey").cast("string"), 14, "0"), F.lit("-1-"), F.col("o_orderkey"), F.lit("/"), F.year("o_orderdate")).alias("numeroControlePNCP"), F.year("o_orderdate").alias("anoCompra"), F.col("o_orderkey").alias("sequencialCompra"),
-    F.col("o_orderpriority").alias("modalidadeNome"), F.col("o_orderstatus").alias("situacaoCompraNome"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("valorTotalEstimado"), (F.col("o_orderkey") % 3 == 0).alias("srp"),
-    F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("dataPublicacaoPncp"), F.struct(F.lpad(F.col("o_custkey").cast("string"), 14, "0").alias("cnpj")).alias("orgaoEntidade"), F.struct(F.when(F.col("o_orderkey") % 4 == 0, "ZZ").otherwise("CE").alias("ufSigla")).alias("unidadeOrgao"),
-))
+def _tender_json():
+    return F.to_json(F.struct(
+        F.concat(F.lpad(F.col("o_custkey").cast("string"), 14, "0"), F.lit("-1-"), F.col("o_orderkey"), F.lit("/"), F.year("o_orderdate")).alias("numeroControlePNCP"), F.year("o_orderdate").alias("anoCompra"), F.col("o_orderkey").alias("sequencialCompra"),
+        F.col("o_orderpriority").alias("modalidadeNome"), F.col("o_orderstatus").alias("situacaoCompraNome"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("valorTotalEstimado"), (F.col("o_orderkey") % 3 == 0).alias("srp"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("dataPublicacaoPncp"), F.struct(F.lpad(F.col("o_custkey").cast("string"), 14, "0").alias("cnpj")).alias("orgaoEntidade"), F.struct(F.when(F.col("o_orderkey") % 4 == 0, "ZZ").otherwise("CE").alias("ufSigla")).alias("unidadeOrgao"),
+    ))
 
 
 def _raw(spark, d):
-    return table(spark, d, "orders").select(F.concat(F.lit("https://source.example/"), F.col("o_orderkey")).alias("url"), "o_orderkey", _TENDER_JSON.alias("payload"))
+    return table(spark, d, "orders").select(F.concat(F.lit("https://source.example/"), F.col("o_orderkey")).alias("url"), "o_orderkey", _tender_json().alias("payload"))
 
 
 @query("normalize_tenders", """SELECT lpad(CAST(o_custkey AS VARCHAR), 14, '0') || '-1-' || o_orderkey || '/' || year(o_orderdate) AS key, CAST(year(o_orderdate) AS BIGINT) AS year, o_orderpriority AS modality, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS estimated_value, o_orderkey % 3 = 0 AS price_register,
