@@ -10,7 +10,6 @@ from tendril.catalog import query, table
 from tendril.operators import market as M
 
 AS_OF = datetime(2001, 1, 1)
-DEC = "CAST(CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE) AS DOUBLE)"
 
 
 def _d(expr: str) -> str:
