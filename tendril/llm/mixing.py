@@ -1,12 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Time is counted in blocks.  A source with share q/Q of the mixture releases its
-i-th block (from 0) at floor(i Q / q) and must have placed it by
-ceil((i + 1) Q / q); taking the released block with the earliest deadline at each
-slot keeps every source within one block of its share at all times.  As shares
-are whole Q-ths, the schedule repeats after Q slots: one round is laid out on the
-driver (Q entries, whatever the data), and every document finds its slot in it by
-arithmetic and a join with that small table.
+Time is counted in blocks and laid out in rounds of Q slots.  After r rounds a
+source of weight w is due r Q w blocks, in exact arithmetic; a round's quotas are
+the whole blocks due and not yet placed, the slots left over go to the largest
+remainders, and what is left carries on to the next round.  So the weights hold
+over any number of rounds, and a source below one slot a round is placed in some
+rounds only.
+
+Within a round, a source with quota q releases its i-th block (from 0) at
+floor(i Q / q) and must have placed it by ceil((i + 1) Q / q); taking the released
+block with the earliest deadline at each slot keeps every source within one block
+of q / Q.  Where Q w is one or more, the quotas are within one block of what is
+due, so a source is always less than two blocks from its exact weight.
+
+The driver keeps a count for each source and round, a twentieth of the blocks at
+most; the rounds are laid out in tasks by their number.  Documents meet the slots
+of their blocks by source and bucket of hashes, as they lie for their ranks.
 
 The mixture ends when every source has placed all its documents once, so none is
 lost; sources that are ahead by then have begun again and repeat documents.
@@ -17,9 +26,12 @@ hash buckets, so a source with most of the rows is dealt over many tasks.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,27 +50,49 @@ def natural_weights(counts: dict[str, int], even: Fraction = Fraction(1, 10)) ->
     return {s: (1 - even) * Fraction(c, total) + even * Fraction(1, n) for s, c in counts.items()}
 
 
-def quotas(weights: dict[str, Fraction]) -> tuple[dict[str, int], int]:
-    """Whole slots of a round by source, by largest remainders, one at least; and the round's length."""
+def round_size(n: int) -> int:
+    """Slots of a round of ``n`` sources."""
     size = ROUND
-    while size < ROUND_PER_SOURCE * len(weights):
+    while size < ROUND_PER_SOURCE * n:
         size *= 2
-    total = sum(weights.values(), Fraction(0))
-    exact = {s: size * Fraction(w) / total for s, w in weights.items()}
-    got = {s: max(1, int(x)) for s, x in exact.items()}
-    by_remainder = sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s))
-    k = 0
-    while sum(got.values()) < size:
-        got[by_remainder[k % len(got)]] += 1
-        k += 1
-    while sum(got.values()) > size:  # sources raised to one slot took these
-        got[max(got, key=lambda s: (got[s], s))] -= 1
-    return got, size
+    return size
+
+
+def rounds(weights: dict[str, Fraction], size: int) -> Iterator[dict[str, int]]:
+    """The quotas of one round after another; they add up to ``size``, and some may be 0."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if min(exact.values()) < 0 or not any(exact.values()):
+        raise ValueError("weights must not be negative, and one must be more than 0")
+    parts = math.lcm(*(w.denominator for w in exact.values()))
+    share = {s: int(w * parts) for s, w in exact.items()}
+    whole = sum(share.values())  # a block is ``whole`` of the units in which sources are due
+    due = dict.fromkeys(share, 0)
+    while True:
+        for s in due:
+            due[s] += size * share[s]
+        got = {s: max(0, x // whole) for s, x in due.items()}
+        by_remainder = sorted(due, key=lambda s: (got[s] * whole - due[s], s))
+        k = size - sum(got.values())
+        for s in by_remainder[: max(0, k)]:
+            got[s] += 1
+        while k < 0:  # sources below one slot a round that are ahead of their weight
+            for s in [s for s in reversed(by_remainder) if got[s]][:-k]:
+                got[s] -= 1
+                k += 1
+        for s in due:
+            due[s] -= got[s] * whole
+        yield got
+
+
+def quotas(weights: dict[str, Fraction]) -> tuple[dict[str, int], int]:
+    """Whole slots of the first round by source, by largest remainders; and the round's length."""
+    size = round_size(len(weights))
+    return next(rounds(weights, size)), size
 
 
 def one_round(share: dict[str, int], size: int) -> list[tuple[str, int, int]]:
     """(source, block of the round, slot), earliest deadline first among released blocks; ties by source."""
-    waiting = [(0, s, 0) for s in sorted(share)]
+    waiting = [(0, s, 0) for s in sorted(share) if share[s]]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     out = []
@@ -78,19 +112,55 @@ def _source(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def ranked(docs: DataFrame, source: str = "source") -> DataFrame:
-    """``docs`` with ``_source`` and ``_rank``, from 0 within the source, by the MD5 of the id.
+def ranked(docs: DataFrame, source: str = "source") -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``_source, _bucket, _local``, and ``_source, _bucket, _n, _before`` of the buckets.
 
-    Rows of equal id go by text.  Ranks are local ranks in a bucket of hashes plus
-    the rows of the source's earlier buckets.
+    A document's rank in its source, from 0, by the MD5 of its id, is ``_before + _local``.
+    Rows of equal id go by text.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     named = docs.withColumns({"_source": _source(source), "_key": key}).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
     within = Window.partitionBy("_source", "_bucket").orderBy("_key", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    local = named.withColumn("_local", F.row_number().over(within) - 1)
+    local = named.withColumn("_local", F.row_number().over(within) - 1).drop("_key")
     sizes = docs.select(_source(source).alias("_source"), F.substring(key, 1, BUCKET_DIGITS).alias("_bucket")).groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.select("_source", "_bucket", (F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    return local.join(before, ["_source", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_local")).drop("_bucket", "_key", "_local", "_before")
+    before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_n")
+    return local, sizes.withColumn("_before", before)
+
+
+def planned(weights: dict[str, Fraction], blocks: dict[str, int]) -> tuple[list[tuple[int, list[int], list[int]]], dict[str, int], int, int]:
+    """The rounds until every source has placed ``blocks`` blocks.
+
+    Returns (round, blocks placed before it, quotas) by source name for each
+    round, the blocks placed in all of them, the round's length, and the number of
+    slots until the last of ``blocks`` is placed.
+    """
+    size, names = round_size(len(weights)), sorted(weights)
+    placed, out = dict.fromkeys(names, 0), []
+    for r, share in enumerate(rounds(weights, size)):
+        out.append((r, [placed[s] for s in names], [share[s] for s in names]))
+        before, placed = placed, {s: placed[s] + share[s] for s in names}
+        if all(placed[s] >= blocks[s] for s in names):
+            break
+    last = max(slot for s, i, slot in one_round(share, size) if before[s] + i < blocks[s])
+    return out, placed, size, r * size + last + 1
+
+
+def schedule(spark: SparkSession, names: list[str], plan: list[tuple[int, list[int], list[int]]], size: int) -> DataFrame:
+    """``_source, _which, _slot`` for every block of ``planned`` rounds, laid out in tasks by round."""
+
+    def lay(batches):
+        for batch in batches:
+            for r, before, share in zip(*(c.to_pylist() for c in batch.columns)):
+                done = dict(zip(names, before))
+                table = one_round(dict(zip(names, share)), size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s for s, _, _ in table], pa.string()), pa.array([done[s] + i for s, i, _ in table], pa.int64()), pa.array([r * size + slot for _, _, slot in table], pa.int64())],
+                    names=["_source", "_which", "_slot"],
+                )
+
+    tasks = min(len(plan), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = spark.createDataFrame(plan, "round long, before array<long>, share array<long>").repartition(tasks, "round")
+    return dealt.mapInArrow(lay, "_source string, _which long, _slot long")
 
 
 def mixed(docs: DataFrame, source: str = "source", weights: dict[str, Fraction] | None = None, block: int = BLOCK) -> DataFrame:
@@ -98,8 +168,10 @@ def mixed(docs: DataFrame, source: str = "source", weights: dict[str, Fraction]
 
     ``_slot`` is the block's place in the mixture and ``_place`` the document's in
     the block.  A null source is the source ''.  ``weights`` maps each source to
-    its part (missing ones: an error); by default ``natural_weights``.  An empty
-    table gives no rows.
+    its part (missing ones and negative ones: an error); by default
+    ``natural_weights``.  A source of weight 0 has no place in the mixture.  The
+    mixture is as long as the source with the most documents for its weight asks.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
     counts_df = docs.groupBy(_source(source).alias("s")).agg(F.count("*").alias("n"))
@@ -107,26 +179,25 @@ def mixed(docs: DataFrame, source: str = "source", weights: dict[str, Fraction]
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
     counts = {r.s: r.n for r in rows}
-    schema = "_source string, _block long, _at long, _quota long, _count long"
-    if not counts:
-        plan, size, last = [], 1, 0
-    else:
-        if weights is not None and (missing := set(counts) - set(weights)):
-            raise ValueError(f"no weight for {sorted(missing)[:5]}")
-        share, size = quotas(natural_weights(counts) if weights is None else {s: weights[s] for s in counts})
-        table = one_round(share, size)
-        at = {(s, i): slot for s, i, slot in table}
-        # the slot after the last block that some source needs to place all its documents
-        last = max((b // share[s]) * size + at[s, b % share[s]] for s, n in counts.items() for b in [(n - 1) // block]) + 1
-        plan = [(s, i, slot, share[s], counts[s]) for s, i, slot in table]
-    table_df = spark.createDataFrame(plan, schema)
-    heads = spark.createDataFrame(sorted({(s, q, n) for s, _, _, q, n in plan}), "_source string, _quota long, _count long")
-    # both tables have a row for each slot or source: bounded by MOST_SOURCES, not by the documents
-    base = ranked(docs, source).join(F.broadcast(heads), "_source")
-    rounds = -(-last // size) if size else 0
-    passes = F.floor((F.col("_quota") * rounds * block - 1 - F.col("_rank")) / F.col("_count"))
-    placed = base.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(passes, F.lit(0).cast("long")))))
-    placed = placed.withColumn("_nth", F.col("_rank") + F.col("_pass") * F.col("_count"))
-    placed = placed.withColumns({"_which": F.floor(F.col("_nth") / block), "_place": F.col("_nth") % block}).withColumns({"_block": F.col("_which") % F.col("_quota"), "_round": F.floor(F.col("_which") / F.col("_quota"))})
-    slots = placed.join(F.broadcast(table_df.select("_source", "_block", "_at")), ["_source", "_block"]).withColumn("_slot", F.col("_round") * size + F.col("_at"))
-    return slots.where(F.col("_slot") < last).select(*docs.columns, "_source", "_slot", "_place")
+    if weights is not None and (missing := set(counts) - set(weights)):
+        raise ValueError(f"no weight for {sorted(missing)[:5]}")
+    given = natural_weights(counts) if weights is None else {s: weights[s] for s in counts}
+    if any(w < 0 for w in given.values()):
+        raise ValueError("weights must not be negative")
+    given = {s: w for s, w in given.items() if w}
+    plan, placed, size, last = planned(given, {s: -(-counts[s] // block) for s in given}) if given else ([], {}, 1, 0)
+    slots = schedule(spark, sorted(given), plan, size) if plan else spark.createDataFrame([], "_source string, _which long, _slot long")
+    # a row for each source: bounded by MOST_SOURCES, not by the documents
+    heads = spark.createDataFrame([(s, counts[s], placed[s]) for s in sorted(given)], "_source string, _count long, _blocks long")
+    local, buckets = ranked(docs, source)
+    # each time that a bucket comes round, its first document's number in the source's stream and its blocks' slots
+    again = F.floor((F.col("_blocks") * block - 1 - F.col("_before")) / F.col("_count"))
+    passes = buckets.join(F.broadcast(heads), "_source").withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), again)))
+    passes = passes.withColumn("_from", F.col("_before") + F.col("_pass") * F.col("_count")).withColumn("_first", F.floor(F.col("_from") / block))
+    end = F.least(F.floor((F.col("_from") + F.col("_n") - 1) / block), F.col("_blocks") - 1)
+    wanted = passes.select("_source", "_bucket", "_from", "_first", F.explode(F.sequence("_first", end)).alias("_which"))
+    found = wanted.join(slots.where(F.col("_slot") < last), ["_source", "_which"])
+    found = found.groupBy("_source", "_bucket", "_from", "_first").agg(F.sort_array(F.collect_list(F.struct("_which", "_slot"))).alias("_at"))
+    out = local.join(found, ["_source", "_bucket"]).withColumn("_nth", F.col("_from") + F.col("_local"))
+    out = out.withColumns({"_slot": F.get("_at", F.floor(F.col("_nth") / block) - F.col("_first"))["_slot"], "_place": F.col("_nth") % block})
+    return out.where(F.col("_slot").isNotNull()).select(*docs.columns, "_source", "_slot", "_place")

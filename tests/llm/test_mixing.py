@@ -5,7 +5,7 @@ from fractions import Fraction
 
 import pytest
 
-from tendril.llm.mixing import mixed, natural_weights, one_round, quotas
+from tendril.llm.mixing import mixed, natural_weights, one_round, planned, quotas
 
 SCHEMA = "doc_id long, text string, source string, _slot string"
 
@@ -43,3 +43,44 @@ def test_given_weights(spark):
     assert got["b"] == 200 and 590 <= got["a"] <= 610
     with pytest.raises(ValueError):
         mixed(df, weights={"a": Fraction(1)})
+
+
+EXACT = [
+    ({"a": Fraction(1, 2), "b": Fraction(3, 10), "c": Fraction(1, 5)}, 40),
+    (natural_weights({"a": 50, "b": 30, "c": 20}), 40),
+    ({"a": Fraction(9999, 10_000), "b": Fraction(1, 10_000)}, 40),
+    ({"big": Fraction(1), **{f"s{k}": Fraction(1, 3000 + 701 * k) for k in range(12)}}, 60),
+    ({f"s{k}": Fraction(1 + k * k) for k in range(60)}, 12),
+]
+
+
+@pytest.mark.parametrize("weights,n", EXACT)
+def test_exact_weights_over_many_rounds(weights, n):
+    total, size = sum(weights.values()), quotas(weights)[1]
+    blocks = {s: max(1, int(n * size * w / total)) for s, w in weights.items()}
+    plan, placed, size, last = planned(weights, blocks)
+    done, slot = Counter(), 0
+    for r, before, share in plan:
+        names = sorted(weights)
+        assert before == [done[s] for s in names] and sum(share) == size and min(share) >= 0
+        for s, _, _ in one_round(dict(zip(names, share)), size):
+            done[s] += 1
+            slot += 1
+            assert abs(done[s] - weights[s] / total * slot) < 2
+        assert all(abs(done[s] - weights[s] / total * slot) < 1 for s in weights)
+    assert len(plan) > n - 2 and done == placed and slot - size < last <= slot
+
+
+def test_rounds_in_tasks(spark):
+    """Many rounds: slots without gaps, exact shares, a source below a slot a round, one of weight 0."""
+    df = spark.range(24_000).selectExpr("id AS doc_id", "'t' AS text", "CASE WHEN id < 3 THEN 'rare' WHEN id < 10 THEN 'none' WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS source")
+    weights = {"a": Fraction(2, 3), "b": Fraction(1, 3) - Fraction(1, 3000), "rare": Fraction(1, 3000), "none": Fraction(0)}
+    got = mixed(df, weights=weights, block=1).select("doc_id", "_source", "_slot").orderBy("_slot").collect()
+    assert [r._slot for r in got] == list(range(len(got))) and len(got) > 30 * 1024
+    assert len({r.doc_id for r in got}) == 24_000 - 7
+    done = Counter()
+    for n, r in enumerate(got, 1):
+        done[r._source] += 1
+        assert all(abs(done[s] - w * n) < 2 for s, w in weights.items())
+    with pytest.raises(ValueError):
+        mixed(df, weights={**weights, "none": Fraction(-1)})
