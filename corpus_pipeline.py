@@ -16,7 +16,7 @@ from tendril.llm.jaccard import one_of_each
 from tendril.llm.mixing import mixed
 from tendril.llm.quality import accepted
 from tendril.llm.queries import tokenizer_path
-from tendril.llm.shared import stored
+from tendril.llm.shared import stored, written_order
 from tendril.llm.tokens import tokens_written
 
 
@@ -36,13 +36,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; sources below their target weight repeat some until the mixture has it."""
-    return mixed(docs).select(*docs.columns)
+    """Every document stays; sources below their target weight repeat some until the mixture has it.
+
+    Rows come in the order of the mixture, over the partitions and within them.
+    """
+    place = ["_slot", "_place"]
+    return mixed(docs).repartitionByRange(*place).sortWithinPartitions(*place).select(*docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture as sequence files; a row per document written, read back from them."""
-    return tokens_written(docs, tokenizer_path())
+    """The mixture as sequence files, in the order in which its table was written; a row per document, read back from them."""
+    return tokens_written(docs, tokenizer_path(), order=written_order())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

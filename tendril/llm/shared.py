@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +34,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_order() -> list[Column]:
+    """The place of a row of a table read from files: the partition that wrote it, its file of that partition, its row there."""
+    name = F.col("_metadata.file_name")
+    return [F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), name, F.col("_metadata.row_index")]
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Fewer rows in the batches that go to Python, where texts may be long; a smaller setting of the session stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,6 +1,6 @@
 """Token ids as Arrow files of equal-length sequences with random access.
 
-Documents are dealt by ranges of ``doc_id``; each task tokenizes its range in
+Documents are dealt by ranges of ``doc_id`` or of a given order; each task tokenizes its range in
 order and writes two Arrow IPC files to the shared folder: the sequences (a
 fixed-size list of ids and a fixed-size list of mask bits per row, a batch every
 ``BATCH_ROWS`` rows, uncompressed, so a memory-mapped reader reaches any sequence
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tendril.llm import kernels as K
@@ -196,12 +196,12 @@ class SequenceWriter:
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def write_sequences(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, length: int = LENGTH, split: bool = True, files: int | None = None) -> DataFrame:
-    """Writes the ids of all ``docs`` in ascending ``doc_id`` order; returns a row per file.
+def write_sequences(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, length: int = LENGTH, split: bool = True, files: int | None = None, order: list[Column] | None = None) -> DataFrame:
+    """Writes the ids of all ``docs`` in ascending ``doc_id`` order, or by the columns of ``order``; returns a row per file.
 
     ``tokenizer`` is the path of a ``tokenizers`` file that every executor can
     read.  A null text is empty and has the end id alone; null ids come first;
-    rows of equal id are written in the order of their texts.  The rows returned
+    rows of equal id are written in the order of their texts (equal places of ``order`` in any).  The rows returned
     are ``part, path, n_docs, n_tokens`` by ``part``; they come from a written
     table, so the files are written once.  An empty table gives no rows.
     """
@@ -209,7 +209,14 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str | None = None,
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "sequences")
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if order is None:
+        keys = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+        dealt = docs.select(*columns).repartitionByRange(files, keys[0]).sortWithinPartitions(*keys)
+    else:
+        keys = [f"_order{k}" for k in range(len(order))]
+        placed = docs.select(*columns, *(c.alias(k) for c, k in zip(order, keys)))
+        dealt = placed.repartitionByRange(files, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def write(batches):
         batches = (b for b in batches if b.num_rows)
@@ -294,6 +301,6 @@ def _documents(part: int, path: str, base: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts + base), batch.column(2), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def tokens_written(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH) -> DataFrame:
+def tokens_written(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, order: list[Column] | None = None) -> DataFrame:
     """Writes the documents' ids and returns what the files hold, a row per document."""
-    return read_documents(write_sequences(docs, tokenizer, end_id=end_id, length=length))
+    return read_documents(write_sequences(docs, tokenizer, end_id=end_id, length=length, order=order))

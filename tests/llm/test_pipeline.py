@@ -40,3 +40,17 @@ def test_run(spark):
     import corpus_pipeline as P
 
     assert P.run(spark, SF).count() > 0
+
+
+def test_token_files_in_the_order_of_the_mixture(spark):
+    import corpus_pipeline as P
+
+    from tendril.llm.mixing import mixed
+    from tendril.llm.shared import stored
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = [r.doc_id for r in mixed(docs).select("doc_id", "_slot", "_place").orderBy("_slot", "_place").collect()]
+    steps = dict(P.STAGES)
+    written = stored(steps["mixing"](spark, docs, SF), "t")
+    got = [r.doc_id for r in steps["token_files"](spark, written, SF).orderBy("start").collect()]
+    assert got == want and got != sorted(got)
