@@ -8,23 +8,25 @@ suffix, and the words are compared before an occurrence counts.  The search runs
 many stretches of text side by side, so that each step is one array operation.
 
 The pattern tables are broadcast after a check of their size
-(``MOST_PATTERN_BYTES``); a larger benchmark is searched in parts and the parts'
-hits are joined by document.  The documents are scanned where they lie: there is
-no shuffle while the benchmark fits one part.
+(``MOST_PATTERN_BYTES``); a larger benchmark is searched in parts.  The parts' hits
+are merged by a key that each row gets for this, from a written table, as ids may
+be null or repeat.  The documents are scanned where they lie: there is no shuffle
+while the benchmark fits one part, and none for filtering in any case.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendril.llm import kernels as K
-from tendril.llm.shared import small_batches
+from tendril.llm.shared import small_batches, stored
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast part.
@@ -150,26 +152,34 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     exclusive, merged and ascending) and ``items`` (ids as strings, sorted).
     A null text has no words; a null item id counts as the empty string; items
     without words match nothing; with an empty benchmark nothing is hit.  Other
-    columns of either table are ignored.  Over several parts of a benchmark,
-    rows of equal ``doc_id`` and ``n_words`` are merged.
+    columns of either table are ignored.  The size of the benchmark does not show in
+    the result.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    parts = _parts(benchmark, most_bytes)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return rows.mapInArrow(_scanner(spark, first, window), SCHEMA)
+    keyed = stored(rows.select(F.monotonically_increasing_id().alias("_row"), "*"), "documents")
     found = None
-    for part in _parts(benchmark, most_bytes):
-        table = spark.sparkContext.broadcast(matchers(part, window))
+    for part in chain([first, second], parts):
+        one = keyed.mapInArrow(_scanner(spark, part, window), "_row long, " + SCHEMA)
+        found = one if found is None else found.unionByName(one)
+    spans = F.array_sort(F.flatten(F.collect_list("hits")))
+    found = found.groupBy("_row", "doc_id", "n_words").agg(_union(spans).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return found.drop("_row")
 
-        def scan(batches, table=table):
-            for batch in batches:
-                yield from _scan(batch, *table.value)
 
-        one = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scan, SCHEMA)
-        found = one if found is None else found.unionByName(one)
-        several = found is not one
-    if several:
-        spans = F.array_sort(F.flatten(F.collect_list("hits")))
-        found = found.groupBy("doc_id", "n_words").agg(_union(spans).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found
+def _scanner(spark: SparkSession, part: list[tuple[str, str | None]], window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    table = spark.sparkContext.broadcast(matchers(part, window))
+
+    def scan(batches):
+        for batch in batches:
+            yield from _scan(batch, *table.value)
+
+    return scan
 
 
 def _union(spans):
@@ -181,14 +191,14 @@ def _union(spans):
     return F.aggregate(spans, F.array().cast("array<struct<first: int, last: int>>"), grow)
 
 
-def _scan(batch: pa.RecordBatch, tables: list[Matcher], names: list[str]) -> Iterator[pa.RecordBatch]:
-    data, at = K.strings(batch.column(1))
-    ids = batch.column(0)
+def _found(column: pa.Array, tables: list[Matcher]) -> Iterator[tuple[int, int, np.ndarray, list[list[tuple[int, int]]], list[set[int]]]]:
+    """(first, end, words of each document, its hits, numbers of its items) for consecutive documents."""
+    data, at = K.strings(column)
     for i, j in K.slices(at):
         text = K.words(data, at[i : j + 1], K.ALNUM, True)
         hashes = text.hashes()
         doc = np.repeat(np.arange(j - i), np.diff(text.first))
-        hits: list[list[dict]] = [[] for _ in range(j - i)]
+        hits: list[list[tuple[int, int]]] = [[] for _ in range(j - i)]
         items: list[set[int]] = [set() for _ in range(j - i)]
         for table in tables:
             for first, end, p in table.occurrences(text, hashes, doc):
@@ -196,14 +206,21 @@ def _scan(batch: pa.RecordBatch, tables: list[Matcher], names: list[str]) -> Ite
                 base = int(text.first[d])
                 hits[d].append((first - base, end - base))
                 items[d].update(table.owners[p])
+        yield i, j, np.diff(text.first), hits, items
+
+
+def _scan(batch: pa.RecordBatch, tables: list[Matcher], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The text is the last column; those before it are passed on."""
+    *keys, text = batch.columns
+    for i, j, n_words, hits, items in _found(text, tables):
         yield pa.RecordBatch.from_arrays(
             [
-                ids.slice(i, j - i),
-                pa.array(np.diff(text.first), type=pa.int64()),
+                *(c.slice(i, j - i) for c in keys),
+                pa.array(n_words, type=pa.int64()),
                 pa.array([[{"first": a, "last": b} for a, b in merged(h)] for h in hits], type=pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
                 pa.array([sorted(names[x] for x in s) for s in items], type=pa.list_(pa.string())),
             ],
-            names=["doc_id", "n_words", "hits", "items"],
+            names=[*batch.schema.names[:-1], "n_words", "hits", "items"],
         )
 
 
@@ -225,12 +242,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_PATTERN_BYTES) -> DataFrame:
     """The documents, all columns, that hold no window of any item.
 
-    The join is by ``doc_id``; only the ids of contaminated documents are dealt.
-    Documents whose id is null cannot be told apart and are kept only if no
-    document with a null id is contaminated.
+    Each row is decided by its own text, where it lies, so ids may be null or
+    repeat.  There is a pass for each part of the benchmark, over what the parts
+    before it left.
     """
-    bad = contaminated(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    small_batches(docs.sparkSession)
+    names, clean = docs.columns, docs
+    for k, part in enumerate(_parts(benchmark, most_bytes)):
+        table = docs.sparkSession.sparkContext.broadcast(matchers(part, window))
+
+        def keep(batches, table=table):
+            for batch in batches:
+                free = [not h for _, _, _, hits, _ in _found(batch.column(names.index("text")), table.value[0]) for h in hits]
+                yield batch.filter(pa.array(free, pa.bool_()))
+
+        # between parts the rows are written, so that no task holds the tables of several
+        clean = (stored(clean, "clean") if k else clean).mapInArrow(keep, docs.schema)
+    return clean

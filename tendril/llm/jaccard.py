@@ -451,7 +451,20 @@ def similar_documents(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return whole.unionByName(nameless)
 
 
-def one_of_each(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """The documents, all columns, without those that link to one of smaller id, directly or through others; null ids stay."""
-    gone = similar_documents(docs, size).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def one_of_each(docs: DataFrame, size: int = SIZE, keep_nulls: bool = True) -> DataFrame:
+    """The documents, all columns, one of each group that links join, directly or through others: that of the smallest id.
+
+    Rows are told apart by a key of their own, from a written table, so ids may
+    repeat (the text's hash decides, then any row).  Rows with a null id all stay,
+    apart from the groups; without ``keep_nulls`` they are rows like others and come
+    last in their group.  Documents without words stay.
+    """
+    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    named = keyed.where(F.col("doc_id").isNotNull()) if keep_nulls else keyed
+    found = similar_documents(named.select(F.col("_row").alias("doc_id"), "text"), size).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("h"), "_row")
+    best = named.select("_row", order.alias("_order")).join(found, "_row").groupBy("component_id").agg(F.min("_order").alias("_best"))
+    kept = named.join(best.select(F.col("_best._row").alias("_row")), "_row", "left_semi")
+    if keep_nulls:
+        kept = kept.unionByName(keyed.where(F.col("doc_id").isNull()))
+    return kept.select(*docs.columns)

@@ -78,3 +78,14 @@ def test_empty_and_filter(spark):
     b = spark.createDataFrame([(1, "x y", "z")], BENCH)
     kept = D.without_benchmark(d, b)
     assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [2]
+
+
+def test_null_and_repeated_ids(spark):
+    docs = [(None, "x y"), (None, "a b"), (None, "a b"), (None, "q r"), (7, "x y"), (7, "c d"), (7, "u v"), (8, None)]
+    d, b = check(spark, docs, [(1, "x y"), (2, "u v")])
+    clean = sorted([(None, "a b"), (None, "a b"), (None, "q r"), (7, "c d"), (8, None)], key=repr)
+    for most in (D.MOST_PATTERN_BYTES, 1):  # in one part and in two
+        kept = D.without_benchmark(d, b, most_bytes=most)
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == clean
+        hits = D.find_benchmark(d, b, most_bytes=most).collect()
+        assert sorted(((r.doc_id, r.n_words, len(r.hits), r["items"]) for r in hits), key=repr) == sorted(((i, len(words(t)), int(t in ("x y", "u v")), [k for k, x in (("1", "x y"), ("2", "u v")) if x == t]) for i, t in docs), key=repr)

@@ -83,3 +83,12 @@ def test_lists_longer_than_a_part(spark, monkeypatch):
             w[r.randrange(60)] = f"x{r.randrange(1000)}"
         rows.append((doc, " ".join(w)))
     check(spark, rows)
+
+
+def test_one_of_each_row(spark):
+    copy, near, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(59)), " ".join(f"v{k}" for k in range(60))
+    rows = [(None, copy), (None, copy), (None, near), (4, other), (4, other), (4, copy), (3, near), (None, "alone in this"), (9, None), (9, None)]
+    kept = one_of_each(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA), keep_nulls=False).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(4, other), (3, near), (None, "alone in this"), (9, None), (9, None)], key=repr)
+    nulls = one_of_each(spark.createDataFrame([(None, t, "x", 1) for t in (copy, near, copy)], SCHEMA), keep_nulls=False)
+    assert nulls.count() == 1
