@@ -6,16 +6,23 @@ by set size and position and compared in blocks; a block whose sizes or position
 rule out enough common elements is skipped whole.  Pairs that remain must share
 enough of their prefixes, and only then are whole sets fetched and compared.
 
-Relations between sets save the rest.  Equal sets are one set.  And as soon as two
-sets are known to link, the answers of one derive from the other's: what they
-still need are links to sets outside their common component.  So the join runs in
-rounds.  The first compare neighbours in the lists, which joins most copies of a
-text; the last takes every pair of the lists that is not yet in one component,
-whatever a list's length, so no link between components can be missed.
-
-A list of more than ``LIST`` sets is dealt as pairs of its parts.  Order, hashes
-and rounds only decide what is compared; links are decided by counting 64-bit
-hashes of shingles in the whole sets.
+Relations between sets save the rest.  Equal sets are one set.  The first rounds
+compare neighbours in the lists, which joins most near copies of a text into
+components; each component has a leader, and for every other member the elements
+that it has and the leader lacks are counted.  From then on a leader stands for its
+members: they enter the lists only of those prefix elements that the leader's prefix
+lacks, and all else about them is derived from the leader's answers.  When a
+leader S and a set X have been compared, a member R of S's component shares with X
+|S & X| + |R - S| elements at most; members that could still link by that, and only
+they, are compared themselves.  The same holds on the other side.  Sets of one
+component are not compared at all, so no link between components can be missed, and
+links within them need not be found.
+
+A list of more than ``LIST`` sets is dealt as pairs of its parts.  Very frequent
+shingles are last in every set's order, so a list is long only if very many
+different texts consist of such shingles almost wholly.  Order, hashes and rounds
+only decide what is compared; links are decided by counting 64-bit hashes of
+shingles in the whole sets.
 """
 
 from __future__ import annotations
@@ -30,8 +37,7 @@ from pyspark.sql import functions as F
 
 from tendril.llm import kernels as K
 from tendril.llm.components import components
-from tendril.llm.neardup import celled
-from tendril.llm.shared import small_batches, stored
+from tendril.llm.shared import classed, dealt, small_batches, stored
 
 SIZE = 5
 #: The threshold as a fraction: 100 * intersection >= 75 * union.
@@ -42,7 +48,13 @@ FREQUENT = 1 << 16
 BUFFER = 1_000_000
 LEAST_COUNT = 3
 LIST = 512
+#: Members of a component that meet their leader in one task.
+MEMBERS = 256
 _BLOCK = 64
+#: A number of elements that no set has: where a bound says nothing.
+_ANY = 1 << 40
+#: What an entry of a list stands for: its own set alone; a component, by its leader; a member, where its leader is not in the list.
+ALONE, LEADER, MEMBER = 0, 1, 2
 
 POSTING = "tok long, doc_id long, n int, pos int, sig long"
 
@@ -155,7 +167,7 @@ def _posting_rows(frequent: np.ndarray, rank: np.ndarray, size: int) -> Callable
                     seen.add((n, sig, more))
                     p = prefix(s, frequent, rank)
                     m = len(p)
-                    own = [np.concatenate(x) for x in zip(own, (p.view(np.int64), np.full(m, doc), np.full(m, n), np.arange(m), np.full(m, sig & 0xFFFFFFFF)))]
+                    own = [np.concatenate(x) for x in zip(own, (p.view(np.int64), np.full(m, doc), np.full(m, n), np.arange(m), np.full(m, sig)))]
                 for x, y in zip(out, own):
                     x.append(y)
                 held += len(own[0])
@@ -256,61 +268,82 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), toks, pa.array(m), packed], names=["doc_id", "toks", "m", "bits"])
 
 
+ENTRY = ("tok", "cell", "half", "n", "pos", "doc_id", "c", "m", "low", "high", "slack", "kind")
+
+
 class Cells:
-    """Rows of cells, as columns: tok, cell, half, n, pos, doc_id, c, m; and their bitmaps."""
+    """Rows of cells with their prefixes' bitmaps.
+
+    ``low`` and ``high`` are the least and greatest sizes of the sets that an entry
+    stands for, ``slack`` the most elements that one of them has and the entry's
+    own set lacks.  ``before`` and ``after`` count elements by the entry's position;
+    they bound nothing where it stands for others, or not for all of its prefix.
+    """
 
-    def __init__(self, cols: np.ndarray, bits: np.ndarray):
+    def __init__(self, cols: dict[str, np.ndarray], bits: np.ndarray):
         self.cols, self.bits = cols, bits
+        self.__dict__.update(cols)
+
+    def __len__(self) -> int:
+        return len(self.bits)
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Cells:
-        cols = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(8)])
-        data, at = K.strings(batch.column(8))
+        cols = {name: batch.column(k).to_numpy().astype(np.int64) for k, name in enumerate(ENTRY)}
+        alone = cols["kind"] == ALONE
+        cols["before"], cols["after"] = np.where(alone, cols["pos"], _ANY), np.where(alone, cols["n"] - cols["pos"], _ANY)
+        data, at = K.strings(batch.column(len(ENTRY)))
         return cls(cols, np.frombuffer(data[at[0] : at[-1]].tobytes(), dtype=np.uint64).reshape(-1, BITMAP))
 
     def take(self, k) -> Cells:
-        return Cells(self.cols[:, k], self.bits[k])
+        return Cells({name: x[k] for name, x in self.cols.items()}, self.bits[k])
+
+    def after_rows(self, held: Cells | None) -> Cells:
+        return self if held is None else Cells({name: np.concatenate([held.cols[name], x]) for name, x in self.cols.items()}, np.concatenate([held.bits, self.bits]))
 
-    def after(self, held: Cells | None) -> Cells:
-        return self if held is None else Cells(np.concatenate([held.cols, self.cols], axis=1), np.concatenate([held.bits, self.bits]))
 
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-def _could_link(p: Cells, q: Cells) -> tuple[np.ndarray, np.ndarray]:
-    """For rows side by side: whether the pair may link, and whether this may be its first common element."""
-    n, other = p.cols[3], q.cols[3]
-    need = least_common(n, other)
-    room = np.minimum(n - p.cols[4], other - q.cols[4])
+
+def _could_link(p: Cells, q: Cells) -> Found:
+    """Of entries side by side, those whose sets may link: ids, prefix elements that must be shared, whether lists count them, whether this may be the first."""
+    need = least_common(p.low, q.low)
+    room = np.minimum(p.after, q.after)
     # what stands before this element in both, and what stands from it on: true at every common element of a pair that links
-    fit = (WHOLE * np.minimum(n, other) >= PART * np.maximum(n, other)) & (p.cols[6] != q.cols[6]) & (np.minimum(p.cols[4], q.cols[4]) + room >= need)
-    k = np.flatnonzero(fit)
+    k = np.flatnonzero((WHOLE * p.high >= PART * q.low) & (WHOLE * q.high >= PART * p.low) & (p.c != q.c) & (np.minimum(p.before, q.before) + room >= need))
     # a bit that one prefix lacks is an element that it lacks, so this is no less than what the prefixes share
     a, b = p.bits[k], q.bits[k]
-    common = np.minimum(p.cols[7, k] - np.bitwise_count(a & ~b).sum(axis=1), q.cols[7, k] - np.bitwise_count(b & ~a).sum(axis=1))
-    beyond = -(-PART * np.maximum(n[k], other[k]) // WHOLE) - 1
-    fit[k] = common + beyond >= need[k]
-    return fit, room >= need
+    common = np.minimum(p.m[k] - np.bitwise_count(a & ~b).sum(axis=1), q.m[k] - np.bitwise_count(b & ~a).sum(axis=1))
+    beyond = -(-PART * np.maximum(p.n[k], q.n[k]) // WHOLE) - 1
+    lack = need[k] - beyond - p.slack[k] - q.slack[k]
+    fit = common >= lack
+    k = k[fit]
+    return p.doc_id[k], q.doc_id[k], lack[fit], (p.kind[k] != MEMBER) & (q.kind[k] != MEMBER), room[k] >= need[k]
+
+
+POSSIBLE = "a long, b long, lack long, counted boolean, first boolean"
 
 
 def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of the cells' sets that sizes, positions, prefixes and components leave."""
+    """The pairs of the cells' entries that sizes, positions, prefixes and components leave."""
     held: Cells | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = Cells.of(batch).after(held)
-        cut = np.flatnonzero((rows.cols[:2, 1:] != rows.cols[:2, :-1]).any(axis=0)) + 1
+        rows = Cells.of(batch).after_rows(held)
+        cut = np.flatnonzero((rows.tok[1:] != rows.tok[:-1]) | (rows.cell[1:] != rows.cell[:-1])) + 1
         edges = np.concatenate([[0], cut])
         held = rows.take(slice(int(edges[-1]), None))
         yield from _paired(rows, edges)
     if held is not None:
-        yield from _paired(held, np.array([0, held.cols.shape[1]]))
+        yield from _paired(held, np.array([0, len(held)]))
 
 
 def _paired(rows: Cells, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
     sizes = np.diff(edges)
     if not len(sizes):
         return
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    parts: list[Found] = []
     group = np.repeat(np.arange(len(sizes)), sizes)
     short = np.flatnonzero((sizes[group] <= _SHORT) & (sizes[group] > 1))
     few, group = rows.take(short), group[short]
@@ -318,41 +351,34 @@ def _paired(rows: Cells, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
         k = np.flatnonzero(group[distance:] == group[:-distance])
         if not len(k):
             break
-        p, q = few.take(k), few.take(k + distance)
-        fit, first = _could_link(p, q)
-        parts.append((p.cols[:, fit], q.cols[:, fit], first[fit]))
+        parts.append(_could_link(few.take(k), few.take(k + distance)))
     for g in np.flatnonzero(sizes > _SHORT):
         parts.extend(_one_cell(rows.take(slice(int(edges[g]), int(edges[g + 1])))))
-    parts = [x for x in parts if len(x[2])]
+    parts = [x for x in parts if len(x[0])]
     if parts:
-        p, q, first = (np.concatenate(x, axis=-1) for x in zip(*parts))
-        yield _pairs(p[5], q[5], p[3], q[3]).append_column("first", pa.array(first))
+        a, b, lack, counted, first = (np.concatenate(x) for x in zip(*parts))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(a, b), np.maximum(a, b), lack, counted, first)], names=["a", "b", "lack", "counted", "first"])
 
 
-def _one_cell(cell: Cells) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    halves = cell.cols[2]
-    several = halves[0] != halves[-1]
-    left = cell.take(halves == 0) if several else cell
-    right = cell.take(halves == 1) if several else cell
-    for x in range(0, left.cols.shape[1], _BLOCK):
+def _one_cell(cell: Cells) -> Iterator[Found]:
+    several = cell.half[0] != cell.half[-1]
+    left = cell.take(cell.half == 0) if several else cell
+    right = cell.take(cell.half == 1) if several else cell
+    for x in range(0, len(left), _BLOCK):
         p = left.take(slice(x, x + _BLOCK))
-        n, pos = p.cols[3], p.cols[4]
-        for y in range(0 if several else x, right.cols.shape[1], _BLOCK):
+        for y in range(0 if several else x, len(right), _BLOCK):
             q = right.take(slice(y, y + _BLOCK))
-            m, at = q.cols[3], q.cols[4]
-            # blocks ascend by size: what they could share at most against what they need at least
-            if WHOLE * n[-1] < PART * m[0]:
+            # blocks ascend by least size: what they could share at most against what they need at least
+            if WHOLE * p.high.max() < PART * q.low[0]:
                 break
-            if WHOLE * m[-1] < PART * n[0] or min(pos.max(), at.max()) + min((n - pos).max(), (m - at).max()) < least_common(n[0], m[0]):
+            if WHOLE * q.high.max() < PART * p.low[0] or min(p.before.max(), q.before.max()) + min(p.after.max(), q.after.max()) < least_common(p.low[0], q.low[0]):
                 continue
-            fit = (WHOLE * np.minimum(n[:, None], m) >= PART * np.maximum(n[:, None], m)) & (p.cols[6][:, None] != q.cols[6])
+            fit = (WHOLE * p.high[:, None] >= PART * q.low) & (WHOLE * q.high >= PART * p.low[:, None]) & (p.c[:, None] != q.c)
             if not several and x == y:
-                fit &= np.arange(len(n))[:, None] < np.arange(len(m))
+                fit &= np.arange(len(p))[:, None] < np.arange(len(q))
             i, j = np.nonzero(fit)
             if len(i):
-                a, b = p.take(i), q.take(j)
-                ok, first = _could_link(a, b)
-                yield a.cols[:, ok], b.cols[:, ok], first[ok]
+                yield _could_link(p.take(i), q.take(j))
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -367,40 +393,91 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return _text(docs).join(ids, "doc_id", "left_semi").mapInArrow(rows, "doc_id long, s binary")
 
 
+def _common(x: pa.Scalar, y: pa.Scalar) -> tuple[int, int, int]:
+    """Elements that two packed sets share, and their sizes."""
+    p, q = (np.frombuffer(v.as_py(), dtype="<u8") for v in (x, y))
+    both = np.concatenate([p, q])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum()), len(p), len(q)
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, linked`` for every pair, from the whole sets."""
+    """``a, b, common, linked`` for every pair, from the whole sets."""
 
     def rows(batches):
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = (np.frombuffer(v.as_py(), dtype="<u8") for v in (x, y))
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                linked.append(WHOLE * common >= PART * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            got = [_common(x, y) for x, y in zip(batch.column(2), batch.column(3))]
+            linked = [WHOLE * common >= PART * (p + q - common) for common, p, q in got]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in got], pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "common", "linked"])
 
     one = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     both = one.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(rows, "a long, b long, linked boolean")
+    return both.select("a", "b", "sa", "sb").mapInArrow(rows, "a long, b long, common long, linked boolean")
+
+
+def _derived(members: DataFrame, sets: DataFrame, shared: DataFrame, total: int) -> DataFrame:
+    """``doc_id, c, n, only, extra`` for the members of components (``doc_id, c``) but their leaders ``c``.
+
+    ``only`` counts the member's elements that the leader lacks, ``extra`` lists the
+    prefix elements that the leader's prefix lacks.  A leader is copied for every
+    ``MEMBERS`` members, so no task has to hold all of a large component.
+    """
+
+    def rows(batches):
+        for batch in batches:
+            only = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                common, n, _ = _common(x, y)
+                only.append((n, n - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in only], pa.int64()) for k in (0, 1)), batch.column(4)], names=["doc_id", "c", "n", "only", "extra"])
+
+    sizes = stored(members.groupBy("c").agg(F.count("*").alias("_n")), "leaders").withColumn("copies", F.ceil(F.col("_n") / MEMBERS).cast("long"))
+    own = classed(members, sizes, ["c"], "_n", total).withColumn("copy", F.pmod(F.xxhash64("doc_id"), F.col("copies"))).drop("copies")
+    own = own.join(sets, "doc_id").join(shared.select("doc_id", "toks"), "doc_id", "left")
+    of = lambda df, name: df.select(F.col("doc_id").alias("c"), F.col(df.columns[1]).alias(name))
+    heads = sizes.select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).join(of(sets, "cs"), "c").join(of(shared.select("doc_id", "toks"), "ctoks"), "c", "left")
+    none = F.array().cast("array<long>")
+    both = own.join(heads, ["c", "copy"]).select("doc_id", "c", "s", "cs", F.array_except(F.coalesce("toks", none), F.coalesce("ctoks", none)).alias("extra"))
+    return both.mapInArrow(rows, "doc_id long, c long, n long, only long, extra array<long>")
+
+
+def _sizes(docs: DataFrame, size: int) -> DataFrame:
+    def rows(batches):
+        for batch in batches:
+            n = [len(s) for _, s in shingle_sets(batch.column(0), size)]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n_shingles"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(rows, "n_shingles long")
 
 
 def similar_documents(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` with an id.
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Words are runs without ASCII white space, A-Z in lower case.  The component is
     the smallest ``doc_id`` that links reach; documents without words stand alone.
-    Ids are taken to be unique.  Rows with a null id come out with their set's size
-    left out (null) and a null component.
+    Rows of equal id are documents of their own, each with its text's answer.  Rows
+    with a null id have their set's size and a null component, and link with nothing.
     """
+    named = _text(docs)
+    nameless = _sizes(docs.where(F.col("doc_id").isNull()), size).select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    if not named.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).count():
+        return _linked(named, size).unionByName(nameless)
+    keyed = stored(named.select(F.monotonically_increasing_id().alias("_row"), "*"), "keyed")
+    rows = stored(_linked(keyed.select(F.col("_row").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "_row").join(keyed.select("_row", "doc_id"), "_row"), "linked-rows")
+    least = stored(rows.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "least")
+    whole = classed(rows, least, ["component_id"], "n", rows.count())
+    return whole.select("doc_id", "n_shingles", F.col("least").alias("component_id")).unionByName(nameless)
+
+
+def _linked(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for documents (``doc_id, text``) of distinct ids."""
     small_batches(docs.sparkSession)
     frequent, rank = frequent_shingles(docs, size)
     order = ["tok", "n", "pos", "sig", "doc_id"]
-    dealt = _text(docs).mapInArrow(_posting_rows(frequent, rank, size), POSTING).repartition("tok").sortWithinPartitions(*order)
-    index = stored(dealt.mapInArrow(_lists_of_several, POSTING), "index")
+    in_lists = _text(docs).mapInArrow(_posting_rows(frequent, rank, size), POSTING).repartition("tok").sortWithinPartitions(*order)
+    index = stored(in_lists.mapInArrow(_lists_of_several, POSTING), "index")
     members = index.where(F.col("pos") < 0).select("doc_id", "n", "pos", "sig")
-    classes = members.where(F.col("n") > 0).groupBy("n", "pos", "sig").agg(F.min("doc_id").alias("rep"))
+    classes = stored(members.where(F.col("n") > 0).groupBy("n", "pos", "sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where(F.col("copies") > 1), "classes")
     lists = index.where(F.col("pos") >= 0).select("tok", "doc_id", "n", "pos")
     shared = stored(lists.groupBy("doc_id").agg(F.collect_list("tok").alias("toks")).mapInArrow(_bitmaps, "doc_id long, toks array<long>, m long, bits binary"), "shared")
 
@@ -409,25 +486,28 @@ def similar_documents(docs: DataFrame, size: int = SIZE) -> DataFrame:
     sets: list[DataFrame] = []
     found: DataFrame | None = None
 
+    def several(known: DataFrame) -> DataFrame:
+        """The lists that hold sets of several components."""
+        open_ = known.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi")).select("tok")
+        return known.join(open_, "tok", "left_semi")
+
     def open_lists(after: DataFrame | None) -> DataFrame:
         """The lists with the sets' components, where they hold several."""
         if after is None:
             return lists.withColumn("c", F.col("doc_id"))
-        known = lists.join(after.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("tok", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("c"))
-        several = known.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi")).select("tok")
-        return known.join(several, "tok", "left_semi")
+        return several(lists.join(after.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("tok", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("c")))
 
     def judged(pairs: DataFrame) -> DataFrame:
         """The components of the links so far, after the pairs' whole sets are compared; a set is built once."""
         for old in checked:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
+            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
         pairs = stored(pairs.select("a", "b"), "candidates")
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         for have in sets:
             ids = ids.join(have.select("doc_id"), "doc_id", "left_anti")
         sets.append(stored(_sets(docs, stored(ids, "ids"), size), "sets"))
         got = stored(_compared(pairs, reduce(DataFrame.unionByName, sets)), "compared")
-        checked.append(got.select("a", "b"))
+        checked.append(got)
         links.append(got.where("linked").select("a", "b"))
         return components(reduce(DataFrame.unionByName, links))
 
@@ -439,16 +519,52 @@ def similar_documents(docs: DataFrame, size: int = SIZE) -> DataFrame:
         near = open_lists(found).withColumn("_h", F.xxhash64("tok", "doc_id")).repartition("tok").sortWithinPartitions("tok", *by).select("tok", "doc_id", "n", "pos", "c").mapInArrow(_neighbours, PAIR).distinct()
         near = near.join(shared.select(F.col("doc_id").alias("a"), F.col("toks").alias("ta")), "a").join(shared.select(F.col("doc_id").alias("b"), F.col("toks").alias("tb")), "b")
         found = judged(near.where(F.size(F.array_intersect("ta", "tb")) + beyond >= need))
-    # every pair that is left: prefixes must share enough, and one list must hold the pair's first common element
-    rest = open_lists(found).join(shared.select("doc_id", "m", "bits"), "doc_id")
-    cells = celled(rest, ["tok"], "doc_id", LIST).repartition("tok", "cell").sortWithinPartitions("tok", "cell", "half", "n", "pos").select("tok", "cell", "half", "n", "pos", "doc_id", "c", "m", "bits")
-    pairs = cells.mapInArrow(_cell_pairs, PAIR + ", first boolean").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.max("first").alias("first"))
-    found = judged(pairs.where(F.col("first") & (F.col("k") + beyond >= need)))
 
-    by_class = members.join(classes, ["n", "pos", "sig"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
-    whole = by_class.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    nameless = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return whole.unionByName(nameless)
+    # what a set's answers tell of those like it: the leaders of components stand for their members
+    inside = found.where(F.col("node") != F.col("component")).select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
+    derived = stored(_derived(inside, reduce(DataFrame.unionByName, sets), shared, found.count()), "derived")
+    ranges = derived.groupBy("c").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("only").alias("slack"))
+    none = F.lit(None)
+    roles = derived.select("doc_id", "c", F.col("n").alias("low"), F.col("n").alias("high"), F.lit(0).cast("long").alias("slack"), F.lit(MEMBER).alias("kind"), "extra")
+    roles = stored(roles.unionByName(ranges.select(F.col("c").alias("doc_id"), "c", "low", "high", "slack", F.lit(LEADER).alias("kind"), none.cast("array<long>").alias("extra"))), "roles")
+    entries = lists.join(roles, "doc_id", "left").where(F.coalesce(F.col("kind") != MEMBER, F.lit(True)) | F.array_contains("extra", F.col("tok")))
+    n = F.col("n").cast("long")
+    entries = entries.select(
+        "tok", "doc_id", "n", "pos", F.coalesce("c", "doc_id").alias("c"), F.least(n, F.coalesce("low", n)).alias("low"), F.greatest(n, F.coalesce("high", n)).alias("high"),
+        F.coalesce("slack", F.lit(0)).alias("slack"), F.coalesce("kind", F.lit(ALONE)).alias("kind"),
+    )
+    entries = stored(several(entries), "entries")
+    # every pair that is left: prefixes must share enough, and one list must hold the pair's first common element
+    cells = dealt(entries.join(shared.select("doc_id", "m", "bits"), "doc_id"), entries.groupBy("tok").agg(F.count("*").alias("_n")), ["tok"], "doc_id", LIST)
+    cells = cells.repartition("tok", "cell").sortWithinPartitions("tok", "cell", "half", "low").select(*ENTRY, "bits")
+    pairs = cells.mapInArrow(_cell_pairs, POSSIBLE).groupBy("a", "b").agg(F.count("*").alias("k"), F.max("lack").alias("lack"), F.min("counted").alias("counted"), F.max("first").alias("first"))
+    pairs = stored(pairs.where(F.col("first") & (~F.col("counted") | (F.col("k") >= F.col("lack")))), "possible")
+    found = judged(pairs)
+
+    # members of components whose leaders were compared and do not link: what the leaders share bounds what they share
+    groups = roles.where(F.col("kind") == LEADER).select("doc_id", "low", "slack")
+    size_of = members.join(groups, "doc_id", "left").select("doc_id", "n", F.least("n", F.coalesce("low", "n")).alias("low"), F.coalesce("slack", F.lit(0)).alias("slack"), F.col("slack").isNotNull().alias("group"))
+    side = lambda x: size_of.select(F.col("doc_id").alias(x), *[F.col(c).alias(c + x) for c in ("n", "low", "slack", "group")])
+    needed = lambda p, q: F.ceil((F.col(p) + F.col(q)) * PART / (PART + WHOLE))
+    compared = reduce(DataFrame.unionByName, checked).where(~F.col("linked"))
+    open_ = pairs.select("a", "b").join(compared.select("a", "b", "common"), ["a", "b"]).join(side("a"), "a").join(side("b"), "b")
+    open_ = stored(open_.where((F.col("groupa") | F.col("groupb")) & (F.col("common") + F.col("slacka") + F.col("slackb") >= needed("lowa", "lowb"))), "open")
+    if open_.count():
+        standing = derived.select("c", "doc_id", "n", "only").unionByName(groups.join(members.select("doc_id", "n"), "doc_id").select(F.col("doc_id").alias("c"), "doc_id", F.col("n").cast("long").alias("n"), F.lit(0).cast("long").alias("only")))
+        for x in ("a", "b"):
+            them = standing.select(F.col("c").alias(x), F.col("doc_id").alias("m" + x), F.col("n").alias("nm" + x), F.col("only").alias("only" + x))
+            open_ = open_.join(them, x, "left").withColumns({"m" + x: F.coalesce("m" + x, x), "nm" + x: F.coalesce("nm" + x, "n" + x), "only" + x: F.coalesce("only" + x, F.lit(0))})
+        fits = (F.col("common") + F.col("onlya") + F.col("onlyb") >= needed("nma", "nmb")) & (WHOLE * F.least("nma", "nmb") >= PART * F.greatest("nma", "nmb"))
+        less = open_.where(fits).select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
+        for x in ("a", "b"):
+            less = less.join(found.select(F.col("node").alias(x), F.col("component").alias("c" + x)), x, "left").withColumn("c" + x, F.coalesce("c" + x, x))
+        found = judged(less.where(F.col("ca") != F.col("cb")))
+
+    total = members.count()
+    by_class = classed(members, classes, ["n", "pos", "sig"], "copies", total).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
+    reps = stored(by_class, "by-class")
+    counts = stored(found.withColumnRenamed("node", "rep").join(reps.groupBy("rep").agg(F.count("*").alias("copies")), "rep"), "found")
+    return classed(reps, counts, ["rep"], "copies", total).select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = SIZE, keep_nulls: bool = True) -> DataFrame:
@@ -461,7 +577,7 @@ def one_of_each(docs: DataFrame, size: int = SIZE, keep_nulls: bool = True) -> D
     """
     keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
     named = keyed.where(F.col("doc_id").isNotNull()) if keep_nulls else keyed
-    found = similar_documents(named.select(F.col("_row").alias("doc_id"), "text"), size).select(F.col("doc_id").alias("_row"), "component_id")
+    found = _linked(named.select(F.col("_row").alias("doc_id"), "text"), size).select(F.col("doc_id").alias("_row"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("h"), "_row")
     best = named.select("_row", order.alias("_order")).join(found, "_row").groupBy("component_id").agg(F.min("_order").alias("_best"))
     kept = named.join(best.select(F.col("_best._row").alias("_row")), "_row", "left_semi")

@@ -7,18 +7,23 @@ Phrases over symbols estimate the cross entropy, and the least wins.
 
 The automata are compiled to transition tables in which a step that leaves the
 automaton starts a new phrase, so that thousands of stretches of text advance
-together, a symbol at a time, by array look-ups.  Texts are parsed whole; they
-are cut into stretches of ``STRETCH`` symbols, which adds at most one phrase
-each.  There is no shuffle but that of the bounded sample.
+together, a symbol at a time, by array look-ups.  Texts are parsed whole, in
+stretches of ``STRETCH`` symbols that each begin a phrase, for every language at the
+same places.  There is no shuffle but that of the bounded sample.
+
+Three bounds hold for the training rows, whatever the size of the table: the label
+values that are learnt (``LANGUAGES``, those with most documents), the documents
+of each (``DOCUMENTS``), and the symbols of each (``SYMBOLS``, in equal shares of
+its documents, from a place in each that its id's hash names).
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,16 +32,18 @@ from tendril.llm import kernels as K
 from tendril.llm.quality import held_out
 from tendril.llm.shared import small_batches
 
-#: Symbols of training text for one language, and for all of them, at most.
-SYMBOLS, ALL_SYMBOLS = 24_000, 240_000
+#: Symbols of training text for one language; states and the flag of a phrase fit 16 bits.
+SYMBOLS = 16_000
 #: Documents from which a language's text is taken, at most.
 DOCUMENTS = 64
+#: Label values that are learnt, at most; each takes 4 MB of every Python worker.
+LANGUAGES = 128
 STRETCH = 256
 UNKNOWN = "und"
 
 _WIDTH = 64
 _PAD = 63
-_NEW = 1 << 30  # the flag of a step that begins a phrase
+_NEW = 1 << 15  # the flag of a step that begins a phrase
 #: 0 for whatever is no letter; ASCII letters without case; UTF-8 lead bytes; continuation bytes by their low bits, so that most upper and lower case meet.
 SYMBOL = np.zeros(256, dtype=np.uint8)
 for _b in range(26):
@@ -46,7 +53,7 @@ for _b in range(0xC2, 0xF5):
 for _b in range(0x80, 0xC0):
     SYMBOL[_b] = 32 + min(_b & 0x1F, 30)
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, dtype=bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
@@ -88,18 +95,17 @@ def automaton(text: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    root = np.full(_WIDTH, _NEW, dtype=np.int32)  # a symbol that never occurs is a phrase of its own
+    root = np.full(_WIDTH, _NEW, dtype=np.uint16)  # a symbol that never occurs is a phrase of its own
     for c, to in step[0].items():
         root[c] = to | _NEW
     root[_PAD] = 0
     table = np.tile(root, (len(step), 1))
-    table[:, :] = root
     for state, edges in enumerate(step):
         for c, to in edges.items():
             table[state, c] = to
     for c, to in step[0].items():
         table[0, c] = to | _NEW
-    table[:, _PAD] = np.arange(len(step), dtype=np.int32)
+    table[:, _PAD] = np.arange(len(step), dtype=np.uint16)
     return table.ravel()
 
 
@@ -133,32 +139,42 @@ def phrases(tables: list[np.ndarray], s: np.ndarray, at: np.ndarray) -> np.ndarr
         count = np.zeros(len(doc), dtype=np.int32)
         for row in lanes:
             to = table[(state << 6) | row]
-            count += to >> 30
-            state = to & (_NEW - 1)
+            count += to >> 15
+            state = (to & (_NEW - 1)).astype(np.int32)
         out[:, column] = np.bincount(doc, weights=count, minlength=len(size)).astype(np.int64)
     return out
 
 
-def learn(docs: DataFrame, folds: int = 3, fold: int = 1) -> dict[str, bytes]:
+def learn(docs: DataFrame, folds: int = 3, fold: int = 1, symbols_each: int = SYMBOLS, documents: int = DOCUMENTS, languages: int = LANGUAGES) -> dict[str, bytes]:
     """Training symbols by language, from documents outside ``fold`` whose language is known.
 
-    A language's text is that of up to ``DOCUMENTS`` documents, by the hash of
-    their ids, joined and cut at ``SYMBOLS`` symbols (fewer if there are many
-    languages: ``ALL_SYMBOLS`` together).  Languages without letters are left out.
+    Only documents with letters are sampled, by the hash of their ids.  The driver
+    gets two characters a symbol at most.  ``symbols_each`` is 16,000 at most.
     """
-    known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
+    if symbols_each > SYMBOLS:
+        raise ValueError(f"at most {SYMBOLS} symbols a language")
+    lang, text, ident = F.col("lang").cast("string"), F.col("text").cast("string"), F.col("doc_id")
+    named = docs.select(ident.alias("doc_id"), lang.alias("lang"), text.alias("text")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
+    frequent = [r.lang for r in named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
+    lettered = named.where(F.col("lang").isin(frequent) & F.col("text").rlike(r"\p{L}"))
+    long = 2 * symbols_each
+    place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - long + 1)).cast("int") + 1
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = known.select("lang", "doc_id", F.substring("text", 1, SYMBOLS).alias("text")).withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= DOCUMENTS)
+    sample = lettered.select("lang", "doc_id", F.substring(F.col("text"), place, F.lit(long)).alias("text")).withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= documents)
+    sample = sample.withColumn("n", F.count("*").over(Window.partitionBy("lang")))
     texts: dict[str, list[tuple[int, str]]] = {}
-    for r in sample.select("lang", "k", "text").collect():
+    for r in sample.select("lang", "k", F.left("text", F.ceil(F.lit(long) / F.col("n")).cast("int")).alias("text")).collect():
         texts.setdefault(r.lang, []).append((r.k, r.text))
-    most = min(SYMBOLS, ALL_SYMBOLS // max(1, len(texts)))
     out = {}
-    for lang in sorted(texts):
-        data = np.frombuffer("\n".join(t for _, t in sorted(texts[lang])).encode(), dtype=np.uint8)
-        s, _ = symbols(data, np.array([0, len(data)]))
-        if len(s) and s.any():
-            out[lang] = s[:most].tobytes()
+    for name in sorted(texts):
+        share = max(1, symbols_each // len(texts[name]) - 1)  # and a symbol that ends it
+        parts = []
+        for _, said in sorted(texts[name]):
+            data = np.frombuffer(said.encode(), dtype=np.uint8)
+            s, _ = symbols(data, np.array([0, len(data)]))
+            parts.append(s[:share].tobytes() + b"\0")
+        if any(map(any, parts)):
+            out[name] = b"".join(parts)
     return out
 
 

@@ -13,9 +13,11 @@ block with the earliest deadline at each slot keeps every source within one bloc
 of q / Q.  Where Q w is one or more, the quotas are within one block of what is
 due, so a source is always less than two blocks from its exact weight.
 
-The driver keeps a count for each source and round, a twentieth of the blocks at
-most; the rounds are laid out in tasks by their number.  Documents meet the slots
-of their blocks by source and bucket of hashes, as they lie for their ranks.
+The weights are an argument of one entry for each source, so the driver holds those;
+it runs the carried remainders through all rounds and keeps them at some rounds'
+starts only (``STATES`` numbers), from which tasks lay the rounds out.  Documents
+meet the slots of their blocks by source and bucket of hashes, as they lie for
+their ranks.
 
 The mixture ends when every source has placed all its documents once, so none is
 lost; sources that are ahead by then have begun again and repeat documents.
@@ -38,8 +40,10 @@ from pyspark.sql.window import Window
 BLOCK = 16
 #: Slots of a round at least, and slots for each source.
 ROUND, ROUND_PER_SOURCE = 1024, 20
-#: Sources that a mixture may have: one row of driver memory each, and a round of 20 slots each.
-MOST_SOURCES = 50_000
+#: Numbers that the driver keeps of the rounds' starts: fewer starts, and longer ways from them, where there are many sources or rounds.
+STATES = 1 << 18
+#: The columns that the mixture adds.
+ADDED = ("_source", "_slot", "_place")
 #: Hex digits of the hash that name a bucket for ranks within a source.
 BUCKET_DIGITS = 3
 
@@ -58,36 +62,41 @@ def round_size(n: int) -> int:
     return size
 
 
-def rounds(weights: dict[str, Fraction], size: int) -> Iterator[dict[str, int]]:
-    """The quotas of one round after another; they add up to ``size``, and some may be 0."""
-    exact = {s: Fraction(w) for s, w in weights.items()}
-    if min(exact.values()) < 0 or not any(exact.values()):
-        raise ValueError("weights must not be negative, and one must be more than 0")
-    parts = math.lcm(*(w.denominator for w in exact.values()))
-    share = {s: int(w * parts) for s, w in exact.items()}
-    whole = sum(share.values())  # a block is ``whole`` of the units in which sources are due
-    due = dict.fromkeys(share, 0)
-    while True:
-        for s in due:
-            due[s] += size * share[s]
-        got = {s: max(0, x // whole) for s, x in due.items()}
-        by_remainder = sorted(due, key=lambda s: (got[s] * whole - due[s], s))
-        k = size - sum(got.values())
-        for s in by_remainder[: max(0, k)]:
-            got[s] += 1
-        while k < 0:  # sources below one slot a round that are ahead of their weight
-            for s in [s for s in reversed(by_remainder) if got[s]][:-k]:
-                got[s] -= 1
-                k += 1
-        for s in due:
-            due[s] -= got[s] * whole
-        yield got
+class Rounds:
+    """The quotas of one round after another; they add up to ``size``, and some may be 0.
+
+    ``due`` is what each source, by name, is due and has not got, in units of which
+    ``whole`` are a block.
+    """
+
+    def __init__(self, weights: dict[str, Fraction], size: int, due: list[int] | None = None):
+        exact = [Fraction(weights[s]) for s in sorted(weights)]
+        if min(exact) < 0 or not any(exact):
+            raise ValueError("weights must not be negative, and one must be more than 0")
+        parts = math.lcm(*(w.denominator for w in exact))
+        self.share = [int(w * parts) for w in exact]
+        self.whole, self.size = sum(self.share), size
+        self.due = list(due) if due is not None else [0] * len(exact)
+
+    def next(self) -> list[int]:
+        due = [d + self.size * x for d, x in zip(self.due, self.share)]
+        got = [max(0, d // self.whole) for d in due]
+        by_remainder = sorted(range(len(due)), key=lambda k: (got[k] * self.whole - due[k], k))
+        left = self.size - sum(got)
+        for k in by_remainder[: max(0, left)]:
+            got[k] += 1
+        while left < 0:  # sources below one slot a round that are ahead of their weight
+            for k in [k for k in reversed(by_remainder) if got[k]][:-left]:
+                got[k] -= 1
+                left += 1
+        self.due = [d - g * self.whole for d, g in zip(due, got)]
+        return got
 
 
 def quotas(weights: dict[str, Fraction]) -> tuple[dict[str, int], int]:
     """Whole slots of the first round by source, by largest remainders; and the round's length."""
     size = round_size(len(weights))
-    return next(rounds(weights, size)), size
+    return dict(zip(sorted(weights), Rounds(weights, size).next())), size
 
 
 def one_round(share: dict[str, int], size: int) -> list[tuple[str, int, int]]:
@@ -127,39 +136,62 @@ def ranked(docs: DataFrame, source: str = "source") -> tuple[DataFrame, DataFram
     return local, sizes.withColumn("_before", before)
 
 
-def planned(weights: dict[str, Fraction], blocks: dict[str, int]) -> tuple[list[tuple[int, list[int], list[int]]], dict[str, int], int, int]:
+Start = tuple[int, int, list[str], list[int]]
+
+
+def planned(weights: dict[str, Fraction], blocks: dict[str, int], states: int = STATES) -> tuple[list[Start], dict[str, int], int, int]:
     """The rounds until every source has placed ``blocks`` blocks.
 
-    Returns (round, blocks placed before it, quotas) by source name for each
-    round, the blocks placed in all of them, the round's length, and the number of
-    slots until the last of ``blocks`` is placed.
+    Returns the starts of stretches of rounds (first round, end, what each source is
+    due in decimal digits, what each has placed), the blocks placed in all rounds,
+    the rounds' size, and the number of slots until the last of ``blocks`` is placed.
     """
     size, names = round_size(len(weights)), sorted(weights)
-    placed, out = dict.fromkeys(names, 0), []
-    for r, share in enumerate(rounds(weights, size)):
-        out.append((r, [placed[s] for s in names], [share[s] for s in names]))
-        before, placed = placed, {s: placed[s] + share[s] for s in names}
-        if all(placed[s] >= blocks[s] for s in names):
+    run, r, step = Rounds(weights, size), 0, 1
+    placed, starts = [0] * len(names), []
+    while True:
+        if r % step == 0:
+            starts.append((r, list(run.due), list(placed)))
+            if len(starts) > 1 and 2 * len(starts) * len(names) > states:
+                starts, step = starts[::2], 2 * step
+        before, share = placed, run.next()
+        placed = [a + b for a, b in zip(placed, share)]
+        r += 1
+        if all(have >= blocks[s] for s, have in zip(names, placed)):
             break
-    last = max(slot for s, i, slot in one_round(share, size) if before[s] + i < blocks[s])
-    return out, placed, size, r * size + last + 1
+    done = dict(zip(names, before))
+    last = max(slot for s, i, slot in one_round(dict(zip(names, share)), size) if done[s] + i < blocks[s])
+    ends = [x[0] for x in starts[1:]] + [r]
+    return [(a, b, [str(d) for d in due], had) for (a, due, had), b in zip(starts, ends)], dict(zip(names, placed)), size, (r - 1) * size + last + 1
+
+
+def laid_out(weights: dict[str, Fraction], size: int, start: Start) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(round, blocks placed before it, its quotas) by source name for the rounds of a stretch."""
+    first, end, due, placed = start
+    run = Rounds(weights, size, [int(d) for d in due])
+    for r in range(first, end):
+        share = run.next()
+        yield r, placed, share
+        placed = [a + b for a, b in zip(placed, share)]
 
 
-def schedule(spark: SparkSession, names: list[str], plan: list[tuple[int, list[int], list[int]]], size: int) -> DataFrame:
-    """``_source, _which, _slot`` for every block of ``planned`` rounds, laid out in tasks by round."""
+def schedule(spark: SparkSession, weights: dict[str, Fraction], starts: list[Start], size: int) -> DataFrame:
+    """``_source, _which, _slot`` for every block of ``planned`` rounds, laid out in tasks by stretch."""
+    names = sorted(weights)
 
     def lay(batches):
         for batch in batches:
-            for r, before, share in zip(*(c.to_pylist() for c in batch.columns)):
-                done = dict(zip(names, before))
-                table = one_round(dict(zip(names, share)), size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s for s, _, _ in table], pa.string()), pa.array([done[s] + i for s, i, _ in table], pa.int64()), pa.array([r * size + slot for _, _, slot in table], pa.int64())],
-                    names=["_source", "_which", "_slot"],
-                )
-
-    tasks = min(len(plan), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = spark.createDataFrame(plan, "round long, before array<long>, share array<long>").repartition(tasks, "round")
+            for start in zip(*(c.to_pylist() for c in batch.columns)):
+                for r, before, share in laid_out(weights, size, start):
+                    done = dict(zip(names, before))
+                    table = one_round(dict(zip(names, share)), size)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([s for s, _, _ in table], pa.string()), pa.array([done[s] + i for s, i, _ in table], pa.int64()), pa.array([r * size + slot for _, _, slot in table], pa.int64())],
+                        names=["_source", "_which", "_slot"],
+                    )
+
+    tasks = min(len(starts), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = spark.createDataFrame(starts, "first long, end long, due array<string>, placed array<long>").repartition(tasks, "first")
     return dealt.mapInArrow(lay, "_source string, _which long, _slot long")
 
 
@@ -167,17 +199,18 @@ def mixed(docs: DataFrame, source: str = "source", weights: dict[str, Fraction]
     """The mixture: all columns of ``docs`` with ``_source, _slot, _place``, a row for each time a document is placed.
 
     ``_slot`` is the block's place in the mixture and ``_place`` the document's in
-    the block.  A null source is the source ''.  ``weights`` maps each source to
-    its part (missing ones and negative ones: an error); by default
-    ``natural_weights``.  A source of weight 0 has no place in the mixture.  The
-    mixture is as long as the source with the most documents for its weight asks.
-    An empty table gives no rows.
+    the block; columns of ``docs`` with these three names are replaced.  A null
+    source is the source ''.  ``weights`` maps each source to its part (missing ones
+    and negative ones: an error); by default ``natural_weights``.  A source of weight
+    0 has no place in the mixture.  The mixture is as long as the source with the
+    most documents for its weight asks.  Rows of equal id and text are rows of their
+    own.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    counts_df = docs.groupBy(_source(source).alias("s")).agg(F.count("*").alias("n"))
-    rows = counts_df.limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
+    own = {c: "_own" + c for c in docs.columns if c.startswith("_")}
+    names = [c for c in docs.columns if c not in ADDED]
+    docs, source = docs.withColumnsRenamed(own), own.get(source, source)
+    rows = docs.groupBy(_source(source).alias("s")).agg(F.count("*").alias("n")).collect()
     counts = {r.s: r.n for r in rows}
     if weights is not None and (missing := set(counts) - set(weights)):
         raise ValueError(f"no weight for {sorted(missing)[:5]}")
@@ -185,14 +218,14 @@ def mixed(docs: DataFrame, source: str = "source", weights: dict[str, Fraction]
     if any(w < 0 for w in given.values()):
         raise ValueError("weights must not be negative")
     given = {s: w for s, w in given.items() if w}
-    plan, placed, size, last = planned(given, {s: -(-counts[s] // block) for s in given}) if given else ([], {}, 1, 0)
-    slots = schedule(spark, sorted(given), plan, size) if plan else spark.createDataFrame([], "_source string, _which long, _slot long")
-    # a row for each source: bounded by MOST_SOURCES, not by the documents
+    starts, placed, size, last = planned(given, {s: -(-counts[s] // block) for s in given}) if given else ([], {}, 1, 0)
+    slots = schedule(spark, given, starts, size) if starts else spark.createDataFrame([], "_source string, _which long, _slot long")
+    # a row for each source, as the weights have
     heads = spark.createDataFrame([(s, counts[s], placed[s]) for s in sorted(given)], "_source string, _count long, _blocks long")
     local, buckets = ranked(docs, source)
     # each time that a bucket comes round, its first document's number in the source's stream and its blocks' slots
     again = F.floor((F.col("_blocks") * block - 1 - F.col("_before")) / F.col("_count"))
-    passes = buckets.join(F.broadcast(heads), "_source").withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), again)))
+    passes = buckets.join(heads, "_source").withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), again)))
     passes = passes.withColumn("_from", F.col("_before") + F.col("_pass") * F.col("_count")).withColumn("_first", F.floor(F.col("_from") / block))
     end = F.least(F.floor((F.col("_from") + F.col("_n") - 1) / block), F.col("_blocks") - 1)
     wanted = passes.select("_source", "_bucket", "_from", "_first", F.explode(F.sequence("_first", end)).alias("_which"))
@@ -200,4 +233,4 @@ def mixed(docs: DataFrame, source: str = "source", weights: dict[str, Fraction]
     found = found.groupBy("_source", "_bucket", "_from", "_first").agg(F.sort_array(F.collect_list(F.struct("_which", "_slot"))).alias("_at"))
     out = local.join(found, ["_source", "_bucket"]).withColumn("_nth", F.col("_from") + F.col("_local"))
     out = out.withColumns({"_slot": F.get("_at", F.floor(F.col("_nth") / block) - F.col("_first"))["_slot"], "_place": F.col("_nth") % block})
-    return out.where(F.col("_slot").isNotNull()).select(*docs.columns, "_source", "_slot", "_place")
+    return out.where(F.col("_slot").isNotNull()).select(*[F.col(own.get(c, c)).alias(c) for c in names], *ADDED)

@@ -1,17 +1,24 @@
 """Near-duplicate vectors by randomised-rotation binary codes.
 
-A vector is normalised and rotated at random; the signs of the result are its
-code, and the factor <code, vector> is stored with it.  For two vectors
-<code(a), b> / factor(a) is an unbiased estimate of their cosine, and its spread is
-known from the factor; a pair whose upper confidence bound is below the threshold
-is dropped, and every other is computed again exactly, in double precision.
-
-Which pairs meet at all is decided by bands of code bits from more rotations: two
-vectors are compared in the first band in which their bits agree.  Bits and bands
-follow from the number of distinct vectors and from ``RECALL`` at the threshold,
-so the number of pairs per vector stays level as tables grow.  Equal vectors are
-one vector with a count.  A band's group of more than ``GROUP`` rows is dealt as
-pairs of parts of at most that size, so no task holds a group and none is cut.
+A vector is normalised and turned by two random rotations; the signs of each result
+are a code, and with it goes the factor <signs, turned vector>.  Turned back and
+divided by its factor, a code is the vector plus an error at right angles to it, of
+a length that code and factor tell and of a direction that the rotation makes
+random.  So the inner product of a vector's first code with another's second one is
+an unbiased estimate of their cosine, and its spread is known: a pair whose upper
+confidence bound is below the threshold is dropped, and every other is computed
+again exactly, in double precision.
+
+Codes and factors are computed once and stored.  Which pairs meet is decided by
+bands, samples of the code's bits: two vectors are compared in the first band in
+which their bits agree.  Only ids, codes and factors are dealt by band.  The groups
+of a band name the vectors of the pairs that their bounds leave, and those alone are
+fetched, for these groups.  Bits and bands follow from the number of distinct
+vectors and from ``RECALL`` at the threshold.
+
+Equal vectors are one vector with a count.  A band's group of more than ``GROUP``
+rows is dealt as pairs of parts of at most that size, so no task holds a group and
+none is cut; links are added up by vector where they are found, never laid out.
 """
 
 from __future__ import annotations
@@ -24,36 +31,73 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tendril.llm.components import components
-from tendril.llm.shared import stored
+from tendril.llm.shared import classed, dealt, stored
 
 THRESHOLD = 0.9
 #: Chance that a pair exactly at the threshold meets in some band; closer pairs meet more surely.
 RECALL = 0.999
 #: Standard deviations of the estimate's error that the upper bound allows for.
 CONFIDENCE = 5.0
-GROUP = 1024
+#: Bits of each of the two codes, at least; there is one for each component besides.
+CODE_BITS = 256
+GROUP = 4096
 SEED = 11
+_BLOCK = 256
+
+CODES = "rep long, least long, copies long, h long, h2 long, width int, code binary, factor0 float, factor1 float, v binary"
+BAND = "band long, bits long, rep long, code binary, factor0 float, factor1 float"
+
+
+def code_bits(width: int) -> int:
+    """Bits of one code of a vector of ``width`` components."""
+    return 64 * -(-max(CODE_BITS, width) // 64)
 
 
 @lru_cache(maxsize=8)
-def rotations(width: int, bits: int) -> np.ndarray:
-    """Rows of random rotations of the space, enough for ``bits`` signs."""
+def rotations(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The directions of the first code's bits and of the second's: rows of random rotations of the space."""
     rng = np.random.Generator(np.random.PCG64(SEED))
-    parts = []
-    for _ in range(max(1, -(-bits // width))):
-        q, r = np.linalg.qr(rng.standard_normal((width, width)))
-        parts.append(q * np.sign(np.diag(r)))
-    return np.concatenate(parts)[: max(bits, width)]
+    out = []
+    for _ in range(2):
+        parts = []
+        for _ in range(-(-code_bits(width) // width)):
+            q, r = np.linalg.qr(rng.standard_normal((width, width)))
+            parts.append(q * np.sign(np.diag(r)))
+        out.append(np.concatenate(parts)[: code_bits(width)])
+    return out[0], out[1]
+
+
+def bands_for(n: int, width: int = 64, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a band and number of bands for ``n`` vectors.
+
+    Groups grow with the fourth root of ``n``, so that bands stay few.  The bits in
+    which a pair differs are taken to spread as independent ones do, which is more
+    than they do.
+    """
+    size = 2 * code_bits(width)
+    bits = min(40, max(4, round(0.75 * math.log2(max(n, 2))) - 4))
+    part = math.acos(threshold) / math.pi
+    differ = np.arange(size - bits + 1)
+    log = np.array([math.lgamma(size + 1) - math.lgamma(k + 1) - math.lgamma(size - k + 1) for k in differ]) + differ * math.log(part) + (size - differ) * math.log(1 - part)
+    agree = np.prod([(size - differ - k) / (size - k) for k in range(bits)], axis=0)
+    missed = lambda bands: float(np.exp(log) @ (1 - agree) ** bands)
+    bands = 1
+    while missed(bands) > 1 - recall:
+        bands *= 2
+    low = bands // 2
+    while bands - low > 1:
+        at = (bands + low) // 2
+        low, bands = (at, bands) if missed(at) > 1 - recall else (low, at)
+    return bits, bands
 
 
-def bands_for(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a band and number of bands for ``n`` vectors."""
-    agree = 1 - math.acos(threshold) / math.pi
-    bits = min(40, max(4, math.ceil(math.log2(max(n, 2))) - 6))
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
+@lru_cache(maxsize=8)
+def samples(width: int, bits: int, bands: int) -> np.ndarray:
+    """The bits of the code that each band looks at."""
+    rng = np.random.Generator(np.random.PCG64([SEED, width]))
+    return np.stack([rng.permutation(2 * code_bits(width))[:bits] for _ in range(bands)])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -65,73 +109,138 @@ def _plain(column: str) -> Column:
     return F.transform(F.col(column), lambda x: x + F.lit(0).cast("float"))
 
 
+def _usable(v: Column) -> Column:
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    return F.coalesce(v.isNotNull() & (F.size(v) > 0) & F.forall(v, finite) & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """Usable vectors, one for each value: ``rep, copies, v``; and nothing of the others.
+    """Usable vectors, one for each value: ``least`` (its smallest id), ``copies, v``; and nothing of the others.
 
     Vectors that are null, empty, zero or hold null or non-finite components are left out.
     """
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _plain("embedding").alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", finite) & F.exists("v", lambda x: x != 0))
-    return usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _plain("embedding").alias("v")).where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
+    return usable.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+
+
+def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both codes of unit vectors, a row of packed bits for each, and the two factors."""
+    turned = [x @ r.T for r in rotations(x.shape[1])]
+    code = np.packbits(np.concatenate(turned, axis=1) >= 0, axis=1)
+    return code, np.stack([np.abs(t).sum(axis=1) for t in turned], axis=1).astype(np.float32)
+
+
+def _code_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``v, rep, least, copies, h, h2``: the vectors' codes and factors."""
+    for batch in batches:
+        sizes = np.asarray(batch.column(0).value_lengths())
+        for width in np.unique(sizes):
+            part = batch.take(pa.array(np.flatnonzero(sizes == width)))
+            n, width = part.num_rows, int(width)
+            own = np.asarray(part.column(0).flatten()).reshape(n, width)
+            code, factor = encode(_unit(own.astype(np.float64)))
+            packed = [pa.array([row.tobytes() for row in x], pa.binary()) for x in (code, own)]
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[1:], pa.array(np.full(n, width, dtype=np.int32)), packed[0], pa.array(factor[:, 0]), pa.array(factor[:, 1]), packed[1]],
+                names=["rep", "least", "copies", "h", "h2", "width", "code", "factor0", "factor1", "v"],
+            )
 
 
-def _band_rows(bits: int, bands: int):
-    """For each vector a row per band: the band and its bits, and all the bands' bits for later."""
+def _bits_of(code: pa.Array) -> np.ndarray:
+    """The signs, a row for each code; all are of one length."""
+    return np.unpackbits(np.frombuffer(b"".join(code.to_pylist()), dtype=np.uint8).reshape(len(code), -1), axis=1)
+
+
+def _keys(signs: np.ndarray, width: int, bits: int, bands: int) -> np.ndarray:
+    return (signs[:, samples(width, bits, bands)].astype(np.int64) << np.arange(bits)).sum(axis=2)
+
+
+def _band_rows(bits: int, bands: int, slim: bool):
+    """For each vector a row per band: the band, its bits, and code and factors; only the first two if ``slim``."""
 
     def rows(batches):
         for batch in batches:
-            v = batch.column(0)
-            sizes = np.asarray(v.value_lengths())
-            for width in np.unique(sizes):
-                k = np.flatnonzero(sizes == width)
-                part = batch.take(pa.array(k))
-                own = np.asarray(part.column(0).flatten()).reshape(len(k), width)
-                turned = _unit(own.astype(np.float64)) @ rotations(int(width), bits * bands).T
-                signs = (turned[:, : bits * bands] >= 0).astype(np.int64).reshape(len(k), bands, bits)
-                keys = (signs << np.arange(bits)).sum(axis=2)  # of each band
-                packed = [row.tobytes() for row in np.packbits(signs.reshape(len(k), -1).astype(np.uint8), axis=1)]
-                raw = [row.tobytes() for row in own]
-                for band in range(bands):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(k), int(width) << 16 | band)), pa.array(keys[:, band]), part.column(1), part.column(2), pa.array(raw, pa.binary()), pa.array(packed, pa.binary())],
-                        names=["band", "bits", "rep", "copies", "v", "keys"],
-                    )
+            widths = batch.column(1).to_numpy()
+            for width in np.unique(widths):
+                part = batch.take(pa.array(np.flatnonzero(widths == width)))
+                for at in range(0, part.num_rows, 2048):
+                    some = part.slice(at, 2048)
+                    keys = _keys(_bits_of(some.column(2)), int(width), bits, bands)
+                    for band in range(bands):
+                        own = [pa.array(np.full(some.num_rows, int(width) << 16 | band)), pa.array(keys[:, band])]
+                        rest = [] if slim else [some.column(0), *some.columns[2:5]]
+                        yield pa.RecordBatch.from_arrays(own + rest, names=["band", "bits", "rep", "code", "factor0", "factor1"][: len(own + rest)])
 
     return rows
 
 
 class Side:
-    """The vectors of one part of a group."""
-
-    def __init__(self, rep: np.ndarray, copies: np.ndarray, v: list[bytes], keys: list[bytes], kind: str, bits: int):
-        self.rep, self.copies = rep, copies
-        self.x = _unit(np.frombuffer(b"".join(v), dtype=kind).reshape(len(v), -1).astype(np.float64))
-        signs = np.unpackbits(np.frombuffer(b"".join(keys), dtype=np.uint8).reshape(len(keys), -1), axis=1)
-        bands = signs.shape[1] // bits
-        self.keys = (signs[:, : bands * bits].reshape(len(keys), bands, bits).astype(np.int64) << np.arange(bits)).sum(axis=2)
-        turned = self.x @ rotations(self.x.shape[1], 0).T
-        width = self.x.shape[1]
-        self.turned = turned
-        self.code = np.where(turned >= 0, 1.0, -1.0) / math.sqrt(width)
-        self.factor = np.einsum("ij,ij->i", self.code, turned)
-        self.spread = np.sqrt(np.maximum(1 - self.factor**2, 0)) / self.factor / math.sqrt(max(width - 1, 1))
-
-
-def linked_pairs(a: Side, b: Side, band: int, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs that link and that this band is the first to hold."""
-    upper = a.code @ b.turned.T / a.factor[:, None] + CONFIDENCE * a.spread[:, None]
-    i, j = np.nonzero(upper >= threshold)
-    if same:
-        i, j = i[i < j], j[i < j]
-    if not len(i):
-        return i, j
-    first = np.ones(len(i), dtype=bool)
-    for earlier in range(band):
-        first &= a.keys[i, earlier] != b.keys[j, earlier]
-    i, j = i[first], j[first]
-    keep = [np.einsum("ij,ij->i", a.x[i[k : k + 65536]], b.x[j[k : k + 65536]]) >= threshold for k in range(0, len(i), 65536)]
-    keep = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
-    return i[keep], j[keep]
+    """The vectors of one part of a group, as their codes tell of them."""
+
+    def __init__(self, group: dict, k: np.ndarray, width: int, bits: int, bands: int):
+        self.rep = group["rep"][k]
+        signs = _bits_of(group["code"].take(pa.array(k)))
+        self.keys = _keys(signs, width, bits, bands)
+        half = code_bits(width)
+        self.freedom = max(width - 1, 1)
+        self.turned, self.spread2 = [], []
+        for h, r in enumerate(rotations(width)):
+            back = (signs[:, h * half : (h + 1) * half] * np.float32(2) - np.float32(1)) @ r.astype(np.float32) / group[f"factor{h}"][k][:, None]
+            self.turned.append(back)
+            self.spread2.append(np.maximum(np.einsum("ij,ij->i", back, back) - 1, 0) / self.freedom)
+        if "v" in group:
+            self.copies = group["copies"][k]
+            raw = b"".join(group["v"].take(pa.array(k)).to_pylist())
+            self.x = _unit(np.frombuffer(raw, dtype="<f4" if len(raw) == 4 * width * len(k) else "<f8").reshape(len(k), width).astype(np.float64))
+
+
+def estimates(a: Side, b: Side, k: slice, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated cosines of ``a``'s rows ``k`` with all of ``b``, and their error's standard deviation at the threshold."""
+    said = (a.turned[0][k] @ b.turned[1].T + a.turned[1][k] @ b.turned[0].T) / 2
+    (a0, a1), (b0, b1) = (s[k][:, None] for s in a.spread2), b.spread2
+    variance = (1 - threshold**2) * (a0 + a1 + b0 + b1) + a.freedom * (a0 * b1 + a1 * b0)
+    return said, np.sqrt(variance) / 2
+
+
+def possible_pairs(a: Side, b: Side, band: int, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs whose bounds reach the threshold and that this band is the first to hold."""
+    parts = []
+    for at in range(0, len(a.rep), _BLOCK):
+        said, spread = estimates(a, b, slice(at, at + _BLOCK), threshold)
+        i, j = np.nonzero(said + CONFIDENCE * spread + 1e-4 >= threshold)
+        i += at
+        if same:
+            i, j = i[i < j], j[i < j]
+        for earlier in range(band):
+            if not len(i):
+                break
+            first = a.keys[i, earlier] != b.keys[j, earlier]
+            i, j = i[first], j[first]
+        parts.append((i, j))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _sides(group: dict, width: int, bits: int, bands: int) -> tuple[Side, Side]:
+    sides = [Side(group, np.flatnonzero(group["half"] == h), width, bits, bands) for h in np.unique(group["half"])]
+    return sides[0], sides[-1]
+
+
+def _wanted(threshold: float, bits: int, bands: int):
+    """The vectors of each cell that exact computation needs: ``band, bits, cell, half, rep``."""
+
+    def rows(batches):
+        for key, group in _groups(batches, ("half", "rep", "factor0", "factor1"), ("code",)):
+            a, b = _sides(group, key[0] >> 16, bits, bands)
+            i, j = possible_pairs(a, b, key[0] & 0xFFFF, a is b, threshold)
+            if a is b:
+                i = j = np.union1d(i, j)
+            sides = [(0, a.rep[np.unique(i)])] + ([] if a is b else [(1, b.rep[np.unique(j)])])
+            for half, rep in sides:
+                if len(rep):
+                    k = np.full(len(rep), 1, dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(k * x) for x in key), pa.array(np.full(len(rep), half, dtype=np.int32)), pa.array(rep)], names=["band", "bits", "cell", "half", "rep"])
+
+    return rows
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -151,30 +260,21 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _compare(threshold: float, kind: str, bits: int):
-    """Cells of (band, bits, cell): links counted by vector, and a spanning forest of the links."""
+def _exact(threshold: float, bits: int, bands: int):
+    """Cells with vectors: links counted by vector, and a spanning forest of the links."""
 
     def rows(batches):
-        for key, group in _groups(batches):
-            band = key[0] & 0xFFFF
-            halves = group["half"]
-            sides = []
-            for h in (0, 1):
-                k = np.flatnonzero(halves == h)
-                if len(k):
-                    sides.append(Side(group["rep"][k], group["copies"][k], [group["v"][x] for x in k], [group["keys"][x] for x in k], kind, bits))
-            if len(sides) == 1:
-                a = b = sides[0]
-            else:
-                a, b = sides
-            i, j = linked_pairs(a, b, band, a is b, threshold)
-            if not len(i):
+        for key, group in _groups(batches, ("half", "rep", "factor0", "factor1", "copies"), ("code", "v")):
+            a, b = _sides(group, key[0] >> 16, bits, bands)
+            i, j = possible_pairs(a, b, key[0] & 0xFFFF, a is b, threshold)
+            keep = [np.einsum("ij,ij->i", a.x[i[k : k + 65536]], b.x[j[k : k + 65536]]) >= threshold for k in range(0, len(i), 65536)]
+            if not keep or not (keep := np.concatenate(keep)).any():
                 continue
-            n = len(a.rep) + (0 if a is b else len(b.rep))
-            shift = 0 if a is b else len(a.rep)
-            rep = a.rep if a is b else np.concatenate([a.rep, b.rep])
-            copies = a.copies if a is b else np.concatenate([a.copies, b.copies])
-            j = j + shift
+            i, j = i[keep], j[keep]
+            rep, copies = (a.rep, a.copies) if a is b else (np.concatenate([a.rep, b.rep]), np.concatenate([a.copies, b.copies]))
+            if a is not b:
+                j = j + len(a.rep)
+            n = len(rep)
             links = np.bincount(i, weights=copies[j], minlength=n) + np.bincount(j, weights=copies[i], minlength=n)
             order = np.argsort(rep, kind="stable")
             rank = np.empty(n, dtype=np.int64)
@@ -186,19 +286,17 @@ def _compare(threshold: float, kind: str, bits: int):
     return rows
 
 
-def _groups(batches) -> Iterator[tuple[tuple, dict]]:
-    """Consecutive rows of one (band, bits, cell); a group has at most two parts."""
-    names = ("band", "bits", "cell", "half", "rep", "copies", "v", "keys")
+def _groups(batches, plain: tuple[str, ...], packed: tuple[str, ...]) -> Iterator[tuple[tuple, dict]]:
+    """Consecutive rows of one (band, bits, cell) if there are several; a group has at most two parts."""
     held: pa.Table | None = None
 
-    def dicts(t: pa.Table) -> dict:
-        out = {n: t.column(n).to_numpy() for n in ("half", "rep", "copies")}
-        return out | {n: t.column(n).to_pylist() for n in ("v", "keys")}
+    def columns(t: pa.Table) -> dict:
+        return {n: t.column(n).to_numpy() for n in plain} | {n: t.column(n).combine_chunks() for n in packed}
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch.select(names)])
+        table = pa.Table.from_batches([batch])
         if held is not None:
             table = pa.concat_tables([held, table])
         cols = np.stack([table.column(n).to_numpy() for n in ("band", "bits", "cell")])
@@ -206,34 +304,27 @@ def _groups(batches) -> Iterator[tuple[tuple, dict]]:
         edges = [0, *cut.tolist(), table.num_rows]
         for a, b in zip(edges[:-2], edges[1:-1]):
             if b - a > 1:
-                yield tuple(cols[:, a].tolist()), dicts(table.slice(a, b - a))
+                yield tuple(cols[:, a].tolist()), columns(table.slice(a, b - a))
         held = table.slice(edges[-2]).combine_chunks()
     if held is not None and held.num_rows > 1:
-        yield tuple(held.column(n)[0].as_py() for n in ("band", "bits", "cell")), dicts(held)
+        yield tuple(held.column(n)[0].as_py() for n in ("band", "bits", "cell")), columns(held)
 
 
-def celled(rows: DataFrame, keys: list[str], ident: str, size: int) -> DataFrame:
-    """Rows with ``cell`` and ``half``: every two rows of equal ``keys`` meet in exactly one cell.
+def link_counts(codes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """Links by distinct vector and their components: ``rep, links`` and ``node, component``; all by ``rep``, a vector's number.
 
-    A group of up to ``size`` rows is one cell.  A larger one is cut into parts by
-    the hash of ``ident``; a cell holds one part, or two (``half`` 0 and 1), and
-    pairs within a part are taken where it is alone.
+    ``codes`` is a written table of ``CODES``.
     """
-    large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
-    parted = rows.join(large, keys).withColumn("_parts", F.ceil(F.col("_n") / size).cast("long"))
-    parted = parted.withColumn("_part", F.pmod(F.xxhash64(ident), F.col("_parts")))
-    low, high = F.least(F.col("_part"), F.col("_other")), F.greatest(F.col("_part"), F.col("_other"))
-    parted = parted.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
-    return parted.withColumns({"cell": low * F.col("_parts") + high, "half": F.when(F.col("_part") > F.col("_other"), 1).otherwise(0)}).drop("_n", "_parts", "_part", "_other")
-
-
-def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """Links by distinct vector and their components: ``rep, links`` and ``node, component``; all by ``rep``."""
-    bits, bands = bands_for(vectors.count(), threshold, recall)
-    kind = "<f4" if vectors.schema["v"].dataType.elementType == T.FloatType() else "<f8"
-    rows = vectors.select("v", "rep", "copies").mapInArrow(_band_rows(bits, bands), "band long, bits long, rep long, copies long, v binary, keys binary")
-    cells = celled(rows, ["band", "bits"], "rep", GROUP).repartition("band", "bits", "cell").sortWithinPartitions("band", "bits", "cell", "half")
-    found = stored(cells.mapInArrow(_compare(threshold, kind, bits), "rep long, root long, links long"), "vector-links")
+    n, width = codes.agg(F.count("*"), F.min("width")).first()
+    bits, bands = bands_for(n, width or 1, threshold, recall)
+    cell = ["band", "bits", "cell"]
+    seen = codes.select("rep", "width", "code", "factor0", "factor1")
+    sizes = seen.mapInArrow(_band_rows(bits, bands, True), "band long, bits long").groupBy("band", "bits").agg(F.count("*").alias("_n"))
+    rows = dealt(seen.mapInArrow(_band_rows(bits, bands, False), BAND), sizes, ["band", "bits"], "rep", GROUP)
+    cells = rows.repartition(*cell).sortWithinPartitions(*cell, "half")
+    wanted = stored(cells.mapInArrow(_wanted(threshold, bits, bands), "band long, bits long, cell long, half int, rep long"), "wanted")
+    whole = wanted.join(codes.select("rep", "copies", "code", "factor0", "factor1", "v"), "rep").repartition(*cell).sortWithinPartitions(*cell, "half")
+    found = stored(whole.mapInArrow(_exact(threshold, bits, bands), "rep long, root long, links long"), "vector-links")
     return found.groupBy("rep").agg(F.sum("links").alias("links")), components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
 
 
@@ -243,13 +334,22 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
     Links join vectors with cosine of at least ``threshold``; copies of a vector
     link with each other.  Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing; vectors of different lengths do not
-    link.  Ids are taken to be unique.  Other columns are not read.
+    link.  Rows of equal id are rows of their own: each counts as a vector and has
+    its vector's answer.  Rows with a null id link with nothing.  Other columns are
+    not read.
     """
-    distinct = stored(distinct_vectors(embeddings), "vectors")
-    links, found = link_counts(distinct, threshold, recall)
-    by_vector = distinct.select("v", "rep", "copies").join(links, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
-    )
+    hashes = lambda v: [F.xxhash64(v).alias("h"), F.xxhash64(F.lit(SEED), v).alias("h2")]
+    numbered = distinct_vectors(embeddings).select("v", F.monotonically_increasing_id().alias("rep"), "least", "copies", *hashes("v"))
+    codes = stored(numbered.mapInArrow(_code_rows, CODES), "vector-codes")
+    links, found = link_counts(codes, threshold, recall)
+    total = embeddings.count()
+    found = stored(found.withColumnRenamed("node", "rep").join(codes.select("rep", "least"), "rep"), "found")
+    smallest = stored(found.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "smallest")
+    found = classed(found.drop("least"), smallest, ["component"], "n", total).select("rep", "component_id")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), _plain("embedding").alias("_v"))
-    out = rows.join(by_vector, "_v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    rows = rows.select("vec_id", *[F.when(F.col("vec_id").isNotNull() & _usable(F.col("_v")), h).alias(n) for h, n in zip(hashes("_v"), ("h", "h2"))])
+    answers = codes.select("rep", "least", "copies", "h", "h2").join(links, "rep", "left").join(found, "rep", "left")
+    answers = answers.select("h", "h2", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    answers = stored(answers.where(F.col("n_links") > 0), "vector-answers")
+    out = classed(rows, answers, ["h", "h2"], "copies", total).select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -105,13 +105,16 @@ SELECT doc_id, s AS source, CAST(slot AS BIGINT) AS slot, CAST(place AS BIGINT)
 """
 
 OP9 = """
-WITH r AS (SELECT page_id, url, html, CAST(coalesce(floor(page_id / 4096), -1) AS BIGINT) AS shard,
-  'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+WITH o AS (SELECT page_id, url, html, CAST(coalesce(floor(page_id / 4096), -1) AS BIGINT) AS shard FROM pages),
+k AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY page_id NULLS FIRST, url NULLS FIRST, html NULLS FIRST) - 1 AS ordinal FROM o),
+m AS (SELECT *, md5(shard || '/' || ordinal) AS h FROM k),
+r AS (SELECT *, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+  || 'WARC-Record-ID: <urn:uuid:' || h[1:8] || '-' || h[9:12] || '-3' || h[14:16] || '-8' || h[18:20] || '-' || h[21:] || '>' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10)
   || 'WARC-Target-URI: ' || replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
-  || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM pages)
-SELECT page_id, shard, row_number() OVER w - 1 AS ordinal, CAST(sum(strlen(rec)) OVER w - strlen(rec) AS BIGINT) AS "offset", CAST(strlen(rec) AS BIGINT) AS length,
+  || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM m)
+SELECT page_id, shard, ordinal, CAST(sum(strlen(rec)) OVER w - strlen(rec) AS BIGINT) AS "offset", CAST(strlen(rec) AS BIGINT) AS length,
        sha256(rec) AS sha256, coalesce(page_id % 97 = 13, false) AS damaged
-FROM r WINDOW w AS (PARTITION BY shard ORDER BY page_id NULLS FIRST, url NULLS FIRST, html NULLS FIRST ROWS UNBOUNDED PRECEDING)
+FROM r WINDOW w AS (PARTITION BY shard ORDER BY ordinal ROWS UNBOUNDED PRECEDING)
 """
 
 ORACLES: dict[str, str] = {

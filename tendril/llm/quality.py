@@ -7,8 +7,10 @@ strength is w.f(text); the cut is the quantile of the labelled strengths that
 equals the share of bad labels, and scores are the logistic of the distance from
 it, so that ``THRESHOLD`` is reached at the cut.
 
-Features come from the text alone: shares of bytes and words, and repetition.
-Scoring is one pass over the documents where they lie, without a shuffle.
+Features come from the text alone: shares of bytes and words, repetition, and
+hashed counts of words, pairs of words and runs of three bytes, all weighed by the
+same pairs.  Scoring is one pass over the documents where they lie, without a
+shuffle.
 Learning reads the texts of a bounded sample of labelled rows (``SAMPLE`` a class,
 by the hash of the id), which is also what is sent to the executors and back.
 """
@@ -28,7 +30,10 @@ from tendril.llm.shared import small_batches
 #: Labelled rows of each class from which the model is learnt, at most.
 SAMPLE = 4000
 PAIRS = 40_000
-RIDGE = 1e-3
+#: Ridge penalty of the weights of shares, and of hashed counts.
+RIDGE, RIDGE_HASHED = 1e-3, 1e-1
+#: Buckets of hashed words and word pairs, and of runs of three bytes; powers of two.
+WORD_BUCKETS, BYTE_BUCKETS = 256, 256
 THRESHOLD = 0.3
 
 _KIND = np.full(256, 3, dtype=np.int64)  # ASCII signs
@@ -40,11 +45,37 @@ _KIND[[*b".,;:'\"?!-()"]] = 5
 FEATURES = ("upper", "digit", "sign", "space", "punctuation", "same_as_before", "repeated", "sign_words", "upper_words", "shouted", "word_length", "size", "lines_repeated", "empty")
 
 
+WIDTH = len(FEATURES) + WORD_BUCKETS + BYTE_BUCKETS
+
+
 def features(column: pa.Array) -> np.ndarray:
-    """A row of ``FEATURES`` for each text; null is empty."""
+    """A row of ``WIDTH`` numbers for each text: ``FEATURES``, words, bytes; null is empty."""
     data, at = K.strings(column)
-    out = [_features(data, at[i : j + 1]) for i, j in K.slices(at)]
-    return np.concatenate(out) if out else np.zeros((0, len(FEATURES)))
+    out = [np.concatenate([_features(data, at[i : j + 1]), _hashed(data, at[i : j + 1])], axis=1).astype(np.float32) for i, j in K.slices(at)]
+    return np.concatenate(out) if out else np.zeros((0, WIDTH), dtype=np.float32)
+
+
+def _bits(n: int) -> int:
+    return n.bit_length() - 1
+
+
+def _hashed(bytes_: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of words and word pairs, and of runs of three bytes, in each bucket."""
+    n = len(at) - 1
+    text = K.words(bytes_, at, K.SPACED, True)
+    h = text.hashes()
+    doc = np.repeat(np.arange(n), np.diff(text.first))
+    both = K.grams(h, 2)
+    inside = doc[1:] == doc[:-1]
+    terms, owner = np.concatenate([h, both[inside]]), np.concatenate([doc, doc[1:][inside]])
+    words = np.bincount(owner * WORD_BUCKETS + (terms >> np.uint64(64 - _bits(WORD_BUCKETS))).astype(np.int64), minlength=n * WORD_BUCKETS).reshape(n, WORD_BUCKETS)
+    data = text.data.astype(np.uint32)
+    runs = (data[:-2] << np.uint32(16)) | (data[1:-1] << np.uint32(8)) | data[2:]
+    owner = np.repeat(np.arange(n), np.diff(at))
+    inside = owner[2:] == owner[:-2]
+    place = (runs * np.uint32(0x9E3779B1)) >> np.uint32(32 - _bits(BYTE_BUCKETS))
+    grams = np.bincount(owner[2:][inside] * BYTE_BUCKETS + place[inside], minlength=n * BYTE_BUCKETS).reshape(n, BYTE_BUCKETS)
+    return np.concatenate([np.sqrt(x / np.maximum(x.sum(axis=1, keepdims=True), 1)) for x in (words, grams)], axis=1)
 
 
 def _per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -96,6 +127,40 @@ def _features(bytes_: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.concatenate([np.sqrt(np.maximum(x[:, :12], 0)), x[:, 12:]], axis=1)
 
 
+def preferences(x: np.ndarray, wins: np.ndarray, loses: np.ndarray, ridge: np.ndarray) -> np.ndarray:
+    """The weights that make rows ``wins`` of ``x`` most likely preferred to rows ``loses``, less the ridge penalty.
+
+    Newton steps by conjugate gradients: pairs are never laid out, their terms are
+    added up by row.
+    """
+    n, pairs = len(x), len(wins)
+
+    def back(c: np.ndarray) -> np.ndarray:
+        return (np.bincount(wins, weights=c, minlength=n) - np.bincount(loses, weights=c, minlength=n)) @ x / pairs
+
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        s = x @ w
+        p = 1 / (1 + np.exp(-np.clip(s[wins] - s[loses], -30, 30)))
+        gradient, weight = back(1 - p) - ridge * w, p * (1 - p)
+        if np.abs(gradient).max() < 1e-7:
+            break
+        step, rest = np.zeros_like(w), gradient.copy()
+        along, size = rest.copy(), float(rest @ rest)
+        least = 1e-6 * size
+        for _ in range(60):
+            s = x @ along
+            curved = back(weight * (s[wins] - s[loses])) + ridge * along
+            length = size / float(along @ curved)
+            step, rest = step + length * along, rest - length * curved
+            size, before = float(rest @ rest), size
+            if size < least:
+                break
+            along = rest + size / before * along
+        w = w + step
+    return w
+
+
 class BradleyTerry:
     """Strengths by features, learnt from preference pairs."""
 
@@ -104,24 +169,17 @@ class BradleyTerry:
 
     @classmethod
     def fit(cls, good: np.ndarray, bad: np.ndarray, bad_share: float) -> BradleyTerry:
-        width = len(FEATURES)
+        width = good.shape[1]
         if not len(good) or not len(bad):  # nothing to compare: every text scores the same, above the threshold
             return cls(np.zeros(width), np.ones(width), np.zeros(width), -1.0, 1.0)
         every = np.concatenate([good, bad])
-        mean, scale = every.mean(axis=0), np.maximum(every.std(axis=0), 1e-3)
+        mean, scale = every.mean(axis=0, dtype=np.float64), np.maximum(every.std(axis=0, dtype=np.float64), 1e-3)
         rng = np.random.Generator(np.random.PCG64(7))
         pairs = min(PAIRS, 40 * len(every))
-        better, worse = (good - mean) / scale, (bad - mean) / scale
-        d = better[rng.permutation(pairs) % len(good)] - worse[rng.permutation(pairs) % len(bad)]
-        w = np.zeros(width)
-        for _ in range(30):  # Newton steps; the ridge keeps the weights finite when the classes separate
-            p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-            gradient = d.T @ (1 - p) / pairs - RIDGE * w
-            hessian = (d * (p * (1 - p))[:, None]).T @ d / pairs + RIDGE * np.eye(width)
-            step = np.linalg.solve(hessian, gradient)
-            w = w + step
-            if np.abs(step).max() < 1e-8:
-                break
+        x = (every - mean) / scale
+        wins, loses = rng.permutation(pairs) % len(good), len(good) + rng.permutation(pairs) % len(bad)
+        w = preferences(x, wins, loses, np.where(np.arange(width) < len(FEATURES), RIDGE, RIDGE_HASHED))
+        better, worse = x[: len(good)], x[len(good) :]
         strength = np.concatenate([better @ w, worse @ w])
         weight = np.concatenate([np.full(len(good), (1 - bad_share) / len(good)), np.full(len(bad), bad_share / len(bad))])
         order = np.argsort(strength, kind="stable")
@@ -161,17 +219,13 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sam
     def rows(batches):
         for batch in batches:
             x = features(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["quality", "x"])
 
     # 2 * sample ids at most: they are sent to every executor
     read = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("quality", "text")
-    got = read.mapInArrow(rows, "quality int, x array<double>").toPandas()
-    if len(got):
-        x = np.stack(got["x"].to_numpy())
-        x = x[order := np.lexsort((*x.T, got["quality"]))]  # the order in which tasks end must not show
-        good = got["quality"].to_numpy()[order] == 1
-    else:
-        x, good = np.zeros((0, len(FEATURES))), np.zeros(0, dtype=bool)
+    got = sorted(tuple(r) for r in read.mapInArrow(rows, "quality int, x binary").collect())  # the order in which tasks end must not show
+    x = np.frombuffer(b"".join(x for _, x in got), dtype=np.float32).reshape(-1, WIDTH)
+    good = np.array([q == 1 for q, _ in got], dtype=bool)
     return BradleyTerry.fit(x[good], x[~good], counts.get(0, 0) / max(1, sum(counts.values())))
 
 

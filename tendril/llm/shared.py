@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The session's checkpoint folder; a temporary one only where none is set and all runs on this machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tendril-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -45,3 +47,40 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name, "10000")) > rows or int(spark.conf.get(name, "10000")) <= 0:
         spark.conf.set(name, rows)
+
+
+#: Rows that a side has at most where it is broadcast after a count.
+SMALL = 200_000
+#: A class with more than this part of all rows, and a thousand, is sent to every task; there are no more than this many.
+HOT = 100_000
+
+
+def dealt(rows: DataFrame, sizes: DataFrame, keys: list[str], ident: str, size: int) -> DataFrame:
+    """``rows`` with ``cell`` and ``half``: every two rows of equal ``keys`` meet in exactly one cell.
+
+    ``sizes`` has the rows of each group as ``_n``.  A group of up to ``size`` rows is
+    cell 0.  A larger one is cut into parts by the hash of ``ident``; a cell holds
+    one part, or two (``half`` 0 and 1), and pairs within a part are taken where it
+    is alone.
+    """
+    large = stored(sizes.where(F.col("_n") > size), "large")
+    known = rows.join(F.broadcast(large) if large.count() <= SMALL else large, keys, "left")
+    parted = known.withColumn("_parts", F.coalesce(F.ceil(F.col("_n") / size), F.lit(1)).cast("long"))
+    parted = parted.withColumn("_part", F.pmod(F.xxhash64(ident), F.col("_parts")))
+    parted = parted.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    low, high = F.least(F.col("_part"), F.col("_other")), F.greatest(F.col("_part"), F.col("_other"))
+    return parted.withColumns({"cell": low * F.col("_parts") + high, "half": F.when(F.col("_part") > F.col("_other"), 1).otherwise(0)}).drop("_n", "_parts", "_part", "_other")
+
+
+def classed(rows: DataFrame, classes: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` left joined with ``classes``, a written table with a row for each of ``keys`` and its number of rows as ``count``.
+
+    A class of very many rows would go to one task.  Such classes are few, as their
+    counts add up to ``total`` at most: they are broadcast, and their rows stay where
+    they are.
+    """
+    least = max(1000, total // HOT)
+    hot, rest = classes.where(F.col(count) > least).drop(count), classes.where(F.col(count) <= least).drop(count)
+    found = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, "left")
+    return others.unionByName(found)

@@ -1,10 +1,18 @@
 """Removal of repeated passages by relative Lempel-Ziv parsing.
 
-Every document is parsed against an index of reference blocks: the index maps a
-window of ``window`` words to its first place in the corpus, its blocks lie where
-the windows' hashes send them, and a parse is a greedy walk over the document in
-which a factor goes on while the next window is known too.  Factors are thus at
-least ``window`` words long; their words are the duplicate spans.
+The reference is the corpus itself: an index, whose blocks lie where the windows'
+hashes send them, maps each window of ``window`` words to its first place.  A parse
+walks over a document and takes, at the next word at which a window is known from an
+earlier place, a factor from that place: it goes on, word by word in both texts, as
+long as the next window's place is the next one there.  Where it is another place
+the next factor begins, and windows across the boundary of two factors are known
+from places of their own.  Factors are thus at least ``window`` words long, and the
+words that they cover are the duplicate spans.
+
+Factors (words of the document, place in the reference) are stored with a digest of
+their words, and each distinct one is read again at its place: the words there must
+have that digest.  If they do not, which takes an equality of 95 hash bits, the
+parse is done again with other hashes.
 
 The index need not see windows that occur once.  Each document names some places
 that depend on nearby words alone: an anchor is a run of ``ANCHOR`` words whose
@@ -17,6 +25,7 @@ a batch and not once a document.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,11 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tendril.llm import kernels as K
+from tendril.llm.shared import SMALL, stored
 
 WINDOW = 20
 ANCHOR = 8
+#: Parses with other hashes, if words and hashes disagree.
+TRIES = 3
 
 FOUND = "key long, doc_id long, start int, starts binary"
+SENT = "key long, more int, doc_id long, start int, runs binary"
+#: Consecutive windows of a document that occur from ``ref_start`` on in ``ref_doc``.
+RUN = np.dtype([("start", "<i4"), ("windows", "<i4"), ("ref_doc", "<i8"), ("ref_start", "<i4")])
+FACTORS = "array<struct<first: int, last: int, ref_doc: long, ref_start: int, digest: binary>>"
 
 
 def _docs(docs: DataFrame) -> DataFrame:
@@ -56,21 +72,17 @@ def anchors(hashes: np.ndarray, first: np.ndarray, window: int, size: int) -> tu
     return run, starts, at
 
 
-def _pre_settled(key: np.ndarray, doc: np.ndarray, place: np.ndarray, everywhere: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries to send, the first of each key, and which are known to repeat an earlier one here.
+def _pre_settled(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries to send, the first of each key, and which are known to occur twice here.
 
-    Entries come in the order of ``doc, place``.  ``everywhere``: with a key that
-    occurs twice, the first is known to be repeated as well.
+    Entries come in the order of document and place.
     """
     order = np.argsort(key, kind="stable")
     same = np.zeros(len(key), dtype=bool)
     same[1:] = key[order[1:]] == key[order[:-1]]
     send, settled = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
     send[order[~same]] = True
-    settled[order[same]] = True
-    if everywhere:
-        more = np.append(same[1:], False) & ~same
-        settled[order[more]] = True
+    settled[order[same | np.append(same[1:], False)]] = True
     return send, settled
 
 
@@ -107,16 +119,16 @@ def _anchor_rows(window: int, size: int) -> Callable:
                 places.append(chosen - text.first[doc])
             if keys:
                 key, doc, place = np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
-                yield from _emit(ids, key, doc, place, *_pre_settled(key, doc, place, True))
+                yield from _emit(ids, key, doc, place, *_pre_settled(key))
 
     return rows
 
 
-def _repeats(found: DataFrame, every: bool) -> DataFrame:
-    """The places that occur elsewhere too: ``doc_id, start, starts``.
+def _repeated(found: DataFrame) -> DataFrame:
+    """The places of anchors that occur elsewhere too: ``doc_id, start, starts``.
 
     Rows come sorted by key; a key's rows are followed as they stream by, none are
-    kept.  ``every``: all places of a key with several; else all but the first.
+    kept but the last.
     """
 
     def rows(batches):
@@ -129,23 +141,19 @@ def _repeats(found: DataFrame, every: bool) -> DataFrame:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             key = batch.column(0).to_numpy()
             packed = ~np.array(batch.column(3).is_null())
-            plain = ~packed
             # packed rows have keys of their own kind: they never count as a neighbour
-            at = np.flatnonzero(plain)
+            at = np.flatnonzero(~packed)
             same = np.zeros(len(at), dtype=bool)
             if len(at):
                 same[1:] = key[at[1:]] == key[at[:-1]]
-                same[0] = last_key is not None and held is None and key[at[0]] == last_key
-                if held is not None:
-                    same[0] = last_repeats
+                same[0] = last_repeats if held is not None else last_key is not None and key[at[0]] == last_key
             keep = packed.copy()
             keep[at[same]] = True
             held = None
-            if every and len(at):
+            if len(at):
                 keep[at[:-1][same[1:]]] = True
                 if not keep[at[-1]]:  # the next batch may begin with its like
                     held = batch.slice(int(at[-1]), 1)
-            if len(at):
                 last_key, last_repeats = int(key[at[-1]]), bool(same[-1])
             out = batch.filter(pa.array(keep))
             if out.num_rows:
@@ -155,6 +163,42 @@ def _repeats(found: DataFrame, every: bool) -> DataFrame:
     return found.repartition("key").sortWithinPartitions(*order).mapInArrow(rows, "doc_id long, start int, starts binary")
 
 
+def _referred(sent: DataFrame) -> DataFrame:
+    """Each window that has an earlier place, with the first: ``doc_id, start, ref_doc, ref_start, runs``.
+
+    Rows come sorted by hash, document and place, so a window's first place streams by
+    before the others; only that is kept.
+    """
+
+    def rows(batches):
+        last = head = None  # the hash of the row before, and its window's first place
+        for batch in batches:
+            packed = np.array(batch.column(4).is_valid())
+            plain = batch.filter(pa.array(~packed))
+            n = plain.num_rows
+            if packed.any():
+                runs = batch.filter(pa.array(packed))
+                none = pa.nulls(runs.num_rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([runs.column(2), none, pa.nulls(runs.num_rows, pa.int64()), none, runs.column(4)], names=["doc_id", "start", "ref_doc", "ref_start", "runs"])
+            if not n:
+                continue
+            key, more, doc, start = (plain.column(k).to_numpy() for k in range(4))
+            new = np.ones(n, dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
+            new[0] = last != (int(key[0]), int(more[0]))
+            at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            ref_doc, ref_start = doc[at], start[at]
+            if not new[0]:
+                ref_doc[at < 0], ref_start[at < 0] = head
+            last, head = (int(key[-1]), int(more[-1])), (int(ref_doc[-1]), int(ref_start[-1]))
+            k = np.flatnonzero(~new)
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(start[k]), pa.array(ref_doc[k]), pa.array(ref_start[k]), pa.nulls(len(k), pa.binary())], names=["doc_id", "start", "ref_doc", "ref_start", "runs"])
+
+    order = ["key", "more", "doc_id", "start"]
+    return sent.repartition("key").sortWithinPartitions(*order).mapInArrow(rows, "doc_id long, start int, ref_doc long, ref_start int, runs binary")
+
+
 def _by_document(places: DataFrame) -> DataFrame:
     return places.groupBy("doc_id").agg(F.collect_list("start").alias("some"), F.collect_list("starts").alias("packed"))
 
@@ -165,13 +209,43 @@ def _unpack(some: pa.Array, packed: pa.Array, k: int) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
-def _window_rows(window: int, size: int) -> Callable:
+def _runs(doc: np.ndarray, start: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows in order of ``doc, start`` as runs that go on by one word in both texts, and each run's ``doc``."""
+    on = (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + 1) & (ref_doc[1:] == ref_doc[:-1]) & (ref_start[1:] == ref_start[:-1] + 1)
+    first = np.append(0, np.flatnonzero(~on) + 1)
+    out = np.empty(len(first), dtype=RUN)
+    out["start"], out["ref_doc"], out["ref_start"] = start[first], ref_doc[first], ref_start[first]
+    out["windows"] = np.diff(np.append(first, len(start)))
+    return out, doc[first]
+
+
+def _sent(ids: np.ndarray, key: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The first window of each hash here, to be looked up; and by document the runs of the others, which are known from it."""
+    order = np.lexsort((more, key))  # stable: the earliest place of a hash is its first
+    same = np.zeros(len(key), dtype=bool)
+    same[1:] = (key[order[1:]] == key[order[:-1]]) & (more[order[1:]] == more[order[:-1]])
+    head = np.empty(len(key), dtype=np.int64)
+    head[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))]
+    first = head == np.arange(len(key))
+    k = np.flatnonzero(first)
+    names = ["key", "more", "doc_id", "start", "runs"]
+    yield pa.RecordBatch.from_arrays([pa.array(key[k].view(np.int64)), pa.array(more[k]), pa.array(ids[doc[k]]), pa.array(place[k].astype(np.int32)), pa.nulls(len(k), pa.binary())], names=names)
+    k = np.flatnonzero(~first)
+    if len(k):
+        runs, owner = _runs(doc[k], place[k], ids[doc[head[k]]], place[head[k]])
+        cut = np.flatnonzero(np.diff(owner)) + 1
+        which = ids[owner[np.append(0, cut)]]
+        packed = pa.array([x.tobytes() for x in np.split(runs, cut)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(K.mix(which.astype(np.uint64)).view(np.int64)), pa.nulls(len(which), pa.int32()), pa.array(which), pa.nulls(len(which), pa.int32()), packed], names=names)
+
+
+def _window_rows(window: int, size: int, seed: int) -> Callable:
     def rows(batches):
         for batch in batches:
             batch = _ordered(batch.filter(batch.column(3).is_valid()))  # those with anchors to look up
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, at = K.strings(batch.column(1))
-            keys, docs, places = [], [], []
+            keys, mores, docs, places = [], [], [], []
             for i, j in K.slices(at):
                 text = K.words(data, at[i : j + 1], K.SPACED, False)
                 h = text.hashes()
@@ -182,26 +256,42 @@ def _window_rows(window: int, size: int) -> Callable:
                 where = np.flatnonzero(starts)
                 where = where[live[anchor[where]]]
                 doc = np.searchsorted(text.first, where, side="right") - 1
-                keys.append(K.grams(h, window)[where])
+                keys.append(K.grams(K.mix(h + np.uint64(2 * seed)), window)[where])
+                mores.append((K.grams(K.mix(h ^ np.uint64(2 * seed + 1)), window)[where] >> np.uint64(33)).astype(np.int32))
                 docs.append(doc + i)
                 places.append(where - text.first[doc])
             if keys:
-                key, doc, place = np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
-                yield from _emit(ids, key, doc, place, *_pre_settled(key, doc, place, False))
+                yield from _sent(ids, *(np.concatenate(x) for x in (keys, mores, docs, places)))
 
     return rows
 
 
-def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Greedy factors (first word, end) from the ascending places of known windows; those that touch or overlap are one span."""
-    if not len(starts):
+def factors(some: list[dict] | None, packed: list[bytes] | None, window: int) -> np.ndarray:
+    """The factors of a document, ascending, as runs of windows; they may overlap by less than a window."""
+    one = np.array([(x["start"], 1, x["ref_doc"], x["ref_start"]) for x in some or [] if x["start"] is not None], dtype=RUN)
+    many = [np.frombuffer(b, dtype=RUN) for b in packed or []]
+    runs = np.concatenate([one, *many])
+    if not len(runs):
+        return runs
+    runs = runs[np.argsort(runs["start"], kind="stable")]
+    end = runs["start"] + runs["windows"]
+    on = (runs["start"][1:] == end[:-1]) & (runs["ref_doc"][1:] == runs["ref_doc"][:-1]) & (runs["ref_start"][1:] == runs["ref_start"][:-1] + runs["windows"][:-1])
+    first = np.append(0, np.flatnonzero(~on) + 1)
+    out = runs[first].copy()
+    out["windows"] = np.add.reduceat(runs["windows"], first)
+    return out
+
+
+def spans(parse: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """The words (first, end) that factors cover; factors that touch or overlap are one span."""
+    if not len(parse):
         return []
-    cut = np.flatnonzero(np.diff(starts) > window) + 1
-    groups = np.split(starts, cut)
-    return [(int(g[0]), int(g[-1]) + window) for g in groups]
+    end = parse["start"] + parse["windows"] + window - 1
+    cut = np.flatnonzero(parse["start"][1:] > end[:-1]) + 1
+    return [(int(g[0]), int(e[-1])) for g, e in zip(np.split(parse["start"], cut), np.split(end, cut))]
 
 
-def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, seed: int = 0) -> DataFrame:
     """Documents with the places of windows that also start earlier: ``doc_id, text, some, packed``.
 
     Earlier means a smaller ``doc_id``, or the same document and an earlier word.
@@ -210,33 +300,33 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """
     size = min(anchor, window)
     text = _docs(docs)
-    live = _by_document(_repeats(text.where(F.col("doc_id").isNotNull()).mapInArrow(_anchor_rows(window, size), FOUND), True))
+    live = _by_document(_repeated(text.where(F.col("doc_id").isNotNull()).mapInArrow(_anchor_rows(window, size), FOUND)))
     # both joins keep every row of the same side, so Spark shuffles the texts once for the two of them
     with_live = text.join(live.hint("shuffle_hash"), "doc_id", "left")
-    again = _by_document(_repeats(with_live.mapInArrow(_window_rows(window, size), FOUND), False))
+    again = _referred(with_live.mapInArrow(_window_rows(window, size, seed), SENT))
+    again = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "ref_doc", "ref_start")).alias("some"), F.collect_list("runs").alias("packed"))
     return text.join(again.hint("shuffle_hash"), "doc_id", "left")
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """A row per document: ``doc_id, n_words, n_removed, spans`` (word ranges, end exclusive) and the kept ``text``.
+def _digest(text: K.Words, raw: bytes, first: int, end: int) -> bytes:
+    said = b" ".join(raw[s:e] for s, e in zip(text.start[first:end].tolist(), text.end[first:end].tolist()))
+    return hashlib.blake2b(said, digest_size=16).digest()
 
-    Words are runs without ASCII white space; kept words are joined by one space.
-    A null text has no words.  Ids are taken to be unique: rows of an equal id
-    share their spans.  Rows with a null id come out whole, as they have no place
-    in the order.
-    """
+
+def _parsed(docs: DataFrame, window: int, anchor: int, seed: int) -> DataFrame:
+    """``doc_id, n_words, n_removed, factors, spans, text``: the parse, and the text that is left."""
 
     def rows(batches):
         for batch in batches:
             data, at = K.strings(batch.column(1))
-            n, removed, spans, kept = [], [], [], []
+            n, removed, parses, covered, kept = [], [], [], [], []
             for i, j in K.slices(at):
                 text = K.words(data, at[i : j + 1], K.SPACED, False)
                 raw = text.data.tobytes()
                 for k in range(i, j):
                     a, b = int(text.first[k - i]), int(text.first[k - i + 1])
-                    mine = factors(_unpack(batch.column(2), batch.column(3), k), window)
-                    mine = [(x, min(y, b - a)) for x, y in mine]
+                    parse = factors(batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), window)
+                    mine = spans(parse, window)
                     gone = sum(y - x for x, y in mine)
                     if gone:
                         keep = np.ones(b - a, dtype=bool)
@@ -248,15 +338,66 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                         said = b" ".join(raw[at[k] - at[i] : at[k + 1] - at[i]].split()) if b > a else b""
                     n.append(b - a)
                     removed.append(gone)
-                    spans.append([{"first": x, "last": y} for x, y in mine])
+                    parses.append([{"first": s, "last": s + m + window - 1, "ref_doc": d, "ref_start": r, "digest": _digest(text, raw, a + s, a + s + m + window - 1)} for s, m, d, r in parse.tolist()])
+                    covered.append([{"first": x, "last": y} for x, y in mine])
                     kept.append(said)
+            factor = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32()), ("digest", pa.binary())])
+            span = pa.struct([("first", pa.int32()), ("last", pa.int32())])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_words", "n_removed", "spans", "text"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(parses, pa.list_(factor)), pa.array(covered, pa.list_(span)), pa.array(kept, pa.binary()).cast(pa.string())],
+                names=["doc_id", "n_words", "n_removed", "factors", "spans", "text"],
             )
 
-    schema = "doc_id long, n_words long, n_removed long, spans array<struct<first: int, last: int>>, text string"
-    return duplicate_spans(docs, window, anchor).mapInArrow(rows, schema)
+    schema = f"doc_id long, n_words long, n_removed long, factors {FACTORS}, spans array<struct<first: int, last: int>>, text string"
+    return duplicate_spans(docs, window, anchor, seed).mapInArrow(rows, schema)
+
+
+def false_factors(docs: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Factors of ``parsed``, each once, whose words are not those at their place: ``doc_id, start, words``."""
+    asked = parsed.select(F.explode("factors").alias("f")).select(F.col("f.ref_doc").alias("doc_id"), F.col("f.ref_start").alias("start"), (F.col("f.last") - F.col("f.first")).alias("words"), "f.digest").distinct()
+    asked = stored(asked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "words", "digest")).alias("asked")), "factors")
+    named = asked.select("doc_id")
+    texts = _docs(docs).join(F.broadcast(named) if asked.count() <= SMALL else named, "doc_id", "left_semi")
+
+    def rows(batches):
+        for batch in batches:
+            data, at = K.strings(batch.column(1))
+            bad = []
+            for i, j in K.slices(at):
+                text = K.words(data, at[i : j + 1], K.SPACED, False)
+                raw = text.data.tobytes()
+                for k in range(i, j):
+                    a = int(text.first[k - i])
+                    for x in batch.column(2)[k].as_py():
+                        if _digest(text, raw, a + x["start"], a + x["start"] + x["words"]) != x["digest"]:
+                            bad.append((batch.column(0)[k].as_py(), x["start"], x["words"]))
+            if bad:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*bad), (pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "start", "words"])
+
+    return texts.join(asked, "doc_id").mapInArrow(rows, "doc_id long, start int, words int")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """A row per document: ``doc_id, n_words, n_removed, factors, spans`` (word ranges, end exclusive) and the kept ``text``.
+
+    Words are runs without ASCII white space; kept words are joined by one space.
+    A null text has no words.  Rows with a null id come out whole, as they have no
+    place in the order.  Rows of equal id are documents of their own, in the order of
+    their texts; ``ref_doc`` is then a number of the row that is read, by which such
+    rows are told apart.  The result is read from a written table.
+    """
+    if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).count():
+        named = docs.select(F.col("doc_id").alias("_doc"), "text").where(F.col("doc_id").isNotNull()).repartitionByRange("_doc", "text").sortWithinPartitions("_doc", "text")
+        keyed = stored(named.withColumn("doc_id", F.monotonically_increasing_id()), "numbered")  # ascends with id and text
+        out = without_repeats(keyed, window, anchor).join(keyed.select("doc_id", "_doc"), "doc_id")
+        out = out.withColumn("doc_id", F.col("_doc").cast("long")).drop("_doc")
+        nameless = docs.where(F.col("doc_id").isNull())
+        return out.unionByName(without_repeats(nameless, window, anchor))
+    for seed in range(TRIES):
+        parsed = stored(_parsed(docs, window, anchor, seed), "parsed")
+        if not false_factors(docs, parsed).count():
+            return parsed
+    raise RuntimeError("windows of different words have equal hashes, whatever the hash")
 
 
 def digested(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -14,12 +14,14 @@ most.  Before a space between two visible characters, between an ASCII letter an
 another ASCII character, and after a lone line end before a letter there is always
 such a split, so a text's ids are those of its pieces cut there.
 Each task keeps the ids of the pieces that it has met (``CACHE_PIECES`` at most)
-and calls the tokenizer for new ones only.  ``split=False`` encodes whole texts,
-for tokenizers of another kind.
+and calls the tokenizer for new ones only.  Whether the tokenizer is of that kind
+is read from its file; another one encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -36,6 +38,8 @@ from tendril.llm.shared import shared_path, small_batches, stored
 
 LENGTH = 2048
 BATCH_ROWS = 64
+#: Bytes of text that go into a file, about; there are more files than tasks of a shuffle where the texts ask for it.
+FILE_BYTES = 256 << 20
 #: Distinct pieces whose ids a task remembers; it starts afresh when they are more.
 CACHE_PIECES = 1_000_000
 _SPACE = 0x20
@@ -49,16 +53,28 @@ _VISIBLE = np.zeros(256, dtype=bool)  # ASCII without controls and space
 _VISIBLE[0x21:0x7F] = True
 
 
+def splits(path: str) -> bool:
+    """Whether the tokenizer's file says byte-level BPE as the cuts above need it: its own pattern, texts as they are, no word marks."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    pre, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+    return (
+        model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        and said.get("normalizer") is None and not any(said.get(k) for k in ("truncation", "padding"))
+    )
+
+
 class Encoder:
     """Ids of the texts of an Arrow column, slice by slice."""
 
-    def __init__(self, path: str, end_id: int, split: bool):
+    def __init__(self, path: str, end_id: int, split: bool | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
-        self.end_id, self.split = end_id, split
+        self.end_id, self.split = end_id, splits(path) if split is None else split
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, k in self.tokenizer.get_vocab().items():
             self.bytes_of[k] = len(token)  # byte-level tokens are written with a character for each byte
@@ -152,7 +168,7 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder_for(path: str, end_id: int, split: bool) -> Encoder:
+def encoder_for(path: str, end_id: int, split: bool | None) -> Encoder:
     """One encoder for each worker process: the pieces it knows serve its later tasks too."""
     key = (path, end_id, split)
     if key not in _ENCODERS:
@@ -196,11 +212,11 @@ class SequenceWriter:
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def write_sequences(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, length: int = LENGTH, split: bool = True, files: int | None = None, order: list[Column] | None = None) -> DataFrame:
+def write_sequences(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, length: int = LENGTH, split: bool | None = None, files: int | None = None, order: list[Column] | None = None) -> DataFrame:
     """Writes the ids of all ``docs`` in ascending ``doc_id`` order, or by the columns of ``order``; returns a row per file.
 
     ``tokenizer`` is the path of a ``tokenizers`` file that every executor can
-    read.  A null text is empty and has the end id alone; null ids come first;
+    read; ``split`` overrides what its file says of cutting texts.  A null text is empty and has the end id alone; null ids come first;
     rows of equal id are written in the order of their texts (equal places of ``order`` in any).  The rows returned
     are ``part, path, n_docs, n_tokens`` by ``part``; they come from a written
     table, so the files are written once.  An empty table gives no rows.
@@ -208,7 +224,9 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str | None = None,
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "sequences")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / FILE_BYTES))
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if order is None:
         keys = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]

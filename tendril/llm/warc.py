@@ -3,7 +3,8 @@
 Pages go to shards of ``PER_SHARD`` consecutive ids.  A task writes each of its
 shards as one ``.warc.gz`` file, a gzip member per record, and the manifest lists
 every record's place: its ordinal, its range in the plain stream, its range in the
-file, and the SHA-256 of its plain bytes.
+file, and the SHA-256 of its plain bytes.  Files are read and copied in as many
+tasks as their bytes ask for, whatever the size of the manifest.
 
 The audit hashes records into a tree: a node holds up to ``FAN`` children in
 order, with the offset range that they cover, up to the root of a shard and on to
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +30,10 @@ from pyspark.sql import functions as F
 from tendril.llm.shared import shared_path, stored
 
 PER_SHARD = 4096
+#: Bytes of files that a task reads or copies, as far as whole shards allow.
+TASK_BYTES = 16 << 20
+#: What is not known of a page: when it was fetched.
+CAPTURED = "1970-01-01T00:00:00Z"
 BITS = 4
 FAN = 1 << BITS
 
@@ -38,12 +44,17 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
 
 
-def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
+def record_id(shard: int, ordinal: int) -> str:
+    """A UUID from the record's place, which is its alone."""
+    h = hashlib.md5(f"{shard}/{ordinal}".encode()).hexdigest()
+    return f"urn:uuid:{h[:8]}-{h[8:12]}-3{h[13:16]}-8{h[17:20]}-{h[20:]}"
+
+
+def record(shard: int, ordinal: int, url: str | None, html: str | None, captured: str = CAPTURED) -> bytes:
     """The plain bytes of a WARC record; nulls are empty, line ends in the URL are percent-encoded."""
     body = (html or "").encode()
     uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    name = "" if page_id is None else page_id
-    head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{name}>\r\nWARC-Target-URI: {uri}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
+    head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <{record_id(shard, ordinal)}>\r\nWARC-Date: {captured}\r\nWARC-Target-URI: {uri}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
     return head.encode() + body + b"\r\n\r\n"
 
 
@@ -54,14 +65,18 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
-def write_warc(pages: DataFrame, folder: str, per_shard: int = PER_SHARD) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, per_shard: int = PER_SHARD, captured: str = CAPTURED) -> DataFrame:
     """Writes all pages; returns the manifest, from a written table.
 
-    Shards hold the ids of one range of ``per_shard``; a null id counts as shard
-    -1.  Rows of equal id are records of their own, by url and html.  Only
-    ``page_id, url, html`` are read.
+    Shards hold the ids of one range of ``per_shard``, which should be dense: an
+    empty range has no file, a range with one id has a file of one record.  Rows
+    with a null id are dealt by their contents over shards below 0, as many as
+    ``per_shard`` of them need.  Rows of equal id are records of their own, by url
+    and html; equal rows stay apart too.  Only ``page_id, url, html`` are read.
     """
-    shard = F.coalesce(F.floor(F.col("page_id") / per_shard), F.lit(-1)).cast("long")
+    nameless = -(-pages.where(F.col("page_id").isNull()).count() // per_shard)
+    apart = -1 - F.pmod(F.xxhash64(F.col("url").cast("string"), F.col("html").cast("string")), F.lit(max(1, nameless)))
+    shard = F.coalesce(F.floor(F.col("page_id") / per_shard), apart).cast("long")
     order = [F.col(c).asc_nulls_first() for c in ("shard", "page_id", "url", "html")]
     dealt = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("shard", shard).repartition("shard").sortWithinPartitions(*order)
 
@@ -84,7 +99,7 @@ def write_warc(pages: DataFrame, folder: str, per_shard: int = PER_SHARD) -> Dat
                     close()
                     open_shard, out = shard, fs.open_output_stream(f"{top}/.{shard}-{attempt}", compression=None)
                     ordinal = offset = at = 0
-                plain = record(page_id, url, html)
+                plain = record(shard, ordinal, url, html, captured)
                 packed = gzip.compress(plain, mtime=0)
                 out.write(packed)
                 rows.append((page_id, shard, ordinal, offset, len(plain), at, len(packed), hashlib.sha256(plain).hexdigest()))
@@ -100,13 +115,20 @@ def _rows(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "sha256" else pa.int64()) for c, n in zip(zip(*rows), names)], names=list(names))
 
 
+def _by_bytes(manifest: DataFrame, *columns: Column | str) -> DataFrame:
+    """The manifest's rows by shard, in tasks that hold ``TASK_BYTES`` of files each: its own size says nothing of theirs."""
+    size, shards = manifest.agg(F.sum("file_length"), F.countDistinct("shard")).first()
+    tasks = max(math.ceil((size or 0) / TASK_BYTES), min(shards, manifest.sparkSession.sparkContext.defaultParallelism), 1)
+    return manifest.select(*columns).repartition(tasks, "shard").sortWithinPartitions("shard", "ordinal")
+
+
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
     """What a replica's files hold at the manifest's ranges: ``shard, ordinal, offset, length, sha256``.
 
     A file that is missing, a range that is cut short and a member that does not
     unpack have a null digest.
     """
-    listed = manifest.select("shard", "ordinal", "offset", "length", "file_offset", "file_length").repartition("shard").sortWithinPartitions("shard", "ordinal")
+    listed = _by_bytes(manifest, "shard", "ordinal", "offset", "length", "file_offset", "file_length")
 
     def read(batches):
         fs, top = _open(folder)
@@ -139,7 +161,7 @@ def copy_warc(manifest: DataFrame, source: str, target: str, damaged: Column) ->
 
     Returns the shards copied, from a written table.
     """
-    listed = manifest.select("shard", "ordinal", "file_offset", "file_length", F.coalesce(damaged, F.lit(False)).alias("damaged")).repartition("shard").sortWithinPartitions("shard", "ordinal")
+    listed = _by_bytes(manifest, "shard", "ordinal", "file_offset", "file_length", F.coalesce(damaged, F.lit(False)).alias("damaged"))
 
     def copy(batches):
         fs, top = _open(source)

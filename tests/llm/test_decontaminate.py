@@ -61,11 +61,11 @@ def test_like_plain_search(spark):
     check(spark, docs[:40], bench)
 
 
-def test_in_parts(spark, monkeypatch):
+def test_in_parts(spark):
     docs, bench = cases()
     d = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], DOCS)
     b = spark.createDataFrame([(i, t, "y") for i, t in bench], BENCH)
-    got = D.find_benchmark(d, b, most_bytes=20)
+    got = D.find_benchmark(d, b, most_bytes=900)
     n = {r.doc_id: (sum(h["last"] - h["first"] for h in r.hits), len(r.items)) for r in got.collect()}
     assert n == {e[0]: (e[2], e[3]) for e in expected(docs, bench)}
 
@@ -84,8 +84,26 @@ def test_null_and_repeated_ids(spark):
     docs = [(None, "x y"), (None, "a b"), (None, "a b"), (None, "q r"), (7, "x y"), (7, "c d"), (7, "u v"), (8, None)]
     d, b = check(spark, docs, [(1, "x y"), (2, "u v")])
     clean = sorted([(None, "a b"), (None, "a b"), (None, "q r"), (7, "c d"), (8, None)], key=repr)
-    for most in (D.MOST_PATTERN_BYTES, 1):  # in one part and in two
+    for most in (D.MOST_TABLE_BYTES, 1):  # in one part and in two
         kept = D.without_benchmark(d, b, most_bytes=most)
         assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == clean
         hits = D.find_benchmark(d, b, most_bytes=most).collect()
         assert sorted(((r.doc_id, r.n_words, len(r.hits), r["items"]) for r in hits), key=repr) == sorted(((i, len(words(t)), int(t in ("x y", "u v")), [k for k, x in (("1", "x y"), ("2", "u v")) if x == t]) for i, t in docs), key=repr)
+
+
+def test_tables_are_bounded(tmp_path):
+    """The bytes of a part's tables are no more than was counted, but for the least shift tables."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(1)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 5))) for _ in range(400)) for _ in range(2000)]
+    texts += ["same " * 30_000, "same " * 30_000]
+    part = D.Part.build([f"{k:04d}" for k in range(len(texts))], pa.array(texts), 10)
+    packed = part.packed()
+    counted = sum(len(t) + D._WORD_BYTES * len(t.split()) for t in texts)
+    assert len(packed) <= counted
+    again = D.Part.unpacked(packed)
+    assert again.names == part.names and all((x == y).all() for a, b in zip(part.matchers, again.matchers) for x, y in zip(a.arrays().values(), b.arrays().values()))
+    found = list(D._found(pa.array([texts[5] + " x", "same " * 12]), again))
+    assert found[0][4][0] == {5} and found[0][4][1] == {2000, 2001} and len(np.unique(part.matchers[0].bucket)) <= len(part.matchers[0].bucket)

@@ -1,7 +1,9 @@
 """Token files and WARC files: round trips, random access, damage."""
 
+import gzip
 import hashlib
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -21,7 +23,7 @@ def texts():
     return ["".join(r.choice(pieces) for _ in range(r.randrange(0, 15))) for _ in range(300)] + [None, "", "long " * 40_000]
 
 
-@pytest.mark.parametrize("split", [True, False])
+@pytest.mark.parametrize("split", [True, False, None])
 def test_ids_round_trip(spark, tmp_path, split):
     from tokenizers import Tokenizer
 
@@ -44,6 +46,21 @@ def test_ids_round_trip(spark, tmp_path, split):
     assert mask.sum() == first.n_tokens - last * 64
 
 
+def test_kind_of_tokenizer_and_files_by_bytes(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    words = public_tokenizers.path("word_bpe_49k.json")
+    assert T.splits(tokenizer_path()) and not T.splits(words)
+    rows = [(k, "Some words of a text, é", "p", "q") for k in range(40)]
+    monkeypatch.setattr(T, "FILE_BYTES", 100)
+    files = T.write_sequences(spark.createDataFrame(rows, DOCS), words, str(tmp_path / "out"))
+    assert files.count() == 10
+    n = len(Tokenizer.from_file(words).encode(rows[0][1], add_special_tokens=False).ids) + 1
+    assert {r.n_tokens for r in T.read_documents(files).collect()} == {n}
+
+
 def test_no_documents_and_null_id(spark):
     df = spark.createDataFrame([], DOCS)
     assert T.tokens_written(df, tokenizer_path()).count() == 0
@@ -63,7 +80,7 @@ def test_audit_finds_the_damage(spark):
     for r in got:
         assert r.damaged == (r.ordinal % 37 == 5)
     one = next(r for r in got if r.page_id == 9)
-    plain = W.record(9, "http://x/3\r\n", None)
+    plain = W.record(one.shard, one.ordinal, "http://x/3\r\n", None)
     assert one.sha256 == hashlib.sha256(plain).hexdigest() and one.length == len(plain)
     assert not any(r.damaged for r in W.drill(df, F.lit(False), per_shard=256).collect())
 
@@ -77,6 +94,39 @@ def test_missing_file_and_records(spark, tmp_path):
     theirs = W.merkle(W.read_warc(m, str(tmp_path / "w")), 256, 4)
     bad = W.audit(W.merkle(m, 256, 4), theirs, 256).collect()
     assert {r.shard for r in bad} == {1} and len(bad) == m.where("shard = 1").count()
-    fields, body = W.parse_record(W.record(1, "u\n", "é"))
+    fields, body = W.parse_record(W.record(1, 2, "u\n", "é"))
     assert fields["WARC-Target-URI"] == "u%0A" and body.decode() == "é"
+    assert uuid.UUID(fields["WARC-Record-ID"][10:-1]) != uuid.UUID(W.record_id(1, 3)[9:]) and fields["WARC-Date"].endswith("Z")
     assert W.drill(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_damage_that_unpacks(spark, tmp_path):
+    """A record that another one replaces, records that are swapped, and a file that is cut short."""
+    df = spark.createDataFrame([(k, "u", f"page {k % 10}", "s") for k in range(500)], PAGES)
+    m = W.write_warc(df, str(tmp_path / "w"), 128)
+    at = {(r.shard, r.ordinal): r for r in m.collect()}
+    raw = {s: bytearray((tmp_path / "w" / f"shard-{s}.warc.gz").read_bytes()) for s in range(4)}
+    member = lambda r: bytes(raw[r.shard][r.file_offset : r.file_offset + r.file_length])
+    put = lambda r, b: raw[r.shard].__setitem__(slice(r.file_offset, r.file_offset + r.file_length), b)
+    one, two = at[0, 5], next(r for r in at.values() if r.shard == 0 and r.ordinal > 5 and r.file_length == at[0, 5].file_length)
+    a, b = member(one), member(two)
+    put(one, b), put(two, a)
+    other = at[2, 7]
+    for k in range(1 << 16):
+        plain = gzip.decompress(member(other)).replace(b"page 3", b"pa%04x" % k)
+        if len(packed := gzip.compress(plain, mtime=0)) == other.file_length and b"page" not in plain:
+            break
+    put(other, packed)
+    for s, data in raw.items():
+        cut = at[3, 90].file_offset + 3 if s == 3 else None
+        (tmp_path / "w" / f"shard-{s}.warc.gz").write_bytes(data[:cut])
+    bad = W.audit(W.merkle(m, 128, 3), W.merkle(W.read_warc(m, str(tmp_path / "w")), 128, 3), 128).collect()
+    assert {(r.shard, r.ordinal) for r in bad} == {(0, 5), (0, two.ordinal), (2, 7)} | {k for k in at if k[0] == 3 and k[1] >= 90}
+
+
+def test_null_and_equal_pages(spark):
+    """Null ids in as many shards as they need; equal rows are records of their own."""
+    rows = [(None, f"u{k}", "x", "s") for k in range(300)] + [(7, "u", "x", "s")] * 40
+    got = W.drill(spark.createDataFrame(rows, PAGES), F.col("shard") == -1, per_shard=64).collect()
+    assert len(got) == 340 and len({(r.shard, r.ordinal) for r in got}) == 340
+    assert len({r.shard for r in got if r.shard < 0}) == 5 and all(r.damaged == (r.shard == -1) for r in got)

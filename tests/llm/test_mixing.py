@@ -4,8 +4,9 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
-from tendril.llm.mixing import mixed, natural_weights, one_round, planned, quotas
+from tendril.llm.mixing import laid_out, mixed, natural_weights, one_round, planned, quotas
 
 SCHEMA = "doc_id long, text string, source string, _slot string"
 
@@ -24,13 +25,14 @@ def test_deviation(counts):
 
 def test_every_document_is_there(spark):
     rows = [(k, "t", "hot" if k % 3 else None, "z") for k in range(700)] + [(1000 + k, None, f"s{k % 4}", "z") for k in range(40)] + [(5, "t", "hot", "z"), (None, "n", "hot", "z")]
-    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("_slot", "slot")
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"_at": F.lit(1), "_before": F.lit(2)})
     out = mixed(df, block=4)
     got = out.collect()
     n = Counter((r.doc_id, r.source) for r in got)
     assert set(n) == {(r[0], r[2]) for r in rows} and n[(5, "hot")] >= 2
     places = [(r._slot, r._place) for r in got]
     assert len(set(places)) == len(places) and len({r._slot for r in got}) == max(r._slot for r in got) + 1
+    assert out.columns == ["doc_id", "text", "source", "_at", "_before", "_source", "_slot", "_place"] and {(r._at, r._before) for r in got} == {(1, 2)}
     by_slot = {}
     for r in got:
         assert by_slot.setdefault(r._slot, r._source) == r._source
@@ -38,7 +40,7 @@ def test_every_document_is_there(spark):
 
 
 def test_given_weights(spark):
-    df = spark.createDataFrame([(k, "t", "ab"[k % 2], "z") for k in range(400)], SCHEMA).drop("_slot")
+    df = spark.createDataFrame([(k, "t", "ab"[k % 2], "z") for k in range(400)], SCHEMA)
     got = Counter(r._source for r in mixed(df, weights={"a": Fraction(3), "b": Fraction(1)}, block=2).collect())
     assert got["b"] == 200 and 590 <= got["a"] <= 610
     with pytest.raises(ValueError):
@@ -54,11 +56,14 @@ EXACT = [
 ]
 
 
+@pytest.mark.parametrize("states", [10**6, 1])
 @pytest.mark.parametrize("weights,n", EXACT)
-def test_exact_weights_over_many_rounds(weights, n):
+def test_exact_weights_over_many_rounds(weights, n, states):
     total, size = sum(weights.values()), quotas(weights)[1]
     blocks = {s: max(1, int(n * size * w / total)) for s, w in weights.items()}
-    plan, placed, size, last = planned(weights, blocks)
+    starts, placed, size, last = planned(weights, blocks, states)
+    plan = [x for start in starts for x in laid_out(weights, size, start)]
+    assert [x[0] for x in plan] == list(range(len(plan))) and (len(starts) <= 2 if states == 1 else len(starts) == len(plan))
     done, slot = Counter(), 0
     for r, before, share in plan:
         names = sorted(weights)

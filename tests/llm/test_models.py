@@ -2,8 +2,10 @@
 
 import os
 
+import numpy as np
 import pytest
 
+import tendril.llm.language as L
 from tendril.llm.language import languages
 from tendril.llm.quality import accepted, judged
 
@@ -45,3 +47,38 @@ def test_language_odd_rows(spark):
     assert languages(spark.createDataFrame([], DOCS)).count() == 0
     alone = languages(spark.createDataFrame([(1, "abc", None, "")], DOCS)).first()
     assert (alone.lang_pred, alone.score) == ("und", 0.0)
+
+
+def test_phrases_like_a_plain_parse():
+    g = np.random.default_rng(4)
+    for size in (1, 40, 700):
+        model = g.integers(0, 5, size).astype(np.uint8)
+        texts = [g.integers(0, 6, n).astype(np.uint8) for n in (0, 1, 17, 256, 257, 900)]
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        got = L.phrases([L.automaton(model)], np.concatenate(texts), at)[:, 0]
+        known = model.tobytes()
+        for t, n in zip(texts, got):
+            want = 0
+            for begin in range(0, len(t), L.STRETCH):
+                rest = t[begin : begin + L.STRETCH].tobytes()
+                while rest:
+                    k = 1
+                    while k < len(rest) and rest[: k + 1] in known:
+                        k += 1
+                    rest, want = rest[k:], want + 1
+            assert n == want
+
+
+def test_language_of_signs_and_repeated_rows(spark):
+    rows = [(k, "the house and the garden", "en", "") for k in range(9)] * 2 + [(300 + k, t, "en", "") for k, t in enumerate(["²", "½ ①", "Ⅷ", "٣", "_"])] + [(400, "ª", None, ""), (400, "the", None, "")]
+    got = [(r.doc_id, r.lang_pred) for r in languages(spark.createDataFrame(rows, DOCS)).collect()]
+    assert len(got) == len(rows) and sorted(got)[-7:] == [*((300 + k, "und") for k in range(5)), (400, "en"), (400, "en")]
+
+
+def test_language_bounds(spark):
+    """Equal shares of the documents; no more label values than asked for, those with most documents."""
+    rows = [(k, "abcdefgh " * 9000 if k == 1 else "zyxw", "a", "") for k in range(40)] + [(100 + k, "word", f"junk{k}", "") for k in range(30)]
+    model = L.learn(spark.createDataFrame(rows, DOCS), symbols_each=600, languages=3)
+    assert list(model)[0] == "a" and len(model) == 3
+    share = 600 // model["a"].count(b"\0") - 1
+    assert max(map(len, model["a"].split(b"\0"))) <= share and len(model["a"]) <= 600

@@ -1,6 +1,7 @@
 """Vector links against all pairs; recall of the bands."""
 
 import numpy as np
+import pyarrow as pa
 
 import tendril.llm.neardup as N
 
@@ -71,18 +72,51 @@ def test_empty(spark):
 
 
 def test_bands_recall():
+    agree = 1 - np.arccos(0.9) / np.pi
     for n in (500, 10**6, 10**9):
         bits, bands = N.bands_for(n)
-        agree = 1 - np.arccos(0.9) / np.pi
         assert 1 - (1 - agree**bits) ** bands >= 0.999
+    assert bands < 200
+
+
+def test_measured_recall(spark):
+    """Searches of every id divisible by 50 against all rows, by brute force."""
+    g = np.random.default_rng(8)
+    base = g.standard_normal((400, 32))
+    x = np.float32(base[g.integers(400, size=6000)] + g.standard_normal((6000, 32)) * g.choice([0.2, 0.3, 0.35], size=(6000, 1)))
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    want = {k: int((unit @ unit[k] >= 0.9).sum()) - 1 for k in range(0, 6000, 50)}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in N.near_duplicates(df).where("vec_id % 50 = 0").collect()}
+    assert sum(want.values()) > 300 and all(got[k] <= n for k, n in want.items())
+    assert sum(got.values()) >= 0.99 * sum(want.values())
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [-2.0, 1.0]), (None, [1.0, 2.0]), (4, [2.0, 4.1]), (4, None), (5, [-0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], SCHEMA)
+    got = sorted(map(tuple, N.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (1, 0, 1, True), (None, 0, None, True), (4, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True)], key=repr)
+
+
+def test_one_very_common_vector(spark):
+    rows = [(k, [1.0, float(k > 2500)]) for k in range(3000)] + [(5000, [1.01, 0.0])]
+    got_ = got(spark, rows)
+    assert got_[7] == (2501, 0, False) and got_[2600] == (498, 2501, False) and got_[5000] == (2501, 0, False) and got_[0] == (2501, 0, True)
 
 
 def test_estimate_is_unbiased_and_bounded():
     g = np.random.default_rng(0)
-    x = g.standard_normal((400, 64))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    s = N.Side(np.arange(400), np.ones(400), [r.astype("<f8").tobytes() for r in x], [bytes(2)] * 400, "<f8", 16)
-    error = s.code @ s.turned.T / s.factor[:, None] - x @ x.T
-    off = ~np.eye(400, dtype=bool)
-    assert abs(error[off].mean()) < 0.01
-    assert (np.abs(error) <= N.CONFIDENCE * s.spread[:, None] + 1e-9)[off].all()
+    for width in (8, 64, 300):
+        x = g.standard_normal((400, width)) + g.standard_normal(width)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        code, factor = N.encode(x)
+        group = {"rep": np.arange(400), "code": pa.array([c.tobytes() for c in code]), "factor0": factor[:, 0], "factor1": factor[:, 1]}
+        s = N.Side(group, np.arange(400), width, 8, 4)
+        cosine = x @ x.T
+        said, spread = N.estimates(s, s, slice(0, 400), 0.5)
+        off = (cosine >= 0.5) & ~np.eye(400, dtype=bool)
+        error = (said - cosine)[off]
+        assert abs(error.mean()) < 0.02 and (np.abs(error) <= N.CONFIDENCE * spread[off]).all()
+        i, j = N.possible_pairs(s, s, 0, True, 0.9)
+        assert set(zip(*np.nonzero(np.triu(cosine >= 0.9, 1)))) <= set(zip(i, j)) and len(i) < 400 * 399 / 2
