@@ -90,10 +90,10 @@ def expense_phase(s: Column) -> Column:
 
 
 #: Fixed values: (part of the address, label), the first that is found counts.
-URL_CONTEXTS = (("/itens", "items"), ("/resultados", "results"), ("/arquivos", "files"), ("/contratos", "contracts"), ("/contratacoes", "tenders"))
+URL_CONTEXTS = (("/contratacoes/", "contratacoes"), ("/resultados", "resultados"), ("/itens", "itens"), ("/arquivos", "arquivos"), ("/contratos", "contratos"))
 
 
-def url_context(url: Column, contexts=URL_CONTEXTS, other: str = "other") -> Column:
+def url_context(url: Column, contexts=URL_CONTEXTS, other: str = "outro") -> Column:
     out = F.lit(other)
     for part, label in reversed(contexts):
         out = F.when(F.coalesce(url, F.lit("")).contains(part), F.lit(label)).otherwise(out)
@@ -117,7 +117,7 @@ def content_key(columns: list[Column], n: int = 32) -> Column:
 
 def money_label(v: Column) -> Column:
     """``R$ 1.234.567``; null says that there is no value."""
-    return F.coalesce(F.concat(F.lit("R$ "), F.replace(F.format_number(v, 0), F.lit(","), F.lit("."))), F.lit("sem valor"))
+    return F.coalesce(F.concat(F.lit("R$ "), F.replace(F.format_number(F.round(v, 0), 0), F.lit(","), F.lit("."))), F.lit("valor não informado"))
 
 
 def pct_change(old: Column, new: Column, places: int = 1) -> Column:
@@ -149,4 +149,20 @@ def repair_double_encoded(s: Column) -> Column:
 
 
 def string_array(s: Column, default: Column | None = None) -> Column:
+    """A JSON array of texts; ``default``, else an empty array, for null and for what is none."""
     return F.coalesce(F.from_json(s, "array<string>"), default if default is not None else F.array().cast("array<string>"))
+
+
+def json_kind(s: Column) -> Column:
+    """``object``, ``array``, ``string``, ``number``, ``boolean`` or ``null`` of a JSON text; null if it is none."""
+    kind = F.regexp_extract(F.schema_of_variant(F.try_parse_json(s)), "^[A-Z]+", 0)
+    names = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+    out = F.lit("number")
+    for k, v in names.items():
+        out = F.when(kind == k, F.lit(v)).otherwise(out)
+    return F.when(kind != "", out)
+
+
+def without_key(document: Column, key: str) -> Column:
+    """A document (map) without one of its fields."""
+    return F.map_filter(document, lambda k, _: k != F.lit(key))

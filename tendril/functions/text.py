@@ -17,7 +17,7 @@ def _folding() -> tuple[str, str]:
 
 _ACCENTED, _BASE = _folding()
 # fixed values: letters that the dictionary flavour spells out
-_SPELLED = (("ß", "ss"), ("œ", "oe"), ("æ", "ae"), ("ø", "o"), ("ł", "l"), ("đ", "d"))
+_SPELLED = (("ß", "ss"), ("œ", "oe"), ("æ", "ae"), ("ø", "o"), ("ł", "l"), ("đ", "d"), ("ð", "d"), ("þ", "th"), ("ħ", "h"), ("ı", "i"), ("ŧ", "t"))
 # fixed values: named entities that are decoded
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"), ("&atilde;", "ã"), ("&otilde;", "õ"), ("&ccedil;", "ç"), ("&acirc;", "â"), ("&ecirc;", "ê"), ("&ocirc;", "ô"), ("&agrave;", "à"), ("&amp;", "&"))
 
@@ -34,16 +34,26 @@ def fold_accents(s: Column, dictionary: bool = False) -> Column:
 def slug(s: Column, separator: str = "-") -> Column:
     """Folded, with runs of anything but letters and digits as one separator, none at the ends."""
     runs = F.regexp_replace(fold_accents(s), "[^a-z0-9]+", separator)
-    return F.regexp_replace(runs, f"^{separator}+|{separator}+$", "")
+    return F.regexp_replace(runs, f"^{separator}+|{separator}+$", "") if separator else runs
 
 
 def term_words(term: Column) -> Column:
     """The folded words of more than one character."""
-    return F.filter(F.split(fold_accents(term), r"\s+"), lambda w: F.length(w) > 1)
+    return F.filter(F.split(fold_accents(term, True), r"\s+"), lambda w: F.length(w) > 1)
+
+
+def _pattern(word: Column) -> Column:
+    return F.concat(F.lit("%"), F.replace(word, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
 
 
 def _like_anywhere(text: Column, word: Column) -> Column:
-    return F.call_function("like", text, F.concat(F.lit("%"), F.replace(word, F.lit("\\"), F.lit("\\\\")), F.lit("%")))
+    return F.call_function("like", text, _pattern(word))
+
+
+def wildcard_words(terms: Column) -> Column:
+    """For each term its words, each with its LIKE pattern and whether it has wildcards; terms without words are dropped."""
+    word = lambda w: F.struct(w.alias("word"), _pattern(w).alias("pattern"), w.rlike("[%_]").alias("wild"))
+    return F.filter(F.transform(terms, lambda t: F.transform(term_words(t), word)), lambda t: F.size(t) > 0)
 
 
 def folded_matches(folded: Column, terms: Column) -> Column:
@@ -55,10 +65,11 @@ def folded_matches(folded: Column, terms: Column) -> Column:
 def text_matches(text: Column, terms: Column) -> Column:
     """Whether some term has all its words of more than one character in ``text``, in any order.
 
-    Words count as substrings, and ``%`` and ``_`` in them as wildcards.  No terms,
-    a null text and terms without such words do not match.
+    Text and terms are folded by the dictionary flavour.  Words count as substrings,
+    and ``%`` and ``_`` in them as wildcards.  No terms, a null text and terms
+    without such words do not match.
     """
-    return text.isNotNull() & folded_matches(fold_accents(text), terms)
+    return text.isNotNull() & folded_matches(fold_accents(text, True), terms)
 
 
 def text_matches_phrase(text: Column, terms: Column) -> Column:
@@ -73,9 +84,12 @@ def effective_terms(include: Column, approved: Column) -> Column:
 
 
 def decode_entities(s: Column) -> Column:
-    """Decimal entities of Latin-1 letters and a fixed set of named ones; ``&amp;`` last."""
-    numeric = F.regexp_extract_all(s, F.lit(r"&#(\d{1,5});"), F.lit(1))
-    out = F.aggregate(F.array_distinct(numeric), s, lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 4, "0")), "UTF-16BE")))
+    """Decimal entities of any character and a fixed set of named ones; ``&amp;`` last; what is no character stays."""
+    numeric = F.regexp_extract_all(s, F.lit(r"&#(\d{1,7});"), F.lit(1))
+    point = lambda n: n.cast("int")
+    real = lambda n: (point(n) > 0) & (point(n) <= 0x10FFFF) & ~point(n).between(0xD800, 0xDFFF)
+    character = lambda n: F.decode(F.unhex(F.lpad(F.hex(point(n)), 8, "0")), "UTF-32")
+    out = F.aggregate(F.filter(F.array_distinct(numeric), real), s, lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), character(n)))
     for a, b in _ENTITIES:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
@@ -97,3 +111,17 @@ def composite_key(*parts: Column) -> Column:
 def process_key(agency_code: Column, modality: Column, number: Column) -> Column:
     """``agency:folded modality (12 characters):number``."""
     return F.concat_ws(":", agency_code, F.left(slug(modality, ""), F.lit(12)), number)
+
+
+def register_functions(spark) -> None:
+    """``fold_text``, ``text_ok`` and ``effective_terms`` as SQL functions of the session, by SQL expressions, not by Python."""
+    fold = f"translate(lower(coalesce({{}}, '')), '{_ACCENTED}', '{_BASE}')"
+    for a, b in _SPELLED:
+        fold = f"replace({fold}, '{a}', '{b}')"
+    words = f"filter(split({fold.format('t')}, '\\\\s+'), w -> length(w) > 1)"
+    like = "s LIKE concat('%', replace(w, '\\\\', '\\\\\\\\'), '%')".replace("s LIKE", f"{fold.format('s')} LIKE")
+    ok = f"s IS NOT NULL AND coalesce(exists(terms, t -> size({words}) > 0 AND forall({words}, w -> {like})), false)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION fold_text(s STRING) RETURNS STRING RETURN {fold.format('s')}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION text_ok(s STRING, terms ARRAY<STRING>) RETURNS BOOLEAN RETURN {ok}")
+    none = "cast(array() AS array<string>)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION effective_terms(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS ARRAY<STRING> RETURN filter(array_union(coalesce(a, {none}), coalesce(b, {none})), t -> length(trim(t)) > 1)")

@@ -126,11 +126,13 @@ def state_diff(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame
     empty = F.create_map().cast("map<string,string>")
     after = keys.join(last, "key", "left").join(known, "key", "left").join(version, "key", "left").select("key", F.coalesce("data", empty).alias("data"), F.coalesce("after", "version").cast("long").alias("version"))
 
-    # the document before a changed row: for each field its last value before that row
-    spans = fields.withColumn("until", F.lead("seq").over(Window.partitionBy("key", "field").orderBy("seq"))).select(F.col("key").alias("_key"), "field", "value", F.col("seq").alias("since"), "until")
-    closing = made.where(~F.col("is_new"))
-    held = closing.join(spans, (F.col("key") == F.col("_key")) & (F.col("since") < F.col("seq")) & (F.col("until").isNull() | (F.col("until") >= F.col("seq"))), "left")
-    closed = held.groupBy("key", "seq", "after").agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "value"))))).alias("data")).select("key", F.col("seq").alias("closed_by"), "data", (F.col("after") - 1).cast("long").alias("version"))
+    # the document before a changed row: each field's last value before it, carried along the field's rows
+    closing = made.where(~F.col("is_new")).join(fields.select("key", "field").distinct(), "key").select("key", "field", "seq", F.lit(None).cast("struct<value: string>").alias("said"), F.lit(0).alias("_late"), "after")
+    values = fields.select("key", "field", "seq", F.struct("value").alias("said"), F.lit(1).alias("_late"), F.lit(None).cast("long").alias("after"))
+    upto = Window.partitionBy("key", "field").orderBy("seq", "_late").rowsBetween(Window.unboundedPreceding, -1)
+    held = closing.unionByName(values).withColumn("held", F.last("said", ignorenulls=True).over(upto)).where(F.col("_late") == 0)
+    entry = F.when(F.col("held").isNotNull(), F.struct("field", F.col("held.value").alias("value")))
+    closed = held.groupBy("key", "seq", "after").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("data")).select("key", F.col("seq").alias("closed_by"), "data", (F.col("after") - 1).cast("long").alias("version"))
     return events, after, closed
 
 

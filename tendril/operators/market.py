@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -131,10 +133,10 @@ def last_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataF
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
 
 
-def source_health(runs: DataFrame, source: str, ended: str, ok: Column, n: int = 8) -> DataFrame:
-    """Runs, last success and the last ``n`` runs' results by source, newest first."""
+def source_health(runs: DataFrame, source: str, ended: str, ok: Column, ident: str, n: int = 8) -> DataFrame:
+    """Runs, last success and the last ``n`` runs' results by source, newest first; runs that end together go by ``ident``."""
     totals = runs.groupBy(source).agg(F.count("*").alias("runs"), F.date_format(F.max(F.when(ok, F.col(ended))), "yyyy-MM-dd HH:mm:ss").alias("last_success"))
-    recent = last_n(runs.withColumn("_ok", ok), [source], [F.col(ended).desc(), F.col("event_id").desc()], n).groupBy(source).agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct(ended, "event_id", F.col("_ok").cast("int").alias("ok"))))), lambda x: x["ok"].cast("string")), "").alias("recent"))
+    recent = last_n(runs.withColumn("_ok", ok), [source], [F.col(ended).desc(), F.col(ident).desc()], n).groupBy(source).agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct(ended, ident, F.col("_ok").cast("int").alias("ok"))))), lambda x: x["ok"].cast("string")), "").alias("recent"))
     return totals.join(recent, source)
 
 
@@ -174,5 +176,8 @@ def progress_pct(done: Column, size: Column) -> Column:
     return F.when(size > 0, F.round(done * 100 / size, 1))
 
 
-def expected_range(df: DataFrame, date: str) -> DataFrame:
-    return df.agg(F.min(date).alias("first"), F.max(date).alias("last"))
+
+def future(kinds: dict[str, DataFrame], n: int = 30) -> DataFrame:
+    """The ``n`` nearest of several kinds of purchases to come (``key, day``), ties by kind and key."""
+    rows = [df.select(F.lit(kind).alias("kind"), "key", "day") for kind, df in kinds.items()]
+    return reduce(DataFrame.unionByName, rows).orderBy("day", "kind", "key").limit(n)

@@ -9,105 +9,148 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tendril.functions.parse import money_label, pct_change
-from tendril.functions.text import effective_terms, fold_accents, term_words
-from tendril.operators.market import money
+from tendril.functions.text import effective_terms, fold_accents, text_matches, wildcard_words
+from tendril.operators.market import last_n, money
 
 #: Rules that are sent to every executor at once; more are taken in parts of this size.
 RULES_AT_ONCE = 10_000
+#: Flags that are null are on; a null number of days is ``CONTRACT_DAYS``.
 RULE = (
     "monitor_id long, include array<string>, exclude array<string>, approved array<string>, states array<string>, cities array<string>, agencies_in array<string>, agencies_out array<string>, "
-    "modalities array<string>, statuses array<string>, value_min double, value_max double, opens_within_days int, price_min double, price_max double, codes array<string>, suppliers array<string>"
+    "modalities array<string>, statuses array<string>, value_min double, value_max double, opens_within_days int, price_min double, price_max double, codes array<string>, suppliers array<string>, "
+    "deserted boolean, failed boolean, contracts boolean, contract_days int, registers boolean, plans boolean"
 )
+CONTRACT_DAYS, NEAR_DAYS = 180, 30
+#: What is remembered of a match; a change of any of these is a change of the match.
+SNAPSHOT = ("object", "value", "status", "status_source", "closes", "state", "city", "agency", "modality", "awarded")
+OBJECT_CHARS = 300
 
+def _listed(name: str) -> Column:
+    return F.coalesce(F.col(name), F.array().cast("array<string>"))
 
-def _patterns(terms: Column) -> Column:
-    """For each term the LIKE patterns of its words; terms without words of two characters are dropped."""
-    words = lambda t: F.transform(term_words(t), lambda w: F.concat(F.lit("%"), F.replace(w, F.lit("\\"), F.lit("\\\\")), F.lit("%")))
-    return F.filter(F.transform(F.coalesce(terms, F.array().cast("array<string>")), words), lambda p: F.size(p) > 0)
 
+def _off_or(name: str, condition: Column) -> Column:
+    """A condition by a list, which is off if the list is empty."""
+    return (F.size(_listed(name)) == 0) | F.coalesce(condition, F.lit(False))
 
-def _matches(folded: Column, patterns: Column) -> Column:
-    return F.exists(patterns, lambda p: F.forall(p, lambda w: F.call_function("like", folded, w)))
 
+def _on(flag: str) -> Column:
+    return F.coalesce(F.col(flag), F.lit(True))
 
-def _off_or(rule: str, condition: Column) -> Column:
-    return (F.size(F.coalesce(rule, F.array().cast("array<string>"))) == 0) | F.coalesce(condition, F.lit(False))
 
+def _any_like(name: str, value: Column) -> Column:
+    """Whether some pattern of the list holds, as it is written, whatever the case."""
+    return F.exists(name, lambda p: F.call_function("ilike", value, p))
 
-def match_records(records: DataFrame, items: DataFrame, rules: DataFrame, as_of) -> DataFrame:
-    """``monitor_id`` with the columns of each record that meets all of a rule's conditions.
 
-    ``records``: ``key, text, state, city, agency, modality, status, value,
-    closes``; ``items``: ``key, unit_price, code``.  Empty lists and null bounds are
-    conditions that are off, but a rule needs terms to match at all.  A null agency
-    passes ``agencies_out``; a null value fails both bounds.  Texts are folded once
-    a record and rules once a rule.  Rules are broadcast in parts of
-    ``RULES_AT_ONCE``.
-    """
+def _ready(rules: DataFrame) -> DataFrame:
+    """Rules with their terms taken apart, once a rule."""
     terms = effective_terms(F.col("include"), F.col("approved"))
-    ready = rules.select("*", _patterns(terms).alias("_want"), _patterns(F.col("exclude")).alias("_not"))
-    number = rules.count()
-    folded = records.withColumn("_folded", fold_accents(F.col("text")))
-    parts = -(-max(number, 1) // RULES_AT_ONCE)
+    return rules.withColumns({"_terms": F.size(terms), "_want": wildcard_words(terms), "_not": wildcard_words(_listed("exclude"))})
+
+
+def _matches(folded: Column, terms: Column) -> Column:
+    """Whether all words of some term are in the text; a word without wildcards is looked up as it is."""
+    holds = lambda w: F.when(w["wild"], F.call_function("like", folded, w["pattern"])).otherwise(F.contains(folded, w["word"]))
+    return F.exists(terms, lambda t: F.forall(t, holds))
+
+
+def _met(records: DataFrame, rules: DataFrame, on: Column) -> DataFrame:
+    """``records`` with each rule that holds for them; rules are broadcast after a count, in parts."""
+    parts = max(1, -(-rules.count() // RULES_AT_ONCE))
     found = []
     for k in range(parts):
-        part = ready if parts == 1 else ready.where(F.pmod(F.xxhash64("monitor_id"), F.lit(parts)) == k)
-        within = F.col("closes").between(F.lit(as_of), F.lit(as_of) + F.make_dt_interval(F.col("opens_within_days")))
-        on = (
-            _matches(F.col("_folded"), F.col("_want"))
-            & ~_matches(F.col("_folded"), F.col("_not"))
-            & _off_or("states", F.array_contains("states", F.col("state")))
-            & _off_or("cities", F.exists("cities", lambda c: F.call_function("ilike", F.col("city"), F.concat(F.lit("%"), c, F.lit("%")))))
-            & _off_or("agencies_in", F.array_contains("agencies_in", F.col("agency")))
-            & (F.col("agency").isNull() | (F.size(F.coalesce("agencies_out", F.array().cast("array<string>"))) == 0) | ~F.array_contains("agencies_out", F.col("agency")))
-            & _off_or("modalities", F.array_contains("modalities", F.col("modality")))
-            & _off_or("statuses", F.array_contains("statuses", F.col("status")))
-            & (F.col("value_min").isNull() | F.coalesce(F.col("value") >= F.col("value_min"), F.lit(False)))
-            & (F.col("value_max").isNull() | F.coalesce(F.col("value") <= F.col("value_max"), F.lit(False)))
-            & (F.col("opens_within_days").isNull() | F.coalesce(within, F.lit(False)))
-        )
-        found.append(folded.join(F.broadcast(part), on))
-    hits = reduce(DataFrame.unionByName, found)
-    priced = F.col("price_min").isNotNull() | F.col("price_max").isNotNull()
-    unit = items.select(F.col("key").alias("_key"), "unit_price")
+        part = rules if parts == 1 else rules.where(F.pmod(F.xxhash64("monitor_id"), F.lit(parts)) == k)
+        found.append(records.join(F.broadcast(part), on))
+    return reduce(DataFrame.unionByName, found)
+
+
+def match_records(records: DataFrame, items: DataFrame, rules: DataFrame, as_of) -> DataFrame:
+    """``monitor_id`` with the columns of each record that meets all of a rule's conditions.
+
+    ``records``: ``key, text, state, city, agency, modality, status, status_source,
+    value, closes``; ``items``: ``key, unit_price, code``.  Empty lists and null
+    bounds are conditions that are off; a rule without terms takes every record that
+    meets the others.  Cities, modalities and statuses are patterns of LIKE, whatever
+    the case; the status is that of the record, else that of its source, else empty.
+    A null agency passes ``agencies_out``; a null value fails both bounds.  Texts
+    are folded once a record and rules once a rule.  Rules that ask for items are
+    matched apart, so that no rule meets the records twice; their hits are kept by
+    semi-joins.
+    """
+    ready = _ready(rules).withColumns({"_priced": F.col("price_min").isNotNull() | F.col("price_max").isNotNull(), "_coded": F.size(_listed("codes")) > 0})
+    folded = records.withColumn("_folded", fold_accents(F.col("text"), True))
+    status = F.coalesce("status", "status_source", F.lit(""))
+    within = F.col("closes").between(F.lit(as_of), F.lit(as_of) + F.make_dt_interval(F.col("opens_within_days")))
+    on = (
+        (F.col("value_min").isNull() | F.coalesce(F.col("value") >= F.col("value_min"), F.lit(False)))
+        & (F.col("value_max").isNull() | F.coalesce(F.col("value") <= F.col("value_max"), F.lit(False)))
+        & (F.col("opens_within_days").isNull() | F.coalesce(within, F.lit(False)))
+        & _off_or("states", F.array_contains("states", F.col("state")))
+        & _off_or("agencies_in", F.array_contains("agencies_in", F.col("agency")))
+        & (F.col("agency").isNull() | (F.size(_listed("agencies_out")) == 0) | ~F.array_contains("agencies_out", F.col("agency")))
+        & _off_or("cities", _any_like("cities", F.col("city")))
+        & _off_or("modalities", _any_like("modalities", F.col("modality")))
+        & _off_or("statuses", _any_like("statuses", status))
+        & ((F.col("_terms") == 0) | _matches(F.col("_folded"), F.col("_want")))
+        & ~_matches(F.col("_folded"), F.col("_not"))
+    )
+    kept = ["monitor_id", *records.columns]
+    of_items = F.col("_priced") | F.col("_coded")
+    plain = _met(folded, ready.where(~of_items), on).select(*kept)
+    if ready.where(of_items).isEmpty():
+        return plain
+    hits = _met(folded, ready.where(of_items), on).select(*kept, "_priced", "_coded", "price_min", "price_max", "codes")
+    unit = items.select(F.col("key").alias("_key"), "unit_price", F.col("code").cast("string").alias("_code"))
     fits = (F.col("price_min").isNull() | (F.col("unit_price") >= F.col("price_min"))) & (F.col("price_max").isNull() | (F.col("unit_price") <= F.col("price_max")))
-    hits = hits.where(~priced).unionByName(hits.where(priced).join(unit, (F.col("key") == F.col("_key")) & fits, "left_semi"))
-    coded = F.size(F.coalesce("codes", F.array().cast("array<string>"))) > 0
-    code = items.select(F.col("key").alias("_key"), F.col("code").cast("string").alias("_code"))
-    hits = hits.where(~coded).unionByName(hits.where(coded).join(code, (F.col("key") == F.col("_key")) & F.array_contains("codes", F.col("_code")), "left_semi"))
-    return hits.select("monitor_id", *records.columns)
+    for condition in (~F.col("_priced") | fits, ~F.col("_coded") | F.array_contains("codes", F.col("_code"))):
+        hits = hits.join(unit, (F.col("key") == F.col("_key")) & condition, "left_semi")
+    return plain.unionByName(hits.select(*kept))
 
 
-SNAPSHOT = ("status", "value", "closes", "awarded")
+def snapshot(records: DataFrame) -> DataFrame:
+    """Matched records as they are remembered: ``monitor_id, key`` and ``SNAPSHOT``; ``awarded`` is null where it is not known."""
+    known = records if "awarded" in records.columns else records.withColumn("awarded", F.lit(None).cast("double"))
+    return known.select("monitor_id", "key", F.left("text", F.lit(OBJECT_CHARS)).alias("object"), *SNAPSHOT[1:])
 
 
-def remember(state: DataFrame, matches: DataFrame, as_of, first_run: bool = False) -> tuple[DataFrame, DataFrame]:
+def remember(state: DataFrame, matches: DataFrame, rules: DataFrame, as_of, first_run: bool = False) -> tuple[DataFrame, DataFrame]:
     """The match table after an evaluation, and the alerts that it raises.
 
     ``state``: ``monitor_id, key, first_seen, last_seen, last_checked`` and the
-    snapshot columns; ``matches``: ``monitor_id, key`` and the snapshot columns.
-    A match is never retired; ``last_seen`` moves only when its snapshot changes.
-    On a silent ``first_run`` new tenders raise nothing, but deserted and failed
-    ones still do.
+    snapshot columns; ``matches``: ``monitor_id, key`` and the snapshot columns;
+    ``rules`` say whether deserted and failed tenders are watched.  A match is never
+    retired; ``last_seen`` moves only when its snapshot changes.  On a silent
+    ``first_run`` new tenders raise nothing, but deserted and failed ones still do.
     """
     now = F.lit(as_of)
     old = state.select("monitor_id", "key", "first_seen", "last_seen", "last_checked", *[F.col(c).alias(f"old_{c}") for c in SNAPSHOT], F.lit(True).alias("known"))
     both = old.join(matches.select("monitor_id", "key", *SNAPSHOT, F.lit(True).alias("seen")), ["monitor_id", "key"], "full")
+    both = both.join(rules.select("monitor_id", _on("deserted").alias("_deserted"), _on("failed").alias("_failed")), "monitor_id", "left")
     changed = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in SNAPSHOT])
     both = both.withColumn("is_new", F.col("known").isNull()).withColumn("changed", F.col("known").isNotNull() & F.col("seen").isNotNull() & changed)
     kept = lambda c: F.when(F.col("seen").isNull(), F.col(f"old_{c}")).otherwise(F.col(c)).alias(c)
-    after = both.select("monitor_id", "key", F.coalesce("first_seen", now).alias("first_seen"), F.when(F.col("is_new") | F.col("changed"), now).otherwise(F.col("last_seen")).alias("last_seen"), F.when(F.col("seen").isNotNull(), now).otherwise(F.col("last_checked")).alias("last_checked"), *map(kept, SNAPSHOT))
+    last_seen = F.when(F.col("is_new") | F.col("changed"), now).otherwise(F.col("last_seen"))
+    last_checked = F.when(F.col("seen").isNotNull(), now).otherwise(F.col("last_checked"))
+    after = both.select("monitor_id", "key", F.coalesce("first_seen", now).alias("first_seen"), last_seen.alias("last_seen"), last_checked.alias("last_checked"), *map(kept, SNAPSHOT))
+
     soon = F.coalesce(F.col("closes") < now + F.expr("interval 48 hours"), F.lit(False))
-    status = F.lower(F.coalesce("status", F.lit("")))
+    status = F.lower(F.coalesce("status", "status_source", F.lit("")))
+    deserted = F.coalesce(F.col("_deserted"), F.lit(True)) & status.like("%desert%")
+    failed = ~deserted & F.coalesce(F.col("_failed"), F.lit(True)) & status.like("%fracass%")
     pct = pct_change(F.col("old_value"), F.col("value"))
     differ = lambda c: F.col("changed") & ~F.col(c).eqNullSafe(F.col(f"old_{c}"))
-    alert = lambda on, kind, importance, old_text, new_text: F.when(on, F.struct(F.lit(kind).alias("type"), importance.alias("importance"), old_text.alias("old_text"), new_text.alias("new_text")))
-    none = F.lit(None).cast("string")
     text = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+
+    def alert(on: Column, kind: str, importance: Column, old_text: Column, new_text: Column) -> Column:
+        return F.when(on, F.struct(F.lit(kind).alias("type"), importance.alias("importance"), old_text.alias("old_text"), new_text.alias("new_text")))
+
+    offered = F.concat(money_label(F.col("value")), F.coalesce(F.concat(F.lit(" em "), F.col("state")), F.lit("")))
     alerts = F.array(
-        alert(F.col("is_new") & F.lit(not first_run), "NEW_PROCUREMENT", F.when(soon, "critica").when(F.coalesce(F.col("value") >= 1_000_000, F.lit(False)), "alta").otherwise("media"), none, money_label(F.col("value"))),
-        alert(F.col("is_new") & status.like("%desert%"), "DESERTED", F.lit("media"), none, text("status")),
-        alert(F.col("is_new") & ~status.like("%desert%") & status.like("%fracass%"), "FAILED", F.lit("media"), none, text("status")),
+        alert(F.col("is_new") & F.lit(not first_run), "NEW_PROCUREMENT", F.when(soon, "critica").when(F.coalesce(F.col("value") >= 1_000_000, F.lit(False)), "alta").otherwise("media"), none, offered),
+        alert(F.col("is_new") & deserted, "DESERTED", F.lit("media"), none, status),
+        alert(F.col("is_new") & failed, "FAILED", F.lit("media"), none, status),
         alert(differ("value"), "PRICE_CHANGE", F.when(F.coalesce(F.abs(pct) >= 20, F.lit(False)), "alta").otherwise("media"), money_label(F.col("old_value")), money_label(F.col("value"))),
         alert(differ("closes"), "DEADLINE_CHANGED", F.when(soon, "critica").otherwise("alta"), F.date_format("old_closes", "yyyy-MM-dd"), F.date_format("closes", "yyyy-MM-dd")),
         alert(differ("status") | differ("awarded"), "PROCUREMENT_UPDATED", F.lit("media"), text("old_status"), text("status")),
@@ -116,42 +159,126 @@ def remember(state: DataFrame, matches: DataFrame, as_of, first_run: bool = Fals
     return after, raised
 
 
-def award_alerts(matches: DataFrame, awards: DataFrame, known: DataFrame, rules: DataFrame) -> DataFrame:
-    """New winners on matched tenders, once for each (tender, item, supplier), high if the rule watches the supplier."""
-    keyed = awards.select("key", "item", F.col("supplier").cast("string").alias("supplier"), "award_value").dropDuplicates(["key", "item", "supplier"])
-    new = matches.select("monitor_id", "key").join(keyed, "key").withColumn("award_key", F.concat_ws(":", "key", "item", "supplier")).join(known.select("monitor_id", "award_key"), ["monitor_id", "award_key"], "left_anti")
-    watched = rules.select("monitor_id", "suppliers")
-    return new.join(watched, "monitor_id").select("monitor_id", "award_key", F.lit("NEW_WINNER").alias("type"), F.when(F.coalesce(F.array_contains("suppliers", F.col("supplier")), F.lit(False)), "alta").otherwise("media").alias("importance"))
+MEMORY = "monitor_id long, entity string, key string, first_seen timestamp"
+
 
+def raise_once(memory: DataFrame, found: DataFrame, entity: str, as_of, first_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The memory after an evaluation, and the alerts of ``found`` that it did not hold: each is raised once, never again.
+
+    ``memory`` has the columns of ``MEMORY``; ``found``: ``monitor_id, key`` and what
+    the alert says.  A ``first_run`` is silent, but what it finds is remembered.
+    """
+    known = memory.where(F.col("entity") == entity).select("monitor_id", "key")
+    new = found.dropDuplicates(["monitor_id", "key"]).join(known, ["monitor_id", "key"], "left_anti")
+    after = memory.unionByName(new.select("monitor_id", F.lit(entity).alias("entity"), F.col("key").cast("string").alias("key"), F.lit(as_of).cast("timestamp").alias("first_seen")))
+    return after, new.limit(0) if first_run else new
 
-def expiring_contract_alerts(contracts: DataFrame, rules: DataFrame, as_of, days: int = 180, near: int = 30) -> DataFrame:
-    """Contracts that end within ``days``, by term or watched supplier and not excluded; high if within ``near`` days.
 
-    ``contracts``: ``key, text, supplier, ends``.  Only contracts in the range of
-    dates meet the rules.
+def award_alerts(matches: DataFrame, awards: DataFrame, rules: DataFrame) -> DataFrame:
+    """``monitor_id, key`` (tender:item:supplier) of winners on matched tenders, high if the rule watches the supplier.
+
+    A winner without a number is ``?``.
+    """
+    keyed = awards.select("key", "item", F.col("supplier").cast("string").alias("supplier")).dropDuplicates(["key", "item", "supplier"])
+    won = matches.select("monitor_id", "key").join(keyed, "key").withColumn("key", F.concat_ws(":", "key", "item", F.coalesce("supplier", F.lit("?"))))
+    watched = F.coalesce(F.array_contains("suppliers", F.col("supplier")), F.lit(False))
+    return won.join(rules.select("monitor_id", "suppliers"), "monitor_id").select("monitor_id", "key", F.lit("NEW_WINNER").alias("type"), F.when(watched, "alta").otherwise("media").alias("importance"))
+
+
+def expiring_contract_alerts(contracts: DataFrame, rules: DataFrame, as_of, states: bool = True) -> DataFrame:
+    """Contracts that end within a rule's days, by term or watched supplier and not excluded; high if within ``NEAR_DAYS``.
+
+    ``contracts``: ``key, text, supplier, ends, state``; ``states`` is off for a
+    source that does not tell them.  Only contracts in the longest range of days meet
+    the rules.
     """
     day = F.to_date(F.lit(as_of))
-    left = F.datediff(F.col("ends"), day)
-    soon = contracts.where(F.to_date("ends").between(day, F.date_add(day, days))).withColumns({"_folded": fold_accents(F.col("text")), "days_left": left})
-    ready = rules.select("monitor_id", "suppliers", _patterns(effective_terms(F.col("include"), F.col("approved"))).alias("_want"), _patterns(F.col("exclude")).alias("_not"))
-    if rules.count() > RULES_AT_ONCE:
-        raise ValueError("take the rules in parts")
-    on = (_matches(F.col("_folded"), F.col("_want")) | F.coalesce(F.array_contains("suppliers", F.col("supplier").cast("string")), F.lit(False))) & ~_matches(F.col("_folded"), F.col("_not"))
-    return soon.join(F.broadcast(ready), on).select("monitor_id", "key", F.lit("CONTRACT_EXPIRING").alias("type"), "days_left", F.when(F.col("days_left") <= near, "alta").otherwise("media").alias("importance"))
+    asked = F.coalesce("contract_days", F.lit(CONTRACT_DAYS))
+    longest = rules.agg(F.max(asked)).first()[0] or 0
+    soon = contracts.where(F.to_date("ends").between(day, F.date_add(day, longest))).withColumns({"_folded": fold_accents(F.col("text"), True), "days_left": F.datediff(F.col("ends"), day)})
+    on = (
+        _on("contracts") & (F.col("days_left") <= asked) & (_off_or("states", F.array_contains("states", F.col("state"))) if states else F.lit(True))
+        & (_matches(F.col("_folded"), F.col("_want")) | F.coalesce(F.array_contains("suppliers", F.col("supplier").cast("string")), F.lit(False)))
+        & ~_matches(F.col("_folded"), F.col("_not"))
+    )
+    importance = F.when(F.col("days_left") <= NEAR_DAYS, "alta").otherwise("media")
+    return _met(soon, _ready(rules), on).select("monitor_id", "key", F.lit("CONTRACT_EXPIRING").alias("type"), "days_left", importance.alias("importance"))
+
+
+def _of_terms(records: DataFrame, rules: DataFrame, on: Column, kind: str) -> DataFrame:
+    live = records.withColumn("_folded", fold_accents(F.col("text"), True))
+    on = on & _matches(F.col("_folded"), F.col("_want")) & ~_matches(F.col("_folded"), F.col("_not"))
+    return _met(live, _ready(rules), on).select("monitor_id", "key", F.lit(kind).alias("type"), F.lit("media").alias("importance"))
+
+
+def register_alerts(registers: DataFrame, rules: DataFrame) -> DataFrame:
+    """Price registers (``key, text, state, cancelled``) of the rules' terms and states, whatever the agency; none that is cancelled."""
+    live = registers.where(~F.coalesce("cancelled", F.lit(False)))
+    return _of_terms(live, rules, _on("registers") & _off_or("states", F.array_contains("states", F.col("state"))), "NEW_ATA")
+
+
+def plan_alerts(plans: DataFrame, rules: DataFrame) -> DataFrame:
+    """Plan items (``key, text, agency``) of the rules' terms and agencies, whatever the state."""
+    return _of_terms(plans, rules, _on("plans") & _off_or("agencies_in", F.array_contains("agencies_in", F.col("agency"))), "NEW_PCA")
+
+
+def evaluate(state: DataFrame, memory: DataFrame, tables: dict[str, DataFrame], rules: DataFrame, as_of, first_run: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One evaluation of all ``rules`` at once: (match table, memory, alerts).
+
+    ``tables``: ``records`` and ``items``, and where there are any ``awards``,
+    ``contracts``, ``registers`` and ``plans``, as the operators above take them.
+    """
+    matches = snapshot(match_records(tables["records"], tables["items"], rules, as_of))
+    state, alerts = remember(state, matches, rules, as_of, first_run)
+    kinds = {
+        "award": lambda: award_alerts(state, tables["awards"], rules), "contract": lambda: expiring_contract_alerts(tables["contracts"], rules, as_of),
+        "register": lambda: register_alerts(tables["registers"], rules), "plan": lambda: plan_alerts(tables["plans"], rules),
+    }
+    alerts = alerts.select("monitor_id", F.col("key").cast("string").alias("key"), "type", "importance")
+    for entity, found in kinds.items():
+        if f"{entity}s" in tables:
+            memory, new = raise_once(memory, found(), entity, as_of, first_run)
+            alerts = alerts.unionByName(new.select("monitor_id", F.col("key").cast("string").alias("key"), "type", "importance"))
+    return state, memory, alerts
+
+
+def price_quartiles(matches: DataFrame, awards: DataFrame) -> DataFrame:
+    """Quartiles and number of the positive awarded unit prices (``unit_price``) on each monitor's tenders."""
+    prices = matches.select("monitor_id", "key").join(awards.where(F.col("unit_price") > 0).select("key", "unit_price"), "key")
+    q = F.percentile("unit_price", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+    return prices.groupBy("monitor_id").agg(F.count("*").alias("prices"), q.alias("q")).select("monitor_id", "prices", *[F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("p25", "median_price", "p75"))])
+
+
+def _counted(matches: DataFrame, by: Column, name: str) -> DataFrame:
+    """The matches' counts by ``by`` as one map for each monitor; nulls do not count."""
+    n = matches.select("monitor_id", by.alias("_by")).where(F.col("_by").isNotNull()).groupBy("monitor_id", "_by").agg(F.count("*").alias("n"))
+    return n.groupBy("monitor_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_by", "n")))).alias(name))
+
+
+#: What a baseline says of itself.
+METHOD = "Counted from records that were collected; the period is that of the tables."
 
 
 def baseline(matches: DataFrame, awards: DataFrame) -> DataFrame:
-    """A row per monitor about its matched tenders: sample, period, value, median of positive values, states of failure, mean competition.
+    """A row per monitor about its matched tenders.
 
-    Competition is the mean number of distinct suppliers over tenders that have
-    awards; null suppliers do not count.
+    Sample, period, value, median of positive values, deserted and failed tenders,
+    mean number of distinct suppliers over tenders that have awards (null ones do not
+    count), quartiles of awarded unit prices, tenders by month and by state, the ten
+    agencies with most tenders, and how it was made.
     """
+    status = F.lower(F.coalesce("status", "status_source", F.lit("")))
     m = matches.groupBy("monitor_id").agg(
         F.count("*").alias("sample"), F.date_format(F.min("published"), "yyyy-MM-dd").alias("first"), F.date_format(F.max("published"), "yyyy-MM-dd").alias("last"), money("value").alias("total_value"),
-        F.percentile(F.when(F.col("value") > 0, F.col("value")), F.lit(0.5)).alias("median_value"), F.count_if(F.lower("status").like("%desert%")).alias("deserted"), F.count_if(F.lower("status").like("%fracass%")).alias("failed"),
+        F.percentile(F.when(F.col("value") > 0, F.col("value")), F.lit(0.5)).alias("median_value"), F.count_if(status.like("%desert%")).alias("deserted"), F.count_if(status.like("%fracass%")).alias("failed"),
     )
     per = matches.select("monitor_id", "key").join(awards.select("key", "supplier"), "key").groupBy("monitor_id", "key").agg(F.countDistinct("supplier").alias("n")).groupBy("monitor_id").agg(F.round(F.avg("n"), 4).alias("competition"))
-    return m.join(per, "monitor_id", "left")
+    agencies = matches.where(F.col("agency").isNotNull()).groupBy("monitor_id", "agency").agg(F.count("*").alias("n"))
+    agencies = last_n(agencies, ["monitor_id"], [F.desc("n"), F.col("agency")], 10).groupBy("monitor_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("agency", "n")))).alias("agencies"))
+    out = m.join(per, "monitor_id", "left")
+    for part in (price_quartiles(matches, awards), _counted(matches, F.date_format("published", "yyyy-MM"), "by_month"), _counted(matches, F.col("state"), "by_state"), agencies):
+        out = out.join(part, "monitor_id", "left")
+    return out.withColumn("method", F.lit(METHOD))
 
 
 def competitors(matches: DataFrame, awards: DataFrame, n: int = 10) -> DataFrame:
@@ -162,18 +289,44 @@ def competitors(matches: DataFrame, awards: DataFrame, n: int = 10) -> DataFrame
 
 
 def cards(matches: DataFrame, alerts: DataFrame, as_of) -> DataFrame:
-    """Counts for each monitor: matches, open ones, alerts, and high ones."""
+    """Counts for each monitor: matches, open ones, alerts, those of the last 24 hours, and high ones that are not read.
+
+    ``alerts``: ``monitor_id, importance, raised_at, read``.
+    """
     m = matches.groupBy("monitor_id").agg(F.count("*").alias("matches"), F.count_if(F.col("closes") > F.lit(as_of)).alias("open"))
-    a = alerts.groupBy("monitor_id").agg(F.count("*").alias("alerts"), F.count_if(F.col("importance").isin("alta", "critica")).alias("high"))
-    return m.join(a, "monitor_id", "left").fillna(0, ["alerts", "high"])
+    fresh = F.col("raised_at") > F.lit(as_of) - F.expr("interval 24 hours")
+    unread = F.col("importance").isin("alta", "critica") & ~F.coalesce("read", F.lit(False))
+    a = alerts.groupBy("monitor_id").agg(F.count("*").alias("alerts"), F.count_if(fresh).alias("last_day"), F.count_if(unread).alias("unread_high"))
+    return m.join(a, "monitor_id", "left").fillna(0, ["alerts", "last_day", "unread_high"])
 
 
-def suggest_expansions(items: DataFrame, terms: list[str], text: str, code: str, n: int = 20) -> DataFrame:
-    """The ``n`` most frequent descriptions (lower case, 80 characters) that the terms match, with a code of each."""
-    from tendril.functions.text import label80, text_matches
+def fleet_stats(monitors: DataFrame, matches: DataFrame, alerts: DataFrame, as_of) -> DataFrame:
+    """One row about all monitors: how many, active, matches, alerts, those of the last 24 hours, and the next run."""
+    fresh = F.col("raised_at") > F.lit(as_of) - F.expr("interval 24 hours")
+    one = monitors.agg(F.count("*").alias("monitors"), F.count_if("active").alias("active"), F.min(F.when(F.col("active"), F.col("next_run"))).alias("next_run"))
+    return one.crossJoin(matches.agg(F.count("*").alias("matches"))).crossJoin(alerts.agg(F.count("*").alias("alerts"), F.count_if(fresh).alias("last_day")))  # single rows
+
+
+def reschedule(monitors: DataFrame, evaluated: DataFrame, as_of) -> DataFrame:
+    """Monitors after a tick: those in ``evaluated`` (``monitor_id, ok``) run again after their minutes, or 30 where they failed."""
+    done = monitors.join(evaluated.select("monitor_id", "ok"), "monitor_id", "left")
+    wait = F.when(F.col("ok"), F.col("refresh_minutes")).otherwise(F.lit(30))
+    after = F.lit(as_of) + F.make_dt_interval(mins=wait)
+    return done.select(*[F.when(F.col("ok").isNotNull(), after).otherwise(F.col(c)).alias(c) if c == "next_run" else F.col(c) for c in monitors.columns])
+
+
+def new_since(alerts: DataFrame, ident: str, last) -> DataFrame:
+    """Alerts with an id above the last one that was seen."""
+    return alerts.where(F.col(ident) > F.lit(last))
+
+
+def suggest_expansions(items: DataFrame, terms: list[str], text: str, code: str, n: int = 20, shown: int | None = None) -> DataFrame:
+    """The ``n`` most frequent descriptions (lower case, 80 characters) that the terms match, with a code of each; the first ``shown`` of them."""
+    from tendril.functions.text import label80
 
     hit = items.where(text_matches(F.col(text), F.array(*map(F.lit, terms))))
-    return hit.groupBy(label80(F.col(text)).alias("label")).agg(F.count("*").alias("n"), F.min(code).alias("code")).orderBy(F.desc("n"), "label").limit(n)
+    top = hit.groupBy(label80(F.col(text)).alias("label")).agg(F.count("*").alias("n"), F.max(code).alias("code")).orderBy(F.desc("n"), "label").limit(n)
+    return top if shown is None else top.orderBy(F.desc("n"), "label").limit(shown)
 
 
 def search(tables: dict[str, tuple[DataFrame, str, str, Column]], q: str, limit: int = 20, most: int = 50) -> DataFrame:
@@ -181,8 +334,6 @@ def search(tables: dict[str, tuple[DataFrame, str, str, Column]], q: str, limit:
 
     ``tables``: name to (df, key, text, order value).
     """
-    from tendril.functions.text import text_matches
-
     n = min(limit, most)
     rows = []
     for name, (df, key, text, rank) in tables.items():
@@ -191,36 +342,24 @@ def search(tables: dict[str, tuple[DataFrame, str, str, Column]], q: str, limit:
     return reduce(DataFrame.unionByName, rows)
 
 
+def history_by_year(tables: dict[str, tuple[DataFrame, str, Column]], q: str) -> DataFrame:
+    """``year, n`` of the rows of current and older tables that hold all words of ``q``; ``tables``: name to (df, text, year)."""
+    hits = [df.where(text_matches(F.col(text), F.array(F.lit(q)))).select(year.alias("year")) for df, text, year in tables.values()]
+    return reduce(DataFrame.unionByName, hits).where(F.col("year").isNotNull()).groupBy("year").agg(F.count("*").alias("n"))
+
+
 def due(monitors: DataFrame, as_of, most: int = 25) -> DataFrame:
     """Active monitors whose turn has come, the longest waiting first."""
     return monitors.where(F.col("active") & (F.col("next_run") <= F.lit(as_of))).orderBy("next_run", "monitor_id").limit(most)
 
 
-def listed_alerts(records: DataFrame, rules: DataFrame, kind: str, states: bool = True, agencies: bool = True) -> DataFrame:
-    """Alerts of new price registers (``NEW_ATA``) or plan items (``NEW_PCA``): terms, and the rule's states and agencies where they apply.
-
-    ``records``: ``key, text, state, agency, cancelled``; cancelled ones are passed
-    over.  A null state meets no list of states.
-    """
-    if rules.count() > RULES_AT_ONCE:
-        raise ValueError("take the rules in parts")
-    ready = rules.select("monitor_id", "states", "agencies_in", _patterns(effective_terms(F.col("include"), F.col("approved"))).alias("_want"), _patterns(F.col("exclude")).alias("_not"))
-    live = records.where(~F.coalesce("cancelled", F.lit(False))).withColumn("_folded", fold_accents(F.col("text")))
-    on = _matches(F.col("_folded"), F.col("_want")) & ~_matches(F.col("_folded"), F.col("_not"))
-    if states:
-        on = on & _off_or("states", F.array_contains("states", F.col("state")))
-    if agencies:
-        on = on & _off_or("agencies_in", F.array_contains("agencies_in", F.col("agency")))
-    return live.join(F.broadcast(ready), on).select("monitor_id", "key", F.lit(kind).alias("type"), F.lit("media").alias("importance"))
-
-
 def match_by_token(records: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
     """``monitor_id, key`` for rules of whole words, by way of the rarest word: an equi-join instead of rules times records.
 
     For very many rules.  A term matches if all its words are words of the text;
     that is narrower than the substring rule, so this is a choice of the caller.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(fold_accents(c), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1))
+    words = lambda c: F.array_distinct(F.filter(F.split(fold_accents(c, True), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1))
     tokens = records.select(F.col(key).alias("key"), words(F.col(text)).alias("_words"))
     terms = rules.select("monitor_id", F.explode(effective_terms(F.col("include"), F.col("approved"))).alias("_t")).select("monitor_id", words(F.col("_t")).alias("_need")).where(F.size("_need") > 0)
     by_word = tokens.select("key", "_words", F.explode("_words").alias("_w"))
@@ -231,16 +370,25 @@ def match_by_token(records: DataFrame, key: str, text: str, rules: DataFrame) ->
     return by_word.join(rarest, "_w").where(F.size(F.array_except("_need", "_words")) == 0).select("monitor_id", "key").distinct()
 
 
-def dashboard(matches: DataFrame, awards: DataFrame, as_of, n: int = 10) -> dict[str, DataFrame]:
-    """Sections of the monitors' dashboards, each a flat table keyed by monitor."""
-    top = lambda df, by, k: df.withColumn("place", F.row_number().over(Window.partitionBy("monitor_id").orderBy(*by))).where(F.col("place") <= k)
+def dashboard(matches: DataFrame, awards: DataFrame, alerts: DataFrame, contracts: DataFrame, as_of, n: int = 10) -> dict[str, DataFrame]:
+    """Sections of the monitors' dashboards, each a flat table keyed by monitor.
+
+    ``alerts``: ``monitor_id, key, type, importance, raised_at``; ``contracts``: those
+    that each monitor remembers, ``monitor_id, key, ends, value``.
+    """
+    place = lambda df, by, k: df.withColumn("place", F.row_number().over(Window.partitionBy("monitor_id").orderBy(*by))).where(F.col("place") <= k)
     open_ = matches.where(F.col("closes") > F.lit(as_of))
     agencies = matches.groupBy("monitor_id", "agency").agg(F.count("*").alias("processes"), money("value").alias("total_value"))
     return {
         "now": open_.groupBy("monitor_id").agg(F.count("*").alias("open"), money("value").alias("open_value")),
-        "open": top(open_, [F.col("closes"), F.col("key")], 3 * n),
+        "market": matches.groupBy("monitor_id").agg(F.count("*").alias("matches"), money("value").alias("total_value")),
+        "open": place(open_, [F.col("closes"), F.col("key")], 3 * n),
         "competitors": competitors(matches, awards, n),
-        "agencies": top(agencies, [F.col("total_value").desc_nulls_last(), F.col("agency")], n),
-        "map": matches.groupBy("monitor_id", "state").agg(F.count("*").alias("processes")),
+        "agencies": place(agencies, [F.col("total_value").desc_nulls_last(), F.col("agency")], n),
+        "map": matches.where(F.col("state").isNotNull()).groupBy("monitor_id", "state").agg(F.count("*").alias("processes"), money("value").alias("total_value")),
+        "states": place(matches.groupBy("monitor_id", "state").agg(money("value").alias("total_value")), [F.col("total_value").desc_nulls_last(), F.col("state")], n),
         "series": matches.groupBy("monitor_id", F.date_format("published", "yyyy-MM").alias("month")).agg(F.count("*").alias("processes"), money("value").alias("total_value")),
+        "future": place(contracts, [F.col("ends"), F.col("key")], 2 * n),
+        "future_value": contracts.groupBy("monitor_id").agg(F.count("*").alias("contracts"), money("value").alias("total_value")),
+        "timeline": place(alerts, [F.col("raised_at").desc(), F.col("key"), F.col("type")], 4 * n),
     }

@@ -20,11 +20,6 @@ def issues(df: DataFrame, entity: str, key: str, rules: dict[str, tuple[str, Col
     return df.select(F.lit(entity).alias("entity"), F.col(key).cast("string").alias("key"), F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("i")).select("entity", "key", "i.*")
 
 
-def keyed(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with a key, and those without one, which are skipped."""
-    return df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
-
-
 def coverage_mismatch(files: DataFrame, least: float = 0.98) -> DataFrame:
     """Files of which too little was processed: ``file, expected, processed, errors`` or ``bytes_done, size``."""
     lines = (F.col("processed") + F.col("errors")) < F.col("expected") * least

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tendril.functions.parse import is_official_id
-from tendril.functions.text import city_state, fold_accents
+from tendril.functions.text import fold_accents
 
 
 def links_by_official_id(sources: dict[str, tuple[DataFrame, str, str]], prefix: str = "pncp") -> DataFrame:
@@ -44,21 +44,29 @@ def process_number(s: Column) -> Column:
     return _whole_number(F.nullif(F.regexp_replace(s, r"\D", ""), F.lit("")))
 
 
+def agency_name(s: Column) -> Column:
+    """Upper case without accents, with single spaces; null is ''."""
+    return F.upper(fold_accents(F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), r"\s+", " ")), True))
+
+
 def resolve_by_name_number(records: DataFrame, candidates: DataFrame, source: str, pending: DataFrame | None = None, with_agency: bool = False) -> tuple[DataFrame, DataFrame]:
     """Canonical keys for unlinked records: (links, reviews).
 
     ``records``: ``record_key, agency, number, city_uf``; ``candidates``:
-    ``canonical_key, agency, purchase_no, process_no``.  A candidate has the same
-    folded agency name and the record's number as its purchase number or as the
-    digits of its process number; the two are separate equi-joins.  No candidate: a
-    new key ``proc:UF:CITY:number``; one: its key; several: a review with all of
-    them.  Without a name or a number the key is ``src:source:record``.  Records
-    under review are passed over.
+    ``canonical_key, agency, purchase_no, process_no``.  The record's number is all of
+    its digits.  A candidate has the same agency name, folded and with single spaces,
+    and that number as its purchase number, if this is digits alone, or as the digits
+    of its process number; the two are separate equi-joins.  No candidate: a new key
+    ``proc:UF:CITY:number``, with ``XX`` and ``?`` for what is not known; one: its
+    key; several: a review with all of them.  Without a name or a number the key is
+    ``src:source:record``.  Records under review are passed over.
     """
     todo = records if pending is None else records.join(pending.select("record_key"), "record_key", "left_anti")
-    city, state = city_state(F.col("city_uf"))
-    todo = todo.withColumns({"_name": F.trim(fold_accents(F.col("agency"))), "_number": purchase_number(F.col("number"))})
-    named = candidates.select("canonical_key", F.trim(fold_accents(F.col("agency"))).alias("_name"), purchase_number(F.col("purchase_no")).alias("_purchase"), process_number(F.col("process_no")).alias("_process"))
+    place = F.coalesce("city_uf", F.lit(""))
+    state = F.nullif(F.regexp_replace(place, "^.*-", ""), F.lit(""))
+    city = F.nullif(F.upper(fold_accents(F.trim(F.split_part(place, F.lit("-"), F.lit(1))), True)), F.lit(""))
+    todo = todo.withColumns({"_name": agency_name(F.col("agency")), "_number": process_number(F.col("number"))})
+    named = candidates.select("canonical_key", agency_name(F.col("agency")).alias("_name"), purchase_number(F.col("purchase_no")).alias("_purchase"), process_number(F.col("process_no")).alias("_process"))
     usable = todo.where((F.col("_name") != "") & F.col("_number").isNotNull())
     hits = None
     for number in ("_purchase", "_process"):
@@ -68,7 +76,7 @@ def resolve_by_name_number(records: DataFrame, candidates: DataFrame, source: st
     found = hits.groupBy("record_key").agg(F.array_sort(F.collect_set("canonical_key")).alias("candidates"))
     all_ = todo.join(found, "record_key", "left")
     n = F.coalesce(F.size("candidates"), F.lit(0))
-    parts = [F.lit("proc"), F.upper(F.coalesce(state, F.lit(""))), F.upper(fold_accents(city)), F.col("_number")]
+    parts = [F.lit("proc"), F.coalesce(state, F.lit("XX")), F.coalesce(city, F.lit("?")), F.col("_number")]
     if with_agency:
         parts.append(F.col("_name"))
     blank = (F.col("_name") == "") | F.col("_number").isNull()

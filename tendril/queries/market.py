@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tendril.catalog import query, table
+from tendril.operators import admin as A
 from tendril.operators import market as M
 
 AS_OF = datetime(2001, 1, 1)
@@ -31,15 +32,26 @@ def by_region(spark, d):
     return M.by_region(tenders(spark, d), "n_name", "o_totalprice", "o_orderdate", "o_custkey", AS_OF)
 
 
-@query("summary_kpis", f"""SELECT (SELECT count(*) FROM orders) AS tenders, (SELECT {_d('o_totalprice')} FROM orders) AS tender_value, (SELECT count(*) FROM orders WHERE o_orderdate > TIMESTAMP '2001-01-01') AS open_tenders,
- (SELECT count(*) FROM lineitem) AS items, (SELECT {_d('l_extendedprice')} FROM lineitem) AS item_value, (SELECT count(*) FROM customer) AS agencies, (SELECT count(*) FROM supplier) AS suppliers, (SELECT count(*) FROM part) AS catalogue, (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS active_suppliers""")
+@query("summary_kpis", f"""SELECT * FROM (SELECT count(*) AS tenders, {_d('o_totalprice')} AS tender_value, count(*) FILTER (o_orderdate > TIMESTAMP '2001-01-01') AS open_tenders, count(o_totalprice) AS with_value, count(DISTINCT o_custkey) AS buyers, count(DISTINCT o_orderpriority) AS modalities,
+  strftime(min(o_orderdate), '%Y-%m-%d') AS first_date, strftime(max(o_orderdate), '%Y-%m-%d') AS last_date FROM orders),
+ (SELECT count(*) AS items, {_d('l_extendedprice')} AS item_value, count(DISTINCT l_suppkey) AS active_suppliers, count(DISTINCT l_partkey) AS codes, count(*) FILTER (l_linestatus = 'F') AS contracts, {_d("CASE WHEN l_linestatus = 'F' THEN l_extendedprice END")} AS contract_value, count(*) FILTER (l_returnflag = 'R') AS cancelled FROM lineitem),
+ (SELECT count(*) AS agencies, count(DISTINCT c_mktsegment) AS segments FROM customer), (SELECT count(*) AS suppliers FROM supplier), (SELECT count(*) AS catalogue, count(DISTINCT p_brand) AS brands FROM part),
+ (SELECT count(*) AS changes, count(*) FILTER (ts > TIMESTAMP '2024-01-29') AS changes_last_day, count(DISTINCT user_id) AS watchers FROM events), (SELECT count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS characters FROM documents), (SELECT count(*) AS pages FROM pages)""")
 def summary_kpis(spark, d):
-    o = table(spark, d, "orders").agg(F.count("*").alias("tenders"), M.money("o_totalprice").alias("tender_value"), F.count_if(F.col("o_orderdate") > F.lit(AS_OF)).alias("open_tenders"))
-    i = table(spark, d, "lineitem").agg(F.count("*").alias("items"), M.money("l_extendedprice").alias("item_value"), F.countDistinct("l_suppkey").alias("active_suppliers"))
-    out = o.crossJoin(i)  # rows of one each
-    for name, alias in (("customer", "agencies"), ("supplier", "suppliers"), ("part", "catalogue")):
-        out = out.crossJoin(table(spark, d, name).agg(F.count("*").alias(alias)))
-    return out
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    rows, closed = F.count("*"), F.col("l_linestatus") == "F"
+    return A.one_row([
+        (table(spark, d, "orders"), {"tenders": rows, "tender_value": M.money("o_totalprice"), "open_tenders": F.count_if(F.col("o_orderdate") > F.lit(AS_OF)), "with_value": F.count("o_totalprice"), "buyers": F.countDistinct("o_custkey"),
+                                     "modalities": F.countDistinct("o_orderpriority"), "first_date": day(F.min("o_orderdate")), "last_date": day(F.max("o_orderdate"))}),
+        (table(spark, d, "lineitem"), {"items": rows, "item_value": M.money("l_extendedprice"), "active_suppliers": F.countDistinct("l_suppkey"), "codes": F.countDistinct("l_partkey"), "contracts": F.count_if(closed),
+                                       "contract_value": M.money(F.when(closed, F.col("l_extendedprice"))), "cancelled": F.count_if(F.col("l_returnflag") == "R")}),
+        (table(spark, d, "customer"), {"agencies": rows, "segments": F.countDistinct("c_mktsegment")}),
+        (table(spark, d, "supplier"), {"suppliers": rows}),
+        (table(spark, d, "part"), {"catalogue": rows, "brands": F.countDistinct("p_brand")}),
+        (table(spark, d, "events"), {"changes": rows, "changes_last_day": F.count_if(F.col("ts") > F.lit("2024-01-29").cast("timestamp_ntz")), "watchers": F.countDistinct("user_id")}),
+        (table(spark, d, "documents"), {"documents": rows, "characters": F.sum("n_chars")}),
+        (table(spark, d, "pages"), {"pages": rows}),
+    ])
 
 
 @query("top_agencies", f"SELECT c_custkey, c_name, count(*) AS processes, {_d('o_totalprice')} AS total_value FROM {TENDERS} GROUP BY 1, 2 ORDER BY total_value DESC NULLS LAST, c_custkey, c_name LIMIT 25")
@@ -181,7 +193,7 @@ def last_n_per_source(spark, d):
 @query("source_health", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k, event_type <> 'error' AS ok FROM events)
  SELECT user_id, count(*) AS runs, strftime(max(ts) FILTER (ok), '%Y-%m-%d %H:%M:%S') AS last_success, string_agg(CASE WHEN ok THEN '1' ELSE '0' END, '' ORDER BY k) FILTER (k <= 8) AS recent FROM r GROUP BY 1""")
 def source_health(spark, d):
-    return M.source_health(table(spark, d, "events"), "user_id", "ts", F.col("event_type") != "error")
+    return M.source_health(table(spark, d, "events"), "user_id", "ts", F.col("event_type") != "error", "event_id")
 
 
 @query("latest_per_user", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_event FROM events GROUP BY 1")

@@ -33,17 +33,17 @@ def value_conflicts(spark, d):
 
 def _resolved(spark, d):
     even, odd = _halves(spark, d)
-    records = odd.select(F.concat(F.lit("r"), F.col("p_partkey")).alias("record_key"), F.when(F.col("p_partkey") % 101 == 0, F.lit(None)).otherwise(F.col("p_name")).alias("agency"), F.concat(F.lit(" 0"), F.col("p_size")).alias("number"), F.concat(F.col("p_type"), F.lit("-"), F.substring("p_brand", 7, 2)).alias("city_uf"))
+    records = odd.select(F.concat(F.lit("r"), F.col("p_partkey")).alias("record_key"), F.when(F.col("p_partkey") % 101 == 0, F.lit(None)).otherwise(F.replace("p_name", F.lit(" "), F.lit(" \t "))).alias("agency"), F.concat(F.lit(" 0"), F.col("p_size"), F.when(F.col("p_partkey") % 3 == 0, "a").otherwise("/")).alias("number"), F.when(F.col("p_partkey") % 7 != 0, F.concat(F.col("p_type"), F.lit("-"), F.substring("p_brand", 7, 2))).alias("city_uf"))
     candidates = even.select(F.concat(F.lit("pncp:"), F.col("p_partkey")).alias("canonical_key"), F.upper("p_name").alias("agency"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_size").cast("string")).alias("purchase_no"), F.concat(F.lit("00."), F.col("p_size"), F.lit("/")).alias("process_no"))
     return R.resolve_by_name_number(records, candidates, "legacy")
 
 
-_RES = """r AS (SELECT 'r' || p_partkey AS record_key, CASE WHEN p_partkey % 101 = 0 THEN '' ELSE lower(p_name) END AS name, CAST(p_size AS VARCHAR) AS number, p_type AS city, substr(p_brand, 7, 2) AS uf FROM part WHERE p_partkey % 2 = 1),
+_RES = """r AS (SELECT 'r' || p_partkey AS record_key, CASE WHEN p_partkey % 101 = 0 THEN '' ELSE lower(p_name) END AS name, CAST(p_size AS VARCHAR) AS number, CASE WHEN p_partkey % 7 <> 0 THEN upper(p_type) ELSE '?' END AS city, CASE WHEN p_partkey % 7 <> 0 THEN substr(p_brand, 7, 2) ELSE 'XX' END AS uf FROM part WHERE p_partkey % 2 = 1),
  c AS (SELECT 'pncp:' || p_partkey AS canonical_key, lower(p_name) AS name, CAST(p_size AS VARCHAR) AS number FROM part WHERE p_partkey % 2 = 0),
  h AS (SELECT record_key, count(DISTINCT canonical_key) AS n, min(canonical_key) AS one, string_agg(DISTINCT canonical_key, ',' ORDER BY canonical_key) AS candidates FROM r JOIN c USING (name, number) WHERE name <> '' GROUP BY 1)"""
 
 
-@query("resolve_name_number", f"""WITH {_RES} SELECT record_key, CASE WHEN name = '' THEN 'src:legacy:' || record_key WHEN n IS NULL THEN 'proc:' || upper(uf) || ':' || upper(city) || ':' || number ELSE one END AS canonical_key,
+@query("resolve_name_number", f"""WITH {_RES} SELECT record_key, CASE WHEN name = '' THEN 'src:legacy:' || record_key WHEN n IS NULL THEN 'proc:' || uf || ':' || city || ':' || number ELSE one END AS canonical_key,
  CASE WHEN name = '' THEN 'source' WHEN n IS NULL THEN 'new' ELSE 'linked' END AS how FROM r LEFT JOIN h USING (record_key) WHERE name = '' OR n IS NULL OR n = 1""")
 def resolve_name_number(spark, d):
     return _resolved(spark, d)[0]

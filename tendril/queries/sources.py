@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tendril.catalog import query, table
 from tendril.functions import parse as P
-from tendril.functions.text import decode_entities, label80, slug
+from tendril.functions.text import decode_entities, label80, process_key, register_functions, slug
 from tendril.operators.market import last_n
 from tendril.sources import content as C
+from tendril.sources import delimited as D
 from tendril.sources import html as W
 from tendril.sources import payloads as N
 
@@ -51,10 +53,11 @@ def valid_cnpj(spark, d):
     return c.select("c_custkey", P.valid_cnpj(formatted).alias("valid"))
 
 
-@query("normalize_ids", r"""SELECT o_orderkey, 'doc-' || lower(replace(o_orderpriority, ' ', '-')) AS slug, CAST(o_orderkey AS VARCHAR) AS digits, CASE o_orderstatus WHEN 'O' THEN 'EMPENHO' WHEN 'F' THEN 'LIQUIDACAO' ELSE NULL END AS phase, CASE WHEN o_orderkey % 2 = 0 THEN 'items' ELSE 'tenders' END AS context, CASE WHEN o_orderkey % 3 = 0 THEN 'zip' ELSE 'pdf' END AS ext FROM orders""")
+@query("normalize_ids", r"""SELECT o_orderkey, 'doc-' || lower(replace(o_orderpriority, ' ', '-')) AS slug, CAST(o_orderkey AS VARCHAR) AS digits, CASE o_orderstatus WHEN 'O' THEN 'EMPENHO' WHEN 'F' THEN 'LIQUIDACAO' ELSE NULL END AS phase, CASE o_orderkey % 6 WHEN 0 THEN 'contratacoes' WHEN 1 THEN 'resultados' WHEN 2 THEN 'itens' WHEN 3 THEN 'arquivos' WHEN 4 THEN 'contratos' ELSE 'outro' END AS context, CASE WHEN o_orderkey % 3 = 0 THEN 'zip' ELSE 'pdf' END AS ext FROM orders""")
 def normalize_ids(spark, d):
     k = F.col("o_orderkey")
-    url = F.concat(F.lit("https://x.example/v1/contratacoes"), F.when(k % 2 == 0, F.lit("/itens")).otherwise(F.lit("")), F.when(k % 3 == 0, F.lit("/a.ZIP?x=1")).otherwise(F.lit("/a")))
+    path = F.element_at(F.array(*map(F.lit, ("/contratacoes/1/itens", "/resultados/itens", "/itens", "/arquivos/contratos", "/contratos", "/contratacoes"))), (k % 6 + 1).cast("int"))
+    url = F.concat(F.lit("https://x.example/v1"), path, F.when(k % 6 == 5, F.lit("")).otherwise(F.lit("/")), F.when(k % 3 == 0, F.lit("a.ZIP?x=1")).when(k % 6 == 5, F.lit("")).otherwise(F.lit("a")))
     phase = P.expense_phase(F.when(F.col("o_orderstatus") == "O", "Nota de Empenho").when(F.col("o_orderstatus") == "F", "Liquidação").otherwise("outra"))
     return table(spark, d, "orders").select("o_orderkey", slug(F.concat(F.lit(" Döc "), F.col("o_orderpriority"), F.lit("!"))).alias("slug"), P.digits(F.concat(F.lit("n. "), k)).alias("digits"), phase.alias("phase"), P.url_context(url).alias("context"), P.url_extension(url, F.lit("application/pdf")).alias("ext"))
 
@@ -112,14 +115,256 @@ def land_raw(spark, d):
     return C.land_raw(current, p.drop("page_id"), at).drop("collected_at")
 
 
+def _json(struct: str, source) -> Column:
+    return F.to_json(F.struct(*source)).alias(struct)
+
+
+_DAY = "strftime({}, '%Y-%m-%d')"
+
+
+@query("normalize_contracts", f"""SELECT 'c' || l_orderkey || '/' || l_linenumber AS key, CAST(l_orderkey AS VARCHAR) AS tender_key, CAST(l_suppkey AS VARCHAR) AS supplier_id, l_extendedprice AS global_value, CASE WHEN l_linenumber = 1 THEN {_DAY.format('l_shipdate')} END AS ends, CAST(l_linenumber AS BIGINT) AS sequence FROM lineitem""")
+def normalize_contracts(spark, d):
+    """Contracts, of which some have the other spelling of the tender's key and some no end."""
+    k = F.col("l_orderkey").cast("string")
+    even = F.col("l_orderkey") % 2 == 0
+    payload = _json("payload", [
+        F.concat(F.lit("c"), k, F.lit("/"), F.col("l_linenumber")).alias("numeroControlePNCP"), F.when(even, k).alias("numeroControlePncpCompra"), F.when(~even, k).alias("numeroControlePNCPCompra"), F.col("l_suppkey").cast("string").alias("niFornecedor"),
+        F.col("l_extendedprice").alias("valorGlobal"), F.when(F.col("l_linenumber") == 1, F.date_format("l_shipdate", "yyyy-MM-dd")).alias("dataVigenciaFim"), F.col("l_linenumber").alias("sequencialContrato"),
+    ])
+    c = N.normalize_contracts(table(spark, d, "lineitem").select(payload))
+    return c.select("key", "tender_key", "supplier_id", F.col("global_value").cast("double").alias("global_value"), F.date_format("ends", "yyyy-MM-dd").alias("ends"), "sequence")
+
+
+@query("normalize_awards", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS item, coalesce(CASE WHEN l_suppkey % 3 > 0 THEN CAST(l_suppkey AS VARCHAR) END, '-') AS supplier_key, CAST(coalesce(CASE WHEN l_linenumber > 2 THEN l_linenumber END, 0) AS BIGINT) AS sequence_key, l_extendedprice AS total, strftime(l_shipdate, '%Y-%m-%d') AS result_date FROM lineitem WHERE l_linenumber <> 4")
+def normalize_awards(spark, d):
+    n = F.col("l_linenumber")
+    payload = _json("payload", [F.when(n != 4, n).alias("numeroItem"), F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey").cast("string")).alias("niFornecedor"), F.when(n > 2, n).alias("sequencialResultado"), F.col("l_extendedprice").alias("valorTotalHomologado"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss").alias("dataResultado")])
+    a = N.normalize_awards(table(spark, d, "lineitem").select("l_orderkey", payload), "l_orderkey")
+    return a.select("l_orderkey", "item", "supplier_key", "sequence_key", F.col("total").cast("double").alias("total"), F.date_format("result_date", "yyyy-MM-dd").alias("result_date"))
+
+
+@query("normalize_documents", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN page_id ELSE 0 END AS sequence_key, coalesce(CASE WHEN page_id % 5 > 0 THEN url END, '-') AS url_key, 'kind' AS kind, page_id % 3 = 0 AS active FROM pages")
+def normalize_documents(spark, d):
+    k = F.col("page_id")
+    url = F.when(k % 5 > 0, F.col("url"))
+    payload = _json("payload", [F.when(k % 2 == 0, k).alias("sequencialDocumento"), F.when(k % 2 == 0, url).alias("url"), F.when(k % 2 == 1, url).alias("uri"), F.when(k % 2 == 0, F.lit("kind")).alias("tipoDocumentoNome"), F.lit("kind").alias("tipoDocumentoDescricao"), (k % 3 == 0).alias("statusAtivo")])
+    return N.normalize_documents(table(spark, d, "pages").select("page_id", payload), "page_id").select("page_id", "sequence_key", "url_key", "kind", "active")
+
+
+@query("normalize_plan_items", "SELECT CAST(p_brand AS VARCHAR) AS agency_id, CAST(2000 + p_size % 3 AS INT) AS plan_year, CAST(p_partkey AS BIGINT) AS item, p_name AS description, p_retailprice AS total FROM part")
+def normalize_plan_items(spark, d):
+    """Plans as envelopes of their items."""
+    item = F.struct(F.col("p_partkey").alias("numeroItem"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("descricao"), F.when(F.col("p_partkey") % 2 == 1, F.col("p_name")).alias("descricaoItem"), F.col("p_retailprice").alias("valorTotal"))
+    plans = table(spark, d, "part").groupBy(F.col("p_brand").alias("orgaoEntidadeCnpj"), (F.col("p_size") % 3 + 2000).alias("anoPca")).agg(F.collect_list(item).alias("itens"))
+    items = N.normalize_plan_items(plans.select(_json("payload", ["*"])))
+    return items.select("agency_id", "plan_year", "item", "description", F.col("total").cast("double").alias("total"))
+
+
+@query("normalize_registers", "SELECT 'r' || o_orderkey AS key, CAST(year(o_orderdate) AS BIGINT) AS year, strftime(o_orderdate, '%Y-%m-%d') AS starts, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS cancelled FROM orders")
+def normalize_registers(spark, d):
+    """Registers; what is no JSON boolean is not known to be cancelled."""
+    payload = _json("payload", [F.concat(F.lit("r"), F.col("o_orderkey")).alias("numeroControlePNCPAta"), F.year("o_orderdate").alias("anoAta"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("vigenciaInicio"), F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False).alias("cancelado")])
+    r = N.normalize_registers(table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "P", F.replace(payload, F.lit("}"), F.lit(',"cancelado":"talvez"}'))).otherwise(payload).alias("payload")))
+    return r.select("key", "year", F.date_format("starts", "yyyy-MM-dd").alias("starts"), "cancelled")
+
+
+@query("normalize_execution", "SELECT CAST(l_orderkey AS VARCHAR) AS contract_id, 'commitments' AS kind, CASE WHEN l_linenumber % 2 = 0 THEN 'n' ELSE 'i' END || l_linenumber AS record_key, CAST(l_partkey AS DOUBLE) * 1000 + 0.5 AS empenhado, strftime(l_shipdate, '%Y-%m-%d') AS date FROM lineitem")
+def normalize_execution(spark, d):
+    n = F.col("l_linenumber")
+    payload = _json("payload", [F.when(n % 2 == 0, F.concat(F.lit("n"), n)).alias("numero"), F.concat(F.lit("i"), n).alias("id"), F.concat(F.col("l_partkey"), F.lit(".000,50")).alias("empenhado"), F.when(n % 2 == 0, F.date_format("l_shipdate", "dd/MM/yyyy")).alias("data_emissao"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("emissao")])
+    x = N.normalize_execution(table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("contract_id"), payload), "commitments")
+    return x.select("contract_id", "kind", "record_key", F.when(F.col("empenhado") < 1, F.col("empenhado") * 1).otherwise(F.col("empenhado")).alias("empenhado"), F.date_format("date", "yyyy-MM-dd").alias("date"))
+
+
+@query("normalize_payments", "SELECT 'PAGAMENTO' AS phase, 'PAGAMENTO:' || event_id AS record_key, CAST(user_id AS VARCHAR) AS supplier_id, strftime(ts, '%Y-%m-%d') AS date FROM events")
+def normalize_payments(spark, d):
+    payload = _json("payload", [F.lit("Pagamento").alias("fase"), F.col("event_id").alias("documento"), F.concat(F.lit("n. "), F.col("user_id")).alias("codigoFavorecido"), F.date_format("ts", "dd/MM/yyyy").alias("data")])
+    return N.normalize_payments(table(spark, d, "events").select(payload)).select("phase", "record_key", "supplier_id", F.date_format("date", "yyyy-MM-dd").alias("date"))
+
+
+@query("normalize_prices", "SELECT l_partkey AS code, CASE WHEN l_partkey % 3 = 0 THEN 'MATERIAL' ELSE 'SERVICO' END AS kind, CAST(l_suppkey AS VARCHAR) AS supplier_id, l_extendedprice AS unit_price, strftime(l_shipdate, '%Y-%m-%d') AS bought, count(*) OVER (PARTITION BY l_partkey, l_orderkey, l_linenumber, l_extendedprice, l_shipdate) AS same FROM lineitem WHERE l_partkey % 3 < 2")
+def normalize_prices(spark, d):
+    """Prices of the codes that the catalogue knows, and how many have the same key."""
+    from pyspark.sql.window import Window
+
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("description"))
+    i = table(spark, d, "lineitem")
+    known = N.resolve_catalog(i.select(F.col("l_partkey").alias("code")), p.where(F.col("code") % 3 == 0), p.where(F.col("code") % 3 == 1))
+    payload = _json("payload", [F.col("l_orderkey").alias("idCompra"), F.col("l_linenumber").alias("numeroItemCompra"), F.col("l_extendedprice").alias("precoUnitario"), F.concat(F.lit("n/"), F.col("l_suppkey")).alias("cnpjFornecedor"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("dataCompra")])
+    prices = N.normalize_prices(i.select(F.col("l_partkey").alias("code"), payload), known)
+    same = F.count("*").over(Window.partitionBy("price_key"))
+    return prices.select("code", "kind", "supplier_id", F.col("unit_price").cast("double").alias("unit_price"), F.date_format("bought", "yyyy-MM-dd").alias("bought"), same.alias("same"))
+
+
+@query("register_balances", "SELECT l.o_orderkey AS register, CAST(i.l_linenumber AS BIGINT) AS item, i.l_quantity AS balance, i.l_linenumber IS NULL AS sentinel FROM orders l LEFT JOIN lineitem i ON l_orderkey = o_orderkey AND o_orderkey % 4 <> 0")
+def register_balances(spark, d):
+    """Balances of registers, with a sentinel for those that have none."""
+    item = F.struct(F.col("l_linenumber").alias("numeroItem"), F.col("l_quantity").alias("saldo"), F.col("l_partkey").cast("string").alias("codigoItem"))
+    found = table(spark, d, "lineitem").where(F.col("l_orderkey") % 4 != 0).groupBy(F.col("l_orderkey").alias("register")).agg(F.collect_list(item).alias("resultado"))
+    rows = N.normalize_balances(found.select("register", F.to_json(F.struct("resultado")).alias("payload")), "register")
+    every = N.balances(table(spark, d, "orders").select(F.col("o_orderkey").alias("register")), rows, "register")
+    return every.select("register", "item", F.col("balance").cast("double").alias("balance"), (F.col("record_key") == N.NO_RECORDS).alias("sentinel"))
+
+
+def _files(spark, name: str) -> str:
+    from tendril.queries.streams import shared_folder
+
+    return shared_folder(spark, name)
+
+
+@query("read_delimited", "SELECT CAST(o_orderkey AS VARCHAR) AS numero, 'Órgão; \"' || o_custkey || chr(34) || chr(10) || o_orderpriority AS objeto, CAST(o_totalprice AS DOUBLE) AS valor FROM orders WHERE o_orderkey % 5 <> 0".replace('\\"', '"'))
+def read_delimited(spark, d):
+    """Orders as quoted Latin-1 files with separators, quotes and line ends in their fields; rows without a number are set apart."""
+    o = table(spark, d, "orders")
+    text = F.concat(F.lit('Órgão; "'), F.col("o_custkey"), F.lit('"\n'), F.col("o_orderpriority"))
+    folder = _files(spark, "csv")
+    o.select(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey")).alias("Número"), text.alias("Objeto"), F.translate(F.format_number("o_totalprice", 2), ",.", ".,").alias("Valor")).write.options(header=True, sep=";", quote='"', escape='"', encoding="ISO-8859-1", quoteAll=True, lineSep="\n").csv(folder)
+    good, _ = D.quarantine(D.read_delimited(spark, folder), ["Número"])
+    return good.select(F.col("Número").alias("numero"), F.col("Objeto").alias("objeto"), P.br_number(F.col("Valor")).alias("valor"))
+
+
+@query("quarantine", "SELECT 'missing number' AS error, 'id ' || o_orderkey AS id, count(*) OVER () AS n FROM orders WHERE o_orderkey % 5 = 0")
+def quarantine(spark, d):
+    """What was set apart, with its error and the start of its line."""
+    from pyspark.sql.window import Window
+
+    o = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey")).alias("number"), F.concat(F.lit("id "), F.col("o_orderkey")).alias("id"))
+    folder = _files(spark, "csv")
+    o.write.options(header=True, sep=";", quoteAll=True, escape='"').csv(folder)
+    _, bad = D.quarantine(D.numbered(D.read_delimited(spark, folder, encoding="UTF-8")), ["number"])
+    return bad.where(F.col("line") > 0).select("error", F.get_json_object("content", "$.id").alias("id"), F.count("*").over(Window.partitionBy()).alias("n"))
+
+
+@query("read_mapped", "SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS agency, CAST(NULL AS VARCHAR) AS missing FROM supplier")
+def read_mapped(spark, d):
+    """A file whose header is known by fragments of its names only."""
+    folder = _files(spark, "mapped")
+    table(spark, d, "supplier").select(F.col("s_suppkey").alias("Número do Processo"), F.col("s_name").alias("Nome do Órgão")).write.options(header=True).csv(folder)
+    columns = {"key": [["numero", "licitacao"], ["numero", "processo"]], "agency": [["orgao"]], "missing": [["xyz"]]}
+    return D.read_mapped(spark, folder, columns, "key").drop(D.CORRUPT)
+
+
+@query("read_period", "SELECT 'items' AS role, CAST(p_partkey AS VARCHAR) AS id FROM part UNION ALL SELECT 'tenders', CAST(o_orderkey AS VARCHAR) FROM orders")
+def read_period(spark, d):
+    """A month's files by their names' roles; one has no role."""
+    base = _files(spark, "period")
+    paths = {f"{base}/202401_Licitacao.csv": ("orders", "o_orderkey"), f"{base}/202401_ItemLicitacao.csv": ("part", "p_partkey"), f"{base}/readme.csv": ("region", "r_regionkey")}
+    for path, (name, key) in paths.items():
+        table(spark, d, name).select(F.col(key).alias("id")).write.options(header=True, sep=";").csv(path)
+    found = D.read_period(spark, list(paths))
+    return found["items"].select(F.lit("items").alias("role"), "id").unionByName(found["tenders"].select(F.lit("tenders").alias("role"), "id"))
+
+
+@query("read_passthrough", "SELECT CAST(s_suppkey AS VARCHAR) AS codigo_unico, s_name AS name, 2 AS fields FROM supplier")
+def read_passthrough(spark, d):
+    folder = _files(spark, "passthrough")
+    table(spark, d, "supplier").select(F.col("s_suppkey").alias("Código Único"), F.col("s_name").alias("Nome")).write.options(header=True, sep=";", encoding="ISO-8859-1").csv(folder)
+    return D.read_passthrough(spark, folder).select("codigo_unico", F.col("data")["nome"].alias("name"), F.size("data").alias("fields"))
+
+
+@query("form_fields", "SELECT page_id, 'v' || page_id || '&' AS uf, CAST(NULL AS VARCHAR) AS none FROM pages")
+def form_fields(spark, d):
+    p = table(spark, d, "pages").withColumn("html", F.concat("html", F.lit('<input type="text" id="uf"\n value="v'), F.col("page_id"), F.lit('&amp;"><input id="none">')))
+    return p.select("page_id", *W.form_fields(F.col("html"), ["uf", "none"]))
+
+
+@query("files_in_json", "SELECT page_id, 'Edital ' || page_id AS title, '01/02/2024' AS created, url FROM pages WHERE page_id % 3 <> 0")
+def files_in_json(spark, d):
+    """Tables of files inside payloads; some payloads are no JSON."""
+    k = F.col("page_id")
+    html = F.concat(F.lit("<table><tr><td>Edital "), k, F.lit("</td><td>01/02/2024</td><td><a href=\""), F.col("url"), F.lit('">x</a></td></tr></table>'))
+    payload = F.when(k % 3 != 0, F.to_json(F.struct(html.alias("html")))).otherwise(F.lit("no json"))
+    return W.files_in_json(table(spark, d, "pages").select("page_id", payload.alias("payload")), "payload", ["page_id"])
+
+
+@query("listing_cards", "SELECT page_id, 'Prefeitura - ' || page_id AS agency, 'Recife' AS city, 'PE' AS state, page_id || '/2024' AS number FROM pages")
+def listing_cards(spark, d):
+    k = F.col("page_id")
+    html = F.concat(F.lit("<h1>x</h1><section>Órgão: Prefeitura - "), k, F.lit(" - Recife / PE<br>Número: "), k, F.lit("/2024<br>"))
+    return W.cards(table(spark, d, "pages").select("page_id", html.alias("html")), "html", "<section>", {"agency": "Órgão", "number": "Número"}, ["page_id"]).drop("card")
+
+
+@query("content_files", "SELECT source, count(*) AS links, count(DISTINCT source || lang) AS contents, 0 AS broken FROM (SELECT DISTINCT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL) GROUP BY 1")
+def content_files(spark, d):
+    """Files as stored contents and links, read twice; what the store holds has its hash."""
+    folder = _files(spark, "contents")
+    docs = table(spark, d, "documents").where(F.col("source").isNotNull() & F.col("lang").isNotNull()).select("source", "lang").distinct()
+    docs.select("source", "lang", F.concat("source", "lang").alias("value")).repartition("source", "lang").write.partitionBy("source", "lang").text(folder)
+    at = datetime(2024, 1, 1)
+    store, links = spark.createDataFrame([], "sha256 string, bytes long, content binary"), spark.createDataFrame([], "source string, entity string, key string, sha256 string, first_seen timestamp, last_seen timestamp")
+    new, links = C.content_store(spark, folder, store, links, "s", "file", at)
+    again, links = C.content_store(spark, folder, new, links, "s", "file", at)
+    kept = new.unionByName(again)
+    of = links.where(~F.col("key").contains("_SUCCESS")).withColumn("source", F.regexp_extract("key", "source=([^/]+)/", 1))
+    broken = C.verify_store(kept).agg(F.count("*").cast("int").alias("broken"))
+    return of.join(kept.select("sha256"), "sha256").groupBy("source").agg(F.count("*").alias("links"), F.countDistinct("sha256").alias("contents")).crossJoin(broken)
+
+
+@query("replay", "SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'later' ELSE 'first' END AS object FROM orders")
+def replay(spark, d):
+    """Raw payloads landed twice, of which some changed, and the table rebuilt from all of them."""
+    k = F.col("o_orderkey")
+    raw = lambda text: table(spark, d, "orders").select(F.concat(F.lit("u"), k).alias("url"), F.to_json(F.struct(k.cast("string").alias("numeroControlePNCP"), text.alias("objetoCompra"))).alias("payload"))
+    empty = spark.createDataFrame([], "url string, sha256 string")
+    first = C.land_raw(empty, raw(F.lit("first")), datetime(2024, 1, 1))
+    second = C.land_raw(first, raw(F.when(k % 3 == 0, "later").otherwise("first")), datetime(2024, 1, 2))
+    landed = first.unionByName(second)
+    return C.replay(landed, lambda rows: N.normalize_tenders(rows).select("key", "object"), ["key"]).select("key", "object")
+
+
+@query("materialize_monthly", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, CAST(sum(CASE WHEN year(o_orderdate) = 1997 THEN 2 ELSE 1 END) AS BIGINT) AS written FROM orders GROUP BY 1")
+def materialize_monthly(spark, d):
+    """Months written by several writers; those of one year are written again and replace what was there."""
+    folder = _files(spark, "months")
+    o = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.lit(1).alias("written"))
+    C.materialize_monthly(o, folder)
+    C.materialize_monthly(o.where(F.col("month").startswith("1997")).withColumn("written", F.lit(2)), folder)
+    return spark.read.schema("o_orderkey long, written int, month string").parquet(folder).groupBy("month").agg(F.count("*").alias("n"), F.sum("written").alias("written"))
+
+
+@query("json_parts", "SELECT event_id, 'object' AS kind, CASE WHEN event_id % 2 = 0 THEN 'array' WHEN event_id % 3 = 0 THEN 'string' ELSE 'number' END AS inner_kind, 'k' AS keys, CAST(0 AS INT) AS left_, event_id % 2 = 0 AS has, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS INT) AS texts FROM events")
+def json_parts(spark, d):
+    """Kinds, keys and lists in JSON documents, and a document without one of its keys."""
+    k = F.col("event_id")
+    inner = F.when(k % 2 == 0, F.lit('["a","b"]')).when(k % 3 == 0, F.lit('"x"')).otherwise(k.cast("string"))
+    doc = P.json_object(F.col("props"))
+    e = table(spark, d, "events").withColumn("inner", inner)
+    texts = P.string_array(F.when(k % 2 == 0, F.col("inner")), F.array(F.lit("default")))
+    return e.select("event_id", P.json_kind(F.col("props")).alias("kind"), P.json_kind(F.col("inner")).alias("inner_kind"), F.array_join(F.map_keys(doc), ",").alias("keys"), F.size(P.without_key(doc, "k")).alias("left_"), (F.size(texts) == 2).alias("has"), F.size(texts).alias("texts"))
+
+
+@query("content_keys", "SELECT count(DISTINCT (coalesce(text, '?'), coalesce(lang, '?'))) AS keys, 24 AS length FROM documents")
+def content_keys(spark, d):
+    key = P.content_key([F.col("text"), F.col("lang")], 24)
+    return table(spark, d, "documents").select(key.alias("k")).agg(F.countDistinct("k").alias("keys"), F.max(F.length("k")).alias("length"))
+
+
+@query("process_keys", "SELECT o_orderkey, o_custkey || ':' || left(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '', 'g'), 12) || ':' || o_orderkey AS key, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def process_keys(spark, d):
+    ms = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    key = process_key(F.col("o_custkey").cast("string"), F.col("o_orderpriority"), F.col("o_orderkey").cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", key.alias("key"), F.date_format(P.dotnet_date(F.concat(F.lit("/Date("), ms, F.lit(")/"))), "yyyy-MM-dd").alias("day"))
+
+
+@query("sql_functions", "SELECT p_partkey, lower(p_name) AS folded, lower(p_name) LIKE '%red%' AND lower(p_name) LIKE '%gear%' AS ok FROM part")
+def sql_functions(spark, d):
+    """The functions that are registered for SQL."""
+    register_functions(spark)
+    return table(spark, d, "part").selectExpr("p_partkey", "fold_text(p_name) AS folded", "text_ok(p_name, array('GÉAR red', 'x')) AS ok")
+
+
 @query("content_dedup", "SELECT sha256(text) AS sha256, min(doc_id) AS first_key, count(*) AS refs FROM documents GROUP BY 1")
 def content_dedup(spark, d):
     return C.content_dedup(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("dataset_manifest", "SELECT event_type, strftime(ts, '%Y-%m') AS month, count(*) AS records, CAST(sum(strlen(props)) AS BIGINT) AS bytes, strftime(min(ts), '%Y-%m-%d') AS first_date, strftime(max(ts), '%Y-%m-%d') AS last_date FROM events GROUP BY 1, 2")
+@query("dataset_manifest", "SELECT event_type, strftime(ts, '%Y-%m') AS month, true AS digested, count(*) AS records, CAST(sum(strlen(props)) AS BIGINT) AS bytes, strftime(min(ts), '%Y-%m-%d') AS first_date, strftime(max(ts), '%Y-%m-%d') AS last_date FROM events GROUP BY 1, 2")
 def dataset_manifest(spark, d):
-    return C.dataset_manifest(table(spark, d, "events").withColumn("month", F.date_format("ts", "yyyy-MM")), ["event_type", "month"], "ts", "props").drop("digest")
+    """Parts with their digests, which a shuffled copy of the rows has too."""
+    e = table(spark, d, "events").withColumn("month", F.date_format("ts", "yyyy-MM"))
+    part = ["event_type", "month"]
+    again = C.dataset_manifest(e.repartition(5, "event_id"), part, "ts", "props").select(*part, F.col("digest").alias("_again"))
+    return C.dataset_manifest(e, part, "ts", "props").join(again, part).withColumn("digested", F.col("digest") == F.col("_again")).drop("digest", "_again")
 
 
 @query("extract_links", r"""SELECT page_id, string_agg(DISTINCT h, '|' ORDER BY h) AS hrefs, count(DISTINCT h) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS h FROM pages) GROUP BY 1""")
@@ -128,19 +373,26 @@ def extract_links(spark, d):
     return p.select("page_id", F.array_join(F.array_sort("l.hrefs"), "|").alias("hrefs"), F.size("l.hrefs").cast("long").alias("n")).where(F.col("n") > 0)
 
 
-@query("extract_rows", r"""SELECT page_id, CAST(k - 1 AS INT) AS row, regexp_extract(li, '<a href="([^"]*)"', 1) AS href FROM (SELECT page_id, unnest(l) AS li, unnest(range(1, len(l) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '<li[^>]*>(.*?)</li>', 1, 's') AS l FROM pages))""")
+@query("extract_rows", r"""SELECT page_id, CAST(k - 1 AS INT) AS row, trim(regexp_replace(regexp_replace(li, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS label FROM (SELECT page_id, unnest(l) AS li, unnest(range(1, len(l) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '<li[^>]*>(.*?)</li>', 1, 's') AS l FROM pages))""")
 def extract_rows(spark, d):
     """Navigation entries, as rows of one cell once list items are written as table rows."""
-    p = table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace("html", r"<li[^>]*>", "<tr><td>"), "</li>", "</td></tr>").alias("html"))
-    rows = p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<tr><td>(.*?)</td></tr>"), F.lit(1))).alias("row", "cell"))
-    return rows.select("page_id", "row", F.regexp_extract("cell", r'<a href="([^"]*)"', 1).alias("href"))
+    p = table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace(F.regexp_replace("html", r"(?s)<tr.*?</tr>", ""), r"<li[^>]*>", "<tr><td>"), "</li>", "</td></tr>").alias("html"))
+    return W.listing_rows(p, "html", ["label"], ["page_id"])
+
+
+def _flags_sql(names) -> str:
+    return ", ".join("regexp_matches(html, '" + p.replace("'", "''") + f"', 'i') AS {n}" for n, p in names)
+
+
+_FLAGS = (*W.FRAMEWORKS, *W.WALLS, *W.HINTS)
 
 
-@query("fingerprint_pages", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
- len(regexp_extract_all(html, '<form[^>]+action="([^"]*)"', 1, 'i')) AS forms, regexp_matches(lower(html), 'captcha') AS captcha, regexp_matches(lower(html), '/api/') AS api FROM pages""")
+@query("fingerprint_pages", rf"""SELECT page_id, CASE WHEN regexp_matches(html, '<title[^>]*>[^<]{{1,200}}</title>', 'i') THEN trim(regexp_extract(html, '<title[^>]*>([^<]{{1,200}})</title>', 1, 'i')) END AS title,
+ least(10, len(regexp_extract_all(html, '<form[^>]*action=["'']([^"'']*)["'']', 1, 'i'))) AS forms, least(10, len(regexp_extract_all(html, '<script[^>]+src=["'']([^"'']+)["'']', 1, 'i'))) AS scripts, {_flags_sql(_FLAGS)} FROM pages""")
 def fingerprint_pages(spark, d):
     f = table(spark, d, "pages").select("page_id", W.fingerprint(F.col("html")).alias("f"))
-    return f.select("page_id", "f.title", F.size("f.forms").cast("long").alias("forms"), F.array_contains("f.walls", "captcha").alias("captcha"), F.array_contains("f.hints", "rest").alias("api"))
+    every = F.concat("f.frameworks", "f.walls", "f.hints")
+    return f.select("page_id", "f.title", F.size("f.forms").cast("long").alias("forms"), F.size("f.scripts").cast("long").alias("scripts"), *[F.array_contains(every, n).alias(n) for n, _ in _FLAGS])
 
 
 @query("keyword_context", r"""WITH s AS (SELECT doc_id, regexp_split_to_array(text, '(?i)thanin') AS p FROM documents WHERE lower(text) LIKE '%thanin%')

@@ -1,20 +1,28 @@
-"""Streams over the events table, each run over all that is there; SQL states the batch result."""
+"""Streams over the events and orders tables, each run over all that is there; SQL states the batch result."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendril.catalog import query, table
+from tendril.operators import monitors as M
+from tendril.queries.monitors import _ALERTS, AS_OF, _changed, _items, _nothing, _records, rules
 from tendril.streaming import core as S
 
 
-def _folder(spark, name: str) -> str:
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the session's checkpoint folder; a local one only where none is set and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    base = base or "file://" + tempfile.mkdtemp(prefix="tendril-")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tendril-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -24,47 +32,48 @@ def _events(spark, d):
     return S.file_stream(spark, f"{d}/events.parque[t]", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _last_version(spark, folder: str, run) -> object:
-    seen = []
+def _run(stream: DataFrame, folder: str, put: Callable[[DataFrame, int], None]) -> int:
+    """Runs the stream over what is there; the number of the last batch, -1 if there was none."""
+    seen = [-1]
 
     def counted(batch, n):
-        run(batch, n)
+        put(batch, n)
         seen.append(n)
 
-    return counted, seen
+    S.run_available(stream.writeStream.foreachBatch(counted), f"{folder}-progress")
+    return max(seen)
 
 
-def _kept(spark, d, name: str, stream, step):
-    folder = _folder(spark, name)
-    run, seen = _last_version(spark, folder, S.versioned(folder, step))
-    S.run_available(stream.writeStream.foreachBatch(run), f"{folder}-progress")
-    return S.latest(spark, folder, max(seen) + 1)
+def _kept(spark, name: str, stream: DataFrame, how: S.Merge) -> DataFrame:
+    kept = S.MergedTable(shared_folder(spark, name), how)
+    n = _run(stream, kept.folder, kept.put)
+    return how.merge(how.fold(spark.createDataFrame([], stream.schema))) if n < 0 else kept.after(spark, n)
 
 
 @query("usage_counters", "SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2, 3")
 def usage_counters(spark, d):
     e = _events(spark, d).select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    return _kept(spark, d, "usage", e, S.add_counts(["user_id", "event_type", "day"]))
+    return _kept(spark, "usage", e, S.add_counts(["user_id", "event_type", "day"]))
 
 
 @query("late_merge", "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2")
 def late_merge(spark, d):
     e = _events(spark, d).select("user_id", "event_type", "event_id")
-    return _kept(spark, d, "latest", e, S.merge_latest(["user_id", "event_type"], ["event_id"])).select("user_id", "event_type", "event_id")
+    return _kept(spark, "latest", e, S.keep_latest(["user_id", "event_type"], ["event_id"])).select("user_id", "event_type", "event_id")
 
 
 @query("late_dedup", "SELECT event_id, user_id, event_type FROM events")
 def late_dedup(spark, d):
     """Each event arrives twice, as by an overlapping re-read, and stays once."""
     twice = _events(spark, d).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    folder = _folder(spark, "dedup")
+    folder = shared_folder(spark, "dedup")
     S.run_available(S.once_within(twice, ["event_id"], "ts", "60 days").select("event_id", "user_id", "event_type").writeStream.format("parquet").outputMode("append").option("path", folder), f"{folder}-progress")
     return spark.read.schema("event_id long, user_id long, event_type string").parquet(folder)
 
 
 @query("stream_monthly", "SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
 def stream_monthly(spark, d):
-    folder = _folder(spark, "monthly")
+    folder = shared_folder(spark, "monthly")
 
     def put(batch, n):
         batch.write.mode("overwrite").parquet(folder)
@@ -73,13 +82,48 @@ def stream_monthly(spark, d):
     return spark.read.parquet(folder)
 
 
-@query("stateful_alerts", """WITH l AS (SELECT event_id, user_id, CASE WHEN value >= 90 THEN 90 WHEN value >= 80 THEN 80 WHEN value >= 70 THEN 70 ELSE 0 END AS level FROM events),
- a AS (SELECT *, lag(level) OVER (PARTITION BY user_id ORDER BY event_id) AS last_level FROM l WHERE level > 0) SELECT event_id, user_id AS key, level, last_level FROM a WHERE level IS DISTINCT FROM last_level""")
+_LEVELS = """WITH l AS (SELECT event_id, user_id, CASE WHEN value >= 90 THEN 90 WHEN value >= 80 THEN 80 WHEN value >= 70 THEN 70 ELSE 0 END AS level FROM events),
+ a AS (SELECT *, lag(level) OVER (PARTITION BY user_id ORDER BY event_id) AS last_level FROM l WHERE level > 0) SELECT event_id, user_id AS key, level, last_level FROM a WHERE level IS DISTINCT FROM last_level"""
+
+
+@query("stateful_alerts", _LEVELS)
 def stateful_alerts(spark, d):
-    folder = _folder(spark, "alerts")
-    out = S.threshold_stream(_events(spark, d), "user_id", ["event_id"], "value")
-    S.run_available(out.writeStream.format("parquet").outputMode("append").option("path", folder), f"{folder}-progress")
-    return spark.read.schema("event_id long, key long, level int, last_level int").parquet(folder)
+    """The events in two batches, so that levels are carried from one to the next."""
+    folder = shared_folder(spark, "alerts")
+    e = table(spark, d, "events").select("event_id", "user_id", "value")
+    half = e.agg(F.expr("max(event_id) div 2")).first()[0] or 0
+    run = S.level_alerts(folder, "user_id", ["event_id"], "value")
+    last = -1
+    for part in (e.where(F.col("event_id") <= half), e.where(F.col("event_id") > half)):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        last = max(last, _run(S.file_stream(spark, f"{folder}/in", e.schema, 1), folder, run))
+    return spark.read.schema("event_id long, key long, level int, last_level int").parquet(*[f"{folder}/alerts-{n}" for n in range(last + 1)])
+
+
+@query("stream_resume", "SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
+def stream_resume(spark, d):
+    """A stream that stops and goes on from its checkpoint when more files are there: every event counts once."""
+    folder = shared_folder(spark, "resume")
+    e = table(spark, d, "events").select("event_id", "event_type")
+    for k in (0, 1):
+        e.where(F.col("event_id") % 2 == k).write.mode("append").parquet(f"{folder}/in")
+        rows = S.file_stream(spark, f"{folder}/in", e.schema, 2)
+        S.run_available(rows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out"), f"{folder}-progress")
+    return spark.read.schema(e.schema).parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+@query("monitor_tick", f"WITH {_ALERTS} SELECT monitor_id, key, type, importance FROM alerts")
+def monitor_tick(spark, d):
+    """Two readings of the tenders as a stream: all monitors are evaluated on each, with what they remember."""
+    folder = shared_folder(spark, "tick")
+    first = _records(spark, d).where(F.col("key") % 3 != 0).withColumn("awarded", F.lit(None).cast("double"))
+    second = _changed(_records(spark, d))
+    memory = spark.createDataFrame([], M.MEMORY)
+    run = S.monitor_tick(folder, rules(spark), {"items": _items(spark, d)}, (_nothing(spark), memory), AS_OF)
+    for part in (first, second.select(first.columns)):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        last = _run(S.file_stream(spark, f"{folder}/in", first.schema, 1), folder, run)
+    return spark.read.parquet(*[f"{folder}/alerts-{n}" for n in range(last + 1)]).select("monitor_id", F.col("key").cast("long").alias("key"), "type", "importance")
 
 
 @query("events_last_day", "SELECT event_type, count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-19' AND ts <= TIMESTAMP '2024-01-20' GROUP BY 1")

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tendril.operators.history import first_per_key, upsert
 
 
+#: Tasks that write one month.
+WRITERS = 8
+
+
 def land_raw(current: DataFrame, batch: DataFrame, collected_at) -> DataFrame:
     """New raw rows only: payloads whose (url, SHA-256) is not there yet, once each.
 
@@ -21,7 +25,7 @@ def land_raw(current: DataFrame, batch: DataFrame, collected_at) -> DataFrame:
 
 def replay(raw: DataFrame, normalizer: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
     """The normalised table rebuilt from all raw rows, the latest of each key."""
-    rows = normalizer(raw.withColumn("payload", F.col("payload")))
+    rows = normalizer(raw)
     return first_per_key(rows, keys, [F.col(c).desc_nulls_last() for c in rows.columns if c not in keys])
 
 
@@ -53,7 +57,8 @@ def dataset_manifest(df: DataFrame, keys: list[str], date: str, content: str) ->
 
 def materialize_monthly(df: DataFrame, path: str, month: str = "month") -> None:
     """Months in the batch replace those months in the table; other months stay."""
-    df.repartition(month).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(WRITERS))  # a month's rows go to several writers
+    df.repartition(F.col(month), spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
 
 
 def snapshot(kpis: DataFrame, sections: dict[str, DataFrame]) -> DataFrame:

@@ -6,8 +6,7 @@ import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from tendril.functions.text import slug
+from pyspark.sql.window import Window
 
 CORRUPT = "_corrupt_record"
 
@@ -95,15 +94,25 @@ def read_passthrough(spark: SparkSession, path: str, encoding: str = "ISO-8859-1
     return df.withColumn("data", F.create_map(*pairs))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Rows of files that quoted line ends keep whole, with ``_line``, the record's place in its file.
+
+    Such a file is read by one task, in order, so a running number tells the place.
+    """
+    return df.withColumns({"_file": F.input_file_name(), "_at": F.monotonically_increasing_id()}).withColumn("_line", F.row_number().over(Window.partitionBy("_file").orderBy("_at")).cast("long")).drop("_file", "_at")
+
+
 def quarantine(df: DataFrame, required: list[str], most: int = 400) -> tuple[DataFrame, DataFrame]:
-    """(good rows, ``file, error, content``): rows that did not parse or lack a required column never stop a load."""
+    """(good rows, ``file, line, error, content``): rows that did not parse or lack a required column never stop a load.
+
+    ``line`` is the place of the record among the rows as they were read, from 1,
+    where a column ``_line`` has it (``numbered``), else null.
+    """
     corrupt = F.col(CORRUPT) if CORRUPT in df.columns else F.lit(None).cast("string")
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), F.lit(c)) for c in required]))
     error = F.when(corrupt.isNotNull(), F.lit("malformed")).when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ",")))
     marked = df.withColumn("_error", error)
-    content = F.left(F.coalesce(corrupt, F.to_json(F.struct(*[c for c in df.columns if c != CORRUPT]))), F.lit(most))
-    return marked.where(F.col("_error").isNull()).drop("_error", CORRUPT), marked.where(F.col("_error").isNotNull()).select(F.input_file_name().alias("file"), F.col("_error").alias("error"), content.alias("content"))
-
+    marked = marked if "_line" in df.columns else marked.withColumn("_line", F.lit(None).cast("long"))
+    content = F.left(F.coalesce(corrupt, F.to_json(F.struct(*[c for c in df.columns if c not in (CORRUPT, "_line")]))), F.lit(most))
+    return marked.where(F.col("_error").isNull()).drop("_error", "_line", CORRUPT), marked.where(F.col("_error").isNotNull()).select(F.input_file_name().alias("file"), F.col("_line").alias("line"), F.col("_error").alias("error"), content.alias("content"))
 
-def slug_column(column):
-    return slug(column, "_")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tendril.functions.parse import json_kind
 from tendril.functions.text import decode_entities
 
 
@@ -59,27 +60,65 @@ def links(html: Column, extensions: str = "zip|csv|xlsx|xls|json|pdf") -> Column
     return F.struct(hrefs.alias("hrefs"), F.filter(hrefs, lambda h: h.endswith("/")).alias("folders"), F.filter(hrefs, lambda h: F.lower(h).rlike(rf"\.({extensions})$")).alias("files"), F.array_min(years).alias("first_year"), F.array_max(years).alias("last_year"))
 
 
-#: Fixed values: (flag, pattern) of frameworks, of anti-bot walls and of interfaces.
-FRAMEWORKS = (("react", r"react|__NEXT_DATA__"), ("angular", r"ng-version|ng-app"), ("vue", r"vue(\.min)?\.js|data-v-"), ("jquery", r"jquery"), ("aspnet", r"__VIEWSTATE"), ("jsf", r"javax\.faces"))
-WALLS = (("captcha", r"captcha|g-recaptcha|hcaptcha"), ("cloudflare", r"cf-ray|cloudflare|__cf_"), ("incapsula", r"incapsula"))
-HINTS = (("graphql", r"graphql"), ("rest", r"/api/"), ("swagger", r"swagger|openapi"))
+#: Fixed values: (flag, pattern) of frameworks, of anti-bot walls and of interfaces; whatever the case.
+FRAMEWORKS = (
+    ("react", r"react(-dom)?[.\-@]|data-reactroot|__NEXT_DATA__"),
+    ("angular", r"ng-app|ng-version|angular\.js|zone\.js"),
+    ("vue", r"vue\.js|__NUXT__|v-app"),
+    ("jquery", r"jquery[.\-]"),
+    ("wordpress", r"wp-content|wp-includes"),
+)
+WALLS = (
+    ("recaptcha", r"recaptcha|grecaptcha"),
+    ("hcaptcha", r"hcaptcha"),
+    ("cloudflare_challenge", r"cf-chl|cf_chl|challenges\.cloudflare\.com|__cf_bm"),
+    ("turnstile", r"turnstile"),
+)
+HINTS = (
+    ("swagger_ui", r"swagger-ui|swagger\.json|swagger\.io"),
+    ("openapi", r"openapi\.json|/v3/api-docs"),
+    ("graphql", r"graphql"),
+    ("api_path_ref", r"""["'](/api/[a-z0-9_\-/]+)["']"""),
+)
 
 
 def fingerprint(html: Column) -> Column:
     """Title, scripts, frameworks, walls, interface hints, API paths and form actions of a page."""
-    flags = lambda table: F.array_compact(F.array(*[F.when(F.lower(html).rlike(p.lower()), F.lit(n)) for n, p in table]))
+    flags = lambda table: F.array_compact(F.array(*[F.when(html.rlike(f"(?i){p}"), F.lit(n)) for n, p in table]))
+    title = F.trim(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]{1,200})</title>", 1))
     return F.struct(
-        strip_tags(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
-        F.slice(F.array_distinct(_all(html, r'(?i)<script[^>]+src="([^"]+)"')), 1, 10).alias("scripts"),
-        flags(FRAMEWORKS).alias("frameworks"), flags(WALLS).alias("walls"), flags(HINTS).alias("hints"),
-        F.slice(F.array_distinct(_all(html, r"(/api/[\w\-/.]+)")), 1, 20).alias("api_paths"),
-        F.slice(_all(html, r'(?i)<form[^>]+action="([^"]*)"'), 1, 10).alias("forms"),
-    )
+        F.when(html.rlike(r"(?i)<title[^>]*>[^<]{1,200}</title>"), title).alias("title"),
+        F.slice(_all(html, r"""(?i)<script[^>]+src=["']([^"']+)["']"""), 1, 10).alias("scripts"),
+        flags(FRAMEWORKS).alias("frameworks"),
+        flags(WALLS).alias("walls"),
+        flags(HINTS).alias("hints"),
+        F.slice(F.array_distinct(_all(html, r"""["'](/?api/[a-zA-Z0-9_\-/]{2,60})["']""")), 1, 20).alias("api_paths"),
+        F.slice(_all(html, r"""(?i)<form[^>]*action=["']([^"']*)["']"""), 1, 10).alias("forms"),
+    )
+
+
+#: Keys that the skeleton of an object shows, and objects within lists that are opened.
+SHAPE_KEYS, SHAPE_DEPTH = 34, 3
 
 
 def json_shape(payload: Column) -> Column:
-    """The type of a JSON document as a schema string."""
-    return F.schema_of_variant(F.try_parse_json(payload))
+    """The skeleton of a JSON document: the first 34 keys of an object, ``array:n`` and the skeleton of its first element
+    down to depth 3 for a list, else the kind of value; null if it is no JSON."""
+
+    def shape(s: Column, depth: int) -> Column:
+        kind = json_kind(s)
+        plain = F.when(kind == "object", F.lit("object")).when(kind == "array", F.lit("array")).otherwise(kind)
+        keys = F.concat(F.lit("{"), F.array_join(F.slice(F.json_object_keys(s), 1, SHAPE_KEYS), ","), F.lit("}"))
+        n = F.coalesce(F.json_array_length(s), F.lit(0))
+        inner = shape(F.get_json_object(s, "$[0]"), depth + 1) if depth < SHAPE_DEPTH else F.lit("object")
+        # a text among the elements comes without its quotes
+        inner = F.coalesce(inner, F.lit("string"))
+        listed = F.when(n == 0, F.lit("array:0")).otherwise(F.concat(F.lit("array:"), n, F.lit("["), inner, F.lit("]")))
+        if depth >= SHAPE_DEPTH:
+            keys = F.lit("object")
+        return F.when(kind == "object", keys).when(kind == "array", listed).otherwise(plain)
+
+    return shape(payload, 0)
 
 
 def keyword_context(df: DataFrame, text: str, term: str, keep: list[str], before: int = 200, after: int = 600, most: int = 15) -> DataFrame:

@@ -110,6 +110,34 @@ def resolve_catalog(wanted: DataFrame, materials: DataFrame, services: DataFrame
     return wanted.select("code").distinct().join(best, "code", "left").select("code", F.coalesce("x.kind", F.lit(MISSING)).alias("kind"), "x.description")
 
 
+# fixed values: output column -> path in the payload, alternatives in order
+PRICE_TEXT = {
+    "item": ("descricaoItem", "descricao"), "unit": ("siglaUnidadeFornecimento", "unidadeMedida"), "agency": ("nomeOrgao", "orgao"), "office_code": "codigoUasg", "office": "nomeUasg", "state": ("estado", "siglaUf"), "city": ("municipio", "nomeMunicipio"),
+    "supplier": ("nomeFornecedor", "fornecedor"), "modality": ("nomeModalidade", "modalidade"), "process": "idCompra",
+}
+BALANCE_MONEY = {"registered": ("quantidadeRegistrada", "quantidade"), "committed": "quantidadeEmpenhada", "balance": ("saldo", "saldoItem"), "unit_price": "valorUnitario"}
+
+
+def normalize_prices(raw: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Prices paid for catalogue codes that are known; a price's key is a hash of what was bought when.
+
+    ``raw``: ``code, payload``; ``catalog``: ``code, kind`` as ``resolve_catalog`` gives
+    it; codes that were not found have no prices.
+    """
+    found = catalog.where(~F.col("kind").eqNullSafe(F.lit(MISSING))).select("code", "kind")
+    supplier = digits(_first(("niFornecedor", "cnpjFornecedor", "cpfCnpjFornecedor"))).alias("supplier_id")
+    parts = [F.col("code"), _first(("idCompra", "id_compra")), _first(("numeroItemCompra", "numero_item_compra")), _first(("valorUnitario", "precoUnitario")), _first(("dataResultado", "dataCompra"))]
+    known = raw.join(found, "code").withColumns({"supplier_id": supplier, "price_key": content_key(parts)})
+    money = {"unit_price": ("valorUnitario", "precoUnitario"), "quantity": "quantidade"}
+    return flatten(known, PRICE_TEXT, moneys=money, dates={"bought": "dataCompra", "result_date": "dataResultado"}, keep=("code", "kind", "price_key", "supplier_id"))
+
+
+def normalize_balances(raw: DataFrame, key: str) -> DataFrame:
+    """Balances of registers' items from the payloads' results; ``record_key`` is a hash of the item."""
+    out = flatten(explode_children(raw, key, "resultado"), {"code": "codigoItem"}, {"item": ("numeroItem", "numero_item")}, BALANCE_MONEY, keep=(key,))
+    return out.where(F.col("source_payload").startswith("{") & F.get_json_object("source_payload", "$.resultado").isNull()).withColumn("record_key", F.left(F.sha2("source_payload", 256), F.lit(32)))
+
+
 def balances(registers: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Balances of registers, with a sentinel row for those without any, so that they are not asked for again."""
     none = registers.select(key).distinct().join(found.select(key), key, "left_anti").withColumn("record_key", F.lit(NO_RECORDS))

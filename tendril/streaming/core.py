@@ -1,20 +1,21 @@
 """Structured Streaming forms of the operators.
 
-A stream reads files as they arrive; tables that change are kept as versions in a
-shared folder, one for each micro-batch, each made from the one before, so a batch
-that runs again makes the same version again.
+A stream reads files as they arrive.  Tables that change are kept in a shared
+folder: each micro-batch leaves what it changes, and every few batches these parts
+are merged into one.  A batch that runs again leaves the same part again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.window import Window
 
-Step = Callable[[DataFrame | None, DataFrame], DataFrame]
+from tendril.operators.monitors import evaluate
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
@@ -27,41 +28,69 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def versioned(folder: str, step: Step) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps a table in versions: version n is ``step`` of version n - 1 and batch n."""
+@dataclass(frozen=True)
+class Merge:
+    """What a micro-batch leaves, and how such parts make a table; merging parts that are merged already changes nothing."""
 
-    def run(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{folder}/v{n - 1}") if n else None
-        step(before, batch).write.mode("overwrite").parquet(f"{folder}/v{n}")
+    fold: Callable[[DataFrame], DataFrame]
+    merge: Callable[[DataFrame], DataFrame]
 
-    return run
 
+def add_counts(keys: list[str], count: str = "n") -> Merge:
+    """Counters of rows by ``keys``."""
+    return Merge(lambda batch: batch.groupBy(*keys).agg(F.count("*").alias(count)), lambda parts: parts.groupBy(*keys).agg(F.sum(count).alias(count)))
 
-def latest(spark: SparkSession, folder: str, batches: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/v{batches - 1}")
 
+def keep_latest(keys: list[str], order: list[str]) -> Merge:
+    """The latest row of each key: late and repeated rows change nothing, none is dropped by a watermark."""
 
-def add_counts(keys: list[str], count: str = "n") -> Step:
-    """A step that adds the batch's rows to counters."""
+    def best(rows: DataFrame) -> DataFrame:
+        values = [c for c in rows.columns if c not in keys]
+        found = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_x"))
+        return found.select(*keys, *[F.col("_x")[c].alias(c) for c in values])
 
-    def step(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-        new = batch.groupBy(*keys).agg(F.count("*").alias(count))
-        return new if before is None else before.unionByName(new).groupBy(*keys).agg(F.sum(count).alias(count))
+    return Merge(best, best)
 
-    return step
 
+class MergedTable:
+    """A table under ``folder`` that micro-batches add to.
 
-def merge_latest(keys: list[str], order: list[str]) -> Step:
-    """A step that keeps the latest row of each key: late and repeated rows change nothing, none is dropped by a watermark."""
+    Batch n writes its own part.  Every ``every`` batches the parts since the last
+    whole table and that table are merged into a new one, and the round before is
+    emptied: a batch costs what it changes, and a row is written anew once a round.
+    """
 
-    def step(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-        rows = batch if before is None else before.unionByName(batch)
-        values = [c for c in rows.columns if c not in keys]
-        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_x"))
-        return best.select(*keys, *[F.col("_x")[c].alias(c) for c in values])
+    def __init__(self, folder: str, how: Merge, every: int = 16):
+        self.folder, self.how, self.every = folder, how, every
 
-    return step
+    def _whole_before(self, n: int) -> int:
+        """The last batch up to ``n`` with a whole table, -1 if none has."""
+        return (n + 1) // self.every * self.every - 1
+
+    def after(self, spark: SparkSession, n: int) -> DataFrame | None:
+        """The table after batch ``n``; None before the first."""
+        if n < 0:
+            return None
+        whole = self._whole_before(n)
+        paths = [f"{self.folder}/part-{k}" for k in range(whole + 1, n + 1)] + ([f"{self.folder}/whole-{whole}"] if whole >= 0 else [])
+        return self.how.merge(spark.read.parquet(*paths))
+
+    def put(self, batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        self.how.fold(batch).write.mode("overwrite").parquet(f"{self.folder}/part-{n}")
+        if (n + 1) % self.every:
+            return
+        before = n - self.every
+        paths = [f"{self.folder}/part-{k}" for k in range(before + 1, n + 1)] + ([f"{self.folder}/whole-{before}"] if before >= 0 else [])
+        self.how.merge(spark.read.parquet(*paths)).write.mode("overwrite").parquet(f"{self.folder}/whole-{n}")
+        for k in range(max(0, before - self.every + 1), before + 1):  # no batch that may run again needs these
+            self._empty(spark, f"{self.folder}/part-{k}")
+        if before - self.every >= 0:
+            self._empty(spark, f"{self.folder}/whole-{before - self.every}")
+
+    @staticmethod
+    def _empty(spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
 
 
 def once_within(stream: DataFrame, keys: list[str], event_time: str, delay: str = "2 days") -> DataFrame:
@@ -69,28 +98,49 @@ def once_within(stream: DataFrame, keys: list[str], event_time: str, delay: str
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def threshold_stream(stream: DataFrame, key: str, order: list[str], pct: str, limits: tuple[int, ...] = (70, 80, 90)) -> DataFrame:
-    """Streaming twin of :func:`tendril.operators.quality.threshold_alerts`: the last reported level is kept by key.
+def level_alerts(folder: str, key: str, order: list[str], pct: str, limits: tuple[int, ...] = (70, 80, 90)) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function, the twin of :func:`tendril.operators.quality.threshold_alerts`: an alert where a key's level is not the last one reported.
+
+    ``order`` orders the rows of a key within a micro-batch; its first column is
+    returned as well.  Each key's last level is kept between batches; rows below all
+    limits are passed over.  Alerts of batch n are ``folder/alerts-n``.
+    """
+    last = MergedTable(f"{folder}/levels", keep_latest(["key"], ["n", *order]))
+    level = F.lit(0)
+    for limit in sorted(limits):
+        level = F.when(F.col(pct) >= limit, F.lit(limit)).otherwise(level)
+
+    def run(batch: DataFrame, n: int) -> None:
+        rows = batch.select(F.col(key).alias("key"), *order, level.alias("level"), F.lit(n).alias("n")).where(F.col("level") > 0)
+        before = last.after(batch.sparkSession, n - 1)
+        both = rows if before is None else rows.unionByName(before.select(rows.columns))
+        w = Window.partitionBy("key").orderBy("n", *order)
+        found = both.withColumn("last_level", F.lag("level").over(w)).where((F.col("n") == n) & ~F.col("level").eqNullSafe(F.col("last_level")))
+        found.select(order[0], "key", "level", "last_level").write.mode("overwrite").parquet(f"{folder}/alerts-{n}")
+        last.put(rows, n)
+
+    return run
+
+
+def monitor_tick(folder: str, rules: DataFrame, tables: dict[str, DataFrame], empty: tuple[DataFrame, DataFrame], as_of) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that evaluates all ``rules`` on the records of each batch, with what is remembered of those before.
 
-    Rows of a key are taken in ``order`` within a micro-batch; ``order`` begins
-    with an integer id column that is returned as ``event_id``.
+    ``tables`` are the others that :func:`tendril.operators.monitors.evaluate` reads;
+    ``empty``: a match table and a memory without rows.  The first batch is a silent
+    run.  After batch n: ``folder/state-n``, ``folder/memory-n``, ``folder/alerts-n``;
+    those of two batches before are emptied, but for the alerts.
     """
-    top = sorted(limits)
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(order)
-        out = []
-        for event_id, value in zip(rows["event_id"], rows[pct]):
-            at = max((x for x in top if value >= x), default=0)
-            if at and at != last:
-                out.append((event_id, k[0], at, last))
-                last = at
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"event_id": pd.Series([o[0] for o in out], dtype="int64"), "key": pd.Series([o[1] for o in out], dtype="int64"), "level": pd.Series([o[2] for o in out], dtype="int32"), "last_level": pd.Series([o[3] for o in out], dtype="Int32")})
-
-    return stream.select(key, "event_id", *[o for o in order if o != "event_id"], pct).groupBy(key).applyInPandasWithState(step, "event_id long, key long, level int, last_level int", "last int", "append", "NoTimeout")
+
+    def run(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        state, memory = (spark.read.parquet(f"{folder}/{name}-{n - 1}") for name in ("state", "memory")) if n else empty
+        after = evaluate(state, memory, {"records": batch, **tables}, rules, as_of, first_run=n == 0)
+        for name, df in zip(("state", "memory", "alerts"), after):
+            df.write.mode("overwrite").parquet(f"{folder}/{name}-{n}")
+        for name in ("state", "memory") if n > 1 else ():
+            MergedTable._empty(spark, f"{folder}/{name}-{n - 2}")
+
+    return run
 
 
 def monthly(stream: DataFrame, date: str, keys: list[str], value: str) -> DataFrame:

@@ -41,7 +41,8 @@ def test_terms_slug_entities(spark):
     assert one(spark, T.effective_terms(F.col("a"), F.col("b")), a=(None, "array<string>"), b=(None, "array<string>")) == []
     assert one(spark, T.slug(F.col("s"), "_"), s="  Ano do Procésso / X ") == "ano_do_processo_x"
     assert one(spark, T.slug(F.col("s")), s="--a..B--") == "a-b"
-    assert one(spark, T.decode_entities(F.col("s")), s="a&#231;&atilde;o &amp;lt; &nbsp;x&#999999;") == "ação &lt;  x&#999999;"
+    assert one(spark, T.decode_entities(F.col("s")), s="a&#231;&atilde;o &amp;lt; &nbsp;x&#999999;") == "ação &lt;  x\U000f423f"
+    assert one(spark, T.decode_entities(F.col("s")), s="&#128512;&#9;&#55296;&#9999999;") == "\U0001f600\t&#55296;&#9999999;"
     city, state = T.city_state(F.col("s"))
     assert one(spark, city, s="São Luís-MA") == "São Luís" and one(spark, state, s="A-B-MA") == "MA" and one(spark, state, s="MA-") is None and one(spark, state, s="MA") == "MA"
 
@@ -82,7 +83,7 @@ def test_supplier_phase_and_keys(spark):
     assert one(spark, P.is_official_id(F.col("s")), s="12345678000190-1-000001/2024") is True and one(spark, P.is_official_id(F.col("s")), s="1-1-1/2024") is False
     a, b = (one(spark, P.content_key([F.col("s"), F.col("t")], 24), s=x, t="y") for x in ("", None))
     assert a != b and len(a) == 24
-    assert one(spark, P.money_label(F.col("v")), v=(1234567.0, "double")) == "R$ 1.234.567" and one(spark, P.money_label(F.col("v")), v=(None, "double")) == "sem valor"
+    assert one(spark, P.money_label(F.col("v")), v=(1234567.0, "double")) == "R$ 1.234.567" and one(spark, P.money_label(F.col("v")), v=(None, "double")) == "valor não informado" and one(spark, P.money_label(F.col("v")), v=(2.5, "double")) == "R$ 3"
     assert one(spark, P.url_extension(F.col("s"), F.col("t")), s="http://x/a.PDF?z=1", t="text/html") == "pdf" and one(spark, P.url_extension(F.col("s"), F.col("t")), s="http://x/a", t="x") == "bin"
 
 

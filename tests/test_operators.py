@@ -87,10 +87,10 @@ def test_threshold_levels(spark):
 
 
 def test_resolution_ways(spark):
-    records = spark.createDataFrame([("a", "Prefeitura de São João", "0012", "São João-SP"), ("b", "prefeitura DE SAO JOAO", "7", "São João-SP"), ("c", "", "5", "X-SP"), ("d", "Outra", "99", "Rio-RJ"), ("e", "Outra", "12a", "Rio-RJ")], "record_key string, agency string, number string, city_uf string")
-    cands = spark.createDataFrame([("p1", "PREFEITURA DE SÃO JOÃO", "12", None), ("p2", "Prefeitura de Sao Joao", None, "00007/"), ("p3", "Prefeitura de Sao Joao", "7", "x")], "canonical_key string, agency string, purchase_no string, process_no string")
+    records = spark.createDataFrame([("a", "Prefeitura de São João", "0012", "São João-SP"), ("b", "prefeitura DE SAO JOAO", "7", "São João-SP"), ("c", "", "5", "X-SP"), ("d", "Outra", "99", "Rio-RJ"), ("e", "Outra", "12a", "Rio-RJ"), ("f", "Prefeitura  de\tSão João", "1/2", None), ("g", "Outra", "5/2024", "-"), ("h", "Outra", "x", "Rio-RJ"), ("i", "Straße", "007", "Łódź-X-y")], "record_key string, agency string, number string, city_uf string")
+    cands = spark.createDataFrame([("p1", "PREFEITURA DE SÃO JOÃO", "12", None), ("p2", "Prefeitura de Sao Joao", None, "00007/"), ("p3", "Prefeitura de Sao Joao", "7", "x"), ("p4", "STRASSE", "7a", "0-0-7")], "canonical_key string, agency string, purchase_no string, process_no string")
     links, review = R.resolve_by_name_number(records, cands, "s")
-    assert rows(links) == [("a", "p1", "linked"), ("c", "src:s:c", "source"), ("d", "proc:RJ:RIO:99", "new"), ("e", "src:s:e", "source")]
+    assert rows(links) == [("a", "p1", "linked"), ("c", "src:s:c", "source"), ("d", "proc:RJ:RIO:99", "new"), ("e", "proc:RJ:RIO:12", "new"), ("f", "p1", "linked"), ("g", "proc:XX:?:52024", "new"), ("h", "src:s:h", "source"), ("i", "p4", "linked")]
     assert rows(review) == [("b", ["p2", "p3"])]
     none, _ = R.resolve_by_name_number(records, cands, "s", pending=records)
     assert none.count() == 0
@@ -103,8 +103,8 @@ def _rule(spark, **kw):
 
 def test_match_conditions(spark):
     rec = spark.createDataFrame(
-        [("a", "Compra de papel A4", "SP", "Campinas", None, "PREGAO", "ABERTA", 10.0, T1), ("b", "papel e tinta", "RJ", "Rio", "X", "PREGAO", "ABERTA", None, T1), ("c", None, "SP", "Santos", "Y", "OUTRA", "ABERTA", 5.0, None)],
-        "key string, text string, state string, city string, agency string, modality string, status string, value double, closes timestamp",
+        [("a", "Compra de papel A4", "SP", "Campinas", None, "Pregão", "ABERTA", None, 10.0, T1), ("b", "papel e tinta", "RJ", "Rio", "X", "Pregão", None, "Encerrada", None, T1), ("c", None, "SP", "Santos", "Y", "OUTRA", None, None, 5.0, None)],
+        "key string, text string, state string, city string, agency string, modality string, status string, status_source string, value double, closes timestamp",
     )
     items = spark.createDataFrame([("a", 2.0, "77"), ("b", 9.0, "78")], "key string, unit_price double, code string")
     hit = lambda **kw: [r.key for r in M.match_records(rec, items, _rule(spark, **kw), T0).orderBy("key").collect()]
@@ -114,17 +114,85 @@ def test_match_conditions(spark):
     assert hit(include=["papel"], value_min=1.0) == ["a"]  # a null value does not
     assert hit(include=["papel"], opens_within_days=1) == ["a", "b"]
     assert hit(include=["papel"], price_min=5.0) == ["b"] and hit(include=["papel"], codes=["77"]) == ["a"]
-    assert hit(include=["papel"], cities=["CAMP"]) == ["a"] and hit() == []
+    assert hit(include=["papel"], cities=["CAMP"]) == [] and hit(include=["papel"], cities=["CAMP%"]) == ["a"]  # patterns as they are given
+    assert hit() == ["a", "b", "c"] and hit(include=["a"]) == ["a", "b", "c"] and hit(states=["SP"]) == ["a", "c"]  # no terms: every record
+    assert hit(include=["- -", "!?"]) == []
+    assert hit(modalities=["preg%"]) == ["a", "b"] and hit(modalities=["PREG"]) == [] and hit(statuses=["encerr%", "x"]) == ["b"] and hit(statuses=["aberta"]) == ["a"] and hit(statuses=[""]) == ["c"]
+    assert hit(include=["papel"], price_min=5.0, codes=["77"]) == [] and hit(codes=["78"], price_max=9.0) == ["b"]
+
+
+def test_rules_in_parts(spark, monkeypatch):
+    """The same alerts whatever the number of rules that are sent at once."""
+    rec = spark.createDataFrame([(f"k{k}", f"texto {k % 7} palavra", "SP", f"{k % 3}", k % 5 == 0, T1, str(k % 4)) for k in range(40)], "key string, text string, state string, agency string, cancelled boolean, ends timestamp, supplier string")
+    base = {f.split()[0]: [] if "array" in f else None for f in M.RULE.split(", ")}
+    rules = spark.createDataFrame([tuple((base | {"monitor_id": k, "include": [f"{k % 7} palavra"] if k % 2 else ["texto"], "agencies_in": [str(k % 3)]}).values()) for k in range(9)], M.RULE)
+    ways = [lambda: M.register_alerts(rec, rules), lambda: M.plan_alerts(rec, rules), lambda: M.expiring_contract_alerts(rec, rules, T0)]
+    whole = [rows(w()) for w in ways]
+    monkeypatch.setattr(M, "RULES_AT_ONCE", 2)
+    assert all(whole) and [rows(w()) for w in ways] == whole
+
+
+def test_raised_once(spark):
+    memory = spark.createDataFrame([], M.MEMORY)
+    found = spark.createDataFrame([(1, "a", "NEW_ATA"), (1, "a", "NEW_ATA"), (2, "a", "NEW_ATA")], "monitor_id long, key string, type string")
+    memory, silent = M.raise_once(memory, found.where("monitor_id = 1"), "register", T0, first_run=True)
+    assert silent.count() == 0 and memory.count() == 1
+    memory, new = M.raise_once(memory, found, "register", T0)
+    assert rows(new) == [(2, "a", "NEW_ATA")]
+    assert M.raise_once(memory, found, "register", T1)[1].count() == 0
+    assert M.raise_once(memory, found, "plan", T1)[1].count() == 2
 
 
 def test_alerts_and_memory(spark):
-    state = spark.createDataFrame([], "monitor_id long, key string, first_seen timestamp, last_seen timestamp, last_checked timestamp, status string, value double, closes timestamp, awarded double")
-    found = lambda *r: spark.createDataFrame(list(r), "monitor_id long, key string, status string, value double, closes timestamp, awarded double")
-    first = found((1, "a", "ABERTA", 100.0, T1, None), (1, "b", "DESERTA", 2e6, None, None))
-    after, alerts = M.remember(state, first, T0, first_run=True)
+    columns = "monitor_id long, key string, object string, value double, status string, status_source string, closes timestamp, state string, city string, agency string, modality string, awarded double"
+    state = spark.createDataFrame([], columns.replace("key string,", "key string, first_seen timestamp, last_seen timestamp, last_checked timestamp,"))
+
+    def found(*rows_):
+        return spark.createDataFrame([(1, k, "o", v, s, src, c, "SP", "x", agency, "m", None) for k, s, src, v, c, agency in rows_], columns)
+
+    rules = _rule(spark)
+    first = found(("a", "ABERTA", None, 100.0, T1, "g"), ("b", None, "DESERTA", 2e6, None, "g"))
+    after, alerts = M.remember(state, first, rules, T0, first_run=True)
     assert rows(alerts, "key", "type") == [("b", "DESERTED")]  # even on the silent run
-    again, quiet = M.remember(after, first, T1)
+    assert M.remember(state, first, _rule(spark, deserted=False), T0, first_run=True)[1].count() == 0
+    again, quiet = M.remember(after, first, rules, T1)
     assert quiet.count() == 0 and {r.last_seen for r in again.collect()} == {T0} and {r.last_checked for r in again.collect()} == {T1}
-    later, alerts = M.remember(again, found((1, "a", "ABERTA", 125.0, T1, None), (1, "c", "x", 2e6, None, None)), T1)
-    assert rows(alerts, "key", "type", "importance") == [("a", "PRICE_CHANGE", "alta"), ("c", "NEW_PROCUREMENT", "alta")]
+    moved, quiet = M.remember(after, found(("a", "ABERTA", None, 100.0, T1, "other"), ("b", None, "DESERTA", 2e6, None, "g")), rules, T1)
+    assert quiet.count() == 0 and {r.key: r.last_seen for r in moved.collect()} == {"a": T1, "b": T0}  # another agency: a change without an alert
+    later, alerts = M.remember(again, found(("a", "ABERTA", None, 125.0, T1, "g"), ("c", "x", None, 2e6, None, "g")), rules, T1)
+    assert rows(alerts, "key", "type", "importance", "new_text") == [("a", "PRICE_CHANGE", "alta", "R$ 125"), ("c", "NEW_PROCUREMENT", "alta", "R$ 2.000.000 em SP")]
     assert later.count() == 3  # what no longer matches is kept
+    both = found(("d", "deserta e fracassada", None, None, None, "g"))
+    assert rows(M.remember(again, both, rules, T1)[1], "type") == [("DESERTED",), ("NEW_PROCUREMENT",)]
+    assert rows(M.remember(again, both, _rule(spark, deserted=False), T1)[1], "type", "new_text") == [("FAILED", "deserta e fracassada"), ("NEW_PROCUREMENT", "valor não informado em SP")]
+
+
+def test_merged_table(spark, tmp_path):
+    """Whole tables every few batches, old parts emptied, a batch that runs again changes nothing."""
+    from tendril.streaming import core as S
+
+    for how, want in ((S.add_counts(["k"]), lambda seen: {k: sum(k in b for b in seen) for b in seen for k in b}), (S.keep_latest(["k"], ["v"]), None)):
+        kept, seen = S.MergedTable(str(tmp_path / str(want is None)), how, every=3), []
+        for n in range(11):
+            seen.append([n % 4, n % 3])
+            batch = spark.createDataFrame([(k, n) for k in seen[-1]], "k int, v int")
+            kept.put(batch, n)
+            if n in (4, 8):
+                kept.put(batch, n)
+            got = {r.k: r[1] for r in kept.after(spark, n).collect()}
+            if want is None:
+                assert got == {k: max(m for m, b in enumerate(seen) if k in b) for b in seen for k in b}
+            else:
+                assert got == {k: sum(b.count(k) for b in seen) for b in seen for k in b}
+    assert spark.read.parquet(str(tmp_path / "True" / "part-0")).count() == 0 and kept.after(spark, -1) is None
+
+
+def test_sql_functions(spark):
+    from tendril.functions.text import fold_accents, register_functions, text_matches
+
+    register_functions(spark)
+    df = spark.createDataFrame([("Straße de PÃO", ["strasse pao", "x"]), ("a%b", ["%"]), ("œuvre", ["oeu_re"]), (None, ["a"]), ("back\\slash", ["k\\s"]), ("x", None)], "s string, terms array<string>")
+    got = df.selectExpr("fold_text(s) AS f", "text_ok(s, terms) AS ok", "effective_terms(terms, array('b', 'cc')) AS e").collect()
+    want = df.select(fold_accents(F.col("s"), True).alias("f"), text_matches(F.col("s"), F.col("terms")).alias("ok")).collect()
+    assert [(r.f, r.ok) for r in got] == [(r.f, r.ok) for r in want] and [r.ok for r in got] == [True, False, True, False, True, False]
+    assert got[0].e == ["strasse pao", "cc"] and got[5].e == ["cc"]

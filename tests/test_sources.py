@@ -67,7 +67,11 @@ def test_html(spark):
     found = df.select(W.links(F.col("html")).alias("l")).first().l
     assert (found.folders, found.files, found.first_year, found.last_year) == (["/dados/2019/"], ["x_2021.zip"], 2019, 2021)
     f = df.select(W.fingerprint(F.col("html")).alias("f")).first().f
-    assert (f.title, f.scripts, f.frameworks, f.forms) == ("A & B", ["/jquery.js"], ["jquery"], ["/busca"])
+    assert (f.title, f.scripts, f.frameworks, f.forms) == ("A &amp; B", ["/jquery.js"], ["jquery"], ["/busca"])
+    flags = [*W.FRAMEWORKS, *W.WALLS, *W.HINTS]
+    marks = "react.js ng-app vue.js jquery-3 wp-content grecaptcha hCaptcha cf-chl Turnstile swagger-ui /v3/api-docs GraphQL '/api/v1/x'"
+    g = spark.createDataFrame([(marks,)], "h string").select(W.fingerprint(F.col("h")).alias("f")).first().f
+    assert [*g.frameworks, *g.walls, *g.hints] == [n for n, _ in flags] and g.api_paths == ["/api/v1/x"] and g.title is None
     files = spark.createDataFrame([(1, '{"html": "<tr><td>Edital</td><td>01/02/2024</td><td><a href=\\"/f.pdf\\">x</a></td></tr>"}'), (2, "no json")], "id int, p string")
     assert [tuple(r) for r in W.files_in_json(files, "p", ["id"]).collect()] == [(1, "Edital", "01/02/2024", "/f.pdf")]
     cards = spark.createDataFrame([(1, "x<section>Órgão: Prefeitura - Norte - Recife / PE<br>Número: 5/2024<br>")], "id int, h string")
