@@ -6,8 +6,8 @@ by set size and position and compared in blocks; a block whose sizes or position
 rule out enough common elements is skipped whole.  Pairs that remain must share
 enough of their prefixes, and only then are whole sets fetched and compared.
 
-Relations between sets save the rest.  Equal sets are one set.  The first rounds
-compare neighbours in the lists, which joins most near copies of a text into
+Relations between sets save the rest.  Equal sets are one set.  A first round
+compares neighbours in the lists, which joins most near copies of a text into
 components; each component has a leader, and for every other member the elements
 that it has and the leader lacks are counted.  From then on a leader stands for its
 members: they enter the lists only of those prefix elements that the leader's prefix
@@ -225,7 +225,7 @@ def least_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of list neighbours that are in different components, from rows ``tok, doc_id, n, pos, c`` in list order."""
+    """Pairs of list neighbours whose sizes let them link, from rows ``tok, doc_id, n, pos, c`` in list order; none of one ``c``."""
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -484,19 +484,12 @@ def _linked(docs: DataFrame, size: int) -> DataFrame:
     links: list[DataFrame] = []
     checked: list[DataFrame] = []
     sets: list[DataFrame] = []
-    found: DataFrame | None = None
 
     def several(known: DataFrame) -> DataFrame:
         """The lists that hold sets of several components."""
         open_ = known.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi")).select("tok")
         return known.join(open_, "tok", "left_semi")
 
-    def open_lists(after: DataFrame | None) -> DataFrame:
-        """The lists with the sets' components, where they hold several."""
-        if after is None:
-            return lists.withColumn("c", F.col("doc_id"))
-        return several(lists.join(after.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("tok", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("c")))
-
     def judged(pairs: DataFrame) -> DataFrame:
         """The components of the links so far, after the pairs' whole sets are compared; a set is built once."""
         for old in checked:
@@ -514,11 +507,14 @@ def _linked(docs: DataFrame, size: int) -> DataFrame:
     # elements of a prefix that the other prefix lacks, and the rest of the larger set, bound what two sets share
     beyond = F.greatest(*(F.ceil(F.col(c) * PART / WHOLE) - 1 for c in ("na", "nb")))
     need = F.ceil((F.col("na") + F.col("nb")) * PART / (PART + WHOLE))
-    # neighbours by size, then by hash: where there are copies, some of them are
-    for by in (["n", "pos", "doc_id"], ["_h"]):
-        near = open_lists(found).withColumn("_h", F.xxhash64("tok", "doc_id")).repartition("tok").sortWithinPartitions("tok", *by).select("tok", "doc_id", "n", "pos", "c").mapInArrow(_neighbours, PAIR).distinct()
-        near = near.join(shared.select(F.col("doc_id").alias("a"), F.col("toks").alias("ta")), "a").join(shared.select(F.col("doc_id").alias("b"), F.col("toks").alias("tb")), "b")
-        found = judged(near.where(F.size(F.array_intersect("ta", "tb")) + beyond >= need))
+    # neighbours by size and by hash: where there are copies, some of them are
+    lists_by_token = lists.withColumns({"c": F.col("doc_id"), "_h": F.xxhash64("doc_id")}).repartition("tok")
+    near = None
+    for by in (["n", "pos", "doc_id"], ["_h", "doc_id"]):
+        one = lists_by_token.sortWithinPartitions("tok", *by).select("tok", "doc_id", "n", "pos", "c").mapInArrow(_neighbours, PAIR)
+        near = one if near is None else near.unionByName(one)
+    near = near.distinct().join(shared.select(F.col("doc_id").alias("a"), F.col("toks").alias("ta")), "a").join(shared.select(F.col("doc_id").alias("b"), F.col("toks").alias("tb")), "b")
+    found = judged(near.where(F.size(F.array_intersect("ta", "tb")) + beyond >= need))
 
     # what a set's answers tell of those like it: the leaders of components stand for their members
     inside = found.where(F.col("node") != F.col("component")).select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
