@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tendril.llm.decontaminate import without_benchmark
 from tendril.llm.jaccard import one_of_each
-from tendril.llm.mixing import mixed
+from tendril.llm.mixing import ADDED, mixed
 from tendril.llm.quality import accepted
 from tendril.llm.queries import tokenizer_path
 from tendril.llm.shared import stored, written_order
@@ -40,8 +41,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows come in the order of the mixture, over the partitions and within them.
     """
+    own = {c: f"own{c}" for c in ADDED if c in docs.columns}  # the mixture would replace columns of these names
     place = ["_slot", "_place"]
-    return mixed(docs).repartitionByRange(*place).sortWithinPartitions(*place).select(*docs.columns)
+    rows = mixed(docs.withColumnsRenamed(own)).repartitionByRange(*place).sortWithinPartitions(*place)
+    return rows.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

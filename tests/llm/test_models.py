@@ -82,3 +82,28 @@ def test_language_bounds(spark):
     assert list(model)[0] == "a" and len(model) == 3
     share = 600 // model["a"].count(b"\0") - 1
     assert max(map(len, model["a"].split(b"\0"))) <= share and len(model["a"]) <= 600
+
+
+def test_preferences_like_a_plain_fit():
+    """The weights of pairs that are never laid out, against Newton steps on the laid out differences."""
+    from tendril.llm.quality import preferences
+
+    g = np.random.default_rng(2)
+    x, ridge = g.standard_normal((60, 5)), np.array([0.01, 0.01, 0.1, 0.1, 1.0])
+    wins, loses = g.integers(0, 30, 400), g.integers(30, 60, 400)
+    x[:30] += 0.4
+    d, w = x[wins] - x[loses], np.zeros(5)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / 400 + np.diag(ridge), d.T @ (1 - p) / 400 - ridge * w)
+    assert np.allclose(preferences(x, wins, loses, ridge), w, atol=1e-5)
+
+
+def test_quality_ties_at_the_cut():
+    """Equal strengths stand on one side of the cut."""
+    from tendril.llm.quality import THRESHOLD, BradleyTerry
+
+    good, bad = np.ones((6, 4), dtype=np.float32), np.zeros((6, 4), dtype=np.float32)
+    model = BradleyTerry.fit(np.concatenate([good, bad[:1]]), np.concatenate([bad, good[:1]]), 0.5)
+    scores = model.score(np.concatenate([good, bad]))
+    assert len(set(scores[:6])) == len(set(scores[6:])) == 1 and scores[0] >= THRESHOLD > scores[6]
