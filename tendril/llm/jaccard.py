@@ -6,16 +6,16 @@ by set size and position and compared in blocks; a block whose sizes or position
 rule out enough common elements is skipped whole.  Pairs that remain must share
 enough of their prefixes, and only then are whole sets fetched and compared.
 
-Relations between sets save the rest.  Equal sets are one set.  A first round
-compares neighbours in the lists, which joins most near copies of a text into
-components; each component has a leader, and for every other member the elements
+Relations between sets save the rest.  Equal sets are one set.  The first rounds
+compare neighbours in the lists, which joins most near copies of a text into
+components; each component has a leader, and for every other set in it the elements
 that it has and the leader lacks are counted.  From then on a leader stands for its
-members: they enter the lists only of those prefix elements that the leader's prefix
+members, those that have few such elements (``CLOSE``): they enter the lists only of those prefix elements that the leader's prefix
 lacks, and all else about them is derived from the leader's answers.  When a
 leader S and a set X have been compared, a member R of S's component shares with X
 |S & X| + |R - S| elements at most; members that could still link by that, and only
-they, are compared themselves.  The same holds on the other side.  Sets of one
-component are not compared at all, so no link between components can be missed, and
+they, are compared with X, and what that gives bounds what they share with X's own
+members.  The same holds on the other side.  Sets of one component are not compared at all, so no link between components can be missed, and
 links within them need not be found.
 
 A list of more than ``LIST`` sets is dealt as pairs of its parts.  Very frequent
@@ -50,6 +50,8 @@ LEAST_COUNT = 3
 LIST = 512
 #: Members of a component that meet their leader in one task.
 MEMBERS = 256
+#: A member is highly similar to its leader if it has at most one in so many elements that the leader lacks.
+CLOSE = 40
 _BLOCK = 64
 #: A number of elements that no set has: where a bound says nothing.
 _ANY = 1 << 40
@@ -507,21 +509,27 @@ def _linked(docs: DataFrame, size: int) -> DataFrame:
     # elements of a prefix that the other prefix lacks, and the rest of the larger set, bound what two sets share
     beyond = F.greatest(*(F.ceil(F.col(c) * PART / WHOLE) - 1 for c in ("na", "nb")))
     need = F.ceil((F.col("na") + F.col("nb")) * PART / (PART + WHOLE))
-    # neighbours by size and by hash: where there are copies, some of them are
-    lists_by_token = lists.withColumns({"c": F.col("doc_id"), "_h": F.xxhash64("doc_id")}).repartition("tok")
-    near = None
-    for by in (["n", "pos", "doc_id"], ["_h", "doc_id"]):
-        one = lists_by_token.sortWithinPartitions("tok", *by).select("tok", "doc_id", "n", "pos", "c").mapInArrow(_neighbours, PAIR)
-        near = one if near is None else near.unionByName(one)
-    near = near.distinct().join(shared.select(F.col("doc_id").alias("a"), F.col("toks").alias("ta")), "a").join(shared.select(F.col("doc_id").alias("b"), F.col("toks").alias("tb")), "b")
-    found = judged(near.where(F.size(F.array_intersect("ta", "tb")) + beyond >= need))
+    # neighbours by size, in an order that is the same in every list, so that two sets are neighbours in most that hold both;
+    # then by hash, in an order of each list's own, those that are not in one component yet
+    found: DataFrame | None = None
+    for by in (["n", "doc_id"], ["_h", "doc_id"]):
+        known = lists.withColumn("c", F.col("doc_id"))
+        if found is not None:
+            known = lists.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+            known = several(known.select("tok", "doc_id", "n", "pos", "c"))
+        dealt_out = known.withColumn("_h", F.xxhash64("tok", "doc_id")).repartition("tok").sortWithinPartitions("tok", *by)
+        near = dealt_out.select("tok", "doc_id", "n", "pos", "c").mapInArrow(_neighbours, PAIR).distinct()
+        near = near.join(shared.select(F.col("doc_id").alias("a"), F.col("toks").alias("ta")), "a").join(shared.select(F.col("doc_id").alias("b"), F.col("toks").alias("tb")), "b")
+        found = judged(near.where(F.size(F.array_intersect("ta", "tb")) + beyond >= need))
 
     # what a set's answers tell of those like it: the leaders of components stand for their members
     inside = found.where(F.col("node") != F.col("component")).select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
     derived = stored(_derived(inside, reduce(DataFrame.unionByName, sets), shared, found.count()), "derived")
-    ranges = derived.groupBy("c").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("only").alias("slack"))
+    close = derived.where(F.col("only") * CLOSE <= F.col("n"))
+    ranges = close.groupBy("c").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("only").alias("slack"))
     none = F.lit(None)
-    roles = derived.select("doc_id", "c", F.col("n").alias("low"), F.col("n").alias("high"), F.lit(0).cast("long").alias("slack"), F.lit(MEMBER).alias("kind"), "extra")
+    kind = F.when(F.col("only") * CLOSE <= F.col("n"), MEMBER).otherwise(ALONE)
+    roles = derived.select("doc_id", "c", F.col("n").alias("low"), F.col("n").alias("high"), F.lit(0).cast("long").alias("slack"), kind.alias("kind"), "extra")
     roles = stored(roles.unionByName(ranges.select(F.col("c").alias("doc_id"), "c", "low", "high", "slack", F.lit(LEADER).alias("kind"), none.cast("array<long>").alias("extra"))), "roles")
     entries = lists.join(roles, "doc_id", "left").where(F.coalesce(F.col("kind") != MEMBER, F.lit(True)) | F.array_contains("extra", F.col("tok")))
     n = F.col("n").cast("long")
@@ -546,15 +554,36 @@ def _linked(docs: DataFrame, size: int) -> DataFrame:
     open_ = pairs.select("a", "b").join(compared.select("a", "b", "common"), ["a", "b"]).join(side("a"), "a").join(side("b"), "b")
     open_ = stored(open_.where((F.col("groupa") | F.col("groupb")) & (F.col("common") + F.col("slacka") + F.col("slackb") >= needed("lowa", "lowb"))), "open")
     if open_.count():
-        standing = derived.select("c", "doc_id", "n", "only").unionByName(groups.join(members.select("doc_id", "n"), "doc_id").select(F.col("doc_id").alias("c"), "doc_id", F.col("n").cast("long").alias("n"), F.lit(0).cast("long").alias("only")))
-        for x in ("a", "b"):
+        standing = close.select("c", "doc_id", "n", "only").unionByName(groups.join(members.select("doc_id", "n"), "doc_id").select(F.col("doc_id").alias("c"), "doc_id", F.col("n").cast("long").alias("n"), F.lit(0).cast("long").alias("only")))
+
+        def with_members(df: DataFrame, x: str) -> DataFrame:
             them = standing.select(F.col("c").alias(x), F.col("doc_id").alias("m" + x), F.col("n").alias("nm" + x), F.col("only").alias("only" + x))
-            open_ = open_.join(them, x, "left").withColumns({"m" + x: F.coalesce("m" + x, x), "nm" + x: F.coalesce("nm" + x, "n" + x), "only" + x: F.coalesce("only" + x, F.lit(0))})
-        fits = (F.col("common") + F.col("onlya") + F.col("onlyb") >= needed("nma", "nmb")) & (WHOLE * F.least("nma", "nmb") >= PART * F.greatest("nma", "nmb"))
-        less = open_.where(fits).select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
-        for x in ("a", "b"):
-            less = less.join(found.select(F.col("node").alias(x), F.col("component").alias("c" + x)), x, "left").withColumn("c" + x, F.coalesce("c" + x, x))
-        found = judged(less.where(F.col("ca") != F.col("cb")))
+            return df.join(them, x, "left").withColumns({"m" + x: F.coalesce("m" + x, x), "nm" + x: F.coalesce("nm" + x, "n" + x), "only" + x: F.coalesce("only" + x, F.lit(0))})
+
+        def apart(df: DataFrame, x: str, y: str, known: DataFrame) -> DataFrame:
+            """Rows whose sets ``x`` and ``y`` are in different components."""
+            for s in (x, y):
+                df = df.join(known.select(F.col("node").alias(s), F.col("component").alias("c" + s)), s, "left").withColumn("c" + s, F.coalesce("c" + s, s))
+            return df.where(F.col("c" + x) != F.col("c" + y)).drop("c" + x, "c" + y)
+
+        ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+        # each member against the other leader: that is linear, and most components that belong together meet here
+        one = with_members(open_, "a").where(F.col("common") + F.col("onlya") + F.col("slackb") >= needed("nma", "lowb"))
+        two = with_members(open_, "b").where(F.col("common") + F.col("onlyb") + F.col("slacka") >= needed("nmb", "lowa"))
+        found = judged(apart(ordered(one, "ma", "b").unionByName(ordered(two, "a", "mb")).distinct(), "a", "b", found))
+        still = stored(apart(open_, "a", "b", found), "still-open")
+        if still.count():
+            # and members against members, where both leaders' answers leave room
+            every = reduce(DataFrame.unionByName, checked)
+
+            def with_common(df: DataFrame, x: str, y: str, name: str) -> DataFrame:
+                known = every.select(F.col("a").alias("_x"), F.col("b").alias("_y"), F.col("common").alias(name))
+                return df.withColumns({"_x": F.least(x, y), "_y": F.greatest(x, y)}).join(known, ["_x", "_y"]).drop("_x", "_y")
+
+            both = with_common(with_members(with_common(with_members(still, "a"), "ma", "b", "commona"), "b"), "a", "mb", "commonb")
+            room = F.least(F.col("commona") + F.col("onlyb"), F.col("commonb") + F.col("onlya"))
+            fits = (room >= needed("nma", "nmb")) & (WHOLE * F.least("nma", "nmb") >= PART * F.greatest("nma", "nmb"))
+            found = judged(apart(ordered(both.where(fits), "ma", "mb").distinct(), "a", "b", found))
 
     total = members.count()
     by_class = classed(members, classes, ["n", "pos", "sig"], "copies", total).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
