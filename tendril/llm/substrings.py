@@ -9,10 +9,9 @@ the next factor begins, and windows across the boundary of two factors are known
 from places of their own.  Factors are thus at least ``window`` words long, and the
 words that they cover are the duplicate spans.
 
-Factors (words of the document, place in the reference) are stored with a digest of
-their words, and each distinct one is read again at its place: the words there must
-have that digest.  If they do not, which takes an equality of 95 hash bits, the
-parse is done again with other hashes.
+Windows are equal if 95 bits of two hashes are.  ``verify`` has each distinct factor
+read again at its place, where the words must have the digest of the factor's; if
+they do not, the parse is done again with other hashes.
 
 The index need not see windows that occur once.  Each document names some places
 that depend on nearby words alone: an anchor is a run of ``ANCHOR`` words whose
@@ -266,11 +265,20 @@ def _window_rows(window: int, size: int, seed: int) -> Callable:
     return rows
 
 
-def factors(some: list[dict] | None, packed: list[bytes] | None, window: int) -> np.ndarray:
+def _alone(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of a column of lists as runs of one, and each row's offset among them."""
+    held = column.flatten()
+    out = np.empty(len(held), dtype=RUN)
+    out["windows"] = 1
+    for k, name in enumerate(("start", "ref_doc", "ref_start")):
+        out[name] = held.field(k).to_numpy(zero_copy_only=False)
+    lengths = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+    return out, np.concatenate([[0], np.cumsum(lengths)])
+
+
+def factors(alone: np.ndarray, packed: list[bytes] | None) -> np.ndarray:
     """The factors of a document, ascending, as runs of windows; they may overlap by less than a window."""
-    one = np.array([(x["start"], 1, x["ref_doc"], x["ref_start"]) for x in some or [] if x["start"] is not None], dtype=RUN)
-    many = [np.frombuffer(b, dtype=RUN) for b in packed or []]
-    runs = np.concatenate([one, *many])
+    runs = np.concatenate([alone, *(np.frombuffer(b, dtype=RUN) for b in packed or [])])
     if not len(runs):
         return runs
     runs = runs[np.argsort(runs["start"], kind="stable")]
@@ -304,7 +312,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     # both joins keep every row of the same side, so Spark shuffles the texts once for the two of them
     with_live = text.join(live.hint("shuffle_hash"), "doc_id", "left")
     again = _referred(with_live.mapInArrow(_window_rows(window, size, seed), SENT))
-    again = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "ref_doc", "ref_start")).alias("some"), F.collect_list("runs").alias("packed"))
+    again = again.groupBy("doc_id").agg(F.collect_list(F.when(F.col("runs").isNull(), F.struct("start", "ref_doc", "ref_start"))).alias("some"), F.collect_list("runs").alias("packed"))
     return text.join(again.hint("shuffle_hash"), "doc_id", "left")
 
 
@@ -313,19 +321,21 @@ def _digest(text: K.Words, raw: bytes, first: int, end: int) -> bytes:
     return hashlib.blake2b(said, digest_size=16).digest()
 
 
-def _parsed(docs: DataFrame, window: int, anchor: int, seed: int) -> DataFrame:
+def _parsed(docs: DataFrame, window: int, anchor: int, seed: int, digests: bool) -> DataFrame:
     """``doc_id, n_words, n_removed, factors, spans, text``: the parse, and the text that is left."""
 
     def rows(batches):
         for batch in batches:
             data, at = K.strings(batch.column(1))
+            alone, upto = _alone(batch.column(2))
+            packed = batch.column(3).to_pylist()
             n, removed, parses, covered, kept = [], [], [], [], []
             for i, j in K.slices(at):
                 text = K.words(data, at[i : j + 1], K.SPACED, False)
                 raw = text.data.tobytes()
                 for k in range(i, j):
                     a, b = int(text.first[k - i]), int(text.first[k - i + 1])
-                    parse = factors(batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), window)
+                    parse = factors(alone[upto[k] : upto[k + 1]], packed[k])
                     mine = spans(parse, window)
                     gone = sum(y - x for x, y in mine)
                     if gone:
@@ -338,7 +348,7 @@ def _parsed(docs: DataFrame, window: int, anchor: int, seed: int) -> DataFrame:
                         said = b" ".join(raw[at[k] - at[i] : at[k + 1] - at[i]].split()) if b > a else b""
                     n.append(b - a)
                     removed.append(gone)
-                    parses.append([{"first": s, "last": s + m + window - 1, "ref_doc": d, "ref_start": r, "digest": _digest(text, raw, a + s, a + s + m + window - 1)} for s, m, d, r in parse.tolist()])
+                    parses.append([{"first": s, "last": s + m + window - 1, "ref_doc": d, "ref_start": r, "digest": _digest(text, raw, a + s, a + s + m + window - 1) if digests else None} for s, m, d, r in parse.tolist()])
                     covered.append([{"first": x, "last": y} for x, y in mine])
                     kept.append(said)
             factor = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32()), ("digest", pa.binary())])
@@ -377,24 +387,27 @@ def false_factors(docs: DataFrame, parsed: DataFrame) -> DataFrame:
     return texts.join(asked, "doc_id").mapInArrow(rows, "doc_id long, start int, words int")
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, verify: bool = False) -> DataFrame:
     """A row per document: ``doc_id, n_words, n_removed, factors, spans`` (word ranges, end exclusive) and the kept ``text``.
 
     Words are runs without ASCII white space; kept words are joined by one space.
     A null text has no words.  Rows with a null id come out whole, as they have no
     place in the order.  Rows of equal id are documents of their own, in the order of
     their texts; ``ref_doc`` is then a number of the row that is read, by which such
-    rows are told apart.  The result is read from a written table.
+    rows are told apart.  With ``verify`` the factors have digests, and the result is
+    read from a written table.
     """
     if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).count():
         named = docs.select(F.col("doc_id").alias("_doc"), "text").where(F.col("doc_id").isNotNull()).repartitionByRange("_doc", "text").sortWithinPartitions("_doc", "text")
         keyed = stored(named.withColumn("doc_id", F.monotonically_increasing_id()), "numbered")  # ascends with id and text
-        out = without_repeats(keyed, window, anchor).join(keyed.select("doc_id", "_doc"), "doc_id")
+        out = without_repeats(keyed, window, anchor, verify).join(keyed.select("doc_id", "_doc"), "doc_id")
         out = out.withColumn("doc_id", F.col("_doc").cast("long")).drop("_doc")
         nameless = docs.where(F.col("doc_id").isNull())
-        return out.unionByName(without_repeats(nameless, window, anchor))
+        return out.unionByName(without_repeats(nameless, window, anchor, verify))
+    if not verify:
+        return _parsed(docs, window, anchor, 0, False)
     for seed in range(TRIES):
-        parsed = stored(_parsed(docs, window, anchor, seed), "parsed")
+        parsed = stored(_parsed(docs, window, anchor, seed, True), "parsed")
         if not false_factors(docs, parsed).count():
             return parsed
     raise RuntimeError("windows of different words have equal hashes, whatever the hash")

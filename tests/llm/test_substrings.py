@@ -22,9 +22,9 @@ def expected(rows, window):
     return out
 
 
-def check(spark, rows, window, anchor=8):
+def check(spark, rows, window, anchor=8, verify=False):
     df = spark.createDataFrame([(d, t, "s", 1) for d, t in rows], SCHEMA).repartition(3)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in without_repeats(df, window, anchor).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in without_repeats(df, window, anchor, verify).collect()}
     assert got == expected(rows, window)
 
 
@@ -43,7 +43,7 @@ def test_like_one_pass(spark):
                 w += [f"w{r.randrange(5)}" for _ in range(r.randrange(1, 30))]
         rows.append((d * 2, r.choice([" ", "\n", " \x0b"]).join(w)))
     check(spark, rows, 20)
-    check(spark, rows, 6, 3)
+    check(spark, rows, 6, 3, True)
 
 
 def test_odd_rows(spark):
@@ -57,3 +57,33 @@ def test_null_id_and_empty_table(spark):
     df = spark.createDataFrame([(None, line, "a", 1), (3, line, "a", 1), (9, line, "a", 1)], SCHEMA)
     assert sorted((str(r.doc_id), r.n_removed) for r in without_repeats(df).collect()) == [("3", 0), ("9", 25), ("None", 0)]
     assert without_repeats(df.limit(0)).count() == 0
+
+
+def test_factors_name_their_place(spark):
+    """A factor's words stand at its place, which is earlier; the longest run there is one factor."""
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(40)]
+    texts = {1: a, 2: b, 5: ["x", *a[10:50], *b[:30], "y"], 7: a[5:55], 8: a + b}
+    df = spark.createDataFrame([(d, " ".join(w), "s", 1) for d, w in texts.items()], SCHEMA).repartition(3)
+    got = {r.doc_id: r.factors for r in without_repeats(df, 20, verify=True).collect()}
+    assert [(f.first, f.last, f.ref_doc, f.ref_start) for f in got[5]] == [(1, 41, 1, 10), (41, 71, 2, 0)]
+    assert not got[1] and not got[2] and [(f.first, f.last, f.ref_doc) for f in got[7]] == [(0, 50, 1)]
+    for d, fs in got.items():
+        for f in fs:
+            assert (f.ref_doc, f.ref_start) < (d, f.first) and texts[d][f.first : f.last] == texts[f.ref_doc][f.ref_start : f.ref_start + f.last - f.first]
+
+
+def test_false_factors_are_found(spark):
+    from tendril.llm.substrings import false_factors
+
+    df = spark.createDataFrame([(1, "p " * 30, "s", 1), (2, "q r " * 30, "s", 1)], SCHEMA)
+    parsed = without_repeats(df, 20, verify=True)
+    assert parsed.selectExpr("sum(size(factors)) AS n").first().n > 0 and false_factors(df, parsed).count() == 0
+    other = df.replace({"p " * 30: "z " * 30})
+    assert {r.doc_id for r in false_factors(other, parsed).collect()} == {1}
+
+
+def test_repeated_ids(spark):
+    line = " ".join(f"x{k}" for k in range(25))
+    df = spark.createDataFrame([(3, line, "a", 1), (3, line, "a", 1), (3, "b " + line, "a", 1), (None, line, "a", 1), (2, "short", "a", 1), (2, None, "a", 1)], SCHEMA)
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in without_repeats(df).collect())
+    assert got == [("2", 0, 0), ("2", 1, 0), ("3", 25, 25), ("3", 25, 25), ("3", 26, 0), ("None", 25, 0)]
