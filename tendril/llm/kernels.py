@@ -97,11 +97,22 @@ _INV = _powers(_P_INV, SLICE_BYTES + 1)
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    global _POW, _INV
-    if len(data) >= len(_POW):
-        pow_, inv = _powers(_P, len(data) + 1), _powers(_P_INV, len(data) + 1)
-    else:
-        pow_, inv = _POW, _INV
+    """A hash of the bytes of each span; spans ascend and do not overlap.  Long data is taken in stretches."""
+    if len(data) <= SLICE_BYTES:
+        return _span_hash(data, start, end, _POW, _INV)
+    out = np.empty(len(start), dtype=U64)
+    i = 0
+    while i < len(start):
+        base = start[i]
+        j = max(i + 1, int(np.searchsorted(end, base + SLICE_BYTES, side="right")))
+        size = int(end[j - 1] - base)
+        powers = (_POW, _INV) if size <= SLICE_BYTES else (_powers(_P, size + 1), _powers(_P_INV, size + 1))  # one word longer than a stretch
+        out[i:j] = _span_hash(data[base : end[j - 1]], start[i:j] - base, end[i:j] - base, *powers)
+        i = j
+    return out
+
+
+def _span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, pow_: np.ndarray, inv: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         total = np.empty(len(data) + 1, dtype=U64)
         total[0] = 0

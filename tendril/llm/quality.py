@@ -36,7 +36,7 @@ RIDGE, RIDGE_HASHED = 1e-3, 1e-1
 WORD_BUCKETS, BYTE_BUCKETS = 256, 256
 THRESHOLD = 0.3
 
-_KIND = np.full(256, 3, dtype=np.int64)  # ASCII signs
+_KIND = np.full(256, 3, dtype=np.uint8)  # ASCII signs
 _KIND[[*range(97, 123), *range(128, 256)]] = 0
 _KIND[65:91] = 1
 _KIND[48:58] = 2
@@ -69,12 +69,16 @@ def _hashed(bytes_: np.ndarray, at: np.ndarray) -> np.ndarray:
     inside = doc[1:] == doc[:-1]
     terms, owner = np.concatenate([h, both[inside]]), np.concatenate([doc, doc[1:][inside]])
     words = np.bincount(owner * WORD_BUCKETS + (terms >> np.uint64(64 - _bits(WORD_BUCKETS))).astype(np.int64), minlength=n * WORD_BUCKETS).reshape(n, WORD_BUCKETS)
-    data = text.data.astype(np.uint32)
-    runs = (data[:-2] << np.uint32(16)) | (data[1:-1] << np.uint32(8)) | data[2:]
-    owner = np.repeat(np.arange(n), np.diff(at))
-    inside = owner[2:] == owner[:-2]
-    place = (runs * np.uint32(0x9E3779B1)) >> np.uint32(32 - _bits(BYTE_BUCKETS))
-    grams = np.bincount(owner[2:][inside] * BYTE_BUCKETS + place[inside], minlength=n * BYTE_BUCKETS).reshape(n, BYTE_BUCKETS)
+    grams = np.zeros(n * BYTE_BUCKETS, dtype=np.int64)
+    own = at - at[0]
+    for a in range(0, max(len(text.data) - 2, 0), K.SLICE_BYTES):  # a long text in stretches
+        data = text.data[a : a + K.SLICE_BYTES + 2].astype(np.uint32)
+        runs = (data[:-2] << np.uint32(16)) | (data[1:-1] << np.uint32(8)) | data[2:]
+        owner = np.searchsorted(own, np.arange(a, a + len(data)), side="right") - 1
+        inside = owner[2:] == owner[:-2]
+        place = (runs * np.uint32(0x9E3779B1)) >> np.uint32(32 - _bits(BYTE_BUCKETS))
+        grams += np.bincount(owner[2:][inside] * BYTE_BUCKETS + place[inside], minlength=n * BYTE_BUCKETS)
+    grams = grams.reshape(n, BYTE_BUCKETS)
     return np.concatenate([np.sqrt(x / np.maximum(x.sum(axis=1, keepdims=True), 1)) for x in (words, grams)], axis=1)
 
 
