@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tendril.llm.shared import shared_path, stored
 
 PER_SHARD = 4096
-#: Bytes of files that a task reads or copies, as far as whole shards allow.
+#: Bytes of pages or files that a task writes, reads or copies, as far as whole shards allow.
 TASK_BYTES = 16 << 20
 #: What is not known of a page: when it was fetched.
 CAPTURED = "1970-01-01T00:00:00Z"
@@ -74,11 +74,13 @@ def write_warc(pages: DataFrame, folder: str, per_shard: int = PER_SHARD, captur
     ``per_shard`` of them need.  Rows of equal id are records of their own, by url
     and html; equal rows stay apart too.  Only ``page_id, url, html`` are read.
     """
-    nameless = -(-pages.where(F.col("page_id").isNull()).count() // per_shard)
+    said = F.octet_length(F.concat(F.coalesce(F.col("url").cast("string"), F.lit("")), F.coalesce(F.col("html").cast("string"), F.lit(""))))
+    size, nameless = pages.agg(F.sum(said), F.count_if(F.col("page_id").isNull())).first()
+    nameless = -(-nameless // per_shard)
     apart = -1 - F.pmod(F.xxhash64(F.col("url").cast("string"), F.col("html").cast("string")), F.lit(max(1, nameless)))
     shard = F.coalesce(F.floor(F.col("page_id") / per_shard), apart).cast("long")
     order = [F.col(c).asc_nulls_first() for c in ("shard", "page_id", "url", "html")]
-    dealt = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("shard", shard).repartition("shard").sortWithinPartitions(*order)
+    dealt = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("shard", shard).repartition(_tasks(pages, size), "shard").sortWithinPartitions(*order)
 
     def write(batches):
         fs, top = _open(folder)
@@ -115,11 +117,15 @@ def _rows(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "sha256" else pa.int64()) for c, n in zip(zip(*rows), names)], names=list(names))
 
 
+def _tasks(df: DataFrame, size: int | None) -> int:
+    """Tasks of ``TASK_BYTES`` each, and one for each core at least."""
+    return max(math.ceil((size or 0) / TASK_BYTES), df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _by_bytes(manifest: DataFrame, *columns: Column | str) -> DataFrame:
-    """The manifest's rows by shard, in tasks that hold ``TASK_BYTES`` of files each: its own size says nothing of theirs."""
-    size, shards = manifest.agg(F.sum("file_length"), F.countDistinct("shard")).first()
-    tasks = max(math.ceil((size or 0) / TASK_BYTES), min(shards, manifest.sparkSession.sparkContext.defaultParallelism), 1)
-    return manifest.select(*columns).repartition(tasks, "shard").sortWithinPartitions("shard", "ordinal")
+    """The manifest's rows by shard, in tasks by the bytes of the files: its own size says nothing of theirs."""
+    size = manifest.agg(F.sum("file_length")).first()[0]
+    return manifest.select(*columns).repartition(_tasks(manifest, size), "shard").sortWithinPartitions("shard", "ordinal")
 
 
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
