@@ -181,3 +181,46 @@ def future(kinds: dict[str, DataFrame], n: int = 30) -> DataFrame:
     """The ``n`` nearest of several kinds of purchases to come (``key, day``), ties by kind and key."""
     rows = [df.select(F.lit(kind).alias("kind"), "key", "day") for kind, df in kinds.items()]
     return reduce(DataFrame.unionByName, rows).orderBy("day", "kind", "key").limit(n)
+
+
+def latest_per(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """``value`` of the last row of each key by ``order``; it combines before the shuffle."""
+    return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def newest(df: DataFrame, when: str, ident: str, n: int) -> DataFrame:
+    """The ``n`` newest rows; those of one time by the greater id."""
+    return df.orderBy(F.col(when).desc(), F.col(ident).desc()).limit(n)
+
+
+def run_summary(runs: DataFrame, kind: str, user: str, value: str) -> DataFrame:
+    """Runs, users, runs without a value, and the exact total, by kind."""
+    return runs.groupBy(kind).agg(F.count("*").alias("runs"), F.countDistinct(user).alias("users"), F.count_if(F.col(value).isNull()).alias("without_value"), F.sum(F.col(value).cast("decimal(18,4)")).cast("double").alias("total"))
+
+
+def year_month_counts(df: DataFrame, date: str, years: DataFrame, name: str) -> DataFrame:
+    """``year, month`` and the rows of each month of ``years``, 0 where there are none; the grid is years times twelve."""
+    months = df.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("month"))
+    counts = df.groupBy(F.year(date).alias("year"), F.month(date).alias("month")).agg(F.count("*").alias(name))
+    return years.crossJoin(F.broadcast(months)).join(counts, ["year", "month"], "left").fillna(0, [name])
+
+
+def pending(df: DataFrame, status: str, waiting: str, when: str, key: str, n: int) -> DataFrame:
+    """The ``n`` newest rows that still wait for their details."""
+    return df.where(F.col(status) == waiting).orderBy(F.col(when).desc(), key).limit(n)
+
+
+def frequent_without(df: DataFrame, key: str, excluded: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most frequent keys with their counts, less those of ``excluded``, which has that column too."""
+    top = df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(n)
+    return top.join(excluded.select(key), key, "left_anti")
+
+
+def with_price_in(records: DataFrame, items: DataFrame, key: str, low, high) -> DataFrame:
+    """Records that have some item (``unit_price``) in the range, by a semi-join."""
+    return records.join(items.where(F.col("unit_price").between(low, high)).select(key), key, "left_semi")
+
+
+def without_any(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows that ``others`` has none for, by an anti-join."""
+    return df.join(others.select(key), key, "left_anti")

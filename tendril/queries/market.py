@@ -198,12 +198,12 @@ def source_health(spark, d):
 
 @query("latest_per_user", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_event FROM events GROUP BY 1")
 def latest_per_user(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_event"))
+    return M.latest_per(table(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"]).withColumnRenamed("event_type", "last_event")
 
 
 @query("recent_events", "SELECT event_id, event_type, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 def recent_events(spark, d):
-    return table(spark, d, "events").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(50).select("event_id", "event_type", "user_id")
+    return M.newest(table(spark, d, "events"), "ts", "event_id", 50).select("event_id", "event_type", "user_id")
 
 
 @query("status_counts", "SELECT string_agg(s || '=' || n, ',' ORDER BY s) AS by_status FROM (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1)")
@@ -213,7 +213,7 @@ def status_counts(spark, d):
 
 @query("run_summary", "SELECT event_type, count(*) AS runs, count(DISTINCT user_id) AS users, count(*) FILTER (value IS NULL) AS without_value, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1")
 def run_summary(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("runs"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("value").isNull()).alias("without_value"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"))
+    return M.run_summary(table(spark, d, "events"), "event_type", "user_id", "value")
 
 
 @query("tender_list", "SELECT o_orderkey AS tender, c_name AS agency, n_name AS region, o_orderstatus AS status, o_orderpriority AS modality, o_totalprice AS value, strftime(o_orderdate, '%Y-%m-%d') AS published FROM " + TENDERS)

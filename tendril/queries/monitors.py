@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tendril.catalog import query, table
 from tendril.functions.text import effective_terms, fold_accents, text_matches, text_matches_phrase
 from tendril.operators import monitors as M
+from tendril.operators.market import with_price_in, without_any
 from tendril.queries.market import TENDERS, _d, tenders
 
 AS_OF = datetime(2000, 6, 1)
@@ -331,17 +332,19 @@ def history_by_year(spark, d):
 
 @query("search_by_year", f"WITH {_RECORDS} SELECT CAST(year(closes) AS INT) AS year, count(*) AS n FROM records WHERE folded LIKE '%red%' AND folded LIKE '%widget%' GROUP BY 1")
 def search_by_year(spark, d):
-    return _records(spark, d).where(text_matches(F.col("text"), F.array(F.lit("widget RED")))).groupBy(F.year("closes").alias("year")).agg(F.count("*").alias("n"))
+    return M.history_by_year({"current": (_records(spark, d), "text", F.year("closes"))}, "widget RED")
 
 
 @query("unit_price_semi", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 0 AND l_extendedprice / l_quantity BETWEEN 1000 AND 1010)")
 def unit_price_semi(spark, d):
-    return table(spark, d, "orders").join(_items(spark, d), (F.col("o_orderkey") == F.col("key")) & F.col("unit_price").between(1000, 1010), "left_semi").select("o_orderkey")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"))
+    return with_price_in(orders, _items(spark, d), "key", 1000, 1010).withColumnRenamed("key", "o_orderkey")
 
 
 @query("unmatched_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def unmatched_anti(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").where(F.col("o_orderstatus") == "P"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    waiting = table(spark, d, "orders").where(F.col("o_orderstatus") == "P").select(F.col("o_custkey").alias("c_custkey"))
+    return without_any(table(spark, d, "customer"), waiting, "c_custkey").select("c_custkey")
 
 
 @query("effective_terms", f"SELECT {_FOLD.format('p_name')} AS folded, len(list_filter(list_distinct([p_name, p_type, 'x']), lambda t: length(trim(t)) > 1)) AS terms, count(*) AS n FROM part GROUP BY 1, 2")

@@ -220,20 +220,18 @@ def future_purchases(spark, d):
 
 @query("pending_details", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
 def pending_details(spark, d):
-    return table(spark, d, "orders").where(F.col("o_orderstatus") == "P").orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(100).select("o_orderkey")
+    return K.pending(table(spark, d, "orders"), "o_orderstatus", "P", "o_orderdate", "o_orderkey", 100).select("o_orderkey")
 
 
 @query("frequent_keys_left", "SELECT o_custkey, n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 40) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def frequent_keys_left(spark, d):
-    top = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_custkey").limit(40)
-    return top.join(table(spark, d, "customer").where(F.col("c_acctbal") < 0), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    known = table(spark, d, "customer").where(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("o_custkey"))
+    return K.frequent_without(table(spark, d, "orders"), "o_custkey", known, 40)
 
 
 @query("cross_join_grid", "SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month, (SELECT count(*) FROM orders WHERE year(o_orderdate) = y AND month(o_orderdate) = m) AS tenders FROM range(1995, 2002) a(y), range(1, 13) b(m)")
 def cross_join_grid(spark, d):
-    grid = spark.range(1995, 2002).select(F.col("id").cast("int").alias("year")).crossJoin(spark.range(1, 13).select(F.col("id").cast("int").alias("month")))
-    n = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.count("*").alias("tenders"))
-    return grid.join(n, ["year", "month"], "left").fillna(0, ["tenders"])
+    return K.year_month_counts(table(spark, d, "orders"), "o_orderdate", spark.range(1995, 2002).select(F.col("id").cast("int").alias("year")), "tenders")
 
 
 @query("heal_documents", "SELECT event_id, event_id % 3 = 0 AS healed FROM events")
