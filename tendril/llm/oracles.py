@@ -117,6 +117,15 @@ SELECT page_id, shard, ordinal, CAST(sum(strlen(rec)) OVER w - strlen(rec) AS BI
 FROM r WINDOW w AS (PARTITION BY shard ORDER BY ordinal ROWS UNBOUNDED PRECEDING)
 """
 
+OP12 = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, trim({_LOWER.replace("coalesce(text, '')", "line")}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT doc_id, pos, line, r.key IS NOT NULL AND doc_id <> keeper AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_jaccard": OP1,
     "op2_embeddings": OP2,
@@ -125,4 +134,5 @@ ORACLES: dict[str, str] = {
     "op5_chat": OP5,
     "op6_mixing": OP6,
     "op9_warc": OP9,
+    "op12_lines": OP12,
 }

@@ -11,6 +11,7 @@ from tendril.llm.chat import read_back, windows
 from tendril.llm.decontaminate import contaminated
 from tendril.llm.jaccard import similar_documents
 from tendril.llm.language import languages
+from tendril.llm.lines import without_repeated_lines
 from tendril.llm.mixing import mixed
 from tendril.llm.neardup import near_duplicates
 from tendril.llm.quality import judged
@@ -77,6 +78,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_written(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeated_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_embeddings": op2_embeddings,
@@ -88,4 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
+    "op12_lines": op12_lines,
 }

@@ -36,6 +36,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one operator: ``clear`` removes them once what is kept of them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def kept(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        return self._write(df, shared_path(self.spark, name), by)
+
+    def stored(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        self.paths.append(shared_path(self.spark, name))
+        return self._write(df, self.paths[-1], by)
+
+    def _write(self, df: DataFrame, path: str, by: str | None) -> DataFrame:
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
+
+
 def written_order() -> list[Column]:
     """The place of a row of a table read from files: the partition that wrote it, its file of that partition, its row there."""
     name = F.col("_metadata.file_name")
