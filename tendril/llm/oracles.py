@@ -126,6 +126,54 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(
 FROM j GROUP BY doc_id
 """
 
+def _edit(cost: str, letter: str, line: str, after: str) -> str:
+    """What a way costs, its edits and its text, where ``after`` is that of the rows to come."""
+    return f"{{'c': {cost} + {after}.c, 'a': '{letter}' || {after}.a, 'r': {line} || {after}.r}}"
+
+
+def _choices(state: str, due: str, word: str, keeps: dict[str, str]) -> str:
+    """The least way from a state at a row that may stay: delete it, give it the role that is due, or keep it."""
+    kept = " ".join(f"WHEN i = '{i}' THEN [{_edit('p', 'K', 'said', to)}]" for i, to in keeps.items())
+    given = _edit("1 + p", "R", f"chr(10) || '{word}:' || text", due)
+    return f"list_min(list_concat([{_edit('2', 'D', repr(''), state)}, {given}], CASE {kept} ELSE [] END))"
+
+
+def _insert(words: list[str], after: str) -> str:
+    return _edit(str(5 * len(words)), "I" * len(words), " || ".join(f"chr(10) || '{w}:'" for w in words), after)
+
+
+_FORCED = ", ".join(_edit("2", "D", "''", f"n{k}") + f" AS n{k}" for k in range(4))
+
+#: Ways are followed from the last row to the first; a way is (cost, edits, text) and the least of them is the one that counts.
+OP13 = f"""
+WITH RECURSIVE tbl AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_concat([CAST(n AS BIGINT)], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(n))),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+      xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT))),
+          lambda c, b: xor(c // 256, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) % 20 AS kind FROM conversations, tbl),
+dam AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core, role[1:1] AS i FROM dam),
+f AS (SELECT *, core = '' AS blank, core <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS dup, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS prev FROM o),
+g AS (SELECT *, NOT blank AND NOT dup AND core[-1:] NOT IN ('.', '!', '?') AS cut FROM f),
+b AS (SELECT conv_id, k, i, blank OR dup AS forced, CASE WHEN cut THEN 5 ELSE 0 END AS p, chr(10) || role || ':' || text AS said, text FROM g),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+      count(*) FILTER (prev IS NOT NULL AND prev || i NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS k FROM g GROUP BY 1),
+w AS (SELECT conv_id, k + 1 AS k, {{'c': 0, 'a': '', 'r': ''}} AS n0, {{'c': 10, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS n1,
+      {{'c': 5, 'a': 'I', 'r': chr(10) || 'assistant:'}} AS n2, {{'c': 0, 'a': '', 'r': ''}} AS n3 FROM s
+  UNION ALL
+  (WITH x AS (SELECT b.*, n0, n1, n2, n3 FROM w JOIN b ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND b.k = w.k - 1),
+  y AS (SELECT conv_id, k, {_choices("n0", "n2", "user", {"s": "n1", "u": "n2"})} AS b0, {_choices("n1", "n2", "user", {"u": "n2"})} AS b1,
+        {_choices("n2", "n3", "assistant", {"a": "n3"})} AS b2, {_choices("n3", "n2", "user", {"u": "n2"})} AS b3 FROM x WHERE NOT forced)
+  SELECT conv_id, k, {_FORCED} FROM x WHERE forced
+  UNION ALL
+  SELECT conv_id, k, list_min([b0, {_insert(["user"], "b2")}, {_insert(["user", "assistant"], "b3")}]), list_min([b1, {_insert(["user"], "b2")}, {_insert(["user", "assistant"], "b3")}]),
+         list_min([b2, {_insert(["assistant"], "b3")}]), list_min([b3, {_insert(["user"], "b2")}]) FROM y)),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(CAST(gaps AS BIGINT), 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(n0.c, 0) AS BIGINT) AS cost, coalesce(n0.a, '') AS audit, sha256(coalesce(n0.r[2:], '')) AS repaired_sha256
+FROM ids LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM ids.conv_id AND w.k = 1
+"""
+
 ORACLES: dict[str, str] = {
     "op1_jaccard": OP1,
     "op2_embeddings": OP2,
@@ -135,4 +183,5 @@ ORACLES: dict[str, str] = {
     "op6_mixing": OP6,
     "op9_warc": OP9,
     "op12_lines": OP12,
+    "op13_repair": OP13,
 }

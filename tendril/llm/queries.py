@@ -15,6 +15,7 @@ from tendril.llm.lines import without_repeated_lines
 from tendril.llm.mixing import mixed
 from tendril.llm.neardup import near_duplicates
 from tendril.llm.quality import judged
+from tendril.llm.repair import damaged, repaired
 from tendril.llm.substrings import digested
 from tendril.llm.tokens import tokens_written
 from tendril.llm.warc import drill
@@ -83,6 +84,16 @@ def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations are damaged and repaired; those of which no row is left have zeros."""
+    rows = _table(spark, sf_dir, "conversations")
+    done = repaired(damaged(rows)).withColumnRenamed("conv_id", "_id")
+    ids = rows.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    whole = ids.join(done, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    counts = [F.coalesce(n, F.lit(0)).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("repaired", F.lit("")), 256).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_embeddings": op2_embeddings,
@@ -95,4 +106,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
     "op12_lines": op12_lines,
+    "op13_repair": op13_repair,
 }
