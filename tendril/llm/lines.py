@@ -122,7 +122,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, least_chars: int = LEAST_C
     found = runs.close()
     total = lines.count()
     counts = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    classes = scratch.stored(counts.join(found.select(*KEY, "keeper"), KEY), "repeated")
+    classes = scratch.stored(counts.join(found.select(*KEY, "keeper").hint("merge"), KEY), "repeated")
     gone = classed(lines.select("doc_id", "row", "pos", *KEY), classes, KEY, "n", total).where("keeper is not null and not (doc_id <=> keeper)")
     gone = scratch.kept(gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "gone")
     runs.drop()
@@ -141,7 +141,7 @@ def without_repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, leas
     gone = repeated_lines(docs, scratch, least_chars, least_docs, batches, fan).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "gone")
     scratch.clear()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left")
+    rows = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left")
     lines = text_lines(F.col("text"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
     kept = F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n")
