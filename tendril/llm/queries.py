@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tendril.llm.align import aligned_digests
 from tendril.llm.chat import read_back, windows
 from tendril.llm.decontaminate import contaminated
 from tendril.llm.jaccard import similar_documents
@@ -79,6 +80,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_written(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_digests(_table(spark, sf_dir, "documents"), tokenizer_path(), piece_model_path())
+
+
 def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_repeated_lines(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -105,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
+    "op11_alignment": op11_alignment,
     "op12_lines": op12_lines,
     "op13_repair": op13_repair,
 }

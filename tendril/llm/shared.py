@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tendril-")
         spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    return qualified(spark, folder)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, so that whoever opens it, Spark or a library in a task, takes the same file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = str(place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place)).rstrip("/")
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def opened(folder: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a qualified folder, for tasks."""
+    return pafs.FileSystem.from_uri(folder)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
