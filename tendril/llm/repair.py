@@ -339,9 +339,10 @@ def repaired(conversations: DataFrame, size: int = CHUNK) -> DataFrame:
         long = scratch.stored(unsure.join(placed.drop("conv_id"), "chunk").select("conv_id", "chunk", "place", "next", *columns), "long")
         key = F.explode(F.array_distinct(F.arrays_zip("keys", "marks")))
         keys = scratch.stored(long.select("conv_id", "chunk", key.alias("x")).select("conv_id", "chunk", F.col("x")["keys"].alias("key"), F.col("x")["marks"].alias("mark")), "keys")
-        twice = keys.groupBy("conv_id", "key", "mark").agg(F.min("chunk").alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-        same = (keys["conv_id"].eqNullSafe(twice["conv_id"])) & (keys["key"] == twice["key"]) & (keys["mark"] == twice["mark"]) & (keys["chunk"] > twice["least"])
-        known = keys.join(twice, same).groupBy("chunk").agg(F.collect_list(F.struct(keys["key"], keys["mark"])).alias("known"))
+        twice = keys.groupBy("conv_id", "key", "mark").agg(F.min("chunk").alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        twice = twice.select(F.col("conv_id").alias("_conv"), F.col("key").alias("_key"), F.col("mark").alias("_mark"), "least")
+        same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("key") == F.col("_key")) & (F.col("mark") == F.col("_mark")) & (F.col("chunk") > F.col("least"))
+        known = scratch.stored(keys.join(twice, same).groupBy("chunk").agg(F.collect_list(F.struct("key", "mark")).alias("known")), "known")
         long = scratch.stored(long.join(known, "chunk", "left"), "faults")
         run = lambda rows: rows.select("chunk", *columns, "known", "end").mapInArrow(_heads, "chunk long, head array<long>, exits array<long>")
         ends = long.select("chunk", "next", F.when(F.col("next").isNotNull(), F.array(*map(F.lit, _END.tolist()))).alias("end"))

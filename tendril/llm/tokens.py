@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tendril.llm import kernels as K
-from tendril.llm.shared import shared_path, small_batches, stored
+from tendril.llm.shared import opened, qualified, shared_path, small_batches, stored
 
 LENGTH = 2048
 BATCH_ROWS = 64
@@ -177,10 +177,6 @@ def encoder_for(path: str, end_id: int, split: bool | None) -> Encoder:
     return _ENCODERS[key]
 
 
-def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
-
-
 class SequenceWriter:
     """Packs a stream of ids into rows of ``length`` ids and mask bits."""
 
@@ -223,7 +219,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str | None = None,
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    folder = folder or shared_path(spark, "sequences")
+    folder = qualified(spark, folder) if folder else shared_path(spark, "sequences")
     if files is None:
         size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
         files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / FILE_BYTES))
@@ -242,7 +238,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str | None = None,
         if first is None:
             return
         task = TaskContext.get()
-        fs, top = _open(folder)
+        fs, top = opened(folder)
         fs.create_dir(top, recursive=True)
         part = task.partitionId()
         name, own = f"{top}/part-{part:06d}", f"{top}/.part-{part:06d}-{task.taskAttemptId()}"
@@ -273,7 +269,7 @@ def _reader(fs: pafs.FileSystem, path: str):
 
 def read_sequence(path: str, part: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and mask of the ``k``-th sequence of a file, without reading the others."""
-    fs, top = _open(path)
+    fs, top = opened(path)
     file = _reader(fs, f"{top}/part-{part:06d}.ids.arrow")
     batch = file.get_batch(k // BATCH_ROWS)
     row = k % BATCH_ROWS
@@ -302,7 +298,7 @@ def read_documents(files: DataFrame) -> DataFrame:
 
 
 def _documents(part: int, path: str, base: int) -> Iterator[pa.RecordBatch]:
-    fs, top = _open(path)
+    fs, top = opened(path)
     name = f"{top}/part-{part:06d}"
     ids_file, docs_file = _reader(fs, name + ".ids.arrow"), _reader(fs, name + ".docs.arrow")
     held, held_at, next_batch = np.zeros(0, dtype=np.uint32), 0, 0
