@@ -1,28 +1,24 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Time is counted in blocks and laid out in rounds of Q slots.  After r rounds a
-source of weight w is due r Q w blocks, in exact arithmetic; a round's quotas are
-the whole blocks due and not yet placed, the slots left over go to the largest
-remainders, and what is left carries on to the next round.  So the weights hold
-over any number of rounds, and a source below one slot a round is placed in some
-rounds only.
-
-Within a round, a source with quota q releases its i-th block (from 0) at
-floor(i Q / q) and must have placed it by ceil((i + 1) Q / q); taking the released
-block with the earliest deadline at each slot keeps every source within one block
-of q / Q.  Where Q w is one or more, the quotas are within one block of what is
-due, so a source is always less than two blocks from its exact weight.
-
-The weights are an argument of one entry for each source, so the driver holds those;
-it runs the carried remainders through all rounds and keeps them at some rounds'
-starts only (``STATES`` numbers), from which tasks lay the rounds out.  Documents
-meet the slots of their blocks by source and bucket of hashes, as they lie for
-their ranks.
+Time is counted in blocks.  A source of weight w, of all weights together, releases its
+i-th block (from 0) at floor(i / w) and must have placed it by ceil((i + 1) / w), in
+exact fractions over the whole mixture; at each slot the released block with the
+earliest deadline is placed, ties by name.  As the weights add up to one, all deadlines
+are met, so every source is less than one block from its exact weight at every slot,
+however long the mixture and however small the weight.
+
+What the schedule's rest depends on is the number of blocks that each source has placed.
+The driver runs through the slots once and keeps these numbers at the starts of stretches
+(``STATES`` numbers); tasks lay the stretches out again from there.  A mixture has ``SLOTS`` slots
+at most, which bounds the driver's time: for larger ones blocks of twice as many
+documents are taken until it does (below some 10^9 documents they stay as given).
 
 The mixture ends when every source has placed all its documents once, so none is
 lost; sources that are ahead by then have begun again and repeat documents.
-Within a source, documents go by the MD5 of their id.  Their ranks are sums over
-hash buckets, so a source with most of the rows is dealt over many tasks.
+Within a source, documents go by the MD5 of their id.  Their ranks are sums over hash
+buckets of about ``BUCKET_ROWS`` documents of the largest source, so a source with most
+of the rows is dealt over many tasks; documents meet the slots of their blocks by source
+and bucket, as they lie for their ranks.
 """
 
 from __future__ import annotations
@@ -38,14 +34,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 16
-#: Slots of a round at least, and slots for each source.
-ROUND, ROUND_PER_SOURCE = 1024, 20
-#: Numbers that the driver keeps of the rounds' starts: fewer starts, and longer ways from them, where there are many sources or rounds.
+#: Slots of a mixture at most, and of a stretch at least.
+SLOTS, STRETCH = 1 << 26, 4096
+#: Numbers that the driver keeps of the stretches' starts: longer stretches where there are many sources or slots.
 STATES = 1 << 18
+#: Sources at most; their names and weights are what the driver holds.
+SOURCES = 100_000
 #: The columns that the mixture adds.
 ADDED = ("_source", "_slot", "_place")
-#: Hex digits of the hash that name a bucket for ranks within a source.
-BUCKET_DIGITS = 3
+#: Documents of the largest source in a bucket, about, and hex digits of the buckets' own groups.
+BUCKET_ROWS, GROUP_DIGITS = 2000, 3
 
 
 def natural_weights(counts: dict[str, int], even: Fraction = Fraction(1, 10)) -> dict[str, Fraction]:
@@ -54,144 +52,113 @@ def natural_weights(counts: dict[str, int], even: Fraction = Fraction(1, 10)) ->
     return {s: (1 - even) * Fraction(c, total) + even * Fraction(1, n) for s, c in counts.items()}
 
 
-def round_size(n: int) -> int:
-    """Slots of a round of ``n`` sources."""
-    size = ROUND
-    while size < ROUND_PER_SOURCE * n:
-        size *= 2
-    return size
+class Schedule:
+    """Earliest deadline first among released blocks, slot by slot, from the numbers of blocks placed before ``slot``."""
 
-
-class Rounds:
-    """The quotas of one round after another; they add up to ``size``, and some may be 0.
-
-    ``due`` is what each source, by name, is due and has not got, in units of which
-    ``whole`` are a block.
-    """
-
-    def __init__(self, weights: dict[str, Fraction], size: int, due: list[int] | None = None):
-        exact = [Fraction(weights[s]) for s in sorted(weights)]
-        if min(exact) < 0 or not any(exact):
-            raise ValueError("weights must not be negative, and one must be more than 0")
+    def __init__(self, weights: dict[str, Fraction], slot: int = 0, placed: list[int] | None = None):
+        self.names = sorted(weights)
+        exact = [Fraction(weights[s]) for s in self.names]
+        if min(exact) <= 0:
+            raise ValueError("weights must be more than 0")
         parts = math.lcm(*(w.denominator for w in exact))
         self.share = [int(w * parts) for w in exact]
-        self.whole, self.size = sum(self.share), size
-        self.due = list(due) if due is not None else [0] * len(exact)
-
-    def next(self) -> list[int]:
-        due = [d + self.size * x for d, x in zip(self.due, self.share)]
-        got = [max(0, d // self.whole) for d in due]
-        by_remainder = sorted(range(len(due)), key=lambda k: (got[k] * self.whole - due[k], k))
-        left = self.size - sum(got)
-        for k in by_remainder[: max(0, left)]:
-            got[k] += 1
-        while left < 0:  # sources below one slot a round that are ahead of their weight
-            for k in [k for k in reversed(by_remainder) if got[k]][:-left]:
-                got[k] -= 1
-                left += 1
-        self.due = [d - g * self.whole for d, g in zip(due, got)]
-        return got
-
-
-def quotas(weights: dict[str, Fraction]) -> tuple[dict[str, int], int]:
-    """Whole slots of the first round by source, by largest remainders; and the round's length."""
-    size = round_size(len(weights))
-    return dict(zip(sorted(weights), Rounds(weights, size).next())), size
-
-
-def one_round(share: dict[str, int], size: int) -> list[tuple[str, int, int]]:
-    """(source, block of the round, slot), earliest deadline first among released blocks; ties by source."""
-    waiting = [(0, s, 0) for s in sorted(share) if share[s]]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(size):
-        while waiting and waiting[0][0] <= slot:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * size // share[s]), s, i))
-        deadline, s, i = heapq.heappop(ready)
-        assert slot < deadline
-        out.append((s, i, slot))
-        if i + 1 < share[s]:
-            heapq.heappush(waiting, ((i + 1) * size // share[s], s, i + 1))
-    return out
+        self.whole = sum(self.share)
+        self.slot, self.placed = slot, list(placed) if placed is not None else [0] * len(exact)
+        self.waiting = [(i * self.whole // x, k) for k, (i, x) in enumerate(zip(self.placed, self.share))]
+        heapq.heapify(self.waiting)
+        self.ready: list[tuple[int, int]] = []
+
+    def next(self) -> int:
+        """The number by name of the source that has the slot; its block is the one after those placed."""
+        waiting, ready, whole = self.waiting, self.ready, self.whole
+        while waiting and waiting[0][0] <= self.slot:
+            k = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(self.placed[k] + 1) * whole // self.share[k]), k))
+        deadline, k = heapq.heappop(ready)
+        assert self.slot < deadline
+        self.placed[k] += 1
+        self.slot += 1
+        heapq.heappush(waiting, (self.placed[k] * whole // self.share[k], k))
+        return k
+
+
+def block_size(weights: dict[str, Fraction], counts: dict[str, int], block: int, slots: int = SLOTS) -> int:
+    """``block``, doubled until the mixture has at most ``slots`` slots."""
+    total = sum(weights.values())
+    while max(-(-counts[s] // block) * total / w for s, w in weights.items()) > slots and block < max(counts.values()):
+        block *= 2
+    return block
 
 
 def _source(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def ranked(docs: DataFrame, source: str = "source") -> tuple[DataFrame, DataFrame]:
+def ranked(docs: DataFrame, source: str, digits: int) -> tuple[DataFrame, DataFrame]:
     """``docs`` with ``_source, _bucket, _local``, and ``_source, _bucket, _n, _before`` of the buckets.
 
     A document's rank in its source, from 0, by the MD5 of its id, is ``_before + _local``.
-    Rows of equal id go by text.
+    Rows of equal id go by text.  Buckets are summed within groups, and groups within sources.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    named = docs.withColumns({"_source": _source(source), "_key": key}).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    named = docs.withColumns({"_source": _source(source), "_key": key}).withColumn("_bucket", F.substring("_key", 1, digits))
     within = Window.partitionBy("_source", "_bucket").orderBy("_key", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     local = named.withColumn("_local", F.row_number().over(within) - 1).drop("_key")
-    sizes = docs.select(_source(source).alias("_source"), F.substring(key, 1, BUCKET_DIGITS).alias("_bucket")).groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_n")
-    return local, sizes.withColumn("_before", before)
+    sizes = docs.select(_source(source).alias("_source"), F.substring(key, 1, digits).alias("_bucket")).groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_group", F.substring("_bucket", 1, GROUP_DIGITS))
+    groups = sizes.groupBy("_source", "_group").agg(F.sum("_n").alias("_all"))
+    groups = groups.select("_source", "_group", (F.sum("_all").over(Window.partitionBy("_source").orderBy("_group")) - F.col("_all")).alias("_first_of"))
+    before = F.sum("_n").over(Window.partitionBy("_source", "_group").orderBy("_bucket")) - F.col("_n")
+    sizes = sizes.withColumn("_before", before).join(groups, ["_source", "_group"])
+    return local, sizes.select("_source", "_bucket", "_n", (F.col("_before") + F.col("_first_of")).alias("_before"))
 
 
-Start = tuple[int, int, list[str], list[int]]
+Start = tuple[int, int, list[int]]
 
 
-def planned(weights: dict[str, Fraction], blocks: dict[str, int], states: int = STATES) -> tuple[list[Start], dict[str, int], int, int]:
-    """The rounds until every source has placed ``blocks`` blocks.
+def planned(weights: dict[str, Fraction], blocks: dict[str, int], states: int = STATES) -> tuple[list[Start], dict[str, int], int]:
+    """The slots until every source has placed ``blocks`` blocks.
 
-    Returns the starts of stretches of rounds (first round, end, what each source is
-    due in decimal digits, what each has placed), the blocks placed in all rounds,
-    the rounds' size, and the number of slots until the last of ``blocks`` is placed.
+    Returns the starts of stretches (first slot, end, what each source has placed), the
+    blocks placed in all, and the number of slots.
     """
-    size, names = round_size(len(weights)), sorted(weights)
-    run, r, step = Rounds(weights, size), 0, 1
-    placed, starts = [0] * len(names), []
-    while True:
-        if r % step == 0:
-            starts.append((r, list(run.due), list(placed)))
-            if len(starts) > 1 and 2 * len(starts) * len(names) > states:
+    run, step = Schedule(weights), STRETCH
+    missing = sum(blocks.values())
+    asked = [blocks[s] for s in run.names]
+    starts: list[tuple[int, list[int]]] = []
+    while missing > 0:
+        if run.slot % step == 0:
+            starts.append((run.slot, list(run.placed)))
+            if len(starts) > 1 and len(starts) * len(asked) > states:
                 starts, step = starts[::2], 2 * step
-        before, share = placed, run.next()
-        placed = [a + b for a, b in zip(placed, share)]
-        r += 1
-        if all(have >= blocks[s] for s, have in zip(names, placed)):
-            break
-    done = dict(zip(names, before))
-    last = max(slot for s, i, slot in one_round(dict(zip(names, share)), size) if done[s] + i < blocks[s])
-    ends = [x[0] for x in starts[1:]] + [r]
-    return [(a, b, [str(d) for d in due], had) for (a, due, had), b in zip(starts, ends)], dict(zip(names, placed)), size, (r - 1) * size + last + 1
-
-
-def laid_out(weights: dict[str, Fraction], size: int, start: Start) -> Iterator[tuple[int, list[int], list[int]]]:
-    """(round, blocks placed before it, its quotas) by source name for the rounds of a stretch."""
-    first, end, due, placed = start
-    run = Rounds(weights, size, [int(d) for d in due])
-    for r in range(first, end):
-        share = run.next()
-        yield r, placed, share
-        placed = [a + b for a, b in zip(placed, share)]
-
-
-def schedule(spark: SparkSession, weights: dict[str, Fraction], starts: list[Start], size: int) -> DataFrame:
-    """``_source, _which, _slot`` for every block of ``planned`` rounds, laid out in tasks by stretch."""
-    names = sorted(weights)
+        k = run.next()
+        missing -= run.placed[k] <= asked[k]
+    ends = [x[0] for x in starts[1:]] + [run.slot]
+    return [(slot, end, had) for (slot, had), end in zip(starts, ends)], dict(zip(run.names, run.placed)), run.slot
+
+
+def laid_out(weights: dict[str, Fraction], start: Start) -> Iterator[tuple[str, int, int]]:
+    """(source, its block, slot) for the slots of a stretch."""
+    first, end, placed = start
+    run = Schedule(weights, first, placed)
+    for slot in range(first, end):
+        k = run.next()
+        yield run.names[k], run.placed[k] - 1, slot
+
+
+def schedule(spark: SparkSession, weights: dict[str, Fraction], starts: list[Start]) -> DataFrame:
+    """``_source, _which, _slot`` for every block of the mixture, laid out in tasks by stretch."""
+    names = ["_source", "_which", "_slot"]
 
     def lay(batches):
         for batch in batches:
             for start in zip(*(c.to_pylist() for c in batch.columns)):
-                for r, before, share in laid_out(weights, size, start):
-                    done = dict(zip(names, before))
-                    table = one_round(dict(zip(names, share)), size)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([s for s, _, _ in table], pa.string()), pa.array([done[s] + i for s, i, _ in table], pa.int64()), pa.array([r * size + slot for _, _, slot in table], pa.int64())],
-                        names=["_source", "_which", "_slot"],
-                    )
+                rows = laid_out(weights, start)
+                while part := [r for _, r in zip(range(STRETCH), rows)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part), (pa.string(), pa.int64(), pa.int64()))], names=names)
 
     tasks = min(len(starts), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = spark.createDataFrame(starts, "first long, end long, due array<string>, placed array<long>").repartition(tasks, "first")
+    dealt = spark.createDataFrame(starts, "first long, end long, placed array<long>").repartition(tasks, "first")
     return dealt.mapInArrow(lay, "_source string, _which long, _slot long")
 
 
@@ -210,7 +177,9 @@ def mixed(docs: DataFrame, source: str = "source", weights: dict[str, Fraction]
     own = {c: "_own" + c for c in docs.columns if c.startswith("_")}
     names = [c for c in docs.columns if c not in ADDED]
     docs, source = docs.withColumnsRenamed(own), own.get(source, source)
-    rows = docs.groupBy(_source(source).alias("s")).agg(F.count("*").alias("n")).collect()
+    rows = docs.groupBy(_source(source).alias("s")).agg(F.count("*").alias("n")).limit(SOURCES + 1).collect()
+    if len(rows) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources: name them by fewer labels")
     counts = {r.s: r.n for r in rows}
     if weights is not None and (missing := set(counts) - set(weights)):
         raise ValueError(f"no weight for {sorted(missing)[:5]}")
@@ -218,18 +187,20 @@ def mixed(docs: DataFrame, source: str = "source", weights: dict[str, Fraction]
     if any(w < 0 for w in given.values()):
         raise ValueError("weights must not be negative")
     given = {s: w for s, w in given.items() if w}
-    starts, placed, size, last = planned(given, {s: -(-counts[s] // block) for s in given}) if given else ([], {}, 1, 0)
-    slots = schedule(spark, given, starts, size) if starts else spark.createDataFrame([], "_source string, _which long, _slot long")
+    block = block_size(given, counts, block) if given else block
+    starts, placed, last = planned(given, {s: -(-counts[s] // block) for s in given}) if given else ([], {}, 0)
+    slots = schedule(spark, given, starts) if starts else spark.createDataFrame([], "_source string, _which long, _slot long")
     # a row for each source, as the weights have
     heads = spark.createDataFrame([(s, counts[s], placed[s]) for s in sorted(given)], "_source string, _count long, _blocks long")
-    local, buckets = ranked(docs, source)
+    digits = max(GROUP_DIGITS, math.ceil(math.log(max(counts.values(), default=1) / BUCKET_ROWS, 16)))
+    local, buckets = ranked(docs, source, digits)
     # each time that a bucket comes round, its first document's number in the source's stream and its blocks' slots
     again = F.floor((F.col("_blocks") * block - 1 - F.col("_before")) / F.col("_count"))
     passes = buckets.join(heads, "_source").withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), again)))
     passes = passes.withColumn("_from", F.col("_before") + F.col("_pass") * F.col("_count")).withColumn("_first", F.floor(F.col("_from") / block))
     end = F.least(F.floor((F.col("_from") + F.col("_n") - 1) / block), F.col("_blocks") - 1)
     wanted = passes.select("_source", "_bucket", "_from", "_first", F.explode(F.sequence("_first", end)).alias("_which"))
-    found = wanted.join(slots.where(F.col("_slot") < last), ["_source", "_which"])
+    found = wanted.join(slots, ["_source", "_which"])
     found = found.groupBy("_source", "_bucket", "_from", "_first").agg(F.sort_array(F.collect_list(F.struct("_which", "_slot"))).alias("_at"))
     out = local.join(found, ["_source", "_bucket"]).withColumn("_nth", F.col("_from") + F.col("_local"))
     out = out.withColumns({"_slot": F.get("_at", F.floor(F.col("_nth") / block) - F.col("_first"))["_slot"], "_place": F.col("_nth") % block})

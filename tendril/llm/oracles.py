@@ -78,25 +78,22 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM x JOIN f USING (conv_id) GROUP BY conv_id
 """
 
-#: The schedule is run slot by slot: the state is the number of blocks that each source has placed.
+#: The schedule is run slot by slot: the state is the number of blocks that each source has placed, and how many are missing.
 _MIX = """
 c AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM {docs} GROUP BY 1),
-tot AS (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS k, 1024 * CAST(pow(2, greatest(0, ceil(log2(20 * count(*) / 1024.0)))) AS BIGINT) AS size FROM c),
-ex AS (SELECT s, n, total, k, size, CAST(size AS HUGEINT) * (9 * CAST(n AS HUGEINT) * k + total) AS num, CAST(10 AS HUGEINT) * total * k AS den FROM c, tot),
-fl AS (SELECT *, num // den AS base, num % den AS rem FROM ex),
-sh AS (SELECT s, n, size, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, s) <= size - sum(base) OVER () THEN 1 ELSE 0 END AS q FROM fl),
-li AS (SELECT list(s ORDER BY s) AS ss, list(CAST(q AS BIGINT) ORDER BY s) AS qs, CAST(any_value(size) AS BIGINT) AS size FROM sh),
-run AS (SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS pick, list_transform(qs, lambda x: CAST(0 AS BIGINT)) AS done FROM li
+tot AS (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS k FROM c),
+li AS (SELECT list(s ORDER BY s) AS ss, list(CAST(9 * n * k + total AS HUGEINT) ORDER BY s) AS ws, list((n + 15) // 16 ORDER BY s) AS need, CAST(any_value(10 * total * k) AS HUGEINT) AS whole FROM c, tot),
+run AS (SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS pick, list_transform(ws, lambda x: CAST(0 AS BIGINT)) AS done, CAST(list_sum(need) AS BIGINT) AS missing FROM li
   UNION ALL
-  SELECT slot + 1, p, list_transform(done, lambda x, i: x + CASE WHEN i = p THEN 1 ELSE 0 END) FROM (
-    SELECT slot, done, list_position(d, list_min(d)) AS p FROM (
-      SELECT slot, done, list_transform(done, lambda x, i: CASE WHEN x * size // qs[i] <= slot + 1 AND x < qs[i] THEN ((x + 1) * size + qs[i] - 1) // qs[i] ELSE 4611686018427387904 END) AS d
-      FROM run, li WHERE slot + 1 < size))),
-pl AS (SELECT ss[pick] AS s, done[pick] - 1 AS i, slot AS pos FROM run, li WHERE slot >= 0),
-lst AS (SELECT max(((n - 1) // 16 // q) * size + pos) + 1 AS last FROM sh JOIN pl ON pl.s = sh.s AND pl.i = ((n - 1) // 16) % q),
+  SELECT slot + 1, p, list_transform(done, lambda x, i: x + CASE WHEN i = p THEN 1 ELSE 0 END), missing - CASE WHEN done[p] < need[p] THEN 1 ELSE 0 END FROM (
+    SELECT slot, done, missing, need, list_position(d, list_min(d)) AS p FROM (
+      SELECT slot, done, missing, need, list_transform(done, lambda x, i: CASE WHEN x * whole // ws[i] <= slot + 1 THEN ((x + 1) * whole + ws[i] - 1) // ws[i] ELSE 4611686018427387904 END) AS d
+      FROM run, li WHERE missing > 0))),
+pl AS (SELECT ss[pick] AS s, done[pick] - 1 AS i, slot FROM run, li WHERE slot >= 0),
+bl AS (SELECT s, count(*) AS blocks FROM pl GROUP BY 1),
 rk AS (SELECT *, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS r FROM {docs}),
-nth AS (SELECT rk.*, sh.q, sh.size, last, r + n * unnest(range(0, CAST(greatest(1, (q * ((last + size - 1) // size) * 16 - 1 - r) // n + 1) AS BIGINT))) AS m FROM rk JOIN sh USING (s), lst),
-placed AS (SELECT nth.*, (m // 16 // q) * size + pos AS slot, m % 16 AS place FROM nth JOIN pl ON pl.s = nth.s AND pl.i = (m // 16) % q WHERE (m // 16 // q) * size + pos < last)
+nth AS (SELECT rk.*, r + n * unnest(range(0, CAST(greatest(1, (blocks * 16 - 1 - r) // n + 1) AS BIGINT))) AS m FROM rk JOIN bl USING (s) JOIN c USING (s)),
+placed AS (SELECT nth.*, slot, m % 16 AS place FROM nth JOIN pl ON pl.s = nth.s AND pl.i = m // 16)
 """
 
 OP6 = f"""
