@@ -337,9 +337,8 @@ class Aligner:
 
     def _codes(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of each piece of texts that each begin with a space, and the first piece of each text."""
-        cut = np.zeros(len(data), dtype=bool)
-        if self.cuts:
-            cut = (data == 0x20) & _after_visible(data)
+        follows = _after_visible(data) if self.cuts else np.zeros(len(data), dtype=bool)
+        cut = (data == 0x20) & follows
         cut[at[:-1][np.diff(at) > 0]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
@@ -349,19 +348,20 @@ class Aligner:
         words = coded.dictionary.to_pylist()
         if len(self.known) + len(words) > CACHE_PIECES or self.links.n > CACHE_LINKS:
             self.forget()
-        new = [w for w in words if w not in self.known]
-        if new:
-            safe = np.zeros(len(data) + 1, dtype=bool)
-            if self.cuts:
-                safe[: len(data)] = _after_visible(data)
-                safe[len(data)] = bool(_after_visible(np.append(data[-4:], 0x20).astype(np.uint8))[-1])
-            first = np.full(len(words), -1, dtype=np.int64)
-            index = coded.indices.to_numpy()
+        number = np.array([self.known.get(w, -1) for w in words], dtype=np.int64)
+        index = coded.indices.to_numpy()
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            first = np.empty(len(words), dtype=np.int64)
             first[index[::-1]] = np.arange(len(index))[::-1]
-            ends_well = safe[ends[first]]
-            self._learn(new, np.array([ends_well[k] for k, w in enumerate(words) if w not in self.known]))
-        number = np.array([self.known[w] for w in words], dtype=np.int64)
-        return number[coded.indices.to_numpy()], np.searchsorted(starts, at)
+            end = ends[first[new]]
+            ends_well = np.full(len(new), self.cuts)
+            ends_well[end < len(data)] &= follows[end[end < len(data)]]
+            ends_well[end == len(data)] &= bool(len(data)) and bool(_after_visible(np.append(data[-4:], 0x20).astype(np.uint8))[-1])
+            learnt = [words[k] for k in new.tolist()]
+            self._learn(learnt, ends_well)
+            number[new] = [self.known[w] for w in learnt]
+        return number[index], np.searchsorted(starts, at)
 
     def slices(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first, end, piece numbers, first piece of each document and the end) for consecutive documents.
@@ -534,7 +534,7 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str, folder: str, bucket_p
     leaves = (sums.agg(F.max("part")).first()[0] or 0) // FAN + 1
     while leaves > 1:
         leaves = -(-leaves // FAN)
-        vectors = vectors.groupBy(F.expr(f"leaf div {FAN}").alias("leaf"), "bucket").applyInArrow(_added_up, shape)
+        vectors = vectors.withColumn("leaf", F.expr(f"leaf div {FAN}")).groupBy("leaf", "bucket").applyInArrow(_added_up, shape)
     most = scratch.stored(vectors.select("bucket", "vector").mapInArrow(_finished(folder, buckets), "a long, most long"), "most")
     best = np.zeros(0, dtype=np.int64)
     rows = most.groupBy("a").agg(F.max("most").alias("most")).toArrow()
