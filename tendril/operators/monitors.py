@@ -11,9 +11,8 @@ from pyspark.sql.window import Window
 from tendril.functions.parse import money_label, pct_change
 from tendril.functions.text import effective_terms, fold_accents, text_matches, wildcard_words
 from tendril.operators.market import last_n, money
+from tendril.operators.rule_index import met
 
-#: Rules that are sent to every executor at once; more are taken in parts of this size.
-RULES_AT_ONCE = 10_000
 #: Flags that are null are on; a null number of days is ``CONTRACT_DAYS``.
 RULE = (
     "monitor_id long, include array<string>, exclude array<string>, approved array<string>, states array<string>, cities array<string>, agencies_in array<string>, agencies_out array<string>, "
@@ -49,23 +48,7 @@ def _ready(rules: DataFrame) -> DataFrame:
     return rules.withColumns({"_terms": F.size(terms), "_want": wildcard_words(terms), "_not": wildcard_words(_listed("exclude"))})
 
 
-def _matches(folded: Column, terms: Column) -> Column:
-    """Whether all words of some term are in the text; a word without wildcards is looked up as it is."""
-    holds = lambda w: F.when(w["wild"], F.call_function("like", folded, w["pattern"])).otherwise(F.contains(folded, w["word"]))
-    return F.exists(terms, lambda t: F.forall(t, holds))
-
-
-def _met(records: DataFrame, rules: DataFrame, on: Column) -> DataFrame:
-    """``records`` with each rule that holds for them; rules are broadcast after a count, in parts."""
-    parts = max(1, -(-rules.count() // RULES_AT_ONCE))
-    found = []
-    for k in range(parts):
-        part = rules if parts == 1 else rules.where(F.pmod(F.xxhash64("monitor_id"), F.lit(parts)) == k)
-        found.append(records.join(F.broadcast(part), on))
-    return reduce(DataFrame.unionByName, found)
-
-
-def match_records(records: DataFrame, items: DataFrame, rules: DataFrame, as_of) -> DataFrame:
+def match_records(records: DataFrame, items: DataFrame, rules: DataFrame, as_of, counts: DataFrame | None = None) -> DataFrame:
     """``monitor_id`` with the columns of each record that meets all of a rule's conditions.
 
     ``records``: ``key, text, state, city, agency, modality, status, status_source,
@@ -74,9 +57,9 @@ def match_records(records: DataFrame, items: DataFrame, rules: DataFrame, as_of)
     meets the others.  Cities, modalities and statuses are patterns of LIKE, whatever
     the case; the status is that of the record, else that of its source, else empty.
     A null agency passes ``agencies_out``; a null value fails both bounds.  Texts
-    are folded once a record and rules once a rule.  Rules that ask for items are
-    matched apart, so that no rule meets the records twice; their hits are kept by
-    semi-joins.
+    are folded once a record and rules once a rule.  Records meet the rules by the
+    index of :mod:`tendril.operators.rule_index`, for which ``counts`` may say how
+    frequent letters are; hits of rules that ask for items are kept by semi-joins.
     """
     ready = _ready(rules).withColumns({"_priced": F.col("price_min").isNotNull() | F.col("price_max").isNotNull(), "_coded": F.size(_listed("codes")) > 0})
     folded = records.withColumn("_folded", fold_accents(F.col("text"), True))
@@ -92,15 +75,13 @@ def match_records(records: DataFrame, items: DataFrame, rules: DataFrame, as_of)
         & _off_or("cities", _any_like("cities", F.col("city")))
         & _off_or("modalities", _any_like("modalities", F.col("modality")))
         & _off_or("statuses", _any_like("statuses", status))
-        & ((F.col("_terms") == 0) | _matches(F.col("_folded"), F.col("_want")))
-        & ~_matches(F.col("_folded"), F.col("_not"))
     )
     kept = ["monitor_id", *records.columns]
     of_items = F.col("_priced") | F.col("_coded")
-    plain = _met(folded, ready.where(~of_items), on).select(*kept)
+    plain = met(folded, ready.where(~of_items), on, state="state", agency="agency", counts=counts).select(*kept)
     if ready.where(of_items).isEmpty():
         return plain
-    hits = _met(folded, ready.where(of_items), on).select(*kept, "_priced", "_coded", "price_min", "price_max", "codes")
+    hits = met(folded, ready.where(of_items), on, state="state", agency="agency", counts=counts).select(*kept, "_priced", "_coded", "price_min", "price_max", "codes")
     unit = items.select(F.col("key").alias("_key"), "unit_price", F.col("code").cast("string").alias("_code"))
     fits = (F.col("price_min").isNull() | (F.col("unit_price") >= F.col("price_min"))) & (F.col("price_max").isNull() | (F.col("unit_price") <= F.col("price_max")))
     for condition in (~F.col("_priced") | fits, ~F.col("_coded") | F.array_contains("codes", F.col("_code"))):
@@ -196,30 +177,27 @@ def expiring_contract_alerts(contracts: DataFrame, rules: DataFrame, as_of, stat
     asked = F.coalesce("contract_days", F.lit(CONTRACT_DAYS))
     longest = rules.agg(F.max(asked)).first()[0] or 0
     soon = contracts.where(F.to_date("ends").between(day, F.date_add(day, longest))).withColumns({"_folded": fold_accents(F.col("text"), True), "days_left": F.datediff(F.col("ends"), day)})
-    on = (
-        _on("contracts") & (F.col("days_left") <= asked) & (_off_or("states", F.array_contains("states", F.col("state"))) if states else F.lit(True))
-        & (_matches(F.col("_folded"), F.col("_want")) | F.coalesce(F.array_contains("suppliers", F.col("supplier").cast("string")), F.lit(False)))
-        & ~_matches(F.col("_folded"), F.col("_not"))
-    )
+    on = _on("contracts") & (F.col("days_left") <= asked) & (_off_or("states", F.array_contains("states", F.col("state"))) if states else F.lit(True))
+    found = met(soon, _ready(rules), on, state="state" if states else None, supplier="supplier", terms_needed=True)
     importance = F.when(F.col("days_left") <= NEAR_DAYS, "alta").otherwise("media")
-    return _met(soon, _ready(rules), on).select("monitor_id", "key", F.lit("CONTRACT_EXPIRING").alias("type"), "days_left", importance.alias("importance"))
+    return found.select("monitor_id", "key", F.lit("CONTRACT_EXPIRING").alias("type"), "days_left", importance.alias("importance"))
 
 
-def _of_terms(records: DataFrame, rules: DataFrame, on: Column, kind: str) -> DataFrame:
+def _of_terms(records: DataFrame, rules: DataFrame, on: Column, kind: str, **lists) -> DataFrame:
     live = records.withColumn("_folded", fold_accents(F.col("text"), True))
-    on = on & _matches(F.col("_folded"), F.col("_want")) & ~_matches(F.col("_folded"), F.col("_not"))
-    return _met(live, _ready(rules), on).select("monitor_id", "key", F.lit(kind).alias("type"), F.lit("media").alias("importance"))
+    found = met(live, _ready(rules), on, terms_needed=True, **lists)
+    return found.select("monitor_id", "key", F.lit(kind).alias("type"), F.lit("media").alias("importance"))
 
 
 def register_alerts(registers: DataFrame, rules: DataFrame) -> DataFrame:
     """Price registers (``key, text, state, cancelled``) of the rules' terms and states, whatever the agency; none that is cancelled."""
     live = registers.where(~F.coalesce("cancelled", F.lit(False)))
-    return _of_terms(live, rules, _on("registers") & _off_or("states", F.array_contains("states", F.col("state"))), "NEW_ATA")
+    return _of_terms(live, rules, _on("registers") & _off_or("states", F.array_contains("states", F.col("state"))), "NEW_ATA", state="state")
 
 
 def plan_alerts(plans: DataFrame, rules: DataFrame) -> DataFrame:
     """Plan items (``key, text, agency``) of the rules' terms and agencies, whatever the state."""
-    return _of_terms(plans, rules, _on("plans") & _off_or("agencies_in", F.array_contains("agencies_in", F.col("agency"))), "NEW_PCA")
+    return _of_terms(plans, rules, _on("plans") & _off_or("agencies_in", F.array_contains("agencies_in", F.col("agency"))), "NEW_PCA", agency="agency")
 
 
 def evaluate(state: DataFrame, memory: DataFrame, tables: dict[str, DataFrame], rules: DataFrame, as_of, first_run: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

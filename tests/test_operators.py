@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tendril.operators import history as H
 from tendril.operators import monitors as M
+from tendril.operators import rule_index
 from tendril.operators import quality as Q
 from tendril.operators import resolve as R
 
@@ -128,7 +129,7 @@ def test_rules_in_parts(spark, monkeypatch):
     rules = spark.createDataFrame([tuple((base | {"monitor_id": k, "include": [f"{k % 7} palavra"] if k % 2 else ["texto"], "agencies_in": [str(k % 3)]}).values()) for k in range(9)], M.RULE)
     ways = [lambda: M.register_alerts(rec, rules), lambda: M.plan_alerts(rec, rules), lambda: M.expiring_contract_alerts(rec, rules, T0)]
     whole = [rows(w()) for w in ways]
-    monkeypatch.setattr(M, "RULES_AT_ONCE", 2)
+    monkeypatch.setattr(rule_index, "RULES_AT_ONCE", 2)
     assert all(whole) and [rows(w()) for w in ways] == whole
 
 
