@@ -22,7 +22,7 @@ RULE = (
 CONTRACT_DAYS, NEAR_DAYS = 180, 30
 #: What is remembered of a match; a change of any of these is a change of the match.
 SNAPSHOT = ("object", "value", "status", "status_source", "closes", "state", "city", "agency", "modality", "awarded")
-OBJECT_CHARS = 300
+OBJECT_CHARS, DETAIL_CHARS = 300, 200
 
 def _listed(name: str) -> Column:
     return F.coalesce(F.col(name), F.array().cast("array<string>"))
@@ -42,12 +42,29 @@ def _any_like(name: str, value: Column) -> Column:
     return F.exists(name, lambda p: F.call_function("ilike", value, p))
 
 
+def silent(rules: DataFrame, first_run: bool) -> Column:
+    """Whether a rule's evaluation is its first, which is silent: by its own column ``first_run`` where there is one."""
+    return F.coalesce(F.col("first_run"), F.lit(first_run)) if "first_run" in rules.columns else F.lit(first_run)
+
+
+def _details(rows: DataFrame, names: tuple[str, ...]) -> Column:
+    """What is said of a record besides its key, as JSON: those of the columns that the table has."""
+    shown = [(F.left("text", F.lit(DETAIL_CHARS)) if n == "text" else F.col(n)).alias("object" if n == "text" else n) for n in names if n in rows.columns]
+    return F.to_json(F.struct(*shown)) if shown else F.lit("{}")
+
+
 def _ready(rules: DataFrame) -> DataFrame:
     """Rules with their terms taken apart, once a rule."""
     terms = effective_terms(F.col("include"), F.col("approved"))
     return rules.withColumns({"_terms": F.size(terms), "_want": wildcard_words(terms), "_not": wildcard_words(_listed("exclude"))})
 
 
+def ill_formed(rules: DataFrame) -> Column:
+    """Whether a rule has a pattern that LIKE refuses: a backslash that stands before anything but ``%``, ``_`` or itself."""
+    bad = lambda p: p.rlike(r"^(?:[^\\]|\\[%_\\])*\\(?:$|[^%_\\])")
+    return reduce(lambda a, b: a | b, [F.exists(_listed(c), bad) for c in ("cities", "modalities", "statuses")])
+
+
 def match_records(records: DataFrame, items: DataFrame, rules: DataFrame, as_of, counts: DataFrame | None = None) -> DataFrame:
     """``monitor_id`` with the columns of each record that meets all of a rule's conditions.
 
@@ -101,13 +118,14 @@ def remember(state: DataFrame, matches: DataFrame, rules: DataFrame, as_of, firs
     ``state``: ``monitor_id, key, first_seen, last_seen, last_checked`` and the
     snapshot columns; ``matches``: ``monitor_id, key`` and the snapshot columns;
     ``rules`` say whether deserted and failed tenders are watched.  A match is never
-    retired; ``last_seen`` moves only when its snapshot changes.  On a silent
-    ``first_run`` new tenders raise nothing, but deserted and failed ones still do.
+    retired; ``last_seen`` moves only when its snapshot changes.  On a silent first
+    run new tenders raise nothing, but deserted and failed ones still do; it is that of
+    each rule whose column ``first_run`` says so, or of all rules by the argument.
     """
     now = F.lit(as_of)
     old = state.select("monitor_id", "key", "first_seen", "last_seen", "last_checked", *[F.col(c).alias(f"old_{c}") for c in SNAPSHOT], F.lit(True).alias("known"))
     both = old.join(matches.select("monitor_id", "key", *SNAPSHOT, F.lit(True).alias("seen")), ["monitor_id", "key"], "full")
-    both = both.join(rules.select("monitor_id", _on("deserted").alias("_deserted"), _on("failed").alias("_failed")), "monitor_id", "left")
+    both = both.join(rules.select("monitor_id", _on("deserted").alias("_deserted"), _on("failed").alias("_failed"), silent(rules, first_run).alias("_silent")), "monitor_id", "left")
     changed = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in SNAPSHOT])
     both = both.withColumn("is_new", F.col("known").isNull()).withColumn("changed", F.col("known").isNotNull() & F.col("seen").isNotNull() & changed)
     kept = lambda c: F.when(F.col("seen").isNull(), F.col(f"old_{c}")).otherwise(F.col(c)).alias(c)
@@ -129,7 +147,7 @@ def remember(state: DataFrame, matches: DataFrame, rules: DataFrame, as_of, firs
 
     offered = F.concat(money_label(F.col("value")), F.coalesce(F.concat(F.lit(" em "), F.col("state")), F.lit("")))
     alerts = F.array(
-        alert(F.col("is_new") & F.lit(not first_run), "NEW_PROCUREMENT", F.when(soon, "critica").when(F.coalesce(F.col("value") >= 1_000_000, F.lit(False)), "alta").otherwise("media"), none, offered),
+        alert(F.col("is_new") & ~F.coalesce("_silent", F.lit(first_run)), "NEW_PROCUREMENT", F.when(soon, "critica").when(F.coalesce(F.col("value") >= 1_000_000, F.lit(False)), "alta").otherwise("media"), none, offered),
         alert(F.col("is_new") & deserted, "DESERTED", F.lit("media"), none, status),
         alert(F.col("is_new") & failed, "FAILED", F.lit("media"), none, status),
         alert(differ("value"), "PRICE_CHANGE", F.when(F.coalesce(F.abs(pct) >= 20, F.lit(False)), "alta").otherwise("media"), money_label(F.col("old_value")), money_label(F.col("value"))),
@@ -143,27 +161,34 @@ def remember(state: DataFrame, matches: DataFrame, rules: DataFrame, as_of, firs
 MEMORY = "monitor_id long, entity string, key string, first_seen timestamp"
 
 
-def raise_once(memory: DataFrame, found: DataFrame, entity: str, as_of, first_run: bool = False) -> tuple[DataFrame, DataFrame]:
+def raise_once(memory: DataFrame, found: DataFrame, entity: str, as_of, first_run: bool = False, rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The memory after an evaluation, and the alerts of ``found`` that it did not hold: each is raised once, never again.
 
     ``memory`` has the columns of ``MEMORY``; ``found``: ``monitor_id, key`` and what
-    the alert says.  A ``first_run`` is silent, but what it finds is remembered.
+    the alert says.  A first run is silent, but what it finds is remembered; it is that
+    of each of ``rules`` whose column ``first_run`` says so, or of all by the argument.
     """
     known = memory.where(F.col("entity") == entity).select("monitor_id", "key")
     new = found.dropDuplicates(["monitor_id", "key"]).join(known, ["monitor_id", "key"], "left_anti")
     after = memory.unionByName(new.select("monitor_id", F.lit(entity).alias("entity"), F.col("key").cast("string").alias("key"), F.lit(as_of).cast("timestamp").alias("first_seen")))
-    return after, new.limit(0) if first_run else new
+    if rules is None or "first_run" not in rules.columns:
+        return after, new.limit(0) if first_run else new
+    quiet = rules.where(silent(rules, first_run)).select("monitor_id")
+    return after, new.join(quiet, "monitor_id", "left_anti")
 
 
 def award_alerts(matches: DataFrame, awards: DataFrame, rules: DataFrame) -> DataFrame:
     """``monitor_id, key`` (tender:item:supplier) of winners on matched tenders, high if the rule watches the supplier.
 
-    A winner without a number is ``?``.
+    A winner without a number is ``?``.  ``details`` has what the awards say of the
+    supplier's name, prices and process.
     """
-    keyed = awards.select("key", "item", F.col("supplier").cast("string").alias("supplier")).dropDuplicates(["key", "item", "supplier"])
+    told = _details(awards.withColumn("process", F.col("key")), ("supplier_name", "supplier", "unit_price", "award_value", "process"))
+    keyed = awards.withColumn("process", F.col("key")).select("key", "item", F.col("supplier").cast("string").alias("supplier"), told.alias("details"))
+    keyed = keyed.groupBy("key", "item", "supplier").agg(F.min("details").alias("details"))
     won = matches.select("monitor_id", "key").join(keyed, "key").withColumn("key", F.concat_ws(":", "key", "item", F.coalesce("supplier", F.lit("?"))))
     watched = F.coalesce(F.array_contains("suppliers", F.col("supplier")), F.lit(False))
-    return won.join(rules.select("monitor_id", "suppliers"), "monitor_id").select("monitor_id", "key", F.lit("NEW_WINNER").alias("type"), F.when(watched, "alta").otherwise("media").alias("importance"))
+    return won.join(rules.select("monitor_id", "suppliers"), "monitor_id").select("monitor_id", "key", F.lit("NEW_WINNER").alias("type"), F.when(watched, "alta").otherwise("media").alias("importance"), "details")
 
 
 def expiring_contract_alerts(contracts: DataFrame, rules: DataFrame, as_of, states: bool = True) -> DataFrame:
@@ -180,13 +205,25 @@ def expiring_contract_alerts(contracts: DataFrame, rules: DataFrame, as_of, stat
     on = _on("contracts") & (F.col("days_left") <= asked) & (_off_or("states", F.array_contains("states", F.col("state"))) if states else F.lit(True))
     found = met(soon, _ready(rules), on, state="state" if states else None, supplier="supplier", terms_needed=True)
     importance = F.when(F.col("days_left") <= NEAR_DAYS, "alta").otherwise("media")
-    return found.select("monitor_id", "key", F.lit("CONTRACT_EXPIRING").alias("type"), "days_left", importance.alias("importance"))
+    details = _details(contracts, ("text", "value", "ends", "supplier_name", "state") if states else ("text", "value", "ends", "supplier_name"))
+    return found.select("monitor_id", "key", F.lit("CONTRACT_EXPIRING").alias("type"), "days_left", importance.alias("importance"), details.alias("details"))
+
+
+#: The sources of contracts: the mark before their keys, and whether they tell the state.
+CONTRACT_SOURCES = {"contracts": ("pncp:", True), "contracts_gov": ("gov:", False)}
+
+
+def contract_alerts(tables: dict[str, DataFrame], rules: DataFrame, as_of) -> DataFrame:
+    """Expiring contracts of all sources that ``tables`` has, with the source's mark before the key."""
+    found = [expiring_contract_alerts(tables[n].withColumn("key", F.concat(F.lit(mark), F.col("key").cast("string"))), rules, as_of, states) for n, (mark, states) in CONTRACT_SOURCES.items() if n in tables]
+    return reduce(DataFrame.unionByName, found)
 
 
 def _of_terms(records: DataFrame, rules: DataFrame, on: Column, kind: str, **lists) -> DataFrame:
     live = records.withColumn("_folded", fold_accents(F.col("text"), True))
     found = met(live, _ready(rules), on, terms_needed=True, **lists)
-    return found.select("monitor_id", "key", F.lit(kind).alias("type"), F.lit("media").alias("importance"))
+    details = _details(records, ("text", "value", "ends", "year", "wanted", "state", "agency"))
+    return found.select("monitor_id", "key", F.lit(kind).alias("type"), F.lit("media").alias("importance"), details.alias("details"))
 
 
 def register_alerts(registers: DataFrame, rules: DataFrame) -> DataFrame:
@@ -204,20 +241,33 @@ def evaluate(state: DataFrame, memory: DataFrame, tables: dict[str, DataFrame],
     """One evaluation of all ``rules`` at once: (match table, memory, alerts).
 
     ``tables``: ``records`` and ``items``, and where there are any ``awards``,
-    ``contracts``, ``registers`` and ``plans``, as the operators above take them.
+    ``contracts``, ``contracts_gov``, ``registers`` and ``plans``, as the operators above
+    take them.  Alerts are ``monitor_id, key, type, importance, details``.
     """
     matches = snapshot(match_records(tables["records"], tables["items"], rules, as_of))
     state, alerts = remember(state, matches, rules, as_of, first_run)
+    alerts = told(alerts)
+    for entity, found in once_found(tables, state, rules, as_of).items():
+        memory, new = raise_once(memory, found, entity, as_of, first_run, rules)
+        alerts = alerts.unionByName(new.select(*ALERT))
+    return state, memory, alerts
+
+
+ALERT = ("monitor_id", "key", "type", "importance", "details")
+
+
+def told(alerts: DataFrame) -> DataFrame:
+    """Alerts of changed matches in the columns that all alerts have."""
+    return alerts.select("monitor_id", F.col("key").cast("string").alias("key"), "type", "importance", F.to_json(F.struct(F.col("old_text").alias("before"), F.col("new_text").alias("after"))).alias("details"))
+
+
+def once_found(tables: dict[str, DataFrame], matches: DataFrame, rules: DataFrame, as_of) -> dict[str, DataFrame]:
+    """By entity what the rules find in the other tables that there are, in the columns of ``ALERT``."""
     kinds = {
-        "award": lambda: award_alerts(state, tables["awards"], rules), "contract": lambda: expiring_contract_alerts(tables["contracts"], rules, as_of),
-        "register": lambda: register_alerts(tables["registers"], rules), "plan": lambda: plan_alerts(tables["plans"], rules),
+        "award": ("awards" in tables, lambda: award_alerts(matches, tables["awards"], rules)), "contract": (any(n in tables for n in CONTRACT_SOURCES), lambda: contract_alerts(tables, rules, as_of)),
+        "register": ("registers" in tables, lambda: register_alerts(tables["registers"], rules)), "plan": ("plans" in tables, lambda: plan_alerts(tables["plans"], rules)),
     }
-    alerts = alerts.select("monitor_id", F.col("key").cast("string").alias("key"), "type", "importance")
-    for entity, found in kinds.items():
-        if f"{entity}s" in tables:
-            memory, new = raise_once(memory, found(), entity, as_of, first_run)
-            alerts = alerts.unionByName(new.select("monitor_id", F.col("key").cast("string").alias("key"), "type", "importance"))
-    return state, memory, alerts
+    return {entity: found().withColumn("key", F.col("key").cast("string")).select(*ALERT) for entity, (there, found) in kinds.items() if there}
 
 
 def price_quartiles(matches: DataFrame, awards: DataFrame) -> DataFrame:

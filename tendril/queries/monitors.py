@@ -82,7 +82,7 @@ def _words_sql(terms, column):
     return "(" + (" OR ".join(out) or "false") + ")"
 
 
-def _rule_sql(r: dict, records: str) -> str:
+def _rule_sql(r: dict, records: str, now: str = "TIMESTAMP '2000-06-01'") -> str:
     c = ["true"]
     if terms := _effective(r):
         c.append(_words_sql(terms, "folded"))
@@ -101,7 +101,7 @@ def _rule_sql(r: dict, records: str) -> str:
     if r["value_max"] is not None:
         c.append(f"value <= {r['value_max']}")
     if r["opens_within_days"] is not None:
-        c.append(f"closes BETWEEN TIMESTAMP '2000-06-01' AND TIMESTAMP '2000-06-01' + INTERVAL {r['opens_within_days']} DAY")
+        c.append(f"closes BETWEEN {now} AND {now} + INTERVAL {r['opens_within_days']} DAY")
     if r["price_min"] is not None:
         c.append(f"key IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 0 AND l_extendedprice / l_quantity BETWEEN {r['price_min']} AND {r['price_max']})")
     if r["codes"]:
@@ -113,10 +113,10 @@ def _all_rules(records: str) -> str:
     return " UNION ALL ".join(_rule_sql(r, records) for r in RULES)
 
 
-_RECORDS = f"""texts AS (SELECT l_orderkey, string_agg(DISTINCT p_name, ' ' ORDER BY p_name) AS text FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+_TEXTS = f"""texts AS (SELECT l_orderkey, string_agg(DISTINCT p_name, ' ' ORDER BY p_name) AS text FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
  records AS (SELECT o_orderkey AS key, text, {_FOLD.format('text')} AS folded, n_name AS state, c_name AS city, c_name AS agency, o_orderpriority AS modality, CASE WHEN o_orderkey % 19 <> 0 THEN o_orderstatus END AS status, 'Origem ' || o_orderstatus AS status_source,
-  o_totalprice AS value, o_orderdate AS closes FROM {TENDERS} JOIN texts ON o_orderkey = l_orderkey),
- matches AS ({_all_rules('records')})"""
+  o_totalprice AS value, o_orderdate AS closes FROM {TENDERS} JOIN texts ON o_orderkey = l_orderkey)"""
+_RECORDS = f"{_TEXTS}, matches AS ({_all_rules('records')})"
 
 
 @query("monitor_matches", f"WITH {_RECORDS} SELECT monitor_id, key, status, value FROM matches")
@@ -206,6 +206,32 @@ def _alerts_sql(now: str) -> str:
  UNION ALL SELECT monitor_id, key, 'PROCUREMENT_UPDATED', 'media', s1 FROM later WHERE NOT is_new AND (s1 IS DISTINCT FROM s0 OR aw))"""
 
 
+def fleet_sql(evaluated: dict[int, tuple[int, ...]], ticks: list[datetime]) -> str:
+    """Alerts by tick of monitors that are evaluated at some ticks, the first time silently, on the records as they are then.
+
+    Tick 0 has the records whose key 3 does not divide, as they were first; tick 1 brings the even ones as they are later, tick 2 the others.
+    """
+    value, closes = "CASE WHEN key % 5 = 0 THEN value * 1.25 ELSE value END", "CASE WHEN key % 7 = 0 THEN closes + INTERVAL 10 DAY ELSE closes END"
+    status, agency = "CASE WHEN key % 11 = 0 THEN 'FRACASSADA' WHEN key % 13 = 0 THEN 'deserta' ELSE status END", "CASE WHEN key % 23 = 0 THEN agency || '*' ELSE agency END"
+    later = f"SELECT * REPLACE ({value} AS value, {closes} AS closes, {status} AS status, {agency} AS agency), key % 17 = 0 AND value IS NOT NULL AS aw FROM records"
+    first = "SELECT *, false AS aw FROM records"
+    bases = [f"{first} WHERE key % 3 <> 0", f"{later} WHERE key % 2 = 0 UNION ALL {first} WHERE key % 2 = 1 AND key % 3 <> 0", later]
+    now = [f"TIMESTAMP '{t}'" for t in ticks]
+    rules_ = {r["monitor_id"]: r for r in RULES}
+    hits = " UNION ALL ".join(f"SELECT {n} AS tick, {now[n]} AS now, {n == when[0]} AS silent, * FROM ({_rule_sql(rules_[k], f'base{n}', now[n])})" for k, when in evaluated.items() for n in when)
+    watch = {name: f"monitor_id NOT IN ({', '.join(str(r['monitor_id']) for r in RULES if r[name] is False)})" for name in ("deserted", "failed")}
+    st, soon = "lower(coalesce(status, status_source, ''))", "closes < now + INTERVAL 48 HOUR"
+    deserted = f"({watch['deserted']} AND {st} LIKE '%desert%')"
+    b = ", ".join(f"base{n} AS ({x})" for n, x in enumerate(bases))
+    before = ", ".join(f"lag({c}) OVER w AS {o}" for c, o in (("status", "s0"), ("value", "v0"), ("closes", "c0"), ("aw", "a0")))
+    return f"""WITH {_TEXTS}, {b}, hits AS ({hits}), later AS (SELECT *, lag(key) OVER w IS NULL AS is_new, {before} FROM hits WINDOW w AS (PARTITION BY monitor_id, key ORDER BY tick)),
+ alerts AS (SELECT tick, monitor_id, key, 'NEW_PROCUREMENT' AS type, CASE WHEN {soon} THEN 'critica' WHEN value >= 1000000 THEN 'alta' ELSE 'media' END AS importance FROM later WHERE is_new AND NOT silent
+ UNION ALL SELECT tick, monitor_id, key, 'DESERTED', 'media' FROM later WHERE is_new AND {deserted} UNION ALL SELECT tick, monitor_id, key, 'FAILED', 'media' FROM later WHERE is_new AND NOT {deserted} AND {watch['failed']} AND {st} LIKE '%fracass%'
+ UNION ALL SELECT tick, monitor_id, key, 'PRICE_CHANGE', CASE WHEN v0 > 0 AND abs(round((value - v0) / v0 * 100, 1)) >= 20 THEN 'alta' ELSE 'media' END FROM later WHERE NOT is_new AND value IS DISTINCT FROM v0
+ UNION ALL SELECT tick, monitor_id, key, 'DEADLINE_CHANGED', CASE WHEN {soon} THEN 'critica' ELSE 'alta' END FROM later WHERE NOT is_new AND closes IS DISTINCT FROM c0
+ UNION ALL SELECT tick, monitor_id, key, 'PROCUREMENT_UPDATED', 'media' FROM later WHERE NOT is_new AND (status IS DISTINCT FROM s0 OR aw IS DISTINCT FROM a0)) SELECT CAST(tick AS INT) AS tick, monitor_id, key, type, importance FROM alerts"""
+
+
 _ALERTS = _alerts_sql("2000-06-01")
 _ALERTS_LATER = _alerts_sql("2000-06-02")
 
@@ -274,7 +300,7 @@ def award_alerts(spark, d):
     a = _awards(spark, d).withColumn("supplier", F.when(F.col("supplier") % 10 != 3, F.col("supplier")))
     m = matches(spark, d)
     memory, _ = M.raise_once(spark.createDataFrame([], M.MEMORY), M.award_alerts(m, a.where(F.col("item") == 1), rules(spark)), "award", AS_OF, first_run=True)
-    return M.raise_once(memory, M.award_alerts(m, a, rules(spark)), "award", AS_OF)[1]
+    return M.raise_once(memory, M.award_alerts(m, a, rules(spark)), "award", AS_OF)[1].drop("details")
 
 
 def _of_contracts(r: dict) -> str:

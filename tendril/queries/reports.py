@@ -96,13 +96,13 @@ def register_alerts(spark, d):
     """Registers that are not remembered from a silent first run."""
     reg = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("text"), F.when(F.col("p_size") % 2 == 0, "NATION_7").otherwise(F.col("p_brand")).alias("state"), (F.col("p_size") % 5 == 0).alias("cancelled"))
     memory, silent = M.raise_once(spark.createDataFrame([], M.MEMORY), M.register_alerts(reg.where(F.col("key") % 4 == 1), rules(spark)), "register", AS_OF, first_run=True)
-    return M.raise_once(memory, silent.unionByName(M.register_alerts(reg, rules(spark))), "register", AS_OF)[1]
+    return M.raise_once(memory, silent.unionByName(M.register_alerts(reg, rules(spark))), "register", AS_OF)[1].drop("details")
 
 
 @query("plan_alerts", f"WITH reg AS (SELECT p_partkey AS key, p_brand AS agency, {_FOLD.format('p_name')} AS folded FROM part) SELECT monitor_id, key, 'NEW_PCA' AS type, 'media' AS importance FROM ({_of_terms('agencies_in', 'agency')})")
 def plan_alerts(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("text"), F.col("p_brand").alias("agency"))
-    return M.raise_once(spark.createDataFrame([], M.MEMORY), M.plan_alerts(p, rules(spark)), "plan", AS_OF)[1]
+    return M.raise_once(spark.createDataFrame([], M.MEMORY), M.plan_alerts(p, rules(spark)), "plan", AS_OF)[1].drop("details")
 
 
 def _whole(r):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import Column
@@ -15,6 +16,7 @@ from tendril.sources import content as C
 from tendril.sources import delimited as D
 from tendril.sources import html as W
 from tendril.sources import payloads as N
+from tendril.sources import quoted as Q
 
 
 @query("parse_numbers", """SELECT o_orderkey, round(o_totalprice, 2) AS amount, CAST(o_custkey * 1000 + 125 AS DOUBLE) AS dotted, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_custkey AS DOUBLE) + 0.5 END AS plain FROM orders""")
@@ -223,16 +225,83 @@ def read_delimited(spark, d):
     return good.select(F.col("Número").alias("numero"), F.col("Objeto").alias("objeto"), P.br_number(F.col("Valor")).alias("valor"))
 
 
-@query("quarantine", "SELECT 'missing number' AS error, 'id ' || o_orderkey AS id, count(*) OVER () AS n FROM orders WHERE o_orderkey % 5 = 0")
+@query("quarantine", "SELECT 'missing number' AS error, 'id ' || o_orderkey AS id, count(*) OVER () AS n, 'part-' || (o_orderkey % 3) AS file FROM orders WHERE o_orderkey % 5 = 0")
 def quarantine(spark, d):
-    """What was set apart, with its error and the start of its line."""
+    """What was set apart, with its file, its error and the start of its line."""
     from pyspark.sql.window import Window
 
-    o = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey")).alias("number"), F.concat(F.lit("id "), F.col("o_orderkey")).alias("id"))
+    o = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey")).alias("number"), F.concat(F.lit("id "), F.col("o_orderkey")).alias("id"), (F.col("o_orderkey") % 3).alias("part"))
     folder = _files(spark, "csv")
-    o.write.options(header=True, sep=";", quoteAll=True, escape='"').csv(folder)
-    _, bad = D.quarantine(D.numbered(D.read_delimited(spark, folder, encoding="UTF-8")), ["number"])
-    return bad.where(F.col("line") > 0).select("error", F.get_json_object("content", "$.id").alias("id"), F.count("*").over(Window.partitionBy()).alias("n"))
+    for k in range(3):
+        o.where(F.col("part") == k).drop("part").coalesce(1).write.options(header=True, sep=";", quoteAll=True, escape='"').csv(f"{folder}/part-{k}")
+    _, bad = D.quarantine(D.numbered(D.read_delimited(spark, f"{folder}/*", encoding="UTF-8")), ["number"])
+    named = bad.where(F.col("line") > 0).withColumn("file", F.regexp_extract("file", "(part-[0-9])/", 1))
+    return named.select("error", F.get_json_object("content", "$.id").alias("id"), F.count("*").over(Window.partitionBy()).alias("n"), "file")
+
+
+_QUOTED = """r AS (SELECT o_orderkey, 2 + sum(1 + CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 0 END) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+ CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END AS number, 'é "' || o_orderpriority || '"' || CASE WHEN o_orderkey % 4 = 1 THEN chr(10) || ';' || chr(10) || 'end' ELSE '' END AS object FROM orders)"""
+
+
+def _quoted_file(spark, d, name: str) -> str:
+    """Orders as one file of quoted fields, some over three lines, in order of their keys."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit('é "'), F.col("o_orderpriority"), F.lit('"'), F.when(k % 4 == 1, F.lit("\n;\nend")).otherwise(F.lit("")))
+    rows = table(spark, d, "orders").orderBy("o_orderkey").select(F.when(k % 7 != 0, k.cast("string")).otherwise("").alias("Número"), text.alias("Objeto"), k.cast("string").alias("Chave"))
+    folder = _files(spark, name)
+    rows.coalesce(1).write.options(header=True, sep=";", quoteAll=True, escape='"', encoding="ISO-8859-1", lineSep="\n").csv(folder)
+    return folder
+
+
+@contextmanager
+def _small_splits(spark, size: str):
+    """Splits of some kilobytes, so that a file of the test tables has many."""
+    names = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": "0"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+@query("quoted_parallel", f"WITH {_QUOTED} SELECT CAST(number AS VARCHAR) AS number, object, CAST(o_orderkey AS VARCHAR) AS id, CAST(coalesce(before, 2) AS BIGINT) AS line FROM r")
+def quoted_parallel(spark, d):
+    """One file read by many tasks: records, each with the physical line that it begins at."""
+    folder = _quoted_file(spark, d, "quoted")
+    with _small_splits(spark, "20k"):
+        rows = Q.read_quoted(spark, folder)
+        kept = _files(spark, "quoted-rows")
+        rows.select(F.col("Número").alias("number"), F.col("Objeto").alias("object"), F.col("Chave").alias("id"), F.col("_line").alias("line")).write.parquet(kept)
+    return spark.read.schema("number string, object string, id string, line long").parquet(kept)
+
+
+@query("quoted_quarantine", f"WITH {_QUOTED} SELECT 'missing Número' AS error, CAST(o_orderkey AS VARCHAR) AS id, CAST(coalesce(before, 2) AS BIGINT) AS line, 'part' AS file FROM r WHERE number IS NULL")
+def quoted_quarantine(spark, d):
+    """Records without a number, found by file and line."""
+    folder = _quoted_file(spark, d, "quoted")
+    with _small_splits(spark, "20k"):
+        _, bad = D.quarantine(Q.read_quoted(spark, folder), ["Número"])
+        kept = _files(spark, "quoted-bad")
+        bad.select("error", F.get_json_object("content", "$.Chave").alias("id"), "line", F.regexp_extract("file", "/(part)-[^/]*csv$", 1).alias("file")).write.parquet(kept)
+    return spark.read.schema("error string, id string, line long, file string").parquet(kept)
+
+
+@query("quoted_resume", "SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(CASE WHEN o_orderkey <= (SELECT quantile_disc(o_orderkey, 0.5) FROM orders) THEN 1 ELSE 2 END AS INT) AS load FROM orders")
+def quoted_resume(spark, d):
+    """A load that stops halfway and goes on from the byte that it came to: every record once."""
+    folder = _quoted_file(spark, d, "quoted")
+    kept = _files(spark, "quoted-loads")
+    with _small_splits(spark, "20k"):
+        rows = Q.read_quoted(spark, folder)
+        half = table(spark, d, "orders").selectExpr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o_orderkey) AS k").first()[0]
+        first = rows.where(F.col("Chave").cast("long") <= F.lit(half))
+        first.select(F.col("Chave").alias("id"), F.lit(1).alias("load")).write.parquet(f"{kept}/1")
+        rest = Q.read_quoted(spark, folder, after=Q.loaded(first))
+        rest.select(F.col("Chave").alias("id"), F.lit(2).alias("load")).write.parquet(f"{kept}/2")
+    return spark.read.schema("id string, load int").parquet(f"{kept}/1", f"{kept}/2")
 
 
 @query("read_mapped", "SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS agency, CAST(NULL AS VARCHAR) AS missing FROM supplier")

@@ -6,14 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendril.catalog import query, table
-from tendril.operators import monitors as M
-from tendril.queries.monitors import _ALERTS, AS_OF, _changed, _items, _nothing, _records, rules
+from tendril.queries.monitors import _ALERTS, AS_OF, _changed, _items, _records, fleet_sql, rules
 from tendril.streaming import core as S
+from tendril.streaming.fleet import Fleet
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -112,18 +113,57 @@ def stream_resume(spark, d):
     return spark.read.schema(e.schema).parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
+def _ticks(spark, name: str, parts: list[DataFrame], fleet: Callable[[str, object], Fleet]) -> DataFrame:
+    """The alerts of all ticks, with the tick's number; each part of the records is a micro-batch."""
+    folder = shared_folder(spark, name)
+    schema = parts[0].schema
+    ticking = fleet(folder, schema)
+    last = -1
+    for part in parts:
+        part.select(schema.fieldNames()).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        last = max(last, _run(S.file_stream(spark, f"{folder}/in", schema, 1), folder, ticking.tick))
+    own = [spark.read.parquet(f"{folder}/alerts-{n}").withColumn("tick", F.lit(n)) for n in range(last + 1)]
+    return reduce(DataFrame.unionByName, own).withColumn("key", F.col("key").cast("long"))
+
+
 @query("monitor_tick", f"WITH {_ALERTS} SELECT monitor_id, key, type, importance FROM alerts")
 def monitor_tick(spark, d):
     """Two readings of the tenders as a stream: all monitors are evaluated on each, with what they remember."""
-    folder = shared_folder(spark, "tick")
     first = _records(spark, d).where(F.col("key") % 3 != 0).withColumn("awarded", F.lit(None).cast("double"))
-    second = _changed(_records(spark, d))
-    memory = spark.createDataFrame([], M.MEMORY)
-    run = S.monitor_tick(folder, rules(spark), {"items": _items(spark, d)}, (_nothing(spark), memory), AS_OF)
-    for part in (first, second.select(first.columns)):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        last = _run(S.file_stream(spark, f"{folder}/in", first.schema, 1), folder, run)
-    return spark.read.parquet(*[f"{folder}/alerts-{n}" for n in range(last + 1)]).select("monitor_id", F.col("key").cast("long").alias("key"), "type", "importance")
+    listed = rules(spark).select("monitor_id", F.lit(True).alias("active"), F.lit(AS_OF).cast("timestamp").alias("next_run"), F.lit(0).alias("refresh_minutes"))
+    fleet = lambda folder, schema: Fleet(spark, folder, schema, {"items": _items(spark, d)}, lambda n: rules(spark), lambda n: listed, lambda n: AS_OF, buckets=8)
+    return _ticks(spark, "tick", [first, _changed(_records(spark, d))], fleet).select("monitor_id", "key", "type", "importance")
+
+
+#: Three ticks an hour apart: which monitors are there from when, how often they run, which rule cannot be evaluated.
+_TICKS = [datetime(2000, 6, 1, h) for h in (0, 1, 2)]
+_MINUTES = {k: 30 for k in (1, 2, 3, 4, 6, 7, 9)} | {5: 90, 8: 90}
+_ADDED = {6: 1, 9: 1}
+_BROKEN = 3
+#: What follows from these: the ticks at which a monitor is evaluated.
+_EVALUATED = {1: (0, 1, 2), 2: (0, 1, 2), 4: (0, 1, 2), 5: (0, 2), 6: (1, 2), 7: (0, 1, 2), 8: (0, 2), 9: (1, 2)}
+
+
+def _fleet_records(spark, d):
+    """Records in three parts: some as they were first, then some as they are later, then the rest."""
+    first = _records(spark, d).withColumn("awarded", F.lit(None).cast("double"))
+    later = _changed(_records(spark, d))
+    return [first.where(F.col("key") % 3 != 0), later.where(F.col("key") % 2 == 0), later.where(F.col("key") % 2 == 1)]
+
+
+@query("monitor_fleet", fleet_sql(_EVALUATED, _TICKS))
+def monitor_fleet(spark, d):
+    """A fleet that changes: two monitors come later and start silently, two run every 90 minutes, one fails each time, the others go on."""
+    broken = F.when(F.col("monitor_id") == _BROKEN, F.array(F.lit("ends in \\"))).otherwise(F.col("cities")).alias("cities")
+    all_rules = rules(spark).where(F.col("monitor_id").isin(list(_MINUTES)))
+    all_rules = all_rules.select(*[broken if c == "cities" else F.col(c) for c in all_rules.columns])
+
+    def monitors(n):
+        there = [k for k in _MINUTES if _ADDED.get(k, 0) <= n]
+        return spark.createDataFrame([(k, True, _TICKS[0], _MINUTES[k]) for k in there], "monitor_id long, active boolean, next_run timestamp, refresh_minutes int")
+
+    fleet = lambda folder, schema: Fleet(spark, folder, schema, {"items": _items(spark, d)}, lambda n: all_rules, monitors, lambda n: _TICKS[n], buckets=8)
+    return _ticks(spark, "fleet", _fleet_records(spark, d), fleet).select("tick", "monitor_id", "key", "type", "importance")
 
 
 @query("events_last_day", "SELECT event_type, count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-19' AND ts <= TIMESTAMP '2024-01-20' GROUP BY 1")

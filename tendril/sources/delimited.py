@@ -94,25 +94,33 @@ def read_passthrough(spark: SparkSession, path: str, encoding: str = "ISO-8859-1
     return df.withColumn("data", F.create_map(*pairs))
 
 
+#: Where a record was found; columns that the readers add and that are no part of its content.
+PLACE = ("_file", "_line", "_offset", "_after")
+
+
 def numbered(df: DataFrame) -> DataFrame:
-    """Rows of files that quoted line ends keep whole, with ``_line``, the record's place in its file.
+    """Rows of files that quoted line ends keep whole, with ``_file`` and ``_line``, the record's place in it.
 
-    Such a file is read by one task, in order, so a running number tells the place.
+    Such a file is read by one task, in order, so a running number tells the place;
+    :mod:`tendril.sources.quoted` reads a file by many tasks and tells its lines and bytes.
     """
-    return df.withColumns({"_file": F.input_file_name(), "_at": F.monotonically_increasing_id()}).withColumn("_line", F.row_number().over(Window.partitionBy("_file").orderBy("_at")).cast("long")).drop("_file", "_at")
+    rows = df.withColumns({"_file": F.input_file_name(), "_at": F.monotonically_increasing_id()})
+    return rows.withColumn("_line", F.row_number().over(Window.partitionBy("_file").orderBy("_at")).cast("long")).drop("_at")
 
 
 def quarantine(df: DataFrame, required: list[str], most: int = 400) -> tuple[DataFrame, DataFrame]:
     """(good rows, ``file, line, error, content``): rows that did not parse or lack a required column never stop a load.
 
-    ``line`` is the place of the record among the rows as they were read, from 1,
-    where a column ``_line`` has it (``numbered``), else null.
+    ``file`` and ``line`` are those of the columns ``_file`` and ``_line`` where a reader
+    has added them (``numbered``, ``read_quoted``), else the file that is read and null.
     """
     corrupt = F.col(CORRUPT) if CORRUPT in df.columns else F.lit(None).cast("string")
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), F.lit(c)) for c in required]))
     error = F.when(corrupt.isNotNull(), F.lit("malformed")).when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ",")))
-    marked = df.withColumn("_error", error)
-    marked = marked if "_line" in df.columns else marked.withColumn("_line", F.lit(None).cast("long"))
-    content = F.left(F.coalesce(corrupt, F.to_json(F.struct(*[c for c in df.columns if c not in (CORRUPT, "_line")]))), F.lit(most))
-    return marked.where(F.col("_error").isNull()).drop("_error", "_line", CORRUPT), marked.where(F.col("_error").isNotNull()).select(F.input_file_name().alias("file"), F.col("_line").alias("line"), F.col("_error").alias("error"), content.alias("content"))
-
+    own = [c for c in df.columns if c != CORRUPT and c not in PLACE]
+    file = F.col("_file") if "_file" in df.columns else F.input_file_name()
+    line = F.col("_line") if "_line" in df.columns else F.lit(None).cast("long")
+    content = F.left(F.coalesce(corrupt, F.to_json(F.struct(*own))), F.lit(most))
+    marked = df.select("*", error.alias("_error"), file.alias("_from"), line.alias("_at"), content.alias("_content"))
+    bad = marked.where(F.col("_error").isNotNull()).select(F.col("_from").alias("file"), F.col("_at").alias("line"), F.col("_error").alias("error"), F.col("_content").alias("content"))
+    return marked.where(F.col("_error").isNull()).select(*own), bad

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.window import Window
 
-from tendril.operators.monitors import evaluate
-
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -122,27 +120,6 @@ def level_alerts(folder: str, key: str, order: list[str], pct: str, limits: tupl
     return run
 
 
-def monitor_tick(folder: str, rules: DataFrame, tables: dict[str, DataFrame], empty: tuple[DataFrame, DataFrame], as_of) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that evaluates all ``rules`` on the records of each batch, with what is remembered of those before.
-
-    ``tables`` are the others that :func:`tendril.operators.monitors.evaluate` reads;
-    ``empty``: a match table and a memory without rows.  The first batch is a silent
-    run.  After batch n: ``folder/state-n``, ``folder/memory-n``, ``folder/alerts-n``;
-    those of two batches before are emptied, but for the alerts.
-    """
-
-    def run(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        state, memory = (spark.read.parquet(f"{folder}/{name}-{n - 1}") for name in ("state", "memory")) if n else empty
-        after = evaluate(state, memory, {"records": batch, **tables}, rules, as_of, first_run=n == 0)
-        for name, df in zip(("state", "memory", "alerts"), after):
-            df.write.mode("overwrite").parquet(f"{folder}/{name}-{n}")
-        for name in ("state", "memory") if n > 1 else ():
-            MergedTable._empty(spark, f"{folder}/{name}-{n - 2}")
-
-    return run
-
-
 def monthly(stream: DataFrame, date: str, keys: list[str], value: str) -> DataFrame:
     """Monthly counts and sums over a stream, for complete or update output."""
     return stream.groupBy(F.date_format(date, "yyyy-MM").alias("month"), *keys).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("total"))
