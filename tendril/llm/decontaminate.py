@@ -24,13 +24,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tendril.llm import kernels as K
-from tendril.llm.shared import shared_path, small_batches, stored
+from tendril.llm.shared import opened, shared_path, small_batches, stored
 
 WINDOW = 10
 #: Bytes of the tables of one part of the benchmark; each worker that searches holds one part.
@@ -173,17 +172,13 @@ class Part:
         return self
 
 
-def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
-
-
 _READ: dict[str, Part] = {}
 
 
 def part_at(path: str) -> Part:
     """Read once in each worker process, which keeps the part that it read last."""
     if path not in _READ:
-        fs, name = _filesystem(path)
+        fs, name = opened(path)
         _READ.clear()
         with fs.open_input_stream(name) as file:
             _READ[path] = Part.unpacked(file.read())
@@ -213,7 +208,7 @@ def pattern_tables(benchmark: DataFrame, window: int, most: int) -> list[str]:
             return
         table = pa.Table.from_batches(held).sort_by([("part", "ascending"), ("i", "ascending")])
         numbers = table.column("part").to_numpy()
-        fs, top = _filesystem(folder)
+        fs, top = opened(folder)
         fs.create_dir(top, recursive=True)
         for part in np.unique(numbers).tolist():
             mine = table.slice(int(np.searchsorted(numbers, part)), int((numbers == part).sum())).combine_chunks()
@@ -231,7 +226,7 @@ def pattern_tables(benchmark: DataFrame, window: int, most: int) -> list[str]:
 
 def _no_patterns(folder: str) -> str:
     """The path of the tables of an empty benchmark."""
-    fs, top = _filesystem(folder)
+    fs, top = opened(folder)
     fs.create_dir(top, recursive=True)
     with fs.open_output_stream(f"{top}/part-none") as file:
         file.write(Part.build([], pa.array([], pa.string()), 1).packed())

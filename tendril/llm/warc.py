@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendril.llm.shared import shared_path, stored
+from tendril.llm.shared import opened, qualified, shared_path, stored
 
 PER_SHARD = 4096
 #: Bytes of pages or files that a task writes, reads or copies, as far as whole shards allow.
@@ -40,10 +40,6 @@ FAN = 1 << BITS
 MANIFEST = "page_id long, shard long, ordinal long, offset long, length long, file_offset long, file_length long, sha256 string"
 
 
-def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
-
-
 def record_id(shard: int, ordinal: int) -> str:
     """A UUID from the record's place, which is its alone."""
     h = hashlib.md5(f"{shard}/{ordinal}".encode()).hexdigest()
@@ -74,6 +70,7 @@ def write_warc(pages: DataFrame, folder: str, per_shard: int = PER_SHARD, captur
     ``per_shard`` of them need.  Rows of equal id are records of their own, by url
     and html; equal rows stay apart too.  Only ``page_id, url, html`` are read.
     """
+    folder = qualified(pages.sparkSession, folder)
     said = F.octet_length(F.concat(F.coalesce(F.col("url").cast("string"), F.lit("")), F.coalesce(F.col("html").cast("string"), F.lit(""))))
     size, nameless = pages.agg(F.sum(said), F.count_if(F.col("page_id").isNull())).first()
     nameless = -(-nameless // per_shard)
@@ -83,7 +80,7 @@ def write_warc(pages: DataFrame, folder: str, per_shard: int = PER_SHARD, captur
     dealt = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("shard", shard).repartition(_tasks(pages, size), "shard").sortWithinPartitions(*order)
 
     def write(batches):
-        fs, top = _open(folder)
+        fs, top = opened(folder)
         fs.create_dir(top, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
         open_shard, out = None, None
@@ -134,10 +131,11 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
     A file that is missing, a range that is cut short and a member that does not
     unpack have a null digest.
     """
+    folder = qualified(manifest.sparkSession, folder)
     listed = _by_bytes(manifest, "shard", "ordinal", "offset", "length", "file_offset", "file_length")
 
     def read(batches):
-        fs, top = _open(folder)
+        fs, top = opened(folder)
         open_shard, file = None, None
         for batch in batches:
             rows = []
@@ -163,38 +161,46 @@ def _digest(file: pa.NativeFile | None, at: int, size: int) -> str | None:
 
 
 def copy_warc(manifest: DataFrame, source: str, target: str, damaged: Column) -> DataFrame:
-    """A replica of the files, for drills: a bit is turned in the payload of each record where ``damaged``.
+    """A replica of the files, for drills: a bit is turned in the payload of each record where ``damaged``, which is packed again.
 
-    Returns the shards copied, from a written table.
+    Returns the replica's own manifest, from a written table: the records' places in its files differ.
     """
-    listed = _by_bytes(manifest, "shard", "ordinal", "file_offset", "file_length", F.coalesce(damaged, F.lit(False)).alias("damaged"))
+    source, target = qualified(manifest.sparkSession, source), qualified(manifest.sparkSession, target)
+    listed = _by_bytes(manifest, "shard", "ordinal", "file_offset", "file_length", F.coalesce(damaged, F.lit(False)).alias("damaged"), "offset", "length")
 
     def copy(batches):
-        fs, top = _open(source)
-        to, to_top = _open(target)
+        fs, top = opened(source)
+        to, to_top = opened(target)
         to.create_dir(to_top, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
         open_shard, file, out = None, None, None
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def close() -> None:
             if out is not None:
                 out.close()
                 to.move(f"{to_top}/.{open_shard}-{attempt}", f"{to_top}/shard-{open_shard}.warc.gz")
-                yield _rows([(open_shard,)], ("shard",))
 
+        names, place = ("shard", "ordinal", "offset", "length", "file_offset", "file_length"), 0
         for batch in batches:
-            for shard, _, at, size, bad in zip(*(c.to_pylist() for c in batch.columns)):
+            rows = []
+            for shard, ordinal, at, size, bad, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard != open_shard:
-                    yield from close()
-                    open_shard, file = shard, fs.open_input_file(f"{top}/shard-{shard}.warc.gz")
+                    close()
+                    open_shard, file, place = shard, fs.open_input_file(f"{top}/shard-{shard}.warc.gz"), 0
                     out = to.open_output_stream(f"{to_top}/.{shard}-{attempt}", compression=None)
-                member = bytearray(file.read_at(size, at))
+                member = file.read_at(size, at)
                 if bad:
-                    member[-9] ^= 1  # the last byte before the member's own checks
-                out.write(bytes(member))
-        yield from close()
+                    plain = bytearray(gzip.decompress(member))
+                    plain[-5] ^= 1  # the payload's last byte, before the record's two line ends
+                    member = gzip.compress(bytes(plain), mtime=0)
+                out.write(member)
+                rows.append((shard, ordinal, offset, length, place, len(member)))
+                place += len(member)
+            if rows:
+                yield _rows(rows, names)
+        close()
 
-    return stored(listed.mapInArrow(copy, "shard long"), "warc-copy")
+    return stored(listed.mapInArrow(copy, "shard long, ordinal long, offset long, length long, file_offset long, file_length long"), "warc-copy")
 
 
 def merkle(leaves: DataFrame, per_shard: int = PER_SHARD, top_shard: int | None = None) -> list[DataFrame]:
@@ -255,7 +261,7 @@ def drill(pages: DataFrame, damaged: Column, per_shard: int = PER_SHARD) -> Data
     spark = pages.sparkSession
     ours, theirs = shared_path(spark, "warc"), shared_path(spark, "warc-copy")
     manifest = write_warc(pages, ours, per_shard)
-    copy_warc(manifest, ours, theirs, damaged)
+    copied = copy_warc(manifest, ours, theirs, damaged)
     top = manifest.agg(F.max("shard")).first()[0] or 0
-    found = audit(merkle(manifest, per_shard, top), merkle(read_warc(manifest, theirs), per_shard, top), per_shard).withColumn("damaged", F.lit(True))
+    found = audit(merkle(manifest, per_shard, top), merkle(read_warc(copied, theirs), per_shard, top), per_shard).withColumn("damaged", F.lit(True))
     return manifest.join(found, ["shard", "ordinal"], "left").select("page_id", "shard", "ordinal", "offset", "length", "sha256", F.coalesce("damaged", F.lit(False)).alias("damaged"))
