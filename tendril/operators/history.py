@@ -136,6 +136,39 @@ def state_diff(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame
     return events, after, closed
 
 
+def version_intervals(state: DataFrame, after: DataFrame, closed: DataFrame, times: DataFrame) -> DataFrame:
+    """Every version with the time it holds from and to: ``key, version, data, valid_from, valid_to``.
+
+    ``state`` is what was there before, ``after`` and ``closed`` are those of
+    :func:`state_diff`, ``times`` (``key, seq, at``) says when each row of the batch came.
+    A closed version ends when the row that replaced it came; the current one has no
+    end, and what was there before the batch has no known start.
+    """
+    begun = times.groupBy("key").agg(F.min_by("at", "seq").alias("_first"))
+    known = state.select("key", F.lit(True).alias("_known"))
+    closing = closed.join(times.select("key", F.col("seq").alias("closed_by"), F.col("at").alias("valid_to")), ["key", "closed_by"], "left")
+    every = closing.select("key", "version", "data", "valid_to").unionByName(after.select("key", "version", "data", F.lit(None).cast(times.schema["at"].dataType).alias("valid_to")))
+    every = every.join(begun, "key", "left").join(known, "key", "left")
+    start = F.lag("valid_to").over(Window.partitionBy("key").orderBy("version"))
+    return every.select("key", "version", "data", F.coalesce(start, F.when(F.col("_known").isNull(), F.col("_first"))).alias("valid_from"), "valid_to")
+
+
+def as_of_join(moments: DataFrame, versions: DataFrame, keys: list[str], at: str, valid_from: str) -> DataFrame:
+    """Each row of ``moments`` with the version of its key that held at its time: null columns where none did yet.
+
+    One sort by key and time, and the version is carried along: no range join.  Of
+    versions that start at the same time the last by their columns counts; a version
+    holds from its very moment on.  A null ``valid_from`` is before all times.
+    Columns of ``versions`` other than the keys and ``valid_from`` are added.
+    """
+    added = [c for c in versions.columns if c not in (*keys, valid_from)]
+    one = moments.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_late"), F.struct(*moments.columns).alias("_row"), F.lit(None).cast(versions.select(F.struct(*added).alias("x")).schema["x"].dataType).alias("_version"))
+    other = versions.select(*keys, F.col(valid_from).alias("_at"), F.lit(0).alias("_late"), F.lit(None).cast(one.schema["_row"].dataType).alias("_row"), F.struct(*added).alias("_version"))
+    along = Window.partitionBy(*keys).orderBy(F.col("_at").asc_nulls_first(), "_late", F.col("_version").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = one.unionByName(other).withColumn("_held", F.last("_version", ignorenulls=True).over(along)).where(F.col("_late") == 1)
+    return held.select("_row.*", *[F.col("_held")[c].alias(c) for c in added])
+
+
 def rename_entity(tables: list[DataFrame], old: str, new: str, column: str = "entity") -> list[DataFrame]:
     return [t.withColumn(column, F.when(F.col(column) == old, new).otherwise(F.col(column))) for t in tables]
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tendril.operators.quantiles import exact_quantiles
+
 
 def money(c: Column | str) -> Column:
     """An exact sum of amounts with two places, as a double."""
@@ -62,12 +64,15 @@ def price_memory(items: DataFrame, awards: DataFrame, item_key: list[str]) -> Da
     return estimated.select(*wide).unionByName(awarded.select(*wide))
 
 
-def price_stats(prices: DataFrame, by: list[str], price: str = "price", least: int = 3, exact: bool = True) -> DataFrame:
-    """Count, mean, extremes and quantiles of groups with ``least`` rows; ``exact=False`` for groups of many millions."""
+def price_stats(prices: DataFrame, by: list[str], price: str = "price", least: int = 3) -> DataFrame:
+    """Count, mean, extremes and exact quantiles of groups with ``least`` rows, whatever their size."""
     points = [0.1, 0.25, 0.5, 0.75, 0.9]
-    q = F.percentile(price, F.array(*map(F.lit, points))) if exact else F.percentile_approx(price, points, 10_000)
-    stats = prices.where(F.col(price).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(F.col(price).cast("decimal(18,4)")).cast("double"), 2).alias("mean"), F.min(price).alias("low"), F.max(price).alias("high"), q.alias("q"))
-    return stats.where(F.col("n") >= least).select(*by, "n", "mean", "low", "high", *[F.round(F.col("q")[k], 4).alias(f"p{int(p * 100)}") for k, p in enumerate(points)])
+    known = prices.where(F.col(price).isNotNull())
+    mean = F.round(F.avg(F.col(price).cast("decimal(18,4)")).cast("double"), 2)
+    stats = known.groupBy(*by).agg(F.count("*").alias("n"), mean.alias("mean"), F.min(price).alias("low"), F.max(price).alias("high")).where(F.col("n") >= least)
+    q = exact_quantiles(known, by, price, points).withColumnsRenamed({c: f"_{c}" for c in by})
+    both = stats.join(q, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return both.select(*by, "n", "mean", "low", "high", *[F.round(F.col("q")[k], 4).alias(f"p{int(p * 100)}") for k, p in enumerate(points)])
 
 
 def month_grid(df: DataFrame, date: str) -> DataFrame:

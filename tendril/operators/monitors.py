@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tendril.functions.parse import money_label, pct_change
 from tendril.functions.text import effective_terms, fold_accents, text_matches, wildcard_words
 from tendril.operators.market import last_n, money
+from tendril.operators.quantiles import exact_quantiles
 from tendril.operators.rule_index import met
 
 #: Flags that are null are on; a null number of days is ``CONTRACT_DAYS``.
@@ -273,8 +274,8 @@ def once_found(tables: dict[str, DataFrame], matches: DataFrame, rules: DataFram
 def price_quartiles(matches: DataFrame, awards: DataFrame) -> DataFrame:
     """Quartiles and number of the positive awarded unit prices (``unit_price``) on each monitor's tenders."""
     prices = matches.select("monitor_id", "key").join(awards.where(F.col("unit_price") > 0).select("key", "unit_price"), "key")
-    q = F.percentile("unit_price", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    return prices.groupBy("monitor_id").agg(F.count("*").alias("prices"), q.alias("q")).select("monitor_id", "prices", *[F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("p25", "median_price", "p75"))])
+    counts = prices.groupBy("monitor_id").agg(F.count("*").alias("prices"))
+    return counts.join(exact_quantiles(prices, ["monitor_id"], "unit_price", [0.25, 0.5, 0.75]), "monitor_id").select("monitor_id", "prices", *[F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("p25", "median_price", "p75"))])
 
 
 def _counted(matches: DataFrame, by: Column, name: str) -> DataFrame:
@@ -298,8 +299,10 @@ def baseline(matches: DataFrame, awards: DataFrame) -> DataFrame:
     status = F.lower(F.coalesce("status", "status_source", F.lit("")))
     m = matches.groupBy("monitor_id").agg(
         F.count("*").alias("sample"), F.date_format(F.min("published"), "yyyy-MM-dd").alias("first"), F.date_format(F.max("published"), "yyyy-MM-dd").alias("last"), money("value").alias("total_value"),
-        F.percentile(F.when(F.col("value") > 0, F.col("value")), F.lit(0.5)).alias("median_value"), F.count_if(status.like("%desert%")).alias("deserted"), F.count_if(status.like("%fracass%")).alias("failed"),
+        F.count_if(status.like("%desert%")).alias("deserted"), F.count_if(status.like("%fracass%")).alias("failed"),
     )
+    medians = exact_quantiles(matches.where(F.col("value") > 0), ["monitor_id"], "value", [0.5]).select("monitor_id", F.col("q")[0].alias("median_value"))
+    m = m.join(medians, "monitor_id", "left")
     per = matches.select("monitor_id", "key").join(awards.select("key", "supplier"), "key").groupBy("monitor_id", "key").agg(F.countDistinct("supplier").alias("n")).groupBy("monitor_id").agg(F.round(F.avg("n"), 4).alias("competition"))
     agencies = matches.where(F.col("agency").isNotNull()).groupBy("monitor_id", "agency").agg(F.count("*").alias("n"))
     agencies = last_n(agencies, ["monitor_id"], [F.desc("n"), F.col("agency")], 10).groupBy("monitor_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("agency", "n")))).alias("agencies"))

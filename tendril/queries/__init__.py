@@ -6,6 +6,6 @@ from tendril.catalog import QUERIES, SQL
 
 
 def load() -> tuple[dict, dict]:
-    from tendril.queries import history, market, monitors, quality, reports, sources, streams  # noqa: F401
+    from tendril.queries import history, market, monitors, quality, reports, sources, streams, tables  # noqa: F401
 
     return dict(QUERIES), dict(SQL)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
@@ -11,22 +9,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendril.catalog import query, table
+from tendril.catalog import query, shared_folder, table
 from tendril.queries.monitors import _ALERTS, AS_OF, _changed, _items, _records, fleet_sql, rules
 from tendril.streaming import core as S
 from tendril.streaming.fleet import Fleet
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the session's checkpoint folder; a local one only where none is set and all runs on this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tendril-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _events(spark, d):
     schema = table(spark, d, "events").schema
     # a pattern, as a stream refuses the path of a single file

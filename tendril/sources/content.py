@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendril.operators.history import first_per_key, upsert
-
+from tendril.streaming.buckets import BucketTable
 
 #: Tasks that write one month.
 WRITERS = 8
@@ -42,6 +42,40 @@ def content_store(spark: SparkSession, path: str, store: DataFrame, links: DataF
     return new, upsert(links, batch, ["source", "entity", "key"], as_of)
 
 
+class ContentStore:
+    """Contents by hash under ``folder``: bytes once for each hash, links last-wins.
+
+    Hashes and links are tables in buckets, of which a batch reads and writes those that
+    its hashes and keys fall into; of hashes that are there only the bucket's hashes are
+    read.  Contents stay where they are until it is known which are new: hashes and keys
+    are made distinct and compared, and contents are fetched for new ones only and
+    appended under the batch's version.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.spark, self.folder = spark, folder
+        self.hashes = BucketTable(spark, f"{folder}/hashes", ["sha256"], "sha256 string, bytes long, version long", buckets)
+        self.links = BucketTable(spark, f"{folder}/links", ["key"], "key string, sha256 string, first_seen timestamp, last_seen timestamp", buckets)
+
+    def put(self, batch: DataFrame, as_of, version: int) -> None:
+        """``batch``: ``key, content`` (text or bytes); of rows with equal keys the one with the largest hash counts."""
+        raw = F.col("content").cast("binary")
+        named = batch.select(F.col("key").cast("string").alias("key"), F.sha2(raw, 256).alias("sha256"), F.octet_length(raw).cast("long").alias("bytes"))
+        latest = named.where(F.col("sha256").isNotNull()).groupBy("key").agg(F.max(F.struct("sha256", "bytes")).alias("x")).select("key", "x.*")
+        found = latest.groupBy("sha256").agg(F.max("bytes").alias("bytes"), F.min("key").alias("_key"))
+        held = self.hashes.read(self.hashes.touched(found), min(version - 1, self.hashes.version())).select("sha256")
+        new = found.join(held, "sha256", "left_anti")
+        contents = batch.select(F.col("key").cast("string").alias("_key"), raw.alias("content")).join(new, "_key").where(F.sha2("content", 256) == F.col("sha256")).dropDuplicates(["_key"])  # a key for each hash, as they lie
+        contents.select("sha256", "content").write.mode("overwrite").parquet(f"{self.folder}/contents/version={version}")
+        self.hashes.merge(new.select("sha256", "bytes", F.lit(version).cast("long").alias("version")), lambda old, rows: old.unionByName(rows), version)
+        self.links.merge(latest.select("key", "sha256"), lambda old, rows: upsert(old, rows, ["key"], as_of), version)
+
+    def contents(self) -> DataFrame:
+        """``sha256, content`` of all versions that are whole."""
+        versions = [f"{self.folder}/contents/version={v}" for v in range(1, self.hashes.version() + 1)]
+        return self.spark.read.schema("sha256 string, content binary").parquet(*versions) if versions else self.spark.createDataFrame([], "sha256 string, content binary")
+
+
 def verify_store(store: DataFrame) -> DataFrame:
     """Stored contents whose bytes no longer have their hash."""
     return store.where(F.sha2("content", 256) != F.col("sha256")).select("sha256")
