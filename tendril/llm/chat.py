@@ -71,8 +71,12 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         "share": F.greatest(F.lit(LEAST_SHARE), F.floor((F.lit(budget - history) - F.coalesce(F.first(F.when(leads, turn_tokens(F.col("text")))).over(by_turn), F.lit(0))) / 2)).cast("long"),
     })
     rows = rows.withColumn("window", F.floor(F.col("before") / F.col("share")).cast("long"))
-    later = conv.orderBy("window").rangeBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumns({"next": F.min("window").over(later), "next_start": F.min("before").over(later), "opens": F.row_number().over(Window.partitionBy("conv_id", "window").orderBy("k")) == 1})
+    opens = F.row_number().over(Window.partitionBy("conv_id", "window").orderBy("k")) == 1
+    # a window's own first turn knows the next window's: among first turns, the one that follows
+    firsts = F.lead(F.struct("window", "before")).over(Window.partitionBy("conv_id", "opens").orderBy("k"))
+    rows = rows.withColumn("opens", opens).withColumn("_next", F.when(F.col("opens"), firsts))
+    rows = rows.withColumn("_next", F.first("_next", ignorenulls=True).over(Window.partitionBy("conv_id", "window").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumns({"next": F.col("_next.window"), "next_start": F.col("_next.before")})
     reach = F.least(F.lit(history), F.col("share"))
     turn = lambda window, kind, role, text, k: F.struct(window.alias("window"), F.lit(kind).alias("kind"), k.alias("k"), role.alias("role"), text.alias("text"))
     role, text, k = F.col("role"), F.col("text"), F.col("k")

@@ -41,3 +41,16 @@ def test_tokens_are_estimated(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in spark.createDataFrame([("",), ("abcd",), ("abcde",)], "t string").select(turn_tokens(F.col("t"))).collect()] == [4, 5, 6]
+
+
+def test_long_conversation_and_null_ids(spark):
+    """Tens of thousands of turns, of which each is looked at once; rows without an id are one conversation."""
+    from pyspark.sql import functions as F
+
+    long = spark.range(30_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id")).alias("text"))
+    none = spark.createDataFrame([(None, 2, "assistant", "b"), (None, 1, "user", "a")], "conv_id long, turn long, role string, text string")
+    w = windows(long.unionByName(none))
+    assert "RangeFrame" not in w._jdf.queryExecution().analyzed().toString()
+    got = {r.conv_id: r for r in read_back(w).collect()}
+    assert got[1].n_turns == 30_000 and got[1].turns_sha256 == sha("".join(f"{'assistant' if k % 2 else 'user'}\nturn {k}\n" for k in range(30_000)))
+    assert got[None].n_turns == 2 and got[None].turns_sha256 == sha("user\na\nassistant\nb\n")
