@@ -97,26 +97,28 @@ def fingerprint(html: Column) -> Column:
     )
 
 
-#: Keys that the skeleton of an object shows, and objects within lists that are opened.
-SHAPE_KEYS, SHAPE_DEPTH = 34, 3
+#: Keys that the skeleton of an object shows, levels at which objects are opened, and lists within lists that are.
+SHAPE_KEYS, SHAPE_DEPTH, LIST_DEPTH = 34, 3, 5
 
 
 def json_shape(payload: Column) -> Column:
     """The skeleton of a JSON document: the first 34 keys of an object, ``array:n`` and the skeleton of its first element
-    down to depth 3 for a list, else the kind of value; null if it is no JSON."""
+    for a list, else the kind of value, which for null is ``object``; null if it is no JSON.
+
+    Objects below three levels are ``object``; lists are opened down to five levels, and counted below.
+    """
 
     def shape(s: Column, depth: int) -> Column:
         kind = json_kind(s)
-        plain = F.when(kind == "object", F.lit("object")).when(kind == "array", F.lit("array")).otherwise(kind)
-        keys = F.concat(F.lit("{"), F.array_join(F.slice(F.json_object_keys(s), 1, SHAPE_KEYS), ","), F.lit("}"))
+        keys = F.concat(F.lit("{"), F.array_join(F.slice(F.json_object_keys(s), 1, SHAPE_KEYS), ","), F.lit("}")) if depth < SHAPE_DEPTH else F.lit("object")
         n = F.coalesce(F.json_array_length(s), F.lit(0))
-        inner = shape(F.get_json_object(s, "$[0]"), depth + 1) if depth < SHAPE_DEPTH else F.lit("object")
-        # a text among the elements comes without its quotes
-        inner = F.coalesce(inner, F.lit("string"))
-        listed = F.when(n == 0, F.lit("array:0")).otherwise(F.concat(F.lit("array:"), n, F.lit("["), inner, F.lit("]")))
-        if depth >= SHAPE_DEPTH:
-            keys = F.lit("object")
-        return F.when(kind == "object", keys).when(kind == "array", listed).otherwise(plain)
+        count = F.concat(F.lit("array:"), n)
+        if depth < LIST_DEPTH:
+            # a text among the elements comes without its quotes, a null not at all
+            first = F.get_json_object(s, "$[0]")
+            inner = F.coalesce(shape(first, depth + 1), F.when(first.isNull(), "object").otherwise("string"))
+            count = F.when(n == 0, count).otherwise(F.concat(count, F.lit("["), inner, F.lit("]")))
+        return F.when(kind == "object", keys).when(kind == "array", count).when(kind == "null", F.lit("object")).otherwise(kind)
 
     return shape(payload, 0)
 
