@@ -30,20 +30,19 @@ from pyspark.sql.window import Window
 
 from tendril.llm import kernels as K
 from tendril.llm.quality import held_out
-from tendril.llm.shared import small_batches
+from tendril.llm.shared import small_batches, stored
 
-#: Symbols of training text for one language; states and the flag of a phrase fit 16 bits.
-SYMBOLS = 16_000
+#: Symbols of training text for one language, and for all together; with very many languages each has an equal share.
+SYMBOLS, ALL_SYMBOLS = 16_000, 64_000_000
 #: Documents from which a language's text is taken, at most.
 DOCUMENTS = 64
-#: Label values that are learnt, at most; each takes 4 MB of every Python worker.
-LANGUAGES = 128
+#: Languages whose automata a Python worker holds, at 4 MB each; texts of more languages are parsed in as many passes.
+LANGUAGES_AT_ONCE = 128
 STRETCH = 256
 UNKNOWN = "und"
 
 _WIDTH = 64
 _PAD = 63
-_NEW = 1 << 15  # the flag of a step that begins a phrase
 #: 0 for whatever is no letter; ASCII letters without case; UTF-8 lead bytes; continuation bytes by their low bits, so that most upper and lower case meet.
 SYMBOL = np.zeros(256, dtype=np.uint8)
 for _b in range(26):
@@ -69,7 +68,7 @@ def symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def automaton(text: np.ndarray) -> np.ndarray:
-    """The transition table, flattened: state * 64 + symbol to state, flagged where a phrase begins."""
+    """The transition table, flattened: state * 64 + symbol to state, its highest bit set where a phrase begins; 16 bits if states fit."""
     link, length, step = [-1], [0], [{}]
     last = 0
     for c in text.tolist():
@@ -95,17 +94,19 @@ def automaton(text: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    root = np.full(_WIDTH, _NEW, dtype=np.uint16)  # a symbol that never occurs is a phrase of its own
+    kind = np.uint16 if len(step) <= 1 << 15 else np.uint32
+    new = 1 << 8 * np.dtype(kind).itemsize - 1
+    root = np.full(_WIDTH, new, dtype=kind)  # a symbol that never occurs is a phrase of its own
     for c, to in step[0].items():
-        root[c] = to | _NEW
+        root[c] = to | new
     root[_PAD] = 0
     table = np.tile(root, (len(step), 1))
     for state, edges in enumerate(step):
         for c, to in edges.items():
             table[state, c] = to
     for c, to in step[0].items():
-        table[0, c] = to | _NEW
-    table[:, _PAD] = np.arange(len(step), dtype=np.uint16)
+        table[0, c] = to | new
+    table[:, _PAD] = np.arange(len(step), dtype=kind)
     return table.ravel()
 
 
@@ -135,28 +136,31 @@ def phrases(tables: list[np.ndarray], s: np.ndarray, at: np.ndarray) -> np.ndarr
     grid = np.minimum(start + np.arange(int(left.max()))[:, None], len(s) - 1)
     lanes = np.where(np.arange(len(grid))[:, None] < left, s[grid], _PAD).astype(np.int32)
     for column, table in enumerate(tables):
-        state = np.zeros(len(doc), dtype=np.int32)
+        shift = 8 * table.itemsize - 1
+        wide = np.int32 if shift == 15 else np.int64
+        state = np.zeros(len(doc), dtype=wide)
         count = np.zeros(len(doc), dtype=np.int32)
-        for row in lanes:
+        for row in lanes.astype(wide, copy=False):
             to = table[(state << 6) | row]
-            count += to >> 15
-            state = (to & (_NEW - 1)).astype(np.int32)
+            count += (to >> shift).astype(np.int32)
+            state = (to & ((1 << shift) - 1)).astype(wide)
         out[:, column] = np.bincount(doc, weights=count, minlength=len(size)).astype(np.int64)
     return out
 
 
-def learn(docs: DataFrame, folds: int = 3, fold: int = 1, symbols_each: int = SYMBOLS, documents: int = DOCUMENTS, languages: int = LANGUAGES) -> dict[str, bytes]:
+def learn(docs: DataFrame, folds: int = 3, fold: int = 1, symbols_each: int = SYMBOLS, documents: int = DOCUMENTS, all_symbols: int = ALL_SYMBOLS) -> dict[str, bytes]:
     """Training symbols by language, from documents outside ``fold`` whose language is known.
 
-    Only documents with letters are sampled, by the hash of their ids.  The driver
-    gets two characters a symbol at most.  ``symbols_each`` is 16,000 at most.
+    Every label value is learnt.  Only documents with letters are sampled, by the hash of
+    their ids.  The driver gets two characters a symbol at most, and ``all_symbols``
+    symbols of all languages together.
     """
-    if symbols_each > SYMBOLS:
-        raise ValueError(f"at most {SYMBOLS} symbols a language")
     lang, text, ident = F.col("lang").cast("string"), F.col("text").cast("string"), F.col("doc_id")
     named = docs.select(ident.alias("doc_id"), lang.alias("lang"), text.alias("text")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
-    frequent = [r.lang for r in named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
-    lettered = named.where(F.col("lang").isin(frequent) & F.col("text").rlike(r"\p{L}"))
+    lettered = named.where(F.col("text").rlike(r"\p{L}"))
+    number = max(1, lettered.select("lang").distinct().count())
+    symbols_each = max(1, min(symbols_each, all_symbols // number))
+    documents = max(1, min(documents, symbols_each // 2))
     long = 2 * symbols_each
     place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - long + 1)).cast("int") + 1
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
@@ -178,41 +182,75 @@ def learn(docs: DataFrame, folds: int = 3, fold: int = 1, symbols_each: int = SY
     return out
 
 
-def identify(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
+#: More phrases than any text needs.
+_MANY = np.int64(1) << np.int64(62)
+
+
+def _lettered(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which texts have a letter."""
+    upto = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data[at[0] : at[-1]]])])[at - at[0]]
+    known = np.diff(upto) > 0
+    for k in np.flatnonzero(~known & (np.diff(at) > 0)):
+        known[k] = bool(_LETTER.search(data[at[k] : at[k + 1]].tobytes().decode(errors="replace")))
+    return known
+
+
+def identify(docs: DataFrame, model: dict[str, bytes], at_once: int = LANGUAGES_AT_ONCE) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row's whole text.
 
     ``und`` with score 0 for texts that are null or without letters, and for all
     if no language was learnt.  The score is 1 - phrases(best) / phrases(second),
     1 if only one language is known; ties go to the language that sorts first.
+    With more languages than ``at_once`` the texts are parsed in several passes, each
+    with some of them, between which what was found is written.
     """
     small_batches(docs.sparkSession)
-    names, texts = list(model), list(model.values())
+    names = sorted(model)
+    parts = [names[k : k + at_once] for k in range(0, len(names), at_once)] or [[]]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    for k, part in enumerate(parts):
+        last = k == len(parts) - 1
+        found = rows.mapInArrow(_parsed(part, [model[n] for n in part], k == 0, last), f"doc_id long, text string, {FOUND}" if not last else f"doc_id long, letters boolean, {FOUND}")
+        rows = found if last else stored(found, "languages")
+    known = F.col("letters") & F.col("best").isNotNull()
+    score = F.when(F.col("second").isNull(), 1.0).otherwise(1 - F.col("least") / F.greatest(F.col("second"), F.lit(1)))
+    return rows.select("doc_id", F.when(known, F.col("best")).otherwise(UNKNOWN).alias("lang_pred"), F.when(known, score).otherwise(0.0).alias("score"))
+
+
+#: What is known after some languages: the one with fewest phrases, its phrases, and those of the second.
+FOUND = "best string, least long, second long"
+
+
+def _parsed(names: list[str], texts: list[bytes], first: bool, last: bool):
+    """A pass over the texts with the automata of some languages, from what passes before have found."""
 
     def rows(batches):
         tables = tables_of(texts)
         for batch in batches:
             data, at = K.strings(batch.column(1))
+            held = None if first else [batch.column(c) for c in (2, 3, 4)]
             for i, j in K.slices(at):
                 n = j - i
-                lang, score = [UNKNOWN] * n, np.zeros(n)
-                letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data[at[i] : at[j]]])])[at[i : j + 1] - at[i]]
-                known = np.diff(letters) > 0
-                for k in np.flatnonzero(~known & (np.diff(at[i : j + 1]) > 0)):
-                    known[k] = bool(_LETTER.search(data[at[i + k] : at[i + k + 1]].tobytes().decode()))
+                best, least, second = np.full(n, -1), np.full(n, _MANY), np.full(n, _MANY)
                 if names:
-                    count = phrases(tables, *symbols(data, at[i : j + 1])).astype(float)
+                    count = phrases(tables, *symbols(data, at[i : j + 1]))
                     best = count.argmin(axis=1)
                     least = count[np.arange(n), best]
                     if len(names) > 1:
-                        count[np.arange(n), best] = np.inf
-                        second = np.maximum(count.min(axis=1), 1)
-                    else:
-                        second = np.full(n, np.inf)
-                    score = np.where(known, 1 - least / second, 0.0)
-                    lang = [names[b] if k else UNKNOWN for b, k in zip(best, known)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, lang_pred string, score double")
+                        count[np.arange(n), best] = _MANY
+                        second = count.min(axis=1)
+                label = [names[b] if b >= 0 else None for b in best]
+                if held is not None:  # earlier languages win ties
+                    old = [c.slice(i, n).fill_null(_MANY).to_numpy() for c in held[1:]]
+                    loses = old[0] <= least
+                    second = np.where(loses, np.minimum(old[1], least), np.minimum(old[0], second))
+                    least = np.where(loses, old[0], least)
+                    label = [o if lost else b for o, b, lost in zip(held[0].slice(i, n).to_pylist(), label, loses)]
+                shown = [pa.array(label, pa.string()), *(pa.array(x.astype(np.int64), mask=x >= _MANY) for x in (least, second))]
+                said = pa.array(_lettered(data, at[i : j + 1])) if last else batch.column(1).slice(i, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), said, *shown], names=["doc_id", "letters" if last else "text", "best", "least", "second"])
+
+    return rows
 
 
 def languages(docs: DataFrame) -> DataFrame:

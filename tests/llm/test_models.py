@@ -2,6 +2,8 @@
 
 import os
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -76,12 +78,56 @@ def test_language_of_signs_and_repeated_rows(spark):
 
 
 def test_language_bounds(spark):
-    """Equal shares of the documents; no more label values than asked for, those with most documents."""
+    """Equal shares of the documents; every label value is learnt, of smaller shares where they are many."""
     rows = [(k, "abcdefgh " * 9000 if k == 1 else "zyxw", "a", "") for k in range(40)] + [(100 + k, "word", f"junk{k}", "") for k in range(30)]
-    model = L.learn(spark.createDataFrame(rows, DOCS), symbols_each=600, languages=3)
-    assert list(model)[0] == "a" and len(model) == 3
+    model = L.learn(spark.createDataFrame(rows, DOCS), symbols_each=600)
+    assert list(model)[0] == "a" and len(model) == 1 + sum(zlib.crc32(str(100 + k).encode()) % 3 != 1 for k in range(30))
     share = 600 // model["a"].count(b"\0") - 1
     assert max(map(len, model["a"].split(b"\0"))) <= share and len(model["a"]) <= 600
+    few = L.learn(spark.createDataFrame(rows, DOCS), symbols_each=600, all_symbols=1000)
+    assert set(few) == set(model) and sum(map(len, few.values())) <= 1000
+
+
+def plain_phrases(text, model):
+    """A greedy parse by searching: the longest piece of a stretch that the model's text has, from each place on."""
+    total = 0
+    for k in range(0, len(text), L.STRETCH):
+        s, i = text[k : k + L.STRETCH], 0
+        while i < len(s):
+            j = i + 1
+            while j < len(s) and s[i : j + 1] in model:
+                j += 1
+            i, total = j, total + 1
+    return total
+
+
+def test_choice_of_language_in_passes(spark):
+    """Language and score as a plain parse has them, whatever the number of languages that are held at once."""
+    rng = np.random.default_rng(8)
+    texts = {n: " ".join("".join(rng.choice(list(alphabet), rng.integers(2, 7))) for _ in range(60)) for n, alphabet in (("b", "abcde"), ("a", "abcdx"), ("d", "xyzv"), ("c", "abcde"), ("e", "éàüo"))}
+    sym = lambda t: L.symbols(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t.encode())]))[0].tobytes()
+    model = {n: sym(t) for n, t in texts.items()}
+    docs = [(k, " ".join("".join(rng.choice(list("abcdexyzvéàüo"), rng.integers(1, 9))) for _ in range(rng.integers(1, 90))), "", "") for k in range(60)] + [(99, None, "", ""), (98, "12 - 3", "", "")]
+    want = {}
+    for k, t, *_ in docs:
+        if not t or not any(c.isalpha() for c in t):
+            want[k] = ("und", 0.0)
+            continue
+        ranked = sorted((plain_phrases(sym(t), model[n]), n) for n in model)
+        want[k] = (ranked[0][1], 1 - ranked[0][0] / max(1, ranked[1][0]))
+    for at_once in (128, 2, 1):
+        got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(spark.createDataFrame(docs, DOCS), model, at_once).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert all(abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+
+
+def test_wide_automata():
+    """More states than 16 bits hold."""
+    text = np.random.default_rng(3).integers(1, 20, 40_000).astype(np.uint8)
+    table = L.automaton(text)
+    assert table.dtype == np.uint32
+    s = np.concatenate([text[7000:7200], text[30_000:30_056]])
+    assert L.phrases([table], s, np.array([0, len(s)]))[0, 0] == plain_phrases(s.tobytes(), text.tobytes()) <= 4
 
 
 def test_preferences_like_a_plain_fit():
