@@ -13,8 +13,8 @@ Byte-level BPE first splits a text by a pattern that looks ahead one character a
 most.  Before a space between two visible characters, between an ASCII letter and
 another ASCII character, and after a lone line end before a letter there is always
 such a split, so a text's ids are those of its pieces cut there.
-Each task keeps the ids of the pieces that it has met, by their bytes (``CACHE_PIECES`` at most),
-and calls the tokenizer for new ones only.  Whether the tokenizer is of that kind
+Each task keeps the ids of the pieces that it has met (``CACHE_PIECES`` at most; found by a
+hash, then compared byte for byte) and calls the tokenizer for new ones only.  Whether the tokenizer is of that kind
 is read from its file; another one encodes whole texts.
 """
 
@@ -82,10 +82,13 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}  # pieces by their bytes, in the order of the two arrays below
+        self.known = np.zeros(0, dtype=np.uint64)  # ascending hashes of pieces
         self.place = np.zeros(0, dtype=np.int64)  # of their ids in self.ids
         self.count = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=self.dtype)
+        self.spelled = np.zeros(0, dtype=np.uint8)  # the pieces' own bytes, side by side
+        self.at = np.zeros(0, dtype=np.int64)  # where they begin there
+        self.size = np.zeros(0, dtype=np.int64)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -94,8 +97,9 @@ class Encoder:
         """(first, end, ids, tokens of each document) for consecutive documents; each ends with the end id."""
         data, at = K.strings(column)
         for i, j in K.slices(at):
-            if self.split and not self._special(data[at[i] : at[j]]):
-                yield i, j, *self._pieces(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            cut = self._pieces(data[at[i] : at[j]], at[i : j + 1] - at[i]) if self.split and not self._special(data[at[i] : at[j]]) else None
+            if cut is not None:
+                yield i, j, *cut
             else:
                 many = self.encode([data[a:b].tobytes().decode() for a, b in zip(at[i:j], at[i + 1 : j + 1])])
                 counts = np.array([len(x) + 1 for x in many], dtype=np.int64)
@@ -107,7 +111,7 @@ class Encoder:
         raw = data.tobytes()
         return any(s in raw for s in self.strings)
 
-    def _pieces(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         n = len(at) - 1
         starts = np.zeros(0, dtype=np.int64)
         if len(data):
@@ -120,19 +124,21 @@ class Encoder:
             cut[full] = True
             starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        offsets = np.append(starts, len(data)).astype(np.int64)  # pieces lie side by side
-        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        slot = np.array([self.known.get(w, -1) for w in words], dtype=np.int64)
-        if (slot < 0).any():
-            if len(self.known) + int((slot < 0).sum()) > CACHE_PIECES:
+        h = K.mix(K.span_hash(data, starts, ends) + (ends - starts).astype(np.uint64))
+        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        slot = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), dtype=bool)
+        inside = slot < len(self.known)
+        new[inside] = self.known[slot[inside]] != distinct[inside]
+        if new.any():
+            if len(self.known) + int(new.sum()) > CACHE_PIECES:
                 self.forget()
-                slot[:] = -1
-            new = np.flatnonzero(slot < 0)
-            self._learn([words[k] for k in new.tolist()])
-            slot[new] = np.arange(len(self.known) - len(new), len(self.known))
-        inverse = coded.indices.to_numpy()
+                new[:] = True
+            self._learn(distinct[new], [data[starts[k] : ends[k]].tobytes() for k in first[new]])
+            slot = np.searchsorted(self.known, distinct)
         place, count = self.place[slot][inverse], self.count[slot][inverse]
+        if not self._spells(slot[inverse], data):
+            return None
         first_piece = np.searchsorted(starts, at)
         upto = np.concatenate([[0], np.cumsum(count)])
         tokens = upto[first_piece[1:]] - upto[first_piece[:-1]] + 1
@@ -143,8 +149,16 @@ class Encoder:
         ids[np.arange(total) + np.repeat(doc, count)] = self.ids[np.repeat(place, count) + within]
         return ids, tokens
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        """New pieces are encoded side by side where that is safe, and told apart by their ids' bytes."""
+    def _spells(self, slots: np.ndarray, data: np.ndarray) -> bool:
+        """Whether the cached pieces are those of the texts, byte for byte: two pieces may have one hash."""
+        size = self.size[slots]
+        upto = np.cumsum(size)
+        if int(upto[-1] if len(upto) else 0) != len(data):
+            return False
+        return bool((self.spelled[np.repeat(self.at[slots] - (upto - size), size) + np.arange(len(data))] == data).all())
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        """``hashes`` ascend.  Pieces are encoded side by side where that is safe, and told apart by their ids' bytes."""
         kind = np.array([1 if p[0] == _SPACE else 2 if _LETTER[p[0]] and _VISIBLE[p[-1]] else 0 for p in pieces])
         count, place = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
         got = [self.ids]
@@ -161,8 +175,12 @@ class Encoder:
         count[kind == 0] = [len(x) for x in alone]
         place[kind == 0] = base + np.cumsum(count[kind == 0]) - count[kind == 0]
         self.ids = np.concatenate([*got, np.fromiter((t for x in alone for t in x), dtype=self.dtype)])
-        self.place, self.count = np.concatenate([self.place, place]), np.concatenate([self.count, count])
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+        own = np.array([len(p) for p in pieces], dtype=np.int64)
+        begin = len(self.spelled) + np.cumsum(own) - own
+        self.spelled = np.concatenate([self.spelled, np.frombuffer(b"".join(pieces), dtype=np.uint8)])
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.place, self.count = np.insert(self.known, at, hashes), np.insert(self.place, at, place), np.insert(self.count, at, count)
+        self.at, self.size = np.insert(self.at, at, begin), np.insert(self.size, at, own)
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import pyarrow as pa
 from tendril.llm import tokens as T
 from tendril.llm import warc as W
 from tendril.llm.queries import tokenizer_path
@@ -130,3 +131,17 @@ def test_null_and_equal_pages(spark):
     got = W.drill(spark.createDataFrame(rows, PAGES), F.col("shard") == -1, per_shard=64).collect()
     assert len(got) == 340 and len({(r.shard, r.ordinal) for r in got}) == 340
     assert len({r.shard for r in got if r.shard < 0}) == 5 and all(r.damaged == (r.shard == -1) for r in got)
+
+
+def test_pieces_with_equal_hashes_are_told_apart(spark, monkeypatch):
+    """Every hash clashes: texts are then encoded whole, and the ids are right."""
+    import public_tokenizers
+    from tendril.llm import kernels, tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["one two three two one", "a bb ccc\n dddd", "", "two"]
+    column = pa.array(texts)
+    want = [(ids.tolist(), n.tolist()) for _, _, ids, n in tokens.Encoder(path, 2, False).slices(column)]
+    assert [(ids.tolist(), n.tolist()) for _, _, ids, n in tokens.Encoder(path, 2, None).slices(column)] == want
+    monkeypatch.setattr(kernels, "mix", lambda h: h & np.uint64(1))
+    assert [(ids.tolist(), n.tolist()) for _, _, ids, n in tokens.Encoder(path, 2, None).slices(column)] == want
