@@ -495,3 +495,21 @@ def change_pct(spark, d):
 
     v0 = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return table(spark, d, "events").withColumn("v0", v0).select("event_id", P.pct_change(F.col("v0"), F.col("value")).alias("pct"))
+
+
+@query("normalize_parties", """SELECT s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 8, '0') || '000190' AS supplier_id, CASE WHEN s_suppkey % 4 <> 0 THEN s_name END AS supplier_name,
+ CASE WHEN s_suppkey % 3 <> 2 THEN '2024-03-' || lpad(CAST(1 + s_suppkey % 28 AS VARCHAR), 2, '0') END AS signed_on, 'Cidade ' || s_nationkey AS city, CASE WHEN s_suppkey % 5 <> 0 THEN 'UF' || s_nationkey % 9 END AS state FROM supplier""")
+def normalize_parties(spark, d):
+    """Suppliers, dates and places as contracts spell them: with and without marks and names, in two notations, some that are no dates."""
+    k = F.col("s_suppkey")
+    eight = F.lpad(k.cast("string"), 8, "0")
+    marked = F.concat(F.substring(eight, 1, 2), F.lit("."), F.substring(eight, 3, 3), F.lit("."), F.substring(eight, 6, 3), F.lit("/0001-90"))
+    number = F.when(k % 2 == 0, marked).otherwise(F.concat(eight, F.lit("000190")))
+    day = F.lpad((1 + k % 28).cast("string"), 2, "0")
+    rows = table(spark, d, "supplier").select(
+        "s_suppkey", F.concat(number, F.when(k % 4 != 0, F.concat(F.lit(" - "), "s_name")).otherwise("")).alias("who"),
+        F.when(k % 3 == 0, F.concat(day, F.lit("/03/2024"))).when(k % 3 == 1, F.concat(F.lit("2024-03-"), day, F.lit("T08:00"))).otherwise(F.lit("em breve")).alias("signed"),
+        F.concat(F.lit("Cidade "), "s_nationkey", F.lit(" - "), F.when(k % 5 != 0, F.concat(F.lit("UF"), F.col("s_nationkey") % 9)).otherwise("")).alias("place"),
+    )
+    out = N.normalize_parties(rows, "who", "signed", "place")
+    return out.select("s_suppkey", "supplier_id", "supplier_name", F.date_format("signed_on", "yyyy-MM-dd").alias("signed_on"), "city", "state")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendril.functions.parse import br_date_lenient, content_key, digits, expense_phase, number_or_null, valid_cnpj
+from tendril.functions.parse import br_date_lenient, br_or_iso_date, content_key, digits, expense_phase, number_or_null, supplier_from, valid_cnpj
+from tendril.functions.text import city_state
 from tendril.operators.quality import STATES
 
 # fixed values: output column -> path in the payload, by type
@@ -169,3 +170,14 @@ def tender_issues(tenders: DataFrame) -> DataFrame:
 
     rules = {"invalid cnpj": ("agency_id", F.col("agency_id").isNotNull() & ~valid_cnpj(F.col("agency_id"))), "invalid state": ("state", ~F.col("state").isin(*STATES)), "missing key": ("key", F.col("key").isNull())}
     return issues(tenders, "tender", "key", rules)
+
+
+def normalize_parties(df: DataFrame, supplier: str, signed: str, place: str) -> DataFrame:
+    """All columns with ``supplier_id, supplier_name, signed_on, city, state`` from texts that say several things at once.
+
+    ``supplier`` holds a number and a name, ``signed`` a date as ``dd/mm/yyyy`` or ISO,
+    ``place`` a city and a state around dashes.  What cannot be read is null.
+    """
+    ident, name = supplier_from(F.col(supplier))
+    city, state = city_state(F.col(place))
+    return df.withColumns({"supplier_id": ident, "supplier_name": name, "signed_on": br_or_iso_date(F.col(signed)), "city": city, "state": state})
