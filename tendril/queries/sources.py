@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tendril.catalog import query, table
@@ -178,6 +179,23 @@ def normalize_execution(spark, d):
     return x.select("contract_id", "kind", "record_key", F.when(F.col("empenhado") < 1, F.col("empenhado") * 1).otherwise(F.col("empenhado")).alias("empenhado"), F.date_format("date", "yyyy-MM-dd").alias("date"))
 
 
+@query("normalize_execution_feeds", """SELECT CAST(l_orderkey AS VARCHAR) AS contract_id, k.kind, l_linenumber % 3 AS named, CASE l_linenumber % 3 WHEN 0 THEN 'n' || l_linenumber WHEN 1 THEN 'i' || l_linenumber ELSE '24' END AS record, count(*) AS n,
+ strftime(max(l_shipdate), '%Y-%m-%d') AS last FROM lineitem, (SELECT unnest(['invoices', 'guarantees', 'incidents']) AS kind) k GROUP BY ALL""")
+def normalize_execution_feeds(spark, d):
+    """Invoices, guarantees and incidents of contracts: keys are numbers, ids, or 24 digits of a hash where there is neither."""
+    k = F.col("l_linenumber")
+    name = {0: "numero", 1: "id"}
+    base = table(spark, d, "lineitem")
+    said = [F.when(k % 3 == m, F.concat(F.lit(v[0]), k)).alias(v) for m, v in name.items()]
+    payload = F.to_json(F.struct(*said, F.date_format("l_shipdate", "dd/MM/yyyy").alias("emissao"), F.monotonically_increasing_id().alias("linha")))
+    raw = base.select(F.col("l_orderkey").cast("string").alias("contract_id"), payload.alias("payload"))
+    parts = [N.normalize_execution(raw, kind).select("contract_id", "kind", "record_key", "date") for kind in ("invoices", "guarantees", "incidents")]
+    every = reduce(DataFrame.unionByName, parts)
+    hashed = F.length("record_key") == 24
+    named = F.when(hashed, 2).when(F.col("record_key").startswith("n"), 0).otherwise(1).cast("long")
+    return every.groupBy("contract_id", "kind", named.alias("named"), F.when(hashed, "24").otherwise(F.col("record_key")).alias("record")).agg(F.count("*").alias("n"), F.date_format(F.max("date"), "yyyy-MM-dd").alias("last"))
+
+
 @query("normalize_payments", "SELECT 'PAGAMENTO' AS phase, 'PAGAMENTO:' || event_id AS record_key, CAST(user_id AS VARCHAR) AS supplier_id, strftime(ts, '%Y-%m-%d') AS date FROM events")
 def normalize_payments(spark, d):
     payload = _json("payload", [F.lit("Pagamento").alias("fase"), F.col("event_id").alias("documento"), F.concat(F.lit("n. "), F.col("user_id")).alias("codigoFavorecido"), F.date_format("ts", "dd/MM/yyyy").alias("data")])
