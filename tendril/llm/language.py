@@ -11,10 +11,10 @@ together, a symbol at a time, by array look-ups.  Texts are parsed whole, in
 stretches of ``STRETCH`` symbols that each begin a phrase, for every language at the
 same places.  There is no shuffle but that of the bounded sample.
 
-Three bounds hold for the training rows, whatever the size of the table: the label
-values that are learnt (``LANGUAGES``, those with most documents), the documents
-of each (``DOCUMENTS``), and the symbols of each (``SYMBOLS``, in equal shares of
-its documents, from a place in each that its id's hash names).
+The sample is bounded whatever the size of the table: by the documents of each language
+(``DOCUMENTS``), by the symbols of each (``SYMBOLS``, in equal shares of its documents, from
+a place in each that its id's hash names), and by those of all together (``ALL_SYMBOLS``).
+Every label value is learnt.
 """
 
 from __future__ import annotations
