@@ -3,6 +3,9 @@
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from tendril.llm.substrings import without_repeats
 
 SCHEMA = "doc_id long, text string, spans string, n_words int"
@@ -72,14 +75,35 @@ def test_factors_name_their_place(spark):
             assert (f.ref_doc, f.ref_start) < (d, f.first) and texts[d][f.first : f.last] == texts[f.ref_doc][f.ref_start : f.ref_start + f.last - f.first]
 
 
-def test_false_factors_are_found(spark):
-    from tendril.llm.substrings import false_factors
-
-    df = spark.createDataFrame([(1, "p " * 30, "s", 1), (2, "q r " * 30, "s", 1)], SCHEMA)
-    parsed = without_repeats(df, 20, verify=True)
-    assert parsed.selectExpr("sum(size(factors)) AS n").first().n > 0 and false_factors(df, parsed).count() == 0
-    other = df.replace({"p " * 30: "z " * 30})
-    assert {r.doc_id for r in false_factors(other, parsed).collect()} == {1}
+def test_clashes_of_hashes_are_found(spark):
+    """Windows meet by 2 or 9 hash bits: their words tell them apart, and the parse is done again with more."""
+    from tendril.llm.substrings import _parsed, false_factors
+
+    r = random.Random(5)
+    passage = [f"p{k}" for k in range(50)]
+    rows = [(d, " ".join([f"w{r.randrange(7)}" for _ in range(r.randrange(40))] + passage[r.randrange(20) :])) for d in range(60)]
+    for parts in (1, 5):  # within a batch and across batches
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert false_factors(_parsed(df, 20, 8, 0, 95, True)).count() == 0
+        assert false_factors(_parsed(df, 20, 8, 0, 2, True)).count() > 0
+        got = {x.doc_id: (x.n_words, x.n_removed, x.text) for x in without_repeats(df, 20, bits=(2, 9, 95)).collect()}
+        assert got == expected(rows, 20)
+        with pytest.raises(RuntimeError):
+            without_repeats(df, 20, bits=(2,))
+
+
+def test_factors_are_held_against_their_places(spark):
+    """A span whose words changed since, and one that nobody read, are false."""
+    from tendril.llm.substrings import _parsed, false_factors
+
+    line = " ".join(f"x{k}" for k in range(30))
+    df = spark.createDataFrame([(1, line), (2, line), (3, "y " + line)], "doc_id long, text string").repartition(3, "doc_id")
+    parsed = _parsed(df, 20, 8, 0, 95, True)
+    asked = parsed.selectExpr("sum(size(asked)) AS n").first().n
+    assert asked == 1 and false_factors(parsed).count() == 0  # two documents name the same span
+    spoilt = parsed.withColumn("asked", F.transform("asked", lambda x: x.withField("digest", F.lit("other").cast("binary"))))
+    unread = parsed.withColumn("asked", F.slice("asked", 1, 0))
+    assert [(x.doc_id, x.start, x.words) for x in false_factors(spoilt).collect()] == [(1, 0, 30)] == [tuple(x) for x in false_factors(unread).collect()]
 
 
 def test_repeated_ids(spark):
