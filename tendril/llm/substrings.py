@@ -357,7 +357,8 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     live = _by_document(_repeated(text.where(F.col("doc_id").isNotNull()).mapInArrow(_anchor_rows(window, size), FOUND)))
     # all joins keep every row of the same side, so Spark shuffles the texts once for all of them
     with_live = text.join(live.hint("shuffle_hash"), "doc_id", "left")
-    again = _referred(with_live.mapInArrow(_window_rows(window, size, seed, bits), SENT))
+    # the filter that joins would infer stands here, so that the parse and the questions take the same shuffled places
+    again = _referred(with_live.mapInArrow(_window_rows(window, size, seed, bits), SENT)).where(F.col("doc_id").isNotNull())
     again = again.groupBy("doc_id").agg(F.collect_list(F.when(F.col("runs").isNull(), F.struct("start", "ref_doc", "ref_start"))).alias("some"), F.collect_list("runs").alias("packed"))
     asked = again.mapInArrow(_asked(window), "doc_id long, start int, words int").groupBy("doc_id").agg(F.collect_set(F.struct("start", "words")).alias("asked"))
     return text.join(again.hint("shuffle_hash"), "doc_id", "left").join(asked.hint("shuffle_hash"), "doc_id", "left")
