@@ -1,10 +1,13 @@
 """WARC files of pages, and a Merkle audit of their replicas.
 
-Pages go to shards of ``PER_SHARD`` consecutive ids.  A task writes each of its
-shards as one ``.warc.gz`` file, a gzip member per record, and the manifest lists
-every record's place: its ordinal, its range in the plain stream, its range in the
-file, and the SHA-256 of its plain bytes.  Files are read and copied in as many
-tasks as their bytes ask for, whatever the size of the manifest.
+Pages go to shards of ``PER_SHARD`` consecutive ids.  A shard's records are a plain
+stream, which is cut into parts between ids where about ``FILE_BYTES`` are full: the
+sums of lengths by id, without any text, tell where a part begins and with which
+ordinal and offset, so parts are written by tasks of their own, each to a
+``.warc.gz`` file with a ``warcinfo`` record and a gzip member per page.  The
+manifest lists every record's place: its ordinal, its range in the plain stream, its
+range in the file, and the SHA-256 of its plain bytes.  Files are read and copied in
+as many tasks as their bytes ask for, whatever the size of the manifest.
 
 The audit hashes records into a tree: a node holds up to ``FAN`` children in
 order, with the offset range that they cover, up to the root of a shard and on to
@@ -24,20 +27,23 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendril.llm.shared import opened, qualified, shared_path, stored
 
 PER_SHARD = 4096
-#: Bytes of pages or files that a task writes, reads or copies, as far as whole shards allow.
+#: Bytes of pages or files that a task writes, reads or copies, as far as whole parts allow.
 TASK_BYTES = 16 << 20
+#: Plain bytes after which a shard's next id begins a file; more where there would be more than ``CUTS`` of them.
+FILE_BYTES = 16 << 20
+CUTS = 100_000
 #: What is not known of a page: when it was fetched.
 CAPTURED = "1970-01-01T00:00:00Z"
 BITS = 4
 FAN = 1 << BITS
 
-MANIFEST = "page_id long, shard long, ordinal long, offset long, length long, file_offset long, file_length long, sha256 string"
+MANIFEST = "page_id long, shard long, part int, ordinal long, offset long, length long, file_offset long, file_length long, sha256 string"
 
 
 def record_id(shard: int, ordinal: int) -> str:
@@ -54,6 +60,25 @@ def record(shard: int, ordinal: int, url: str | None, html: str | None, captured
     return head.encode() + body + b"\r\n\r\n"
 
 
+def info_record(name: str, captured: str = CAPTURED) -> bytes:
+    """The record that says what a file is; it belongs to the file and not to the shard's stream."""
+    body = b"software: tendril\r\nformat: WARC File Format 1.0\r\n"
+    h = hashlib.md5(name.encode()).hexdigest()
+    head = f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{h[:8]}-{h[8:12]}-3{h[13:16]}-8{h[17:20]}-{h[20:]}>\r\nWARC-Date: {captured}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
+def record_length(url: Column, html: Column, captured: str = CAPTURED) -> Column:
+    """The bytes of ``record``, without making it."""
+    uri = F.replace(F.replace(F.coalesce(url, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    size = F.octet_length(F.coalesce(html, F.lit("")))
+    return (F.lit(len(record(0, 0, None, None, captured)) - 1) + F.octet_length(uri) + F.length(size.cast("string")) + size).cast("long")
+
+
+def file_name(shard: int, part: int) -> str:
+    return f"shard-{shard}-{part}.warc.gz" if part else f"shard-{shard}.warc.gz"
+
+
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields and payload of a record."""
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -61,57 +86,83 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
-def write_warc(pages: DataFrame, folder: str, per_shard: int = PER_SHARD, captured: str = CAPTURED) -> DataFrame:
+def _cuts(lengths: DataFrame, size: int) -> DataFrame:
+    """``shard, cuts``: the ids at which parts but the first begin, with the records and bytes of the shard before them.
+
+    ``lengths`` has a row for each ``shard, page_id`` with the ``bytes`` and ``n`` of its records.  A shard of B bytes
+    has B / ``size`` cuts at most.
+    """
+    order = Window.partitionBy("shard").orderBy(F.col("page_id").asc_nulls_first())
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    at = lengths.withColumns({"ordinal": F.coalesce(F.sum("n").over(before), F.lit(0)), "offset": F.coalesce(F.sum("bytes").over(before), F.lit(0))})
+    at = at.withColumn("part", F.floor(F.col("offset") / size)).withColumn("last", F.lag("part").over(order))
+    return at.where(F.col("part") > F.col("last")).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("page_id", "ordinal", "offset"))).alias("cuts"))
+
+
+def write_warc(pages: DataFrame, folder: str, per_shard: int = PER_SHARD, captured: str = CAPTURED, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes all pages; returns the manifest, from a written table.
 
-    Shards hold the ids of one range of ``per_shard``, which should be dense: an
-    empty range has no file, a range with one id has a file of one record.  Rows
-    with a null id are dealt by their contents over shards below 0, as many as
-    ``per_shard`` of them need.  Rows of equal id are records of their own, by url
-    and html; equal rows stay apart too.  Only ``page_id, url, html`` are read.
+    Shards hold the ids of one range of ``per_shard``, and have as many files as their
+    bytes ask for: an empty range has no file, a range with one id has a file of its
+    records.  Rows with a null id are dealt by their contents over shards below 0, as
+    many as ``per_shard`` of them need, a file each.  Rows of equal id are records of
+    their own, by url and html, in one file; equal rows stay apart too.  Only
+    ``page_id, url, html`` are read.
     """
     folder = qualified(pages.sparkSession, folder)
-    said = F.octet_length(F.concat(F.coalesce(F.col("url").cast("string"), F.lit("")), F.coalesce(F.col("html").cast("string"), F.lit(""))))
-    size, nameless = pages.agg(F.sum(said), F.count_if(F.col("page_id").isNull())).first()
-    nameless = -(-nameless // per_shard)
-    apart = -1 - F.pmod(F.xxhash64(F.col("url").cast("string"), F.col("html").cast("string")), F.lit(max(1, nameless)))
+    url, html = F.col("url").cast("string"), F.col("html").cast("string")
+    nameless = -(-pages.where(F.col("page_id").isNull()).count() // per_shard)
+    apart = -1 - F.pmod(F.xxhash64(url, html), F.lit(max(1, nameless)))
     shard = F.coalesce(F.floor(F.col("page_id") / per_shard), apart).cast("long")
-    order = [F.col(c).asc_nulls_first() for c in ("shard", "page_id", "url", "html")]
-    dealt = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("shard", shard).repartition(_tasks(pages, size), "shard").sortWithinPartitions(*order)
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"), shard.alias("shard"))
+    lengths = own.select("shard", "page_id", record_length(F.col("url"), F.col("html"), captured).alias("bytes"))
+    lengths = stored(lengths.groupBy("shard", "page_id").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")), "warc-lengths")
+    size = lengths.agg(F.sum("bytes")).first()[0] or 0
+    # cuts are no more than CUTS, so they go to every task
+    known = own.join(F.broadcast(_cuts(lengths, max(file_bytes, -(-size // CUTS)))), "shard", "left")
+    known = known.withColumn("cuts", F.filter(F.coalesce("cuts", F.array()), lambda c: c["page_id"] <= F.col("page_id")))
+    base = F.try_element_at("cuts", F.lit(-1))
+    known = known.select("page_id", "url", "html", "shard", F.size("cuts").alias("part"), F.coalesce(base["ordinal"], F.lit(0)).alias("ordinal"), F.coalesce(base["offset"], F.lit(0)).alias("offset"))
+    order = [F.col(c).asc_nulls_first() for c in ("shard", "part", "page_id", "url", "html")]
+    dealt = known.repartition(_tasks(pages, size), "shard", "part").sortWithinPartitions(*order)
 
     def write(batches):
         fs, top = opened(folder)
         fs.create_dir(top, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        open_shard, out = None, None
+        name, out = None, None
         ordinal = offset = at = 0
 
         def close():
             if out is not None:
                 out.close()
-                fs.move(f"{top}/.{open_shard}-{attempt}", f"{top}/shard-{open_shard}.warc.gz")
+                fs.move(f"{top}/.{name}-{attempt}", f"{top}/{name}")
 
         for batch in batches:
             rows = []
-            for page_id, url, html, shard in zip(*(c.to_pylist() for c in batch.columns)):
-                if shard != open_shard:
+            for page_id, url, html, shard, part, first, begin in zip(*(c.to_pylist() for c in batch.columns)):
+                if file_name(shard, part) != name:
                     close()
-                    open_shard, out = shard, fs.open_output_stream(f"{top}/.{shard}-{attempt}", compression=None)
-                    ordinal = offset = at = 0
+                    name = file_name(shard, part)
+                    out = fs.open_output_stream(f"{top}/.{name}-{attempt}", compression=None)
+                    info = gzip.compress(info_record(name, captured), mtime=0)
+                    out.write(info)
+                    ordinal, offset, at = first, begin, len(info)
                 plain = record(shard, ordinal, url, html, captured)
                 packed = gzip.compress(plain, mtime=0)
                 out.write(packed)
-                rows.append((page_id, shard, ordinal, offset, len(plain), at, len(packed), hashlib.sha256(plain).hexdigest()))
+                rows.append((page_id, shard, part, ordinal, offset, len(plain), at, len(packed), hashlib.sha256(plain).hexdigest()))
                 ordinal, offset, at = ordinal + 1, offset + len(plain), at + len(packed)
             if rows:
-                yield _rows(rows, ("page_id", "shard", "ordinal", "offset", "length", "file_offset", "file_length", "sha256"))
+                yield _rows(rows, ("page_id", "shard", "part", "ordinal", "offset", "length", "file_offset", "file_length", "sha256"))
         close()
 
     return stored(dealt.mapInArrow(write, MANIFEST), "warc-manifest")
 
 
 def _rows(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "sha256" else pa.int64()) for c, n in zip(zip(*rows), names)], names=list(names))
+    kinds = {"sha256": pa.string(), "part": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for c, n in zip(zip(*rows), names)], names=list(names))
 
 
 def _tasks(df: DataFrame, size: int | None) -> int:
@@ -120,9 +171,9 @@ def _tasks(df: DataFrame, size: int | None) -> int:
 
 
 def _by_bytes(manifest: DataFrame, *columns: Column | str) -> DataFrame:
-    """The manifest's rows by shard, in tasks by the bytes of the files: its own size says nothing of theirs."""
+    """The manifest's rows by file, in tasks by the bytes of the files: its own size says nothing of theirs."""
     size = manifest.agg(F.sum("file_length")).first()[0]
-    return manifest.select(*columns).repartition(_tasks(manifest, size), "shard").sortWithinPartitions("shard", "ordinal")
+    return manifest.select(*columns).repartition(_tasks(manifest, size), "shard", "part").sortWithinPartitions("shard", "part", "ordinal")
 
 
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
@@ -132,18 +183,18 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
     unpack have a null digest.
     """
     folder = qualified(manifest.sparkSession, folder)
-    listed = _by_bytes(manifest, "shard", "ordinal", "offset", "length", "file_offset", "file_length")
+    listed = _by_bytes(manifest, "shard", "part", "ordinal", "offset", "length", "file_offset", "file_length")
 
     def read(batches):
         fs, top = opened(folder)
-        open_shard, file = None, None
+        name, file = None, None
         for batch in batches:
             rows = []
-            for shard, ordinal, offset, length, at, size in zip(*(c.to_pylist() for c in batch.columns)):
-                if shard != open_shard:
-                    open_shard = shard
-                    name = f"{top}/shard-{shard}.warc.gz"
-                    file = fs.open_input_file(name) if fs.get_file_info(name).type == pafs.FileType.File else None
+            for shard, part, ordinal, offset, length, at, size in zip(*(c.to_pylist() for c in batch.columns)):
+                if file_name(shard, part) != name:
+                    name = file_name(shard, part)
+                    there = fs.get_file_info(f"{top}/{name}").type == pafs.FileType.File
+                    file = fs.open_input_file(f"{top}/{name}") if there else None
                 rows.append((shard, ordinal, offset, length, _digest(file, at, size)))
             if rows:
                 yield _rows(rows, ("shard", "ordinal", "offset", "length", "sha256"))
@@ -166,41 +217,44 @@ def copy_warc(manifest: DataFrame, source: str, target: str, damaged: Column) ->
     Returns the replica's own manifest, from a written table: the records' places in its files differ.
     """
     source, target = qualified(manifest.sparkSession, source), qualified(manifest.sparkSession, target)
-    listed = _by_bytes(manifest, "shard", "ordinal", "file_offset", "file_length", F.coalesce(damaged, F.lit(False)).alias("damaged"), "offset", "length")
+    listed = _by_bytes(manifest, "shard", "part", "ordinal", "file_offset", "file_length", F.coalesce(damaged, F.lit(False)).alias("damaged"), "offset", "length")
 
     def copy(batches):
         fs, top = opened(source)
         to, to_top = opened(target)
         to.create_dir(to_top, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        open_shard, file, out = None, None, None
+        name, file, out = None, None, None
 
         def close() -> None:
             if out is not None:
                 out.close()
-                to.move(f"{to_top}/.{open_shard}-{attempt}", f"{to_top}/shard-{open_shard}.warc.gz")
+                to.move(f"{to_top}/.{name}-{attempt}", f"{to_top}/{name}")
 
-        names, place = ("shard", "ordinal", "offset", "length", "file_offset", "file_length"), 0
+        names, place = ("shard", "part", "ordinal", "offset", "length", "file_offset", "file_length"), 0
         for batch in batches:
             rows = []
-            for shard, ordinal, at, size, bad, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
-                if shard != open_shard:
+            for shard, part, ordinal, at, size, bad, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+                if file_name(shard, part) != name:
                     close()
-                    open_shard, file, place = shard, fs.open_input_file(f"{top}/shard-{shard}.warc.gz"), 0
-                    out = to.open_output_stream(f"{to_top}/.{shard}-{attempt}", compression=None)
+                    name = file_name(shard, part)
+                    file = fs.open_input_file(f"{top}/{name}")
+                    out = to.open_output_stream(f"{to_top}/.{name}-{attempt}", compression=None)
+                    out.write(file.read_at(at, 0))  # what stands before the first page: the file's own record
+                    place = at
                 member = file.read_at(size, at)
                 if bad:
                     plain = bytearray(gzip.decompress(member))
                     plain[-5] ^= 1  # the payload's last byte, before the record's two line ends
                     member = gzip.compress(bytes(plain), mtime=0)
                 out.write(member)
-                rows.append((shard, ordinal, offset, length, place, len(member)))
+                rows.append((shard, part, ordinal, offset, length, place, len(member)))
                 place += len(member)
             if rows:
                 yield _rows(rows, names)
         close()
 
-    return stored(listed.mapInArrow(copy, "shard long, ordinal long, offset long, length long, file_offset long, file_length long"), "warc-copy")
+    return stored(listed.mapInArrow(copy, "shard long, part int, ordinal long, offset long, length long, file_offset long, file_length long"), "warc-copy")
 
 
 def merkle(leaves: DataFrame, per_shard: int = PER_SHARD, top_shard: int | None = None) -> list[DataFrame]:
@@ -252,7 +306,7 @@ def audit(ours: list[DataFrame], theirs: list[DataFrame], per_shard: int = PER_S
     return bad.select("shard", F.col("node").alias("ordinal"))
 
 
-def drill(pages: DataFrame, damaged: Column, per_shard: int = PER_SHARD) -> DataFrame:
+def drill(pages: DataFrame, damaged: Column, per_shard: int = PER_SHARD, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes ``pages``, copies the files with damage where the manifest's rows say ``damaged``, and audits the copy.
 
     Returns a row per page: ``page_id, shard, ordinal, offset, length, sha256`` and
@@ -260,7 +314,7 @@ def drill(pages: DataFrame, damaged: Column, per_shard: int = PER_SHARD) -> Data
     """
     spark = pages.sparkSession
     ours, theirs = shared_path(spark, "warc"), shared_path(spark, "warc-copy")
-    manifest = write_warc(pages, ours, per_shard)
+    manifest = write_warc(pages, ours, per_shard, file_bytes=file_bytes)
     copied = copy_warc(manifest, ours, theirs, damaged)
     top = manifest.agg(F.max("shard")).first()[0] or 0
     found = audit(merkle(manifest, per_shard, top), merkle(read_warc(copied, theirs), per_shard, top), per_shard).withColumn("damaged", F.lit(True))

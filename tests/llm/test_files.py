@@ -86,6 +86,33 @@ def test_audit_finds_the_damage(spark):
     assert not any(r.damaged for r in W.drill(df, F.lit(False), per_shard=256).collect())
 
 
+def test_shards_are_cut_by_bytes(spark, tmp_path):
+    """However small the files, records have the same places in their shard's stream; one shard may hold nearly all bytes."""
+    df = spark.createDataFrame(pages(), PAGES)
+    places = lambda m: sorted((str(r.page_id), r.shard, r.ordinal, r.offset, r.length, r.sha256) for r in m.collect())
+    whole = W.write_warc(df, str(tmp_path / "whole"), 256)
+    assert {r.part for r in whole.collect()} == {0}
+    cut = W.write_warc(df, str(tmp_path / "cut"), 256, file_bytes=5000)
+    assert places(cut) == places(whole) and len(list((tmp_path / "cut").iterdir())) == cut.select("shard", "part").distinct().count() > 20
+    got = {(r.shard, r.ordinal): r for r in cut.collect()}
+    for r in got.values():
+        before = got.get((r.shard, r.ordinal - 1))
+        assert r.offset == (before.offset + before.length if before else 0)
+    for name in (tmp_path / "cut").iterdir():
+        plain = gzip.decompress(name.read_bytes())  # the file is one gzip stream of its own record and pages
+        fields, body = W.parse_record(plain)
+        assert fields["WARC-Type"] == "warcinfo" and fields["WARC-Filename"] == name.name and body.startswith(b"software")
+        stay = [r for r in got.values() if W.file_name(r.shard, r.part) == name.name]
+        assert len(plain) - len(W.info_record(name.name)) == sum(r.length for r in stay)
+        if stay[0].page_id is not None:  # a file's last id begins where the file is not full; rows of one id stay together
+            begins = {}
+            for r in stay:
+                begins[r.page_id] = min(r.offset, begins.get(r.page_id, r.offset))
+            assert max(begins.values()) - min(begins.values()) < 5000
+    found = W.drill(df, F.col("ordinal") % 37 == 5, per_shard=256, file_bytes=5000).collect()
+    assert len(found) == 402 and all(r.damaged == (r.ordinal % 37 == 5) for r in found)
+
+
 def test_missing_file_and_records(spark, tmp_path):
     import os
 
