@@ -143,15 +143,15 @@ def remember(state: DataFrame, matches: DataFrame, rules: DataFrame, as_of, firs
     text = lambda c: F.col(c).cast("string")
     none = F.lit(None).cast("string")
 
-    def alert(on: Column, kind: str, importance: Column, old_text: Column, new_text: Column) -> Column:
-        return F.when(on, F.struct(F.lit(kind).alias("type"), importance.alias("importance"), old_text.alias("old_text"), new_text.alias("new_text")))
+    def alert(on: Column, kind: str, importance: Column, old_text: Column, new_text: Column, pct: Column = F.lit(None).cast("double")) -> Column:
+        return F.when(on, F.struct(F.lit(kind).alias("type"), importance.alias("importance"), old_text.alias("old_text"), new_text.alias("new_text"), pct.alias("pct")))
 
     offered = F.concat(money_label(F.col("value")), F.coalesce(F.concat(F.lit(" em "), F.col("state")), F.lit("")))
     alerts = F.array(
         alert(F.col("is_new") & ~F.coalesce("_silent", F.lit(first_run)), "NEW_PROCUREMENT", F.when(soon, "critica").when(F.coalesce(F.col("value") >= 1_000_000, F.lit(False)), "alta").otherwise("media"), none, offered),
         alert(F.col("is_new") & deserted, "DESERTED", F.lit("media"), none, status),
         alert(F.col("is_new") & failed, "FAILED", F.lit("media"), none, status),
-        alert(differ("value"), "PRICE_CHANGE", F.when(F.coalesce(F.abs(pct) >= 20, F.lit(False)), "alta").otherwise("media"), money_label(F.col("old_value")), money_label(F.col("value"))),
+        alert(differ("value"), "PRICE_CHANGE", F.when(F.coalesce(F.abs(pct) >= 20, F.lit(False)), "alta").otherwise("media"), money_label(F.col("old_value")), money_label(F.col("value")), pct),
         alert(differ("closes"), "DEADLINE_CHANGED", F.when(soon, "critica").otherwise("alta"), F.date_format("old_closes", "yyyy-MM-dd"), F.date_format("closes", "yyyy-MM-dd")),
         alert(differ("status") | differ("awarded"), "PROCUREMENT_UPDATED", F.lit("media"), text("old_status"), text("status")),
     )
@@ -259,7 +259,48 @@ ALERT = ("monitor_id", "key", "type", "importance", "details")
 
 def told(alerts: DataFrame) -> DataFrame:
     """Alerts of changed matches in the columns that all alerts have."""
-    return alerts.select("monitor_id", F.col("key").cast("string").alias("key"), "type", "importance", F.to_json(F.struct(F.col("old_text").alias("before"), F.col("new_text").alias("after"))).alias("details"))
+    return alerts.select("monitor_id", F.col("key").cast("string").alias("key"), "type", "importance", F.to_json(F.struct(F.col("old_text").alias("before"), F.col("new_text").alias("after"), "pct")).alias("details"))
+
+
+#: What alerts are called, by type.
+TITLES = {
+    "NEW_PROCUREMENT": "🚨 Nova oportunidade de ",
+    "DESERTED": "💎 Processo deserto identificado — possível recompra à frente",
+    "FAILED": "💎 Processo fracassado identificado — possível republicação",
+    "PRICE_CHANGE": "💰 Valor estimado alterado",
+    "DEADLINE_CHANGED": "⏰ Prazo de propostas alterado",
+    "PROCUREMENT_UPDATED": "📌 Situação do processo atualizada",
+    "NEW_WINNER": "🏆 ",
+    "CONTRACT_EXPIRING": "🔮 Contrato de ",
+    "NEW_ATA": "📜 Nova ata de registro de preços no seu mercado",
+    "NEW_PCA": "📅 Item de plano de contratações (PCA) relacionado ao seu monitor — compra futura sinalizada",
+}
+
+
+def titled(alerts: DataFrame, as_of) -> DataFrame:
+    """Alerts in the columns of ``ALERT`` with a ``title``, a line for people made of the type and the details.
+
+    A tender's title tells its value and state, a change of price its per cent, a
+    winner's its name, a contract's its value and the days that are left; what is not
+    known is left out or called so.  A type without a title has a null one.  ``details``
+    are read once a row; no other column is needed.
+    """
+    said = F.from_json("details", "before string, after string, pct double, value double, ends string, supplier_name string")
+    at = F.col("_said")
+    optional = lambda c: F.coalesce(c, F.lit(""))
+    pct = at["pct"].cast("decimal(28,1)")
+    worth = F.when(at["value"].isNull(), "valor n/i").otherwise(money_label(at["value"]))
+    days = F.datediff(F.to_date(F.left(at["ends"], F.lit(10))), F.to_date(F.lit(as_of)))
+    more = {
+        # the label of a value has no " em " of its own
+        "NEW_PROCUREMENT": F.regexp_replace(at["after"], r"^(.*?)( em .*)?$", "$1 encontrada$2"),
+        "PRICE_CHANGE": optional(F.concat(F.lit(" em "), F.when(pct > 0, "+").otherwise(""), pct.cast("string"), F.lit("%"))),
+        "PROCUREMENT_UPDATED": optional(F.concat(F.lit(": "), F.when(~at["after"].eqNullSafe(at["before"]), at["after"]))),
+        "NEW_WINNER": F.concat(F.coalesce(at["supplier_name"], F.lit("Fornecedor")), F.lit(" homologado em processo deste monitor")),
+        "CONTRACT_EXPIRING": F.concat(worth, optional(F.concat(F.lit(" vence em "), days.cast("string"), F.lit(" dias")))),
+    }
+    title = F.coalesce(*[F.when(F.col("type") == k, F.concat(F.lit(begins), more.get(k, F.lit("")))) for k, begins in TITLES.items()])
+    return alerts.withColumn("_said", said).withColumn("title", title).drop("_said")
 
 
 def once_found(tables: dict[str, DataFrame], matches: DataFrame, rules: DataFrame, as_of) -> dict[str, DataFrame]:

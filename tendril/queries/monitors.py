@@ -241,6 +241,29 @@ def monitor_alerts(spark, d):
     return _evaluated(spark, d)[1].select("monitor_id", "key", "type", "importance", "new_text")
 
 
+def _title_sql() -> str:
+    """Titles of the second reading's alerts, and of all winners on matched tenders."""
+    t = M.TITLES
+    pct = "CAST(round((v1 - v0) / v0 * 100, 1) AS DECIMAL(28, 1))"
+    by_type = {
+        "NEW_PROCUREMENT": f"'{t['NEW_PROCUREMENT']}' || {_money('v1')} || ' encontrada' || coalesce(' em ' || state, '')", "DESERTED": f"'{t['DESERTED']}'", "FAILED": f"'{t['FAILED']}'",
+        "PRICE_CHANGE": f"'{t['PRICE_CHANGE']}' || coalesce(CASE WHEN v0 > 0 THEN ' em ' || CASE WHEN {pct} > 0 THEN '+' ELSE '' END || {pct} || '%' END, '')", "DEADLINE_CHANGED": f"'{t['DEADLINE_CHANGED']}'",
+        "PROCUREMENT_UPDATED": f"'{t['PROCUREMENT_UPDATED']}' || coalesce(': ' || CASE WHEN s1 IS DISTINCT FROM s0 THEN s1 END, '')",
+    }
+    said = " ".join(f"WHEN '{k}' THEN {v}" for k, v in by_type.items())
+    winners = f"SELECT DISTINCT monitor_id, key || ':' || l_linenumber || ':' || l_suppkey, 'NEW_WINNER', '{t['NEW_WINNER']}' || coalesce(CASE WHEN l_suppkey % 10 <> 3 THEN s_name END, 'Fornecedor') || ' homologado em processo deste monitor' FROM matches JOIN lineitem ON l_orderkey = key JOIN supplier ON s_suppkey = l_suppkey"
+    return f"SELECT a.monitor_id, CAST(a.key AS VARCHAR) AS key, type, CASE type {said} END AS title FROM alerts a JOIN later l ON l.monitor_id = a.monitor_id AND l.key = a.key UNION ALL {winners}"
+
+
+@query("monitor_alert_titles", f"WITH {_ALERTS_LATER} {_title_sql()}")
+def monitor_alert_titles(spark, d):
+    """What the alerts of the second reading are called, and those of the winners of all matched tenders, some of which have no name."""
+    names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("supplier"), F.when(F.col("s_suppkey") % 10 != 3, F.col("s_name")).alias("supplier_name"))
+    won = M.award_alerts(matches(spark, d), _awards(spark, d).join(names, "supplier"), rules(spark))
+    alerts = M.told(_evaluated(spark, d)[1]).unionByName(won)
+    return M.titled(alerts, LATER).select("monitor_id", "key", "type", "title")
+
+
 @query("monitor_memory", f"""WITH {_ALERTS_LATER} SELECT coalesce(l.monitor_id, b.monitor_id) AS monitor_id, coalesce(l.key, b.key) AS key, l.key IS NOT NULL AND (is_new OR v1 IS DISTINCT FROM l.v0 OR c1 IS DISTINCT FROM l.c0 OR s1 IS DISTINCT FROM l.s0 OR a1 IS DISTINCT FROM l.a0 OR aw) AS moved, l.key IS NOT NULL AS checked
  FROM later l FULL JOIN before b ON l.monitor_id = b.monitor_id AND l.key = b.key""")
 def monitor_memory(spark, d):

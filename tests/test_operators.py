@@ -168,6 +168,29 @@ def test_alerts_and_memory(spark):
     assert rows(M.remember(again, both, _rule(spark, deserted=False), T1)[1], "type", "new_text") == [("FAILED", "deserta e fracassada"), ("NEW_PROCUREMENT", "valor não informado em SP")]
 
 
+def test_titles_of_alerts(spark):
+    """By type; what is not known is called so or left out, whatever the details hold."""
+    rows = [
+        ("NEW_PROCUREMENT", '{"after":"R$ 1.234 em SP"}', "🚨 Nova oportunidade de R$ 1.234 encontrada em SP"),
+        ("NEW_PROCUREMENT", '{"after":"valor não informado"}', "🚨 Nova oportunidade de valor não informado encontrada"),
+        ("PRICE_CHANGE", '{"before":"R$ 1","after":"R$ 2","pct":100.0}', "💰 Valor estimado alterado em +100.0%"),
+        ("PRICE_CHANGE", '{"before":"R$ 2","after":"R$ 1","pct":-50.0}', "💰 Valor estimado alterado em -50.0%"),
+        ("PRICE_CHANGE", '{"after":"R$ 1"}', "💰 Valor estimado alterado"),
+        ("PROCUREMENT_UPDATED", '{"before":"a","after":"b"}', "📌 Situação do processo atualizada: b"),
+        ("PROCUREMENT_UPDATED", '{"before":"a","after":"a"}', "📌 Situação do processo atualizada"),
+        ("NEW_WINNER", '{"supplier_name":"ACME"}', "🏆 ACME homologado em processo deste monitor"),
+        ("NEW_WINNER", None, "🏆 Fornecedor homologado em processo deste monitor"),
+        ("CONTRACT_EXPIRING", '{"value":1500000.4,"ends":"2000-01-31T00:00:00.000"}', "🔮 Contrato de R$ 1.500.000 vence em 30 dias"),
+        ("CONTRACT_EXPIRING", "{}", "🔮 Contrato de valor n/i"),
+        ("NEW_ATA", "{}", M.TITLES["NEW_ATA"]),
+        ("OTHER", "{}", None),
+        (None, "not JSON", None),
+    ]
+    df = spark.createDataFrame([(1, str(k), t, "media", d) for k, (t, d, _) in enumerate(rows)], "monitor_id long, key string, type string, importance string, details string")
+    got = {int(r.key): r.title for r in M.titled(df, datetime(2000, 1, 1)).collect()}
+    assert got == {k: title for k, (_, _, title) in enumerate(rows)}
+
+
 def test_merged_table(spark, tmp_path):
     """Whole tables every few batches, old parts emptied, a batch that runs again changes nothing."""
     from tendril.streaming import core as S
