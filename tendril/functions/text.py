@@ -19,7 +19,11 @@ _ACCENTED, _BASE = _folding()
 # fixed values: letters that the dictionary flavour spells out
 _SPELLED = (("ß", "ss"), ("œ", "oe"), ("æ", "ae"), ("ø", "o"), ("ł", "l"), ("đ", "d"), ("ð", "d"), ("þ", "th"), ("ħ", "h"), ("ı", "i"), ("ŧ", "t"))
 # fixed values: named entities that are decoded
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"), ("&atilde;", "ã"), ("&otilde;", "õ"), ("&ccedil;", "ç"), ("&acirc;", "â"), ("&ecirc;", "ê"), ("&ocirc;", "ô"), ("&agrave;", "à"), ("&amp;", "&"))
+_ENTITIES = (
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"),
+    ("&oacute;", "ó"), ("&uacute;", "ú"), ("&atilde;", "ã"), ("&otilde;", "õ"), ("&ccedil;", "ç"), ("&acirc;", "â"), ("&ecirc;", "ê"),
+    ("&ocirc;", "ô"), ("&agrave;", "à"), ("&amp;", "&")
+)
 
 
 def fold_accents(s: Column, dictionary: bool = False) -> Column:
@@ -124,4 +128,6 @@ def register_functions(spark) -> None:
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION fold_text(s STRING) RETURNS STRING RETURN {fold.format('s')}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION text_ok(s STRING, terms ARRAY<STRING>) RETURNS BOOLEAN RETURN {ok}")
     none = "cast(array() AS array<string>)"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION effective_terms(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS ARRAY<STRING> RETURN filter(array_union(coalesce(a, {none}), coalesce(b, {none})), t -> length(trim(t)) > 1)")
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION effective_terms(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS ARRAY<STRING> RETURN filter(array_union(coalesce(a, {none}), coalesce(b, {none})), t -> length(trim(t)) > 1)"
+    )

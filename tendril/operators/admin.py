@@ -43,7 +43,10 @@ def datasets_by_source(connectors: DataFrame, files: DataFrame, mapping: dict[st
     connectors' names are mapped to the files' sources.
     """
     complete = F.col("status") == "COMPLETE"
-    counts = files.groupBy("source").agg(F.count("*").alias("files"), F.count_if(complete).alias("complete"), F.sum("lines").alias("lines"), F.max(F.when(complete, F.col("finished"))).alias("last"))
+    counts = files.groupBy("source").agg(
+        F.count("*").alias("files"), F.count_if(complete).alias("complete"), F.sum("lines").alias("lines"),
+        F.max(F.when(complete, F.col("finished"))).alias("last")
+    )
     return mapped_join(connectors, counts, "connector", mapping, "source", "left").fillna(0, ["files", "complete", "lines"])
 
 
@@ -74,7 +77,9 @@ def memory_report(sections: dict[str, DataFrame], counts: dict[str, tuple[DataFr
         one = df.agg(F.array_sort(F.collect_list(F.to_json(row))).alias(name))
         out = one if out is None else out.crossJoin(one)  # single rows
     for name, (df, status) in counts.items():
-        one = df.groupBy(status).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(status), F.lit("")).alias("k"), "n")))).alias(name))
+        one = df.groupBy(status).agg(F.count("*").alias("n")).agg(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(status), F.lit("")).alias("k"), "n")))).alias(name)
+        )
         out = one if out is None else out.crossJoin(one)
     return out.select(F.to_json(F.struct("*", F.lit(method).alias("method"))).alias("document"))
 
@@ -92,7 +97,10 @@ def edit_rules(rules: DataFrame, edits: DataFrame, history: DataFrame, changed_b
     new = edits.select("monitor_id", *[F.col(c).alias(f"new_{c}") for c in fields])
     changed = [F.coalesce(f"new_{c}", c).alias(c) if c in fields else F.col(c) for c in rules.columns]
     after = rules.join(new, "monitor_id", "left").select(*changed)
-    entry = lambda df, action: df.select("monitor_id", F.lit(action).alias("action"), F.to_json(F.struct(*df.columns)).alias("config"), F.lit(changed_by).alias("changed_by"), F.lit(as_of).cast("timestamp").alias("changed_at"))
+    entry = lambda df, action: df.select(
+        "monitor_id", F.lit(action).alias("action"), F.to_json(F.struct(*df.columns)).alias("config"), F.lit(changed_by).alias("changed_by"),
+        F.lit(as_of).cast("timestamp").alias("changed_at")
+    )
     before = rules.join(edits.select("monitor_id"), "monitor_id", "left_semi")
     known = edits.join(rules.select("monitor_id"), "monitor_id", "left_semi")
     return after, history.unionByName(entry(before, "before")).unionByName(entry(known, "edit"))

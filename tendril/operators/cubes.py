@@ -10,7 +10,10 @@ from tendril.streaming.buckets import BucketTable
 
 
 def _cells(rows: DataFrame, by: dict[str, Column], measures: dict[str, Column], sign: int) -> DataFrame:
-    return rows.select(*[c.alias(n) for n, c in by.items()], F.lit(sign).cast("long").alias("n"), *[(F.coalesce(c, F.lit(0)) * sign).cast("decimal(38,4)").alias(n) for n, c in measures.items()])
+    return rows.select(
+        *[c.alias(n) for n, c in by.items()], F.lit(sign).cast("long").alias("n"),
+        *[(F.coalesce(c, F.lit(0)) * sign).cast("decimal(38,4)").alias(n) for n, c in measures.items()]
+    )
 
 
 def added_up(cells: DataFrame, by: list[str], measures: list[str]) -> DataFrame:

@@ -50,7 +50,10 @@ def upsert(current: DataFrame, batch: DataFrame, keys: list[str], as_of, policy:
 
     now = F.lit(as_of)
     plain = [c for c in current.columns if c not in keys and c not in ("first_seen", "last_seen")]
-    return joined.select(*keys, *map(merged, plain), F.coalesce("old_first_seen", now).alias("first_seen"), F.when(F.col("_new").isNotNull(), now).otherwise(F.col("old_last_seen")).alias("last_seen"))
+    return joined.select(
+        *keys, *map(merged, plain), F.coalesce("old_first_seen", now).alias("first_seen"),
+        F.when(F.col("_new").isNotNull(), now).otherwise(F.col("old_last_seen")).alias("last_seen")
+    )
 
 
 def classify(current: DataFrame, batch: DataFrame, keys: list[str], compare: list[str]) -> DataFrame:
@@ -71,7 +74,10 @@ def tracked_events(current: DataFrame, batch: DataFrame, keys: list[str], tracke
     none = F.lit(None).cast("string")
     event = lambda on, kind, field, a, b: F.when(on, F.struct(F.lit(kind).alias("type"), field.alias("field"), a.alias("old_value"), b.alias("new_value")))
     events = [event(F.col("_old").isNull(), "NOVO_REGISTRO", none, none, none)]
-    events += [event(F.col("_old").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"old_{c}")), kind, F.lit(c), F.col(f"old_{c}").cast("string"), F.col(c).cast("string")) for c, kind in tracked.items()]
+    events += [
+        event(F.col("_old").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"old_{c}")), kind, F.lit(c), F.col(f"old_{c}").cast("string"), F.col(c).cast("string"))
+        for c, kind in tracked.items()
+    ]
     return joined.select(*keys, F.explode(F.filter(F.array(*events), lambda e: e.isNotNull())).alias("e")).select(*keys, "e.*")
 
 
@@ -117,22 +123,32 @@ def state_diff(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame
     made = steps.where("counts").select("key", "seq", "is_new", "after")
     none = F.lit(None).cast("string")
     fresh = made.where("is_new").select("key", "seq", F.lit("NOVO_REGISTRO").alias("type"), none.alias("field"), none.alias("old_value"), none.alias("new_value"))
-    diffs = fields.where("changed").join(made.where(~F.col("is_new")).select("key", "seq"), ["key", "seq"], "left_semi").select("key", "seq", F.concat(F.upper("field"), F.lit("_ALTERADO")).alias("type"), "field", "old_value", F.col("value").alias("new_value"))
+    diffs = fields.where("changed").join(made.where(~F.col("is_new")).select("key", "seq"), ["key", "seq"], "left_semi").select(
+        "key", "seq", F.concat(F.upper("field"), F.lit("_ALTERADO")).alias("type"), "field", "old_value", F.col("value").alias("new_value")
+    )
     events = fresh.unionByName(diffs)
 
-    last = fields.groupBy("key", "field").agg(F.max_by("value", "seq").alias("value")).groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("data"))
+    last = fields.groupBy("key", "field").agg(F.max_by("value", "seq").alias("value")).groupBy("key").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("data")
+    )
     version = made.groupBy("key").agg(F.max("after").alias("after"))
     keys = rows.select("key").union(known.select("key")).distinct()
     empty = F.create_map().cast("map<string,string>")
-    after = keys.join(last, "key", "left").join(known, "key", "left").join(version, "key", "left").select("key", F.coalesce("data", empty).alias("data"), F.coalesce("after", "version").cast("long").alias("version"))
+    after = keys.join(last, "key", "left").join(known, "key", "left").join(version, "key", "left").select(
+        "key", F.coalesce("data", empty).alias("data"), F.coalesce("after", "version").cast("long").alias("version")
+    )
 
     # the document before a changed row: each field's last value before it, carried along the field's rows
-    closing = made.where(~F.col("is_new")).join(fields.select("key", "field").distinct(), "key").select("key", "field", "seq", F.lit(None).cast("struct<value: string>").alias("said"), F.lit(0).alias("_late"), "after")
+    closing = made.where(~F.col("is_new")).join(fields.select("key", "field").distinct(), "key").select(
+        "key", "field", "seq", F.lit(None).cast("struct<value: string>").alias("said"), F.lit(0).alias("_late"), "after"
+    )
     values = fields.select("key", "field", "seq", F.struct("value").alias("said"), F.lit(1).alias("_late"), F.lit(None).cast("long").alias("after"))
     upto = Window.partitionBy("key", "field").orderBy("seq", "_late").rowsBetween(Window.unboundedPreceding, -1)
     held = closing.unionByName(values).withColumn("held", F.last("said", ignorenulls=True).over(upto)).where(F.col("_late") == 0)
     entry = F.when(F.col("held").isNotNull(), F.struct("field", F.col("held.value").alias("value")))
-    closed = held.groupBy("key", "seq", "after").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("data")).select("key", F.col("seq").alias("closed_by"), "data", (F.col("after") - 1).cast("long").alias("version"))
+    closed = held.groupBy("key", "seq", "after").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("data")).select(
+        "key", F.col("seq").alias("closed_by"), "data", (F.col("after") - 1).cast("long").alias("version")
+    )
     return events, after, closed
 
 
@@ -147,7 +163,9 @@ def version_intervals(state: DataFrame, after: DataFrame, closed: DataFrame, tim
     begun = times.groupBy("key").agg(F.min_by("at", "seq").alias("_first"))
     known = state.select("key", F.lit(True).alias("_known"))
     closing = closed.join(times.select("key", F.col("seq").alias("closed_by"), F.col("at").alias("valid_to")), ["key", "closed_by"], "left")
-    every = closing.select("key", "version", "data", "valid_to").unionByName(after.select("key", "version", "data", F.lit(None).cast(times.schema["at"].dataType).alias("valid_to")))
+    every = closing.select("key", "version", "data", "valid_to").unionByName(
+        after.select("key", "version", "data", F.lit(None).cast(times.schema["at"].dataType).alias("valid_to"))
+    )
     every = every.join(begun, "key", "left").join(known, "key", "left")
     start = F.lag("valid_to").over(Window.partitionBy("key").orderBy("version"))
     return every.select("key", "version", "data", F.coalesce(start, F.when(F.col("_known").isNull(), F.col("_first"))).alias("valid_from"), "valid_to")
@@ -162,9 +180,17 @@ def as_of_join(moments: DataFrame, versions: DataFrame, keys: list[str], at: str
     Columns of ``versions`` other than the keys and ``valid_from`` are added.
     """
     added = [c for c in versions.columns if c not in (*keys, valid_from)]
-    one = moments.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_late"), F.struct(*moments.columns).alias("_row"), F.lit(None).cast(versions.select(F.struct(*added).alias("x")).schema["x"].dataType).alias("_version"))
-    other = versions.select(*keys, F.col(valid_from).alias("_at"), F.lit(0).alias("_late"), F.lit(None).cast(one.schema["_row"].dataType).alias("_row"), F.struct(*added).alias("_version"))
-    along = Window.partitionBy(*keys).orderBy(F.col("_at").asc_nulls_first(), "_late", F.col("_version").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = moments.select(
+        *keys, F.col(at).alias("_at"), F.lit(1).alias("_late"), F.struct(*moments.columns).alias("_row"),
+        F.lit(None).cast(versions.select(F.struct(*added).alias("x")).schema["x"].dataType).alias("_version")
+    )
+    other = versions.select(
+        *keys, F.col(valid_from).alias("_at"), F.lit(0).alias("_late"), F.lit(None).cast(one.schema["_row"].dataType).alias("_row"),
+        F.struct(*added).alias("_version")
+    )
+    along = Window.partitionBy(*keys).orderBy(
+        F.col("_at").asc_nulls_first(), "_late", F.col("_version").asc_nulls_first()
+    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = one.unionByName(other).withColumn("_held", F.last("_version", ignorenulls=True).over(along)).where(F.col("_late") == 1)
     return held.select("_row.*", *[F.col("_held")[c].alias(c) for c in added])
 

@@ -32,7 +32,9 @@ def top_suppliers(awards: DataFrame, contracts: DataFrame, supplier: str, item_k
     """Distinct awarded items and value by supplier, with the supplier's contracts, both summed before they meet."""
     a = awards.groupBy(supplier).agg(F.countDistinct(*item_key).alias("items"), money(value).alias("awarded"))
     c = contracts.groupBy(supplier).agg(F.count("*").alias("contracts"), money("contract_value").alias("contracted"))
-    return a.join(c, supplier, "left").select(supplier, "items", "awarded", F.coalesce("contracts", F.lit(0)).alias("contracts"), "contracted").orderBy(F.col("awarded").desc_nulls_last(), supplier).limit(n)
+    return a.join(c, supplier, "left").select(
+        supplier, "items", "awarded", F.coalesce("contracts", F.lit(0)).alias("contracts"), "contracted"
+    ).orderBy(F.col("awarded").desc_nulls_last(), supplier).limit(n)
 
 
 def by_modality(df: DataFrame, modality: str, value: str) -> DataFrame:
@@ -50,7 +52,9 @@ def monthly_market_cube(df: DataFrame, date: str, region: str, modality: str, es
 
 
 def monthly_supplier(awards: DataFrame, date: Column, supplier: str, name: str, region: str, value: str) -> DataFrame:
-    return awards.groupBy(month_of(date).alias("month"), F.col(supplier).alias("supplier"), F.col(region).alias("region")).agg(F.max(name).alias("name"), F.count("*").alias("awards"), money(value).alias("total_value"))
+    return awards.groupBy(
+        month_of(date).alias("month"), F.col(supplier).alias("supplier"), F.col(region).alias("region")
+    ).agg(F.max(name).alias("name"), F.count("*").alias("awards"), money(value).alias("total_value"))
 
 
 def price_memory(items: DataFrame, awards: DataFrame, item_key: list[str]) -> DataFrame:
@@ -78,7 +82,9 @@ def price_stats(prices: DataFrame, by: list[str], price: str = "price", least: i
 def month_grid(df: DataFrame, date: str) -> DataFrame:
     """Every month from the first to the last of ``date``."""
     ends = df.agg(F.min(date).cast("date").alias("lo"), F.max(date).cast("date").alias("hi"))
-    return ends.select(F.explode(F.expr("sequence(trunc(lo, 'MM'), trunc(hi, 'MM'), interval 1 month)")).alias("first_day")).select(F.date_format("first_day", "yyyy-MM").alias("month"), F.year("first_day").alias("year"))
+    return ends.select(
+        F.explode(F.expr("sequence(trunc(lo, 'MM'), trunc(hi, 'MM'), interval 1 month)")).alias("first_day")
+    ).select(F.date_format("first_day", "yyyy-MM").alias("month"), F.year("first_day").alias("year"))
 
 
 def year_coverage(df: DataFrame, date: str, children: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
@@ -119,7 +125,9 @@ def import_matrix(df: DataFrame, year: str, month: str, status: str, closed: lis
     """By year: the months' states as a map, counts by kind of state, and whether all are closed."""
     is_closed = F.col(status).isin(*closed)
     return df.groupBy(year).agg(
-        F.map_from_entries(F.array_sort(F.collect_set(F.struct(F.col(month), F.col(status))))).alias("states"), F.count("*").alias("months"), F.count_if(is_closed).alias("closed"), F.count_if(~is_closed).alias("open"), F.every(is_closed).alias("year_closed")
+        F.map_from_entries(
+            F.array_sort(F.collect_set(F.struct(F.col(month), F.col(status))))
+        ).alias("states"), F.count("*").alias("months"), F.count_if(is_closed).alias("closed"), F.count_if(~is_closed).alias("open"), F.every(is_closed).alias("year_closed")
     )
 
 
@@ -141,7 +149,12 @@ def last_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataF
 def source_health(runs: DataFrame, source: str, ended: str, ok: Column, ident: str, n: int = 8) -> DataFrame:
     """Runs, last success and the last ``n`` runs' results by source, newest first; runs that end together go by ``ident``."""
     totals = runs.groupBy(source).agg(F.count("*").alias("runs"), F.date_format(F.max(F.when(ok, F.col(ended))), "yyyy-MM-dd HH:mm:ss").alias("last_success"))
-    recent = last_n(runs.withColumn("_ok", ok), [source], [F.col(ended).desc(), F.col(ident).desc()], n).groupBy(source).agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct(ended, ident, F.col("_ok").cast("int").alias("ok"))))), lambda x: x["ok"].cast("string")), "").alias("recent"))
+    recent = last_n(runs.withColumn("_ok", ok), [source], [F.col(ended).desc(), F.col(ident).desc()], n).groupBy(source).agg(
+        F.array_join(
+            F.transform(F.reverse(F.array_sort(F.collect_list(F.struct(ended, ident, F.col("_ok").cast("int").alias("ok"))))), lambda x: x["ok"].cast("string")),
+            ""
+        ).alias("recent")
+    )
     return totals.join(recent, source)
 
 
@@ -155,7 +168,10 @@ def daily_report(kpis: DataFrame, day: str, names: list[str]) -> DataFrame:
 def month_vs_history(df: DataFrame, key: str, date: str, current: str) -> DataFrame:
     """The rows of month ``current`` against the mean of the other months, by key; no change without others."""
     months = df.groupBy(F.col(key), month_of(date).alias("month")).agg(F.count("*").alias("n"))
-    both = months.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("month") == current, F.col("n"))), F.lit(0)).alias("now"), F.avg(F.when(F.col("month") != current, F.col("n"))).alias("base"))
+    both = months.groupBy(key).agg(
+        F.coalesce(F.sum(F.when(F.col("month") == current, F.col("n"))), F.lit(0)).alias("now"),
+        F.avg(F.when(F.col("month") != current, F.col("n"))).alias("base")
+    )
     return both.select(key, "now", F.round("base", 4).alias("base"), F.when(F.col("base") > 0, F.round((F.col("now") - F.col("base")) / F.col("base") * 100, 1)).alias("delta_pct"))
 
 
@@ -169,7 +185,11 @@ def expiring(df: DataFrame, ends: str, key: str, as_of: str, days: int, n: int =
 def subscription_kpis(df: DataFrame, status: str, cycle: str, price: str) -> DataFrame:
     """Monthly recurring revenue of active rows (yearly prices by twelfths) and counts by status."""
     monthly = F.when(F.col(cycle) == "annual", F.col(price) / 12).otherwise(F.col(price))
-    return df.agg(F.count("*").alias("subscriptions"), F.count_if(F.col(status) == "active").alias("active"), F.count_if(F.col(status) == "trial").alias("trial"), F.count_if(F.col(status) == "cancelled").alias("cancelled"), money(F.when(F.col(status) == "active", F.round(monthly, 2))).alias("mrr"))
+    return df.agg(
+        F.count("*").alias("subscriptions"), F.count_if(F.col(status) == "active").alias("active"),
+        F.count_if(F.col(status) == "trial").alias("trial"), F.count_if(F.col(status) == "cancelled").alias("cancelled"),
+        money(F.when(F.col(status) == "active", F.round(monthly, 2))).alias("mrr")
+    )
 
 
 def status_counts(df: DataFrame, status: str) -> DataFrame:
@@ -200,7 +220,10 @@ def newest(df: DataFrame, when: str, ident: str, n: int) -> DataFrame:
 
 def run_summary(runs: DataFrame, kind: str, user: str, value: str) -> DataFrame:
     """Runs, users, runs without a value, and the exact total, by kind."""
-    return runs.groupBy(kind).agg(F.count("*").alias("runs"), F.countDistinct(user).alias("users"), F.count_if(F.col(value).isNull()).alias("without_value"), F.sum(F.col(value).cast("decimal(18,4)")).cast("double").alias("total"))
+    return runs.groupBy(kind).agg(
+        F.count("*").alias("runs"), F.countDistinct(user).alias("users"), F.count_if(F.col(value).isNull()).alias("without_value"),
+        F.sum(F.col(value).cast("decimal(18,4)")).cast("double").alias("total")
+    )
 
 
 def year_month_counts(df: DataFrame, date: str, years: DataFrame, name: str) -> DataFrame:

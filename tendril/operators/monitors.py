@@ -126,13 +126,19 @@ def remember(state: DataFrame, matches: DataFrame, rules: DataFrame, as_of, firs
     now = F.lit(as_of)
     old = state.select("monitor_id", "key", "first_seen", "last_seen", "last_checked", *[F.col(c).alias(f"old_{c}") for c in SNAPSHOT], F.lit(True).alias("known"))
     both = old.join(matches.select("monitor_id", "key", *SNAPSHOT, F.lit(True).alias("seen")), ["monitor_id", "key"], "full")
-    both = both.join(rules.select("monitor_id", _on("deserted").alias("_deserted"), _on("failed").alias("_failed"), silent(rules, first_run).alias("_silent")), "monitor_id", "left")
+    both = both.join(
+        rules.select("monitor_id", _on("deserted").alias("_deserted"), _on("failed").alias("_failed"), silent(rules, first_run).alias("_silent")),
+        "monitor_id", "left"
+    )
     changed = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in SNAPSHOT])
     both = both.withColumn("is_new", F.col("known").isNull()).withColumn("changed", F.col("known").isNotNull() & F.col("seen").isNotNull() & changed)
     kept = lambda c: F.when(F.col("seen").isNull(), F.col(f"old_{c}")).otherwise(F.col(c)).alias(c)
     last_seen = F.when(F.col("is_new") | F.col("changed"), now).otherwise(F.col("last_seen"))
     last_checked = F.when(F.col("seen").isNotNull(), now).otherwise(F.col("last_checked"))
-    after = both.select("monitor_id", "key", F.coalesce("first_seen", now).alias("first_seen"), last_seen.alias("last_seen"), last_checked.alias("last_checked"), *map(kept, SNAPSHOT))
+    after = both.select(
+        "monitor_id", "key", F.coalesce("first_seen", now).alias("first_seen"), last_seen.alias("last_seen"), last_checked.alias("last_checked"),
+        *map(kept, SNAPSHOT)
+    )
 
     soon = F.coalesce(F.col("closes") < now + F.expr("interval 48 hours"), F.lit(False))
     status = F.lower(F.coalesce("status", "status_source", F.lit("")))
@@ -148,10 +154,16 @@ def remember(state: DataFrame, matches: DataFrame, rules: DataFrame, as_of, firs
 
     offered = F.concat(money_label(F.col("value")), F.coalesce(F.concat(F.lit(" em "), F.col("state")), F.lit("")))
     alerts = F.array(
-        alert(F.col("is_new") & ~F.coalesce("_silent", F.lit(first_run)), "NEW_PROCUREMENT", F.when(soon, "critica").when(F.coalesce(F.col("value") >= 1_000_000, F.lit(False)), "alta").otherwise("media"), none, offered),
+        alert(
+            F.col("is_new") & ~F.coalesce("_silent", F.lit(first_run)), "NEW_PROCUREMENT",
+            F.when(soon, "critica").when(F.coalesce(F.col("value") >= 1_000_000, F.lit(False)), "alta").otherwise("media"), none, offered
+        ),
         alert(F.col("is_new") & deserted, "DESERTED", F.lit("media"), none, status),
         alert(F.col("is_new") & failed, "FAILED", F.lit("media"), none, status),
-        alert(differ("value"), "PRICE_CHANGE", F.when(F.coalesce(F.abs(pct) >= 20, F.lit(False)), "alta").otherwise("media"), money_label(F.col("old_value")), money_label(F.col("value")), pct),
+        alert(
+            differ("value"), "PRICE_CHANGE", F.when(F.coalesce(F.abs(pct) >= 20, F.lit(False)), "alta").otherwise("media"),
+            money_label(F.col("old_value")), money_label(F.col("value")), pct
+        ),
         alert(differ("closes"), "DEADLINE_CHANGED", F.when(soon, "critica").otherwise("alta"), F.date_format("old_closes", "yyyy-MM-dd"), F.date_format("closes", "yyyy-MM-dd")),
         alert(differ("status") | differ("awarded"), "PROCUREMENT_UPDATED", F.lit("media"), text("old_status"), text("status")),
     )
@@ -171,7 +183,9 @@ def raise_once(memory: DataFrame, found: DataFrame, entity: str, as_of, first_ru
     """
     known = memory.where(F.col("entity") == entity).select("monitor_id", "key")
     new = found.dropDuplicates(["monitor_id", "key"]).join(known, ["monitor_id", "key"], "left_anti")
-    after = memory.unionByName(new.select("monitor_id", F.lit(entity).alias("entity"), F.col("key").cast("string").alias("key"), F.lit(as_of).cast("timestamp").alias("first_seen")))
+    after = memory.unionByName(
+        new.select("monitor_id", F.lit(entity).alias("entity"), F.col("key").cast("string").alias("key"), F.lit(as_of).cast("timestamp").alias("first_seen"))
+    )
     if rules is None or "first_run" not in rules.columns:
         return after, new.limit(0) if first_run else new
     quiet = rules.where(silent(rules, first_run)).select("monitor_id")
@@ -189,7 +203,9 @@ def award_alerts(matches: DataFrame, awards: DataFrame, rules: DataFrame) -> Dat
     keyed = keyed.groupBy("key", "item", "supplier").agg(F.min("details").alias("details"))
     won = matches.select("monitor_id", "key").join(keyed, "key").withColumn("key", F.concat_ws(":", "key", "item", F.coalesce("supplier", F.lit("?"))))
     watched = F.coalesce(F.array_contains("suppliers", F.col("supplier")), F.lit(False))
-    return won.join(rules.select("monitor_id", "suppliers"), "monitor_id").select("monitor_id", "key", F.lit("NEW_WINNER").alias("type"), F.when(watched, "alta").otherwise("media").alias("importance"), "details")
+    return won.join(rules.select("monitor_id", "suppliers"), "monitor_id").select(
+        "monitor_id", "key", F.lit("NEW_WINNER").alias("type"), F.when(watched, "alta").otherwise("media").alias("importance"), "details"
+    )
 
 
 def expiring_contract_alerts(contracts: DataFrame, rules: DataFrame, as_of, states: bool = True) -> DataFrame:
@@ -202,7 +218,9 @@ def expiring_contract_alerts(contracts: DataFrame, rules: DataFrame, as_of, stat
     day = F.to_date(F.lit(as_of))
     asked = F.coalesce("contract_days", F.lit(CONTRACT_DAYS))
     longest = rules.agg(F.max(asked)).first()[0] or 0
-    soon = contracts.where(F.to_date("ends").between(day, F.date_add(day, longest))).withColumns({"_folded": fold_accents(F.col("text"), True), "days_left": F.datediff(F.col("ends"), day)})
+    soon = contracts.where(F.to_date("ends").between(day, F.date_add(day, longest))).withColumns(
+        {"_folded": fold_accents(F.col("text"), True), "days_left": F.datediff(F.col("ends"), day)}
+    )
     on = _on("contracts") & (F.col("days_left") <= asked) & (_off_or("states", F.array_contains("states", F.col("state"))) if states else F.lit(True))
     found = met(soon, _ready(rules), on, state="state" if states else None, supplier="supplier", terms_needed=True)
     importance = F.when(F.col("days_left") <= NEAR_DAYS, "alta").otherwise("media")
@@ -216,7 +234,10 @@ CONTRACT_SOURCES = {"contracts": ("pncp:", True), "contracts_gov": ("gov:", Fals
 
 def contract_alerts(tables: dict[str, DataFrame], rules: DataFrame, as_of) -> DataFrame:
     """Expiring contracts of all sources that ``tables`` has, with the source's mark before the key."""
-    found = [expiring_contract_alerts(tables[n].withColumn("key", F.concat(F.lit(mark), F.col("key").cast("string"))), rules, as_of, states) for n, (mark, states) in CONTRACT_SOURCES.items() if n in tables]
+    found = [
+        expiring_contract_alerts(tables[n].withColumn("key", F.concat(F.lit(mark), F.col("key").cast("string"))), rules, as_of, states) for n,
+        (mark, states) in CONTRACT_SOURCES.items() if n in tables
+    ]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -259,7 +280,10 @@ ALERT = ("monitor_id", "key", "type", "importance", "details")
 
 def told(alerts: DataFrame) -> DataFrame:
     """Alerts of changed matches in the columns that all alerts have."""
-    return alerts.select("monitor_id", F.col("key").cast("string").alias("key"), "type", "importance", F.to_json(F.struct(F.col("old_text").alias("before"), F.col("new_text").alias("after"), "pct")).alias("details"))
+    return alerts.select(
+        "monitor_id", F.col("key").cast("string").alias("key"), "type", "importance",
+        F.to_json(F.struct(F.col("old_text").alias("before"), F.col("new_text").alias("after"), "pct")).alias("details")
+    )
 
 
 #: What alerts are called, by type.
@@ -306,7 +330,9 @@ def titled(alerts: DataFrame, as_of) -> DataFrame:
 def once_found(tables: dict[str, DataFrame], matches: DataFrame, rules: DataFrame, as_of) -> dict[str, DataFrame]:
     """By entity what the rules find in the other tables that there are, in the columns of ``ALERT``."""
     kinds = {
-        "award": ("awards" in tables, lambda: award_alerts(matches, tables["awards"], rules)), "contract": (any(n in tables for n in CONTRACT_SOURCES), lambda: contract_alerts(tables, rules, as_of)),
+        "award": ("awards" in tables, lambda: award_alerts(matches, tables["awards"], rules)), "contract": (
+            any(n in tables for n in CONTRACT_SOURCES), lambda: contract_alerts(tables, rules, as_of)
+        ),
         "register": ("registers" in tables, lambda: register_alerts(tables["registers"], rules)), "plan": ("plans" in tables, lambda: plan_alerts(tables["plans"], rules)),
     }
     return {entity: found().withColumn("key", F.col("key").cast("string")).select(*ALERT) for entity, (there, found) in kinds.items() if there}
@@ -316,7 +342,9 @@ def price_quartiles(matches: DataFrame, awards: DataFrame) -> DataFrame:
     """Quartiles and number of the positive awarded unit prices (``unit_price``) on each monitor's tenders."""
     prices = matches.select("monitor_id", "key").join(awards.where(F.col("unit_price") > 0).select("key", "unit_price"), "key")
     counts = prices.groupBy("monitor_id").agg(F.count("*").alias("prices"))
-    return counts.join(exact_quantiles(prices, ["monitor_id"], "unit_price", [0.25, 0.5, 0.75]), "monitor_id").select("monitor_id", "prices", *[F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("p25", "median_price", "p75"))])
+    return counts.join(exact_quantiles(prices, ["monitor_id"], "unit_price", [0.25, 0.5, 0.75]), "monitor_id").select(
+        "monitor_id", "prices", *[F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("p25", "median_price", "p75"))]
+    )
 
 
 def _counted(matches: DataFrame, by: Column, name: str) -> DataFrame:
@@ -344,9 +372,13 @@ def baseline(matches: DataFrame, awards: DataFrame) -> DataFrame:
     )
     medians = exact_quantiles(matches.where(F.col("value") > 0), ["monitor_id"], "value", [0.5]).select("monitor_id", F.col("q")[0].alias("median_value"))
     m = m.join(medians, "monitor_id", "left")
-    per = matches.select("monitor_id", "key").join(awards.select("key", "supplier"), "key").groupBy("monitor_id", "key").agg(F.countDistinct("supplier").alias("n")).groupBy("monitor_id").agg(F.round(F.avg("n"), 4).alias("competition"))
+    per = matches.select("monitor_id", "key").join(awards.select("key", "supplier"), "key").groupBy("monitor_id", "key").agg(F.countDistinct("supplier").alias("n")).groupBy("monitor_id").agg(
+        F.round(F.avg("n"), 4).alias("competition")
+    )
     agencies = matches.where(F.col("agency").isNotNull()).groupBy("monitor_id", "agency").agg(F.count("*").alias("n"))
-    agencies = last_n(agencies, ["monitor_id"], [F.desc("n"), F.col("agency")], 10).groupBy("monitor_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("agency", "n")))).alias("agencies"))
+    agencies = last_n(agencies, ["monitor_id"], [F.desc("n"), F.col("agency")], 10).groupBy("monitor_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("agency", "n")))).alias("agencies")
+    )
     out = m.join(per, "monitor_id", "left")
     for part in (price_quartiles(matches, awards), _counted(matches, F.date_format("published", "yyyy-MM"), "by_month"), _counted(matches, F.col("state"), "by_state"), agencies):
         out = out.join(part, "monitor_id", "left")
@@ -433,7 +465,9 @@ def match_by_token(records: DataFrame, key: str, text: str, rules: DataFrame) ->
     """
     words = lambda c: F.array_distinct(F.filter(F.split(fold_accents(c, True), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1))
     tokens = records.select(F.col(key).alias("key"), words(F.col(text)).alias("_words"))
-    terms = rules.select("monitor_id", F.explode(effective_terms(F.col("include"), F.col("approved"))).alias("_t")).select("monitor_id", words(F.col("_t")).alias("_need")).where(F.size("_need") > 0)
+    terms = rules.select(
+        "monitor_id", F.explode(effective_terms(F.col("include"), F.col("approved"))).alias("_t")
+    ).select("monitor_id", words(F.col("_t")).alias("_need")).where(F.size("_need") > 0)
     by_word = tokens.select("key", "_words", F.explode("_words").alias("_w"))
     wanted = terms.select(F.explode("_need").alias("_w")).distinct()
     counts = by_word.select("_w").join(wanted, "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_n"))

@@ -16,8 +16,13 @@ def issues(df: DataFrame, entity: str, key: str, rules: dict[str, tuple[str, Col
     ``rules``: problem to (field, condition of being broken); an unknown condition
     is not broken.
     """
-    made = [F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(problem).alias("problem"), F.col(field).cast("string").alias("value"))) for problem, (field, bad) in rules.items()]
-    return df.select(F.lit(entity).alias("entity"), F.col(key).cast("string").alias("key"), F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("i")).select("entity", "key", "i.*")
+    made = [
+        F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(problem).alias("problem"), F.col(field).cast("string").alias("value")))
+        for problem, (field, bad) in rules.items()
+    ]
+    return df.select(
+        F.lit(entity).alias("entity"), F.col(key).cast("string").alias("key"), F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("i")
+    ).select("entity", "key", "i.*")
 
 
 def coverage_mismatch(files: DataFrame, least: float = 0.98) -> DataFrame:
@@ -59,7 +64,10 @@ def threshold_alerts(series: DataFrame, keys: list[str], order: list[str], pct:
 
 def source_status(runs: DataFrame, source: str, rows: str, errors: str, ended: str) -> DataFrame:
     """``TEMPORARILY_UNAVAILABLE`` where the last run had errors and no rows, else ``ACTIVE``; with the last success."""
-    last = runs.groupBy(source).agg(F.max_by(F.struct(F.col(rows).alias("r"), F.col(errors).alias("e")), F.col(ended)).alias("x"), F.max(F.when(F.col(errors) == 0, F.col(ended))).alias("last_success"))
+    last = runs.groupBy(source).agg(
+        F.max_by(F.struct(F.col(rows).alias("r"), F.col(errors).alias("e")), F.col(ended)).alias("x"),
+        F.max(F.when(F.col(errors) == 0, F.col(ended))).alias("last_success")
+    )
     return last.select(source, F.when((F.col("x.e") > 0) & (F.col("x.r") == 0), "TEMPORARILY_UNAVAILABLE").otherwise("ACTIVE").alias("status"), "last_success")
 
 

@@ -52,7 +52,9 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, points: list[float
     at = [F.lit(float(p)) * (F.col("_n") - 1) for p in points]
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(a), F.ceil(a)) for a in at])))
     nothing = F.lit(None).cast("double")
-    wanted = checkpointed(large.select(*names, F.explode(ranks).alias("_rank"), nothing.alias("_lo"), nothing.alias("_hi"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_in")))
+    wanted = checkpointed(
+        large.select(*names, F.explode(ranks).alias("_rank"), nothing.alias("_lo"), nothing.alias("_hi"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_in"))
+    )
     done = []
     cuts = [k / CUTS for k in range(1, CUTS)]
     while True:
@@ -64,24 +66,36 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, points: list[float
         ranges = named(wanted.select(*names, "_lo", "_hi").distinct(), "b")
         held = inside.join(F.broadcast(ranges), [*same("b"), (F.col("_lo").isNull()) | F.col("_v").between(F.col("_lo"), F.col("_hi"))])
         pivots = held.groupBy(*names, "_lo", "_hi").agg(F.array_distinct(F.percentile_approx("_v", cuts, 20 * CUTS)).alias("_p"))
-        parts = held.select(*names, "_lo", "_hi", "_v").join(F.broadcast(named(pivots, "p").withColumnsRenamed({"_lo": "_plo", "_hi": "_phi"})), [*same("p"), F.col("_lo").eqNullSafe(F.col("_plo")), F.col("_hi").eqNullSafe(F.col("_phi"))])
+        parts = held.select(*names, "_lo", "_hi", "_v").join(
+            F.broadcast(named(pivots, "p").withColumnsRenamed({"_lo": "_plo", "_hi": "_phi"})),
+            [*same("p"), F.col("_lo").eqNullSafe(F.col("_plo")), F.col("_hi").eqNullSafe(F.col("_phi"))]
+        )
         # a pivot's own value is a part by itself, so that a range always shrinks
         part = F.size(F.filter("_p", lambda p: p < F.col("_v"))) + F.size(F.filter("_p", lambda p: p <= F.col("_v")))
         counted = parts.groupBy(*names, "_lo", "_hi", part.alias("_part")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
         before = F.sum("_c").over(Window.partitionBy(*names, "_lo", "_hi").orderBy("_part")) - F.col("_c")
         counted = named(counted.withColumn("_before", before), "c").withColumnsRenamed({"_lo": "_clo", "_hi": "_chi"})
-        there = [*same("c"), F.col("_lo").eqNullSafe(F.col("_clo")), F.col("_hi").eqNullSafe(F.col("_chi")), F.col("_rank") >= F.col("_below") + F.col("_before"), F.col("_rank") < F.col("_below") + F.col("_before") + F.col("_c")]
+        there = [
+            *same("c"), F.col("_lo").eqNullSafe(F.col("_clo")), F.col("_hi").eqNullSafe(F.col("_chi")), F.col("_rank") >= F.col("_below")
+            + F.col("_before"), F.col("_rank") < F.col("_below") + F.col("_before") + F.col("_c")
+        ]
         found = wanted.join(counted, there)
-        wanted = checkpointed(found.select(*names, "_rank", F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), (F.col("_below") + F.col("_before")).alias("_below"), F.col("_c").alias("_in")))
+        wanted = checkpointed(
+            found.select(*names, "_rank", F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), (F.col("_below") + F.col("_before")).alias("_below"), F.col("_c").alias("_in"))
+        )
     settled = done[0]
     for more in done[1:]:
         settled = settled.unionByName(more)
     equal = settled.where(F.col("_lo") == F.col("_hi")).select(*names, "_rank", F.col("_lo").alias("_x"))
     few = settled.where(F.col("_lo").isNull() | (F.col("_lo") != F.col("_hi")))
     ends = named(few.select(*names, "_lo", "_hi").distinct(), "b")
-    lists = inside.join(F.broadcast(ends), [*same("b"), F.col("_v").between(F.col("_lo"), F.col("_hi"))]).groupBy(*names, "_lo", "_hi").agg(F.sort_array(F.collect_list("_v")).alias("_all"))
+    lists = inside.join(
+        F.broadcast(ends), [*same("b"), F.col("_v").between(F.col("_lo"), F.col("_hi"))]
+    ).groupBy(*names, "_lo", "_hi").agg(F.sort_array(F.collect_list("_v")).alias("_all"))
     lists = named(lists, "l").withColumnsRenamed({"_lo": "_llo", "_hi": "_lhi"})
-    picked = few.join(lists, [*same("l"), F.col("_lo") == F.col("_llo"), F.col("_hi") == F.col("_lhi")]).select(*names, "_rank", F.get("_all", (F.col("_rank") - F.col("_below")).cast("int")).alias("_x"))
+    picked = few.join(lists, [*same("l"), F.col("_lo") == F.col("_llo"), F.col("_hi") == F.col("_lhi")]).select(
+        *names, "_rank", F.get("_all", (F.col("_rank") - F.col("_below")).cast("int")).alias("_x")
+    )
     held = equal.unionByName(picked).groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_at"))
     held = named(large, "s").join(held, [F.col(f"s{n}").eqNullSafe(F.col(n)) for n in names])
     each = [_interpolated(F.col("_at")[F.floor(a)], F.col("_at")[F.ceil(a)], a) for a in at]

@@ -16,7 +16,10 @@ def links_by_official_id(sources: dict[str, tuple[DataFrame, str, str]], prefix:
     """
     rows = None
     for name, (df, key, official) in sources.items():
-        one = df.where(F.col(official).isNotNull()).select(F.concat_ws(":", F.lit(prefix), F.col(official).cast("string")).alias("canonical_key"), F.lit(name).alias("source"), F.col(key).cast("string").alias("record_key")).distinct()
+        one = df.where(F.col(official).isNotNull()).select(
+            F.concat_ws(":", F.lit(prefix), F.col(official).cast("string")).alias("canonical_key"), F.lit(name).alias("source"),
+            F.col(key).cast("string").alias("record_key")
+        ).distinct()
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
@@ -25,7 +28,10 @@ def value_conflicts(left: DataFrame, right: DataFrame, key: str, value: str, sou
     """Entities for which both sides have a value and the values differ, unless recorded already; nothing is overwritten."""
     b = right.select(key, F.col(value).alias("_new"))
     found = left.select(key, F.col(value).alias("_old")).join(b, key).where(F.col("_old").isNotNull() & F.col("_new").isNotNull() & (F.col("_old") != F.col("_new")))
-    out = found.select(key, F.lit(value).alias("field"), F.col("_old").alias("old_value"), F.col("_new").alias("new_value"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))
+    out = found.select(
+        key, F.lit(value).alias("field"), F.col("_old").alias("old_value"), F.col("_new").alias("new_value"), F.lit(source).alias("source"),
+        F.lit(confidence).alias("confidence")
+    )
     return out if known is None else out.join(known.select(key, "field", "source"), [key, "field", "source"], "left_anti")
 
 
@@ -66,7 +72,10 @@ def resolve_by_name_number(records: DataFrame, candidates: DataFrame, source: st
     state = F.nullif(F.regexp_replace(place, "^.*-", ""), F.lit(""))
     city = F.nullif(F.upper(fold_accents(F.trim(F.split_part(place, F.lit("-"), F.lit(1))), True)), F.lit(""))
     todo = todo.withColumns({"_name": agency_name(F.col("agency")), "_number": process_number(F.col("number"))})
-    named = candidates.select("canonical_key", agency_name(F.col("agency")).alias("_name"), purchase_number(F.col("purchase_no")).alias("_purchase"), process_number(F.col("process_no")).alias("_process"))
+    named = candidates.select(
+        "canonical_key", agency_name(F.col("agency")).alias("_name"), purchase_number(F.col("purchase_no")).alias("_purchase"),
+        process_number(F.col("process_no")).alias("_process")
+    )
     usable = todo.where((F.col("_name") != "") & F.col("_number").isNotNull())
     hits = None
     for number in ("_purchase", "_process"):
@@ -93,7 +102,9 @@ def queue_reviews(open_reviews: DataFrame, new: DataFrame, keys: list[str]) -> D
 
 def canonical_by_document(df: DataFrame, dataset: str, document: str, key: str) -> DataFrame:
     """Sanctioned parties are known by the dataset and their document."""
-    return df.where(F.col(document).isNotNull()).select(F.concat_ws(":", F.lit(dataset), F.col(document).cast("string")).alias("canonical_key"), F.col(key).cast("string").alias("record_key")).distinct()
+    return df.where(F.col(document).isNotNull()).select(
+        F.concat_ws(":", F.lit(dataset), F.col(document).cast("string")).alias("canonical_key"), F.col(key).cast("string").alias("record_key")
+    ).distinct()
 
 
 def mark_possible_duplicates(df: DataFrame, key: str) -> DataFrame:
@@ -107,4 +118,9 @@ def merge_placeholders(registry: DataFrame, pairs: DataFrame, key: str, url: str
     todo = pairs.join(real, "real").select(F.col("placeholder").alias(key), "_url")
     joined = registry.join(todo, key, "left")
     there = F.col("_url").isNotNull()
-    return joined.select(*[F.when(there, F.col("_url")).otherwise(F.col(c)).alias(c) if c == url else F.when(there, "DISCONTINUED").otherwise(F.col(c)).alias(c) if c == status else F.col(c) for c in registry.columns])
+    return joined.select(
+        *[
+            F.when(there, F.col("_url")).otherwise(F.col(c)).alias(c) if c == url else F.when(there, "DISCONTINUED").otherwise(F.col(c)).alias(c)
+            if c == status else F.col(c) for c in registry.columns
+        ]
+    )

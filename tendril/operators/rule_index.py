@@ -96,7 +96,10 @@ def _parts(rules: DataFrame, *how, bit: int = 0) -> Iterator[tuple[DataFrame, li
         yield from _parts(rules.where(side == k), *how, bit=bit + 1)
 
 
-def met(records: DataFrame, rules: DataFrame, on: Column, *, folded: str = "_folded", state: str | None = None, agency: str | None = None, supplier: str | None = None, terms_needed: bool = False, counts: DataFrame | None = None) -> DataFrame:
+def met(
+    records: DataFrame, rules: DataFrame, on: Column, *, folded: str = "_folded", state: str | None = None, agency: str | None = None, supplier: str
+    | None = None, terms_needed: bool = False, counts: DataFrame | None = None
+) -> DataFrame:
     """``records`` with each rule for which ``on`` and its terms hold, each pair once.
 
     ``state``, ``agency`` and ``supplier`` name columns of ``records`` that the rules'

@@ -15,7 +15,9 @@ def partition_plan(sources: DataFrame, start: str, end: str, done: DataFrame | N
     opened; then the priority counts, then the recent months.  A source may have several
     priorities, each for a data set of its own.
     """
-    grid = sources.withColumn("first_day", F.explode(F.expr(f"sequence(date'{start}', date'{end}', interval 1 month)"))).select("source", "priority", F.year("first_day").alias("year"), F.month("first_day").alias("month"))
+    grid = sources.withColumn("first_day", F.explode(F.expr(f"sequence(date'{start}', date'{end}', interval 1 month)"))).select(
+        "source", "priority", F.year("first_day").alias("year"), F.month("first_day").alias("month")
+    )
     if done is not None:
         grid = grid.join(done.select("source", "year", "month", "status"), ["source", "year", "month"], "left").where(~F.col("status").eqNullSafe("COMPLETE"))
     else:

@@ -48,7 +48,9 @@ def rules(spark):
 
 
 def _records(spark, d):
-    names = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("p_name")), " ").alias("text"))
+    names = table(spark, d, "lineitem").join(
+        table(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")
+    ).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("p_name")), " ").alias("text"))
     t = tenders(spark, d).join(names, F.col("o_orderkey") == F.col("l_orderkey"))
     return t.select(
         F.col("o_orderkey").alias("key"), "text", F.col("n_name").alias("state"), F.col("c_name").alias("city"), F.col("c_name").alias("agency"), F.col("o_orderpriority").alias("modality"),
@@ -58,7 +60,9 @@ def _records(spark, d):
 
 
 def _items(spark, d):
-    return table(spark, d, "lineitem").where(F.col("l_quantity") > 0).select(F.col("l_orderkey").alias("key"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"), F.col("l_partkey").alias("code"))
+    return table(spark, d, "lineitem").where(F.col("l_quantity") > 0).select(
+        F.col("l_orderkey").alias("key"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"), F.col("l_partkey").alias("code")
+    )
 
 
 def matches(spark, d):
@@ -125,7 +129,11 @@ def monitor_matches(spark, d):
 
 
 def _awards(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("item"), F.col("l_suppkey").alias("supplier"), F.col("l_extendedprice").alias("award_value"), F.when(F.col("l_quantity") > 0, F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"))
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("item"), F.col("l_suppkey").alias("supplier"),
+        F.col("l_extendedprice").alias("award_value"),
+        F.when(F.col("l_quantity") > 0, F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price")
+    )
 
 
 def _as_text(column: str) -> Column:
@@ -137,15 +145,19 @@ def _map_sql(name: str, by: str, table_: str = "matches") -> str:
     return f"{name} AS (SELECT monitor_id, string_agg(k || '=' || n, ',' ORDER BY k) AS {name} FROM (SELECT monitor_id, {by} AS k, count(*) AS n FROM {table_} GROUP BY 1, 2) WHERE k IS NOT NULL GROUP BY 1)"
 
 
-@query("monitor_baseline", f"""WITH {_RECORDS}, per AS (SELECT monitor_id, round(avg(n), 4) AS competition FROM (SELECT monitor_id, key, count(DISTINCT l_suppkey) AS n FROM matches JOIN lineitem ON l_orderkey = key GROUP BY 1, 2) GROUP BY 1),
+@query("monitor_baseline", f"""WITH {_RECORDS}, per AS (SELECT monitor_id, round(avg(n), 4) AS competition
+   FROM (SELECT monitor_id, key, count(DISTINCT l_suppkey) AS n FROM matches JOIN lineitem ON l_orderkey = key GROUP BY 1, 2) GROUP BY 1),
  p AS (SELECT monitor_id, l_extendedprice / l_quantity AS u FROM matches JOIN lineitem ON l_orderkey = key WHERE l_quantity > 0 AND l_extendedprice / l_quantity > 0),
  q AS (SELECT monitor_id, count(*) AS prices, round(quantile_cont(u, 0.25), 4) AS p25, round(quantile_cont(u, 0.5), 4) AS median_price, round(quantile_cont(u, 0.75), 4) AS p75 FROM p GROUP BY 1),
- ag AS (SELECT monitor_id, agency, count(*) AS n, row_number() OVER (PARTITION BY monitor_id ORDER BY count(*) DESC, agency) AS place FROM matches WHERE agency IS NOT NULL GROUP BY 1, 2),
- agencies AS (SELECT monitor_id, string_agg(agency || '=' || n, ',' ORDER BY agency) AS agencies FROM ag WHERE place <= 10 GROUP BY 1), {_map_sql('by_month', "strftime(closes, '%Y-%m')")}, {_map_sql('by_state', 'state')}
+ ag AS (SELECT monitor_id, agency, count(*) AS n, row_number() OVER (PARTITION BY monitor_id ORDER BY count(*) DESC, agency) AS place FROM matches
+   WHERE agency IS NOT NULL GROUP BY 1, 2),
+ agencies AS (SELECT monitor_id, string_agg(agency || '=' || n, ',' ORDER BY agency) AS agencies FROM ag WHERE place <= 10
+   GROUP BY 1), {_map_sql('by_month', "strftime(closes, '%Y-%m')")}, {_map_sql('by_state', 'state')}
  SELECT m.monitor_id, count(*) AS sample, strftime(min(closes), '%Y-%m-%d') AS first, strftime(max(closes), '%Y-%m-%d') AS last, {_d('value')} AS total_value, round(quantile_cont(value, 0.5) FILTER (value > 0), 4) AS median_value,
  count(*) FILTER (lower(coalesce(status, status_source)) LIKE '%desert%') AS deserted, count(*) FILTER (lower(coalesce(status, status_source)) LIKE '%fracass%') AS failed, any_value(competition) AS competition,
  any_value(prices) AS prices, any_value(p25) AS p25, any_value(median_price) AS median_price, any_value(p75) AS p75, any_value(by_month) AS by_month, any_value(by_state) AS by_state, any_value(agencies) AS agencies
- FROM matches m LEFT JOIN per USING (monitor_id) LEFT JOIN q USING (monitor_id) LEFT JOIN by_month USING (monitor_id) LEFT JOIN by_state USING (monitor_id) LEFT JOIN agencies USING (monitor_id) GROUP BY 1""")
+ FROM matches m LEFT JOIN per USING (monitor_id) LEFT JOIN q USING (monitor_id) LEFT JOIN by_month USING (monitor_id) LEFT
+   JOIN by_state USING (monitor_id) LEFT JOIN agencies USING (monitor_id) GROUP BY 1""")
 def monitor_baseline(spark, d):
     b = M.baseline(matches(spark, d), _awards(spark, d)).withColumn("median_value", F.round("median_value", 4))
     return b.withColumns({c: _as_text(c) for c in ("by_month", "by_state", "agencies")}).drop("method")
@@ -195,14 +207,20 @@ def _alerts_sql(now: str) -> str:
     st = "lower(coalesce(s1, status_source, ''))"
     watch = {name: f"monitor_id NOT IN ({', '.join(str(r['monitor_id']) for r in RULES if r[name] is False)})" for name in ("deserted", "failed")}
     deserted = f"({watch['deserted']} AND {st} LIKE '%desert%')"
-    return f"""{_RECORDS}, records2 AS (SELECT * REPLACE (CASE WHEN key % 5 = 0 THEN value * 1.25 ELSE value END AS value, CASE WHEN key % 7 = 0 THEN closes + INTERVAL 10 DAY ELSE closes END AS closes,
-  CASE WHEN key % 11 = 0 THEN 'FRACASSADA' WHEN key % 13 = 0 THEN 'deserta' ELSE status END AS status, CASE WHEN key % 23 = 0 THEN agency || '*' ELSE agency END AS agency), key % 17 = 0 AND value IS NOT NULL AS aw FROM records),
+    return f"""{_RECORDS}, records2 AS (SELECT * REPLACE (CASE WHEN key % 5 = 0 THEN value * 1.25 ELSE value END AS value,
+   CASE WHEN key % 7 = 0 THEN closes + INTERVAL 10 DAY ELSE closes END AS closes,
+  CASE WHEN key % 11 = 0 THEN 'FRACASSADA' WHEN key % 13 = 0 THEN 'deserta' ELSE status END AS status, CASE WHEN key % 23 = 0 THEN agency || '*'
+   ELSE agency END AS agency), key % 17 = 0 AND value IS NOT NULL AS aw FROM records),
  matches2 AS ({_all_rules('records2')}), before AS (SELECT monitor_id, key, status AS s0, value AS v0, closes AS c0, agency AS a0 FROM matches WHERE key % 3 <> 0),
  later AS (SELECT n.monitor_id, n.key, n.state, n.status AS s1, n.status_source, n.value AS v1, n.closes AS c1, n.agency AS a1, aw, s0, v0, c0, a0, b.key IS NULL AS is_new FROM matches2 n LEFT JOIN before b USING (monitor_id, key)),
- alerts AS (SELECT monitor_id, key, 'NEW_PROCUREMENT' AS type, CASE WHEN {soon} THEN 'critica' WHEN v1 >= 1000000 THEN 'alta' ELSE 'media' END AS importance, {_money('v1')} || coalesce(' em ' || state, '') AS new_text FROM later WHERE is_new
- UNION ALL SELECT monitor_id, key, 'DESERTED', 'media', {st} FROM later WHERE is_new AND {deserted} UNION ALL SELECT monitor_id, key, 'FAILED', 'media', {st} FROM later WHERE is_new AND NOT {deserted} AND {watch['failed']} AND {st} LIKE '%fracass%'
- UNION ALL SELECT monitor_id, key, 'PRICE_CHANGE', CASE WHEN v0 > 0 AND abs(round((v1 - v0) / v0 * 100, 1)) >= 20 THEN 'alta' ELSE 'media' END, {_money('v1')} FROM later WHERE NOT is_new AND v1 IS DISTINCT FROM v0
- UNION ALL SELECT monitor_id, key, 'DEADLINE_CHANGED', CASE WHEN {soon} THEN 'critica' ELSE 'alta' END, strftime(c1, '%Y-%m-%d') FROM later WHERE NOT is_new AND c1 IS DISTINCT FROM c0
+ alerts AS (SELECT monitor_id, key, 'NEW_PROCUREMENT' AS type, CASE WHEN {soon} THEN 'critica' WHEN v1 >= 1000000 THEN 'alta'
+   ELSE 'media' END AS importance, {_money('v1')} || coalesce(' em ' || state, '') AS new_text FROM later WHERE is_new
+ UNION ALL SELECT monitor_id, key, 'DESERTED', 'media', {st} FROM later WHERE is_new AND {deserted} UNION ALL
+   SELECT monitor_id, key, 'FAILED', 'media', {st} FROM later WHERE is_new AND NOT {deserted} AND {watch['failed']} AND {st} LIKE '%fracass%'
+ UNION ALL SELECT monitor_id, key, 'PRICE_CHANGE', CASE WHEN v0 > 0 AND abs(round((v1 - v0) / v0 * 100, 1)) >= 20 THEN 'alta'
+   ELSE 'media' END, {_money('v1')} FROM later WHERE NOT is_new AND v1 IS DISTINCT FROM v0
+ UNION ALL SELECT monitor_id, key, 'DEADLINE_CHANGED', CASE WHEN {soon} THEN 'critica' ELSE 'alta' END, strftime(c1, '%Y-%m-%d') FROM later
+   WHERE NOT is_new AND c1 IS DISTINCT FROM c0
  UNION ALL SELECT monitor_id, key, 'PROCUREMENT_UPDATED', 'media', s1 FROM later WHERE NOT is_new AND (s1 IS DISTINCT FROM s0 OR aw))"""
 
 
@@ -218,18 +236,26 @@ def fleet_sql(evaluated: dict[int, tuple[int, ...]], ticks: list[datetime]) -> s
     bases = [f"{first} WHERE key % 3 <> 0", f"{later} WHERE key % 2 = 0 UNION ALL {first} WHERE key % 2 = 1 AND key % 3 <> 0", later]
     now = [f"TIMESTAMP '{t}'" for t in ticks]
     rules_ = {r["monitor_id"]: r for r in RULES}
-    hits = " UNION ALL ".join(f"SELECT {n} AS tick, {now[n]} AS now, {n == when[0]} AS silent, * FROM ({_rule_sql(rules_[k], f'base{n}', now[n])})" for k, when in evaluated.items() for n in when)
+    hits = " UNION ALL ".join(
+        f"SELECT {n} AS tick, {now[n]} AS now, {n == when[0]} AS silent, * FROM ({_rule_sql(rules_[k], f'base{n}', now[n])})" for k,
+        when in evaluated.items() for n in when
+    )
     watch = {name: f"monitor_id NOT IN ({', '.join(str(r['monitor_id']) for r in RULES if r[name] is False)})" for name in ("deserted", "failed")}
     st, soon = "lower(coalesce(status, status_source, ''))", "closes < now + INTERVAL 48 HOUR"
     deserted = f"({watch['deserted']} AND {st} LIKE '%desert%')"
     b = ", ".join(f"base{n} AS ({x})" for n, x in enumerate(bases))
     before = ", ".join(f"lag({c}) OVER w AS {o}" for c, o in (("status", "s0"), ("value", "v0"), ("closes", "c0"), ("aw", "a0")))
-    return f"""WITH {_TEXTS}, {b}, hits AS ({hits}), later AS (SELECT *, lag(key) OVER w IS NULL AS is_new, {before} FROM hits WINDOW w AS (PARTITION BY monitor_id, key ORDER BY tick)),
- alerts AS (SELECT tick, monitor_id, key, 'NEW_PROCUREMENT' AS type, CASE WHEN {soon} THEN 'critica' WHEN value >= 1000000 THEN 'alta' ELSE 'media' END AS importance FROM later WHERE is_new AND NOT silent
- UNION ALL SELECT tick, monitor_id, key, 'DESERTED', 'media' FROM later WHERE is_new AND {deserted} UNION ALL SELECT tick, monitor_id, key, 'FAILED', 'media' FROM later WHERE is_new AND NOT {deserted} AND {watch['failed']} AND {st} LIKE '%fracass%'
- UNION ALL SELECT tick, monitor_id, key, 'PRICE_CHANGE', CASE WHEN v0 > 0 AND abs(round((value - v0) / v0 * 100, 1)) >= 20 THEN 'alta' ELSE 'media' END FROM later WHERE NOT is_new AND value IS DISTINCT FROM v0
+    return f"""WITH {_TEXTS}, {b}, hits AS ({hits}), later AS (SELECT *, lag(key) OVER w IS NULL AS is_new, {before} FROM hits
+   WINDOW w AS (PARTITION BY monitor_id, key ORDER BY tick)),
+ alerts AS (SELECT tick, monitor_id, key, 'NEW_PROCUREMENT' AS type, CASE WHEN {soon} THEN 'critica' WHEN value >= 1000000 THEN 'alta'
+   ELSE 'media' END AS importance FROM later WHERE is_new AND NOT silent
+ UNION ALL SELECT tick, monitor_id, key, 'DESERTED', 'media' FROM later WHERE is_new AND {deserted} UNION ALL
+   SELECT tick, monitor_id, key, 'FAILED', 'media' FROM later WHERE is_new AND NOT {deserted} AND {watch['failed']} AND {st} LIKE '%fracass%'
+ UNION ALL SELECT tick, monitor_id, key, 'PRICE_CHANGE', CASE WHEN v0 > 0 AND abs(round((value - v0) / v0 * 100, 1)) >= 20 THEN 'alta'
+   ELSE 'media' END FROM later WHERE NOT is_new AND value IS DISTINCT FROM v0
  UNION ALL SELECT tick, monitor_id, key, 'DEADLINE_CHANGED', CASE WHEN {soon} THEN 'critica' ELSE 'alta' END FROM later WHERE NOT is_new AND closes IS DISTINCT FROM c0
- UNION ALL SELECT tick, monitor_id, key, 'PROCUREMENT_UPDATED', 'media' FROM later WHERE NOT is_new AND (status IS DISTINCT FROM s0 OR aw IS DISTINCT FROM a0)) SELECT CAST(tick AS INT) AS tick, monitor_id, key, type, importance FROM alerts"""
+ UNION ALL SELECT tick, monitor_id, key, 'PROCUREMENT_UPDATED', 'media' FROM later WHERE NOT is_new AND (status IS DISTINCT FROM s0 OR aw IS DISTINCT
+   FROM a0)) SELECT CAST(tick AS INT) AS tick, monitor_id, key, type, importance FROM alerts"""
 
 
 _ALERTS = _alerts_sql("2000-06-01")
@@ -264,7 +290,9 @@ def monitor_alert_titles(spark, d):
     return M.titled(alerts, LATER).select("monitor_id", "key", "type", "title")
 
 
-@query("monitor_memory", f"""WITH {_ALERTS_LATER} SELECT coalesce(l.monitor_id, b.monitor_id) AS monitor_id, coalesce(l.key, b.key) AS key, l.key IS NOT NULL AND (is_new OR v1 IS DISTINCT FROM l.v0 OR c1 IS DISTINCT FROM l.c0 OR s1 IS DISTINCT FROM l.s0 OR a1 IS DISTINCT FROM l.a0 OR aw) AS moved, l.key IS NOT NULL AS checked
+@query("monitor_memory", f"""WITH {_ALERTS_LATER}
+   SELECT coalesce(l.monitor_id, b.monitor_id) AS monitor_id, coalesce(l.key, b.key) AS key, l.key IS NOT NULL AND (is_new OR v1 IS DISTINCT
+   FROM l.v0 OR c1 IS DISTINCT FROM l.c0 OR s1 IS DISTINCT FROM l.s0 OR a1 IS DISTINCT FROM l.a0 OR aw) AS moved, l.key IS NOT NULL AS checked
  FROM later l FULL JOIN before b ON l.monitor_id = b.monitor_id AND l.key = b.key""")
 def monitor_memory(spark, d):
     """Which matches moved at the second reading, as anything that is remembered of them changed, and which were seen."""
@@ -283,7 +311,8 @@ _RAISED = "raised AS (SELECT *, TIMESTAMP '2000-06-02' - CASE WHEN key % 2 = 0 T
 
 
 @query("monitor_cards", f"""WITH {_ALERTS_LATER}, {_RAISED}, a AS (SELECT monitor_id, count(*) AS alerts, count(*) FILTER (raised_at > TIMESTAMP '2000-06-01') AS last_day, count(*) FILTER (importance IN ('alta', 'critica') AND NOT read) AS unread_high FROM raised GROUP BY 1),
- held AS (SELECT coalesce(l.monitor_id, b.monitor_id) AS monitor_id, CASE WHEN l.key IS NULL THEN b.c0 ELSE c1 END AS closes FROM later l FULL JOIN before b ON l.monitor_id = b.monitor_id AND l.key = b.key)
+ held AS (SELECT coalesce(l.monitor_id, b.monitor_id) AS monitor_id, CASE WHEN l.key IS NULL THEN b.c0 ELSE c1 END AS closes FROM later l FULL
+   JOIN before b ON l.monitor_id = b.monitor_id AND l.key = b.key)
  SELECT monitor_id, count(*) AS matches, count(*) FILTER (closes > TIMESTAMP '2000-06-02') AS open, coalesce(any_value(alerts), 0) AS alerts, coalesce(any_value(last_day), 0) AS last_day, coalesce(any_value(unread_high), 0) AS unread_high FROM held LEFT JOIN a USING (monitor_id) GROUP BY 1""")
 def monitor_cards(spark, d):
     state, alerts = _evaluated(spark, d)
@@ -294,17 +323,23 @@ _MONITORS = "monitors AS (SELECT user_id AS monitor_id, max(ts) AS next_run, cou
 
 
 def _monitors(spark, d):
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("monitor_id")).agg(F.max("ts").alias("next_run"), (F.count_if(F.col("event_type") == "error") < 20).alias("active")).withColumn("refresh_minutes", (F.col("monitor_id") % 3 + 10).cast("int"))
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("monitor_id")).agg(
+        F.max("ts").alias("next_run"), (F.count_if(F.col("event_type") == "error") < 20).alias("active")
+    ).withColumn("refresh_minutes", (F.col("monitor_id") % 3 + 10).cast("int"))
 
 
-@query("fleet_stats", f"""WITH {_ALERTS_LATER}, {_RAISED}, {_MONITORS} SELECT (SELECT count(*) FROM monitors) AS monitors, (SELECT count(*) FROM monitors WHERE active) AS active, (SELECT strftime(min(next_run), '%Y-%m-%d %H:%M:%S') FROM monitors WHERE active) AS next_run,
+@query("fleet_stats", f"""WITH {_ALERTS_LATER}, {_RAISED}, {_MONITORS} SELECT (SELECT count(*) FROM monitors) AS monitors, (SELECT count(*)
+   FROM monitors WHERE active) AS active, (SELECT strftime(min(next_run), '%Y-%m-%d %H:%M:%S') FROM monitors WHERE active) AS next_run,
  (SELECT count(*) FROM matches) AS matches, (SELECT count(*) FROM raised) AS alerts, (SELECT count(*) FROM raised WHERE raised_at > TIMESTAMP '2000-06-01') AS last_day""")
 def fleet_stats(spark, d):
     f = M.fleet_stats(_monitors(spark, d), matches(spark, d), _raised(_evaluated(spark, d)[1]), LATER)
     return f.withColumn("next_run", F.date_format("next_run", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("reschedule", f"WITH {_MONITORS} SELECT monitor_id, strftime(CASE WHEN monitor_id % 4 = 0 THEN next_run WHEN monitor_id % 4 = 1 THEN TIMESTAMP '2024-02-01' + INTERVAL 30 MINUTE ELSE TIMESTAMP '2024-02-01' + refresh_minutes * INTERVAL 1 MINUTE END, '%Y-%m-%d %H:%M:%S') AS next_run FROM monitors")
+@query(
+    "reschedule",
+    f"WITH {_MONITORS} SELECT monitor_id, strftime(CASE WHEN monitor_id % 4 = 0 THEN next_run WHEN monitor_id % 4 = 1 THEN TIMESTAMP '2024-02-01' + INTERVAL 30 MINUTE ELSE TIMESTAMP '2024-02-01' + refresh_minutes * INTERVAL 1 MINUTE END, '%Y-%m-%d %H:%M:%S') AS next_run FROM monitors"
+)
 def reschedule(spark, d):
     m = _monitors(spark, d)
     done = m.where(F.col("monitor_id") % 4 != 0).select("monitor_id", (F.col("monitor_id") % 4 != 1).alias("ok"))
@@ -316,7 +351,9 @@ def new_since(spark, d):
     return M.new_since(table(spark, d, "events"), "event_id", 9000).select("event_id", "event_type")
 
 
-@query("award_alerts", f"""WITH {_RECORDS} SELECT DISTINCT monitor_id, key || ':' || l_linenumber || ':' || coalesce(CAST(s AS VARCHAR), '?') AS key, 'NEW_WINNER' AS type, CASE WHEN monitor_id = 5 AND s IN (7, 9) OR monitor_id = 7 AND s = 1 THEN 'alta' ELSE 'media' END AS importance
+@query("award_alerts", f"""WITH {_RECORDS}
+   SELECT DISTINCT monitor_id, key || ':' || l_linenumber || ':' || coalesce(CAST(s AS VARCHAR), '?') AS key, 'NEW_WINNER' AS type,
+   CASE WHEN monitor_id = 5 AND s IN (7, 9) OR monitor_id = 7 AND s = 1 THEN 'alta' ELSE 'media' END AS importance
  FROM matches JOIN (SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 10 <> 3 THEN l_suppkey END AS s FROM lineitem) ON l_orderkey = key WHERE l_linenumber <> 1""")
 def award_alerts(spark, d):
     """Winners that are not remembered yet; those of the first items are."""
@@ -333,19 +370,27 @@ def _of_contracts(r: dict) -> str:
 
 
 @query("expiring_contracts", f"""WITH c AS (SELECT l_orderkey || '/' || l_linenumber AS key, n_name AS state, {_FOLD.format('p_name')} AS folded, CAST(l_suppkey AS VARCHAR) AS supplier, CAST(date_diff('day', DATE '2000-06-01', CAST(l_shipdate AS DATE)) AS INT) AS days_left FROM lineitem JOIN part ON p_partkey = l_partkey
- JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '2000-06-01' AND DATE '2000-11-28'), m AS (SELECT DISTINCT monitor_id, key, days_left FROM ({' UNION ALL '.join(_of_contracts(r) for r in RULES if r['contracts'] is not False)}))
- SELECT monitor_id, key, 'CONTRACT_EXPIRING' AS type, min(days_left) AS days_left, CASE WHEN min(days_left) <= 30 THEN 'alta' ELSE 'media' END AS importance FROM m GROUP BY 1, 2""")
+ JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '2000-06-01'
+   AND DATE '2000-11-28'), m AS (SELECT DISTINCT monitor_id, key, days_left FROM ({' UNION ALL '.join(_of_contracts(r) for r in RULES if r['contracts'] is not False)}))
+ SELECT monitor_id, key, 'CONTRACT_EXPIRING' AS type, min(days_left) AS days_left, CASE WHEN min(days_left) <= 30 THEN 'alta'
+   ELSE 'media' END AS importance FROM m GROUP BY 1, 2""")
 def expiring_contracts(spark, d):
     """Contracts that end soon, each once a monitor: the same key is one contract, of the nearest end."""
     where = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     c = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(where, F.col("s_suppkey") == F.col("l_suppkey"))
-    c = c.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("key"), F.col("p_name").alias("text"), F.col("l_suppkey").alias("supplier"), F.col("l_shipdate").alias("ends"), F.col("n_name").alias("state"))
+    c = c.select(
+        F.concat_ws("/", "l_orderkey", "l_linenumber").alias("key"), F.col("p_name").alias("text"), F.col("l_suppkey").alias("supplier"),
+        F.col("l_shipdate").alias("ends"), F.col("n_name").alias("state")
+    )
     found = M.expiring_contract_alerts(c, rules(spark), AS_OF)
     nearest = found.groupBy("monitor_id", "key", "type").agg(F.min_by(F.struct("days_left", "importance"), "days_left").alias("x")).select("monitor_id", "key", "type", "x.*")
     return M.raise_once(spark.createDataFrame([], M.MEMORY), nearest, "contract", AS_OF)[1]
 
 
-@query("suggest_expansions", """SELECT lower(left(trim(p_name), 80)) AS label, count(*) AS n, max(p_partkey) AS code FROM part WHERE strip_accents(lower(p_name)) LIKE '%red%' OR strip_accents(lower(p_name)) LIKE '%gear%' GROUP BY 1 ORDER BY n DESC, label LIMIT 20""")
+@query(
+    "suggest_expansions",
+    """SELECT lower(left(trim(p_name), 80)) AS label, count(*) AS n, max(p_partkey) AS code FROM part WHERE strip_accents(lower(p_name)) LIKE '%red%' OR strip_accents(lower(p_name)) LIKE '%gear%' GROUP BY 1 ORDER BY n DESC, label LIMIT 20"""
+)
 def suggest_expansions(spark, d):
     return M.suggest_expansions(table(spark, d, "part"), ["red", "gear"], "p_name", "p_partkey")
 
@@ -357,21 +402,33 @@ _HIT = "{0} IS NOT NULL AND " + " AND ".join(_FOLD.replace("{}", "{0}") + f" LIK
 @query("text_match", f"SELECT doc_id, {_HIT.format('text')} AS all_words, coalesce(lower(text) LIKE '%tion êr%', false) AS phrase FROM documents")
 def text_match(spark, d):
     terms = F.array(F.lit(_Q), F.lit("q"))
-    return table(spark, d, "documents").select("doc_id", text_matches(F.col("text"), terms).alias("all_words"), text_matches_phrase(F.col("text"), F.array(F.lit(_Q))).alias("phrase"))
+    return table(spark, d, "documents").select(
+        "doc_id", text_matches(F.col("text"), terms).alias("all_words"), text_matches_phrase(F.col("text"), F.array(F.lit(_Q))).alias("phrase")
+    )
 
 
-@query("search_ranked", f"""SELECT * FROM (SELECT 'documents' AS origin, doc_id AS key, n_chars AS rank FROM documents WHERE {_HIT.format('text')} ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 20)
+@query("search_ranked", f"""SELECT * FROM (SELECT 'documents' AS origin, doc_id AS key, n_chars AS rank FROM documents WHERE {_HIT.format('text')}
+   ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 20)
  UNION ALL SELECT * FROM (SELECT 'pages', page_id, length(html) FROM pages WHERE {_HIT.format('html')} ORDER BY length(html) DESC NULLS LAST, page_id LIMIT 20)""")
 def search_ranked(spark, d):
-    return M.search({"documents": (table(spark, d, "documents"), "doc_id", "text", F.col("n_chars")), "pages": (table(spark, d, "pages"), "page_id", "html", F.length("html").cast("long"))}, _Q)
+    return M.search(
+        {"documents": (table(spark, d, "documents"), "doc_id", "text", F.col("n_chars")), "pages": (table(spark, d, "pages"), "page_id", "html", F.length("html").cast("long"))},
+        _Q
+    )
 
 
-@query("expansions_shown", """SELECT lower(left(trim(p_name), 80)) AS label, count(*) AS n, max(p_partkey) AS code FROM part WHERE strip_accents(lower(p_name)) LIKE '%o%' GROUP BY 1 ORDER BY n DESC, label LIMIT 12""")
+@query(
+    "expansions_shown",
+    """SELECT lower(left(trim(p_name), 80)) AS label, count(*) AS n, max(p_partkey) AS code FROM part WHERE strip_accents(lower(p_name)) LIKE '%o%' GROUP BY 1 ORDER BY n DESC, label LIMIT 12"""
+)
 def expansions_shown(spark, d):
     return M.suggest_expansions(table(spark, d, "part").withColumn("p_name", F.col("p_name")), ["%o%"], "p_name", "p_partkey", shown=12)
 
 
-@query("history_by_year", f"SELECT year, count(*) AS n FROM (SELECT CAST(year(l_shipdate) AS INT) AS year FROM lineitem JOIN part ON p_partkey = l_partkey WHERE {_FOLD.format('p_name')} LIKE '%red%' UNION ALL SELECT CAST(year(o_orderdate) AS INT) FROM orders JOIN customer ON c_custkey = o_custkey WHERE {_FOLD.format('c_mktsegment')} LIKE '%red%') WHERE year IS NOT NULL GROUP BY 1")
+@query(
+    "history_by_year",
+    f"SELECT year, count(*) AS n FROM (SELECT CAST(year(l_shipdate) AS INT) AS year FROM lineitem JOIN part ON p_partkey = l_partkey WHERE {_FOLD.format('p_name')} LIKE '%red%' UNION ALL SELECT CAST(year(o_orderdate) AS INT) FROM orders JOIN customer ON c_custkey = o_custkey WHERE {_FOLD.format('c_mktsegment')} LIKE '%red%') WHERE year IS NOT NULL GROUP BY 1"
+)
 def history_by_year(spark, d):
     """Current and older tables together."""
     i = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -384,7 +441,10 @@ def search_by_year(spark, d):
     return M.history_by_year({"current": (_records(spark, d), "text", F.year("closes"))}, "widget RED")
 
 
-@query("unit_price_semi", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 0 AND l_extendedprice / l_quantity BETWEEN 1000 AND 1010)")
+@query(
+    "unit_price_semi",
+    "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 0 AND l_extendedprice / l_quantity BETWEEN 1000 AND 1010)"
+)
 def unit_price_semi(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"))
     return with_price_in(orders, _items(spark, d), "key", 1000, 1010).withColumnRenamed("key", "o_orderkey")
@@ -396,12 +456,21 @@ def unmatched_anti(spark, d):
     return without_any(table(spark, d, "customer"), waiting, "c_custkey").select("c_custkey")
 
 
-@query("effective_terms", f"SELECT {_FOLD.format('p_name')} AS folded, len(list_filter(list_distinct([p_name, p_type, 'x']), lambda t: length(trim(t)) > 1)) AS terms, count(*) AS n FROM part GROUP BY 1, 2")
+@query(
+    "effective_terms",
+    f"SELECT {_FOLD.format('p_name')} AS folded, len(list_filter(list_distinct([p_name, p_type, 'x']), lambda t: length(trim(t)) > 1)) AS terms, count(*) AS n FROM part GROUP BY 1, 2"
+)
 def effective(spark, d):
     p = table(spark, d, "part")
-    return p.groupBy(fold_accents(F.col("p_name"), True).alias("folded"), F.size(effective_terms(F.array("p_name"), F.array(F.col("p_type"), F.lit("x")))).cast("long").alias("terms")).agg(F.count("*").alias("n"))
+    return p.groupBy(
+        fold_accents(F.col("p_name"), True).alias("folded"),
+        F.size(effective_terms(F.array("p_name"), F.array(F.col("p_type"), F.lit("x")))).cast("long").alias("terms")
+    ).agg(F.count("*").alias("n"))
 
 
-@query("due_monitors", f"WITH {_MONITORS} SELECT monitor_id, strftime(next_run, '%Y-%m-%d %H:%M:%S') AS next_run FROM monitors WHERE active AND next_run <= TIMESTAMP '2024-01-30' ORDER BY next_run, monitor_id LIMIT 25")
+@query(
+    "due_monitors",
+    f"WITH {_MONITORS} SELECT monitor_id, strftime(next_run, '%Y-%m-%d %H:%M:%S') AS next_run FROM monitors WHERE active AND next_run <= TIMESTAMP '2024-01-30' ORDER BY next_run, monitor_id LIMIT 25"
+)
 def due_monitors(spark, d):
     return M.due(_monitors(spark, d), datetime(2024, 1, 30)).select("monitor_id", F.date_format("next_run", "yyyy-MM-dd HH:mm:ss").alias("next_run"))

@@ -56,7 +56,10 @@ def late_dedup(spark, d):
     """Each event arrives twice, as by an overlapping re-read, and stays once."""
     twice = _events(spark, d).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     folder = shared_folder(spark, "dedup")
-    S.run_available(S.once_within(twice, ["event_id"], "ts", "60 days").select("event_id", "user_id", "event_type").writeStream.format("parquet").outputMode("append").option("path", folder), f"{folder}-progress")
+    S.run_available(
+        S.once_within(twice, ["event_id"], "ts", "60 days").select("event_id", "user_id", "event_type").writeStream.format("parquet").outputMode("append").option("path", folder),
+        f"{folder}-progress"
+    )
     return spark.read.schema("event_id long, user_id long, event_type string").parquet(folder)
 
 
@@ -72,7 +75,8 @@ def stream_monthly(spark, d):
 
 
 _LEVELS = """WITH l AS (SELECT event_id, user_id, CASE WHEN value >= 90 THEN 90 WHEN value >= 80 THEN 80 WHEN value >= 70 THEN 70 ELSE 0 END AS level FROM events),
- a AS (SELECT *, lag(level) OVER (PARTITION BY user_id ORDER BY event_id) AS last_level FROM l WHERE level > 0) SELECT event_id, user_id AS key, level, last_level FROM a WHERE level IS DISTINCT FROM last_level"""
+ a AS (SELECT *, lag(level) OVER (PARTITION BY user_id ORDER BY event_id) AS last_level FROM l WHERE level > 0)
+   SELECT event_id, user_id AS key, level, last_level FROM a WHERE level IS DISTINCT FROM last_level"""
 
 
 @query("stateful_alerts", _LEVELS)

@@ -36,7 +36,9 @@ def content_dedup(df: DataFrame, key: str, content: str) -> DataFrame:
 
 def content_store(spark: SparkSession, path: str, store: DataFrame, links: DataFrame, source: str, entity: str, as_of) -> tuple[DataFrame, DataFrame]:
     """Files under ``path`` into (new contents, links): bytes once for each hash, a link for each file, the last one wins."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("key"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        F.col("path").alias("key"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), "content"
+    )
     new = files.dropDuplicates(["sha256"]).join(store.select("sha256"), "sha256", "left_anti").select("sha256", "bytes", "content")
     batch = files.select(F.lit(source).alias("source"), F.lit(entity).alias("entity"), "key", "sha256")
     return new, upsert(links, batch, ["source", "entity", "key"], as_of)
@@ -65,7 +67,9 @@ class ContentStore:
         found = latest.groupBy("sha256").agg(F.max("bytes").alias("bytes"), F.min("key").alias("_key"))
         held = self.hashes.read(self.hashes.touched(found), min(version - 1, self.hashes.version())).select("sha256")
         new = found.join(held, "sha256", "left_anti")
-        contents = batch.select(F.col("key").cast("string").alias("_key"), raw.alias("content")).join(new, "_key").where(F.sha2("content", 256) == F.col("sha256")).dropDuplicates(["_key"])  # a key for each hash, as they lie
+        contents = batch.select(
+            F.col("key").cast("string").alias("_key"), raw.alias("content")
+        ).join(new, "_key").where(F.sha2("content", 256) == F.col("sha256")).dropDuplicates(["_key"])  # a key for each hash, as they lie
         contents.select("sha256", "content").write.mode("overwrite").parquet(f"{self.folder}/contents/version={version}")
         self.hashes.merge(new.select("sha256", "bytes", F.lit(version).cast("long").alias("version")), lambda old, rows: old.unionByName(rows), version)
         self.links.merge(latest.select("key", "sha256"), lambda old, rows: upsert(old, rows, ["key"], as_of), version)
@@ -84,7 +88,9 @@ def verify_store(store: DataFrame) -> DataFrame:
 def dataset_manifest(df: DataFrame, keys: list[str], date: str, content: str) -> DataFrame:
     """Rows, bytes, first and last date of each part, and a digest that does not depend on the rows' order."""
     return df.groupBy(*keys).agg(
-        F.count("*").alias("records"), F.coalesce(F.sum(F.octet_length(F.col(content))), F.lit(0)).cast("long").alias("bytes"), F.date_format(F.min(date), "yyyy-MM-dd").alias("first_date"), F.date_format(F.max(date), "yyyy-MM-dd").alias("last_date"),
+        F.count("*").alias("records"), F.coalesce(
+            F.sum(F.octet_length(F.col(content))), F.lit(0)
+        ).cast("long").alias("bytes"), F.date_format(F.min(date), "yyyy-MM-dd").alias("first_date"), F.date_format(F.max(date), "yyyy-MM-dd").alias("last_date"),
         F.bit_xor(F.xxhash64(*[c for c in df.columns if c not in keys])).alias("digest"),
     )
 

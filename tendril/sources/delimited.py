@@ -122,5 +122,7 @@ def quarantine(df: DataFrame, required: list[str], most: int = 400) -> tuple[Dat
     line = F.col("_line") if "_line" in df.columns else F.lit(None).cast("long")
     content = F.left(F.coalesce(corrupt, F.to_json(F.struct(*own))), F.lit(most))
     marked = df.select("*", error.alias("_error"), file.alias("_from"), line.alias("_at"), content.alias("_content"))
-    bad = marked.where(F.col("_error").isNotNull()).select(F.col("_from").alias("file"), F.col("_at").alias("line"), F.col("_error").alias("error"), F.col("_content").alias("content"))
+    bad = marked.where(F.col("_error").isNotNull()).select(
+        F.col("_from").alias("file"), F.col("_at").alias("line"), F.col("_error").alias("error"), F.col("_content").alias("content")
+    )
     return marked.where(F.col("_error").isNull()).select(*own), bad

@@ -50,14 +50,23 @@ def cards(df: DataFrame, html: str, marker: str, labels: dict[str, str], keep: l
         return out
     place = F.when(F.col("agency").contains(" - "), F.substring_index("agency", " - ", -1))
     name = F.when(place.isNotNull(), F.expr("substring(agency, 1, length(agency) - length(substring_index(agency, ' - ', -1)) - 3)")).otherwise(F.col("agency"))
-    return out.withColumns({"_place": place, "_name": name}).withColumns({"city": F.trim(F.substring_index("_place", " / ", 1)), "state": F.when(F.col("_place").contains(" / "), F.trim(F.substring_index("_place", " / ", -1))), "agency": F.trim("_name")}).drop("_place", "_name")
+    return out.withColumns({"_place": place, "_name": name}).withColumns(
+        {
+            "city": F.trim(F.substring_index("_place", " / ", 1)),
+            "state": F.when(F.col("_place").contains(" / "), F.trim(F.substring_index("_place", " / ", -1))), "agency": F.trim("_name")
+        }
+    ).drop("_place", "_name")
 
 
 def links(html: Column, extensions: str = "zip|csv|xlsx|xls|json|pdf") -> Column:
     """All addresses, those of folders and of files, and the earliest and latest year that they name."""
     hrefs = F.array_distinct(_all(html, r'href="([^"]+)"'))
     years = F.transform(F.flatten(F.transform(hrefs, lambda h: _all(h, r"((?:19|20)\d{2})"))), lambda y: y.cast("int"))
-    return F.struct(hrefs.alias("hrefs"), F.filter(hrefs, lambda h: h.endswith("/")).alias("folders"), F.filter(hrefs, lambda h: F.lower(h).rlike(rf"\.({extensions})$")).alias("files"), F.array_min(years).alias("first_year"), F.array_max(years).alias("last_year"))
+    return F.struct(
+        hrefs.alias("hrefs"), F.filter(hrefs, lambda h: h.endswith("/")).alias("folders"),
+        F.filter(hrefs, lambda h: F.lower(h).rlike(rf"\.({extensions})$")).alias("files"), F.array_min(years).alias("first_year"),
+        F.array_max(years).alias("last_year")
+    )
 
 
 #: Fixed values: (flag, pattern) of frameworks, of anti-bot walls and of interfaces; whatever the case.

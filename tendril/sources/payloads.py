@@ -18,7 +18,10 @@ TENDER_TEXT = {
 }
 TENDER_INT = {"year": "anoCompra", "sequence": "sequencialCompra"}
 TENDER_MONEY = {"estimated_value": "valorTotalEstimado", "awarded_value": "valorTotalHomologado"}
-TENDER_TIME = {"published_at": "dataPublicacaoPncp", "included_at": "dataInclusao", "updated_at": "dataAtualizacao", "opens_at": "dataAberturaProposta", "closes_at": "dataEncerramentoProposta"}
+TENDER_TIME = {
+    "published_at": "dataPublicacaoPncp", "included_at": "dataInclusao", "updated_at": "dataAtualizacao", "opens_at": "dataAberturaProposta",
+    "closes_at": "dataEncerramentoProposta"
+}
 TENDER_BOOL = {"price_register": "srp"}
 
 
@@ -53,8 +56,15 @@ def normalize_tenders(raw: DataFrame) -> DataFrame:
 def normalize_contracts(raw: DataFrame) -> DataFrame:
     return flatten(
         raw,
-        {"key": "numeroControlePNCP", "tender_key": ("numeroControlePncpCompra", "numeroControlePNCPCompra"), "number": "numeroContratoEmpenho", "process": "processo", "object": "objetoContrato", "supplier_id": "niFornecedor", "supplier": "nomeRazaoSocialFornecedor", "agency_id": "orgaoEntidade.cnpj", "agency": "orgaoEntidade.razaoSocial", "state": "unidadeOrgao.ufSigla", "city": "unidadeOrgao.municipioNome"},
-        {"year": "anoContrato", "sequence": "sequencialContrato"}, {"initial_value": "valorInicial", "global_value": "valorGlobal"}, {"published_at": "dataPublicacaoPncp", "updated_at": "dataAtualizacao"}, {"signed": "dataAssinatura", "starts": "dataVigenciaInicio", "ends": "dataVigenciaFim"},
+        {
+            "key": "numeroControlePNCP", "tender_key": ("numeroControlePncpCompra", "numeroControlePNCPCompra"), "number": "numeroContratoEmpenho",
+            "process": "processo", "object": "objetoContrato", "supplier_id": "niFornecedor", "supplier": "nomeRazaoSocialFornecedor",
+            "agency_id": "orgaoEntidade.cnpj", "agency": "orgaoEntidade.razaoSocial", "state": "unidadeOrgao.ufSigla",
+            "city": "unidadeOrgao.municipioNome"
+        },
+        {"year": "anoContrato", "sequence": "sequencialContrato"}, {"initial_value": "valorInicial", "global_value": "valorGlobal"}, {
+            "published_at": "dataPublicacaoPncp", "updated_at": "dataAtualizacao"
+        }, {"signed": "dataAssinatura", "starts": "dataVigenciaInicio", "ends": "dataVigenciaFim"},
     )
 
 
@@ -71,33 +81,61 @@ def explode_children(raw: DataFrame, key: str, array: str | None = None) -> Data
 
 def normalize_items(raw: DataFrame, key: str = "tender_key") -> DataFrame:
     rows = explode_children(raw, key)
-    out = flatten(rows, {"description": "descricao", "unit": "unidadeMedida", "code": ("catalogoCodigoItem", "codigoItemCatalogo"), "status": "situacaoCompraItemNome"}, {"item": "numeroItem"}, {"quantity": "quantidade", "unit_price": "valorUnitarioEstimado", "total": "valorTotal"}, flags={"has_result": "temResultado", "sealed": "orcamentoSigiloso"}, keep=(key,))
+    out = flatten(
+        rows,
+        {"description": "descricao", "unit": "unidadeMedida", "code": ("catalogoCodigoItem", "codigoItemCatalogo"), "status": "situacaoCompraItemNome"},
+        {"item": "numeroItem"}, {"quantity": "quantidade", "unit_price": "valorUnitarioEstimado", "total": "valorTotal"},
+        flags={"has_result": "temResultado", "sealed": "orcamentoSigiloso"}, keep=(key,)
+    )
     return out.where(F.col("item").isNotNull())
 
 
 def normalize_awards(raw: DataFrame, key: str = "tender_key") -> DataFrame:
     rows = explode_children(raw, key)
-    out = flatten(rows, {"supplier_id": "niFornecedor", "supplier": "nomeRazaoSocialFornecedor", "person_type": "tipoPessoa", "size": "porteFornecedorNome"}, {"item": "numeroItem", "sequence": "sequencialResultado"}, {"quantity": "quantidadeHomologada", "unit_price": "valorUnitarioHomologado", "total": "valorTotalHomologado", "discount_pct": "percentualDesconto"}, dates={"result_date": "dataResultado"}, keep=(key,))
+    out = flatten(
+        rows, {"supplier_id": "niFornecedor", "supplier": "nomeRazaoSocialFornecedor", "person_type": "tipoPessoa", "size": "porteFornecedorNome"},
+        {"item": "numeroItem", "sequence": "sequencialResultado"},
+        {"quantity": "quantidadeHomologada", "unit_price": "valorUnitarioHomologado", "total": "valorTotalHomologado", "discount_pct": "percentualDesconto"},
+        dates={"result_date": "dataResultado"}, keep=(key,)
+    )
     return out.where(F.col("item").isNotNull()).withColumns({"supplier_key": F.coalesce("supplier_id", F.lit("-")), "sequence_key": F.coalesce("sequence", F.lit(0))})
 
 
 def normalize_documents(raw: DataFrame, key: str = "tender_key") -> DataFrame:
     rows = explode_children(raw, key)
-    out = flatten(rows, {"title": "titulo", "kind": ("tipoDocumentoNome", "tipoDocumentoDescricao"), "url": ("url", "uri")}, {"sequence": "sequencialDocumento"}, times={"published_at": "dataPublicacaoPncp"}, flags={"active": "statusAtivo"}, keep=(key,))
+    out = flatten(
+        rows, {"title": "titulo", "kind": ("tipoDocumentoNome", "tipoDocumentoDescricao"), "url": ("url", "uri")},
+        {"sequence": "sequencialDocumento"}, times={"published_at": "dataPublicacaoPncp"}, flags={"active": "statusAtivo"}, keep=(key,)
+    )
     return out.withColumns({"sequence_key": F.coalesce("sequence", F.lit(0)), "url_key": F.coalesce("url", F.lit("-"))})
 
 
 def normalize_plan_items(raw: DataFrame) -> DataFrame:
     """Items of yearly plans: envelopes of items, or items on their own; their key is a hash of the item."""
     items = F.from_json(_get("itens"), "array<string>")
-    rows = raw.select(_get("orgaoEntidadeCnpj").alias("agency_id"), _get("anoPca").try_cast("int").alias("plan_year"), F.explode(F.coalesce(items, F.array("payload"))).alias("payload"))
-    out = flatten(rows, {"description": ("descricao", "descricaoItem"), "category": "categoriaItemPcaNome", "unit": "unidadeFornecimento"}, {"item": "numeroItem"}, {"quantity": "quantidadeEstimada", "unit_price": "valorUnitario", "total": "valorTotal"}, dates={"wanted": "dataDesejada"}, keep=("agency_id", "plan_year"))
+    rows = raw.select(
+        _get("orgaoEntidadeCnpj").alias("agency_id"), _get("anoPca").try_cast("int").alias("plan_year"),
+        F.explode(F.coalesce(items, F.array("payload"))).alias("payload")
+    )
+    out = flatten(
+        rows, {"description": ("descricao", "descricaoItem"), "category": "categoriaItemPcaNome", "unit": "unidadeFornecimento"},
+        {"item": "numeroItem"}, {"quantity": "quantidadeEstimada", "unit_price": "valorUnitario", "total": "valorTotal"},
+        dates={"wanted": "dataDesejada"}, keep=("agency_id", "plan_year")
+    )
     return out.withColumn("item_key", F.left(F.sha2("source_payload", 256), F.lit(32)))
 
 
 def normalize_registers(raw: DataFrame) -> DataFrame:
     """Price registers."""
-    return flatten(raw, {"key": "numeroControlePNCPAta", "number": "numeroAtaRegistroPreco", "tender_key": "numeroControlePNCPCompra", "agency_id": "cnpjOrgao", "agency": "nomeOrgao", "object": "objetoContratacao"}, {"year": "anoAta"}, times={"published_at": "dataPublicacaoPncp"}, dates={"starts": "vigenciaInicio", "ends": "vigenciaFim"}, flags={"cancelled": "cancelado"})
+    return flatten(
+        raw,
+        {
+            "key": "numeroControlePNCPAta", "number": "numeroAtaRegistroPreco", "tender_key": "numeroControlePNCPCompra", "agency_id": "cnpjOrgao",
+            "agency": "nomeOrgao", "object": "objetoContratacao"
+        },
+        {"year": "anoAta"}, times={"published_at": "dataPublicacaoPncp"}, dates={"starts": "vigenciaInicio", "ends": "vigenciaFim"},
+        flags={"cancelled": "cancelado"}
+    )
 
 
 MISSING = "NAO_ENCONTRADO_NA_FONTE"
@@ -106,14 +144,18 @@ NO_RECORDS = "sem-registros"
 
 def resolve_catalog(wanted: DataFrame, materials: DataFrame, services: DataFrame) -> DataFrame:
     """``code, kind, description`` for every wanted code: as a material, else as a service, else marked as not found."""
-    both = materials.select("code", "description", F.lit("MATERIAL").alias("kind"), F.lit(0).alias("_p")).unionByName(services.select("code", "description", F.lit("SERVICO").alias("kind"), F.lit(1).alias("_p")))
+    both = materials.select("code", "description", F.lit("MATERIAL").alias("kind"), F.lit(0).alias("_p")).unionByName(
+        services.select("code", "description", F.lit("SERVICO").alias("kind"), F.lit(1).alias("_p"))
+    )
     best = both.groupBy("code").agg(F.min_by(F.struct("kind", "description"), F.struct("_p", "description")).alias("x"))
     return wanted.select("code").distinct().join(best, "code", "left").select("code", F.coalesce("x.kind", F.lit(MISSING)).alias("kind"), "x.description")
 
 
 # fixed values: output column -> path in the payload, alternatives in order
 PRICE_TEXT = {
-    "item": ("descricaoItem", "descricao"), "unit": ("siglaUnidadeFornecimento", "unidadeMedida"), "agency": ("nomeOrgao", "orgao"), "office_code": "codigoUasg", "office": "nomeUasg", "state": ("estado", "siglaUf"), "city": ("municipio", "nomeMunicipio"),
+    "item": ("descricaoItem", "descricao"), "unit": (
+        "siglaUnidadeFornecimento", "unidadeMedida"
+    ), "agency": ("nomeOrgao", "orgao"), "office_code": "codigoUasg", "office": "nomeUasg", "state": ("estado", "siglaUf"), "city": ("municipio", "nomeMunicipio"),
     "supplier": ("nomeFornecedor", "fornecedor"), "modality": ("nomeModalidade", "modalidade"), "process": "idCompra",
 }
 BALANCE_MONEY = {"registered": ("quantidadeRegistrada", "quantidade"), "committed": "quantidadeEmpenhada", "balance": ("saldo", "saldoItem"), "unit_price": "valorUnitario"}
@@ -127,7 +169,10 @@ def normalize_prices(raw: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     found = catalog.where(~F.col("kind").eqNullSafe(F.lit(MISSING))).select("code", "kind")
     supplier = digits(_first(("niFornecedor", "cnpjFornecedor", "cpfCnpjFornecedor"))).alias("supplier_id")
-    parts = [F.col("code"), _first(("idCompra", "id_compra")), _first(("numeroItemCompra", "numero_item_compra")), _first(("valorUnitario", "precoUnitario")), _first(("dataResultado", "dataCompra"))]
+    parts = [
+        F.col("code"), _first(("idCompra", "id_compra")), _first(("numeroItemCompra", "numero_item_compra")),
+        _first(("valorUnitario", "precoUnitario")), _first(("dataResultado", "dataCompra"))
+    ]
     known = raw.join(found, "code").withColumns({"supplier_id": supplier, "price_key": content_key(parts)})
     money = {"unit_price": ("valorUnitario", "precoUnitario"), "quantity": "quantidade"}
     return flatten(known, PRICE_TEXT, moneys=money, dates={"bought": "dataCompra", "result_date": "dataResultado"}, keep=("code", "kind", "price_key", "supplier_id"))
@@ -136,7 +181,9 @@ def normalize_prices(raw: DataFrame, catalog: DataFrame) -> DataFrame:
 def normalize_balances(raw: DataFrame, key: str) -> DataFrame:
     """Balances of registers' items from the payloads' results; ``record_key`` is a hash of the item."""
     out = flatten(explode_children(raw, key, "resultado"), {"code": "codigoItem"}, {"item": ("numeroItem", "numero_item")}, BALANCE_MONEY, keep=(key,))
-    return out.where(F.col("source_payload").startswith("{") & F.get_json_object("source_payload", "$.resultado").isNull()).withColumn("record_key", F.left(F.sha2("source_payload", 256), F.lit(32)))
+    return out.where(
+        F.col("source_payload").startswith("{") & F.get_json_object("source_payload", "$.resultado").isNull()
+    ).withColumn("record_key", F.left(F.sha2("source_payload", 256), F.lit(32)))
 
 
 def balances(registers: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -161,14 +208,21 @@ def normalize_payments(raw: DataFrame) -> DataFrame:
     """Payments with their phase; the key is ``phase:document``, else a hash."""
     phase = expense_phase(_get("fase"))
     document = _get("documento")
-    return raw.select(phase.alias("phase"), F.coalesce(F.concat(phase, F.lit(":"), document), content_key([F.col("payload")])).alias("record_key"), document.alias("document"), digits(_get("codigoFavorecido")).alias("supplier_id"), number_or_null(_get("valor")).alias("value"), br_date_lenient(_get("data")).alias("date"), F.col("payload").alias("source_payload"))
+    return raw.select(
+        phase.alias("phase"), F.coalesce(F.concat(phase, F.lit(":"), document), content_key([F.col("payload")])).alias("record_key"),
+        document.alias("document"), digits(_get("codigoFavorecido")).alias("supplier_id"), number_or_null(_get("valor")).alias("value"),
+        br_date_lenient(_get("data")).alias("date"), F.col("payload").alias("source_payload")
+    )
 
 
 def tender_issues(tenders: DataFrame) -> DataFrame:
     """Issues of normalised tenders: the rows stay, except that a tender without a key is skipped by the merge."""
     from tendril.operators.quality import issues
 
-    rules = {"invalid cnpj": ("agency_id", F.col("agency_id").isNotNull() & ~valid_cnpj(F.col("agency_id"))), "invalid state": ("state", ~F.col("state").isin(*STATES)), "missing key": ("key", F.col("key").isNull())}
+    rules = {
+        "invalid cnpj": ("agency_id", F.col("agency_id").isNotNull() & ~valid_cnpj(F.col("agency_id"))),
+        "invalid state": ("state", ~F.col("state").isin(*STATES)), "missing key": ("key", F.col("key").isNull())
+    }
     return issues(tenders, "tender", "key", rules)
 
 

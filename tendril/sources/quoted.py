@@ -29,7 +29,9 @@ PIECES = "file string, line long, offset long, piece long, after long, text bina
 
 def physical_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, block, value``: the lines of the files under ``path`` as bytes, by the split that each is read in."""
-    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    return spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value")
+    )
 
 
 def split_starts(lines: DataFrame) -> DataFrame:
@@ -118,10 +120,15 @@ def read_quoted(spark: SparkSession, path: str, sep: str = ";", encoding: str =
     rows = logical_records(spark, path).withColumn("text", F.rtrim(F.decode("text", encoding), F.lit("\r")))
     head = physical_lines(spark, path).where(F.length("value") > 0).select(F.decode("value", encoding).alias("v")).first()
     if head is None:
-        return rows.select(F.lit(None).cast("string").alias(CORRUPT), F.col("file").alias("_file"), F.col("line").alias("_line"), F.col("offset").alias("_offset"), F.col("after").alias("_after")).limit(0)
+        return rows.select(
+            F.lit(None).cast("string").alias(CORRUPT), F.col("file").alias("_file"), F.col("line").alias("_line"), F.col("offset").alias("_offset"),
+            F.col("after").alias("_after")
+        ).limit(0)
     options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "maxCharsPerColumn": "-1"}
     first = head[0].rstrip("\r").lstrip("﻿").removeprefix("ï»¿")
-    names = spark.createDataFrame([(first,)], "v string").select(F.from_csv("v", F.schema_of_csv(first, {"sep": sep, "quote": '"', "escape": '"'}), {"sep": sep, "quote": '"', "escape": '"'}).alias("x")).select("x.*").first()
+    names = spark.createDataFrame([(first,)], "v string").select(
+        F.from_csv("v", F.schema_of_csv(first, {"sep": sep, "quote": '"', "escape": '"'}), {"sep": sep, "quote": '"', "escape": '"'}).alias("x")
+    ).select("x.*").first()
     columns = [str(n).strip().replace("`", "") for n in names]
     schema = ", ".join(f"`{c}` string" for c in columns) + f", `{CORRUPT}` string"
     if after is not None:

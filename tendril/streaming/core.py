@@ -122,7 +122,9 @@ def level_alerts(folder: str, key: str, order: list[str], pct: str, limits: tupl
 
 def monthly(stream: DataFrame, date: str, keys: list[str], value: str) -> DataFrame:
     """Monthly counts and sums over a stream, for complete or update output."""
-    return stream.groupBy(F.date_format(date, "yyyy-MM").alias("month"), *keys).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("total"))
+    return stream.groupBy(F.date_format(date, "yyyy-MM").alias("month"), *keys).agg(
+        F.count("*").alias("n"), F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("total")
+    )
 
 
 def since(df: DataFrame, ts: str, as_of: Column, hours: int) -> DataFrame:

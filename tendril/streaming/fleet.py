@@ -51,14 +51,20 @@ class Fleet:
     comes.  After tick n: ``alerts-n`` (with ``raised_at``) and ``fleet-n`` (with ``error``).
     """
 
-    def __init__(self, spark: SparkSession, folder: str, records, tables: dict[str, DataFrame], rules: Callable[[int], DataFrame], monitors: Callable[[int], DataFrame], clock: Callable[[int], datetime], match_key: str = "string", buckets: int = 64):
+    def __init__(
+        self, spark: SparkSession, folder: str, records, tables: dict[str, DataFrame], rules: Callable[[int], DataFrame],
+        monitors: Callable[[int], DataFrame], clock: Callable[[int], datetime], match_key: str = "string", buckets: int = 64
+    ):
         self.spark, self.folder, self.tables, self.rules, self.monitors, self.clock = spark, folder, tables, rules, monitors, clock
         types = {f.name: f.dataType for f in records.fields}
         self.columns = records.fieldNames()
         base = spark.createDataFrame([], records).withColumn("_changed", F.lit(0).cast("long")).schema
         self.base = BucketTable(spark, f"{folder}/records", ["key"], base, buckets)
         kinds = {"value": "double", "awarded": "double", "closes": types["closes"].simpleString()}
-        state = [f"monitor_id long, key {types['key'].simpleString()}", "first_seen timestamp, last_seen timestamp, last_checked timestamp", *[f"{c} {kinds.get(c, 'string')}" for c in M.SNAPSHOT]]
+        state = [
+            f"monitor_id long, key {types['key'].simpleString()}", "first_seen timestamp, last_seen timestamp, last_checked timestamp",
+            *[f"{c} {kinds.get(c, 'string')}" for c in M.SNAPSHOT]
+        ]
         self.matches = BucketTable(spark, f"{folder}/matches", ["monitor_id", "key"], ", ".join(state), buckets)
         self.memory = BucketTable(spark, f"{folder}/memory", ["monitor_id", "entity", "key"], M.MEMORY, buckets)
 
@@ -77,7 +83,13 @@ class Fleet:
         spark, now, version = self.spark, self.clock(n), n + 1
         latest = batch.select(*self.columns, F.lit(version).cast("long").alias("_changed"))
         others = [c for c in latest.columns if c != "key"]
-        self.base.merge(latest, lambda old, new: old.unionByName(new).groupBy("key").agg(F.max_by(F.struct(*others), F.struct("_changed", *others)).alias("_x")).select("key", *[F.col("_x")[c].alias(c) for c in others]), version)
+        self.base.merge(
+            latest, lambda old,
+            new: old.unionByName(new).groupBy("key").agg(
+                F.max_by(F.struct(*others), F.struct("_changed", *others)).alias("_x")
+            ).select("key", *[F.col("_x")[c].alias(c) for c in others]),
+            version
+        )
         fleet = self.fleet(n)
         turn = {r.monitor_id: r.seen for r in M.due(fleet, now, DUE_AT_ONCE).collect()}
         refused = self.rules(n).where(F.col("monitor_id").isin(list(turn)) & M.ill_formed(self.rules(n))).select("monitor_id").collect() if turn else []
@@ -112,7 +124,9 @@ class Fleet:
         path = self._part("matches", ids, n)
         M.snapshot(hits).write.mode("overwrite").parquet(path)
         own = self.spark.read.parquet(path).select("monitor_id", "key")
-        known = own if self.matches.version() == 0 else own.unionByName(self.matches.read(version=min(n, self.matches.version())).where(F.col("monitor_id").isin(ids)).select("monitor_id", "key")).distinct()
+        known = own if self.matches.version() == 0 else own.unionByName(
+            self.matches.read(version=min(n, self.matches.version())).where(F.col("monitor_id").isin(ids)).select("monitor_id", "key")
+        ).distinct()
         for entity, found in M.once_found(self.tables, known, rules, now).items():
             found.withColumn("entity", F.lit(entity)).write.mode("overwrite").parquet(self._part(f"once-{entity}", ids, n))
 

@@ -71,7 +71,10 @@ def test_other_dates(spark):
     assert one(spark, P.epoch_ms_label(F.col("n")), n=(0, "long")) == "" and one(spark, P.epoch_ms_label(F.col("n")), n=(1_700_000_000_000, "long")) == "14/11/2023"
 
 
-@pytest.mark.parametrize("s,ok", [("11.222.333/0001-81", True), ("11222333000181", True), ("11222333000180", False), ("11111111111111", False), ("12345678000190", False), ("1", False), (None, False)])
+@pytest.mark.parametrize(
+    "s,ok",
+    [("11.222.333/0001-81", True), ("11222333000181", True), ("11222333000180", False), ("11111111111111", False), ("12345678000190", False), ("1", False), (None, False)]
+)
 def test_cnpj(spark, s, ok):
     assert one(spark, P.valid_cnpj(F.col("s")), s=s) is ok
 
@@ -83,8 +86,12 @@ def test_supplier_phase_and_keys(spark):
     assert one(spark, P.is_official_id(F.col("s")), s="12345678000190-1-000001/2024") is True and one(spark, P.is_official_id(F.col("s")), s="1-1-1/2024") is False
     a, b = (one(spark, P.content_key([F.col("s"), F.col("t")], 24), s=x, t="y") for x in ("", None))
     assert a != b and len(a) == 24
-    assert one(spark, P.money_label(F.col("v")), v=(1234567.0, "double")) == "R$ 1.234.567" and one(spark, P.money_label(F.col("v")), v=(None, "double")) == "valor não informado" and one(spark, P.money_label(F.col("v")), v=(2.5, "double")) == "R$ 3"
-    assert one(spark, P.url_extension(F.col("s"), F.col("t")), s="http://x/a.PDF?z=1", t="text/html") == "pdf" and one(spark, P.url_extension(F.col("s"), F.col("t")), s="http://x/a", t="x") == "bin"
+    assert one(spark, P.money_label(F.col("v")), v=(1234567.0, "double")) == "R$ 1.234.567" and one(
+        spark, P.money_label(F.col("v")), v=(None, "double")
+    ) == "valor não informado" and one(spark, P.money_label(F.col("v")), v=(2.5, "double")) == "R$ 3"
+    assert one(
+        spark, P.url_extension(F.col("s"), F.col("t")), s="http://x/a.PDF?z=1", t="text/html"
+    ) == "pdf" and one(spark, P.url_extension(F.col("s"), F.col("t")), s="http://x/a", t="x") == "bin"
 
 
 def test_documents(spark):

@@ -88,10 +88,26 @@ def test_threshold_levels(spark):
 
 
 def test_resolution_ways(spark):
-    records = spark.createDataFrame([("a", "Prefeitura de São João", "0012", "São João-SP"), ("b", "prefeitura DE SAO JOAO", "7", "São João-SP"), ("c", "", "5", "X-SP"), ("d", "Outra", "99", "Rio-RJ"), ("e", "Outra", "12a", "Rio-RJ"), ("f", "Prefeitura  de\tSão João", "1/2", None), ("g", "Outra", "5/2024", "-"), ("h", "Outra", "x", "Rio-RJ"), ("i", "Straße", "007", "Łódź-X-y")], "record_key string, agency string, number string, city_uf string")
-    cands = spark.createDataFrame([("p1", "PREFEITURA DE SÃO JOÃO", "12", None), ("p2", "Prefeitura de Sao Joao", None, "00007/"), ("p3", "Prefeitura de Sao Joao", "7", "x"), ("p4", "STRASSE", "7a", "0-0-7")], "canonical_key string, agency string, purchase_no string, process_no string")
+    records = spark.createDataFrame(
+        [
+            ("a", "Prefeitura de São João", "0012", "São João-SP"), ("b", "prefeitura DE SAO JOAO", "7", "São João-SP"), ("c", "", "5", "X-SP"),
+            ("d", "Outra", "99", "Rio-RJ"), ("e", "Outra", "12a", "Rio-RJ"), ("f", "Prefeitura  de\tSão João", "1/2", None),
+            ("g", "Outra", "5/2024", "-"), ("h", "Outra", "x", "Rio-RJ"), ("i", "Straße", "007", "Łódź-X-y")
+        ],
+        "record_key string, agency string, number string, city_uf string"
+    )
+    cands = spark.createDataFrame(
+        [
+            ("p1", "PREFEITURA DE SÃO JOÃO", "12", None), ("p2", "Prefeitura de Sao Joao", None, "00007/"),
+            ("p3", "Prefeitura de Sao Joao", "7", "x"), ("p4", "STRASSE", "7a", "0-0-7")
+        ],
+        "canonical_key string, agency string, purchase_no string, process_no string"
+    )
     links, review = R.resolve_by_name_number(records, cands, "s")
-    assert rows(links) == [("a", "p1", "linked"), ("c", "src:s:c", "source"), ("d", "proc:RJ:RIO:99", "new"), ("e", "proc:RJ:RIO:12", "new"), ("f", "p1", "linked"), ("g", "proc:XX:?:52024", "new"), ("h", "src:s:h", "source"), ("i", "p4", "linked")]
+    assert rows(links) == [
+        ("a", "p1", "linked"), ("c", "src:s:c", "source"), ("d", "proc:RJ:RIO:99", "new"), ("e", "proc:RJ:RIO:12", "new"), ("f", "p1", "linked"),
+        ("g", "proc:XX:?:52024", "new"), ("h", "src:s:h", "source"), ("i", "p4", "linked")
+    ]
     assert rows(review) == [("b", ["p2", "p3"])]
     none, _ = R.resolve_by_name_number(records, cands, "s", pending=records)
     assert none.count() == 0
@@ -104,7 +120,11 @@ def _rule(spark, **kw):
 
 def test_match_conditions(spark):
     rec = spark.createDataFrame(
-        [("a", "Compra de papel A4", "SP", "Campinas", None, "Pregão", "ABERTA", None, 10.0, T1), ("b", "papel e tinta", "RJ", "Rio", "X", "Pregão", None, "Encerrada", None, T1), ("c", None, "SP", "Santos", "Y", "OUTRA", None, None, 5.0, None)],
+        [
+            ("a", "Compra de papel A4", "SP", "Campinas", None, "Pregão", "ABERTA", None, 10.0, T1),
+            ("b", "papel e tinta", "RJ", "Rio", "X", "Pregão", None, "Encerrada", None, T1),
+            ("c", None, "SP", "Santos", "Y", "OUTRA", None, None, 5.0, None)
+        ],
         "key string, text string, state string, city string, agency string, modality string, status string, status_source string, value double, closes timestamp",
     )
     items = spark.createDataFrame([("a", 2.0, "77"), ("b", 9.0, "78")], "key string, unit_price double, code string")
@@ -124,9 +144,15 @@ def test_match_conditions(spark):
 
 def test_rules_in_parts(spark, monkeypatch):
     """The same alerts whatever the number of rules that are sent at once."""
-    rec = spark.createDataFrame([(f"k{k}", f"texto {k % 7} palavra", "SP", f"{k % 3}", k % 5 == 0, T1, str(k % 4)) for k in range(40)], "key string, text string, state string, agency string, cancelled boolean, ends timestamp, supplier string")
+    rec = spark.createDataFrame(
+        [(f"k{k}", f"texto {k % 7} palavra", "SP", f"{k % 3}", k % 5 == 0, T1, str(k % 4)) for k in range(40)],
+        "key string, text string, state string, agency string, cancelled boolean, ends timestamp, supplier string"
+    )
     base = {f.split()[0]: [] if "array" in f else None for f in M.RULE.split(", ")}
-    rules = spark.createDataFrame([tuple((base | {"monitor_id": k, "include": [f"{k % 7} palavra"] if k % 2 else ["texto"], "agencies_in": [str(k % 3)]}).values()) for k in range(9)], M.RULE)
+    rules = spark.createDataFrame(
+        [tuple((base | {"monitor_id": k, "include": [f"{k % 7} palavra"] if k % 2 else ["texto"], "agencies_in": [str(k % 3)]}).values()) for k in range(9)],
+        M.RULE
+    )
     ways = [lambda: M.register_alerts(rec, rules), lambda: M.plan_alerts(rec, rules), lambda: M.expiring_contract_alerts(rec, rules, T0)]
     whole = [rows(w()) for w in ways]
     monkeypatch.setattr(rule_index, "RULES_AT_ONCE", 2)
@@ -165,7 +191,9 @@ def test_alerts_and_memory(spark):
     assert later.count() == 3  # what no longer matches is kept
     both = found(("d", "deserta e fracassada", None, None, None, "g"))
     assert rows(M.remember(again, both, rules, T1)[1], "type") == [("DESERTED",), ("NEW_PROCUREMENT",)]
-    assert rows(M.remember(again, both, _rule(spark, deserted=False), T1)[1], "type", "new_text") == [("FAILED", "deserta e fracassada"), ("NEW_PROCUREMENT", "valor não informado em SP")]
+    assert rows(M.remember(again, both, _rule(spark, deserted=False), T1)[1], "type", "new_text") == [
+        ("FAILED", "deserta e fracassada"), ("NEW_PROCUREMENT", "valor não informado em SP")
+    ]
 
 
 def test_titles_of_alerts(spark):
@@ -215,7 +243,10 @@ def test_sql_functions(spark):
     from tendril.functions.text import fold_accents, register_functions, text_matches
 
     register_functions(spark)
-    df = spark.createDataFrame([("Straße de PÃO", ["strasse pao", "x"]), ("a%b", ["%"]), ("œuvre", ["oeu_re"]), (None, ["a"]), ("back\\slash", ["k\\s"]), ("x", None)], "s string, terms array<string>")
+    df = spark.createDataFrame(
+        [("Straße de PÃO", ["strasse pao", "x"]), ("a%b", ["%"]), ("œuvre", ["oeu_re"]), (None, ["a"]), ("back\\slash", ["k\\s"]), ("x", None)],
+        "s string, terms array<string>"
+    )
     got = df.selectExpr("fold_text(s) AS f", "text_ok(s, terms) AS ok", "effective_terms(terms, array('b', 'cc')) AS e").collect()
     want = df.select(fold_accents(F.col("s"), True).alias("f"), text_matches(F.col("s"), F.col("terms")).alias("ok")).collect()
     assert [(r.f, r.ok) for r in got] == [(r.f, r.ok) for r in want] and [r.ok for r in got] == [True, False, True, False, True, False]

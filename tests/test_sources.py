@@ -41,7 +41,13 @@ def test_period_and_passthrough(spark, tmp_path):
 
 
 def test_payloads(spark):
-    raw = spark.createDataFrame([('{"numeroControlePNCP": "k1", "srp": "sim", "anoCompra": 2024, "objetoCompra": ""}',), ('{"srp": true, "valorTotalEstimado": 0, "orgaoEntidade": {"cnpj": "11111111111111"}, "unidadeOrgao": {"ufSigla": "XX"}}',)], "payload string")
+    raw = spark.createDataFrame(
+        [
+            ('{"numeroControlePNCP": "k1", "srp": "sim", "anoCompra": 2024, "objetoCompra": ""}',),
+            ('{"srp": true, "valorTotalEstimado": 0, "orgaoEntidade": {"cnpj": "11111111111111"}, "unidadeOrgao": {"ufSigla": "XX"}}',)
+        ],
+        "payload string"
+    )
     a, b = N.normalize_tenders(raw).collect()
     assert a.key == "k1" and a.price_register is None and a.estimated_value is None and a.object == "" and a.year == 2024
     assert b.key is None and b.price_register is True and b.estimated_value == 0
@@ -96,7 +102,10 @@ def test_contents_and_sinks(spark, tmp_path):
 
 
 def test_replay_is_incremental(spark):
-    raw = spark.createDataFrame([("u1", '{"numeroControlePNCP": "k", "anoCompra": 1}'), ("u1", '{"numeroControlePNCP": "k", "anoCompra": 1}'), ("u2", '{"numeroControlePNCP": "m"}')], "url string, payload string")
+    raw = spark.createDataFrame(
+        [("u1", '{"numeroControlePNCP": "k", "anoCompra": 1}'), ("u1", '{"numeroControlePNCP": "k", "anoCompra": 1}'), ("u2", '{"numeroControlePNCP": "m"}')],
+        "url string, payload string"
+    )
     landed = C.land_raw(raw.limit(0).withColumn("sha256", F.lit("")), raw, datetime(2024, 1, 1))
     assert landed.count() == 2 and C.land_raw(landed, raw, datetime(2024, 1, 2)).count() == 0
     assert C.replay(landed, N.normalize_tenders, ["key"]).count() == 2

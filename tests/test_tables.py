@@ -76,8 +76,18 @@ def test_index_finds_what_the_loop_finds(spark, monkeypatch):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcé%_ß\\") if rng.random() < 0.2 else rng.choice("abcde") for _ in range(rng.choice([1, 2, 3, 5])))
     texts = [" ".join("".join(rng.choice("abcdeÉß\\%") for _ in range(rng.choice([2, 4, 9]))) for _ in range(rng.choice([0, 3, 12]))) for _ in range(60)] + [None, ""]
-    rec = spark.createDataFrame([(k, t, rng.choice(["SP", "RJ", None]), rng.choice(["A", "B", None]), str(k % 5)) for k, t in enumerate(texts)], "key long, text string, state string, agency string, supplier string")
-    given = [{"monitor_id": k, "include": [" ".join(word() for _ in range(rng.choice([1, 2]))) for _ in range(rng.choice([0, 1, 2]))], "exclude": [word()] if k % 9 == 0 else [], "states": ["SP"] if k % 4 == 0 else [], "agencies_in": ["A", "X"] if k % 5 == 0 else [], "suppliers": ["1", "3"] if k % 6 == 0 else []} for k in range(120)]
+    rec = spark.createDataFrame(
+        [(k, t, rng.choice(["SP", "RJ", None]), rng.choice(["A", "B", None]), str(k % 5)) for k, t in enumerate(texts)],
+        "key long, text string, state string, agency string, supplier string"
+    )
+    given = [
+        {
+            "monitor_id": k, "include": [" ".join(word() for _ in range(rng.choice([1, 2]))) for _ in range(rng.choice([0, 1, 2]))],
+            "exclude": [word()] if k % 9 == 0 else [], "states": ["SP"] if k % 4 == 0 else [], "agencies_in": ["A", "X"] if k % 5 == 0 else [],
+            "suppliers": ["1", "3"] if k % 6 == 0 else []
+        }
+        for k in range(120)
+    ]
     rules = _rules(spark, *given)
     live, ready = rec.withColumn("_folded", fold_accents(F.col("text"), True)), M._ready(rules)
     on = M._off_or("states", F.array_contains("states", F.col("state"))) & M._off_or("agencies_in", F.array_contains("agencies_in", F.col("agency")))
@@ -115,12 +125,24 @@ def test_failing_monitors_are_set_apart(spark):
 
 def test_fleet(spark, tmp_path):
     """First run by monitor, turns, clocks, failure, both contract sources, and a tick that runs again."""
-    rec = lambda *r: spark.createDataFrame([(k, t, "SP", "c", "g", "m", "x", None, v, T0 + timedelta(days=9), None) for k, t, v in r], "key string, text string, state string, city string, agency string, modality string, status string, status_source string, value double, closes timestamp, awarded double")
-    contracts = spark.createDataFrame([("1", "papel", "s", T0 + timedelta(days=5), "SP", 10.0)], "key string, text string, supplier string, ends timestamp, state string, value double")
+    rec = lambda *r: spark.createDataFrame(
+        [(k, t, "SP", "c", "g", "m", "x", None, v, T0 + timedelta(days=9), None) for k, t, v in r],
+        "key string, text string, state string, city string, agency string, modality string, status string, status_source string, value double, closes timestamp, awarded double"
+    )
+    contracts = spark.createDataFrame(
+        [("1", "papel", "s", T0 + timedelta(days=5), "SP", 10.0)],
+        "key string, text string, supplier string, ends timestamp, state string, value double"
+    )
     gov = spark.createDataFrame([("1", "papel", "s", T0 + timedelta(days=50))], "key string, text string, supplier string, ends timestamp")
     tables = {"items": spark.createDataFrame([], "key string, unit_price double, code string"), "contracts": contracts, "contracts_gov": gov}
-    rules = _rules(spark, {"monitor_id": 1, "include": ["papel"]}, {"monitor_id": 2, "include": ["papel"], "states": ["RJ"]}, {"monitor_id": 3, "include": ["papel"], "cities": ["\\"]}, {"monitor_id": 4, "include": ["papel"]})
-    listed = lambda n: spark.createDataFrame([(k, True, T0, 60 if k == 4 else 5) for k in ((1, 2, 3) if n == 0 else (1, 2, 3, 4))], "monitor_id long, active boolean, next_run timestamp, refresh_minutes int")
+    rules = _rules(
+        spark, {"monitor_id": 1, "include": ["papel"]}, {"monitor_id": 2, "include": ["papel"], "states": ["RJ"]},
+        {"monitor_id": 3, "include": ["papel"], "cities": ["\\"]}, {"monitor_id": 4, "include": ["papel"]}
+    )
+    listed = lambda n: spark.createDataFrame(
+        [(k, True, T0, 60 if k == 4 else 5) for k in ((1, 2, 3) if n == 0 else (1, 2, 3, 4))],
+        "monitor_id long, active boolean, next_run timestamp, refresh_minutes int"
+    )
     clock = lambda n: T0 + timedelta(minutes=10 * n)
     first = rec(("a", "papel", 1.0))
     fleet = Fleet(spark, f"file://{tmp_path}/f", first.schema, tables, lambda n: rules, listed, clock, buckets=4)
@@ -181,7 +203,9 @@ def test_quoted_files_in_splits(spark, tmp_path, size):
 
 def test_quantiles_of_any_group(spark):
     rng = random.Random(1)
-    data = [(rng.choice(["a", "b", None]), rng.choice([None, 7.0, 7.0, rng.random() * 10 ** rng.randint(-3, 9)])) for _ in range(4000)] + [("one", 3.0)] + [("same", 5.0)] * 400 + [("none", None)]
+    data = [
+        (rng.choice(["a", "b", None]), rng.choice([None, 7.0, 7.0, rng.random() * 10 ** rng.randint(-3, 9)])) for _ in range(4000)
+    ] + [("one", 3.0)] + [("same", 5.0)] * 400 + [("none", None)]
     df = spark.createDataFrame(data, "k string, v double").repartition(3)
     points = [0.0, 0.25, 0.5, 0.9, 1.0]
     want = df.where("v is not null").groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, points))).alias("q"))
@@ -196,7 +220,11 @@ def test_live_cube(spark, tmp_path):
     schema = "key long, seq long, day timestamp, status string, price double"
     kept = {}
     by = {"month": U.month_of("day"), "status": F.col("status")}
-    cube = U.LiveCube(BucketTable(spark, f"file://{tmp_path}/r", ["key"], schema, 4), BucketTable(spark, f"file://{tmp_path}/c", ["month"], U.LiveCube.cells_schema({"month": "string", "status": "string"}, ["total"]), 4), by, {"total": F.col("price")}, "seq")
+    cube = U.LiveCube(
+        BucketTable(spark, f"file://{tmp_path}/r", ["key"], schema, 4),
+        BucketTable(spark, f"file://{tmp_path}/c", ["month"], U.LiveCube.cells_schema({"month": "string", "status": "string"}, ["total"]), 4), by,
+        {"total": F.col("price")}, "seq"
+    )
     for n in range(1, 4):
         batch = [(rng.randrange(30), rng.randrange(10), datetime(2024, rng.randint(1, 4), 5), rng.choice(["a", None]), float(rng.randrange(100))) for _ in range(40)]
         best = {}
@@ -229,6 +257,9 @@ def test_contents_once(spark, tmp_path):
 def test_as_of(spark):
     at = lambda d: T0 + timedelta(days=d)
     versions = spark.createDataFrame([(1, at(1), "v1"), (1, at(3), "v2"), (1, at(3), "v3"), (2, None, "w")], "k long, since timestamp, what string")
-    moments = spark.createDataFrame([(1, at(0), "before"), (1, at(1), "at"), (1, at(2), "between"), (1, at(9), "after"), (2, at(0), "null start"), (3, at(0), "unknown")], "k long, at timestamp, name string")
+    moments = spark.createDataFrame(
+        [(1, at(0), "before"), (1, at(1), "at"), (1, at(2), "between"), (1, at(9), "after"), (2, at(0), "null start"), (3, at(0), "unknown")],
+        "k long, at timestamp, name string"
+    )
     got = {r.name: r.what for r in H.as_of_join(moments, versions, ["k"], "at", "since").collect()}
     assert got == {"before": None, "at": "v1", "between": "v1", "after": "v3", "null start": "w", "unknown": None}
