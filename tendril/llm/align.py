@@ -584,7 +584,10 @@ def _second_pass(docs: DataFrame, path_a: str, path_b: str, folder: str | None,
                 sums = [np.concatenate([[0], np.cumsum(x.all[codes])]) for x in (*aligner.sizes, aligner.bests, aligner.sums)]
                 shown = list(map(aligner.shown.__getitem__, codes.tolist()))
                 said = [";".join(shown[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-                columns = [batch.column(0).slice(i, j - i), *(pa.array(s[first[1:]] - s[first[:-1]]) for s in sums), pa.array([shown_as(x) for x in said] if shown_as else said, pa.string())]
+                columns = [
+                    batch.column(0).slice(i, j - i), *(pa.array(s[first[1:]] - s[first[:-1]]) for s in sums),
+                    pa.array([shown_as(x) for x in said] if shown_as else said, pa.string())
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in ALIGNED.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

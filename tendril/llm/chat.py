@@ -60,7 +60,10 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     """
     conv = Window.partitionBy("conv_id")
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = conversations.select(
+        "conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
     rows = rows.withColumn("k", F.row_number().over(conv.orderBy(*order)) - 1)
     leads = (F.col("k") == 0) & (F.col("role") == "system")
     by_turn = conv.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -68,14 +71,20 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     rows = rows.withColumns({
         "before": F.sum("tokens").over(by_turn) - F.col("tokens"),
         "system": F.first(F.when(leads, F.col("text"))).over(by_turn),
-        "share": F.greatest(F.lit(LEAST_SHARE), F.floor((F.lit(budget - history) - F.coalesce(F.first(F.when(leads, turn_tokens(F.col("text")))).over(by_turn), F.lit(0))) / 2)).cast("long"),
+        "share": F.greatest(
+            F.lit(LEAST_SHARE),
+            F.floor((F.lit(budget - history) - F.coalesce(F.first(F.when(leads, turn_tokens(F.col("text")))).over(by_turn), F.lit(0))) / 2)
+        ).cast("long"),
     })
     rows = rows.withColumn("window", F.floor(F.col("before") / F.col("share")).cast("long"))
     opens = F.row_number().over(Window.partitionBy("conv_id", "window").orderBy("k")) == 1
     # a window's own first turn knows the next window's: among first turns, the one that follows
     firsts = F.lead(F.struct("window", "before")).over(Window.partitionBy("conv_id", "opens").orderBy("k"))
     rows = rows.withColumn("opens", opens).withColumn("_next", F.when(F.col("opens"), firsts))
-    rows = rows.withColumn("_next", F.first("_next", ignorenulls=True).over(Window.partitionBy("conv_id", "window").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn(
+        "_next",
+        F.first("_next", ignorenulls=True).over(Window.partitionBy("conv_id", "window").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    )
     rows = rows.withColumns({"next": F.col("_next.window"), "next_start": F.col("_next.before")})
     reach = F.least(F.lit(history), F.col("share"))
     turn = lambda window, kind, role, text, k: F.struct(window.alias("window"), F.lit(kind).alias("kind"), k.alias("k"), role.alias("role"), text.alias("text"))
@@ -105,7 +114,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
     head = lambda p: F.substring_index(F.substring(p, F.lit(len(START) + 1), F.length(p)), "\n", 1)
     said = lambda p: F.concat(unescape(head(p), True), F.lit("\n"), unescape(F.substring(p, F.length(head(p)) + len(START) + 2, F.length(p))), F.lit("\n"))
     lost = lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))
-    each = formatted.select("conv_id", "window", F.size(kept).cast("long").alias("turns"), F.array_join(F.transform(kept, said), "").alias("said"), F.array_join(F.transform("loss", lost), "").alias("lost"), F.length("formatted").cast("long").alias("chars"))
+    each = formatted.select(
+        "conv_id", "window", F.size(kept).cast("long").alias("turns"), F.array_join(F.transform(kept, said), "").alias("said"),
+        F.array_join(F.transform("loss", lost), "").alias("lost"), F.length("formatted").cast("long").alias("chars")
+    )
     joined = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("window", name))), lambda x: x[name]), "")
     whole = each.groupBy("conv_id").agg(F.sum("turns").alias("n_turns"), joined("said").alias("said"), joined("lost").alias("lost"), F.sum("chars").alias("formatted_chars"))
-    return whole.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("lost").cast("long").alias("loss_chars"), F.sha2("lost", 256).alias("loss_sha256"), "formatted_chars")
+    return whole.select(
+        "conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("lost").cast("long").alias("loss_chars"),
+        F.sha2("lost", 256).alias("loss_sha256"), "formatted_chars"
+    )

@@ -58,7 +58,10 @@ class Matcher:
         fresh = np.ones(len(at), dtype=bool)
         fresh[1:] = (whole[1:] != whole[:-1]) | (more[1:] != more[:-1]) | (owner[1:] != owner[:-1])
         bits = min(24, max(18, len(at).bit_length() + 2))
-        self = cls({"shift": np.zeros(0), "bucket": whole[fresh], "at": at[fresh].astype(np.int32), "owner": owner[fresh].astype(np.int32), "shape": np.array([length, bits])}, part)
+        self = cls(
+            {"shift": np.zeros(0), "bucket": whole[fresh], "at": at[fresh].astype(np.int32), "owner": owner[fresh].astype(np.int32), "shape": np.array([length, bits])},
+            part
+        )
         self.shift = np.full(1 << bits, length - self.block + 1, dtype=np.uint8 if length < 256 else np.int32)
         for end in range(self.block, length + 1):
             words = np.stack([hashes[self.at + end - self.block + k] for k in range(self.block)], axis=-1)
@@ -270,7 +273,10 @@ def _union(spans):
     """Ascending spans, merged where they touch or overlap."""
     grow = lambda done, s: F.when(
         (F.size(done) > 0) & (F.element_at(done, -1)["last"] >= s["first"]),
-        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], s["last"]).alias("last")))),
+        F.concat(
+            F.slice(done, 1, F.size(done) - 1),
+            F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], s["last"]).alias("last")))
+        ),
     ).otherwise(F.concat(done, F.array(s)))
     return F.aggregate(spans, F.array().cast("array<struct<first: int, last: int>>"), grow)
 
@@ -323,7 +329,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
     spans = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["last"] - h["first"])
     found = find_benchmark(docs, benchmark, window).withColumn("n_hit", spans)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated")
+    )
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_TABLE_BYTES) -> DataFrame:

@@ -158,7 +158,10 @@ def _posting_rows(frequent: np.ndarray, rank: np.ndarray, size: int) -> Callable
                 arrays = [np.concatenate(x) for x in out]
                 for x in out:
                     x.clear()
-                return pa.RecordBatch.from_arrays([pa.array(arrays[0]), pa.array(arrays[1]), pa.array(arrays[2].astype(np.int32)), pa.array(arrays[3].astype(np.int32)), pa.array(arrays[4])], names=["tok", "doc_id", "n", "pos", "sig"])
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(arrays[0]), pa.array(arrays[1]), pa.array(arrays[2].astype(np.int32)), pa.array(arrays[3].astype(np.int32)), pa.array(arrays[4])],
+                    names=["tok", "doc_id", "n", "pos", "sig"]
+                )
 
             for k, s in shingle_sets(batch.column(1), size):
                 n, doc = len(s), int(ids[k])
@@ -245,7 +248,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> pa.RecordBatch:
     swap = a > b
-    return pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b)), pa.array(np.where(swap, nb, na)), pa.array(np.where(swap, na, nb))], names=["a", "b", "na", "nb"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b)), pa.array(np.where(swap, nb, na)), pa.array(np.where(swap, na, nb))],
+        names=["a", "b", "na", "nb"]
+    )
 
 
 PAIR = "a long, b long, na long, nb long"
@@ -410,7 +416,10 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             got = [_common(x, y) for x, y in zip(batch.column(2), batch.column(3))]
             linked = [WHOLE * common >= PART * (p + q - common) for common, p, q in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in got], pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "common", "linked"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([x[0] for x in got], pa.int64()), pa.array(linked, pa.bool_())],
+                names=["a", "b", "common", "linked"]
+            )
 
     one = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     both = one.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
@@ -431,13 +440,18 @@ def _derived(members: DataFrame, sets: DataFrame, shared: DataFrame, total: int)
             for x, y in zip(batch.column(2), batch.column(3)):
                 common, n, _ = _common(x, y)
                 only.append((n, n - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in only], pa.int64()) for k in (0, 1)), batch.column(4)], names=["doc_id", "c", "n", "only", "extra"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array([x[k] for x in only], pa.int64()) for k in (0, 1)), batch.column(4)],
+                names=["doc_id", "c", "n", "only", "extra"]
+            )
 
     sizes = stored(members.groupBy("c").agg(F.count("*").alias("_n")), "leaders").withColumn("copies", F.ceil(F.col("_n") / MEMBERS).cast("long"))
     own = classed(members, sizes, ["c"], "_n", total).withColumn("copy", F.pmod(F.xxhash64("doc_id"), F.col("copies"))).drop("copies")
     own = own.join(sets, "doc_id").join(shared.select("doc_id", "toks"), "doc_id", "left")
     of = lambda df, name: df.select(F.col("doc_id").alias("c"), F.col(df.columns[1]).alias(name))
-    heads = sizes.select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).join(of(sets, "cs"), "c").join(of(shared.select("doc_id", "toks"), "ctoks"), "c", "left")
+    heads = sizes.select(
+        "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
+    ).join(of(sets, "cs"), "c").join(of(shared.select("doc_id", "toks"), "ctoks"), "c", "left")
     none = F.array().cast("array<long>")
     both = own.join(heads, ["c", "copy"]).select("doc_id", "c", "s", "cs", F.array_except(F.coalesce("toks", none), F.coalesce("ctoks", none)).alias("extra"))
     return both.mapInArrow(rows, "doc_id long, c long, n long, only long, extra array<long>")
@@ -465,7 +479,10 @@ def similar_documents(docs: DataFrame, size: int = SIZE) -> DataFrame:
     if not named.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).count():
         return _linked(named, size).unionByName(nameless)
     keyed = stored(named.select(F.monotonically_increasing_id().alias("_row"), "*"), "keyed")
-    rows = stored(_linked(keyed.select(F.col("_row").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "_row").join(keyed.select("_row", "doc_id"), "_row"), "linked-rows")
+    rows = stored(
+        _linked(keyed.select(F.col("_row").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "_row").join(keyed.select("_row", "doc_id"), "_row"),
+        "linked-rows"
+    )
     least = stored(rows.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "least")
     whole = classed(rows, least, ["component_id"], "n", rows.count())
     return whole.select("doc_id", "n_shingles", F.col("least").alias("component_id")).unionByName(nameless)
@@ -530,7 +547,10 @@ def _linked(docs: DataFrame, size: int) -> DataFrame:
     none = F.lit(None)
     kind = F.when(F.col("only") * CLOSE <= F.col("n"), MEMBER).otherwise(ALONE)
     roles = derived.select("doc_id", "c", F.col("n").alias("low"), F.col("n").alias("high"), F.lit(0).cast("long").alias("slack"), kind.alias("kind"), "extra")
-    roles = stored(roles.unionByName(ranges.select(F.col("c").alias("doc_id"), "c", "low", "high", "slack", F.lit(LEADER).alias("kind"), none.cast("array<long>").alias("extra"))), "roles")
+    roles = stored(
+        roles.unionByName(ranges.select(F.col("c").alias("doc_id"), "c", "low", "high", "slack", F.lit(LEADER).alias("kind"), none.cast("array<long>").alias("extra"))),
+        "roles"
+    )
     entries = lists.join(roles, "doc_id", "left").where(F.coalesce(F.col("kind") != MEMBER, F.lit(True)) | F.array_contains("extra", F.col("tok")))
     n = F.col("n").cast("long")
     entries = entries.select(
@@ -541,20 +561,29 @@ def _linked(docs: DataFrame, size: int) -> DataFrame:
     # every pair that is left: prefixes must share enough, and one list must hold the pair's first common element
     cells = dealt(entries.join(shared.select("doc_id", "m", "bits"), "doc_id"), entries.groupBy("tok").agg(F.count("*").alias("_n")), ["tok"], "doc_id", LIST)
     cells = cells.repartition("tok", "cell").sortWithinPartitions("tok", "cell", "half", "low").select(*ENTRY, "bits")
-    pairs = cells.mapInArrow(_cell_pairs, POSSIBLE).groupBy("a", "b").agg(F.count("*").alias("k"), F.max("lack").alias("lack"), F.min("counted").alias("counted"), F.max("first").alias("first"))
+    pairs = cells.mapInArrow(_cell_pairs, POSSIBLE).groupBy("a", "b").agg(
+        F.count("*").alias("k"), F.max("lack").alias("lack"), F.min("counted").alias("counted"), F.max("first").alias("first")
+    )
     pairs = stored(pairs.where(F.col("first") & (~F.col("counted") | (F.col("k") >= F.col("lack")))), "possible")
     found = judged(pairs)
 
     # members of components whose leaders were compared and do not link: what the leaders share bounds what they share
     groups = roles.where(F.col("kind") == LEADER).select("doc_id", "low", "slack")
-    size_of = members.join(groups, "doc_id", "left").select("doc_id", "n", F.least("n", F.coalesce("low", "n")).alias("low"), F.coalesce("slack", F.lit(0)).alias("slack"), F.col("slack").isNotNull().alias("group"))
+    size_of = members.join(groups, "doc_id", "left").select(
+        "doc_id", "n", F.least("n", F.coalesce("low", "n")).alias("low"), F.coalesce("slack", F.lit(0)).alias("slack"),
+        F.col("slack").isNotNull().alias("group")
+    )
     side = lambda x: size_of.select(F.col("doc_id").alias(x), *[F.col(c).alias(c + x) for c in ("n", "low", "slack", "group")])
     needed = lambda p, q: F.ceil((F.col(p) + F.col(q)) * PART / (PART + WHOLE))
     compared = reduce(DataFrame.unionByName, checked).where(~F.col("linked"))
     open_ = pairs.select("a", "b").join(compared.select("a", "b", "common"), ["a", "b"]).join(side("a"), "a").join(side("b"), "b")
     open_ = stored(open_.where((F.col("groupa") | F.col("groupb")) & (F.col("common") + F.col("slacka") + F.col("slackb") >= needed("lowa", "lowb"))), "open")
     if open_.count():
-        standing = close.select("c", "doc_id", "n", "only").unionByName(groups.join(members.select("doc_id", "n"), "doc_id").select(F.col("doc_id").alias("c"), "doc_id", F.col("n").cast("long").alias("n"), F.lit(0).cast("long").alias("only")))
+        standing = close.select("c", "doc_id", "n", "only").unionByName(
+            groups.join(members.select("doc_id", "n"), "doc_id").select(
+                F.col("doc_id").alias("c"), "doc_id", F.col("n").cast("long").alias("n"), F.lit(0).cast("long").alias("only")
+            )
+        )
 
         def with_members(df: DataFrame, x: str) -> DataFrame:
             them = standing.select(F.col("c").alias(x), F.col("doc_id").alias("m" + x), F.col("n").alias("nm" + x), F.col("only").alias("only" + x))
@@ -586,7 +615,9 @@ def _linked(docs: DataFrame, size: int) -> DataFrame:
             found = judged(apart(ordered(both.where(fits), "ma", "mb").distinct(), "a", "b", found))
 
     total = members.count()
-    by_class = classed(members, classes, ["n", "pos", "sig"], "copies", total).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
+    by_class = classed(members, classes, ["n", "pos", "sig"], "copies", total).select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")
+    )
     reps = stored(by_class, "by-class")
     counts = stored(found.withColumnRenamed("node", "rep").join(reps.groupBy("rep").agg(F.count("*").alias("copies")), "rep"), "found")
     return classed(reps, counts, ["rep"], "copies", total).select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

@@ -156,7 +156,9 @@ def learn(docs: DataFrame, folds: int = 3, fold: int = 1, symbols_each: int = SY
     symbols of all languages together.
     """
     lang, text, ident = F.col("lang").cast("string"), F.col("text").cast("string"), F.col("doc_id")
-    named = docs.select(ident.alias("doc_id"), lang.alias("lang"), text.alias("text")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
+    named = docs.select(ident.alias("doc_id"), lang.alias("lang"), text.alias("text")).where(
+        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)
+    )
     lettered = named.where(F.col("text").rlike(r"\p{L}"))
     number = max(1, lettered.select("lang").distinct().count())
     symbols_each = max(1, min(symbols_each, all_symbols // number))
@@ -164,7 +166,9 @@ def learn(docs: DataFrame, folds: int = 3, fold: int = 1, symbols_each: int = SY
     long = 2 * symbols_each
     place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - long + 1)).cast("int") + 1
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = lettered.select("lang", "doc_id", F.substring(F.col("text"), place, F.lit(long)).alias("text")).withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= documents)
+    sample = lettered.select(
+        "lang", "doc_id", F.substring(F.col("text"), place, F.lit(long)).alias("text")
+    ).withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= documents)
     sample = sample.withColumn("n", F.count("*").over(Window.partitionBy("lang")))
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in sample.select("lang", "k", F.left("text", F.ceil(F.lit(long) / F.col("n")).cast("int")).alias("text")).collect():
@@ -210,7 +214,10 @@ def identify(docs: DataFrame, model: dict[str, bytes], at_once: int = LANGUAGES_
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for k, part in enumerate(parts):
         last = k == len(parts) - 1
-        found = rows.mapInArrow(_parsed(part, [model[n] for n in part], k == 0, last), f"doc_id long, text string, {FOUND}" if not last else f"doc_id long, letters boolean, {FOUND}")
+        found = rows.mapInArrow(
+            _parsed(part, [model[n] for n in part], k == 0, last), f"doc_id long, text string, {FOUND}" if not last
+            else f"doc_id long, letters boolean, {FOUND}"
+        )
         rows = found if last else stored(found, "languages")
     known = F.col("letters") & F.col("best").isNotNull()
     score = F.when(F.col("second").isNull(), 1.0).otherwise(1 - F.col("least") / F.greatest(F.col("second"), F.lit(1)))

@@ -46,7 +46,10 @@ def text_lines(text: Column) -> Column:
 def hashed_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``doc_id, row, pos, h, g, first`` of every line that may repeat; ``row`` is a hash of the text, ``first`` says that the document holds the key no earlier."""
     keys = F.transform(text_lines(F.col("text")), line_key)
-    long = F.filter(F.transform(keys, lambda x, k: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), k.alias("pos"), (F.length(x) >= least_chars).alias("ok"))), lambda x: x["ok"])
+    long = F.filter(
+        F.transform(keys, lambda x, k: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), k.alias("pos"), (F.length(x) >= least_chars).alias("ok"))),
+        lambda x: x["ok"]
+    )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row"), F.sort_array(long).alias("_s"))
     rows = rows.select("doc_id", "row", "_s", F.posexplode("_s").alias("_k", "_x"))
     before = F.get("_s", F.col("_k") - 1)
@@ -145,4 +148,7 @@ def without_repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, leas
     lines = text_lines(F.col("text"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
     kept = F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n")
-    return rows.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    return rows.select(
+        "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.size(lines).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped")
+    )

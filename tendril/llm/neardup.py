@@ -238,7 +238,10 @@ def _wanted(threshold: float, bits: int, bands: int):
             for half, rep in sides:
                 if len(rep):
                     k = np.full(len(rep), 1, dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(k * x) for x in key), pa.array(np.full(len(rep), half, dtype=np.int32)), pa.array(rep)], names=["band", "bits", "cell", "half", "rep"])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(k * x) for x in key), pa.array(np.full(len(rep), half, dtype=np.int32)), pa.array(rep)],
+                        names=["band", "bits", "cell", "half", "rep"]
+                    )
 
     return rows
 
@@ -351,5 +354,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
     answers = codes.select("rep", "least", "copies", "h", "h2").join(links, "rep", "left").join(found, "rep", "left")
     answers = answers.select("h", "h2", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     answers = stored(answers.where(F.col("n_links") > 0), "vector-answers")
-    out = classed(rows, answers, ["h", "h2"], "copies", total).select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = classed(rows, answers, ["h", "h2"], "copies", total).select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
+    )
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -18,7 +18,8 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id
 
 OP2 = """
 WITH RECURSIVE v AS (SELECT vec_id, embedding AS e FROM embeddings),
-u AS (SELECT vec_id, CAST(e AS DOUBLE[]) AS e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, CAST(e AS DOUBLE[]) AS e FROM v WHERE e IS NOT NULL AND len(e) > 0
+   AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND (list_cosine_similarity(a.e, b.e) >= 0.9 OR a.e = b.e)),
 r AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT l.a, r.c FROM r JOIN l ON l.b = r.a),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY 1),
@@ -82,12 +83,14 @@ FROM x JOIN f USING (conv_id) GROUP BY conv_id
 _MIX = """
 c AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM {docs} GROUP BY 1),
 tot AS (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS k FROM c),
-li AS (SELECT list(s ORDER BY s) AS ss, list(CAST(9 * n * k + total AS HUGEINT) ORDER BY s) AS ws, list((n + 15) // 16 ORDER BY s) AS need, CAST(any_value(10 * total * k) AS HUGEINT) AS whole FROM c, tot),
+li AS (SELECT list(s ORDER BY s) AS ss, list(CAST(9 * n * k + total AS HUGEINT) ORDER BY s) AS ws, list((n + 15) // 16
+   ORDER BY s) AS need, CAST(any_value(10 * total * k) AS HUGEINT) AS whole FROM c, tot),
 run AS (SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS pick, list_transform(ws, lambda x: CAST(0 AS BIGINT)) AS done, CAST(list_sum(need) AS BIGINT) AS missing FROM li
   UNION ALL
   SELECT slot + 1, p, list_transform(done, lambda x, i: x + CASE WHEN i = p THEN 1 ELSE 0 END), missing - CASE WHEN done[p] < need[p] THEN 1 ELSE 0 END FROM (
     SELECT slot, done, missing, need, list_position(d, list_min(d)) AS p FROM (
-      SELECT slot, done, missing, need, list_transform(done, lambda x, i: CASE WHEN x * whole // ws[i] <= slot + 1 THEN ((x + 1) * whole + ws[i] - 1) // ws[i] ELSE 4611686018427387904 END) AS d
+      SELECT slot, done, missing, need, list_transform(done, lambda x, i:
+   CASE WHEN x * whole // ws[i] <= slot + 1 THEN ((x + 1) * whole + ws[i] - 1) // ws[i] ELSE 4611686018427387904 END) AS d
       FROM run, li WHERE missing > 0))),
 pl AS (SELECT ss[pick] AS s, done[pick] - 1 AS i, slot FROM run, li WHERE slot >= 0),
 bl AS (SELECT s, count(*) AS blocks FROM pl GROUP BY 1),
@@ -143,14 +146,18 @@ _FORCED = ", ".join(_edit("2", "D", "''", f"n{k}") + f" AS n{k}" for k in range(
 
 #: Ways are followed from the last row to the first; a way is (cost, edits, text) and the least of them is the one that counts.
 OP13 = f"""
-WITH RECURSIVE tbl AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_concat([CAST(n AS BIGINT)], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(n))),
+WITH RECURSIVE tbl AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_concat([CAST(n AS BIGINT)], range(8)), lambda c, k:
+   CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(n))),
 h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
       xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT))),
           lambda c, b: xor(c // 256, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) % 20 AS kind FROM conversations, tbl),
-dam AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+dam AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user'
+   ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core, role[1:1] AS i FROM dam),
-f AS (SELECT *, core = '' AS blank, core <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS dup, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS prev FROM o),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id
+   ORDER BY turn NULLS FIRST, role, text) AS k, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core, role[1:1] AS i FROM dam),
+f AS (SELECT *, core = '' AS blank, core <> '' AND row_number() OVER (PARTITION BY conv_id, role, text
+   ORDER BY k) > 1 AS dup, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS prev FROM o),
 g AS (SELECT *, NOT blank AND NOT dup AND core[-1:] NOT IN ('.', '!', '?') AS cut FROM f),
 b AS (SELECT conv_id, k, i, blank OR dup AS forced, CASE WHEN cut THEN 5 ELSE 0 END AS p, chr(10) || role || ':' || text AS said, text FROM g),
 s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,

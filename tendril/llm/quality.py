@@ -42,7 +42,10 @@ _KIND[65:91] = 1
 _KIND[48:58] = 2
 _KIND[[*b" \t\n\r\v\f"]] = 4
 _KIND[[*b".,;:'\"?!-()"]] = 5
-FEATURES = ("upper", "digit", "sign", "space", "punctuation", "same_as_before", "repeated", "sign_words", "upper_words", "shouted", "word_length", "size", "lines_repeated", "empty")
+FEATURES = (
+    "upper", "digit", "sign", "space", "punctuation", "same_as_before", "repeated", "sign_words", "upper_words", "shouted", "word_length", "size",
+    "lines_repeated", "empty"
+)
 
 
 WIDTH = len(FEATURES) + WORD_BUCKETS + BYTE_BUCKETS
@@ -213,7 +216,9 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sam
     classes.  Without one of the classes all texts score alike.
     """
     small_batches(docs.sparkSession)
-    marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"), folds, fold)).distinct()
+    marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(
+        F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"), folds, fold)
+    ).distinct()
     counts = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
     chosen = None
     for q in (0, 1):

@@ -53,7 +53,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixed(docs).select("doc_id", F.col("_source").alias("source"), F.col("_slot").alias("slot"), F.col("_place").alias("place"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
+    return mixed(docs).select(
+        "doc_id", F.col("_source").alias("source"), F.col("_slot").alias("slot"), F.col("_place").alias("place"),
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars")
+    )
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

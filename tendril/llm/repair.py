@@ -57,9 +57,14 @@ def damaged(conversations: DataFrame) -> DataFrame:
     0 drops a row, 1 empties its text, 2 takes its ``.!?`` out, 3 repeats it, 4 makes it a user's.
     """
     shown = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
-    rows = conversations.select("conv_id", "turn", shown("role").alias("role"), shown("text").alias("text"), (F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn"))) % 20).alias("_kind")).where("_kind <> 0")
+    rows = conversations.select(
+        "conv_id", "turn", shown("role").alias("role"), shown("text").alias("text"),
+        (F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn"))) % 20).alias("_kind")
+    ).where("_kind <> 0")
     kind = F.col("_kind")
-    rows = rows.withColumns({"text": F.when(kind == 1, "").when(kind == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")), "role": F.when(kind == 4, "user").otherwise(F.col("role"))})
+    rows = rows.withColumns(
+        {"text": F.when(kind == 1, "").when(kind == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")), "role": F.when(kind == 4, "user").otherwise(F.col("role"))}
+    )
     return rows.withColumn("_copy", F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).select("conv_id", "turn", "role", "text")
 
 
@@ -334,11 +339,17 @@ def repaired(conversations: DataFrame, size: int = CHUNK) -> DataFrame:
     placed = unsure.select("conv_id", "chunk").withColumns({"place": F.row_number().over(ids), "next": F.lead("chunk").over(ids)})
     placed = scratch.stored(placed.withColumn("_n", F.max("place").over(Window.partitionBy("conv_id"))).where("_n > 1").drop("_n"), "places")
     columns = ["codes", "keys", "marks"]
-    extra = found.select("*", F.lit(None).cast("array<struct<key: bigint, mark: bigint>>").alias("known"), F.lit(None).cast("array<bigint>").alias("end"), F.lit(None).cast("bigint").alias("entry"))
+    extra = found.select(
+        "*", F.lit(None).cast("array<struct<key: bigint, mark: bigint>>").alias("known"), F.lit(None).cast("array<bigint>").alias("end"),
+        F.lit(None).cast("bigint").alias("entry")
+    )
     if not placed.isEmpty():
         long = scratch.stored(unsure.join(placed.drop("conv_id"), "chunk").select("conv_id", "chunk", "place", "next", *columns), "long")
         key = F.explode(F.array_distinct(F.arrays_zip("keys", "marks")))
-        keys = scratch.stored(long.select("conv_id", "chunk", key.alias("x")).select("conv_id", "chunk", F.col("x")["keys"].alias("key"), F.col("x")["marks"].alias("mark")), "keys")
+        keys = scratch.stored(
+            long.select("conv_id", "chunk", key.alias("x")).select("conv_id", "chunk", F.col("x")["keys"].alias("key"), F.col("x")["marks"].alias("mark")),
+            "keys"
+        )
         twice = keys.groupBy("conv_id", "key", "mark").agg(F.min("chunk").alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
         twice = twice.select(F.col("conv_id").alias("_conv"), F.col("key").alias("_key"), F.col("mark").alias("_mark"), "least")
         same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("key") == F.col("_key")) & (F.col("mark") == F.col("_mark")) & (F.col("chunk") > F.col("least"))
@@ -358,7 +369,10 @@ def repaired(conversations: DataFrame, size: int = CHUNK) -> DataFrame:
         maps = state.join(placed.select("conv_id", "chunk", "place"), "chunk")
         entries = maps.groupBy("conv_id").applyInArrow(_entries, "chunk long, entry long")
         plan = scratch.kept(state.select("chunk", "end").join(entries, "chunk").join(known, "chunk", "left"), "plan")
-        extra = found.where("sure").select("*", *[F.lit(None).cast(t).alias(n) for n, t in (("known", "array<struct<key: bigint, mark: bigint>>"), ("end", "array<bigint>"), ("entry", "bigint"))])
+        extra = found.where("sure").select(
+            "*",
+            *[F.lit(None).cast(t).alias(n) for n, t in (("known", "array<struct<key: bigint, mark: bigint>>"), ("end", "array<bigint>"), ("entry", "bigint"))]
+        )
         extra = extra.unionByName(unsure.join(plan, "chunk", "left"))
     scratch.clear()
     traced = extra.mapInArrow(_traced, TRACED)
@@ -377,4 +391,7 @@ def repaired(conversations: DataFrame, size: int = CHUNK) -> DataFrame:
         F.sum("cost").alias("cost"),
         F.sort_array(F.collect_list("_piece")).alias("_pieces"),
     )
-    return whole.select("conv_id", F.coalesce("gaps", F.lit(0)).alias("gaps"), "blank", "duplicate", "truncated", "illegal", "cost", pieces("audit", "").alias("audit"), pieces("repaired", "\n").alias("repaired"))
+    return whole.select(
+        "conv_id", F.coalesce("gaps", F.lit(0)).alias("gaps"), "blank", "duplicate", "truncated", "illegal", "cost",
+        pieces("audit", "").alias("audit"), pieces("repaired", "\n").alias("repaired")
+    )

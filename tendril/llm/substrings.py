@@ -92,13 +92,19 @@ def _pre_settled(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _emit(ids: np.ndarray, key: np.ndarray, doc: np.ndarray, place: np.ndarray, send: np.ndarray, settled: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (key, doc_id, start) to compare elsewhere, and for each document the places that are settled, in bytes."""
     k = np.flatnonzero(send)
-    yield pa.RecordBatch.from_arrays([pa.array(key[k].view(np.int64)), pa.array(ids[doc[k]]), pa.array(place[k].astype(np.int32)), pa.nulls(len(k), pa.binary())], names=["key", "doc_id", "start", "starts"])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(key[k].view(np.int64)), pa.array(ids[doc[k]]), pa.array(place[k].astype(np.int32)), pa.nulls(len(k), pa.binary())],
+        names=["key", "doc_id", "start", "starts"]
+    )
     s = np.flatnonzero(settled)
     if len(s):
         cut = np.flatnonzero(np.diff(doc[s])) + 1
         which = doc[s[np.append(0, cut)]]
         packed = [x.astype("<i4").tobytes() for x in np.split(place[s], cut)]
-        yield pa.RecordBatch.from_arrays([pa.array(K.mix(ids[which].astype(np.uint64)).view(np.int64)), pa.array(ids[which]), pa.nulls(len(which), pa.int32()), pa.array(packed, pa.binary())], names=["key", "doc_id", "start", "starts"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(K.mix(ids[which].astype(np.uint64)).view(np.int64)), pa.array(ids[which]), pa.nulls(len(which), pa.int32()), pa.array(packed, pa.binary())],
+            names=["key", "doc_id", "start", "starts"]
+        )
 
 
 def _ordered(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -182,7 +188,10 @@ def _referred(sent: DataFrame) -> DataFrame:
             if packed.any():
                 runs = batch.filter(pa.array(packed))
                 none = pa.nulls(runs.num_rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([runs.column(2), none, pa.nulls(runs.num_rows, pa.int64()), none, runs.column(4)], names=["doc_id", "start", "ref_doc", "ref_start", "runs"])
+                yield pa.RecordBatch.from_arrays(
+                    [runs.column(2), none, pa.nulls(runs.num_rows, pa.int64()), none, runs.column(4)],
+                    names=["doc_id", "start", "ref_doc", "ref_start", "runs"]
+                )
             if not n:
                 continue
             key, more, doc, start = (plain.column(k).to_numpy() for k in range(4))
@@ -196,7 +205,10 @@ def _referred(sent: DataFrame) -> DataFrame:
             last, head = (int(key[-1]), int(more[-1])), (int(ref_doc[-1]), int(ref_start[-1]))
             k = np.flatnonzero(~new)
             if len(k):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(start[k]), pa.array(ref_doc[k]), pa.array(ref_start[k]), pa.nulls(len(k), pa.binary())], names=["doc_id", "start", "ref_doc", "ref_start", "runs"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc[k]), pa.array(start[k]), pa.array(ref_doc[k]), pa.array(ref_start[k]), pa.nulls(len(k), pa.binary())],
+                    names=["doc_id", "start", "ref_doc", "ref_start", "runs"]
+                )
 
     order = ["key", "more", "doc_id", "start"]
     return sent.repartition("key").sortWithinPartitions(*order).mapInArrow(rows, "doc_id long, start int, ref_doc long, ref_start int, runs binary")
@@ -251,12 +263,18 @@ def _sent(ids: np.ndarray, data: np.ndarray, key: np.ndarray, more: np.ndarray,
         runs, owner = runs[equal], owner[equal]
     names = ["key", "more", "doc_id", "start", "runs"]
     h = np.flatnonzero(look_up)
-    yield pa.RecordBatch.from_arrays([pa.array(key[h].view(np.int64)), pa.array(more[h]), pa.array(ids[doc[h]]), pa.array(place[h].astype(np.int32)), pa.nulls(len(h), pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(key[h].view(np.int64)), pa.array(more[h]), pa.array(ids[doc[h]]), pa.array(place[h].astype(np.int32)), pa.nulls(len(h), pa.binary())],
+        names=names
+    )
     if len(k) and len(runs):
         cut = np.flatnonzero(np.diff(owner)) + 1
         which = ids[owner[np.append(0, cut)]]
         packed = pa.array([x.tobytes() for x in np.split(runs, cut)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(K.mix(which.astype(np.uint64)).view(np.int64)), pa.nulls(len(which), pa.int32()), pa.array(which), pa.nulls(len(which), pa.int32()), packed], names=names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(K.mix(which.astype(np.uint64)).view(np.int64)), pa.nulls(len(which), pa.int32()), pa.array(which), pa.nulls(len(which), pa.int32()), packed],
+            names=names
+        )
 
 
 def _window_rows(window: int, size: int, seed: int, bits: int) -> Callable:
@@ -359,7 +377,10 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     with_live = text.join(live.hint("shuffle_hash"), "doc_id", "left")
     # the filter that joins would infer stands here, so that the parse and the questions take the same shuffled places
     again = _referred(with_live.mapInArrow(_window_rows(window, size, seed, bits), SENT)).where(F.col("doc_id").isNotNull())
-    again = again.groupBy("doc_id").agg(F.collect_list(F.when(F.col("runs").isNull(), F.struct("start", "ref_doc", "ref_start"))).alias("some"), F.collect_list("runs").alias("packed"))
+    again = again.groupBy("doc_id").agg(
+        F.collect_list(F.when(F.col("runs").isNull(), F.struct("start", "ref_doc", "ref_start"))).alias("some"),
+        F.collect_list("runs").alias("packed")
+    )
     asked = again.mapInArrow(_asked(window), "doc_id long, start int, words int").groupBy("doc_id").agg(F.collect_set(F.struct("start", "words")).alias("asked"))
     return text.join(again.hint("shuffle_hash"), "doc_id", "left").join(asked.hint("shuffle_hash"), "doc_id", "left")
 
@@ -410,7 +431,10 @@ def _parsed(docs: DataFrame, window: int, anchor: int, seed: int, bits: int, dig
             factor = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32()), ("digest", pa.binary())])
             span = pa.struct([("first", pa.int32()), ("last", pa.int32())])
             answer = pa.struct([("start", pa.int32()), ("words", pa.int32()), ("digest", pa.binary())])
-            columns = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(parses, pa.list_(factor)), pa.array(covered, pa.list_(span)), pa.array(answers, pa.list_(answer))]
+            columns = [
+                pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(parses, pa.list_(factor)), pa.array(covered, pa.list_(span)),
+                pa.array(answers, pa.list_(answer))
+            ]
             names = ["doc_id", "n_words", "n_removed", "factors", "spans", "asked", "text"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(kept, pa.binary()).cast(pa.string())], names=names)
 
@@ -423,7 +447,10 @@ def false_factors(parsed: DataFrame) -> DataFrame:
     """Spans whose words are not those of a factor that has its place there: ``doc_id, start, words``."""
     f, x = F.col("f"), F.col("x")
     said = parsed.select(F.explode("factors").alias("f")).where(f["digest"].isNotNull())
-    said = said.select(f["ref_doc"].alias("doc_id"), f["ref_start"].alias("start"), (f["last"] - f["first"]).alias("words"), f["digest"].alias("digest"), F.lit(False).alias("there"))
+    said = said.select(
+        f["ref_doc"].alias("doc_id"), f["ref_start"].alias("start"), (f["last"] - f["first"]).alias("words"), f["digest"].alias("digest"),
+        F.lit(False).alias("there")
+    )
     there = parsed.select("doc_id", F.explode("asked").alias("x")).select("doc_id", "x.start", "x.words", "x.digest", F.lit(True).alias("there"))
     both = said.unionByName(there).groupBy("doc_id", "start", "words").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.max("there").alias("there"))
     return both.where(~F.col("there") | (F.col("low") != F.col("high"))).select("doc_id", "start", "words")

@@ -165,7 +165,9 @@ class Encoder:
         base = len(self.ids)
         for k, lead in ((1, b""), (2, b"\n")):  # words without a space get a line end before them, whose id goes
             side = [lead + p for p, x in zip(pieces, kind) if x == k]
-            ids = np.concatenate([np.zeros(0, dtype=np.int64), *(np.array(x, dtype=np.int64) for x in self.encode([b"".join(side[n : n + 2000]).decode() for n in range(0, len(side), 2000)]))])
+            ids = np.concatenate(
+                [np.zeros(0, dtype=np.int64), *(np.array(x, dtype=np.int64) for x in self.encode([b"".join(side[n : n + 2000]).decode() for n in range(0, len(side), 2000)]))]
+            )
             upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p) for p in side]) if side else [], side="left") + 1
             count[kind == k] = np.diff(upto, prepend=0) - len(lead)
             place[kind == k] = base + upto - count[kind == k]
@@ -226,7 +228,10 @@ class SequenceWriter:
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def write_sequences(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, length: int = LENGTH, split: bool | None = None, files: int | None = None, order: list[Column] | None = None) -> DataFrame:
+def write_sequences(
+    docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, length: int = LENGTH, split: bool | None = None, files: int
+    | None = None, order: list[Column] | None = None
+) -> DataFrame:
     """Writes the ids of all ``docs`` in ascending ``doc_id`` order, or by the columns of ``order``; returns a row per file.
 
     ``tokenizer`` is the path of a ``tokenizers`` file that every executor can
@@ -274,7 +279,10 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str | None = None,
             index.close()
         fs.move(own + ".ids", name + ".ids.arrow")
         fs.move(own + ".docs", name + ".docs.arrow")
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([folder]), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([folder]), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())],
+            names=["part", "path", "n_docs", "n_tokens"]
+        )
 
     return stored(dealt.mapInArrow(write, "part int, path string, n_docs long, n_tokens long"), "sequence-files")
 
@@ -330,7 +338,10 @@ def _documents(part: int, path: str, base: int) -> Iterator[pa.RecordBatch]:
                 real = more.column(0).values.to_numpy()[more.column(1).values.to_numpy(zero_copy_only=False)]
                 held, held_at, next_batch = np.concatenate([held[max(0, start - held_at) :], real.astype("<u4")]), max(held_at, min(start, held_at + len(held))), next_batch + 1
             sums.append(zlib.crc32(held[start - held_at : start - held_at + count].tobytes()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts + base), batch.column(2), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(starts + base), batch.column(2), pa.array(sums, pa.int64())],
+            names=["doc_id", "start", "n_tokens", "ids_crc32"]
+        )
 
 
 def tokens_written(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, order: list[Column] | None = None) -> DataFrame:

@@ -122,7 +122,10 @@ def write_warc(pages: DataFrame, folder: str, per_shard: int = PER_SHARD, captur
     known = own.join(F.broadcast(_cuts(lengths, max(file_bytes, -(-size // CUTS)))), "shard", "left")
     known = known.withColumn("cuts", F.filter(F.coalesce("cuts", F.array()), lambda c: c["page_id"] <= F.col("page_id")))
     base = F.try_element_at("cuts", F.lit(-1))
-    known = known.select("page_id", "url", "html", "shard", F.size("cuts").alias("part"), F.coalesce(base["ordinal"], F.lit(0)).alias("ordinal"), F.coalesce(base["offset"], F.lit(0)).alias("offset"))
+    known = known.select(
+        "page_id", "url", "html", "shard", F.size("cuts").alias("part"), F.coalesce(base["ordinal"], F.lit(0)).alias("ordinal"),
+        F.coalesce(base["offset"], F.lit(0)).alias("offset")
+    )
     order = [F.col(c).asc_nulls_first() for c in ("shard", "part", "page_id", "url", "html")]
     dealt = known.repartition(_tasks(pages, size), "shard", "part").sortWithinPartitions(*order)
 
@@ -264,7 +267,13 @@ def merkle(leaves: DataFrame, per_shard: int = PER_SHARD, top_shard: int | None
     the shards' roots the same goes for the shards' numbers.  ``low`` and ``high``
     are the offsets covered.  Replicas must be built with the same ``top_shard``.
     """
-    level = stored(leaves.select("shard", F.col("ordinal").alias("node"), F.col("offset").alias("low"), (F.col("offset") + F.col("length")).alias("high"), F.coalesce("sha256", F.lit("")).alias("hash")), "merkle")
+    level = stored(
+        leaves.select(
+            "shard", F.col("ordinal").alias("node"), F.col("offset").alias("low"), (F.col("offset") + F.col("length")).alias("high"),
+            F.coalesce("sha256", F.lit("")).alias("hash")
+        ),
+        "merkle"
+    )
     if top_shard is None:
         top_shard = level.agg(F.max("shard")).first()[0] or 0
     levels = [level]
@@ -272,7 +281,10 @@ def merkle(leaves: DataFrame, per_shard: int = PER_SHARD, top_shard: int | None
     def up(below: DataFrame, shard: Column, node: Column, order: str) -> DataFrame:
         child = F.struct(F.col(order).alias("at"), "low", "high", "hash")
         said = lambda c: F.concat_ws(":", c["at"].cast("string"), c["low"].cast("string"), c["high"].cast("string"), c["hash"])
-        return below.groupBy(shard.alias("shard"), node.alias("node")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(child)), said), ","), 256).alias("hash"))
+        return below.groupBy(shard.alias("shard"), node.alias("node")).agg(
+            F.min("low").alias("low"), F.max("high").alias("high"),
+            F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(child)), said), ","), 256).alias("hash")
+        )
 
     size = per_shard
     while size > 1:
@@ -318,4 +330,6 @@ def drill(pages: DataFrame, damaged: Column, per_shard: int = PER_SHARD, file_by
     copied = copy_warc(manifest, ours, theirs, damaged)
     top = manifest.agg(F.max("shard")).first()[0] or 0
     found = audit(merkle(manifest, per_shard, top), merkle(read_warc(copied, theirs), per_shard, top), per_shard).withColumn("damaged", F.lit(True))
-    return manifest.join(found, ["shard", "ordinal"], "left").select("page_id", "shard", "ordinal", "offset", "length", "sha256", F.coalesce("damaged", F.lit(False)).alias("damaged"))
+    return manifest.join(found, ["shard", "ordinal"], "left").select(
+        "page_id", "shard", "ordinal", "offset", "length", "sha256", F.coalesce("damaged", F.lit(False)).alias("damaged")
+    )

@@ -61,14 +61,20 @@ def plain(rows):
 
 def texts(seed):
     rng = random.Random(seed)
-    words = ["the", "Straße", "élève", "don't", "naïve", "日本語", "x" * 70, "3.1415", "<|endoftext|>", "</s>", "<0x41>", "a\nb", " ", "　", "🙂", "\tcode", "né", "ing", "anti", "", "", "\r\n", "…", " q"]
+    words = [
+        "the", "Straße", "élève", "don't", "naïve", "日本語", "x" * 70, "3.1415", "<|endoftext|>", "</s>", "<0x41>", "a\nb", " ", "　", "🙂", "\tcode",
+        "né", "ing", "anti", "", "", "\r\n", "…", " q"
+    ]
     return [" ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 30, 200]))) for _ in range(60)]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_plain(spark, seed):
     rows = [(k, t, "x", "y") for k, t in enumerate(texts(seed))]
-    rows += [(None, None, "x", "y"), (3, "", "x", "y"), (3, " ", "x", "y"), (3, "  two", "x", "y"), (4, "a▁b and more", "x", "y"), (5, "nul\x00 byte", "x", "y"), (6, "ends in space ", None, None), rows[4], rows[4]]
+    rows += [
+        (None, None, "x", "y"), (3, "", "x", "y"), (3, " ", "x", "y"), (3, "  two", "x", "y"), (4, "a▁b and more", "x", "y"),
+        (5, "nul\x00 byte", "x", "y"), (6, "ends in space ", None, None), rows[4], rows[4]
+    ]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = sorted(repr(tuple(r)) for r in aligned(df, A, B, bucket_pairs=100).collect())
     assert got == sorted(map(repr, plain(rows)))

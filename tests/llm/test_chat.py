@@ -13,9 +13,13 @@ def sha(s):
 
 def test_round_trip(spark):
     rows = [
-        (1, 0, "system", "Be ~0 brief </s>[INST]", "x"), (1, 1, "user", "~1 <s> hi\n", "x"), (1, 2, "assistant", "[/INST] ok ~", "x"), (2, 0, "assistant", None, "x"), (2, 0, "user", "é" * 5000, "x"), (2, 1, "assistant", "a", "x"), (2, 1, "assistant", "a", "x"),
+        (
+            1, 0, "system", "Be ~0 brief </s>[INST]", "x"
+        ), (1, 1, "user", "~1 <s> hi\n", "x"), (1, 2, "assistant", "[/INST] ok ~", "x"), (2, 0, "assistant", None, "x"), (2, 0, "user", "é" * 5000, "x"), (2, 1, "assistant", "a", "x"), (2, 1, "assistant", "a", "x"),
         (3, None, None, "", "x"), (4, 0, "a\n~n", "<<s>/s></s></s>", "x"), (None, 1, "user", "n", "x"),
-    ] + [(5, k, "user" if k % 2 else "assistant", "word " * 60 + str(k), "x") for k in range(40)] + [(6, 0, "system", "s" * 400, "x")] + [(6, k, "assistant", "t" * 300 + str(k), "x") for k in range(1, 20)]
+    ] + [
+        (5, k, "user" if k % 2 else "assistant", "word " * 60 + str(k), "x") for k in range(40)
+    ] + [(6, 0, "system", "s" * 400, "x")] + [(6, k, "assistant", "t" * 300 + str(k), "x") for k in range(1, 20)]
     df = spark.createDataFrame(rows, SCHEMA)
     w = windows(df)
     got = {r.conv_id: r for r in read_back(w).collect()}
@@ -47,7 +51,10 @@ def test_long_conversation_and_null_ids(spark):
     """Tens of thousands of turns, of which each is looked at once; rows without an id are one conversation."""
     from pyspark.sql import functions as F
 
-    long = spark.range(30_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id")).alias("text"))
+    long = spark.range(30_000).select(
+        F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("turn "), F.col("id")).alias("text")
+    )
     none = spark.createDataFrame([(None, 2, "assistant", "b"), (None, 1, "user", "a")], "conv_id long, turn long, role string, text string")
     w = windows(long.unionByName(none))
     assert "RangeFrame" not in w._jdf.queryExecution().analyzed().toString()

@@ -88,7 +88,9 @@ def test_null_and_repeated_ids(spark):
         kept = D.without_benchmark(d, b, most_bytes=most)
         assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == clean
         hits = D.find_benchmark(d, b, most_bytes=most).collect()
-        assert sorted(((r.doc_id, r.n_words, len(r.hits), r["items"]) for r in hits), key=repr) == sorted(((i, len(words(t)), int(t in ("x y", "u v")), [k for k, x in (("1", "x y"), ("2", "u v")) if x == t]) for i, t in docs), key=repr)
+        assert sorted(((r.doc_id, r.n_words, len(r.hits), r["items"]) for r in hits), key=repr) == sorted(
+            ((i, len(words(t)), int(t in ("x y", "u v")), [k for k, x in (("1", "x y"), ("2", "u v")) if x == t]) for i, t in docs), key=repr
+        )
 
 
 def test_tables_are_bounded(tmp_path):

@@ -71,7 +71,9 @@ def test_no_documents_and_null_id(spark):
 
 def pages():
     r = random.Random(1)
-    return [(k * 3, f"http://x/{k}\r\n", None if k % 50 == 3 else "é\r\n\r\n" * r.randrange(0, 40), "s") for k in range(400)] + [(None, None, None, "s"), (6, "http://twice", "x" * 300_000, "s")]
+    return [
+        (k * 3, f"http://x/{k}\r\n", None if k % 50 == 3 else "é\r\n\r\n" * r.randrange(0, 40), "s") for k in range(400)
+    ] + [(None, None, None, "s"), (6, "http://twice", "x" * 300_000, "s")]
 
 
 def test_audit_finds_the_damage(spark):

@@ -57,7 +57,10 @@ def test_like_all_pairs(spark, seed):
 
 def test_odd_rows(spark):
     long_text = " ".join(f"v{k % 5000}" for k in range(30_000))
-    rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (5, "One\x0bTWO"), (6, "one two three four five"), (7, "one two three four five"), (8, "É a b c d"), (9, "é a b c d"), (10, long_text), (11, long_text + " end"), (12, "one  two"), (-3, "ONE two")]
+    rows = [
+        (1, None), (2, ""), (3, " \t\n"), (4, "one two"), (5, "One\x0bTWO"), (6, "one two three four five"), (7, "one two three four five"),
+        (8, "É a b c d"), (9, "é a b c d"), (10, long_text), (11, long_text + " end"), (12, "one  two"), (-3, "ONE two")
+    ]
     check(spark, rows)
 
 

@@ -39,7 +39,10 @@ def test_against_plain(spark, seed, batches, fan):
     rng = random.Random(seed)
     lines = ["".join(rng.choice("aAbB é") for _ in range(rng.choice([0, 3, 9, 10, 12]))) for _ in range(60)]
     rows = [(k * 3 % 211, "\n".join(rng.choice(lines) for _ in range(rng.choice([0, 1, 4, 30]))), "x", "y", "z") for k in range(160)]
-    rows += [(None, None, "x", "y", "z"), (7, "", "x", "y", "z"), (None, "\n".join(lines), "x", "y", "z"), rows[3], rows[3], (900, " \t" + lines[5].swapcase() + "\r\n\n" + "é" * 40, None, None, None)]
+    rows += [
+        (None, None, "x", "y", "z"), (7, "", "x", "y", "z"), (None, "\n".join(lines), "x", "y", "z"), rows[3], rows[3],
+        (900, " \t" + lines[5].swapcase() + "\r\n\n" + "é" * 40, None, None, None)
+    ]
     got = without_repeated_lines(spark.createDataFrame(rows, SCHEMA), 9, 3, batches, fan).collect()
     assert show(tuple(r) for r in got) == show(plain(rows, 9, 3))
     assert sum(r.n_dropped for r in got) > 50
@@ -58,7 +61,10 @@ def test_hot_line_and_very_long_document(spark):
 def test_runs_are_levelled_and_sorted(spark):
     runs = Runs(spark, least_docs=2, fan=2)
     for low in (30, 20, 10):
-        docs = spark.createDataFrame([(low + k, "a line that many documents hold here\n" + hashlib.md5(str(low + k).encode()).hexdigest()) for k in range(5)], "doc_id long, text string")
+        docs = spark.createDataFrame(
+            [(low + k, "a line that many documents hold here\n" + hashlib.md5(str(low + k).encode()).hexdigest()) for k in range(5)],
+            "doc_id long, text string"
+        )
         runs.add(hashed_lines(docs, 30))
     assert [len(x) for x in runs.levels] == [1, 1]
     found = runs.settled()

@@ -76,7 +76,10 @@ def test_every_document_is_there(spark):
 def test_repeated_rows_over_several_passes(spark):
     """A small source of equal rows comes round many times, in blocks that its end falls into."""
     rows = [(1, "same", "small", "z")] * 3 + [(k, "t", "large", "z") for k in range(10, 200)]
-    got = mixed(spark.createDataFrame(rows, SCHEMA).withColumnRenamed("_slot", "_ownX").withColumn("_ownX_", F.lit(7)), weights={"small": Fraction(1), "large": Fraction(1)}, block=4).collect()
+    got = mixed(
+        spark.createDataFrame(rows, SCHEMA).withColumnRenamed("_slot", "_ownX").withColumn("_ownX_", F.lit(7)),
+        weights={"small": Fraction(1), "large": Fraction(1)}, block=4
+    ).collect()
     n = Counter(r.doc_id for r in got)
     assert n[1] in range(188, 193) and all(n[k] >= 1 for k in range(10, 200)) and {r._ownX_ for r in got} == {7}
     assert len({(r._slot, r._place) for r in got}) == len(got)

@@ -42,7 +42,10 @@ def test_quality_odd_rows(spark):
 
 
 def test_language_odd_rows(spark):
-    rows = [(k, "the house and the garden", "en", "") for k in range(30)] + [(100 + k, "la maison et le jardin été", "fr", "") for k in range(30)] + [(200, None, "en", ""), (201, "", "en", ""), (202, "123 !!", "fr", ""), (203, "été et jardin", None, ""), (204, "日本語", None, ""), (205, "the " * 30_000, None, ""), (None, "the garden", None, "")]
+    rows = [(k, "the house and the garden", "en", "") for k in range(30)] + [(100 + k, "la maison et le jardin été", "fr", "") for k in range(30)] + [
+        (200, None, "en", ""), (201, "", "en", ""), (202, "123 !!", "fr", ""), (203, "été et jardin", None, ""), (204, "日本語", None, ""),
+        (205, "the " * 30_000, None, ""), (None, "the garden", None, "")
+    ]
     got = {r.doc_id: (r.lang_pred, r.score) for r in languages(spark.createDataFrame(rows, DOCS)).collect()}
     assert all(got[k] == ("und", 0.0) for k in (200, 201, 202))
     assert got[203][0] == "fr" and got[205][0] == "en" and got[204][0] in ("en", "fr") and got[None][0] == "en"
@@ -72,7 +75,9 @@ def test_phrases_like_a_plain_parse():
 
 
 def test_language_of_signs_and_repeated_rows(spark):
-    rows = [(k, "the house and the garden", "en", "") for k in range(9)] * 2 + [(300 + k, t, "en", "") for k, t in enumerate(["²", "½ ①", "Ⅷ", "٣", "_"])] + [(400, "ª", None, ""), (400, "the", None, "")]
+    rows = [(k, "the house and the garden", "en", "") for k in range(9)] * 2 + [
+        (300 + k, t, "en", "") for k, t in enumerate(["²", "½ ①", "Ⅷ", "٣", "_"])
+    ] + [(400, "ª", None, ""), (400, "the", None, "")]
     got = [(r.doc_id, r.lang_pred) for r in languages(spark.createDataFrame(rows, DOCS)).collect()]
     assert len(got) == len(rows) and sorted(got)[-7:] == [*((300 + k, "und") for k in range(5)), (400, "en"), (400, "en")]
 
@@ -104,10 +109,15 @@ def plain_phrases(text, model):
 def test_choice_of_language_in_passes(spark):
     """Language and score as a plain parse has them, whatever the number of languages that are held at once."""
     rng = np.random.default_rng(8)
-    texts = {n: " ".join("".join(rng.choice(list(alphabet), rng.integers(2, 7))) for _ in range(60)) for n, alphabet in (("b", "abcde"), ("a", "abcdx"), ("d", "xyzv"), ("c", "abcde"), ("e", "éàüo"))}
+    texts = {
+        n: " ".join("".join(rng.choice(list(alphabet), rng.integers(2, 7))) for _ in range(60)) for n,
+        alphabet in (("b", "abcde"), ("a", "abcdx"), ("d", "xyzv"), ("c", "abcde"), ("e", "éàüo"))
+    }
     sym = lambda t: L.symbols(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t.encode())]))[0].tobytes()
     model = {n: sym(t) for n, t in texts.items()}
-    docs = [(k, " ".join("".join(rng.choice(list("abcdexyzvéàüo"), rng.integers(1, 9))) for _ in range(rng.integers(1, 90))), "", "") for k in range(60)] + [(99, None, "", ""), (98, "12 - 3", "", "")]
+    docs = [
+        (k, " ".join("".join(rng.choice(list("abcdexyzvéàüo"), rng.integers(1, 9))) for _ in range(rng.integers(1, 90))), "", "") for k in range(60)
+    ] + [(99, None, "", ""), (98, "12 - 3", "", "")]
     want = {}
     for k, t, *_ in docs:
         if not t or not any(c.isalpha() for c in t):

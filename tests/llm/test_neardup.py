@@ -50,7 +50,10 @@ def got(spark, rows):
 
 
 def test_like_all_pairs(spark):
-    odd = [(-5, None), (-4, []), (-3, [0.0] * 16), (-2, [float("nan")] + [1.0] * 15), (-1, [None] + [1.0] * 15), (9001, [1.0, 2.0]), (9002, [2.0, 4.0]), (9003, [float("inf")] + [1.0] * 15)]
+    odd = [
+        (-5, None), (-4, []), (-3, [0.0] * 16), (-2, [float("nan")] + [1.0] * 15), (-1, [None] + [1.0] * 15), (9001, [1.0, 2.0]), (9002, [2.0, 4.0]),
+        (9003, [float("inf")] + [1.0] * 15)
+    ]
     rows = vectors(240) + odd
     assert got(spark, rows) == expected(rows)
 

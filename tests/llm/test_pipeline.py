@@ -67,7 +67,10 @@ def test_odd_tables(spark, monkeypatch):
     base = spark.read.parquet(f"{SF}/documents.parquet")
     item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 80").first().text
     said = [r.text for r in base.where("n_chars between 300 and 2000 and lang = 'en'").orderBy("doc_id").limit(6).collect()]
-    rows = [(None, said[0], "s"), (None, said[1], "s"), (7, said[0], None), (7, said[0], None), (7, said[2], "t"), (8, None, "t"), (9, "", "t"), (10, f"{said[3]} {item} {said[4]}", "t"), (None, f"{said[5]} {item}", "t")]
+    rows = [
+        (None, said[0], "s"), (None, said[1], "s"), (7, said[0], None), (7, said[0], None), (7, said[2], "t"), (8, None, "t"), (9, "", "t"),
+        (10, f"{said[3]} {item} {said[4]}", "t"), (None, f"{said[5]} {item}", "t")
+    ]
     docs = spark.createDataFrame([(i, t, "en", s, 1, "own", i) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, _slot string, _row long")
     steps = dict(P.STAGES)
     kept = {}
