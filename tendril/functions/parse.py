@@ -121,7 +121,9 @@ def money_label(v: Column) -> Column:
 
 
 def pct_change(old: Column, new: Column, places: int = 1) -> Column:
-    return F.when(old > 0, F.round((new - old) / old * 100, places) + F.lit(0.0))  # no negative zero
+    """Per cent rounded half away from zero: multiplied first, so that 418.84999999999997, which is 418.85 but for its last bit, is 418.9."""
+    unit = F.lit(10.0**places)
+    return F.when(old > 0, F.round((new - old) / old * 100 * unit, 0) / unit + F.lit(0.0))  # no negative zero
 
 
 def last_unique(values: Column, n: int = 500) -> Column:

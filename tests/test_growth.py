@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tendril.functions import parse as P
 from tendril.sources import payloads as N
 
 
@@ -16,3 +17,10 @@ def test_an_envelope_is_read_once(spark):
     plan = _optimized(items.select("agency_id", "plan_year", "item"))
     assert plan.index("Generate explode") < plan.index("orgaoEntidadeCnpj")
     assert sorted((r.agency_id, r.plan_year, r.item) for r in items.collect()) == [("1", 2024, 1), ("1", 2024, 2)]
+
+
+def test_halves_of_per_cents(spark):
+    """Per cents that end in a half but for the last bit of a double are rounded as the SQL does, by the multiple."""
+    rows = [(40.0, 207.54), (40.0, 229.82), (260.0, 426.27), (20.0, 348.39), (100.0, 99.95), (100.0, 100.0)]
+    pct = P.pct_change(F.col("a"), F.col("b"))
+    assert [r.p for r in spark.createDataFrame(rows, "a double, b double").select(pct.alias("p")).collect()] == [418.9, 474.6, 64.0, 1642.0, 0.0, 0.0]
