@@ -1,8 +1,15 @@
 """What a query costs must grow no faster than its input: plans and shapes that decide it, on small tables."""
 
+import os
+from datetime import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
 from tendril.functions import parse as P
+from tendril.operators import monitors as M
+from tendril.operators import resolve as R
+from tendril.sources import delimited as D
 from tendril.sources import payloads as N
 
 
@@ -24,3 +31,16 @@ def test_halves_of_per_cents(spark):
     rows = [(40.0, 207.54), (40.0, 229.82), (260.0, 426.27), (20.0, 348.39), (100.0, 99.95), (100.0, 100.0)]
     pct = P.pct_change(F.col("a"), F.col("b"))
     assert [r.p for r in spark.createDataFrame(rows, "a double, b double").select(pct.alias("p")).collect()] == [418.9, 474.6, 64.0, 1642.0, 0.0, 0.0]
+
+
+def test_candidates_are_gathered_once_a_name_and_number(spark):
+    """A hundred records that meet a hundred candidates: no join makes the pairs; a record that comes twice has all candidates once."""
+    records = spark.range(100).selectExpr("concat('r', id) AS record_key", "'A' AS agency", "'7' AS number", "'C-X' AS city_uf")
+    records = records.unionByName(spark.createDataFrame([("r5", "A", "8", "C-X"), ("r6", "A", "7", "C-X")], records.schema))
+    candidates = spark.range(100).selectExpr("concat('c', id) AS canonical_key", "'a' AS agency", "'7' AS purchase_no", "CAST(NULL AS STRING) AS process_no")
+    candidates = candidates.unionByName(spark.createDataFrame([("z", "a", "8", None)], "canonical_key string, agency string, purchase_no string, process_no string"))
+    links, reviews = R.resolve_by_name_number(records, candidates, "s")
+    assert links.count() == 0
+    found = {r.record_key: r.candidates for r in R.queue_reviews(reviews.withColumn("resolved", F.lit(False)).limit(0), reviews.withColumn("resolved", F.lit(False)), ["record_key"], once=True).collect()}
+    assert reviews.count() == 100 == len(found)
+    assert len(found["r0"]) == 100 and found["r6"] == found["r0"] and found["r5"] == sorted([*found["r0"], "z"])
