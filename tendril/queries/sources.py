@@ -412,10 +412,22 @@ def _quoted_file(spark, d, name: str) -> str:
     return folder
 
 
+#: A file of the test tables has so many splits at most, unless they would be larger than the session's.
+_SPLITS = 64
+
+
+def _split_size(spark, folder: str, least: str) -> str:
+    """The size of splits that give a folder's files ``_SPLITS`` of them, ``least`` kilobytes at least and the session's size at most."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    held = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return f"{min(max(int(least.removesuffix('k')) << 10, held // _SPLITS), most)}b"
+
+
 @contextmanager
-def _small_splits(spark, size: str):
-    """Splits of some kilobytes, so that a file of the test tables has many."""
-    names = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": "0"}
+def _small_splits(spark, folder: str, least: str):
+    """Splits of some kilobytes, so that a file of the test tables has many; a larger file has larger ones, not ever more."""
+    names = {"spark.sql.files.maxPartitionBytes": _split_size(spark, folder, least), "spark.sql.files.openCostInBytes": "0"}
     before = {n: spark.conf.get(n) for n in names}
     for n, v in names.items():
         spark.conf.set(n, v)
@@ -430,7 +442,7 @@ def _small_splits(spark, size: str):
 def quoted_parallel(spark, d):
     """One file read by many tasks: records, each with the physical line that it begins at."""
     folder = _quoted_file(spark, d, "quoted")
-    with _small_splits(spark, "20k"):
+    with _small_splits(spark, folder, "20k"):
         rows = Q.read_quoted(spark, folder)
         kept = _files(spark, "quoted-rows")
         rows.select(F.col("Número").alias("number"), F.col("Objeto").alias("object"), F.col("Chave").alias("id"), F.col("_line").alias("line")).write.parquet(kept)
@@ -444,7 +456,7 @@ def quoted_parallel(spark, d):
 def quoted_quarantine(spark, d):
     """Records without a number, found by file and line."""
     folder = _quoted_file(spark, d, "quoted")
-    with _small_splits(spark, "20k"):
+    with _small_splits(spark, folder, "20k"):
         _, bad = D.quarantine(Q.read_quoted(spark, folder), ["Número"])
         kept = _files(spark, "quoted-bad")
         bad.select("error", F.get_json_object("content", "$.Chave").alias("id"), "line", F.regexp_extract("file", "/(part)-[^/]*csv$", 1).alias("file")).write.parquet(kept)
@@ -459,7 +471,7 @@ def quoted_resume(spark, d):
     """A load that stops halfway and goes on from the byte that it came to: every record once."""
     folder = _quoted_file(spark, d, "quoted")
     kept = _files(spark, "quoted-loads")
-    with _small_splits(spark, "20k"):
+    with _small_splits(spark, folder, "20k"):
         rows = Q.read_quoted(spark, folder)
         half = table(spark, d, "orders").selectExpr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o_orderkey) AS k").first()[0]
         first = rows.where(F.col("Chave").cast("long") <= F.lit(half))

@@ -44,3 +44,13 @@ def test_candidates_are_gathered_once_a_name_and_number(spark):
     found = {r.record_key: r.candidates for r in R.queue_reviews(reviews.withColumn("resolved", F.lit(False)).limit(0), reviews.withColumn("resolved", F.lit(False)), ["record_key"], once=True).collect()}
     assert reviews.count() == 100 == len(found)
     assert len(found["r0"]) == 100 and found["r6"] == found["r0"] and found["r5"] == sorted([*found["r0"], "z"])
+
+
+def test_splits_do_not_multiply(spark, tmp_path):
+    """A file of the test tables is cut into splits of 20 kB, a larger one into larger splits."""
+    from tendril.queries.sources import _SPLITS, _split_size
+
+    for n, size in ((60_000, 20 << 10), (64 << 20, (64 << 20) // _SPLITS)):
+        with open(tmp_path / f"{n}.csv", "wb") as f:
+            f.truncate(n)
+        assert _split_size(spark, f"file://{tmp_path}/{n}.csv", "20k") == f"{size}b"
