@@ -380,8 +380,6 @@ def read_delimited(spark, d):
 @query("quarantine", "SELECT 'missing number' AS error, 'id ' || o_orderkey AS id, count(*) OVER () AS n, 'part-' || (o_orderkey % 3) AS file FROM orders WHERE o_orderkey % 5 = 0")
 def quarantine(spark, d):
     """What was set apart, with its file, its error and the start of its line."""
-    from pyspark.sql.window import Window
-
     o = table(spark, d, "orders").select(
         F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey")).alias("number"), F.concat(F.lit("id "), F.col("o_orderkey")).alias("id"),
         (F.col("o_orderkey") % 3).alias("part")
@@ -391,7 +389,8 @@ def quarantine(spark, d):
         o.where(F.col("part") == k).drop("part").coalesce(1).write.options(header=True, sep=";", quoteAll=True, escape='"').csv(f"{folder}/part-{k}")
     _, bad = D.quarantine(D.numbered(D.read_delimited(spark, f"{folder}/*", encoding="UTF-8")), ["number"])
     named = bad.where(F.col("line") > 0).withColumn("file", F.regexp_extract("file", "(part-[0-9])/", 1))
-    return named.select("error", F.get_json_object("content", "$.id").alias("id"), F.count("*").over(Window.partitionBy()).alias("n"), "file")
+    n = named.agg(F.count("*").alias("n"))  # a single row
+    return named.crossJoin(F.broadcast(n)).select("error", F.get_json_object("content", "$.id").alias("id"), "n", "file")
 
 
 _QUOTED = """r AS (SELECT o_orderkey, 2 + sum(1 + CASE WHEN o_orderkey % 4 = 1 THEN 2

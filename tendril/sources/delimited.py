@@ -6,7 +6,6 @@ import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 CORRUPT = "_corrupt_record"
 
@@ -101,11 +100,13 @@ PLACE = ("_file", "_line", "_offset", "_after")
 def numbered(df: DataFrame) -> DataFrame:
     """Rows of files that quoted line ends keep whole, with ``_file`` and ``_line``, the record's place in it.
 
-    Such a file is read by one task, in order, so a running number tells the place;
+    Such a file is read by one task, in order, so the running numbers of its rows follow one
+    another, and the first one of each file is taken off: nothing is sorted.
     :mod:`tendril.sources.quoted` reads a file by many tasks and tells its lines and bytes.
     """
     rows = df.withColumns({"_file": F.input_file_name(), "_at": F.monotonically_increasing_id()})
-    return rows.withColumn("_line", F.row_number().over(Window.partitionBy("_file").orderBy("_at")).cast("long")).drop("_at")
+    first = rows.groupBy("_file").agg(F.min("_at").alias("_first"))  # a row a file
+    return rows.join(F.broadcast(first), "_file").withColumn("_line", F.col("_at") - F.col("_first") + 1).select(*df.columns, "_file", "_line")
 
 
 def quarantine(df: DataFrame, required: list[str], most: int = 400) -> tuple[DataFrame, DataFrame]:

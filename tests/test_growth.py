@@ -46,6 +46,15 @@ def test_candidates_are_gathered_once_a_name_and_number(spark):
     assert len(found["r0"]) == 100 and found["r6"] == found["r0"] and found["r5"] == sorted([*found["r0"], "z"])
 
 
+def test_lines_without_a_sort(spark, tmp_path):
+    """Lines of two files are told without sorting either."""
+    for k in range(2):
+        (tmp_path / f"{k}.csv").write_text("id;x\n" + "".join(f'{i};"{i}\nb"\n' for i in range(5)), "utf-8")
+    rows = D.numbered(D.read_delimited(spark, str(tmp_path), encoding="UTF-8"))
+    assert "Window" not in _optimized(rows)
+    assert sorted((r._file[-5:], r.id, r._line) for r in rows.collect()) == [(f"{k}.csv", str(i), i + 1) for k in range(2) for i in range(5)]
+
+
 def test_splits_do_not_multiply(spark, tmp_path):
     """A file of the test tables is cut into splits of 20 kB, a larger one into larger splits."""
     from tendril.queries.sources import _SPLITS, _split_size
