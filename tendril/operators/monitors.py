@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tendril.catalog import checkpointed
 from tendril.functions.parse import money_label, pct_change
 from tendril.functions.text import effective_terms, fold_accents, text_matches, wildcard_words
 from tendril.operators.market import last_n, money
@@ -363,8 +364,10 @@ def baseline(matches: DataFrame, awards: DataFrame) -> DataFrame:
     Sample, period, value, median of positive values, deserted and failed tenders,
     mean number of distinct suppliers over tenders that have awards (null ones do not
     count), quartiles of awarded unit prices, tenders by month and by state, the ten
-    agencies with most tenders, and how it was made.
+    agencies with most tenders, and how it was made.  The matches are written to the
+    checkpoint folder first, as every one of these reads them.
     """
+    matches = checkpointed(matches.select("monitor_id", "key", "value", "published", "status", "status_source", "state", "agency"))
     status = F.lower(F.coalesce("status", "status_source", F.lit("")))
     m = matches.groupBy("monitor_id").agg(
         F.count("*").alias("sample"), F.date_format(F.min("published"), "yyyy-MM-dd").alias("first"), F.date_format(F.max("published"), "yyyy-MM-dd").alias("last"), money("value").alias("total_value"),

@@ -55,6 +55,24 @@ def test_lines_without_a_sort(spark, tmp_path):
     assert sorted((r._file[-5:], r.id, r._line) for r in rows.collect()) == [(f"{k}.csv", str(i), i + 1) for k in range(2) for i in range(5)]
 
 
+def test_a_baseline_reads_its_matches_once(spark):
+    """What the matches are made of is worked out once, however many parts of the baseline ask for it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    at = datetime(2024, 1, 1)
+    rows = [(1, k, 10.0 + k, at, "x", None, "S", "A") for k in range(8)]
+    schema = "monitor_id long, key long, value double, published timestamp, status string, status_source string, state string, agency string"
+    matches = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    awards = spark.createDataFrame([(k, k % 3, 2.0) for k in range(8)], "key long, supplier long, unit_price double")
+    out = M.baseline(matches, awards).collect()
+    assert seen.value == 8 and (out[0].sample, out[0].median_value, out[0].prices, out[0].competition) == (8, 13.5, 8, 1.0)
+
+
 def test_splits_do_not_multiply(spark, tmp_path):
     """A file of the test tables is cut into splits of 20 kB, a larger one into larger splits."""
     from tendril.queries.sources import _SPLITS, _split_size
