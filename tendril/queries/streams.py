@@ -105,6 +105,10 @@ def stream_resume(spark, d):
     return spark.read.schema(e.schema).parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
+#: All files of a part, so that it is one micro-batch however many tasks have written it.
+_ALL_FILES = 2**31 - 1
+
+
 def _ticks(spark, name: str, parts: list[DataFrame], fleet: Callable[[str, object], Fleet]) -> DataFrame:
     """The alerts of all ticks, with the tick's number; each part of the records is a micro-batch."""
     folder = shared_folder(spark, name)
@@ -112,8 +116,8 @@ def _ticks(spark, name: str, parts: list[DataFrame], fleet: Callable[[str, objec
     ticking = fleet(folder, schema)
     last = -1
     for part in parts:
-        part.select(schema.fieldNames()).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        last = max(last, _run(S.file_stream(spark, f"{folder}/in", schema, 1), folder, ticking.tick))
+        part.select(schema.fieldNames()).write.mode("append").parquet(f"{folder}/in")
+        last = max(last, _run(S.file_stream(spark, f"{folder}/in", schema, _ALL_FILES), folder, ticking.tick))
     own = [spark.read.parquet(f"{folder}/alerts-{n}").withColumn("tick", F.lit(n)) for n in range(last + 1)]
     return reduce(DataFrame.unionByName, own).withColumn("key", F.col("key").cast("long"))
 

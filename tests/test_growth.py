@@ -81,3 +81,24 @@ def test_splits_do_not_multiply(spark, tmp_path):
         with open(tmp_path / f"{n}.csv", "wb") as f:
             f.truncate(n)
         assert _split_size(spark, f"file://{tmp_path}/{n}.csv", "20k") == f"{size}b"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_a_tick_has_many_files(spark, monkeypatch):
+    """A part of the records is one micro-batch, whatever the number of files that it comes in."""
+    from tendril.queries import streams
+
+    read, batches = [], []
+
+    class Ticking:
+        def __init__(self, folder, schema):
+            self.folder = folder
+
+        def tick(self, batch, n):
+            batches.append(n)
+            read.append(batch.select(F.input_file_name()).distinct().count())
+            batch.selectExpr("key").write.parquet(f"{self.folder}/alerts-{n}")
+
+    part = spark.range(100).withColumnRenamed("id", "key").repartition(4)
+    assert streams._ticks(spark, "ticks", [part, part], Ticking).count() == 200
+    assert batches == [0, 1] and read == [4, 4]
