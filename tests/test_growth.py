@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tendril.functions import parse as P
 from tendril.operators import monitors as M
 from tendril.operators import resolve as R
+from tendril.operators import rule_index
 from tendril.sources import delimited as D
 from tendril.sources import payloads as N
 
@@ -102,3 +103,20 @@ def test_a_tick_has_many_files(spark, monkeypatch):
     part = spark.range(100).withColumnRenamed("id", "key").repartition(4)
     assert streams._ticks(spark, "ticks", [part, part], Ticking).count() == 200
     assert batches == [0, 1] and read == [4, 4]
+
+
+def test_many_rules_meet_words_not_texts(spark, monkeypatch):
+    """Words of many rules are looked for in the distinct words of the texts; no text is searched once for each rule."""
+    monkeypatch.setattr(rule_index, "FEW_GRAMS", 0)
+    texts = [f"alpha{k % 3} beta{k % 2}x gamma\nde" for k in range(12)] + ["", None]
+    rec = spark.createDataFrame([(k, t, *[None] * 6, 1.0, datetime(2024, 1, 1)) for k, t in enumerate(texts)],
+        "key long, text string, state string, city string, agency string, modality string, status string, status_source string, value double, closes timestamp")
+    base = {f.split()[0]: [] if "array" in f else None for f in M.RULE.split(", ")}
+    given = {1: ["pha0 eta1"], 2: ["ALPHA1 mma"], 3: ["nothing", "x de"], 4: ["alpha2 alpha0"], 5: ["a%0 ma_d"]}
+    rules = spark.createDataFrame([tuple((base | {"monitor_id": k, "include": v, "exclude": ["beta0"] if k == 2 else []}).values()) for k, v in given.items()], M.RULE)
+    items = spark.createDataFrame([], "key long, unit_price double, code string")
+    found = M.match_records(rec, items, rules, datetime(2024, 1, 1)).select("monitor_id", "key")
+    plan = _optimized(found)
+    assert plan.count("Contains(_token") == plan.count("Contains(") > 0
+    want = {(1, k) for k in (3, 9)} | {(2, k) for k in (1, 7)} | {(r, k) for r in (3, 5) for k in range(12)}  # words of one letter do not count
+    assert sorted(map(tuple, found.collect())) == sorted(want)
