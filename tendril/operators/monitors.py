@@ -76,12 +76,13 @@ def match_records(records: DataFrame, items: DataFrame, rules: DataFrame, as_of,
     meets the others.  Cities, modalities and statuses are patterns of LIKE, whatever
     the case; the status is that of the record, else that of its source, else empty.
     A null agency passes ``agencies_out``; a null value fails both bounds.  Texts
-    are folded once a record and rules once a rule.  Records meet the rules by the
+    are folded once a record, or before where there is a column ``_folded``, and rules once a rule.  Records meet the rules by the
     index of :mod:`tendril.operators.rule_index`, for which ``counts`` may say how
-    frequent letters are; hits of rules that ask for items are kept by semi-joins.
+    frequent letters are; hits of rules that ask for items are kept by semi-joins with
+    those items that some rule asks for.
     """
     ready = _ready(rules).withColumns({"_priced": F.col("price_min").isNotNull() | F.col("price_max").isNotNull(), "_coded": F.size(_listed("codes")) > 0})
-    folded = records.withColumn("_folded", fold_accents(F.col("text"), True))
+    folded = records if "_folded" in records.columns else records.withColumn("_folded", fold_accents(F.col("text"), True))
     status = F.coalesce("status", "status_source", F.lit(""))
     within = F.col("closes").between(F.lit(as_of), F.lit(as_of) + F.make_dt_interval(F.col("opens_within_days")))
     on = (
@@ -95,17 +96,27 @@ def match_records(records: DataFrame, items: DataFrame, rules: DataFrame, as_of,
         & _off_or("modalities", _any_like("modalities", F.col("modality")))
         & _off_or("statuses", _any_like("statuses", status))
     )
-    kept = ["monitor_id", *records.columns]
-    of_items = F.col("_priced") | F.col("_coded")
-    plain = met(folded, ready.where(~of_items), on, state="state", agency="agency", counts=counts).select(*kept)
-    if ready.where(of_items).isEmpty():
-        return plain
-    hits = met(folded, ready.where(of_items), on, state="state", agency="agency", counts=counts).select(*kept, "_priced", "_coded", "price_min", "price_max", "codes")
+    kept = ["monitor_id", *[c for c in records.columns if c != "_folded"]]
     unit = items.select(F.col("key").alias("_key"), "unit_price", F.col("code").cast("string").alias("_code"))
     fits = (F.col("price_min").isNull() | (F.col("unit_price") >= F.col("price_min"))) & (F.col("price_max").isNull() | (F.col("unit_price") <= F.col("price_max")))
-    for condition in (~F.col("_priced") | fits, ~F.col("_coded") | F.array_contains("codes", F.col("_code"))):
-        hits = hits.join(unit, (F.col("key") == F.col("_key")) & condition, "left_semi")
-    return plain.unionByName(hits.select(*kept))
+    own, found = F.col("key") == F.col("_key"), []
+    for of_prices, of_codes in sorted(map(tuple, ready.select("_priced", "_coded").distinct().collect())):  # four at most
+        some = ready.where((F.col("_priced") == of_prices) & (F.col("_coded") == of_codes))
+        hits = met(folded, some, on, state="state", agency="agency", counts=counts)
+        if of_prices:
+            hits = hits.join(unit.where(_widest(some)), own & fits, "left_semi")
+        if of_codes:
+            codes = some.select(F.explode("codes").alias("_code")).distinct()
+            hits = hits.join(unit.join(codes, "_code", "left_semi"), own & F.array_contains("codes", F.col("_code")), "left_semi")
+        found.append(hits.select(*kept))
+    return reduce(DataFrame.unionByName, found) if found else met(folded, ready, on, state="state", agency="agency", counts=counts).select(*kept)
+
+
+def _widest(rules: DataFrame) -> Column:
+    """Whether ``unit_price`` is within the widest bounds of the rules, each of which has some: items beyond them meet no rule."""
+    bounds = rules.agg(F.min("price_min").alias("low"), F.max("price_max").alias("high"), *[F.bool_or(F.col(c).isNull()).alias(c) for c in ("price_min", "price_max")]).first()
+    above = F.lit(True) if bounds.price_min else F.col("unit_price") >= bounds.low
+    return above if bounds.price_max else above & (F.col("unit_price") <= bounds.high)
 
 
 def snapshot(records: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ class _Texts:
 
     def words(self) -> DataFrame:
         if self._words is None:
-            self._words = checkpointed(self.texts().select("_text", F.explode(F.array_distinct(F.split("_folded", r"\s+"))).alias("_token")))
+            self._words = checkpointed(self.texts().select("_text", F.explode_outer(F.array_distinct(F.split("_folded", r"\s+"))).alias("_token")))
         return self._words
 
     def holding(self, plain: dict[str, int], wild: dict[str, int]) -> DataFrame:
@@ -149,7 +149,7 @@ class _Texts:
             filed = _filed_words(number)
             table = self.spark.createDataFrame(filed, "_gram string, _word string, _n int")
             runs = F.concat(*[letters(F.col("_token"), n) for n in sorted({len(g) for g, _, _ in filed})])
-            held = self.words().select("_token").distinct().withColumn("_gram", F.explode(runs)).join(F.broadcast(table), "_gram").where(F.contains("_token", F.col("_word")))
+            held = self.words().select("_token").distinct().withColumn("_gram", F.explode_outer(runs)).join(F.broadcast(table), "_gram").where(F.contains("_token", F.col("_word")))
             found.append(self.words().join(held.groupBy("_token").agg(F.collect_list("_n").alias("_ns")), "_token").select("_text", "_ns"))
         if wild:
             like = [(number.get(stretch[w], -1), "%" + w.replace("\\", "\\\\") + "%", n) for w, n in wild.items()]
@@ -244,8 +244,9 @@ def met(
         if not filed and found:
             continue
         table = spark.createDataFrame(filed, "_gram string, monitor_id long, way int")
+        # an outer explode, as before a plain one Spark asks whether there is anything, which folds a text anew for each gram
         there = F.filter(F.array(*map(F.lit, sorted(wanted))).cast("array<string>"), lambda g: F.contains(F.col(folded), g))
-        looked_up = records.withColumn("_gram", F.explode(F.concat(F.array(F.lit(ANY), *own), there)))
+        looked_up = records.withColumn("_gram", F.explode_outer(F.concat(F.array(F.lit(ANY), *own), there)))
         pairs = looked_up.join(F.broadcast(table), "_gram").join(F.broadcast(part), "monitor_id")
         found.append(pairs.where(on & by_way & ~F.exists("_not", holds)).drop("_gram", "way"))
     return reduce(DataFrame.unionByName, found)

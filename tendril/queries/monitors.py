@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tendril.catalog import query, table
+from tendril.catalog import query, stored, table
 from tendril.functions.text import effective_terms, fold_accents, text_matches, text_matches_phrase
 from tendril.operators import monitors as M
 from tendril.operators.market import with_price_in, without_any
@@ -59,14 +59,19 @@ def _records(spark, d):
     )
 
 
+def _kept(spark, d):
+    """The tenders with their folded texts, written once for all that reads them."""
+    return stored(_records(spark, d).withColumn("_folded", fold_accents(F.col("text"), True)), "records")
+
+
 def _items(spark, d):
     return table(spark, d, "lineitem").where(F.col("l_quantity") > 0).select(
         F.col("l_orderkey").alias("key"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"), F.col("l_partkey").alias("code")
     )
 
 
-def matches(spark, d):
-    return M.match_records(_records(spark, d), _items(spark, d), rules(spark), AS_OF)
+def matches(spark, d, records=None):
+    return M.match_records(_records(spark, d) if records is None else records, _items(spark, d), rules(spark), AS_OF)
 
 
 def _listed(xs) -> str:
@@ -191,11 +196,15 @@ def _nothing(spark):
 LATER = datetime(2000, 6, 2)
 
 
-def _evaluated(spark, d):
-    """The match table and the alerts after two readings: a silent one of some tenders, and one of all."""
-    found = lambda records: M.snapshot(M.match_records(records, _items(spark, d), rules(spark), AS_OF))
-    state, _ = M.remember(_nothing(spark), found(_records(spark, d).where(F.col("key") % 3 != 0)), rules(spark), AS_OF, first_run=True)
-    return M.remember(state, found(_changed(_records(spark, d))), rules(spark), LATER)
+def _evaluated(spark, d, records=None):
+    """The match table and the alerts after two readings: a silent one of some tenders, and one of all.
+
+    The tenders are written once for both readings, and what each finds once for all that asks for it.
+    """
+    records = _kept(spark, d) if records is None else records
+    found = lambda records: stored(M.snapshot(M.match_records(records, _items(spark, d), rules(spark), AS_OF)), "found")
+    state, _ = M.remember(_nothing(spark), found(records.where(F.col("key") % 3 != 0)), rules(spark), AS_OF, first_run=True)
+    return M.remember(state, found(_changed(records)), rules(spark), LATER)
 
 
 def _money(v: str) -> str:
@@ -285,8 +294,9 @@ def _title_sql() -> str:
 def monitor_alert_titles(spark, d):
     """What the alerts of the second reading are called, and those of the winners of all matched tenders, some of which have no name."""
     names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("supplier"), F.when(F.col("s_suppkey") % 10 != 3, F.col("s_name")).alias("supplier_name"))
-    won = M.award_alerts(matches(spark, d), _awards(spark, d).join(names, "supplier"), rules(spark))
-    alerts = M.told(_evaluated(spark, d)[1]).unionByName(won)
+    records = _kept(spark, d)
+    won = M.award_alerts(matches(spark, d, records), _awards(spark, d).join(names, "supplier"), rules(spark))
+    alerts = M.told(_evaluated(spark, d, records)[1]).unionByName(won)
     return M.titled(alerts, LATER).select("monitor_id", "key", "type", "title")
 
 
@@ -332,7 +342,8 @@ def _monitors(spark, d):
    FROM monitors WHERE active) AS active, (SELECT strftime(min(next_run), '%Y-%m-%d %H:%M:%S') FROM monitors WHERE active) AS next_run,
  (SELECT count(*) FROM matches) AS matches, (SELECT count(*) FROM raised) AS alerts, (SELECT count(*) FROM raised WHERE raised_at > TIMESTAMP '2000-06-01') AS last_day""")
 def fleet_stats(spark, d):
-    f = M.fleet_stats(_monitors(spark, d), matches(spark, d), _raised(_evaluated(spark, d)[1]), LATER)
+    records = _kept(spark, d)
+    f = M.fleet_stats(_monitors(spark, d), matches(spark, d, records), _raised(_evaluated(spark, d, records)[1]), LATER)
     return f.withColumn("next_run", F.date_format("next_run", "yyyy-MM-dd HH:mm:ss"))
 
 
