@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 from datetime import datetime
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tendril.catalog import query, table
@@ -291,8 +290,7 @@ def normalize_execution_feeds(spark, d):
     said = [F.when(k % 3 == m, F.concat(F.lit(v[0]), k)).alias(v) for m, v in name.items()]
     payload = F.to_json(F.struct(*said, F.date_format("l_shipdate", "dd/MM/yyyy").alias("emissao"), F.monotonically_increasing_id().alias("linha")))
     raw = base.select(F.col("l_orderkey").cast("string").alias("contract_id"), payload.alias("payload"))
-    parts = [N.normalize_execution(raw, kind).select("contract_id", "kind", "record_key", "date") for kind in ("invoices", "guarantees", "incidents")]
-    every = reduce(DataFrame.unionByName, parts)
+    every = N.normalize_execution_feeds(raw, ("invoices", "guarantees", "incidents"))
     hashed = F.length("record_key") == 24
     named = F.when(hashed, 2).when(F.col("record_key").startswith("n"), 0).otherwise(1).cast("long")
     return every.groupBy(

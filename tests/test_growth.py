@@ -120,3 +120,15 @@ def test_many_rules_meet_words_not_texts(spark, monkeypatch):
     assert plan.count("Contains(_token") == plan.count("Contains(") > 0
     want = {(1, k) for k in (3, 9)} | {(2, k) for k in (1, 7)} | {(r, k) for r in (3, 5) for k in range(12)}  # words of one letter do not count
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_feeds_read_a_payload_once(spark):
+    """A payload of several feeds is read before it is a row of each, with what each feed makes of it alone."""
+    raw = spark.createDataFrame([("c", '{"numero": "7", "emissao": "02/03/2024"}'), ("c", '{"id": "i1"}'), ("d", "{}")], "contract_id string, payload string")
+    kinds = ("invoices", "guarantees")
+    every = N.normalize_execution_feeds(raw, kinds)
+    plan = _optimized(every)
+    assert plan.index("Generate explode") < plan.index("get_json_object") and "Union" not in plan
+    one = [N.normalize_execution(raw, k).select(*every.columns) for k in kinds]
+    assert sorted(map(repr, every.collect())) == sorted(map(repr, one[0].unionByName(one[1]).collect()))
+    assert len({(r.contract_id, r.kind, r.record_key) for r in every.collect()}) == 6
