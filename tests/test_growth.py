@@ -118,7 +118,7 @@ def test_many_rules_meet_words_not_texts(spark, monkeypatch):
     found = M.match_records(rec, items, rules, datetime(2024, 1, 1)).select("monitor_id", "key")
     plan = _optimized(found)
     assert plan.count("Contains(_token") == plan.count("Contains(") > 0
-    want = {(1, k) for k in (3, 9)} | {(2, k) for k in (1, 7)} | {(r, k) for r in (3, 5) for k in range(12)}  # words of one letter do not count
+    want = {(1, k) for k in (3, 9)} | {(2, k) for k in (1, 7)} | {(3, k) for k in range(12)} | {(5, k) for k in range(12) if k % 3 == 0 or k % 2 == 0}  # words of one letter do not count
     assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
