@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tendril.catalog import roomy, stored
 from tendril.operators.market import month_of
 from tendril.streaming.buckets import BucketTable
 
@@ -29,6 +30,7 @@ class LiveCube:
     ``by`` (a month, say): a batch reads the buckets of its keys and rewrites those of the
     months that it takes rows from or puts rows into.  The cube is written first, each
     under the batch's version, so a run that ends between the two is taken up again.
+    What a batch adds to and takes from each cell is worked out once and written.
     """
 
     def __init__(self, rows: BucketTable, cells: BucketTable, by: dict[str, Column], measures: dict[str, Column], order: str):
@@ -48,13 +50,16 @@ class LiveCube:
     def apply(self, batch: DataFrame, version: int) -> None:
         """``batch`` has the columns of the table of rows; keys may repeat, and a row older than the one that is there changes nothing."""
         held = min(version - 1, self.rows.version())
-        before = self.rows.read(self.rows.touched(batch), held)
+        counts = self.rows.counts(batch)
+        before = self.rows.read(sorted(counts), held)
         met = before.join(batch.select(*self.rows.keys).distinct(), self.rows.keys, "left_semi")
         after = self.latest(met.unionByName(batch.select(met.columns)))
         by, measures = list(self.by), list(self.measures)
         deltas = _cells(met, self.by, self.measures, -1).unionByName(_cells(after, self.by, self.measures, 1))
         deltas = deltas.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(m).cast("decimal(38,4)").alias(m) for m in measures])
         changed = deltas.where(" OR ".join(["n <> 0", *[f"{m} <> 0" for m in measures]]))
+        with roomy(self.rows.spark, before.count() + sum(counts.values())):
+            changed = stored(changed, "deltas")
         self.cells.merge(changed, lambda old, new: added_up(old.unionByName(new.select(old.columns)), by, measures), version)
         self.rows.merge(batch, lambda old, new: self.latest(old.unionByName(new.select(old.columns))), version)
 

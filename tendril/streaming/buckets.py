@@ -15,6 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tendril.catalog import parts_of, roomy
+
+#: Slices of a bucket for each task that its rows ask for, so that tasks get about as many rows.
+SLICES = 4
+
 
 class BucketTable:
     """A table under ``folder`` by ``keys``, in ``buckets`` buckets; null keys have a bucket as others do."""
@@ -44,9 +49,12 @@ class BucketTable:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
+    def counts(self, batch: DataFrame) -> dict[int, int]:
+        """The buckets of a batch's keys with the batch's rows in them: at most as many numbers as there are buckets."""
+        return {r.b: r.n for r in batch.groupBy(self.bucket().alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
     def touched(self, batch: DataFrame) -> list[int]:
-        """The buckets of a batch's keys: at most as many numbers as there are buckets."""
-        return sorted(r[0] for r in batch.select(self.bucket().alias("b")).distinct().collect())
+        return sorted(self.counts(batch))
 
     def read(self, only: list[int] | None = None, version: int | None = None) -> DataFrame:
         """The table, or only some of its buckets."""
@@ -57,15 +65,22 @@ class BucketTable:
     def merge(self, batch: DataFrame, rows: Callable[[DataFrame, DataFrame], DataFrame], version: int | None = None) -> bool:
         """Version ``version`` (the next by default): the buckets of ``batch`` become ``rows(their rows, batch)``.
 
-        False, and nothing is done, if that version is there already.
+        False, and nothing is done, if that version is there already.  A bucket of many
+        rows is written by many tasks, each a slice of its keys.
         """
         now = self.version()
         version = now + 1 if version is None else version
         if now >= version:
             return False
-        only = self.touched(batch)
-        after = rows(self.read(only, now), batch).select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
-        after.withColumn("_bucket", self.bucket()).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/data-{version}")
+        counts = self.counts(batch)
+        only = sorted(counts)
+        old = self.read(only, now)
+        total = old.count() + sum(counts.values())
+        slices = 1 if parts_of(total) <= max(1, len(only)) else -(-SLICES * parts_of(total) // len(only))
+        with roomy(self.spark, total):
+            after = rows(old, batch).select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).withColumn("_bucket", self.bucket())
+            dealt = after.repartition("_bucket", F.pmod(F.hash(*self.keys), F.lit(slices)))
+            dealt.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/data-{version}")
         written = {int(n.removeprefix("_bucket=")) for n in self._listed(f"{self.folder}/data-{version}") if n.startswith("_bucket=")}
         held = {b: v for b, v in self.manifest(now).items() if b not in set(only)} | dict.fromkeys(written, version)
         self._commit(version, held)

@@ -6,12 +6,15 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tendril import catalog
 from tendril.functions import parse as P
+from tendril.operators import cubes as U
 from tendril.operators import monitors as M
 from tendril.operators import resolve as R
 from tendril.operators import rule_index
 from tendril.sources import delimited as D
 from tendril.sources import payloads as N
+from tendril.streaming.buckets import BucketTable
 
 
 def _optimized(df) -> str:
@@ -132,3 +135,37 @@ def test_feeds_read_a_payload_once(spark):
     one = [N.normalize_execution(raw, k).select(*every.columns) for k in kinds]
     assert sorted(map(repr, every.collect())) == sorted(map(repr, one[0].unionByName(one[1]).collect()))
     assert len({(r.contract_id, r.kind, r.record_key) for r in every.collect()}) == 6
+
+
+def test_a_bucket_of_many_rows_is_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    """What a task merges and writes does not grow with the table, though its buckets stay as many; the session is left as it was."""
+    monkeypatch.setattr(catalog, "ROWS_A_PART", 500)
+    own, parts = spark.conf.get("spark.sql.shuffle.partitions"), []
+
+    def put(old, new):
+        out = old.unionByName(new).groupBy("k").agg(F.max("v").alias("v"))
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    t = BucketTable(spark, f"file://{tmp_path}/t", ["k"], "k long, v long", 2)
+    t.merge(spark.range(8000).selectExpr("id AS k", "1L AS v"), put)
+    t.merge(spark.range(4000).selectExpr("id AS k", "2L AS v"), put)
+    assert parts == [16, 24] and spark.conf.get("spark.sql.shuffle.partitions") == own
+    assert max(r["count"] for r in t.read().groupBy(F.input_file_name()).count().collect()) < 2000
+    assert sorted(map(tuple, t.read().groupBy("v").agg(F.count("*"), F.sum("k")).collect())) == [(1, 4000, sum(range(4000, 8000))), (2, 4000, sum(range(4000)))]
+
+
+def test_deltas_of_a_cube_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    """The cells that a batch changes are worked out once, by as many tasks as the rows ask for."""
+    monkeypatch.setattr(catalog, "ROWS_A_PART", 50)
+    parts = []
+    monkeypatch.setattr(U, "stored", lambda df, name: (parts.append(df.rdd.getNumPartitions()), catalog.stored(df, name))[1])
+    schema, by = "key long, seq long, day timestamp, price double", {"month": U.month_of("day")}
+    cells = BucketTable(spark, f"file://{tmp_path}/c", ["month"], U.LiveCube.cells_schema({"month": "string"}, ["total"]), 2)
+    cube = U.LiveCube(BucketTable(spark, f"file://{tmp_path}/r", ["key"], schema, 2), cells, by, {"total": F.col("price")}, "seq")
+    rows = spark.range(400).selectExpr("id AS key", "1L AS seq", "timestamp '2024-01-05' + make_dt_interval(40 * (id % 2)) AS day", "1.0D AS price")
+    cube.apply(rows, 1)
+    cube.apply(rows.where("key < 100").withColumns({"seq": F.lit(2).cast("long"), "day": F.lit(datetime(2024, 3, 1)), "price": F.lit(2.0)}), 2)
+    cube.apply(rows.where("key < 50"), 3)  # late: nothing changes
+    assert parts == [8, 10, 9]
+    assert sorted((r.month, r.n, float(r.total)) for r in cells.read().collect()) == [("2024-01", 150, 150.0), ("2024-02", 150, 150.0), ("2024-03", 100, 200.0)]
