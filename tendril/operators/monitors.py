@@ -208,14 +208,15 @@ def award_alerts(matches: DataFrame, awards: DataFrame, rules: DataFrame) -> Dat
     """``monitor_id, key`` (tender:item:supplier) of winners on matched tenders, high if the rule watches the supplier.
 
     A winner without a number is ``?``.  ``details`` has what the awards say of the
-    supplier's name, prices and process.
+    supplier's name, prices and process.  Awards are shuffled once, by tender, and then
+    grouped; rules are broadcast, as few monitors may have most of the matches.
     """
     told = _details(awards.withColumn("process", F.col("key")), ("supplier_name", "supplier", "unit_price", "award_value", "process"))
     keyed = awards.withColumn("process", F.col("key")).select("key", "item", F.col("supplier").cast("string").alias("supplier"), told.alias("details"))
-    keyed = keyed.groupBy("key", "item", "supplier").agg(F.min("details").alias("details"))
+    keyed = keyed.repartition("key").groupBy("key", "item", "supplier").agg(F.min("details").alias("details"))
     won = matches.select("monitor_id", "key").join(keyed, "key").withColumn("key", F.concat_ws(":", "key", "item", F.coalesce("supplier", F.lit("?"))))
     watched = F.coalesce(F.array_contains("suppliers", F.col("supplier")), F.lit(False))
-    return won.join(rules.select("monitor_id", "suppliers"), "monitor_id").select(
+    return won.join(F.broadcast(rules.select("monitor_id", "suppliers")), "monitor_id").select(
         "monitor_id", "key", F.lit("NEW_WINNER").alias("type"), F.when(watched, "alta").otherwise("media").alias("importance"), "details"
     )
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tendril.catalog import query, stored, table
+from tendril.catalog import query, roomy, stored, table
 from tendril.functions.text import effective_terms, fold_accents, text_matches, text_matches_phrase
 from tendril.operators import monitors as M
 from tendril.operators.market import with_price_in, without_any
@@ -294,10 +294,11 @@ def _title_sql() -> str:
 def monitor_alert_titles(spark, d):
     """What the alerts of the second reading are called, and those of the winners of all matched tenders, some of which have no name."""
     names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("supplier"), F.when(F.col("s_suppkey") % 10 != 3, F.col("s_name")).alias("supplier_name"))
-    records = _kept(spark, d)
-    won = M.award_alerts(matches(spark, d, records), _awards(spark, d).join(names, "supplier"), rules(spark))
-    alerts = M.told(_evaluated(spark, d, records)[1]).unionByName(won)
-    return M.titled(alerts, LATER).select("monitor_id", "key", "type", "title")
+    with roomy(spark, _awards(spark, d).count()):
+        records = _kept(spark, d)
+        won = M.award_alerts(matches(spark, d, records), _awards(spark, d).join(names, "supplier"), rules(spark))
+        alerts = M.told(_evaluated(spark, d, records)[1]).unionByName(won)
+        return stored(M.titled(alerts, LATER).select("monitor_id", "key", "type", "title"), "titles")
 
 
 @query("monitor_memory", f"""WITH {_ALERTS_LATER}
@@ -367,11 +368,12 @@ def new_since(spark, d):
    CASE WHEN monitor_id = 5 AND s IN (7, 9) OR monitor_id = 7 AND s = 1 THEN 'alta' ELSE 'media' END AS importance
  FROM matches JOIN (SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 10 <> 3 THEN l_suppkey END AS s FROM lineitem) ON l_orderkey = key WHERE l_linenumber <> 1""")
 def award_alerts(spark, d):
-    """Winners that are not remembered yet; those of the first items are."""
+    """Winners that are not remembered yet; those of the first items are.  Matches are written once, and shuffled into as many parts as the lines ask for."""
     a = _awards(spark, d).withColumn("supplier", F.when(F.col("supplier") % 10 != 3, F.col("supplier")))
-    m = matches(spark, d)
-    memory, _ = M.raise_once(spark.createDataFrame([], M.MEMORY), M.award_alerts(m, a.where(F.col("item") == 1), rules(spark)), "award", AS_OF, first_run=True)
-    return M.raise_once(memory, M.award_alerts(m, a, rules(spark)), "award", AS_OF)[1].drop("details")
+    with roomy(spark, a.count()):
+        m = stored(matches(spark, d, _kept(spark, d)).select("monitor_id", "key"), "matches")
+        memory, _ = M.raise_once(spark.createDataFrame([], M.MEMORY), M.award_alerts(m, a.where(F.col("item") == 1), rules(spark)), "award", AS_OF, first_run=True)
+        return stored(M.raise_once(memory, M.award_alerts(m, a, rules(spark)), "award", AS_OF)[1].drop("details"), "alerts")
 
 
 def _of_contracts(r: dict) -> str:

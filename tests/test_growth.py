@@ -169,3 +169,15 @@ def test_deltas_of_a_cube_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
     cube.apply(rows.where("key < 50"), 3)  # late: nothing changes
     assert parts == [8, 10, 9]
     assert sorted((r.month, r.n, float(r.total)) for r in cells.read().collect()) == [("2024-01", 150, 150.0), ("2024-02", 150, 150.0), ("2024-03", 100, 200.0)]
+
+
+def test_winners_do_not_gather_by_monitor(spark):
+    """Awards go once to the task of their tender; what most of the matches belong to, a monitor, is no key of a shuffle."""
+    rules = spark.createDataFrame([(1, ["7"]), (2, [])], "monitor_id long, suppliers array<string>")
+    matches = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (3, 10)], "monitor_id long, key long")
+    awards = spark.createDataFrame([(10, 1, 7, "b"), (10, 1, 7, "a"), (11, 2, None, "c"), (12, 1, 7, "d")], "key long, item int, supplier long, supplier_name string")
+    found = M.award_alerts(matches, awards, rules)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(monitor_id" not in plan and plan.count("Exchange hashpartitioning(key") == 2
+    got = sorted((r.monitor_id, r.key, r.importance, '"a"' in r.details) for r in found.collect())
+    assert got == [(1, "10:1:7", "alta", True), (1, "11:2:?", "media", False), (2, "10:1:7", "media", True)]
