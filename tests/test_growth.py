@@ -125,6 +125,34 @@ def test_many_rules_meet_words_not_texts(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
+def test_many_rules_meet_records_in_one_join(spark, monkeypatch):
+    """Rules of words alone are met in one join and one reading of the texts, however many they are; those with other conditions are looked at again."""
+    monkeypatch.setattr(rule_index, "FEW_GRAMS", 0)
+    monkeypatch.setattr(rule_index, "RULES_AT_ONCE", 3)
+    monkeypatch.setattr(rule_index, "BITS_AT_ONCE", 200, raising=False)
+    texts = [f"Alpha{k % 3} béta{k % 2}x  gamma\tdelta{k % 5}" for k in range(20)] + ["", "alpha0", "alpha0"]
+    rec = spark.createDataFrame([(k, t, *[None] * 6, float(k), datetime(2024, 1, 1)) for k, t in enumerate(texts)],
+        "key long, text string, state string, city string, agency string, modality string, status string, status_source string, value double, closes timestamp")
+    base = {f.split()[0]: [] if "array" in f else None for f in M.RULE.split(", ")}
+    given = {k: {"include": [t]} for k, t in enumerate(["alpha0", "ALPHA1 eta1", "pha2 elta4", "gam%% bet%", "lta0 lta1", "amma amma", "a", "zz alpha0", "%% lph"])}
+    given |= {20: {"include": ["alpha1 beta0 delta3", "elta2"]}, 21: {"include": ["gamma"], "exclude": ["alpha0 beta0", "lta1"]}, 30: {"include": ["alpha0"], "value_min": 9.0}}
+    rules = spark.createDataFrame([tuple((base | {"monitor_id": k} | g).values()) for k, g in given.items()], M.RULE)
+    items = spark.createDataFrame([], "key long, unit_price double, code string")
+
+    def holds(text, terms):
+        return any(all(w.strip("%") in text.lower().replace("é", "e") for w in t.lower().split()) for t in terms)
+
+    def want(ids):
+        return sorted((k, n) for k in ids for n, t in enumerate(texts) if (k == 6 or holds(t, given[k]["include"])) and not holds(t, given[k].get("exclude", [])) and n >= given[k].get("value_min", 0))
+
+    found = M.match_records(rec, items, rules.where("monitor_id < 30 AND monitor_id <> 6"), datetime(2024, 1, 1)).select("monitor_id", "key")
+    plan = _optimized(found)
+    assert plan.count("ArrowEvalPython") == 1 == plan.count("NOT ((_bits") and plan.count("Join ") == 2  # the other one gives the rules' words their numbers
+    assert sorted(map(tuple, found.collect())) == want(k for k in given if k < 30 and k != 6)
+    every = M.match_records(rec, items, rules, datetime(2024, 1, 1)).select("monitor_id", "key")
+    assert sorted(map(tuple, every.collect())) == want(given)  # of 6 no term is long enough, so it takes all
+
+
 def test_feeds_read_a_payload_once(spark):
     """A payload of several feeds is read before it is a row of each, with what each feed makes of it alone."""
     raw = spark.createDataFrame([("c", '{"numero": "7", "emissao": "02/03/2024"}'), ("c", '{"id": "i1"}'), ("d", "{}")], "contract_id string, payload string")
